@@ -7,3 +7,17 @@ Spark SQL / DataFrame operators.  See README.md for the module map.
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value so executors need not install it."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # pragma: no cover - older cloudpickle: fall back to addPyFile
+        pass
+
+
+_ship_by_value()

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 CONFIG_FIELDS: list[tuple[str, T.DataType, Any]] = [
     ("start_date", T.StringType(), "2015-01-01"),
     ("end_date", T.StringType(), "2015-02-01"),
-    ("load_mw", T.DoubleType(), None),
+    ("base_load_mw", T.DoubleType(), None),   # average load of synthetic profiles
     ("load_std", T.DoubleType(), 15.0),
     ("load_type", T.StringType(), None),
     ("battery_power_mw", T.DoubleType(), None),
