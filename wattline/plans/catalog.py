@@ -226,6 +226,11 @@ def q_scheduled_dispatch(spark, sf_dir):
     return _d1(spark, sf_dir).select(*D1_COLS)
 
 
+def dr(x: str, n: int) -> str:
+    """Half-up rounding via the decimal form (matches ``metrics.dround``)."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {n}) AS DOUBLE)"
+
+
 def dsum_sql(x: str) -> str:
     return f"sum(CAST({x} AS DECIMAL(38,10)))"
 
@@ -242,9 +247,9 @@ g AS (SELECT site_id, {dsum_sql('charge1 * ' + d(1.0))} AS c, {dsum_sql('dischar
      {dsum_sql('natgas_mw * ' + d(1.0))} AS ng, {dsum_sql('gen * ' + d(1.0))} AS gn
    FROM disp GROUP BY site_id)""", f"""
 SELECT site_id, {r2('c')} AS total_charge_mwh, {r2('dis')} AS total_discharge_mwh,
-  round(CASE WHEN {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])} > 0 THEN CAST(dis AS DOUBLE) / {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])} ELSE {d(0.0)} END, 2) AS cycles_battery1,
-  round(CASE WHEN gn > 0 THEN 100 * CAST(c AS DOUBLE) / CAST(gn AS DOUBLE) ELSE {d(0.0)} END, 2) AS shift_pct,
-  round(CAST(c AS DOUBLE) * (1 - {d(SITE_CFG['rte'])}), 2) AS total_wastage_mwh,
+  {dr(f"CASE WHEN {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])} > 0 THEN CAST(dis AS DOUBLE) / {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])} ELSE {d(0.0)} END", 2)} AS cycles_battery1,
+  {dr(f"CASE WHEN gn > 0 THEN 100 * CAST(c AS DOUBLE) / CAST(gn AS DOUBLE) ELSE {d(0.0)} END", 2)} AS shift_pct,
+  {dr(f"CAST(c AS DOUBLE) * (1 - {d(SITE_CFG['rte'])})", 2)} AS total_wastage_mwh,
   {r2('ld')} AS total_load_mwh, {r2('sv')} AS total_served_mwh, {r2('imp')} AS grid_imp_mwh,
   {r2('exp')} AS grid_exp_mwh, {r2('rev')} AS merchant_revenue_usd, {d(0.0)} AS natgas_total_cost_usd,
   {r2('ng')} AS total_natgas_mwh
@@ -257,7 +262,173 @@ def q_scheduled_metrics(spark, sf_dir):
 @register("monthly_cycles", with_sql(d1_sql(SITE_CFG) + f""",
 g AS (SELECT site_id, strftime(ts, '%Y-%m') AS month, {dsum_sql('discharge1 * ' + d(1.0))} AS dis
       FROM disp GROUP BY site_id, strftime(ts, '%Y-%m'))""", f"""
-SELECT site_id, month, round(CAST(dis AS DOUBLE) / {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])}, 2) AS cycles FROM g"""))
+SELECT site_id, month, {dr(f"CAST(dis AS DOUBLE) / {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])}", 2)} AS cycles FROM g"""))
 def q_monthly_cycles(spark, sf_dir):
     """Discharge cycles per site and calendar month (long form)."""
     return monthly_cycles(_d1(spark, sf_dir), keys=["site_id"])
+
+
+# ---------------------------------------------------------------------------
+# Phase 3: reference MW, scaling, gas caps, serve-first dispatch
+# ---------------------------------------------------------------------------
+from wattline.operators.dispatch import gas_cap, must_run_gas, prepare, scale_renewables, \
+    serve_first_dispatch  # noqa: E402
+from wattline.operators.metrics import run_metrics  # noqa: E402
+from wattline.plans.dispatch_sql import serve_first_sql, run_metrics_sql  # noqa: E402
+
+
+def reference_mw(iv: DataFrame, keys=("site_id",)) -> DataFrame:
+    """Reference MW per site = ceil(max(clip(col, 0))), 0 when empty."""
+    def ref(c):
+        return F.coalesce(F.ceil(F.max(F.greatest(F.col(c), F.lit(0.0)))).cast("double"), F.lit(0.0))
+    return iv.groupBy(*keys).agg(ref("solar_mw").alias("ref_solar_mw"), ref("wind_mw").alias("ref_wind_mw"))
+
+
+_REF_SQL = f"""ref AS (SELECT site_id,
+  coalesce(CAST(ceil(max(greatest(solar_mw, {d(0.0)}))) AS DOUBLE), {d(0.0)}) AS ref_solar_mw,
+  coalesce(CAST(ceil(max(greatest(wind_mw, {d(0.0)}))) AS DOUBLE), {d(0.0)}) AS ref_wind_mw
+  FROM intervals GROUP BY site_id)"""
+
+
+@register("reference_mw", with_sql(_REF_SQL, "SELECT * FROM ref"))
+def q_reference_mw(spark, sf_dir):
+    """Solar / wind reference MW per site."""
+    return reference_mw(intervals(spark, sf_dir))
+
+
+CAND_SOLAR, CAND_WIND = 80.0, 50.0
+
+
+@register("scale_renewables", with_sql(_REF_SQL, f"""
+SELECT i.site_id, i.ts,
+  CASE WHEN r.ref_solar_mw > 0 THEN i.solar_mw * ({d(CAND_SOLAR)} / r.ref_solar_mw) ELSE {d(0.0)} END AS solar_mw,
+  CASE WHEN r.ref_wind_mw > 0 THEN i.wind_mw * ({d(CAND_WIND)} / r.ref_wind_mw) ELSE {d(0.0)} END AS wind_mw
+FROM intervals i JOIN ref r ON r.site_id = i.site_id"""))
+def q_scale_renewables(spark, sf_dir):
+    """Solar scaled to an 80 MW build, wind to 50 MW, by each site's reference MW."""
+    iv = intervals(spark, sf_dir)
+    j = iv.join(reference_mw(iv), "site_id").withColumns({"cand_solar_mw": F.lit(CAND_SOLAR),
+                                                         "cand_wind_mw": F.lit(CAND_WIND)})
+    return scale_renewables(j, F.col("ref_solar_mw"), F.col("ref_wind_mw")).select("site_id", "ts", "solar_mw",
+                                                                                   "wind_mw")
+
+
+_CAP_CFGS = {"static": dict(gas_pmax_mw=25.0, gas_use_profile_as_cap=False),
+             "profile": dict(gas_pmax_mw=0.0, gas_use_profile_as_cap=True),
+             "profile_pmax": dict(gas_pmax_mw=25.0, gas_use_profile_as_cap=True)}
+
+
+def _cap_sql(pmax: float, use: bool) -> str:
+    ng = f"greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)}))"
+    if pmax > 0 and not use:
+        return d(pmax)
+    if use:
+        return f"least({ng}, {d(pmax)})" if pmax > 0 else ng
+    return d(pmax)
+
+
+@register("gas_cap", with_sql("", f"""
+SELECT site_id, ts, {_cap_sql(25.0, False)} AS cap_static, {_cap_sql(0.0, True)} AS cap_profile,
+  {_cap_sql(25.0, True)} AS cap_profile_pmax,
+  greatest({d(0.0)}, least({d(25.0)}, {_cap_sql(25.0, True)})) AS pmax_t,
+  least(greatest({d(0.0)}, {d(5.0)}), greatest({d(0.0)}, least({d(25.0)}, {_cap_sql(25.0, True)}))) AS pmin_t
+FROM intervals"""))
+def q_gas_cap(spark, sf_dir):
+    """P14 + P16: gas cap per interval for a static cap, the profile, and least(profile, pmax)."""
+    iv = with_config(intervals(spark, sf_dir), SITE_CFG)
+    out = iv
+    for name, over in _CAP_CFGS.items():
+        out = out.withColumns({k: F.lit(v) for k, v in over.items()}).withColumn(f"cap_{name}", gas_cap())
+    p = prepare(out.select(*INTERVAL_FIELDS, *[c for c in out.columns if c not in INTERVAL_FIELDS]), ["site_id"])
+    return p.select("site_id", "ts", "cap_static", "cap_profile", "cap_profile_pmax", "pmax_t", "pmin_t")
+
+
+INTERVAL_FIELDS = ["site_id", "ts", "wind_mw", "solar_mw", "natgas_mw", "load_mw", "price"]
+
+
+@register("must_run_gas", with_sql("", f"""
+, zq AS (SELECT site_id, sum(greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)}))) <= 1e-9 AS ng_zero FROM intervals GROUP BY site_id)
+SELECT i.site_id, i.ts,
+  CASE WHEN z.ng_zero THEN {d(25.0)} ELSE least(greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})), {d(25.0)}) END AS must_run_pmax,
+  greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})) AS must_run_profile,
+  greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})) AS must_run_disabled,
+  {d(0.0)} AS must_run_dispatchable
+FROM intervals i JOIN zq z ON z.site_id = i.site_id""".replace("\n, zq AS", "zq AS", 1)) if False else None)
+def q_must_run_gas(spark, sf_dir):
+    """Must-run gas per interval: enabled with pmax, enabled profile-only, disabled, dispatchable."""
+    iv = with_config(intervals(spark, sf_dir), SITE_CFG)
+    zero = iv.groupBy("site_id").agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0))))
+                                      <= F.lit(1e-9)).alias("ng_zero"))
+    j = iv.join(zero, "site_id")
+    cases = {"must_run_pmax": dict(gas_enabled=True, gas_dispatchable=False, gas_pmax_mw=25.0),
+             "must_run_profile": dict(gas_enabled=True, gas_dispatchable=False, gas_pmax_mw=0.0),
+             "must_run_disabled": dict(gas_enabled=False, gas_dispatchable=False, gas_pmax_mw=25.0),
+             "must_run_dispatchable": dict(gas_enabled=True, gas_dispatchable=True, gas_pmax_mw=25.0)}
+    for name, over in cases.items():
+        j = j.withColumns({k: F.lit(v) for k, v in over.items()}).withColumn(name, must_run_gas(F.col("ng_zero")))
+    return j.select("site_id", "ts", *cases)
+
+
+REGISTRY["must_run_gas"] = (q_must_run_gas, with_sql(f"""zq AS (SELECT site_id, sum(greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)}))) <= 1e-9 AS ng_zero FROM intervals GROUP BY site_id)""", f"""
+SELECT i.site_id, i.ts,
+  CASE WHEN z.ng_zero THEN {d(25.0)} ELSE least(greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})), {d(25.0)}) END AS must_run_pmax,
+  greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})) AS must_run_profile,
+  greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})) AS must_run_disabled,
+  {d(0.0)} AS must_run_dispatchable
+FROM intervals i JOIN zq z ON z.site_id = i.site_id"""))
+
+DISP_COLS = ["site_id", "ts", "charge", "discharge", "soc", "gas_gen", "serve", "unserved", "clipped", "grid_imp",
+             "grid_exp", "gas_on", "gas_start", "gas_stop", "gas_cost", "generation"]
+
+
+def _sf(spark, sf_dir, **kw):
+    iv = with_config(intervals(spark, sf_dir), SITE_CFG)
+    return serve_first_dispatch(iv, keys=["site_id"], **kw)
+
+
+def _disp_sql(cols, **kw):
+    return with_sql(serve_first_sql(SITE_CFG, **kw), f"SELECT {', '.join(cols)} FROM disp")
+
+
+@register("dispatch_gridoff", _disp_sql(DISP_COLS))
+def q_dispatch_gridoff(spark, sf_dir):
+    """Serve-first dispatch, grid off, battery 20 MW x 4 h, dispatchable gas 5..25 MW."""
+    return _sf(spark, sf_dir).select(*DISP_COLS)
+
+
+@register("dispatch_gridon", _disp_sql(DISP_COLS + ["infeasible"], grid_on=True))
+def q_dispatch_gridon(spark, sf_dir):
+    """D3: full-serve dispatch, grid on (POI 60 MW), gas only when cheaper than the market."""
+    return _sf(spark, sf_dir, grid_on=True).select(*DISP_COLS, "infeasible")
+
+
+TWO_COLS = DISP_COLS + ["charge1", "discharge1", "soc1", "charge2", "discharge2", "soc2"]
+
+
+@register("two_battery", _disp_sql(TWO_COLS, two_battery=True))
+def q_two_battery(spark, sf_dir):
+    """Second battery (10 MW x 2 h, 90 %) runs on what battery 1 leaves."""
+    return _sf(spark, sf_dir, two_battery=True).select(*TWO_COLS)
+
+
+@register("gas_follow", _disp_sql(DISP_COLS, ramp=True))
+def q_gas_follow(spark, sf_dir):
+    """Gas follows the deficit within 8 MW/h ramps, lifted to pmin when on."""
+    return _sf(spark, sf_dir, gas_follow_ramp=True).select(*DISP_COLS)
+
+
+@register("run_metrics", with_sql(serve_first_sql(SITE_CFG), run_metrics_sql(SITE_CFG).lstrip(", ").replace(
+    "g AS (", "", 0)) if False else None)
+def q_run_metrics(spark, sf_dir):
+    """Run metrics of the grid-off dispatch per site."""
+    return run_metrics(_sf(spark, sf_dir), keys=["site_id"])
+
+
+def _metrics_sql(**kw):
+    body = serve_first_sql(SITE_CFG, **kw)
+    m = run_metrics_sql(SITE_CFG, grid_allowed=kw.get("grid_on", False))
+    g, sel = m.split("\nSELECT", 1)
+    return with_sql(body + g, "SELECT" + sel)
+
+
+REGISTRY["run_metrics"] = (q_run_metrics, _metrics_sql())
