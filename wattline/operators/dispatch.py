@@ -20,7 +20,7 @@ Rule-based: feasible, not optimal.  All state (battery balances) comes from
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Any, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.config import battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, \
-    gas_no_load_cost, gas_variable_cost
+from wattline.config import CONFIG_FIELDS, battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, \
+    gas_no_load_cost, gas_variable_cost, with_config
 from wattline.operators.balance import bounded_balance
 from wattline.operators.series import lag_values
+from wattline.session import materialize_table
 
 KEYS = ["site_id", "candidate_id"]
 EPS_ON = 1e-6
@@ -41,10 +42,23 @@ RESULT_COLS = ["generation", "load", "price_per_kwh", "charge1", "discharge1", "
                "gas_on", "gas_start", "gas_stop", "gas_cost", "soc1", "soc2", "soc", "net_to_grid"]
 
 
+CONFIG_NAMES = [n for n, _, _ in CONFIG_FIELDS]
+
+
 def col(n: str) -> Column:
     return F.col(n)
 
 
+def _attach(df: DataFrame, cfg: Mapping[str, Any] | None) -> DataFrame:
+    """Literal parameter columns for a single configuration (folded by Catalyst)."""
+    return with_config(df, cfg) if cfg is not None else df
+
+
+def _detach(df: DataFrame, cfg: Mapping[str, Any] | None) -> DataFrame:
+    """Drop literal parameter columns before a shuffle so they never travel with the rows."""
+    return df.drop(*[c for c in CONFIG_NAMES if c in df.columns]) if cfg is not None else df
+
+
 def seconds_of(ts: Column) -> Column:
     """Seconds since 1970-01-01 of a timestamp_ntz (no time-zone step)."""
     return (F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 86400
@@ -91,14 +105,14 @@ def must_run_gas(natgas_all_zero: Column) -> Column:
             .otherwise(ng))
 
 
-def prepare(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def prepare(df: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None) -> DataFrame:
     """Add gen_ren, gas_cap, pmax_t, pmin_t (P16), must_run (P15), gen, gas_disp."""
     keys = list(keys)
     # P15 needs "is the gas column all zero for this key": a per-key aggregate
     # joined back (partial aggregation; no per-key window).
     zero = (df.groupBy(*keys).agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(col("natgas_mw"), F.lit(0.0))))
                                    <= F.lit(1e-9)).alias("_ng_zero")))
-    d = df.join(zero, keys, "left")
+    d = _attach(_detach(df, cfg).join(zero, keys, "left"), cfg)
     cap = gas_cap()
     pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
     d = d.withColumns({
@@ -128,7 +142,8 @@ def _flows(soc: str, prev: str, eta: Column, dt: Column) -> tuple[Column, Column
 # ---------------------------------------------------------------------------
 
 def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *, grid_on: bool = False,
-                       keys: Sequence[str] = KEYS, levels: int | None = None) -> DataFrame:
+                       keys: Sequence[str] = KEYS, levels: int | None = None,
+                       cfg: Mapping[str, Any] | None = None) -> DataFrame:
     """Fixed-schedule battery run.
 
     ``df`` has an ``action`` column ('C', 'D', other = idle) or a long
@@ -138,6 +153,7 @@ def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *,
     of by generation, and unmet load is imported up to the POI.
     """
     keys = list(keys)
+    df = _attach(df, cfg)
     if schedule_long is not None:
         from wattline.sources.schedule import align_schedule
         df = align_schedule(df, schedule_long)
@@ -152,9 +168,9 @@ def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *,
             .when(col("schedule_action") == "D",
                   -dt * F.greatest(F.lit(0.0), F.least(p, F.greatest(F.lit(0.0), poi - col("gen")))))
             .otherwise(F.lit(0.0)))
-    d = d.withColumn("_pos", interval_position())
-    d = bounded_balance(d.withColumn("_a", step), keys, "_pos", "_a", 0.0, "_E", out="soc1",
-                        prev_out="soc1_prev", levels=levels).drop("_a")
+    d = d.withColumn("_pos", interval_position()).withColumn("_a", step)
+    d = _attach(bounded_balance(_detach(d, cfg), keys, "_pos", "_a", 0.0, "_E", out="soc1",
+                                prev_out="soc1_prev", levels=levels).drop("_a"), cfg)
     ch, dis = _flows("soc1", "soc1_prev", eta, dt)
     d = d.withColumns({"charge1": ch, "discharge1": dis})
     d = d.withColumns({
@@ -182,7 +198,8 @@ def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *,
 
 def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: bool = False,
                          gas_charges_storage: bool = False, keys: Sequence[str] = KEYS,
-                         levels: int | None = None, gas_follow_ramp: bool = False) -> DataFrame:
+                         levels: int | None = None, gas_follow_ramp: bool = False,
+                         cfg: Mapping[str, Any] | None = None, materialize: bool = True) -> DataFrame:
     """D2 (grid off) / D3 (grid on) with optional second battery (D4) and ramp-limited gas.
 
     Battery 1 takes the surplus (charge) or covers the deficit (discharge)
@@ -193,7 +210,7 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     capacity charge battery 1 when gas / eta + degradation < VOLL.
     """
     keys = list(keys)
-    d = prepare(df, keys)
+    d = prepare(df, keys, cfg)
     dt, poi = col("dt_hours"), col("poi_limit_mw")
     marginal = gas_variable_cost() + col("carbon_price_usd_per_ton") * gas_co2_tons_per_mwh()
     d = d.withColumns({"_E1": battery_energy_mwh(), "_E2": battery2_energy_mwh(),
@@ -206,13 +223,15 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
         x = x + spare
     d = d.withColumn("_x", x)
     d = d.withColumn("_a1", _battery_step(col("_x"), col("battery_power_mw"), col("rte"), dt))
-    d = bounded_balance(d, keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p", levels=levels)
+    d = _attach(bounded_balance(_detach(d, cfg), keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p",
+                                levels=levels), cfg)
     c1, d1 = _flows("soc1", "_s1p", col("rte"), dt)
     d = d.withColumns({"charge1": c1, "discharge1": d1})
     if two_battery:
         d = d.withColumn("_a2", _battery_step(col("_x") - col("charge1") + col("discharge1"),
                                               col("battery2_power_mw"), col("battery2_rte"), dt))
-        d = bounded_balance(d, keys, "_pos", "_a2", 0.0, "_E2", out="soc2", prev_out="_s2p", levels=levels)
+        d = _attach(bounded_balance(_detach(d, cfg), keys, "_pos", "_a2", 0.0, "_E2", out="soc2",
+                                    prev_out="_s2p", levels=levels), cfg)
         c2, d2 = _flows("soc2", "_s2p", col("battery2_rte"), dt)
         d = d.withColumns({"charge2": c2, "discharge2": d2}).drop("_a2", "_s2p")
     else:
@@ -223,7 +242,7 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     gas_ok = col("_gas_ok") & (marginal < col("price")) if grid_on else col("_gas_ok")
     d = d.withColumn("_need", F.when(gas_ok, need).otherwise(F.lit(0.0)))
     if gas_follow_ramp:
-        d = gas_follow(d, keys=keys)
+        d = gas_follow(d, keys=keys, cfg=cfg)
     else:
         d = d.withColumn("_gas_d", F.when(col("_need") > 1e-9,
                                           F.greatest(col("pmin_t"), F.least(col("pmax_t"), col("_need"))))
@@ -249,6 +268,10 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
         "net_to_grid": col("grid_exp") - col("grid_imp"),
     })
     d = d.withColumn("gas_on", F.when(col("gas_gen") > EPS_ON, 1.0).otherwise(0.0))
+    if materialize:
+        # the previous-row lookup reads the table twice: write it once instead of
+        # recomputing the balance scan for each branch
+        d = _attach(materialize_table(_detach(d, cfg)), cfg)
     d = lag_values(d, keys, "_pos", {"_on_prev": "gas_on"})
     prev_on = F.coalesce(col("_on_prev"), F.lit(0.0))
     d = d.withColumns({
@@ -293,7 +316,7 @@ def _ramp_kernel(steps: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(out))
 
 
-def gas_follow(d: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def gas_follow(d: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None) -> DataFrame:
     """Gas output follows the deficit ``_need`` within ramp limits, then lifts to pmin_t when on.
 
     The ramp recursion is not a clamp of the previous value, so it does not
@@ -304,16 +327,17 @@ def gas_follow(d: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """
     keys = list(keys)
     target = F.least(col("pmax_t"), col("_need"))
-    steps = F.struct(col("_pos").alias("p"), target.alias("t"),
-                     (col("gas_ramp_up_mw_per_h") * col("dt_hours")).alias("u"),
-                     (col("gas_ramp_down_mw_per_h") * col("dt_hours")).alias("d"))
+    d = d.withColumns({"_ru": col("gas_ramp_up_mw_per_h") * col("dt_hours"),
+                       "_rd": col("gas_ramp_down_mw_per_h") * col("dt_hours"), "_tg": target})
+    d = _detach(d, cfg)
+    steps = F.struct(col("_pos").alias("p"), col("_tg").alias("t"), col("_ru").alias("u"), col("_rd").alias("d"))
     payload = [c for c in d.columns if c not in keys]
     g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(steps.alias("s"), F.struct(*payload).alias("r"))))
                              .alias("_rows"))
     g = g.withColumn("_g", _ramp_kernel(F.transform("_rows", lambda e: F.struct(
         e["s"]["t"].alias("t"), e["s"]["u"].alias("u"), e["s"]["d"].alias("d")))))
     out = g.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("e"), F.col("_g").alias("g"))))
-    out = out.select(*keys, "e.r.*", F.col("g").alias("_gr"))
+    out = _attach(out.select(*keys, "e.r.*", F.col("g").alias("_gr")).drop("_ru", "_rd", "_tg"), cfg)
     return out.withColumn("_gas_d", F.when(col("_gr") > EPS_ON, F.least(col("pmax_t"),
                                                                        F.greatest(col("pmin_t"), col("_gr"))))
                           .otherwise(F.lit(0.0))).drop("_gr")

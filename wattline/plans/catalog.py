@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.config import with_config
+from wattline.config import full_config, with_config
 from wattline.functions.clean import clean_intervals, date_window, interval_quality
 from wattline.functions.profiles import hour_index, std_normal, synthetic_load
 from wattline.operators.balance import bounded_balance
@@ -214,8 +214,8 @@ D1_COLS = ["site_id", "ts", "schedule_action", "generation", "charge", "discharg
 
 
 def _d1(spark, sf_dir):
-    iv = with_config(intervals(spark, sf_dir), SITE_CFG)
-    return scheduled_dispatch(iv, schedule_long(default_schedule_wide(spark)), keys=["site_id"], levels=0)
+    return scheduled_dispatch(intervals(spark, sf_dir), schedule_long(default_schedule_wide(spark)),
+                              keys=["site_id"], cfg=SITE_CFG)
 
 
 @register("scheduled_dispatch", with_sql(d1_sql(SITE_CFG), """
@@ -381,9 +381,8 @@ DISP_COLS = ["site_id", "ts", "charge", "discharge", "soc", "gas_gen", "serve",
              "grid_exp", "gas_on", "gas_start", "gas_stop", "gas_cost", "generation"]
 
 
-def _sf(spark, sf_dir, **kw):
-    iv = with_config(intervals(spark, sf_dir), SITE_CFG)
-    return serve_first_dispatch(iv, keys=["site_id"], **kw)
+def _sf(spark, sf_dir, cfg=None, **kw):
+    return serve_first_dispatch(intervals(spark, sf_dir), keys=["site_id"], cfg=cfg or SITE_CFG, **kw)
 
 
 def _disp_sql(cols, **kw):
@@ -432,3 +431,215 @@ def _metrics_sql(**kw):
 
 
 REGISTRY["run_metrics"] = (q_run_metrics, _metrics_sql())
+
+
+# ---------------------------------------------------------------------------
+# Phase 4: windows over dispatch tables, scorecard, audit, reasons, charts
+# ---------------------------------------------------------------------------
+from wattline.operators.audit import AUDIT_RULES, GAS_REASONS, MODES, chart_series, dispatch_audit, \
+    gas_commitment, gas_reasons, objective_scorecard  # noqa: E402
+from wattline.operators.metrics import metrics_long  # noqa: E402
+from wattline.plans.dispatch_sql import gas_constants  # noqa: E402
+
+AUDIT_CFG = dict(SITE_CFG, gas_min_up_h=2, gas_min_down_h=3)
+W_SITE = "OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _dec_cum(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(38,10))) {W_SITE} AS DOUBLE)"
+
+
+@register("cumulative_revenue", with_sql(serve_first_sql(SITE_CFG), f"""
+SELECT site_id, ts, (grid_exp - grid_imp) * price AS merchant,
+  {_dec_cum('(grid_exp - grid_imp) * price')} AS cum_merchant, {_dec_cum('gas_cost')} AS cum_gas_cost,
+  {_dec_cum('(grid_exp - grid_imp) * price - gas_cost')} AS cum_net_revenue
+FROM disp"""))
+def q_cumulative_revenue(spark, sf_dir):
+    """Cumulative merchant value, gas cost and net revenue per site (grid-off dispatch)."""
+    cs = chart_series(_sf(spark, sf_dir), keys=["site_id"])
+    return cs.select("site_id", "ts", (F.col("grid_net") * F.col("price")).alias("merchant"),
+                     "cum_merchant", "cum_gas_cost", "cum_net_revenue")
+
+
+def _audit_disp(spark, sf_dir):
+    return serve_first_dispatch(intervals(spark, sf_dir), keys=["site_id"], cfg=AUDIT_CFG)
+
+
+_GS_SQL = f"""
+SELECT site_id, ts, gas_gen, gas_on, gas_start, gas_stop,
+  lag(gas_gen) OVER w AS gas_prev,
+  gas_on - coalesce(lag(gas_on) OVER w, {d(0.0)}) AS on_change,
+  abs(gas_gen - lag(gas_gen) OVER w) AS ramp_step,
+  sum(gas_start) OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS starts_in_min_up,
+  sum(gas_stop) OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS stops_in_min_down
+FROM disp WINDOW w AS (PARTITION BY site_id ORDER BY ts)"""
+GS_COLS = ["site_id", "ts", "gas_gen", "gas_on", "gas_start", "gas_stop", "gas_prev", "on_change", "ramp_step",
+           "starts_in_min_up", "stops_in_min_down"]
+
+
+@register("gas_starts", with_sql(serve_first_sql(AUDIT_CFG), _GS_SQL))
+def q_gas_starts(spark, sf_dir):
+    """Gas on/start/stop, ramp step and starts/stops inside min-up 2 h / min-down 3 h windows."""
+    return gas_commitment(_audit_disp(spark, sf_dir), keys=["site_id"]).select(*GS_COLS)
+
+
+def _scorecard_sql(cfg: dict, lam: float = 0.9) -> str:
+    k = gas_constants(cfg)
+    c = k["c"]
+    dt = d(c["dt_hours"])
+
+    def ds(x):
+        return f"sum(CAST({x} AS DECIMAL(38,10)))"
+    g = f"""sc AS (SELECT site_id, {ds(f'price * (grid_exp - grid_imp) * {dt}')} AS grid,
+  {ds(f"{d(c['value_per_mwh'])} * serve * {dt}")} AS res, {ds(f'price * clipped * {dt}')} AS clip,
+  {ds(f'gas_gen * {dt}')} AS gas, sum(gas_start) AS starts, sum(gas_on) AS onn,
+  {ds(f'(discharge1 + discharge2) * {dt}')} AS dis, {ds(f'unserved * {dt}')} AS uns, {ds(f'serve * {dt}')} AS served,
+  max(price) AS pmax FROM disp GROUP BY site_id)"""
+    x = lambda n: f"CAST({n} AS DOUBLE)"
+    gas_cost = f"({d(k['var'])} * {x('gas')} + {d(c['gas_startup_cost_usd'])} * starts)"
+    L, one_m = d(lam), f"({d(1.0)} - {d(lam)})"
+    vals = {
+        "blend": f"{L} * {x('res')} + {one_m} * {x('grid')} - {gas_cost}",
+        "resilience": f"{d(1e6)} * {x('res')} + {x('clip')} - {gas_cost}",
+        "revenue": f"{x('grid')} - {gas_cost}",
+        "resilience_first_blend": f"{L} * (pmax * {x('served')}) + {one_m} * {x('grid')} - {gas_cost}",
+        "grid_on_max_revenue": f"{x('grid')} - {gas_cost}",
+        "cost_min_gridoff": (f"{d(c['voll_usd_per_mwh'])} * {x('uns')} + {d(k['var'])} * {x('gas')} "
+                             f"+ {d(k['noload'])} * onn * {dt} + {d(c['gas_startup_cost_usd'])} * starts "
+                             f"+ {d(c['bess_deg_cost_usd_per_mwh'])} * {x('dis')} "
+                             f"+ {d(c['carbon_price_usd_per_ton'])} * {d(k['co2r'])} * {x('gas')} - {x('grid')}"),
+    }
+    sel = ", ".join(f"{dr(v, 2)} AS {n}" for n, v in vals.items())
+    return g + f""",
+wide AS (SELECT site_id, {sel} FROM sc)""", f"""
+SELECT site_id, mode, value FROM (UNPIVOT wide ON {', '.join(MODES)} INTO NAME mode VALUE value)"""
+
+
+_sc_body, _sc_sel = _scorecard_sql(SITE_CFG)
+
+
+@register("objective_scorecard", with_sql(serve_first_sql(SITE_CFG) + ",\n" + _sc_body, _sc_sel))
+def q_objective_scorecard(spark, sf_dir):
+    """Value of each of the six dispatch objectives for the grid-off dispatch, per site."""
+    return objective_scorecard(_sf(spark, sf_dir), keys=["site_id"])
+
+
+def _audit_sql(cfg: dict) -> tuple[str, str]:
+    c = full_config(cfg)
+    dt, eps = d(c["dt_hours"]), "1e-6"
+    e1, e2 = c["battery_power_mw"] * c["battery_duration_h"], c["battery2_power_mw"] * c["battery2_duration_h"]
+    disp = "true" if (c["gas_enabled"] and c["gas_dispatchable"]) else "false"
+    nup = math.ceil(c["gas_min_up_h"] / c["dt_hours"]) if c["gas_min_up_h"] > 0 else 0
+    ndn = math.ceil(c["gas_min_down_h"] / c["dt_hours"]) if c["gas_min_down_h"] > 0 else 0
+    su = f"sum(gas_start) OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN {nup - 1} PRECEDING AND CURRENT ROW)" \
+        if nup > 0 else d(0.0)
+    sd = f"sum(gas_stop) OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN {ndn - 1} PRECEDING AND CURRENT ROW)" \
+        if ndn > 0 else d(0.0)
+    body = f"""au AS (SELECT *, coalesce(lag(soc1) OVER w, {d(0.0)}) AS s1p, coalesce(lag(soc2) OVER w, {d(0.0)}) AS s2p,
+   lag(gas_gen) OVER w AS gas_prev, {su} AS su, {sd} AS sd FROM disp WINDOW w AS (PARTITION BY site_id ORDER BY ts)),
+ag AS (SELECT site_id,
+  count_if(abs(generation + discharge1 + discharge2 + grid_imp - serve - charge1 - charge2 - grid_exp - clipped) > {eps}) AS power_balance,
+  count_if(abs(grid_exp - grid_imp) > {d(0.0)} + {eps}) AS poi_limit,
+  count_if((abs(soc1 - s1p - (charge1 * {d(c['rte'])} - discharge1) * {dt}) > {eps})
+        OR (abs(soc2 - s2p - (charge2 * {d(c['battery2_rte'])} - discharge2) * {dt}) > {eps})) AS soc_step,
+  count_if((soc1 < -{eps}) OR (soc1 > {d(e1)} + {eps}) OR (soc2 < -{eps}) OR (soc2 > {d(e2)} + {eps})) AS soc_bounds,
+  count_if((discharge1 * {dt} > s1p + {eps}) OR (discharge2 * {dt} > s2p + {eps})) AS discharge_le_soc,
+  count_if(abs(serve + unserved - load) > {eps}) AS served_plus_unserved,
+  count_if({disp} AND ((gas_gen > pmax_t * gas_on + {eps}) OR (gas_gen < pmin_t * gas_on - {eps}))) AS gas_bounds,
+  count_if(gas_prev IS NOT NULL AND (gas_gen - gas_prev > {d(c['gas_ramp_up_mw_per_h'])} * {dt} + {eps})) AS ramp_up,
+  count_if(gas_prev IS NOT NULL AND (gas_prev - gas_gen > {d(c['gas_ramp_down_mw_per_h'])} * {dt} + {eps})) AS ramp_down,
+  count_if({disp} AND {c['gas_min_up_h']} > 0 AND (su > gas_on + {eps})) AS min_up,
+  count_if({disp} AND {c['gas_min_down_h']} > 0 AND (sd > {d(1.0)} - gas_on + {eps})) AS min_down,
+  0 AS min_served_floor
+  FROM au GROUP BY site_id),
+agl AS (SELECT site_id, {', '.join(f'CAST({r} AS BIGINT) AS {r}' for r in AUDIT_RULES)} FROM ag)"""
+    sel = f"SELECT site_id, rule, violations FROM (UNPIVOT agl ON {', '.join(AUDIT_RULES)} INTO NAME rule VALUE violations)"
+    return body, sel
+
+
+_au_body, _au_sel = _audit_sql(AUDIT_CFG)
+
+
+@register("dispatch_audit", with_sql(serve_first_sql(AUDIT_CFG) + ",\n" + _au_body, _au_sel))
+def q_dispatch_audit(spark, sf_dir):
+    """Per site and rule, rows of the grid-off dispatch breaking it (min up 2 h, min down 3 h)."""
+    return dispatch_audit(_audit_disp(spark, sf_dir), keys=["site_id"])
+
+
+REASON_CFG = dict(SITE_CFG, gas_pmax_mw=0.0, gas_use_profile_as_cap=True)
+
+
+def _reason_sql(cfg: dict) -> tuple[str, str]:
+    c = full_config(cfg)
+    dt = d(c["dt_hours"])
+    r = GAS_REASONS
+    en, disp, use = c["gas_enabled"], c["gas_dispatchable"], c["gas_use_profile_as_cap"]
+    conds = [(f"{d(c['gas_pmax_mw'])} <= 0", r["no_capacity"]), ("false" if disp else "true", r["not_dispatchable"]),
+             (f"{'true' if use else 'false'} AND colsum <= 1e-9", r["zero_profile_cap"]),
+             ("ld > 0 AND sv >= ld - 1e-6", r["load_met"])]
+    listed = "concat_ws(' | ', " + ", ".join(f"CASE WHEN {a} THEN '{m}' END" for a, m in conds) + ")"
+    en_s = "true" if en else "false"
+    body = f"""rs AS (SELECT site_id, CAST(round(sum(CAST(gas_gen * {dt} AS DECIMAL(38,10))), 2) AS DOUBLE) AS ng,
+   CAST(round(sum(CAST(serve * {dt} AS DECIMAL(38,10))), 2) AS DOUBLE) AS sv,
+   CAST(round(sum(CAST(load * {dt} AS DECIMAL(38,10))), 2) AS DOUBLE) AS ld,
+   sum(greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)}))) AS colsum FROM disp GROUP BY site_id)"""
+    sel = f"""SELECT site_id, ng > 1e-6 AS gas_ran,
+  CASE WHEN ng > 1e-6 THEN '' WHEN NOT {en_s} THEN '{r['disabled']}'
+       WHEN {listed} = '' THEN '{r['uneconomic']}' ELSE {listed} END AS reasons,
+  (ng <= 1e-6) AND (greatest(ld - sv, {d(0.0)}) > 1e-6)
+    AND (NOT {en_s} OR ({d(c['gas_pmax_mw'])} <= 0) OR ({en_s} AND NOT {'true' if disp else 'false'} AND colsum <= 1e-9))
+    AS no_firming_warning
+FROM rs"""
+    return body, sel
+
+
+_rs_body, _rs_sel = _reason_sql(REASON_CFG)
+
+
+@register("gas_reasons", with_sql(serve_first_sql(REASON_CFG) + ",\n" + _rs_body, _rs_sel))
+def q_gas_reasons(spark, sf_dir):
+    """Why gas produced nothing, per site, with gas capped by the (sparse) gas column."""
+    iv = intervals(spark, sf_dir)
+    disp = serve_first_dispatch(iv, keys=["site_id"], cfg=REASON_CFG)
+    m = run_metrics(disp, keys=["site_id"]).select("site_id", "total_natgas_mwh", "total_served_mwh",
+                                                   "total_load_mwh")
+    sums = iv.groupBy("site_id").agg(F.sum(F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0))))
+                                     .alias("gas_column_sum"))
+    return gas_reasons(with_config(m, REASON_CFG), sums, keys=["site_id"])
+
+
+CHART_COLS = ["site_id", "ts", "solar_mw", "wind_mw", "natgas_mw", "battery1_net", "battery2_net", "grid_net", "load",
+              "poi_line", "soc1", "soc2", "clipped", "cum_merchant", "cum_gas_cost", "cum_net_revenue"]
+
+
+@register("chart_series", with_sql(serve_first_sql(dict(SITE_CFG)), f"""
+SELECT site_id, ts, solar_mw, wind_mw, gas_gen AS natgas_mw, discharge1 - charge1 AS battery1_net,
+  discharge2 - charge2 AS battery2_net, grid_exp - grid_imp AS grid_net, load, {d(SITE_CFG['poi_limit_mw'])} AS poi_line,
+  soc1, soc2, clipped, {_dec_cum('(grid_exp - grid_imp) * price')} AS cum_merchant, {_dec_cum('gas_cost')} AS cum_gas_cost,
+  {_dec_cum('(grid_exp - grid_imp) * price - gas_cost')} AS cum_net_revenue
+FROM disp"""))
+def q_chart_series(spark, sf_dir):
+    """Chart data (sources, battery nets, grid, POI line, SOC, cumulative money) per site."""
+    return chart_series(_sf(spark, sf_dir), keys=["site_id"]).select(*CHART_COLS)
+
+
+def _metrics_long_sql():
+    body = serve_first_sql(SITE_CFG)
+    m = run_metrics_sql(SITE_CFG)
+    g, sel = m.split("\nSELECT", 1)
+    num = ["firmness_pct", "total_gen_over_load_pct", "renewable_gen_over_load_pct", "merchant_revenue_usd",
+           "total_charge_mwh", "total_clip_mwh", "total_gen_mwh", "total_load_mwh", "total_served_mwh",
+           "unserved_energy_mwh", "grid_imp_mwh", "grid_exp_mwh", "cycles_battery1", "cycles_battery2",
+           "total_wind_mwh", "total_solar_mwh", "total_natgas_mwh", "natgas_start_count",
+           "natgas_capacity_factor_pct", "natgas_total_cost_usd", "co2_tons", "total_operating_cost_usd",
+           "cost_unserved_usd", "cost_gas_var_usd", "cost_gas_no_load_usd", "cost_gas_startup_usd",
+           "cost_bess_deg_usd", "cost_carbon_usd", "horizon_hours", "dt_hours", "clipped_revenue_usd"]
+    casted = ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in num)
+    return with_sql(body + g + ",\nmet AS (SELECT" + sel + f"),\nmc AS (SELECT site_id, {casted} FROM met)",
+                    f"SELECT site_id, metric, value FROM (UNPIVOT mc ON {', '.join(num)} INTO NAME metric VALUE value)")
+
+
+@register("metrics_long", _metrics_long_sql())
+def q_metrics_long(spark, sf_dir):
+    """Run metrics of the grid-off dispatch as (site, metric, value) rows."""
+    return metrics_long(run_metrics(_sf(spark, sf_dir), keys=["site_id"]), keys=["site_id"])
