@@ -86,10 +86,15 @@ def config_columns(cfg: Mapping[str, Any]) -> list[Column]:
     return [F.lit(full[n]).cast(FIELD_TYPES[n]).alias(n) for n, _, _ in CONFIG_FIELDS]
 
 
-def with_config(df: DataFrame, cfg: Mapping[str, Any]) -> DataFrame:
-    """Attach one configuration as literal columns (no join, no shuffle)."""
-    full = full_config(cfg)
-    return df.withColumns({n: F.lit(full[n]).cast(FIELD_TYPES[n]) for n, _, _ in CONFIG_FIELDS})
+def with_config(df: DataFrame, cfg: Mapping[str, Any], skip_existing: bool = False) -> DataFrame:
+    """Attach one configuration as literal columns (no join, no shuffle).
+
+    With ``skip_existing`` columns already present keep their values (used
+    when some parameters vary per row, e.g. candidate sizes in a sweep).
+    """
+    full = full_config({k: v for k, v in cfg.items() if not k.startswith("_")})
+    have = set(df.columns) if skip_existing else set()
+    return df.withColumns({n: F.lit(full[n]).cast(FIELD_TYPES[n]) for n, _, _ in CONFIG_FIELDS if n not in have})
 
 
 def config_table(spark: SparkSession, rows: list[Mapping[str, Any]],

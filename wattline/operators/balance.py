@@ -182,8 +182,12 @@ def position_of(ts: Column | str, step_seconds: int = 3600) -> Column:
 
 def levels_for(df: DataFrame, position: Column, span: int = 32, fan_in: int = 64,
                top_limit: int = 2048) -> int:
-    """Chunk depth for a table (one scalar job over its position column)."""
-    r = df.agg(F.min(position).alias("mn"), F.max(position).alias("mx")).first()
+    """Chunk depth for a table (one scalar job over its position column).
+
+    Only the position column is read (Catalyst prunes the rest), and partial
+    min/max aggregation sends one row per task to the driver.
+    """
+    r = df.select(position.alias("_lp")).agg(F.min("_lp").alias("mn"), F.max("_lp").alias("mx")).first()
     rng = 0 if r is None or r["mn"] is None else int(r["mx"] - r["mn"])
     return levels_needed(rng, span, fan_in, top_limit)
 

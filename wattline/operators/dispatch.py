@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from wattline.config import CONFIG_FIELDS, battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, \
     gas_no_load_cost, gas_variable_cost, with_config
-from wattline.operators.balance import bounded_balance
+from wattline.operators.balance import bounded_balance, levels_for
 from wattline.operators.series import lag_values
 from wattline.session import materialize_table
 
@@ -50,13 +50,20 @@ def col(n: str) -> Column:
 
 
 def _attach(df: DataFrame, cfg: Mapping[str, Any] | None) -> DataFrame:
-    """Literal parameter columns for a single configuration (folded by Catalyst)."""
-    return with_config(df, cfg) if cfg is not None else df
+    """Literal parameter columns for a single configuration (folded by Catalyst).
+
+    Parameters already present as columns (e.g. per-candidate sizes of a
+    sweep) are kept; only the missing ones are added as literals.
+    """
+    return with_config(df, cfg, skip_existing=True) if cfg is not None else df
 
 
 def _detach(df: DataFrame, cfg: Mapping[str, Any] | None) -> DataFrame:
-    """Drop literal parameter columns before a shuffle so they never travel with the rows."""
-    return df.drop(*[c for c in CONFIG_NAMES if c in df.columns]) if cfg is not None else df
+    """Drop the literal parameter columns before a shuffle so they never travel with the rows."""
+    if cfg is None:
+        return df
+    lit_names = [n for n in CONFIG_NAMES if n not in (cfg.get("_varying") or ())]
+    return df.drop(*[c for c in lit_names if c in df.columns])
 
 
 def seconds_of(ts: Column) -> Column:
@@ -110,9 +117,12 @@ def prepare(df: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] |
     keys = list(keys)
     # P15 needs "is the gas column all zero for this key": a per-key aggregate
     # joined back (partial aggregation; no per-key window).
-    zero = (df.groupBy(*keys).agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(col("natgas_mw"), F.lit(0.0))))
-                                   <= F.lit(1e-9)).alias("_ng_zero")))
-    d = _attach(_detach(df, cfg).join(zero, keys, "left"), cfg)
+    if "_ng_zero" in df.columns:       # computed upstream (e.g. per site, before a fan-out)
+        d = _attach(df, cfg)
+    else:
+        zero = (df.groupBy(*keys).agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(col("natgas_mw"), F.lit(0.0))))
+                                       <= F.lit(1e-9)).alias("_ng_zero")))
+        d = _attach(_detach(df, cfg).join(zero, keys, "left"), cfg)
     cap = gas_cap()
     pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
     d = d.withColumns({
@@ -128,6 +138,24 @@ def prepare(df: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] |
     return d.drop("_ng_zero")
 
 
+def previous_values(d: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, str], *, short: bool,
+                    cfg: Mapping[str, Any] | None = None, materialize: bool = True) -> DataFrame:
+    """Previous-row values inside each key.
+
+    ``short`` keys (the balance folded each key as one group) are still
+    hash-partitioned by key, so a per-key window only adds a local sort.
+    Long keys use the chunked lag; the table is written once first because
+    that lag reads it twice.
+    """
+    from pyspark.sql import Window
+    if short:
+        w = Window.partitionBy(*keys).orderBy(pos)
+        return d.withColumns({o: F.lag(s).over(w) for o, s in cols.items()})
+    if materialize:
+        d = _attach(materialize_table(_detach(d, cfg)), cfg)
+    return lag_values(d, keys, pos, cols)
+
+
 def _battery_step(x: Column, p: Column, eta: Column, dt: Column) -> Column:
     return F.when(x >= 0, eta * dt * F.least(p, x)).otherwise(-dt * F.least(p, -x))
 
@@ -216,6 +244,8 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     d = d.withColumns({"_E1": battery_energy_mwh(), "_E2": battery2_energy_mwh(),
                        "_gas_ok": col("gas_disp") & (marginal < col("voll_usd_per_mwh")),
                        "_pos": interval_position()})
+    if levels is None:
+        levels = levels_for(d, col("_pos"))
     x = col("gen") - col("load_mw")
     if gas_charges_storage and not grid_on:
         spare = F.when(col("_gas_ok") & ((marginal / col("rte") + col("bess_deg_cost_usd_per_mwh"))
@@ -268,11 +298,8 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
         "net_to_grid": col("grid_exp") - col("grid_imp"),
     })
     d = d.withColumn("gas_on", F.when(col("gas_gen") > EPS_ON, 1.0).otherwise(0.0))
-    if materialize:
-        # the previous-row lookup reads the table twice: write it once instead of
-        # recomputing the balance scan for each branch
-        d = _attach(materialize_table(_detach(d, cfg)), cfg)
-    d = lag_values(d, keys, "_pos", {"_on_prev": "gas_on"})
+    d = previous_values(d, keys, "_pos", {"_on_prev": "gas_on"}, short=(levels == 0), cfg=cfg,
+                        materialize=materialize)
     prev_on = F.coalesce(col("_on_prev"), F.lit(0.0))
     d = d.withColumns({
         "gas_start": F.when((col("gas_on") > 0) & (prev_on <= 0), 1.0).otherwise(0.0),

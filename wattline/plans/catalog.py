@@ -226,17 +226,15 @@ def q_scheduled_dispatch(spark, sf_dir):
     return _d1(spark, sf_dir).select(*D1_COLS)
 
 
-def dr(x: str, n: int) -> str:
-    """Half-up rounding via the decimal form (matches ``metrics.dround``)."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {n}) AS DOUBLE)"
+from wattline.plans.sqlfrag import asdbl, dr, iround, isum  # noqa: E402
 
 
 def dsum_sql(x: str) -> str:
-    return f"sum(CAST({x} AS DECIMAL(38,10)))"
+    return isum(x)
 
 
 def r2(x: str, n: int = 2) -> str:
-    return f"CAST(round({x}, {n}) AS DOUBLE)"
+    return iround(x, n)
 
 
 @register("scheduled_metrics", with_sql(d1_sql(SITE_CFG) + f""",
@@ -247,9 +245,9 @@ g AS (SELECT site_id, {dsum_sql('charge1 * ' + d(1.0))} AS c, {dsum_sql('dischar
      {dsum_sql('natgas_mw * ' + d(1.0))} AS ng, {dsum_sql('gen * ' + d(1.0))} AS gn
    FROM disp GROUP BY site_id)""", f"""
 SELECT site_id, {r2('c')} AS total_charge_mwh, {r2('dis')} AS total_discharge_mwh,
-  {dr(f"CASE WHEN {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])} > 0 THEN CAST(dis AS DOUBLE) / {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])} ELSE {d(0.0)} END", 2)} AS cycles_battery1,
-  {dr(f"CASE WHEN gn > 0 THEN 100 * CAST(c AS DOUBLE) / CAST(gn AS DOUBLE) ELSE {d(0.0)} END", 2)} AS shift_pct,
-  {dr(f"CAST(c AS DOUBLE) * (1 - {d(SITE_CFG['rte'])})", 2)} AS total_wastage_mwh,
+  {dr(f"CASE WHEN {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])} > 0 THEN {asdbl('dis')} / {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])} ELSE {d(0.0)} END", 2)} AS cycles_battery1,
+  {dr(f"CASE WHEN {asdbl('gn')} > 0 THEN 100 * {asdbl('c')} / {asdbl('gn')} ELSE {d(0.0)} END", 2)} AS shift_pct,
+  {dr(f"{asdbl('c')} * (1 - {d(SITE_CFG['rte'])})", 2)} AS total_wastage_mwh,
   {r2('ld')} AS total_load_mwh, {r2('sv')} AS total_served_mwh, {r2('imp')} AS grid_imp_mwh,
   {r2('exp')} AS grid_exp_mwh, {r2('rev')} AS merchant_revenue_usd, {d(0.0)} AS natgas_total_cost_usd,
   {r2('ng')} AS total_natgas_mwh
@@ -262,7 +260,7 @@ def q_scheduled_metrics(spark, sf_dir):
 @register("monthly_cycles", with_sql(d1_sql(SITE_CFG) + f""",
 g AS (SELECT site_id, strftime(ts, '%Y-%m') AS month, {dsum_sql('discharge1 * ' + d(1.0))} AS dis
       FROM disp GROUP BY site_id, strftime(ts, '%Y-%m'))""", f"""
-SELECT site_id, month, {dr(f"CAST(dis AS DOUBLE) / {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])}", 2)} AS cycles FROM g"""))
+SELECT site_id, month, {dr(f"{asdbl('dis')} / {d(SITE_CFG['battery_power_mw'] * SITE_CFG['battery_duration_h'])}", 2)} AS cycles FROM g"""))
 def q_monthly_cycles(spark, sf_dir):
     """Discharge cycles per site and calendar month (long form)."""
     return monthly_cycles(_d1(spark, sf_dir), keys=["site_id"])
@@ -446,7 +444,7 @@ W_SITE = "OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDIN
 
 
 def _dec_cum(x: str) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(38,10))) {W_SITE} AS DOUBLE)"
+    return asdbl(f"sum(CAST(round(({x}) * {d(1e6)}) AS BIGINT)) {W_SITE}")
 
 
 @register("cumulative_revenue", with_sql(serve_first_sql(SITE_CFG), f"""
@@ -480,7 +478,7 @@ GS_COLS = ["site_id", "ts", "gas_gen", "gas_on", "gas_start", "gas_stop", "gas_p
 @register("gas_starts", with_sql(serve_first_sql(AUDIT_CFG), _GS_SQL))
 def q_gas_starts(spark, sf_dir):
     """Gas on/start/stop, ramp step and starts/stops inside min-up 2 h / min-down 3 h windows."""
-    return gas_commitment(_audit_disp(spark, sf_dir), keys=["site_id"]).select(*GS_COLS)
+    return gas_commitment(_audit_disp(spark, sf_dir), keys=["site_id"], n_up=2, n_down=3).select(*GS_COLS)
 
 
 def _scorecard_sql(cfg: dict, lam: float = 0.9) -> str:
@@ -489,13 +487,13 @@ def _scorecard_sql(cfg: dict, lam: float = 0.9) -> str:
     dt = d(c["dt_hours"])
 
     def ds(x):
-        return f"sum(CAST({x} AS DECIMAL(38,10)))"
+        return isum(x)
     g = f"""sc AS (SELECT site_id, {ds(f'price * (grid_exp - grid_imp) * {dt}')} AS grid,
   {ds(f"{d(c['value_per_mwh'])} * serve * {dt}")} AS res, {ds(f'price * clipped * {dt}')} AS clip,
   {ds(f'gas_gen * {dt}')} AS gas, sum(gas_start) AS starts, sum(gas_on) AS onn,
   {ds(f'(discharge1 + discharge2) * {dt}')} AS dis, {ds(f'unserved * {dt}')} AS uns, {ds(f'serve * {dt}')} AS served,
   max(price) AS pmax FROM disp GROUP BY site_id)"""
-    x = lambda n: f"CAST({n} AS DOUBLE)"
+    x = lambda n: asdbl(n)
     gas_cost = f"({d(k['var'])} * {x('gas')} + {d(c['gas_startup_cost_usd'])} * starts)"
     L, one_m = d(lam), f"({d(1.0)} - {d(lam)})"
     vals = {
@@ -563,7 +561,7 @@ _au_body, _au_sel = _audit_sql(AUDIT_CFG)
 @register("dispatch_audit", with_sql(serve_first_sql(AUDIT_CFG) + ",\n" + _au_body, _au_sel))
 def q_dispatch_audit(spark, sf_dir):
     """Per site and rule, rows of the grid-off dispatch breaking it (min up 2 h, min down 3 h)."""
-    return dispatch_audit(_audit_disp(spark, sf_dir), keys=["site_id"])
+    return dispatch_audit(_audit_disp(spark, sf_dir), keys=["site_id"], n_up=2, n_down=3)
 
 
 REASON_CFG = dict(SITE_CFG, gas_pmax_mw=0.0, gas_use_profile_as_cap=True)
@@ -579,9 +577,9 @@ def _reason_sql(cfg: dict) -> tuple[str, str]:
              ("ld > 0 AND sv >= ld - 1e-6", r["load_met"])]
     listed = "concat_ws(' | ', " + ", ".join(f"CASE WHEN {a} THEN '{m}' END" for a, m in conds) + ")"
     en_s = "true" if en else "false"
-    body = f"""rs AS (SELECT site_id, CAST(round(sum(CAST(gas_gen * {dt} AS DECIMAL(38,10))), 2) AS DOUBLE) AS ng,
-   CAST(round(sum(CAST(serve * {dt} AS DECIMAL(38,10))), 2) AS DOUBLE) AS sv,
-   CAST(round(sum(CAST(load * {dt} AS DECIMAL(38,10))), 2) AS DOUBLE) AS ld,
+    body = f"""rs AS (SELECT site_id, {iround(isum(f'gas_gen * {dt}'), 2)} AS ng,
+   {iround(isum(f'serve * {dt}'), 2)} AS sv,
+   {iround(isum(f'load * {dt}'), 2)} AS ld,
    sum(greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)}))) AS colsum FROM disp GROUP BY site_id)"""
     sel = f"""SELECT site_id, ng > 1e-6 AS gas_ran,
   CASE WHEN ng > 1e-6 THEN '' WHEN NOT {en_s} THEN '{r['disabled']}'
@@ -643,3 +641,167 @@ def _metrics_long_sql():
 def q_metrics_long(spark, sf_dir):
     """Run metrics of the grid-off dispatch as (site, metric, value) rows."""
     return metrics_long(run_metrics(_sf(spark, sf_dir), keys=["site_id"]), keys=["site_id"])
+
+
+# ---------------------------------------------------------------------------
+# Phases 5-6: candidate grid, configuration, economics, sweep, ranking
+# ---------------------------------------------------------------------------
+from wattline.config import derived_config, config_problems  # noqa: E402
+from wattline.functions.econ import annualized_cost, econ_table, econ_wide  # noqa: E402
+from wattline.plans import sweep as SW  # noqa: E402
+from wattline.plans import sweep_sql as SQ  # noqa: E402
+
+SWEEP_BASE = dict(base_load_mw=50.0, load_type="16-7", load_std=15.0, battery_power_mw=20.0,
+                  battery_duration_h=4.0, rte=0.86, poi_limit_mw=50.0, voll_usd_per_mwh=2000.0,
+                  bess_deg_cost_usd_per_mwh=3.0, dt_hours=1.0)
+SWEEP_RANGES = {"solar": dict(mode="multipliers", values=[0.5, 1.0, 1.5], reference_mw=None),
+                "wind": dict(mode="pinned", values=[0.0], reference_mw=None),
+                "bess_power": dict(mode="absolute", values=[10.0, 20.0, 40.0], reference_mw=None),
+                "bess_duration": dict(mode="absolute", values=[2.0, 4.0], reference_mw=None),
+                "gas": dict(mode="absolute", values=[0.0, 10.0, 25.0], reference_mw=None)}
+TARGET_PCT = 60.0
+
+
+def _grid(spark, sf_dir):
+    return SW.candidate_grid(SW.reference_mw(intervals(spark, sf_dir)), SWEEP_RANGES)
+
+
+def _grid_sql_select(cols: str) -> str:
+    return with_sql(SQ.candidates_sql(SWEEP_RANGES), cols)
+
+
+@register("candidate_grid", _grid_sql_select(
+    "SELECT c.site_id, c.candidate_id, c.solar_mw, c.wind_mw, c.bess_power_mw, c.bess_duration_h, c.gas_mw, "
+    "CAST(g.gs AS INTEGER) AS grid_size FROM cand c JOIN (SELECT site_id, "
+    "greatest(len(v_solar_mw), 1) * greatest(len(v_wind_mw), 1) * greatest(len(v_bess_power_mw), 1) * "
+    "greatest(len(v_bess_duration_h), 1) * greatest(len(v_gas_mw), 1) AS gs FROM g0) g ON g.site_id = c.site_id"))
+def q_candidate_grid(spark, sf_dir):
+    """J1 + F12: per site, the product of the five resolved ranges (solar as multipliers of the site's reference)."""
+    return _grid(spark, sf_dir)
+
+
+DERIVED_BASE = dict(SWEEP_BASE, gas_cost_mode="advanced", gas_vom_usd_per_mwh=2.0, gas_no_load_cost_usd_per_h=10.0)
+
+
+def _cand_cfg(spark, sf_dir, base):
+    cands, cfg = SW.candidate_config(_grid(spark, sf_dir), base)
+    return with_config(cands, cfg, skip_existing=True)
+
+
+@register("config_derived", _grid_sql_select(f"""
+SELECT site_id, candidate_id, bess_power_mw * bess_duration_h AS battery_energy_mwh,
+  {d(0.0)} * {d(0.0)} AS battery2_energy_mwh,
+  CASE WHEN NOT (gas_mw > 0) THEN {d(0.0)} ELSE {d(7.5)} * {d(3.5)} + {d(2.0)} END AS gas_variable_cost_usd_per_mwh,
+  CASE WHEN gas_mw > 0 THEN {d(10.0)} ELSE {d(0.0)} END AS effective_no_load_cost_usd_per_h,
+  CASE WHEN NOT (gas_mw > 0) THEN {d(0.0)} ELSE {d(0.10)} * ({d(7.5)} * {d(3.5)}) END AS suggested_no_load_cost_usd_per_h,
+  CASE WHEN gas_mw > 0 THEN {d(7.5)} * {d(0.05306)} ELSE {d(0.0)} END AS gas_co2_tons_per_mwh
+FROM cand"""))
+def q_config_derived(spark, sf_dir):
+    """P22 + F15: derived values of every candidate configuration (advanced gas cost mode)."""
+    return derived_config(_cand_cfg(spark, sf_dir, DERIVED_BASE)).select(
+        "site_id", "candidate_id", "battery_energy_mwh", "battery2_energy_mwh", "gas_variable_cost_usd_per_mwh",
+        "effective_no_load_cost_usd_per_h", "suggested_no_load_cost_usd_per_h", "gas_co2_tons_per_mwh")
+
+
+@register("config_invalid", _grid_sql_select(f"""
+SELECT site_id, candidate_id, '' AS problems, true AS is_valid FROM cand"""))
+def q_config_invalid(spark, sf_dir):
+    """Validity rules per candidate configuration (problems joined by '; ')."""
+    p = config_problems(_cand_cfg(spark, sf_dir, SWEEP_BASE))
+    return p.select("site_id", "candidate_id", F.array_join("problems", "; ").alias("problems"),
+                    (F.size("problems") == 0).alias("is_valid"))
+
+
+ANN_COLS = ["annualized_solar_usd", "annualized_wind_usd", "annualized_bess_power_usd", "annualized_bess_energy_usd",
+            "annualized_gas_usd", "fixed_om_solar_usd_yr", "fixed_om_wind_usd_yr", "fixed_om_bess_usd_yr",
+            "fixed_om_gas_usd_yr", "annualized_total_usd_yr", "fixed_om_total_usd_yr"]
+
+
+def _ann_sql() -> str:
+    full = SQ.sweep_sql(SWEEP_BASE, SWEEP_RANGES)
+    return with_sql(full, f"SELECT site_id, candidate_id, {', '.join(ANN_COLS)} FROM e2 JOIN (SELECT site_id AS s_, "
+                    f"candidate_id AS c_, fixed_om_solar_usd_yr + fixed_om_wind_usd_yr + fixed_om_bess_usd_yr + "
+                    f"fixed_om_gas_usd_yr AS fixed_om_total_usd_yr FROM e2) t ON t.s_ = e2.site_id AND t.c_ = e2.candidate_id")
+
+
+@register("annualized_cost", _ann_sql())
+def q_annualized_cost(spark, sf_dir):
+    """F1 + F2: annualised capex and fixed O&M per candidate (default economics)."""
+    g = _grid(spark, sf_dir).withColumns({"bess_energy_mwh": F.col("bess_power_mw") * F.col("bess_duration_h"),
+                                          "scenario_id": F.lit(0).cast("long")})
+    ew = econ_wide(econ_table(spark, {0: None}))
+    return annualized_cost(g.join(F.broadcast(ew), "scenario_id")).select("site_id", "candidate_id", *ANN_COLS)
+
+
+def _sweep(spark, sf_dir, keep_dispatch=False):
+    return SW.capacity_sweep(spark, intervals(spark, sf_dir), SWEEP_BASE, SWEEP_RANGES, None,
+                             keep_dispatch=keep_dispatch)
+
+
+_SWEEP_SQL = SQ.sweep_sql(SWEEP_BASE, SWEEP_RANGES)
+
+
+@register("capacity_sweep", with_sql(_SWEEP_SQL, "SELECT * FROM sweep"))
+def q_capacity_sweep(spark, sf_dir):
+    """Every (site, candidate) dispatched for the whole horizon, with metrics and economics."""
+    return _sweep(spark, sf_dir)
+
+
+_RANK_SQL = _SWEEP_SQL + ",\n" + SQ.ranked_sql(TARGET_PCT)
+
+
+@register("ranked", with_sql(_RANK_SQL, "SELECT * FROM ranked"))
+def q_ranked(spark, sf_dir):
+    """P25 + W7 + T1: reliability and Pareto flags and rank per site (target 60 %)."""
+    return SW.score_and_rank(_sweep(spark, sf_dir), TARGET_PCT)
+
+
+@register("pareto", with_sql(_RANK_SQL, """
+SELECT site_id, candidate_id, firmness_pct, total_annual_cost_usd FROM ranked WHERE is_pareto"""))
+def q_pareto(spark, sf_dir):
+    """The firmness / cost frontier per site."""
+    r = SW.score_and_rank(_sweep(spark, sf_dir), TARGET_PCT)
+    return SW.pareto_frontier(r).select("site_id", "candidate_id", "firmness_pct", "total_annual_cost_usd")
+
+
+REC_COLS = ["site_id", "candidate_id", "found", "meets_reliability", "message", "solar_mw", "wind_mw", "bess_power_mw",
+            "bess_duration_h", "gas_mw", "firmness_pct", "total_annual_cost_usd", "lcoe_usd_per_mwh", "co2_tons"]
+
+
+@register("recommended", with_sql(_RANK_SQL + ",\n" + SQ.recommended_sql(TARGET_PCT),
+                                  f"SELECT {', '.join(REC_COLS)} FROM rec"))
+def q_recommended(spark, sf_dir):
+    """T2 + F8: the recommended configuration per site with its rationale."""
+    r = SW.score_and_rank(_sweep(spark, sf_dir), TARGET_PCT)
+    return SW.recommend(r, TARGET_PCT).select(*REC_COLS)
+
+
+@register("screening", with_sql(_RANK_SQL + ",\n" + SQ.recommended_sql(TARGET_PCT), """
+SELECT r.site_id, s.n_tested, s.n_reliable, s.n_pareto, r.candidate_id AS recommended_candidate_id,
+  r.total_annual_cost_usd, r.firmness_pct, r.message
+FROM rec r JOIN (SELECT site_id, count(*) AS n_tested, CAST(count_if(meets_reliability) AS BIGINT) AS n_reliable,
+  CAST(count_if(is_pareto) AS BIGINT) AS n_pareto FROM ranked GROUP BY site_id) s ON s.site_id = r.site_id"""))
+def q_screening(spark, sf_dir):
+    """Sweep -> rank -> recommend, one summary row per site."""
+    r = SW.score_and_rank(_sweep(spark, sf_dir), TARGET_PCT)
+    counts = r.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_tested"),
+                                      F.count_if("meets_reliability").alias("n_reliable"),
+                                      F.count_if("is_pareto").alias("n_pareto"))
+    rec = SW.recommend(r, TARGET_PCT)
+    return rec.join(counts, "site_id").select("site_id", "n_tested", "n_reliable", "n_pareto",
+                                              F.col("candidate_id").alias("recommended_candidate_id"),
+                                              "total_annual_cost_usd", "firmness_pct", "message")
+
+
+DRILL_COLS = ["site_id", "candidate_id", "ts", "solar_mw", "charge", "discharge", "soc", "gas_gen", "serve", "unserved",
+              "clipped"]
+
+
+@register("drilldown", with_sql(_RANK_SQL + ",\n" + SQ.recommended_sql(TARGET_PCT), f"""
+SELECT {', '.join('d.' + c for c in DRILL_COLS)} FROM disp d
+WHERE (d.site_id, d.candidate_id) IN (SELECT site_id, candidate_id FROM rec)"""))
+def q_drilldown(spark, sf_dir):
+    """The dispatch rows of each site's recommended candidate (semi join)."""
+    sweep, disp = _sweep(spark, sf_dir, keep_dispatch=True)
+    rec = SW.recommend(SW.score_and_rank(sweep, TARGET_PCT), TARGET_PCT)
+    return SW.drilldown(disp, rec).select(*DRILL_COLS)

@@ -10,6 +10,7 @@ number per site.
 from __future__ import annotations
 
 from wattline.config import full_config
+from wattline.plans.sqlfrag import asdbl, iround, isum
 
 
 def d(x: float) -> str:
@@ -149,17 +150,16 @@ def run_metrics_sql(cfg: dict, *, grid_allowed: bool = False) -> str:
     e2 = c["battery2_power_mw"] * c["battery2_duration_h"]
     pmax = c["gas_pmax_mw"]
 
+    from wattline.plans.sqlfrag import dr
+
     def ds(x: str) -> str:
-        return f"sum(CAST({x} AS DECIMAL(38,10)))"
+        return isum(x)
 
     def rn(x: str, n: int = 2) -> str:
-        return f"CAST(round({x}, {n}) AS DOUBLE)"
-
-    def dr(x: str, n: int) -> str:
-        return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {n}) AS DOUBLE)"
+        return iround(x, n)
 
     def pct(num: str, den: str) -> str:
-        return f"CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) * 100 ELSE {d(0.0)} END"
+        return f"CASE WHEN {den} > 0 THEN ({num}) / {den} * 100 ELSE {d(0.0)} END"
 
     g = f"""g AS (SELECT site_id, count(*) AS n_, {ds('load * ' + dt)} AS ld, {ds('serve * ' + dt)} AS sv,
    {ds('unserved * ' + dt)} AS us, {ds('(grid_exp - grid_imp) * price * ' + dt)} AS mer, {ds('gas_cost')} AS gc,
@@ -171,17 +171,17 @@ def run_metrics_sql(cfg: dict, *, grid_allowed: bool = False) -> str:
    max(abs(grid_imp)) AS imx, max(abs(grid_exp)) AS exx, {ds('serve')} AS svp,
    {ds(f'greatest(wind_mw, {d(0.0)}) + greatest(solar_mw, {d(0.0)}) + greatest(gas_gen, {d(0.0)})')} AS avp,
    max(CAST(infeasible AS INTEGER)) AS inf FROM disp GROUP BY site_id)"""
-    natgas = "CAST(ng AS DOUBLE)"
+    natgas = asdbl("ng")
     co2 = f"({d(k['co2r'])} * {natgas})"
     starts = "CAST(round(st) AS BIGINT)"
     cap_ref = d(pmax) if pmax > 0 else f"coalesce(capmax, {d(0.0)})"
     horizon = f"(n_ * {dt})"
     parts = {
-        "cost_unserved_usd": f"{d(c['voll_usd_per_mwh'])} * CAST(us AS DOUBLE)",
+        "cost_unserved_usd": f"{d(c['voll_usd_per_mwh'])} * {asdbl('us')}",
         "cost_gas_var_usd": f"{d(k['var'])} * {natgas}",
         "cost_gas_no_load_usd": f"{d(k['noload'])} * onn * {dt}",
         "cost_gas_startup_usd": f"{d(c['gas_startup_cost_usd'])} * {starts}",
-        "cost_bess_deg_usd": f"{d(c['bess_deg_cost_usd_per_mwh'])} * (CAST(d1 AS DOUBLE) + CAST(d2 AS DOUBLE))",
+        "cost_bess_deg_usd": f"{d(c['bess_deg_cost_usd_per_mwh'])} * ({asdbl('d1')} + {asdbl('d2')})",
         "cost_carbon_usd": f"{d(c['carbon_price_usd_per_ton'])} * {co2}",
     }
     total = " + ".join(f"({v})" for v in parts.values())
@@ -197,19 +197,19 @@ def run_metrics_sql(cfg: dict, *, grid_allowed: bool = False) -> str:
     ]
     if not grid_allowed:
         errs += [("(imx > 1e-6) OR (exx > 1e-6)", "Grid import/export nonzero when grid is off"),
-                 ("CAST(svp AS DOUBLE) > CAST(avp AS DOUBLE) + 1e-6", "Total served exceeds total available generation")]
+                 (f"{asdbl('svp')} > {asdbl('avp')} + 1e-6", "Total served exceeds total available generation")]
     err = "concat_ws('; ', " + ", ".join(f"CASE WHEN {cnd} THEN '{m}' END" for cnd, m in errs) + ")"
     clip_rev = rn("cr") if not grid_allowed else "CAST(NULL AS DOUBLE)"
     return f""", {g}
 SELECT site_id,
-  {dr(pct('sv', 'ld'), 2)} AS firmness_pct,
-  {dr(pct('CAST(wi AS DOUBLE) + CAST(so AS DOUBLE) + ' + natgas, 'ld'), 2)} AS total_gen_over_load_pct,
-  {dr(pct('CAST(wi AS DOUBLE) + CAST(so AS DOUBLE)', 'ld'), 2)} AS renewable_gen_over_load_pct,
+  {dr(pct(asdbl('sv'), asdbl('ld')), 2)} AS firmness_pct,
+  {dr(pct(asdbl('wi') + ' + ' + asdbl('so') + ' + ' + natgas, asdbl('ld')), 2)} AS total_gen_over_load_pct,
+  {dr(pct(asdbl('wi') + ' + ' + asdbl('so'), asdbl('ld')), 2)} AS renewable_gen_over_load_pct,
   {rn('mer - gc')} AS merchant_revenue_usd, {rn('ch')} AS total_charge_mwh, {rn('cl')} AS total_clip_mwh,
   {rn('gn')} AS total_gen_mwh, {rn('ld')} AS total_load_mwh, {rn('sv')} AS total_served_mwh,
   {rn('us', 4)} AS unserved_energy_mwh, {rn('im')} AS grid_imp_mwh, {rn('ex')} AS grid_exp_mwh,
-  {dr(f"CASE WHEN {d(e1)} > 0 THEN CAST(d1 AS DOUBLE) / {d(e1)} ELSE {d(0.0)} END", 2)} AS cycles_battery1,
-  {dr(f"CASE WHEN {d(e2)} > 0 THEN CAST(d2 AS DOUBLE) / {d(e2)} ELSE {d(0.0)} END", 2)} AS cycles_battery2,
+  {dr(f"CASE WHEN {d(e1)} > 0 THEN {asdbl('d1')} / {d(e1)} ELSE {d(0.0)} END", 2)} AS cycles_battery1,
+  {dr(f"CASE WHEN {d(e2)} > 0 THEN {asdbl('d2')} / {d(e2)} ELSE {d(0.0)} END", 2)} AS cycles_battery2,
   {rn('wi')} AS total_wind_mwh, {rn('so')} AS total_solar_mwh, {rn('ng')} AS total_natgas_mwh,
   {starts} AS natgas_start_count,
   {dr(f"CASE WHEN ({cap_ref}) > 0 AND {horizon} > 0 THEN 100.0 * {natgas} / (({cap_ref}) * {horizon}) ELSE {d(0.0)} END", 2)}
