@@ -22,8 +22,11 @@ so the balance is a prefix scan over an associative operator.  The plan:
    chunk is folded step by step; ``inline`` returns one row per input row.
 
 A very long key is therefore split over many tasks; no task holds more than
-``max(span, fan_in, top_limit)`` steps of one key.  Short series (the whole
-key fits ``top_limit``) take a single level: one shuffle, one fold.
+``max(span, fan_in, top_limit)`` steps of one key.  Short series (every key
+fits ``top_limit`` steps) take the streaming path instead: one shuffle by
+key, a sort by position inside each partition, and a ``mapInArrow`` fold
+that carries the state from row to row (the payload columns pass through
+Arrow untouched).
 
 The numeric kernels are Arrow UDFs working on the thin ``(a, lo, hi)``
 arrays only (vectorised across all chunks of a batch); the row payload
@@ -101,6 +104,58 @@ def _fold_kernel(s_in: pa.Array, steps: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), vals)
 
 
+def _stream_fold_fn(key_names: list[str], init: float):
+    """mapInArrow body: rows arrive sorted by (keys, position) inside each partition.
+
+    The state is carried across batch boundaries; inside a batch the fold is
+    vectorised over all key segments (one numpy step per position index).
+    """
+    def fold(batches):
+        carry_key, carry_s = None, None
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                yield rb.append_column("_s0", pa.array([], pa.float64())).append_column("_s", pa.array([], pa.float64()))
+                continue
+            kcols = [rb.column(k).to_numpy(zero_copy_only=False) for k in key_names]
+            a = rb.column("_a").to_numpy(zero_copy_only=False).astype(np.float64)
+            lo = rb.column("_lo").to_numpy(zero_copy_only=False).astype(np.float64)
+            hi = rb.column("_hi").to_numpy(zero_copy_only=False).astype(np.float64)
+            new = np.zeros(n, dtype=bool)
+            new[0] = True
+            for kc in kcols:
+                new[1:] |= kc[1:] != kc[:-1]
+            starts = np.flatnonzero(new)
+            lens = np.diff(np.append(starts, n))
+            s = np.full(len(starts), float(init))
+            if carry_key is not None and all(kc[0] == ck for kc, ck in zip(kcols, carry_key)):
+                s[0] = carry_s
+            before = np.empty(n)
+            after = np.empty(n)
+            for j in range(int(lens.max())):
+                m = lens > j
+                idx = starts[m] + j
+                sj = s[m]
+                before[idx] = sj
+                sm = np.minimum(hi[idx], np.maximum(lo[idx], sj + a[idx]))
+                s[m] = sm
+                after[idx] = sm
+            carry_key = tuple(kc[-1] for kc in kcols)
+            carry_s = after[-1]
+            yield rb.append_column("_s0", pa.array(before)).append_column("_s", pa.array(after))
+    return fold
+
+
+def _stream_scan(elems: DataFrame, keys: Sequence[str], init: float) -> DataFrame:
+    """Short keys: one shuffle by key, a sort by position, a streaming fold (no arrays)."""
+    # an explicit partition count (the session's shuffle sizing) keeps AQE from
+    # folding the Python stage into a handful of tasks
+    n = int(elems.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = elems.repartition(n, *keys).sortWithinPartitions(*keys, "_p")
+    schema = T.StructType(d.schema.fields + [T.StructField("_s0", T.DoubleType()), T.StructField("_s", T.DoubleType())])
+    return d.mapInArrow(_stream_fold_fn(list(keys), init), schema)
+
+
 def levels_needed(position_range: int, span: int, fan_in: int, top_limit: int) -> int:
     """Smallest number of chunk levels so the top fold sees <= top_limit steps per key."""
     if position_range + 1 <= top_limit:
@@ -163,7 +218,10 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
         rng = 0 if r is None or r["mn"] is None else int(r["mx"] - r["mn"])
         levels = levels_needed(rng, span, fan_in, top_limit)
     init_c = F.lit(float(init))
-    res = _scan(base, keys, levels, span, fan_in, init_c)
+    if levels == 0:
+        res = _stream_scan(base, keys, float(init))
+    else:
+        res = _scan(base, keys, levels, span, fan_in, init_c)
     res = res.withColumnRenamed("_s", out)
     cols = [x for x in res.columns if x not in ("_p", "_a", "_lo", "_hi", "_s0")]
     if prev_out:

@@ -135,7 +135,7 @@ def prepare(df: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] |
     d = d.withColumn("pmin_t", F.least(F.greatest(F.lit(0.0), col("gas_pmin_mw")), col("pmax_t")))
     d = d.withColumn("must_run", must_run_gas(col("_ng_zero")))
     d = d.withColumn("gen", col("gen_ren") + col("must_run"))
-    return d.drop("_ng_zero")
+    return d
 
 
 def previous_values(d: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, str], *, short: bool,
@@ -156,6 +156,29 @@ def previous_values(d: DataFrame, keys: Sequence[str], pos: str, cols: dict[str,
     return lag_values(d, keys, pos, cols)
 
 
+def _derive(d: DataFrame, x_extra: Column | None = None) -> DataFrame:
+    """Recompute the per-row projections of ``prepare`` and the battery inputs (after a shuffle)."""
+    cap = gas_cap()
+    pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
+    d = d.withColumns({
+        "gen_ren": F.coalesce(col("wind_mw"), F.lit(0.0)) + F.coalesce(col("solar_mw"), F.lit(0.0)),
+        "gas_cap": cap,
+        "gas_disp": col("gas_enabled") & col("gas_dispatchable"),
+    })
+    d = d.withColumn("pmax_t", F.greatest(F.lit(0.0), F.least(F.when(pmax > 0, pmax).otherwise(col("gas_cap")),
+                                                             col("gas_cap"))))
+    d = d.withColumn("pmin_t", F.least(F.greatest(F.lit(0.0), col("gas_pmin_mw")), col("pmax_t")))
+    d = d.withColumn("must_run", must_run_gas(col("_ng_zero")))
+    d = d.withColumn("gen", col("gen_ren") + col("must_run"))
+    marginal = gas_variable_cost() + col("carbon_price_usd_per_ton") * gas_co2_tons_per_mwh()
+    d = d.withColumns({"_E2": battery2_energy_mwh(),
+                       "_gas_ok": col("gas_disp") & (marginal < col("voll_usd_per_mwh"))})
+    x = col("gen") - col("load_mw")
+    if x_extra is not None:
+        x = x + x_extra
+    return d.withColumn("_x", x)
+
+
 def _battery_step(x: Column, p: Column, eta: Column, dt: Column) -> Column:
     return F.when(x >= 0, eta * dt * F.least(p, x)).otherwise(-dt * F.least(p, -x))
 
@@ -246,15 +269,20 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
                        "_pos": interval_position()})
     if levels is None:
         levels = levels_for(d, col("_pos"))
-    x = col("gen") - col("load_mw")
+    x_extra = None
     if gas_charges_storage and not grid_on:
-        spare = F.when(col("_gas_ok") & ((marginal / col("rte") + col("bess_deg_cost_usd_per_mwh"))
-                                         < col("voll_usd_per_mwh")), col("pmax_t")).otherwise(F.lit(0.0))
-        x = x + spare
+        x_extra = F.when(col("_gas_ok") & ((marginal / col("rte") + col("bess_deg_cost_usd_per_mwh"))
+                                           < col("voll_usd_per_mwh")), col("pmax_t")).otherwise(F.lit(0.0))
+    x = col("gen") - col("load_mw") if x_extra is None else col("gen") - col("load_mw") + x_extra
     d = d.withColumn("_x", x)
     d = d.withColumn("_a1", _battery_step(col("_x"), col("battery_power_mw"), col("rte"), dt))
-    d = _attach(bounded_balance(_detach(d, cfg), keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p",
+    # columns that are cheap projections of the inputs are dropped before the
+    # balance shuffle and recomputed after it
+    derived = ["gen_ren", "gas_cap", "gas_disp", "pmax_t", "pmin_t", "must_run", "gen", "_E2", "_gas_ok", "_x"]
+    thin = _detach(d, cfg).drop(*derived)
+    d = _attach(bounded_balance(thin, keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p",
                                 levels=levels), cfg)
+    d = _derive(d, x_extra)
     c1, d1 = _flows("soc1", "_s1p", col("rte"), dt)
     d = d.withColumns({"charge1": c1, "discharge1": d1})
     if two_battery:
@@ -309,7 +337,7 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
                      + col("gas_start") * col("gas_startup_cost_usd")
                      + col("gas_on") * gas_no_load_cost() * dt)
     return d.drop("_E1", "_E2", "_gas_ok", "_pos", "_x", "_a1", "_s1p", "_need", "_gas_d", "_surplus",
-                  "_on_prev", "gen")
+                  "_on_prev", "gen", "_ng_zero")
 
 
 # ---------------------------------------------------------------------------

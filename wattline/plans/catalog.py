@@ -805,3 +805,45 @@ def q_drilldown(spark, sf_dir):
     sweep, disp = _sweep(spark, sf_dir, keep_dispatch=True)
     rec = SW.recommend(SW.score_and_rank(sweep, TARGET_PCT), TARGET_PCT)
     return SW.drilldown(disp, rec).select(*DRILL_COLS)
+
+
+# ---------------------------------------------------------------------------
+# D8 gas sizing, D9 slack trade-off, D12 batch grid
+# ---------------------------------------------------------------------------
+GAS_BASE = dict(SITE_CFG, gas_var_cost_usd_per_mwh=50.0)
+GAS_CAPS = [0.0, 25.0, 50.0, 75.0, 100.0]
+GAS_TARGET = 75.0
+GSZ_COLS = ["site_id", "gas_capacity_mw", "firmness_pct", "merchant_revenue_cost_usd", "total_served_mwh",
+            "total_gen_mwh", "total_clip_mwh", "natgas_total_cost_usd", "natgas_generation_mwh", "meets_target",
+            "slope", "is_knee", "is_recommended"]
+
+
+@register("gas_sizing", with_sql(SQ.gas_sizing_sql(GAS_BASE, GAS_CAPS, GAS_TARGET), f"SELECT {', '.join(GSZ_COLS)} FROM gsz"))
+def q_gas_sizing(spark, sf_dir):
+    """D8 + T3 + W8 + T4: gas capacities 0..100 MW per site, smallest meeting 75 %, knee of merchant value."""
+    sw = SW.gas_capacity_sweep(intervals(spark, sf_dir), GAS_BASE, GAS_CAPS, GAS_TARGET)
+    return SW.recommend_gas_capacity(sw, GAS_TARGET).select(*GSZ_COLS)
+
+
+SLK_COLS = ["site_id", "slack_idx", "slack_pct", "served_floor_mwh", "candidate_id", "firmness_pct",
+            "total_served_mwh", "merchant_revenue_usd", "slope", "is_knee"]
+
+
+@register("slack_tradeoff", with_sql(_SWEEP_SQL + ",\n" + SQ.slack_sql(SW.DEFAULT_SLACKS),
+                                     f"SELECT {', '.join(SLK_COLS)} FROM slk"))
+def q_slack_tradeoff(spark, sf_dir):
+    """D9 + J7: per slack, the best merchant value among sweep rows serving >= (1 - slack) x best; knee."""
+    return SW.slack_tradeoff(_sweep(spark, sf_dir)).select(*SLK_COLS)
+
+
+BATCH_BASE = dict(SITE_CFG, gas_enabled=False, gas_dispatchable=False, poi_limit_mw=250.0, battery_duration_h=4.0)
+BATCH_LOADS, BATCH_POWERS, BATCH_STACKS = [100.0, 140.0], [0.0, 100.0, 200.0], [1, 2]
+BAT_COLS = ["site_id", "load_level_mw", "power_mw", "stacks", "firmness_pct", "merchant_revenue_usd",
+            "total_served_mwh", "grid_imp_mwh", "grid_exp_mwh", "total_charge_mwh", "total_natgas_mwh", "infeasible"]
+
+
+@register("batch_grid", with_sql(SQ.batch_sql(BATCH_BASE, BATCH_LOADS, BATCH_POWERS, BATCH_STACKS),
+                                 f"SELECT {', '.join(BAT_COLS)} FROM bat"))
+def q_batch_grid(spark, sf_dir):
+    """Load 100/140 x power 0/100/200 x stacks 1/2 per site, grid on, power x stacks."""
+    return SW.batch_grid(intervals(spark, sf_dir), BATCH_BASE, BATCH_LOADS, BATCH_POWERS, BATCH_STACKS).select(*BAT_COLS)

@@ -323,3 +323,37 @@ def slack_tradeoff(sweep: DataFrame, slacks: Sequence[float] = DEFAULT_SLACKS) -
     top = top.withColumn("slope", F.abs(d_rev / d_f))
     wk = Window.partitionBy("site_id").orderBy(c("slope").desc(), c("slack_idx").asc())
     return top.withColumn("is_knee", F.row_number().over(wk) == 1)
+
+
+# ---------------------------------------------------------------------------
+# D12 batch grid
+# ---------------------------------------------------------------------------
+
+def batch_grid(iv: DataFrame, base: Mapping[str, Any], loads: Sequence[float], powers: Sequence[float],
+               stacks: Sequence[int]) -> DataFrame:
+    """Metrics for every (load level, battery power, stack count) per site, grid on.
+
+    The combinations are a short literal array expanded by a generator on
+    every interval row (no join).  Battery power is power x stacks; the load
+    level is the synthetic 24-7 load used where a site's load column is empty
+    (P11), as the run configuration's ``load_mw`` does.
+    """
+    c = F.col
+    combos = [(lv, pw, st) for lv in loads for pw in powers for st in stacks]
+    arr = F.array(*[F.struct(F.lit(i).cast("long").alias("candidate_id"), F.lit(float(lv)).alias("load_level_mw"),
+                             F.lit(float(pw)).alias("power_mw"), F.lit(int(st)).alias("stacks"))
+                    for i, (lv, pw, st) in enumerate(combos)])
+    zero = iv.groupBy("site_id").agg((F.sum(F.abs(F.coalesce(c("load_mw"), F.lit(0.0)))) < 1e-9).alias("_load_zero"))
+    fan = iv.join(zero, "site_id").select("*", F.inline(arr))
+    fan = fan.withColumns({"load_mw": F.when(c("_load_zero"), c("load_level_mw")).otherwise(c("load_mw")),
+                           "battery_power_mw": c("power_mw") * c("stacks")})
+    combos_df = fan.select("candidate_id", "load_level_mw", "power_mw", "stacks").distinct()
+    fan = fan.drop("_load_zero", "load_level_mw", "power_mw", "stacks")
+    cfg = dict(base, _varying=("battery_power_mw",))
+    levels = levels_for(iv.withColumn("dt_hours", F.lit(float(base.get("dt_hours", 1.0)))), interval_position())
+    disp = serve_first_dispatch(fan, keys=KEYS, cfg=cfg, grid_on=True, levels=levels)
+    m = run_metrics(disp, keys=KEYS, grid_allowed=True)
+    # the combination table is at most len(loads) x len(powers) x len(stacks) rows
+    return m.join(F.broadcast(combos_df), "candidate_id").select(
+        "site_id", "load_level_mw", "power_mw", "stacks", "firmness_pct", "merchant_revenue_usd",
+        "total_served_mwh", "grid_imp_mwh", "grid_exp_mwh", "total_charge_mwh", "total_natgas_mwh", "infeasible")

@@ -112,6 +112,8 @@ def metrics_sql(P: dict[str, str], keys: list[str]) -> str:
     g = f"""mg AS (SELECT {k}, count(*) AS n_, {ds(f'load * {dt}')} AS ld, {ds(f'serve * {dt}')} AS sv,
    {ds(f'unserved * {dt}')} AS us, {ds(f'(grid_exp - grid_imp) * price * {dt}')} AS mer, {ds('gas_cost')} AS gc,
    {ds(f'gas_gen * {dt}')} AS ng, {ds(f'discharge1 * {dt}')} AS d1, {ds(f'discharge2 * {dt}')} AS d2,
+   {ds(f'generation * {dt}')} AS gn, {ds(f'clipped * {dt}')} AS cl, {ds(f'grid_imp * {dt}')} AS im,
+   {ds(f'grid_exp * {dt}')} AS ex, {ds(f'charge * {dt}')} AS ch,
    sum(gas_start) AS st, sum(gas_on) AS onn, max(CAST(infeasible AS INTEGER)) AS inf,
    first(p_var) AS var, first(p_noload) AS noload, first(p_co2r) AS co2r
    FROM disp GROUP BY {k})"""
@@ -136,7 +138,9 @@ met AS (SELECT {k}, {dr(pct, 2)} AS firmness_pct, {iround('sv', 2)} AS total_ser
   {iround('us', 4)} AS unserved_energy_mwh, {iround('ng', 2)} AS total_natgas_mwh,
   {dr(co2, 3)} AS co2_tons, {iround('mer - gc', 2)} AS merchant_revenue_usd,
   {dr(total, 2)} AS total_operating_cost_usd, {', '.join(f'{dr(v, 2)} AS {n}' for n, v in parts.items())},
-  {dr(f'n_ * {dt}', 4)} AS horizon_hours, inf > 0 AS infeasible FROM mg)"""
+  {dr(f'n_ * {dt}', 4)} AS horizon_hours, inf > 0 AS infeasible,
+  {iround('gn', 2)} AS total_gen_mwh, {iround('cl', 2)} AS total_clip_mwh, {iround('gc', 2)} AS natgas_total_cost_usd,
+  {iround('im', 2)} AS grid_imp_mwh, {iround('ex', 2)} AS grid_exp_mwh, {iround('ch', 2)} AS total_charge_mwh FROM mg)"""
 
 
 def list_sql(values) -> str:
@@ -222,7 +226,8 @@ def sweep_sql(base: Mapping[str, Any], ranges: Mapping[str, Mapping[str, Any]],
 e2 AS (SELECT *, {', '.join(f'{dr(v, 2)} AS {n}' for n, v in {**ann, **fom}.items())},
   {dr(total, 2)} AS annualized_total_usd_yr FROM e1),
 e3 AS (SELECT e2.*, fixed_om_solar_usd_yr + fixed_om_wind_usd_yr + fixed_om_bess_usd_yr + fixed_om_gas_usd_yr
-  AS fixed_om_total_usd_yr, m.* EXCLUDE (site_id, candidate_id)
+  AS fixed_om_total_usd_yr, m.* EXCLUDE (site_id, candidate_id, total_gen_mwh, total_clip_mwh, natgas_total_cost_usd,
+  grid_imp_mwh, grid_exp_mwh, total_charge_mwh)
   FROM e2 JOIN met m ON m.site_id = e2.site_id AND m.candidate_id = e2.candidate_id),
 e4 AS (SELECT *, CASE WHEN horizon_hours > 0 THEN total_operating_cost_usd / horizon_hours * {hy} ELSE {z} END AS opex,
   CASE WHEN horizon_hours > 0 THEN total_served_mwh / horizon_hours * {hy} ELSE {z} END AS served_year FROM e3),
@@ -258,3 +263,67 @@ def recommended_sql(target: float) -> str:
   ELSE 'No tested configuration meets {t}% reliability. Highest available firmness: ' || printf('%.2f', firmness_pct)
   || '% at $' || {money} || '/yr. Consider expanding the sweep ranges (more gas / longer-duration BESS / larger renewables).'
   END AS message FROM ranked WHERE rank = 1)"""
+
+
+def gas_sizing_sql(base: Mapping[str, Any], capacities, target: float) -> str:
+    """CTEs ending in ``gsz``: D8 sweep + T3/W8/T4 flags per (site, capacity)."""
+    pmin = float(base.get("gas_pmin_mw", 0.0) or 0.0)
+    varying = {"gas_pmax_mw": "gas_pmax_mw", "gas_enabled": "true", "gas_dispatchable": "true",
+               "gas_pmin_mw": "gas_pmin_mw"}
+    P = params(base, varying)
+    z = d(0.0)
+    fan = f"""gc0 AS (SELECT site_id, unnest({list_sql(capacities)}) AS gas_capacity_mw,
+    generate_subscripts({list_sql(capacities)}, 1) - 1 AS candidate_id FROM (SELECT DISTINCT site_id FROM intervals)),
+gfan AS (SELECT i.*, CAST(c.candidate_id AS BIGINT) AS candidate_id, c.gas_capacity_mw, c.gas_capacity_mw AS gas_pmax_mw,
+    least({d(pmin)}, c.gas_capacity_mw) AS gas_pmin_mw FROM intervals i JOIN gc0 c ON c.site_id = i.site_id)"""
+    keys = ["site_id", "candidate_id"]
+    return ",\n".join([fan, dispatch_sql(P, "gfan", keys).strip(), metrics_sql(P, keys).strip(), f"""gs0 AS (
+  SELECT m.site_id, c.gas_capacity_mw, m.firmness_pct, m.merchant_revenue_usd AS merchant_revenue_cost_usd,
+    m.total_served_mwh, m.total_gen_mwh, m.total_clip_mwh, m.natgas_total_cost_usd,
+    m.total_natgas_mwh AS natgas_generation_mwh, m.firmness_pct >= {d(target)} AS meets_target
+  FROM met m JOIN gc0 c ON c.site_id = m.site_id AND c.candidate_id = m.candidate_id),
+gs1 AS (SELECT *, abs(coalesce(merchant_revenue_cost_usd - lag(merchant_revenue_cost_usd) OVER w, {z})
+      / coalesce(nullif(gas_capacity_mw - lag(gas_capacity_mw) OVER w, {z}), {d(1.0)})) AS slope,
+    row_number() OVER w AS pos_ FROM gs0 WINDOW w AS (PARTITION BY site_id ORDER BY gas_capacity_mw)),
+gsz AS (SELECT * EXCLUDE (pos_),
+    row_number() OVER (PARTITION BY site_id ORDER BY slope DESC, pos_ ASC) = 1 AS is_knee,
+    row_number() OVER (PARTITION BY site_id ORDER BY meets_target DESC, gas_capacity_mw ASC) = 1 AS is_recommended
+  FROM gs1)"""])
+
+
+def slack_sql(slacks) -> str:
+    """CTEs over ``sweep`` ending in ``slk`` (D9 + J7 + W8/T4)."""
+    z = d(0.0)
+    return f"""sb AS (SELECT site_id, max(total_served_mwh) AS max_served FROM sweep GROUP BY site_id),
+sx AS (SELECT s.*, b.max_served, unnest({list_sql(slacks)}) AS slack, generate_subscripts({list_sql(slacks)}, 1) - 1 AS si
+  FROM sweep s JOIN sb b ON b.site_id = s.site_id),
+sf AS (SELECT *, ({d(1.0)} - slack) * max_served AS served_floor FROM sx),
+sk AS (SELECT *, row_number() OVER (PARTITION BY site_id, si ORDER BY merchant_revenue_usd DESC, total_served_mwh DESC,
+    candidate_id ASC) AS r_ FROM sf WHERE total_served_mwh >= served_floor - 1e-9),
+st1 AS (SELECT site_id, CAST(si AS BIGINT) AS slack_idx, CAST(round(slack * 100) AS BIGINT) AS slack_pct,
+    {dr('served_floor', 4)} AS served_floor_mwh, candidate_id, firmness_pct, total_served_mwh, merchant_revenue_usd
+  FROM sk WHERE r_ = 1),
+st2 AS (SELECT *, abs(coalesce(merchant_revenue_usd - lag(merchant_revenue_usd) OVER w, {z})
+    / coalesce(nullif(firmness_pct - lag(firmness_pct) OVER w, {z}), {d(1.0)})) AS slope
+  FROM st1 WINDOW w AS (PARTITION BY site_id ORDER BY slack_idx)),
+slk AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY slope DESC, slack_idx ASC) = 1 AS is_knee FROM st2)"""
+
+
+def batch_sql(base: Mapping[str, Any], loads, powers, stacks) -> str:
+    """CTEs ending in ``bat``: D12 grid-on runs per (site, load, power, stacks)."""
+    combos = [(lv, pw, st) for lv in loads for pw in powers for st in stacks]
+    vals = ", ".join(f"({i}, {d(lv)}, {d(pw)}, {int(st)})" for i, (lv, pw, st) in enumerate(combos))
+    varying = {"battery_power_mw": "battery_power_mw"}
+    P = params(base, varying)
+    z = d(0.0)
+    keys = ["site_id", "candidate_id"]
+    return ",\n".join([f"""bc(candidate_id, load_level_mw, power_mw, stacks) AS (VALUES {vals}),
+bz AS (SELECT site_id, sum(abs(coalesce(load_mw, {z}))) < 1e-9 AS load_zero FROM intervals GROUP BY site_id),
+bfan AS (SELECT i.site_id, CAST(c.candidate_id AS BIGINT) AS candidate_id, i.ts, i.wind_mw, i.solar_mw, i.natgas_mw,
+    CASE WHEN z.load_zero THEN c.load_level_mw ELSE i.load_mw END AS load_mw, i.price,
+    c.power_mw * c.stacks AS battery_power_mw
+  FROM intervals i JOIN bz z ON z.site_id = i.site_id, bc c)""", dispatch_sql(P, "bfan", keys, grid_on=True).strip(),
+        metrics_sql(P, keys).strip(), """bat AS (SELECT m.site_id, c.load_level_mw, c.power_mw, CAST(c.stacks AS INTEGER) AS stacks,
+    m.firmness_pct, m.merchant_revenue_usd, m.total_served_mwh, m.grid_imp_mwh, m.grid_exp_mwh, m.total_charge_mwh,
+    m.total_natgas_mwh, m.infeasible
+  FROM met m JOIN bc c ON c.candidate_id = m.candidate_id)"""])
