@@ -847,3 +847,114 @@ BAT_COLS = ["site_id", "load_level_mw", "power_mw", "stacks", "firmness_pct", "m
 def q_batch_grid(spark, sf_dir):
     """Load 100/140 x power 0/100/200 x stacks 1/2 per site, grid on, power x stacks."""
     return SW.batch_grid(intervals(spark, sf_dir), BATCH_BASE, BATCH_LOADS, BATCH_POWERS, BATCH_STACKS).select(*BAT_COLS)
+
+
+# ---------------------------------------------------------------------------
+# Phase 7: scenario bundles, text summary, preview
+# ---------------------------------------------------------------------------
+from wattline.sources import scenarios as SC  # noqa: E402
+from wattline.sources.sinks import preview  # noqa: E402
+from wattline.session import checkpoint_dir  # noqa: E402
+
+SWEEP_SCENARIO = {"name": "Fixture sweep", "description": "Solar as multiples of each site's reference MW.",
+                  "run_config": SWEEP_BASE, "econ": None, "screening_ranges": SWEEP_RANGES,
+                  "reliability_target_pct": TARGET_PCT, "grid_allowed": False}
+BUNDLES = [SC.COMMERCIAL, SWEEP_SCENARIO]
+
+
+def _scenario_values_sql() -> str:
+    rows = []
+    for b in BUNDLES:
+        bd = SC.bundle_dict(b)
+        for n in SW.RANGE_NAMES:
+            r = bd["screening_ranges"][n]
+            ref = d(r["reference_mw"]) if r["reference_mw"] is not None else "CAST(NULL AS DOUBLE)"
+            rows.append(f"('{bd['name']}', '{n}', '{r['mode']}', {SQ.list_sql(r['values'])}, {ref}, "
+                        f"{d(bd['reliability_target_pct'])})")
+    return "scn(scenario, resource, mode, vals, reference_mw, reliability_target_pct) AS (VALUES " + ", ".join(rows) + ")"
+
+
+@register("scenario_table", with_sql(_REF_SQL + ",\n" + _scenario_values_sql() + f""",
+res AS (SELECT s.scenario, r.site_id, s.resource, s.mode, s.reliability_target_pct,
+  CASE WHEN s.mode = 'multipliers' THEN
+    (CASE WHEN coalesce(s.reference_mw, CASE s.resource WHEN 'solar' THEN r.ref_solar_mw WHEN 'wind' THEN r.ref_wind_mw END) > 0
+     THEN list_transform(s.vals, lambda v: v * coalesce(s.reference_mw, CASE s.resource WHEN 'solar' THEN r.ref_solar_mw
+       WHEN 'wind' THEN r.ref_wind_mw END)) ELSE CAST([0.0] AS DOUBLE[]) END)
+  ELSE s.vals END AS v FROM scn s, ref r)""", """
+SELECT scenario, site_id, resource, mode, CAST(len(v) AS INTEGER) AS n_values, list_min(v) AS min_mw,
+  list_max(v) AS max_mw, reliability_target_pct FROM res"""))
+def q_scenario_table(spark, sf_dir):
+    """S3 + S2 + F14 + F12: bundles written as JSON, read back, flattened and resolved per site."""
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/wattline-scenarios-{uuid.uuid4().hex}"
+    SC.write_scenarios(SC.scenarios_df(spark, BUNDLES), path)
+    flat = SC.ranges_flat(SC.read_scenarios(spark, path).select("name", "screening_ranges",
+                                                                 "reliability_target_pct"))
+    flat = flat.join(SC.read_scenarios(spark, path).select(F.col("name").alias("scenario"),
+                                                           "reliability_target_pct"), "scenario")
+    refs = SW.reference_mw(intervals(spark, sf_dir))
+    site_ref = F.when(F.col("resource") == "solar", F.col("ref_solar_mw")).when(
+        F.col("resource") == "wind", F.col("ref_wind_mw"))
+    # every scenario range meets every site.  The range rows are configuration
+    # (bundles x 5 rows, bounded by the scenario list), so they are read once
+    # and expanded on each site row by a generator instead of a join.
+    ranges = flat.select("scenario", "resource", "mode", "values", "reference_mw", "reliability_target_pct").collect()
+    arr = F.array(*[F.struct(F.lit(r.scenario).alias("scenario"), F.lit(r.resource).alias("resource"),
+                             F.lit(r.mode).alias("mode"),
+                             F.array(*[F.lit(float(v)) for v in r["values"]]).cast("array<double>").alias("values"),
+                             F.lit(r.reference_mw).cast("double").alias("reference_mw"),
+                             F.lit(r.reliability_target_pct).cast("double").alias("reliability_target_pct"))
+                    for r in ranges])
+    j = refs.select("site_id", "ref_solar_mw", "ref_wind_mw", F.inline(arr))
+    rng = F.struct(F.col("resource").alias("name"), "mode", "values", "reference_mw")
+    v = SW.resolve(rng, site_ref)
+    return j.select("scenario", "site_id", "resource", "mode", F.size(v).alias("n_values"),
+                    F.array_min(v).alias("min_mw"), F.array_max(v).alias("max_mw"), "reliability_target_pct")
+
+
+def _summary_expr(name: str, target: float, grid: bool) -> F.Column:
+    c = F.col
+    f1 = lambda x: F.format_string("%.1f", F.round(c(x).cast("decimal(38,6)"), 1).cast("double"))
+    return F.concat_ws("\n",
+                       F.lit(f"Scenario: {name}"), F.lit(f"Reliability target: {target:.1f}%"),
+                       F.lit(f"Grid allowed: {grid}"),
+                       F.concat(F.lit("Grid size tested: "), c("n_tested").cast("string"), F.lit(" configurations")),
+                       F.lit(""), F.lit("Recommendation:"), F.concat(F.lit("  "), c("message")), F.lit(""),
+                       F.concat(F.lit("  Solar: "), f1("solar_mw"), F.lit(" MW")),
+                       F.concat(F.lit("  Wind:  "), f1("wind_mw"), F.lit(" MW")),
+                       F.concat(F.lit("  BESS:  "), f1("bess_power_mw"), F.lit(" MW / "), f1("bess_duration_h"),
+                                F.lit(" h  ("), f1("bess_energy_mwh"), F.lit(" MWh)")),
+                       F.concat(F.lit("  Gas:   "), f1("gas_mw"), F.lit(" MW")),
+                       F.concat(F.lit("  Firmness: "), F.format_string("%.2f", c("firmness_pct")), F.lit("%")),
+                       F.concat(F.lit("  Total annual cost: $"), SW.money(c("total_annual_cost_usd")), F.lit("/yr")),
+                       F.concat(F.lit("  CO2 tons (horizon): "), f1("co2_tons")))
+
+
+def _summary_sql() -> str:
+    f1 = lambda x: f"printf('%.1f', {dr(x, 1)})"
+    money = "format('{:,.0f}', CAST(round(CAST(total_annual_cost_usd AS DECIMAL(38,6)), 0) AS DOUBLE))"
+    parts = [f"'Scenario: {SWEEP_SCENARIO['name']}'", f"'Reliability target: {TARGET_PCT:.1f}%'",
+             "'Grid allowed: False'", "'Grid size tested: ' || CAST(n_tested AS VARCHAR) || ' configurations'",
+             "''", "'Recommendation:'", "'  ' || message", "''",
+             f"'  Solar: ' || {f1('solar_mw')} || ' MW'", f"'  Wind:  ' || {f1('wind_mw')} || ' MW'",
+             f"'  BESS:  ' || {f1('bess_power_mw')} || ' MW / ' || {f1('bess_duration_h')} || ' h  (' || "
+             f"{f1('bess_energy_mwh')} || ' MWh)'",
+             f"'  Gas:   ' || {f1('gas_mw')} || ' MW'", "'  Firmness: ' || printf('%.2f', firmness_pct) || '%'",
+             f"'  Total annual cost: $' || {money} || '/yr'", f"'  CO2 tons (horizon): ' || {f1('co2_tons')}"]
+    return "SELECT site_id, concat_ws(chr(10), " + ", ".join(parts) + """) AS summary
+FROM rec JOIN (SELECT site_id AS s_, count(*) AS n_tested FROM ranked GROUP BY site_id) t ON t.s_ = rec.site_id"""
+
+
+@register("summary_lines", with_sql(_RANK_SQL + ",\n" + SQ.recommended_sql(TARGET_PCT), _summary_sql()))
+def q_summary_lines(spark, sf_dir):
+    """S9 + F8: the one-page text summary of each site's recommendation."""
+    r = SW.score_and_rank(_sweep(spark, sf_dir), TARGET_PCT)
+    n = r.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_tested"))
+    rec = SW.recommend(r, TARGET_PCT).join(n, "site_id")
+    return rec.select("site_id", _summary_expr(SWEEP_SCENARIO["name"], TARGET_PCT, False).alias("summary"))
+
+
+@register("preview", with_sql("", f"SELECT {IV_COLS} FROM intervals ORDER BY site_id, ts LIMIT 20"))
+def q_preview(spark, sf_dir):
+    """The first 20 interval rows in (site, time) order."""
+    return preview(intervals(spark, sf_dir), ["site_id", "ts"], 20)
