@@ -47,6 +47,20 @@ def econ_wide(econ_long: DataFrame) -> DataFrame:
             .agg(*[F.first(f).alias(f) for f in ECON_FIELDS]))
 
 
+def with_econ(df: DataFrame, econ: Mapping[str, Any] | None = None) -> DataFrame:
+    """J5 for one scenario: the wide economics columns as literals (folded by Catalyst).
+
+    For several scenarios use ``econ_wide(econ_table(...))`` and an equi-join
+    on ``scenario_id`` (a handful of rows, broadcast).
+    """
+    cols = {}
+    for r in RESOURCES:
+        vals = (econ or {}).get(r) or DEFAULT_ECON[r]
+        for f, v in zip(ECON_FIELDS, vals):
+            cols[f"{r}_{f}"] = F.lit(float(v))
+    return df.withColumns(cols)
+
+
 def crf(rate: Column, life: Column) -> Column:
     """capital recovery factor r / (1 - (1 + r)^-N); 1/N when r ~ 0; 0 when N <= 0."""
     return (F.when(life <= 0, F.lit(0.0))

@@ -104,23 +104,31 @@ def _fold_kernel(s_in: pa.Array, steps: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), vals)
 
 
-def _stream_fold_fn(key_names: list[str], init: float):
+def _stream_fold_fn(key_names: list[str], a_col: str, lo: str | float, hi: str | float, init: float,
+                    out: str, prev_out: str | None):
     """mapInArrow body: rows arrive sorted by (keys, position) inside each partition.
 
     The state is carried across batch boundaries; inside a batch the fold is
     vectorised over all key segments (one numpy step per position index).
+    ``lo`` / ``hi`` are column names or constants.
     """
+    def col(rb, x, n):
+        if isinstance(x, str):
+            return rb.column(x).to_numpy(zero_copy_only=False).astype(np.float64)
+        return np.full(n, float(x))
+
     def fold(batches):
         carry_key, carry_s = None, None
         for rb in batches:
             n = rb.num_rows
             if n == 0:
-                yield rb.append_column("_s0", pa.array([], pa.float64())).append_column("_s", pa.array([], pa.float64()))
+                if prev_out:
+                    rb = rb.append_column(prev_out, pa.array([], pa.float64()))
+                yield rb.append_column(out, pa.array([], pa.float64()))
                 continue
             kcols = [rb.column(k).to_numpy(zero_copy_only=False) for k in key_names]
-            a = rb.column("_a").to_numpy(zero_copy_only=False).astype(np.float64)
-            lo = rb.column("_lo").to_numpy(zero_copy_only=False).astype(np.float64)
-            hi = rb.column("_hi").to_numpy(zero_copy_only=False).astype(np.float64)
+            a = rb.column(a_col).to_numpy(zero_copy_only=False).astype(np.float64)
+            lo_v, hi_v = col(rb, lo, n), col(rb, hi, n)
             new = np.zeros(n, dtype=bool)
             new[0] = True
             for kc in kcols:
@@ -137,23 +145,39 @@ def _stream_fold_fn(key_names: list[str], init: float):
                 idx = starts[m] + j
                 sj = s[m]
                 before[idx] = sj
-                sm = np.minimum(hi[idx], np.maximum(lo[idx], sj + a[idx]))
+                sm = np.minimum(hi_v[idx], np.maximum(lo_v[idx], sj + a[idx]))
                 s[m] = sm
                 after[idx] = sm
             carry_key = tuple(kc[-1] for kc in kcols)
             carry_s = after[-1]
-            yield rb.append_column("_s0", pa.array(before)).append_column("_s", pa.array(after))
+            if prev_out:
+                rb = rb.append_column(prev_out, pa.array(before))
+            yield rb.append_column(out, pa.array(after))
     return fold
 
 
-def _stream_scan(elems: DataFrame, keys: Sequence[str], init: float) -> DataFrame:
-    """Short keys: one shuffle by key, a sort by position, a streaming fold (no arrays)."""
-    # an explicit partition count (the session's shuffle sizing) keeps AQE from
-    # folding the Python stage into a handful of tasks
-    n = int(elems.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    d = elems.repartition(n, *keys).sortWithinPartitions(*keys, "_p")
-    schema = T.StructType(d.schema.fields + [T.StructField("_s0", T.DoubleType()), T.StructField("_s", T.DoubleType())])
-    return d.mapInArrow(_stream_fold_fn(list(keys), init), schema)
+def _stream_scan(df: DataFrame, keys: Sequence[str], pos: str, a: str, lo: str | float, hi: str | float,
+                 init: float, out: str, prev_out: str | None, prepartitioned: bool = False) -> DataFrame:
+    """Short keys: one shuffle by key, a sort by position, a streaming fold (no arrays, no copies).
+
+    ``prepartitioned``: the caller guarantees every key already lives in one
+    partition (e.g. rows were hash-partitioned by a prefix of the keys before
+    a fan-out); then only the local sort remains.
+    """
+    if prepartitioned:
+        d = df.sortWithinPartitions(*keys, pos)
+    else:
+        # an explicit partition count (the session's shuffle sizing) keeps AQE
+        # from folding the Python stage into a handful of tasks
+        d = df.repartition(shuffle_partitions(df), *keys).sortWithinPartitions(*keys, pos)
+    extra = ([T.StructField(prev_out, T.DoubleType())] if prev_out else []) + [T.StructField(out, T.DoubleType())]
+    return d.mapInArrow(_stream_fold_fn(list(keys), a, lo, hi, init, out, prev_out),
+                        T.StructType(d.schema.fields + extra))
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's shuffle partition count (the cluster's sizing knob)."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def levels_needed(position_range: int, span: int, fan_in: int, top_limit: int) -> int:
@@ -198,7 +222,8 @@ def _scan(elems: DataFrame, keys: Sequence[str], levels: int, span: int, fan_in:
 def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str, step: Column | str,
                     lo: Column | str | float, hi: Column | str | float, *, out: str = "soc",
                     prev_out: str | None = "soc_prev", init: float = 0.0, span: int = 32,
-                    fan_in: int = 64, top_limit: int = 2048, levels: int | None = None) -> DataFrame:
+                    fan_in: int = 64, top_limit: int = 2048, levels: int | None = None,
+                    prepartitioned: bool = False) -> DataFrame:
     """Append the bounded running balance of ``step`` per key in ``position`` order.
 
     ``position`` is a long that increases with time inside a key (e.g. the
@@ -211,17 +236,30 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
     """
     c = lambda x: F.col(x) if isinstance(x, str) else (x if isinstance(x, Column) else F.lit(float(x)))
     keys = list(keys)
+    if levels is None:
+        levels = levels_for(df, c(position), span, fan_in, top_limit)
+    if levels == 0:
+        # named columns are used in place; expressions get one helper column each
+        d, names = df, {}
+        for nm, x in (("_p", position), ("_a", step)):
+            if isinstance(x, str):
+                names[nm] = x
+            else:
+                d, names[nm] = d.withColumn(nm, c(x)), nm
+        bounds = {}
+        for nm, x in (("_lo", lo), ("_hi", hi)):
+            if isinstance(x, (int, float)) or isinstance(x, str):
+                bounds[nm] = float(x) if isinstance(x, (int, float)) else x
+            else:
+                d, bounds[nm] = d.withColumn(nm, x), nm
+        res = _stream_scan(d, keys, names["_p"], names["_a"], bounds["_lo"], bounds["_hi"], float(init), out,
+                           prev_out, prepartitioned)
+        helper = [h for h in ("_p", "_a", "_lo", "_hi") if h not in df.columns and h in res.columns]
+        return res.drop(*helper)
     base = df.withColumns({"_p": c(position).cast("long"), "_a": c(step).cast("double"),
                            "_lo": c(lo).cast("double"), "_hi": c(hi).cast("double")})
-    if levels is None:
-        r = base.agg(F.min("_p").alias("mn"), F.max("_p").alias("mx")).first()
-        rng = 0 if r is None or r["mn"] is None else int(r["mx"] - r["mn"])
-        levels = levels_needed(rng, span, fan_in, top_limit)
     init_c = F.lit(float(init))
-    if levels == 0:
-        res = _stream_scan(base, keys, float(init))
-    else:
-        res = _scan(base, keys, levels, span, fan_in, init_c)
+    res = _scan(base, keys, levels, span, fan_in, init_c)
     res = res.withColumnRenamed("_s", out)
     cols = [x for x in res.columns if x not in ("_p", "_a", "_lo", "_hi", "_s0")]
     if prev_out:

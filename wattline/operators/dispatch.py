@@ -250,7 +250,8 @@ def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *,
 def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: bool = False,
                          gas_charges_storage: bool = False, keys: Sequence[str] = KEYS,
                          levels: int | None = None, gas_follow_ramp: bool = False,
-                         cfg: Mapping[str, Any] | None = None, materialize: bool = True) -> DataFrame:
+                         cfg: Mapping[str, Any] | None = None, materialize: bool = True,
+                         params: DataFrame | None = None, prepartitioned: bool = False) -> DataFrame:
     """D2 (grid off) / D3 (grid on) with optional second battery (D4) and ramp-limited gas.
 
     Battery 1 takes the surplus (charge) or covers the deficit (discharge)
@@ -280,8 +281,13 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     # balance shuffle and recomputed after it
     derived = ["gen_ren", "gas_cap", "gas_disp", "pmax_t", "pmin_t", "must_run", "gen", "_E2", "_gas_ok", "_x"]
     thin = _detach(d, cfg).drop(*derived)
-    d = _attach(bounded_balance(thin, keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p",
-                                levels=levels), cfg)
+    if params is not None:
+        thin = thin.drop(*[c for c in params.columns if c not in keys])
+    d = bounded_balance(thin, keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p", levels=levels,
+                        prepartitioned=prepartitioned and levels == 0)
+    if params is not None:
+        d = d.join(params, keys)
+    d = _attach(d, cfg)
     d = _derive(d, x_extra)
     c1, d1 = _flows("soc1", "_s1p", col("rte"), dt)
     d = d.withColumns({"charge1": c1, "discharge1": d1})
@@ -289,7 +295,7 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
         d = d.withColumn("_a2", _battery_step(col("_x") - col("charge1") + col("discharge1"),
                                               col("battery2_power_mw"), col("battery2_rte"), dt))
         d = _attach(bounded_balance(_detach(d, cfg), keys, "_pos", "_a2", 0.0, "_E2", out="soc2",
-                                    prev_out="_s2p", levels=levels), cfg)
+                                    prev_out="_s2p", levels=levels, prepartitioned=(levels == 0)), cfg)
         c2, d2 = _flows("soc2", "_s2p", col("battery2_rte"), dt)
         d = d.withColumns({"charge2": c2, "discharge2": d2}).drop("_a2", "_s2p")
     else:

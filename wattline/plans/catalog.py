@@ -727,10 +727,9 @@ def _ann_sql() -> str:
 @register("annualized_cost", _ann_sql())
 def q_annualized_cost(spark, sf_dir):
     """F1 + F2: annualised capex and fixed O&M per candidate (default economics)."""
-    g = _grid(spark, sf_dir).withColumns({"bess_energy_mwh": F.col("bess_power_mw") * F.col("bess_duration_h"),
-                                          "scenario_id": F.lit(0).cast("long")})
-    ew = econ_wide(econ_table(spark, {0: None}))
-    return annualized_cost(g.join(F.broadcast(ew), "scenario_id")).select("site_id", "candidate_id", *ANN_COLS)
+    from wattline.functions.econ import with_econ
+    g = _grid(spark, sf_dir).withColumns({"bess_energy_mwh": F.col("bess_power_mw") * F.col("bess_duration_h")})
+    return annualized_cost(with_econ(g, None)).select("site_id", "candidate_id", *ANN_COLS)
 
 
 def _sweep(spark, sf_dir, keep_dispatch=False):

@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.functions.econ import annual_figures, annualized_cost, econ_table, econ_wide
-from wattline.operators.balance import levels_for
+from wattline.functions.econ import annual_figures, annualized_cost, with_econ
+from wattline.operators.balance import levels_for, shuffle_partitions
 from wattline.operators.dispatch import interval_position, serve_first_dispatch
 from wattline.operators.metrics import run_metrics
 from wattline.session import materialize_table
@@ -127,14 +127,20 @@ def sweep_dispatch(iv: DataFrame, cands: DataFrame, cfg: Mapping[str, Any], refs
     # fan-out rows only gain columns, never an extra shuffle
     zero = iv.groupBy("site_id").agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(c("natgas_mw"), F.lit(0.0))))
                                       <= F.lit(1e-9)).alias("_ng_zero"))
-    fan = iv.join(zero, "site_id").join(cands, "site_id").join(refs, "site_id")
+    # per-candidate constants: one row per (site, candidate), at most cap per site
+    params = cands.join(zero, "site_id").join(refs, "site_id")
+    # the interval table is hash-partitioned by site before the fan-out: the fan-out
+    # then runs in parallel and every (site, candidate) key is already in one
+    # partition, so the much larger fanned-out table is never shuffled
+    fan = iv.repartition(shuffle_partitions(iv), "site_id").join(params.hint("shuffle_hash"), "site_id")
     fan = fan.withColumns({
         "solar_mw": F.when(c("ref_solar_mw") > 0, c("solar_mw") * (c("cand_solar_mw") / c("ref_solar_mw")))
         .otherwise(F.lit(0.0)),
         "wind_mw": F.when(c("ref_wind_mw") > 0, c("wind_mw") * (c("cand_wind_mw") / c("ref_wind_mw")))
         .otherwise(F.lit(0.0)),
     })
-    return serve_first_dispatch(fan, keys=KEYS, cfg=cfg, levels=levels)
+    return serve_first_dispatch(fan, keys=KEYS, cfg=cfg, levels=levels, params=params,
+                                prepartitioned=(levels == 0))
 
 
 SWEEP_COLUMNS = ["site_id", "candidate_id", "ok", "error", "solar_mw", "wind_mw", "bess_power_mw",
@@ -162,11 +168,9 @@ def capacity_sweep(spark: SparkSession, iv: DataFrame, base: Mapping[str, Any],
     if keep_dispatch:
         disp = materialize_table(disp)
     m = run_metrics(disp, keys=KEYS)
-    ew = econ_wide(econ_table(spark, {0: econ}))
-    info = (grid.withColumn("bess_energy_mwh", F.col("bess_power_mw") * F.col("bess_duration_h"))
-            .withColumn("scenario_id", F.lit(0).cast("long")))
-    # One economics row per scenario (a handful of rows): broadcast is size-bounded
-    rows = info.join(F.broadcast(ew), "scenario_id").join(m, KEYS)
+    info = grid.withColumn("bess_energy_mwh", F.col("bess_power_mw") * F.col("bess_duration_h"))
+    # One screening scenario -> its economics are literal columns (no join)
+    rows = with_econ(info, econ).join(m, KEYS)
     rows = rows.withColumns({"ok": ~F.col("infeasible"), "error": F.lit(""),
                              "unserved_mwh": F.col("unserved_energy_mwh"),
                              "total_op_cost_usd_horizon": F.col("total_operating_cost_usd")})
@@ -260,7 +264,9 @@ def gas_capacity_sweep(iv: DataFrame, base: Mapping[str, Any], capacities: Seque
     zero = iv.groupBy("site_id").agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0))))
                                       <= F.lit(1e-9)).alias("_ng_zero"))
     levels = levels_for(iv.withColumn("dt_hours", F.lit(float(base.get("dt_hours", 1.0)))), interval_position())
-    disp = serve_first_dispatch(iv.join(zero, "site_id").join(cands, "site_id"), keys=KEYS, cfg=cfg, levels=levels)
+    fan = (iv.repartition(shuffle_partitions(iv), "site_id")
+           .join(zero.join(cands, "site_id").hint("shuffle_hash"), "site_id"))
+    disp = serve_first_dispatch(fan, keys=KEYS, cfg=cfg, levels=levels, prepartitioned=(levels == 0))
     m = run_metrics(disp, keys=KEYS)
     out = m.join(cands.select("site_id", "candidate_id", "gas_capacity_mw"), KEYS).select(
         "site_id", "gas_capacity_mw", "firmness_pct", F.col("merchant_revenue_usd").alias("merchant_revenue_cost_usd"),
@@ -344,14 +350,15 @@ def batch_grid(iv: DataFrame, base: Mapping[str, Any], loads: Sequence[float], p
                              F.lit(float(pw)).alias("power_mw"), F.lit(int(st)).alias("stacks"))
                     for i, (lv, pw, st) in enumerate(combos)])
     zero = iv.groupBy("site_id").agg((F.sum(F.abs(F.coalesce(c("load_mw"), F.lit(0.0)))) < 1e-9).alias("_load_zero"))
-    fan = iv.join(zero, "site_id").select("*", F.inline(arr))
+    fan = (iv.repartition(shuffle_partitions(iv), "site_id").join(zero.hint("shuffle_hash"), "site_id")
+           .select("*", F.inline(arr)))
     fan = fan.withColumns({"load_mw": F.when(c("_load_zero"), c("load_level_mw")).otherwise(c("load_mw")),
                            "battery_power_mw": c("power_mw") * c("stacks")})
     combos_df = fan.select("candidate_id", "load_level_mw", "power_mw", "stacks").distinct()
     fan = fan.drop("_load_zero", "load_level_mw", "power_mw", "stacks")
     cfg = dict(base, _varying=("battery_power_mw",))
     levels = levels_for(iv.withColumn("dt_hours", F.lit(float(base.get("dt_hours", 1.0)))), interval_position())
-    disp = serve_first_dispatch(fan, keys=KEYS, cfg=cfg, grid_on=True, levels=levels)
+    disp = serve_first_dispatch(fan, keys=KEYS, cfg=cfg, grid_on=True, levels=levels, prepartitioned=(levels == 0))
     m = run_metrics(disp, keys=KEYS, grid_allowed=True)
     # the combination table is at most len(loads) x len(powers) x len(stacks) rows
     return m.join(F.broadcast(combos_df), "candidate_id").select(
