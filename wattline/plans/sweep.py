@@ -80,10 +80,10 @@ def candidate_grid(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]], ca
         s = F.greatest(F.size(f"_v_{k}"), F.lit(1))
         size = s if size is None else size * s
     d = d.withColumn("grid_size", size)
-    d = d.withColumn("grid_size", F.when(F.col("grid_size") > cap, F.raise_error(F.concat(
+    # a row filter (not a projection), so column pruning can never skip the check
+    d = d.where(F.assert_true(F.col("grid_size") <= cap, F.concat(
         F.lit("Sweep grid has "), F.col("grid_size").cast("string"),
-        F.lit(f" configurations, exceeding the hard cap of {cap}. Reduce the sweep ranges.")))).otherwise(
-        F.col("grid_size")))
+        F.lit(f" configurations, exceeding the hard cap of {cap}. Reduce the sweep ranges."))).isNull())
     cid = None
     for k in CAND_COLS:
         d = d.select("*", F.posexplode(f"_v_{k}").alias(f"_i_{k}", k))

@@ -42,22 +42,22 @@ def hour_floor(ts: Column) -> Column:
 
 def read_interval_csv(spark: SparkSession, path: str, site_id: int | Column | None = None,
                       headers: dict[str, str] | None = None) -> DataFrame:
-    """Scan interval CSV files with an explicit all-string schema.
+    """Scan interval CSV files, every column as text.
 
-    Every column is read as text and typed afterwards (``functions.clean``),
-    so a bad cell never fails the scan.  Columns absent from the file come
-    back null and are zero-filled by the cleaning step.  ``site_id`` is a
+    Columns are typed afterwards (``functions.clean``), so a bad cell never
+    fails the scan.  Columns absent from the file come back null and are
+    zero-filled by the cleaning step.  ``site_id`` is a
     literal, or (default) derived from the file name via ``_metadata``.
     """
     headers = headers or CSV_HEADERS
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-           .option("enforceSchema", False)
-           .schema(T.StructType([T.StructField(h, T.StringType()) for h in headers.values()]))
-           .csv(path))
+    # header names are taken from the file and every column is read as text
+    # (no inference pass); known headers are mapped, absent ones become null
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
     sid = (F.lit(site_id) if isinstance(site_id, int) else site_id) if site_id is not None \
         else F.abs(F.xxhash64(F.col("_metadata.file_path")))
     return raw.select(sid.cast("bigint").alias("site_id"),
-                      *[F.col(f"`{h}`").alias(n) for n, h in headers.items()])
+                      *[(F.col(f"`{h}`") if h in raw.columns else F.lit(None).cast("string")).alias(n)
+                        for n, h in headers.items()])
 
 
 def intervals_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

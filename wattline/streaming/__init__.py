@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads whole files before any work and has no watermark,
+window, stateful or late-data logic, so there is no streaming operator to
+re-express.  The batch operators are plain DataFrame plans and can be used
+inside ``foreachBatch`` unchanged.
+"""
