@@ -105,7 +105,7 @@ def _fold_kernel(s_in: pa.Array, steps: pa.Array) -> pa.Array:
 
 
 def _stream_fold_fn(key_names: list[str], a_col: str, lo: str | float, hi: str | float, init: float,
-                    out: str, prev_out: str | None):
+                    out: str, prev_out: str | None, prev2_out: str | None = None):
     """mapInArrow body: rows arrive sorted by (keys, position) inside each partition.
 
     The state is carried across batch boundaries; inside a batch the fold is
@@ -118,10 +118,12 @@ def _stream_fold_fn(key_names: list[str], a_col: str, lo: str | float, hi: str |
         return np.full(n, float(x))
 
     def fold(batches):
-        carry_key, carry_s = None, None
+        carry_key, carry_s, carry_b = None, None, None
         for rb in batches:
             n = rb.num_rows
             if n == 0:
+                if prev2_out:
+                    rb = rb.append_column(prev2_out, pa.array([], pa.float64()))
                 if prev_out:
                     rb = rb.append_column(prev_out, pa.array([], pa.float64()))
                 yield rb.append_column(out, pa.array([], pa.float64()))
@@ -136,20 +138,28 @@ def _stream_fold_fn(key_names: list[str], a_col: str, lo: str | float, hi: str |
             starts = np.flatnonzero(new)
             lens = np.diff(np.append(starts, n))
             s = np.full(len(starts), float(init))
+            sb = np.full(len(starts), np.nan)        # state before the previous row
             if carry_key is not None and all(kc[0] == ck for kc, ck in zip(kcols, carry_key)):
                 s[0] = carry_s
+                sb[0] = carry_b
             before = np.empty(n)
             after = np.empty(n)
+            before2 = np.empty(n)
             for j in range(int(lens.max())):
                 m = lens > j
                 idx = starts[m] + j
                 sj = s[m]
                 before[idx] = sj
+                before2[idx] = sb[m]
+                sb[m] = sj
                 sm = np.minimum(hi_v[idx], np.maximum(lo_v[idx], sj + a[idx]))
                 s[m] = sm
                 after[idx] = sm
             carry_key = tuple(kc[-1] for kc in kcols)
             carry_s = after[-1]
+            carry_b = before[-1]
+            if prev2_out:
+                rb = rb.append_column(prev2_out, pa.array(before2))
             if prev_out:
                 rb = rb.append_column(prev_out, pa.array(before))
             yield rb.append_column(out, pa.array(after))
@@ -157,7 +167,8 @@ def _stream_fold_fn(key_names: list[str], a_col: str, lo: str | float, hi: str |
 
 
 def _stream_scan(df: DataFrame, keys: Sequence[str], pos: str, a: str, lo: str | float, hi: str | float,
-                 init: float, out: str, prev_out: str | None, prepartitioned: bool = False) -> DataFrame:
+                 init: float, out: str, prev_out: str | None, prepartitioned: bool = False,
+                 prev2_out: str | None = None) -> DataFrame:
     """Short keys: one shuffle by key, a sort by position, a streaming fold (no arrays, no copies).
 
     ``prepartitioned``: the caller guarantees every key already lives in one
@@ -170,14 +181,22 @@ def _stream_scan(df: DataFrame, keys: Sequence[str], pos: str, a: str, lo: str |
         # an explicit partition count (the session's shuffle sizing) keeps AQE
         # from folding the Python stage into a handful of tasks
         d = df.repartition(shuffle_partitions(df), *keys).sortWithinPartitions(*keys, pos)
-    extra = ([T.StructField(prev_out, T.DoubleType())] if prev_out else []) + [T.StructField(out, T.DoubleType())]
-    return d.mapInArrow(_stream_fold_fn(list(keys), a, lo, hi, init, out, prev_out),
+    extra = (([T.StructField(prev2_out, T.DoubleType())] if prev2_out else [])
+             + ([T.StructField(prev_out, T.DoubleType())] if prev_out else []) + [T.StructField(out, T.DoubleType())])
+    return d.mapInArrow(_stream_fold_fn(list(keys), a, lo, hi, init, out, prev_out, prev2_out),
                         T.StructType(d.schema.fields + extra))
 
 
 def shuffle_partitions(df: DataFrame) -> int:
-    """The session's shuffle partition count (the cluster's sizing knob)."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Partition count for the row-multiplying / Python stages.
+
+    Twice the session's shuffle partition count (the cluster's sizing knob):
+    the stage after a candidate fan-out holds many times more rows than the
+    table it was built from.  Being an explicit count it is never coalesced by
+    AQE, and being different from the upstream count it is never optimised out
+    as a repeat of the upstream partitioning.
+    """
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def levels_needed(position_range: int, span: int, fan_in: int, top_limit: int) -> int:
@@ -223,7 +242,7 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
                     lo: Column | str | float, hi: Column | str | float, *, out: str = "soc",
                     prev_out: str | None = "soc_prev", init: float = 0.0, span: int = 32,
                     fan_in: int = 64, top_limit: int = 2048, levels: int | None = None,
-                    prepartitioned: bool = False) -> DataFrame:
+                    prepartitioned: bool = False, prev2_out: str | None = None) -> DataFrame:
     """Append the bounded running balance of ``step`` per key in ``position`` order.
 
     ``position`` is a long that increases with time inside a key (e.g. the
@@ -253,11 +272,13 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
             else:
                 d, bounds[nm] = d.withColumn(nm, x), nm
         res = _stream_scan(d, keys, names["_p"], names["_a"], bounds["_lo"], bounds["_hi"], float(init), out,
-                           prev_out, prepartitioned)
+                           prev_out, prepartitioned, prev2_out)
         helper = [h for h in ("_p", "_a", "_lo", "_hi") if h not in df.columns and h in res.columns]
         return res.drop(*helper)
     base = df.withColumns({"_p": c(position).cast("long"), "_a": c(step).cast("double"),
                            "_lo": c(lo).cast("double"), "_hi": c(hi).cast("double")})
+    if prev2_out:
+        raise ValueError("prev2_out is only available when every key fits one group (levels == 0)")
     init_c = F.lit(float(init))
     res = _scan(base, keys, levels, span, fan_in, init_c)
     res = res.withColumnRenamed("_s", out)

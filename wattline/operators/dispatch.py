@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from wattline.config import CONFIG_FIELDS, battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, \
     gas_no_load_cost, gas_variable_cost, with_config
-from wattline.operators.balance import bounded_balance, levels_for
+from wattline.operators.balance import bounded_balance, levels_for, shuffle_partitions
 from wattline.operators.series import lag_values
 from wattline.session import materialize_table
 
@@ -102,9 +102,9 @@ def gas_cap(natgas: Column | None = None) -> Column:
             .otherwise(pmax))
 
 
-def must_run_gas(natgas_all_zero: Column) -> Column:
+def must_run_gas(natgas_all_zero: Column, natgas: Column | None = None) -> Column:
     """Fixed gas output when gas is not dispatchable."""
-    ng = F.greatest(F.lit(0.0), F.coalesce(col("natgas_mw"), F.lit(0.0)))
+    ng = F.greatest(F.lit(0.0), F.coalesce(natgas if natgas is not None else col("natgas_mw"), F.lit(0.0)))
     pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
     return (F.when(col("gas_enabled") & col("gas_dispatchable"), F.lit(0.0))
             .when(col("gas_enabled"),
@@ -179,6 +179,31 @@ def _derive(d: DataFrame, x_extra: Column | None = None) -> DataFrame:
     return d.withColumn("_x", x)
 
 
+def _previous_gas_on(grid_on: bool, marginal: Column) -> Column:
+    """Gas on/off of the previous row from its inputs (``_p_*``) and its balances (``_s1pp`` -> ``_s1p``).
+
+    Exactly the current-row expressions of ``serve_first_dispatch`` (one
+    battery, no ramp fold) applied to the previous row; null on a key's first row.
+    """
+    ng = col("_p_natgas_mw")
+    gen_ren = F.coalesce(col("_p_wind_mw"), F.lit(0.0)) + F.coalesce(col("_p_solar_mw"), F.lit(0.0))
+    cap = gas_cap(ng)
+    pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
+    pmax_t = F.greatest(F.lit(0.0), F.least(F.when(pmax > 0, pmax).otherwise(cap), cap))
+    pmin_t = F.least(F.greatest(F.lit(0.0), col("gas_pmin_mw")), pmax_t)
+    must = must_run_gas(col("_ng_zero"), ng)
+    gen = gen_ren + must
+    ds = col("_s1p") - col("_s1pp")
+    charge = F.greatest(ds, F.lit(0.0)) / (col("rte") * col("dt_hours")) + F.lit(0.0)
+    discharge = F.greatest(-ds, F.lit(0.0)) / col("dt_hours") + F.lit(0.0)
+    need = F.greatest(F.lit(0.0), col("_p_load_mw") + charge - gen - discharge)
+    ok = col("_gas_ok") & (marginal < col("_p_price")) if grid_on else col("_gas_ok")
+    need = F.when(ok, need).otherwise(F.lit(0.0))
+    gas_d = F.when(need > 1e-9, F.greatest(pmin_t, F.least(pmax_t, need))).otherwise(F.lit(0.0))
+    on = F.when(must + gas_d > EPS_ON, 1.0).otherwise(0.0)
+    return F.when(col("_p_load_mw").isNull(), F.lit(None).cast("double")).otherwise(on)
+
+
 def _battery_step(x: Column, p: Column, eta: Column, dt: Column) -> Column:
     return F.when(x >= 0, eta * dt * F.least(p, x)).otherwise(-dt * F.least(p, -x))
 
@@ -283,8 +308,22 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     thin = _detach(d, cfg).drop(*derived)
     if params is not None:
         thin = thin.drop(*[c for c in params.columns if c not in keys])
+    # Short keys, one battery, no ramp fold: the previous row's inputs are taken
+    # with a per-key window *before* the fold (the rows are already grouped by
+    # key there, so it only sorts) and the fold also returns the state two steps
+    # back; the previous row's gas status is then recomputed row-locally and no
+    # shuffle follows the fold.
+    prev_inputs = levels == 0 and not two_battery and not gas_follow_ramp
+    if prev_inputs:
+        from pyspark.sql import Window
+        if not prepartitioned:
+            thin = thin.repartition(shuffle_partitions(thin), *keys)
+        wk = Window.partitionBy(*keys).orderBy("_pos")
+        thin = thin.withColumns({f"_p_{c}": F.lag(c).over(wk)
+                                 for c in ("wind_mw", "solar_mw", "natgas_mw", "load_mw", "price")})
     d = bounded_balance(thin, keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p", levels=levels,
-                        prepartitioned=prepartitioned and levels == 0)
+                        prepartitioned=(prepartitioned or prev_inputs) and levels == 0,
+                        prev2_out="_s1pp" if prev_inputs else None)
     if params is not None:
         d = d.join(params, keys)
     d = _attach(d, cfg)
@@ -332,8 +371,11 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
         "net_to_grid": col("grid_exp") - col("grid_imp"),
     })
     d = d.withColumn("gas_on", F.when(col("gas_gen") > EPS_ON, 1.0).otherwise(0.0))
-    d = previous_values(d, keys, "_pos", {"_on_prev": "gas_on"}, short=(levels == 0), cfg=cfg,
-                        materialize=materialize)
+    if prev_inputs:
+        d = d.withColumn("_on_prev", _previous_gas_on(grid_on, marginal))
+    else:
+        d = previous_values(d, keys, "_pos", {"_on_prev": "gas_on"}, short=(levels == 0), cfg=cfg,
+                            materialize=materialize)
     prev_on = F.coalesce(col("_on_prev"), F.lit(0.0))
     d = d.withColumns({
         "gas_start": F.when((col("gas_on") > 0) & (prev_on <= 0), 1.0).otherwise(0.0),
@@ -343,7 +385,8 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
                      + col("gas_start") * col("gas_startup_cost_usd")
                      + col("gas_on") * gas_no_load_cost() * dt)
     return d.drop("_E1", "_E2", "_gas_ok", "_pos", "_x", "_a1", "_s1p", "_need", "_gas_d", "_surplus",
-                  "_on_prev", "gen", "_ng_zero")
+                  "_on_prev", "gen", "_ng_zero", "_s1pp", "_p_wind_mw", "_p_solar_mw", "_p_natgas_mw",
+                  "_p_load_mw", "_p_price")
 
 
 # ---------------------------------------------------------------------------
