@@ -188,15 +188,20 @@ def _stream_scan(df: DataFrame, keys: Sequence[str], pos: str, a: str, lo: str |
 
 
 def shuffle_partitions(df: DataFrame) -> int:
-    """Partition count for the row-multiplying / Python stages.
+    """The session's shuffle partition count (the cluster's sizing knob); AQE may resize it."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
-    Twice the session's shuffle partition count (the cluster's sizing knob):
-    the stage after a candidate fan-out holds many times more rows than the
-    table it was built from.  Being an explicit count it is never coalesced by
-    AQE, and being different from the upstream count it is never optimised out
-    as a repeat of the upstream partitioning.
+
+def fanout_partitions(df: DataFrame) -> int:
+    """Partition count for stages after a row-multiplying fan-out.
+
+    Twice the session's shuffle partition count: the fanned-out stage holds
+    many times more rows than the table it is built from, so its partitioning
+    is fixed before the fan-out (an explicit count is never coalesced by AQE,
+    and being different from the upstream count it is never optimised out as
+    a repeat of the upstream partitioning).
     """
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return 2 * shuffle_partitions(df)
 
 
 def levels_needed(position_range: int, span: int, fan_in: int, top_limit: int) -> int:

@@ -393,55 +393,64 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
 # D5 ramp-limited gas follow
 # ---------------------------------------------------------------------------
 
-_RAMP_IN = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("t", "u", "d")]))
-
-
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _ramp_kernel(steps: pa.Array) -> pa.Array:
-    """g_t = min(g_{t-1} + u_t, max(g_{t-1} - d_t, target_t)), g_0 = 0; vectorised over keys."""
-    if isinstance(steps, pa.ChunkedArray):
-        steps = steps.combine_chunks()
-    offs = steps.offsets.to_numpy().astype(np.int64)
-    vals = steps.values.slice(offs[0], offs[-1] - offs[0])
-    offs = offs - offs[0]
-    t = vals.field("t").to_numpy(zero_copy_only=False).astype(np.float64)
-    u = vals.field("u").to_numpy(zero_copy_only=False).astype(np.float64)
-    dn = vals.field("d").to_numpy(zero_copy_only=False).astype(np.float64)
-    lens = np.diff(offs)
-    starts = offs[:-1]
-    g = np.zeros(len(lens))
-    out = np.empty(len(t))
-    for j in range(int(lens.max()) if len(lens) else 0):
-        m = lens > j
-        idx = starts[m] + j
-        gm = np.minimum(g[m] + u[idx], np.maximum(g[m] - dn[idx], t[idx]))
-        g[m] = gm
-        out[idx] = gm
-    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(out))
+def _stream_ramp_fn(key_names: list[str]):
+    """mapInArrow body for D5: rows sorted by (keys, position) in each partition.
+
+    ``g_t = min(g_{t-1} + u_t, max(g_{t-1} - d_t, target_t))``, ``g_0 = 0`` per key;
+    the state is carried across batches, the step is vectorised over keys.
+    """
+    def fold(batches):
+        carry_key, carry_g = None, None
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                yield rb.append_column("_gr", pa.array([], pa.float64()))
+                continue
+            kcols = [rb.column(k).to_numpy(zero_copy_only=False) for k in key_names]
+            t = rb.column("_tg").to_numpy(zero_copy_only=False).astype(np.float64)
+            u = rb.column("_ru").to_numpy(zero_copy_only=False).astype(np.float64)
+            dn = rb.column("_rd").to_numpy(zero_copy_only=False).astype(np.float64)
+            new = np.zeros(n, dtype=bool)
+            new[0] = True
+            for kc in kcols:
+                new[1:] |= kc[1:] != kc[:-1]
+            starts = np.flatnonzero(new)
+            lens = np.diff(np.append(starts, n))
+            g = np.zeros(len(starts))
+            if carry_key is not None and all(kc[0] == ck for kc, ck in zip(kcols, carry_key)):
+                g[0] = carry_g
+            out = np.empty(n)
+            for j in range(int(lens.max())):
+                m = lens > j
+                idx = starts[m] + j
+                gm = np.minimum(g[m] + u[idx], np.maximum(g[m] - dn[idx], t[idx]))
+                g[m] = gm
+                out[idx] = gm
+            carry_key = tuple(kc[-1] for kc in kcols)
+            carry_g = out[-1]
+            yield rb.append_column("_gr", pa.array(out))
+    return fold
 
 
 def gas_follow(d: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None) -> DataFrame:
     """Gas output follows the deficit ``_need`` within ramp limits, then lifts to pmin_t when on.
 
     The ramp recursion is not a clamp of the previous value, so it does not
-    compose into a constant-size summary: it runs as one ordered fold per key
-    (Spark groups and sorts the key's steps, an Arrow kernel folds them,
-    vectorised over all keys of a batch).  A lift to ``pmin_t`` may break a ramp
+    compose into a constant-size summary: it runs as an ordered streaming fold
+    (rows hash-partitioned by key and sorted by position; an Arrow kernel
+    carries the state from row to row, vectorised over the keys of a batch, so
+    memory per task stays bounded).  A lift to ``pmin_t`` may break a ramp
     limit; ``dispatch_audit`` reports it.
     """
+    from wattline.operators.balance import shuffle_partitions
     keys = list(keys)
     target = F.least(col("pmax_t"), col("_need"))
     d = d.withColumns({"_ru": col("gas_ramp_up_mw_per_h") * col("dt_hours"),
                        "_rd": col("gas_ramp_down_mw_per_h") * col("dt_hours"), "_tg": target})
     d = _detach(d, cfg)
-    steps = F.struct(col("_pos").alias("p"), col("_tg").alias("t"), col("_ru").alias("u"), col("_rd").alias("d"))
-    payload = [c for c in d.columns if c not in keys]
-    g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(steps.alias("s"), F.struct(*payload).alias("r"))))
-                             .alias("_rows"))
-    g = g.withColumn("_g", _ramp_kernel(F.transform("_rows", lambda e: F.struct(
-        e["s"]["t"].alias("t"), e["s"]["u"].alias("u"), e["s"]["d"].alias("d")))))
-    out = g.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("e"), F.col("_g").alias("g"))))
-    out = _attach(out.select(*keys, "e.r.*", F.col("g").alias("_gr")).drop("_ru", "_rd", "_tg"), cfg)
+    d = d.repartition(shuffle_partitions(d), *keys).sortWithinPartitions(*keys, "_pos")
+    out = d.mapInArrow(_stream_ramp_fn(keys), T.StructType(d.schema.fields + [T.StructField("_gr", T.DoubleType())]))
+    out = _attach(out.drop("_ru", "_rd", "_tg"), cfg)
     return out.withColumn("_gas_d", F.when(col("_gr") > EPS_ON, F.least(col("pmax_t"),
                                                                        F.greatest(col("pmin_t"), col("_gr"))))
                           .otherwise(F.lit(0.0))).drop("_gr")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions.econ import annual_figures, annualized_cost, with_econ
-from wattline.operators.balance import levels_for, shuffle_partitions
+from wattline.operators.balance import fanout_partitions, levels_for
 from wattline.operators.dispatch import interval_position, serve_first_dispatch
 from wattline.operators.metrics import run_metrics
 from wattline.session import materialize_table
@@ -132,7 +132,7 @@ def sweep_dispatch(iv: DataFrame, cands: DataFrame, cfg: Mapping[str, Any], refs
     # the interval table is hash-partitioned by site before the fan-out: the fan-out
     # then runs in parallel and every (site, candidate) key is already in one
     # partition, so the much larger fanned-out table is never shuffled
-    fan = iv.repartition(shuffle_partitions(iv), "site_id").join(params.hint("shuffle_hash"), "site_id")
+    fan = iv.repartition(fanout_partitions(iv), "site_id").join(params.hint("shuffle_hash"), "site_id")
     fan = fan.withColumns({
         "solar_mw": F.when(c("ref_solar_mw") > 0, c("solar_mw") * (c("cand_solar_mw") / c("ref_solar_mw")))
         .otherwise(F.lit(0.0)),
@@ -264,7 +264,7 @@ def gas_capacity_sweep(iv: DataFrame, base: Mapping[str, Any], capacities: Seque
     zero = iv.groupBy("site_id").agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0))))
                                       <= F.lit(1e-9)).alias("_ng_zero"))
     levels = levels_for(iv.withColumn("dt_hours", F.lit(float(base.get("dt_hours", 1.0)))), interval_position())
-    fan = (iv.repartition(shuffle_partitions(iv), "site_id")
+    fan = (iv.repartition(fanout_partitions(iv), "site_id")
            .join(zero.join(cands, "site_id").hint("shuffle_hash"), "site_id"))
     disp = serve_first_dispatch(fan, keys=KEYS, cfg=cfg, levels=levels, prepartitioned=(levels == 0))
     m = run_metrics(disp, keys=KEYS)
@@ -350,7 +350,7 @@ def batch_grid(iv: DataFrame, base: Mapping[str, Any], loads: Sequence[float], p
                              F.lit(float(pw)).alias("power_mw"), F.lit(int(st)).alias("stacks"))
                     for i, (lv, pw, st) in enumerate(combos)])
     zero = iv.groupBy("site_id").agg((F.sum(F.abs(F.coalesce(c("load_mw"), F.lit(0.0)))) < 1e-9).alias("_load_zero"))
-    fan = (iv.repartition(shuffle_partitions(iv), "site_id").join(zero.hint("shuffle_hash"), "site_id")
+    fan = (iv.repartition(fanout_partitions(iv), "site_id").join(zero.hint("shuffle_hash"), "site_id")
            .select("*", F.inline(arr)))
     fan = fan.withColumns({"load_mw": F.when(c("_load_zero"), c("load_level_mw")).otherwise(c("load_mw")),
                            "battery_power_mw": c("power_mw") * c("stacks")})
