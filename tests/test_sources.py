@@ -83,3 +83,15 @@ def test_parse_values_and_action_code(spark):
     assert out == [[10.0, 20.0, 30.0], [1.0], [1.0]]
     acts = spark.createDataFrame([(" c ",), (None,), ("d",)], "a string").select(action_code(F.col("a")).alias("x"))
     assert [r.x for r in acts.collect()] == ["C", "", "D"]
+
+
+def test_gas_availability_and_tidy(spark):
+    from wattline.functions.clean import tidy_columns, with_gas_availability
+    df = spark.createDataFrame([(1, 5.0, None, "3", None), (1, 6.0, 2.0, "x", None)],
+                               "site_id long, natgas_mw double, gas_avail_mw double, `Unnamed: 0` string, "
+                               "empty double")
+    av = [r.gas_avail_mw for r in with_gas_availability(df).collect()]
+    assert av == [5.0, 2.0]
+    assert [r.gas_avail_mw for r in with_gas_availability(df.drop("gas_avail_mw")).collect()] == [5.0, 6.0]
+    t = tidy_columns(df, keep=("site_id",))
+    assert t.columns == ["site_id", "natgas_mw", "gas_avail_mw"]

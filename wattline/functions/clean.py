@@ -83,3 +83,28 @@ def in_daytime(ts: Column, first_hour: int = 7, last_hour: int = 22) -> Column:
 def month_label(ts: Column) -> Column:
     """'yyyy-MM'."""
     return F.date_format(ts, "yyyy-MM")
+
+
+def with_gas_availability(df: DataFrame, column: str = "gas_avail_mw") -> DataFrame:
+    """The gas availability column falls back to the gas column when absent (or null)."""
+    if column in df.columns:
+        return df.withColumn(column, F.coalesce(F.col(column).try_cast("double"), F.col("natgas_mw")))
+    return df.withColumn(column, F.col("natgas_mw"))
+
+
+def tidy_columns(df: DataFrame, keep: Sequence[str] = ("site_id", "ts")) -> DataFrame:
+    """P20: drop all-null and ``Unnamed*`` columns, coerce the rest to numbers.
+
+    One aggregation job counts the non-null values of every column (partial
+    counts per task, one row to the driver); ``keep`` columns are left as is.
+    Duplicate names cannot occur in a DataFrame built by this library.
+    """
+    import re
+
+    cand = [c for c in df.columns if c not in keep and not re.match(r"^Unnamed", c)]
+    if not cand:
+        return df.select(*[c for c in df.columns if c in keep])
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cand)]).first()
+    alive = [c for i, c in enumerate(cand) if counts[f"c{i}"] > 0]
+    return df.select(*[c for c in df.columns if c in keep],
+                     *[F.col(f"`{c}`").try_cast("double").alias(c) for c in alive])

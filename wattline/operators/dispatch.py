@@ -93,7 +93,11 @@ def scale_renewables(df: DataFrame, ref_solar: Column | float, ref_wind: Column
 
 
 def gas_cap(natgas: Column | None = None) -> Column:
-    """Per-interval gas availability cap (static, profile, or least(profile, pmax))."""
+    """Per-interval gas availability cap (static, profile, or least(profile, pmax)).
+
+    The profile is the gas column (or a separate availability column, P3,
+    passed as ``natgas``).
+    """
     ng = F.greatest(F.lit(0.0), F.coalesce(natgas if natgas is not None else col("natgas_mw"), F.lit(0.0)))
     pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
     use = col("gas_use_profile_as_cap")
