@@ -190,7 +190,7 @@ def _previous_gas_on(grid_on: bool, marginal: Column) -> Column:
     battery, no ramp fold) applied to the previous row; null on a key's first row.
     """
     ng = col("_p_natgas_mw")
-    gen_ren = F.coalesce(col("_p_wind_mw"), F.lit(0.0)) + F.coalesce(col("_p_solar_mw"), F.lit(0.0))
+    gen_ren = col("_p_gen_ren")      # the previous row's coalesce(wind) + coalesce(solar)
     cap = gas_cap(ng)
     pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
     pmax_t = F.greatest(F.lit(0.0), F.least(F.when(pmax > 0, pmax).otherwise(cap), cap))
@@ -323,8 +323,11 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
         if not prepartitioned:
             thin = thin.repartition(shuffle_partitions(thin), *keys)
         wk = Window.partitionBy(*keys).orderBy("_pos")
-        thin = thin.withColumns({f"_p_{c}": F.lag(c).over(wk)
-                                 for c in ("wind_mw", "solar_mw", "natgas_mw", "load_mw", "price")})
+        lagged = {"_p_gen_ren": F.coalesce(col("wind_mw"), F.lit(0.0)) + F.coalesce(col("solar_mw"), F.lit(0.0)),
+                  "_p_natgas_mw": col("natgas_mw"), "_p_load_mw": col("load_mw")}
+        if grid_on:
+            lagged["_p_price"] = col("price")
+        thin = thin.withColumns({n: F.lag(e).over(wk) for n, e in lagged.items()})
     d = bounded_balance(thin, keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p", levels=levels,
                         prepartitioned=(prepartitioned or prev_inputs) and levels == 0,
                         prev2_out="_s1pp" if prev_inputs else None)
@@ -389,8 +392,7 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
                      + col("gas_start") * col("gas_startup_cost_usd")
                      + col("gas_on") * gas_no_load_cost() * dt)
     return d.drop("_E1", "_E2", "_gas_ok", "_pos", "_x", "_a1", "_s1p", "_need", "_gas_d", "_surplus",
-                  "_on_prev", "gen", "_ng_zero", "_s1pp", "_p_wind_mw", "_p_solar_mw", "_p_natgas_mw",
-                  "_p_load_mw", "_p_price")
+                  "_on_prev", "gen", "_ng_zero", "_s1pp", "_p_gen_ren", "_p_natgas_mw", "_p_load_mw", "_p_price")
 
 
 # ---------------------------------------------------------------------------
