@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm.common import prepare
+from pyspark.sql import functions as F
+
+from wattline.llm import language, packing, quality
+from wattline.llm.common import fold, prepare
 from wattline.llm.exact_dedup import exact_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +20,34 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside fold 0 of five."""
+    docs = _documents(spark, sf_dir)
+    profiles = language.train(docs.where(fold("doc_id", language.FOLDS) != 0))
+    out = language.predict(docs, profiles, carry=["doc_id"])
+    return out.select("row.doc_id", (fold("row.doc_id", language.FOLDS) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside fold 0 of five."""
+    docs = _documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = quality.score(docs, model, carry=["doc_id"])
+    return out.select("row.doc_id", (fold("row.doc_id", quality.FOLDS) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents, one row per document."""
     out = exact_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -32,6 +63,9 @@ FROM n WINDOW best AS (PARTITION BY t ORDER BY len DESC, doc_id)
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_language": op2_language,
+    "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
