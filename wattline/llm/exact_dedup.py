@@ -1,8 +1,10 @@
 """Exact duplicates by content sort, in DataFrame operations only.
 
-Rows are range-partitioned by their normalised text (Spark samples the
-splitters), sorted externally inside the partitions, and neighbours are
-compared in full by the window over the sorted runs.  A text with many copies
+Rows are range-partitioned by their normalised text: Spark samples the
+splitters, which hold the first PREFIX characters and, for texts that begin
+alike, a hash of the whole, so that the sample stays small.  The partitions are
+sorted externally, and neighbours are compared in full by the window over the
+sorted runs.  A text with many copies
 would fill one partition, so texts that hold more than 1/2048 of the rows are
 found first by a pre-aggregated count; only their key is extended by a salt
 from the id, which cuts them into runs.  The runs' heads, at most a few
@@ -23,6 +25,8 @@ from wattline.llm.common import saved
 #: Runs of one text hold about 1/HOT_SHARES of the rows at most.
 HOT_SHARES = 2048
 HOT_ROWS = 1024
+#: Characters of a text in the splitters.
+PREFIX = 32
 #: White space that the comparison ignores.
 IGNORED = " \t\n\x0b\f\r"
 
@@ -56,9 +60,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = (base.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
              .withColumn("salt", F.when(F.col("runs").isNotNull(),
                                         F.pmod(F.xxhash64("id"), F.col("runs"))).otherwise(F.lit(0).cast("long")))
-             .withColumn("hot", F.col("runs").isNotNull()).drop("h", "hot_h", "runs")
-             .repartitionByRange("key", "salt"))
-    run = Window.partitionBy("key", "salt")
+             .withColumn("hot", F.col("runs").isNotNull()).drop("hot_h", "runs")
+             .withColumn("prefix", F.substring("key", 1, PREFIX))
+             .repartitionByRange("prefix", "h", "salt"))
+    run = Window.partitionBy("prefix", "h", "salt", "key")
     best = run.orderBy(F.col("len").desc(), F.col("id").asc_nulls_last())
     told = (dealt
             .withColumn("place", F.row_number().over(best))
@@ -67,7 +72,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .withColumn("run_size", F.count(F.lit(1)).over(run))
             .withColumn("sha", F.sha2("key", 256))
             .withColumn("head", F.when(F.col("hot") & (F.col("place") == 1), F.col("key")))
-            .drop("key", "len"))
+            .drop("key", "len", "h", "prefix"))
     told = saved(told)
     whole = Window.partitionBy("head")
     first = whole.orderBy(F.col("run_len").desc(), F.col("run_keep").asc_nulls_last())
