@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from wattline.llm import language, packing, quality
 from wattline.llm.common import fold, prepare
 from wattline.llm.exact_dedup import exact_dedup
+from wattline.llm.substring_dedup import substring_dedup
+from wattline.llm.suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,12 +50,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents in 100-byte strings that also start earlier."""
+    out = suffix_dedup(_documents(spark, sf_dir))
+    return out.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents, one row per document."""
     out = exact_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(out.id.alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents in 50-word windows that an earlier one has."""
+    out = substring_dedup(_documents(spark, sf_dir))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
@@ -66,7 +81,9 @@ QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_suffix_array": op6_suffix_array,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_recompression": op10_recompression,
 }
 
 ORACLES: dict[str, str] = {
