@@ -16,7 +16,9 @@ and ids are packed each for itself; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,45 +39,69 @@ SEQUENCES = 1 << 36
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins across space or newline:
-    the ids of each new word between them are computed once and kept."""
+    """Ids of texts by a byte-level BPE tokenizer with word ends that lowers
+    its input and never joins across space or newline.  The ids of each new
+    word between them are computed once and kept.  A word of letters is one
+    unit for the BPE model and goes to it directly; so does a final stop after
+    letters; all other words take the tokenizer's whole way."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self._known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new words as one text; offsets tell which word an id is of."""
-        if len(self._known) + len(new) > CACHE_WORDS:
-            self._known.clear()
-        for lo in range(0, len(new), 4096):
-            part = new[lo:lo + 4096]
-            e = self._tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in part])
-            at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-            ids = np.array(e.ids, np.uint32)
-            cut = np.searchsorted(np.searchsorted(ends, at, side="right"), np.arange(len(part) + 1))
-            for k, w in enumerate(part):
-                self._known[w] = ids[cut[k]:cut[k + 1]].tobytes()
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow 255 in order
+        same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(same)]
+        self._letters = {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        if set(self._letters.values()) != set(pre_tokenizers.ByteLevel.alphabet()):
+            raise ValueError("not the byte-level alphabet")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _letters_only(self, word: str) -> bytes:
+        """Ids of a word of letters."""
+        low = word if word.isascii() else unicodedata.normalize("NFC", word)
+        low = low.lower()
+        if not low.isalpha():
+            return self._whole(word)
+        found = self._known.get(low)
+        if found is None:
+            text = low if low.isascii() else low.encode().decode("latin-1").translate(self._letters)
+            found = array("I", [t.id for t in self._model.tokenize(text)]).tobytes()
+            self._known[low] = found
+        return found
+
+    def _learn(self, new: set[str]) -> None:
+        known = self._known
+        stop = {c: self._whole(c) for c in ".,"}
+        for w in new:
+            if w.isalpha() and "\u03a3" not in w:  # a final capital sigma is lowered otherwise
+                known[w] = self._letters_only(w)
+            elif w[-1:] in stop and w[:-1].isalpha() and "\u03a3" not in w:
+                known[w] = self._letters_only(w[:-1]) + stop[w[-1]]
+            else:
+                known[w] = self._whole(w)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
         out = []
         for text in texts:
             parts = text.replace("\n", " ").split(" ")
-            known = self._known
-            try:
-                out.append(np.frombuffer(b"".join([known[w] for w in parts]), np.uint32))
-            except KeyError:
-                distinct = dict.fromkeys(parts)
-                self._learn([w for w in distinct if w not in known])
-                if not all(w in known for w in distinct):  # the cache was emptied
-                    self._learn(list(distinct))
-                out.append(np.frombuffer(b"".join([known[w] for w in parts]), np.uint32))
+            ids = list(map(self._known.get, parts))
+            if None in ids:
+                new = {w for w, i in zip(parts, ids) if i is None}
+                if len(self._known) + 2 * len(new) > CACHE_WORDS:
+                    self._known.clear()
+                    new = set(parts)
+                self._learn(new)
+                ids = map(self._known.__getitem__, parts)
+            out.append(np.frombuffer(b"".join(ids), np.uint32))
         return out
 
 
