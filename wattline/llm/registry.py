@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wattline.llm import language, packing, quality
 from wattline.llm.common import fold, prepare
 from wattline.llm.exact_dedup import exact_dedup
+from wattline.llm.near_dedup import near_dedup
 from wattline.llm.substring_dedup import substring_dedup
 from wattline.llm.suffix_dedup import suffix_dedup
 
@@ -57,6 +58,11 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near duplicates of all documents."""
+    return near_dedup(_documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents, one row per document."""
     out = exact_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_suffix_array": op6_suffix_array,
+    "op7_dart_minhash": op7_dart_minhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_recompression": op10_recompression,
 }
