@@ -18,7 +18,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once inside a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -27,6 +27,7 @@ _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long documents stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from wattline.llm.common import Texts, chunks, partitions, saved
 
 NULL_ID = -(1 << 63)
 #: Entries a task gathers before it settles them and hands them on.
-GATHER = 1 << 20
+GATHER = 1 << 18
 #: A key with more contexts than this is split further before it is verified.
 CROWD = 1024
 
@@ -128,9 +128,10 @@ def messages(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(c: Columns, by: str, layout: list[tuple[str, str]], buckets: int) -> list[tuple]:
-    """Message rows that carry ``c`` to buckets by the high bits of ``by``."""
+    """Message rows that carry ``c`` to buckets by the high bits of ``by``; in
+    order of documents, which compresses best."""
     at = bucket_of(c[by], buckets)
-    order = np.argsort(at, kind="stable")
+    order = np.lexsort([c["start"], c["doc"], at])
     cut = np.searchsorted(at[order], np.arange(buckets + 1))
     return [(0, k, 0, 0, packed(c, layout, order[cut[k]:cut[k + 1]])) for k in range(buckets) if cut[k] < cut[k + 1]]
 
