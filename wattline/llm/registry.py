@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from wattline.llm import language, packing, quality
+from wattline.llm import language, lm, packing, quality
 from wattline.llm.common import fold, prepare
 from wattline.llm.exact_dedup import exact_dedup
 from wattline.llm.near_dedup import near_dedup
@@ -69,6 +69,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(out.id.alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language model scores of all documents, learned outside fold 2 of seven."""
+    out = lm.score(_documents(spark, sf_dir), "crc32(coalesce(cast(doc_id AS string), '')) % 7 != 2")
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents in 50-word windows that an earlier one has."""
     out = substring_dedup(_documents(spark, sf_dir))
@@ -90,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_array": op6_suffix_array,
     "op7_dart_minhash": op7_dart_minhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_elias_fano_lm": op9_elias_fano_lm,
     "op10_recompression": op10_recompression,
 }
 
