@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from wattline.llm import language, lm, packing, quality
+from wattline.llm import language, lm, packing, quality, sampling
 from wattline.llm.common import fold, prepare
 from wattline.llm.exact_dedup import exact_dedup
 from wattline.llm.near_dedup import near_dedup
@@ -38,6 +38,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", (fold("row.doc_id", language.FOLDS) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op3_gumbel_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sampled segmentations of every document, with their decoding."""
+    out = sampling.sample_segmentations(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    return out.select("row.doc_id", *out.columns[1:])
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned outside fold 0 of five."""
     docs = _documents(spark, sf_dir)
@@ -91,6 +97,7 @@ FROM n WINDOW best AS (PARTITION BY t ORDER BY len DESC, doc_id)
 
 QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
+    "op3_gumbel_segmentation": op3_gumbel_segmentation,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_suffix_array": op6_suffix_array,
