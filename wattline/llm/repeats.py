@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import Texts, chunks, partitions, saved
+from wattline.llm.common import Texts, chunks, mix, partitions, saved
 
 NULL_ID = -(1 << 63)
 #: Entries a task gathers before it settles them and hands them on.
@@ -128,9 +128,9 @@ def messages(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def dealt(c: Columns, by: str, layout: list[tuple[str, str]], buckets: int) -> list[tuple]:
-    """Message rows that carry ``c`` to buckets by the high bits of ``by``; in
+    """Message rows that carry ``c`` to buckets by a hash of ``by``; in
     order of documents, which compresses best."""
-    at = bucket_of(c[by], buckets)
+    at = bucket_of(mix(c[by]), buckets)
     order = np.lexsort([c["start"], c["doc"], at])
     cut = np.searchsorted(at[order], np.arange(buckets + 1))
     return [(0, k, 0, 0, packed(c, layout, order[cut[k]:cut[k + 1]])) for k in range(buckets) if cut[k] < cut[k + 1]]
