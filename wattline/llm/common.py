@@ -20,8 +20,9 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 1 << 20
 
-_WS = np.zeros(256, bool)
-_WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes between words.
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def prepare(spark: SparkSession) -> None:
@@ -146,8 +147,14 @@ class Words:
     first: np.ndarray
 
 
-def words(t: Texts, seed: int = 0, lower: bool = False) -> Words:
-    """Cut a chunk into words; ``lower`` hashes A-Z as a-z."""
+#: Bytes that aren't part of words of letters and digits.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(t: Texts, seed: int = 0, lower: bool = False, breaks: np.ndarray = WHITE) -> Words:
+    """Cut a chunk into words; ``lower`` hashes A-Z as a-z, ``breaks`` says
+    which bytes lie between words."""
     data = t.data
     if lower and len(data):
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
@@ -155,7 +162,7 @@ def words(t: Texts, seed: int = 0, lower: bool = False) -> Words:
     # a document's end is a break too
     brk = np.zeros(n + 1, bool)
     brk[t.offsets] = True
-    ink = ~_WS[data] if n else np.zeros(0, bool)
+    ink = ~breaks[data] if n else np.zeros(0, bool)
     before = np.zeros(n, bool)
     before[1:] = ink[:-1]
     start = np.flatnonzero(ink & (~before | brk[:n]))

@@ -28,7 +28,7 @@ score.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import U64, chunks, mix, partitions, saved, within, words
+from wattline.llm.common import U64, WHITE, chunks, mix, partitions, saved, within, words
 from wattline.llm.elias_fano import Trie
 from wattline.llm.repeats import bucket_of
 
@@ -106,8 +106,9 @@ class Block:
         return before
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """``docs`` has id, train, text; returns block, data."""
+def as_blocks(docs: DataFrame, limit: int = BLOCK_TOKENS, end: bool = True, breaks: np.ndarray = WHITE) -> DataFrame:
+    """``docs`` has id, train, text; returns block, data.  Blocks have about
+    ``limit`` tokens; documents have an ``end`` or not."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         hashes, sizes, train, ids = [], [], [], []
@@ -120,19 +121,19 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t in chunks(batch, "text"):
-                w = words(t, lower=True)
+                w = words(t, lower=True, breaks=breaks)
                 size = np.diff(w.first)
-                of, k = within(size + 1)
+                of, k = within(size + end)
                 h = np.full(len(of), _END)
                 inside = k < size[of]
                 h[inside] = w.hash
                 hashes.append(h)
-                sizes.append(size + 1)
+                sizes.append(size + end)
                 train.append(batch.column("train")[t.rows].to_numpy(zero_copy_only=False))
                 ids.append(batch.column("id")[t.rows])
                 tokens += len(h)
                 docs_held += len(t)
-                if tokens >= BLOCK_TOKENS or docs_held >= BLOCK_DOCS:
+                if tokens >= limit or docs_held >= BLOCK_DOCS:
                     yield block()
                     number += 1
                     hashes, sizes, train, ids = [], [], [], []
@@ -153,14 +154,14 @@ def _cuts(sorted_: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(sorted_, np.arange(n + 1))
 
 
-def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
+def word_counts(blocks: DataFrame, shards: int, count: Callable[[Block], np.ndarray] = Block.counts) -> DataFrame:
     """block, shard, data: the block's words of the shard and their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 b = Block(data.as_buffer())
                 cut = _cuts(bucket_of(b.vocabulary, shards), shards)  # ascending, as the hashes are
-                n = b.counts()
+                n = count(b)
                 yield from _rows([(number, k, struct.pack("<q", hi - lo) + b.vocabulary[lo:hi].astype("<u8").tobytes()
                                    + planes(n[lo:hi])) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi],
                                  ("block", "shard"))
@@ -168,7 +169,7 @@ def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
     return blocks.mapInArrow(run, "block long, shard int, data binary")
 
 
-def _word_replies(counts: DataFrame, shards: int) -> DataFrame:
+def word_replies(counts: DataFrame, shards: int) -> DataFrame:
     """block, shard, data: global count and id of each word that was sent; and
     a row of block -1 with the shard's tokens and distinct training words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,18 +192,20 @@ def _word_replies(counts: DataFrame, shards: int) -> DataFrame:
     return counts.repartitionById(shards, F.col("shard")).mapInArrow(run, "block long, shard int, data binary")
 
 
-def _by_block(replies: DataFrame, name: str) -> DataFrame:
+def by_block(replies: DataFrame, name: str) -> DataFrame:
     return replies.where("block >= 0").groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("shard", "data"))).alias(name))
 
 
-def _word_facts(replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def word_facts(replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Count and id of each word of a block's vocabulary."""
     n, i = [], []
     for r in replies:
         a, at = unplaned(r["data"], 0)
         n.append(a)
         i.append(unplaned(r["data"], at)[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(n).astype(np.int64), np.concatenate(i).astype(np.int64)
 
 
@@ -254,7 +257,7 @@ def _bigram_counts(told: DataFrame, total: int, shards: int) -> DataFrame:
             for number, data, replies in zip(batch.column("block").to_pylist(), batch.column("data"),
                                              batch.column("words").to_pylist()):
                 b = Block(data.as_buffer())
-                g = Bigrams(b, *_word_facts(replies), total, shards)
+                g = Bigrams(b, *word_facts(replies), total, shards)
                 for k, (lo, hi) in enumerate(zip(g.cut[:-1], g.cut[1:])):
                     if lo < hi:
                         first, n = _context_runs(g.context[lo:hi])
@@ -312,7 +315,7 @@ def _scored(told: DataFrame, total: int, distinct: int, shards: int) -> DataFram
             for data, word_replies, replies in zip(batch.column("data"), batch.column("words").to_pylist(),
                                                    batch.column("bigrams").to_pylist()):
                 b = Block(data.as_buffer())
-                count, ids = _word_facts(word_replies)
+                count, ids = word_facts(word_replies)
                 base = (count + 1) / (total + distinct + 1)
                 p = base[b.tokens]
                 g = Bigrams(b, count, ids, total, shards)
@@ -356,10 +359,10 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
     shards = partitions(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.expr(train).cast("int").alias("train"),
                      F.col(f"`{text_col}`").alias("text"))
-    blocks = saved(_blocks(docs))
-    replies = saved(_word_replies(_word_counts(blocks, shards), shards))
+    blocks = saved(as_blocks(docs))
+    replies = saved(word_replies(word_counts(blocks, shards), shards))
     sums = [struct.unpack("<qq", r["data"]) for r in replies.where("block < 0").select("data").collect()]
     total, distinct = sum(s[0] for s in sums), sum(s[1] for s in sums)
-    told = blocks.join(_by_block(replies, "words").hint("shuffle_hash"), "block")
-    answers = _by_block(_bigram_replies(_bigram_counts(told, total, shards), shards), "bigrams")
+    told = blocks.join(by_block(replies, "words").hint("shuffle_hash"), "block")
+    answers = by_block(_bigram_replies(_bigram_counts(told, total, shards), shards), "bigrams")
     return _scored(told.join(answers.hint("shuffle_hash"), "block", "left"), total, distinct, shards)

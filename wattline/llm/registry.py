@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from wattline.llm import language, lm, packing, quality, sampling
+from wattline.llm import language, lm, packing, quality, sampling, search
 from wattline.llm.common import fold, prepare
 from wattline.llm.exact_dedup import exact_dedup
 from wattline.llm.near_dedup import near_dedup
@@ -30,6 +30,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every twentieth document as query."""
+    out = search.search(_documents(spark, sf_dir), "doc_id % 20 = 0")
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside fold 0 of five."""
     docs = _documents(spark, sf_dir)
@@ -96,6 +102,7 @@ FROM n WINDOW best AS (PARTITION BY t ORDER BY len DESC, doc_id)
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_bm25_search": op1_bm25_search,
     "op2_language": op2_language,
     "op3_gumbel_segmentation": op3_gumbel_segmentation,
     "op4_quality": op4_quality,
