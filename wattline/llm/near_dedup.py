@@ -12,10 +12,14 @@ similarity.
 
 Documents with the same weighted shingles are one class from the start, and
 its smallest document stands for it.  Signatures are cut into ``BANDS`` bands
-of ``ROWS`` values.  Documents that share a band meet in Spark; each is
-compared exactly with the first of its bucket, those that are unlike it once
-more with the first among themselves, and so on, so a bucket of copies costs
-one comparison a document.  Links of similarity ``SIMILARITY`` or more are
+of ``ROWS`` values, and documents that share a band meet in Spark.  There a
+bucket finds leaders: in order of ids, a document whose signature agrees with
+no leader's by ``SURE`` or more becomes one.  Each document is paired with
+every leader whose signature agrees by ``MAYBE`` or more, which is three
+standard deviations below the threshold; so a bucket of near copies costs one
+pair a document.  A bucket of more than ``CROWD`` documents is dealt out by
+document, and its parts' leaders meet once more.  The pairs, once each for all
+bands, are compared exactly, and those of similarity ``SIMILARITY`` or more are
 joined into classes by connected components.  Similar documents fail to share
 any band with a probability of (1 - s^5)^25, which is 5e-5 at s = 0.8.
 
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import U64, SpanHash, Texts, chunks, mix, saved, within, words
+from wattline.llm.common import U64, SpanHash, Texts, chunks, mix, partitions, saved, within, words
 from wattline.llm.components import components
 from wattline.llm.repeats import NULL_ID, keyed_documents
 
@@ -43,6 +47,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
+SURE, MAYBE = 0.88, 0.69
+CROWD = 4096
 DARTS = HASHES * (math.log(HASHES) + 3)
 
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -135,7 +141,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 def _signed(docs: DataFrame) -> DataFrame:
     """doc, ver, the digest of the weighted shingles (a, b; null without
-    shingles), and the bands."""
+    shingles), the bands, and a byte of each signature value."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in chunks(batch, "text"):
@@ -149,14 +155,17 @@ def _signed(docs: DataFrame) -> DataFrame:
                         at = np.searchsorted(doc, np.arange(n + 1))
                         sums.append((c[at[1:]] - c[at[:-1]]).view(np.int64))
                 none = np.bincount(doc, minlength=n) == 0
-                b = bands(signatures(doc, h, weight, n)).view(np.int64)
+                sig = signatures(doc, h, weight, n)
+                b = bands(sig).view(np.int64)
+                low = sig.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc")[t.rows], batch.column("ver")[t.rows], pa.array(sums[0], mask=none),
                      pa.array(sums[1], mask=none),
-                     pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), b.ravel())],
-                    ["doc", "ver", "a", "b", "bands"])
+                     pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), b.ravel()),
+                     pa.array([x.tobytes() for x in low], pa.binary())], ["doc", "ver", "a", "b", "bands", "sketch"])
 
-    return docs.select("doc", "ver", "text").mapInArrow(run, "doc long, ver int, a long, b long, bands array<long>")
+    return docs.select("doc", "ver", "text").mapInArrow(
+        run, "doc long, ver int, a long, b long, bands array<long>, sketch binary")
 
 
 def _named_shingles(docs: DataFrame) -> DataFrame:
@@ -196,40 +205,79 @@ def _similarity(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "names_a", "names_b").mapInArrow(run, schema)
 
 
+_LED = "band int, name long, doc long, ver int, sketch binary, first_doc long, first_ver int"
+
+
+def _led(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Find the leaders of each bucket: a row without ``first`` for each of
+    them, and a row for each pair of a document and a leader like it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket: tuple | None = None
+        known: list[tuple] = []  # the bucket's leaders so far
+        sketches = np.zeros((0, HASHES), np.uint8)
+        for batch in batches:
+            out: list[tuple] = []
+            cols = [batch.column(c).to_pylist() for c in (*keys, "doc", "ver", "sketch")]
+            of = list(zip(*cols[:len(keys)]))
+            sk = np.frombuffer(b"".join(cols[-1]), np.uint8).reshape(-1, HASHES)
+            lo = 0
+            while lo < len(of):
+                hi = lo + 1
+                while hi < len(of) and of[hi] == of[lo]:
+                    hi += 1
+                if of[lo] != bucket:
+                    bucket, known, sketches = of[lo], [], np.zeros((0, HASHES), np.uint8)
+                rows, free = np.arange(lo, hi), np.ones(hi - lo, bool)
+                for one, sketch in zip(known, sketches):  # leaders from the batch before
+                    like = (sk[rows] == sketch).mean(1)
+                    out += [(*bucket[:2], cols[-3][r], cols[-2][r], None, *one) for r in rows[like >= MAYBE]]
+                    free &= like < SURE
+                left = rows[free]
+                while len(left):  # the first becomes a leader; all that follow are compared with it
+                    first, after = left[0], rows[rows > left[0]]
+                    one = (cols[-3][first], cols[-2][first])
+                    out.append((*bucket[:2], *one, cols[-1][first], None, None))
+                    known.append(one)
+                    sketches = np.vstack([sketches, sk[first:first + 1]])
+                    like = (sk[after] == sk[first]).mean(1)
+                    out += [(*bucket[:2], cols[-3][r], cols[-2][r], None, *one) for r in after[like >= MAYBE]]
+                    left = left[1:][like[left[1:] - after[0]] < SURE] if len(left) > 1 else left[:0]
+                lo = hi
+            if out:
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+                                                 ["band", "name", "doc", "ver", "sketch", "first_doc", "first_ver"])
+
+    return (members.select(*keys, "doc", "ver", "sketch").repartition(partitions(members.sparkSession), *keys)
+            .sortWithinPartitions(*keys, "doc", "ver").mapInArrow(run, _LED))
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` of keyed_documents; returns doc, ver, class_doc, class_ver,
     one row per document."""
     me = F.struct("doc", "ver")
     signed = saved(_signed(docs))
     stands = saved(signed.where("a is not null").groupBy("a", "b").agg(
-        F.min(me).alias("rep"), F.min_by("bands", me).alias("bands")))
-    banded = stands.select("rep", F.posexplode("bands").alias("band", "name"))
-    shared = banded.groupBy("band", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = saved(banded.join(shared.hint("shuffle_hash"), ["band", "name"]))
-    need = members.select("rep").distinct().select("rep.doc", "rep.ver")
-    names = saved(_named_shingles(docs.select("doc", "ver", "text").join(
-        need.hint("shuffle_hash"), ["doc", "ver"]).dropDuplicates(["doc", "ver"])).select(me.alias("rep"), "names"))
-    links, root = None, None
-    while not members.isEmpty():
-        first = members.groupBy("band", "name").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"))
-        led = saved(members.join(first.where("n > 1"), ["band", "name"]))
-        pairs = led.where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-        both = (pairs.join(names.select(F.col("rep").alias("b"), F.col("names").alias("names_b")), "b")
-                .join(names.select(F.col("rep").alias("a"), F.col("names").alias("names_a")), "a"))
-        told = saved(_similarity(both))
-        good = told.where(F.col("similarity") >= similarity).select("a", "b")
-        links = good if links is None else saved(links.unionByName(good))
-        root = components(links)
-        # those outside their first's class meet once more, without it
-        of = F.coalesce("root", "rep")
-        mine = root.select(F.col("v").alias("rep"), "root")
-        its = root.select(F.col("v").alias("first"), F.col("root").alias("first_root"))
-        members = saved(led.where("rep != first").join(mine, "rep", "left").join(its, "first", "left")
-                        .where(of != F.coalesce("first_root", "first")).select("rep", "band", "name"))
-    by_rep = stands.select("a", "b", "rep")
-    if root is not None:
-        by_rep = by_rep.join(root.select(F.col("v").alias("rep"), "root"), "rep", "left").select(
-            "a", "b", F.coalesce("root", "rep").alias("rep"))
+        F.min(me).alias("rep"), F.min_by(F.struct("bands", "sketch"), me).alias("s")))
+    banded = stands.select("rep.doc", "rep.ver", "s.sketch", F.posexplode("s.bands").alias("band", "name"))
+    shared = banded.groupBy("band", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = banded.join(shared.hint("shuffle_hash"), ["band", "name"]).withColumn(
+        "part", F.when(F.col("n") > CROWD, F.pmod(F.hash("doc", "ver"), F.ceil(F.col("n") / CROWD))).otherwise(-1))
+    led = saved(_led(members, ["band", "name", "part"]))
+    crowds = shared.where(F.col("n") > CROWD).select("band", "name")
+    again = _led(led.where("first_doc is null").join(crowds, ["band", "name"], "left_semi"), ["band", "name"])
+    pair = lambda d: d.where("first_doc is not null").select(
+        F.struct(F.col("first_doc").alias("doc"), F.col("first_ver").alias("ver")).alias("a"), me.alias("b"))
+    pairs = saved(pair(led).unionByName(pair(again)).where("a != b").distinct())
+    need = pairs.select("a.*").unionByName(pairs.select("b.*")).distinct()
+    names = saved(_named_shingles(docs.select("doc", "ver", "text").join(need.hint("shuffle_hash"), ["doc", "ver"])
+                                  .dropDuplicates(["doc", "ver"])).select(me.alias("rep"), "names"))
+    both = (pairs.join(names.select(F.col("rep").alias("b"), F.col("names").alias("names_b")), "b")
+            .join(names.select(F.col("rep").alias("a"), F.col("names").alias("names_a")), "a"))
+    links = _similarity(both).where(F.col("similarity") >= similarity).select("a", "b")
+    root = components(links)
+    by_rep = stands.select("a", "b", "rep").join(root.select(F.col("v").alias("rep"), "root"), "rep", "left").select(
+        "a", "b", F.coalesce("root", "rep").alias("rep"))
     return signed.select("doc", "ver", "a", "b").join(by_rep, ["a", "b"], "left").select(
         "doc", "ver", F.coalesce(F.col("rep.doc"), F.col("doc")).alias("class_doc"),
         F.coalesce(F.col("rep.ver"), F.col("ver")).alias("class_ver"))
