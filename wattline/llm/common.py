@@ -3,6 +3,7 @@ vectorised views of Arrow string columns (bytes, words, word hashes)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.session import materialize_table
+from wattline.session import checkpoint_dir
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial hashes and its inverse modulo 2^64.
@@ -33,7 +34,10 @@ def prepare(spark: SparkSession) -> None:
 
 def saved(df: DataFrame) -> DataFrame:
     """Write once to the shared checkpoint folder and read back (lineage cut)."""
-    return materialize_table(df)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

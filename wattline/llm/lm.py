@@ -42,7 +42,7 @@ from wattline.llm.repeats import bucket_of
 
 DISCOUNT = 0.75
 #: Tokens and documents of a block.
-BLOCK_TOKENS = 3 << 19
+BLOCK_TOKENS = 3 << 18
 BLOCK_DOCS = 1 << 16
 #: Steps of a quantised logarithm (base 10) from 0 down; the last code is "not there".
 STEP = 2.0 ** -12
@@ -356,7 +356,7 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
     """Learn from the rows where the SQL condition ``train`` holds and score
     all rows: id, held_out, n_tokens, n_known (tokens with a training count),
     train_tokens, base_score (add-one unigrams) and score, both log10."""
-    shards = partitions(df.sparkSession)
+    shards = 2 * partitions(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.expr(train).cast("int").alias("train"),
                      F.col(f"`{text_col}`").alias("text"))
     blocks = saved(as_blocks(docs))
