@@ -10,16 +10,19 @@ falls with its rank in the model, p ~ 1 / (rank + 1), so a segmentation's log
 probability is the sum over its pieces less that of the whole lattice.
 
 Gumbel top-k: giving every segmentation its log probability plus Gumbel noise
-and taking the k largest samples k distinct ones without replacement.  The
-noise is drawn from the top of the lattice down: a prefix holds the maximum of
-its completions, its children get noise conditioned on that maximum.  A-star
-search over prefixes, with these maxima as exact bounds, follows the best
-prefix to its end, keeps the siblings it passes as the frontier, and goes on
-from the largest of them; k complete paths are the sample.  The best bound left
-in the frontier, kappa, gives the inclusion scores 1 - exp(-exp(log p - kappa)).
+and taking the k largest samples k distinct ones without replacement.  A set of
+segmentations of total probability m has a largest perturbed value that is
+Gumbel distributed around log m, below that of any set it is part of; where it
+is largest is drawn in proportion to probability.  A-star search keeps a
+frontier of such sets, each with its largest value as an exact bound.  It takes
+the set with the largest bound, follows the lattice to the segmentation that
+has it, and splits the rest of the set in two: what leaves the new path later
+than the set's own path, and what is left of the set.  k complete paths are the
+sample; the best bound left in the frontier, kappa, gives the inclusion scores
+1 - exp(-exp(log p - kappa)).
 
 All documents of a chunk walk their lattices at once, one piece per step; noise
-is a hash of seed, row key, path, place and edge, so a row's samples depend on
+is a hash of seed, row key, path and place, so a row's samples depend on
 nothing else.
 
 Defined results: null counts as empty; an empty text has one segmentation, the
@@ -47,7 +50,7 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 #: Surrogates, which no text has: for a U+2581 of the text itself, and between words.
 OWN, _CUT = "\ud800", "\ud801"
 #: Words whose lattices a task keeps.
-LATTICES = 200_000
+LATTICES = 30_000
 #: Bytes of text whose lattices are walked together.
 WALK_BYTES = 1 << 19
 
@@ -63,15 +66,18 @@ class Pieces:
         n = model.get_piece_size()
         self.ids: dict[str, int] = {}
         self.byte = np.full(256, -1)
-        self.bytes: list[bytes] = [b""] * n
+        put: list[bytes] = [b""] * n
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte[int(piece[1:-1], 16)] = i
-                self.bytes[i] = bytes([int(piece[1:-1], 16)])
+                put[i] = bytes([int(piece[1:-1], 16)])
             elif _BLANK not in piece[1:] and not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
-                self.bytes[i] = piece.replace(_BLANK, " ").encode()
+                put[i] = piece.replace(_BLANK, " ").encode()
+        self._bytes = np.frombuffer(b"".join(put), np.uint8)
+        self._size = np.array([len(b) for b in put])
+        self._first = np.cumsum(self._size) - self._size
         if (self.byte < 0).any():
             raise ValueError("a model with byte pieces is needed")
         rank = np.arange(1, n + 1)
@@ -80,17 +86,52 @@ class Pieces:
         place = np.full(n, n - 1)
         place[order] = np.arange(len(order))
         self.log_p = self.log_p[place]  # byte pieces come last
-        # for each length the hashes of all beginnings of pieces, and the piece that is one, or -1
-        self.starts: list[tuple[np.ndarray, np.ndarray]] = []
-        for n in range(1, max(map(len, self.ids)) + 1):
-            begin = sorted({w[:n] for w in self.ids if len(w) >= n})
-            h = _string_hash(*_flat(begin))
-            by = np.argsort(h)
-            self.starts.append((h[by], np.array([self.ids.get(w, -1) for w in begin])[by]))
-
-    def decode(self, ids: list[int]) -> str:
-        """The text whose segmentation ``ids`` is."""
-        return b"".join(map(self.bytes.__getitem__, ids))[1:].decode()
+        # a table by hash of all beginnings of pieces, and the piece that is one, or -1
+        self.longest = max(map(len, self.ids))
+        begin = sorted({w[:n] for w in self.ids for n in range(1, len(w) + 1)})
+        self._table = _Table(_string_hash(*_flat(begin)), np.array([self.ids.get(w, -1) for w in begin], np.int32))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._table.find(hashes)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text, in UTF-8, whose segmentation ``ids`` is."""
+        ids = np.asarray(ids, np.int64)
+        of, k = within(self._size[ids])
+        return self._bytes[self._first[ids][of] + k][1:].tobytes()
+
+
+class _Table:
+    """Numbers by 64-bit hash, in open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self._mask = U64((1 << (4 * len(keys)).bit_length()) - 1)
+        self._keys = np.zeros(int(self._mask) + 1, U64)
+        self._values = np.zeros(int(self._mask) + 1, np.int32)
+        at = keys & self._mask
+        while len(keys):
+            free = np.flatnonzero(self._keys[at] == 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self._keys[at[put]], self._values[at[put]] = keys[put], values[put]
+            left = np.delete(np.arange(len(keys)), put)
+            keys, values, at = keys[left], values[left], (at[left] + U64(1)) & self._mask
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and their values."""
+        at = keys & self._mask
+        there = self._keys[at]
+        out = self._values[at]
+        hit = there == keys
+        todo = np.flatnonzero(~hit & (there != 0))
+        while len(todo):
+            at[todo] = (at[todo] + U64(1)) & self._mask
+            there = self._keys[at[todo]]
+            same = there == keys[todo]
+            hit[todo[same]] = True
+            out[todo[same]] = self._values[at[todo[same]]]
+            todo = todo[~same & (there != 0)]
+        return hit, out
 
 
 _vocabularies: dict[str, Pieces] = {}
@@ -123,6 +164,16 @@ def _string_hash(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return h
 
 
+_known: dict[str, "Lattices"] = {}
+
+
+def lattices(path: str) -> "Lattices":
+    """The lattices of a Python worker, begun anew when there are too many."""
+    if path not in _known or len(_known[path].number) > LATTICES:
+        _known[path] = Lattices(pieces(path))
+    return _known[path]
+
+
 class _Rows:
     """Arrays that grow together by appending."""
 
@@ -147,15 +198,16 @@ class Lattices:
 
     A node is a place in a word; ``first`` is each word's first node, ``last``
     marks the ends, and ``head`` and ``count`` tell where a node's edges lie.
-    An edge leads ``to`` a node by a ``piece`` (or -1 - a code point that takes
-    its bytes); ``q`` is its log probability given that its node is reached.
+    An edge leads from ``node`` ``to`` another by a ``piece`` (or -1 - a code point that takes
+    its bytes); ``p`` is its probability given that its node is reached, ``q``
+    the logarithm.
     """
 
     def __init__(self, v: Pieces):
         self.v, self.number = v, {}
-        self._words = _Rows(first=np.int64)
-        self._nodes = _Rows(head=np.int64, count=np.int64, last=bool)
-        self._edges = _Rows(to=np.int64, piece=np.int64, q=float)
+        self._words = _Rows(first=np.int32)
+        self._nodes = _Rows(head=np.int32, count=np.int32, last=bool)
+        self._edges = _Rows(node=np.int32, to=np.int32, piece=np.int32, q=float, p=float)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The number of each word; new ones get their lattice."""
@@ -163,13 +215,15 @@ class Lattices:
         get = self.number.get
         out = list(map(get, words))
         if None in out:
-            new = list(dict.fromkeys(w for w, i in zip(words, out) if i is None))
+            missing = [i for i, x in enumerate(out) if x is None]
+            new = list(dict.fromkeys([words[i] for i in missing]))
             self.number.update(zip(new, range(known, known + len(new))))
             self._add(new)
-            out = list(map(self.number.__getitem__, words))
+            for i in missing:
+                out[i] = self.number[words[i]]
         self.first = self._words["first"]
         self.head, self.count, self.last = (self._nodes[c] for c in ("head", "count", "last"))
-        self.to, self.piece, self.q = (self._edges[c] for c in ("to", "piece", "q"))
+        self.node, self.to, self.piece, self.q, self.p = (self._edges[c] for c in ("node", "to", "piece", "q", "p"))
         return np.array(out, np.int64)
 
     def _add(self, words: list[str]) -> None:
@@ -185,14 +239,14 @@ class Lattices:
         h = np.ones(len(codes), U64)
         live = np.arange(len(codes))
         alone = np.ones(len(codes), bool)  # no piece for this character
-        for n, (hashes, ids) in enumerate(v.starts, 1):
-            live = live[left[live] >= n]
+        for n in range(1, v.longest + 1):
+            more = left[live] >= n
+            live, h = live[more], h[more]
             if not len(live):
                 break
-            h[live] = _roll(h[live], codes[live + n - 1])
-            i = np.minimum(np.searchsorted(hashes, h[live]), len(hashes) - 1)
-            begins = hashes[i] == h[live]
-            live, found = live[begins], ids[i[begins]]
+            h = _roll(h, codes[live + n - 1])
+            begins, found = v.find(h)
+            live, h, found = live[begins], h[begins], found[begins]
             hit = found >= 0
             frm.append(start[live[hit]])
             to.append(start[live[hit]] + n)
@@ -204,7 +258,7 @@ class Lattices:
         to.append(start[lone] + 1)
         piece.append(-1 - codes[lone].astype(np.int64))
         frm, to, piece = (np.concatenate(x) for x in (frm, to, piece))
-        order = np.argsort(frm * 64 + (to - frm))
+        order = np.argsort(frm * 64 + 63 - (to - frm))  # long pieces first, which are mostly the likely ones
         frm, to, piece = frm[order], to[order], piece[order]
         head = np.searchsorted(frm, np.arange(nodes + 1))
         count = np.diff(head)
@@ -224,8 +278,9 @@ class Lattices:
             top = np.maximum.reduceat(s, cut)
             rest[now] = top + np.log(np.add.reduceat(np.exp(s - top[of]), cut))
         edges = self._edges.n
+        q = log_p + rest[to] - rest[frm]
         self._words.append(first=first + self._nodes.n)
-        self._edges.append(to=to + self._nodes.n, piece=piece, q=log_p + rest[to] - rest[frm])
+        self._edges.append(node=frm + self._nodes.n, to=to + self._nodes.n, piece=piece, q=q, p=np.exp(q))
         self._nodes.append(head=head[:-1] + edges, count=count, last=count == 0)
 
 
@@ -240,81 +295,95 @@ def _bytes(code: int) -> list[int]:
     return list((_BLANK if code == ord(OWN) else chr(code)).encode())
 
 
-def _noise(key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Gumbel noise of each (key, place)."""
+def _uniform(key: np.ndarray, place: np.ndarray | int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = mix(key + place.astype(U64) * _GOLD)
-    return -np.log(-np.log(((h >> U64(11)).astype(float) + 0.5) * 2.0 ** -53))
+        h = mix(key + np.asarray(place).astype(U64) * _GOLD)
+    return ((h >> U64(11)).astype(float) + 0.5) * 2.0 ** -53
 
 
-def _walk(lat: Lattices, token: np.ndarray, node: np.ndarray, step: np.ndarray, doc: np.ndarray, key: np.ndarray,
-          top: np.ndarray, prefix: np.ndarray, width: int) -> tuple[dict, dict]:
-    """Walk tokens (in order of ``doc``) from ``node`` to their words' ends.
-
-    ``key`` is the noise key of each token; ``top`` is the bound and ``prefix``
-    the log probability with which each document's walk begins.  Returns the
-    steps taken and, for each document, the ``width`` siblings passed with the
-    largest bounds.
-    """
-    taken: list[tuple] = []
-    passed: list[tuple] = []
+def _walk(lat: Lattices, token: np.ndarray, node: np.ndarray, step: np.ndarray, key: np.ndarray) -> tuple:
+    """Walk from ``node`` to the end of each token's word, each edge taken with
+    its probability; the (token, step, edge) taken, in order."""
+    rows: list[tuple] = []
     at = np.flatnonzero(~lat.last[node])
-    node, now, rows = node[at], step[at], 0
+    node, now = node[at], step[at]
     while len(at):
-        n = lat.count[node]
-        of, k = within(n)
-        e = lat.head[node][of] + k
-        q = lat.q[e]
-        g = q + _noise(key[at][of], (now << 6)[of] + k)
-        cut = np.cumsum(n) - n
-        best = np.maximum.reduceat(g, cut)
-        lost = g != best[of]
-        pick = np.flatnonzero(~lost)
-        if len(pick) > len(node):  # equal noise: the first
-            pick = pick[np.append(True, of[pick][1:] != of[pick][:-1])]
-            lost[:] = True
-            lost[pick] = False
-        taken.append((at, now, e[pick], q[pick]))
-        lost = np.flatnonzero(lost)
-        of = of[lost]
-        passed.append((rows + of, e[lost], q[lost], np.log(np.expm1(np.maximum(best[of] - g[lost], 1e-15))) - best[of]))
-        rows += len(at)
-        node = lat.to[e[pick]]
-        more = ~lat.last[node]
-        node, at, now = node[more], at[more], now[more] + 1
-    cat = lambda rows, n: [np.concatenate(x) if rows else np.zeros(0) for x in (zip(*rows) if rows else [()] * n)]
-    t, s, e, q = cat(taken, 4)
-    t, s, e = t.astype(np.int64), s.astype(np.int64), e.astype(np.int64)
+        e, left = lat.head[node], lat.count[node] - 1
+        u = _uniform(key[at], now)
+        more = np.flatnonzero((u >= lat.p[e]) & (left > 0))
+        while len(more):  # not this edge: the next one, if there is one
+            u[more] -= lat.p[e[more]]
+            e[more] += 1
+            left[more] -= 1
+            more = more[(u[more] >= lat.p[e[more]]) & (left[more] > 0)]
+        rows.append((at, now, e))
+        node = lat.to[e]
+        go = ~lat.last[node]
+        node, at, now = node[go], at[go], now[go] + 1
+    if not rows:
+        return (np.zeros(0, np.int64),) * 3
+    t, s, e = (np.concatenate(x) for x in zip(*rows))
     order = np.argsort((t << 24) + s)
-    sorted_at = np.empty(len(order), np.int64)
-    sorted_at[order] = np.arange(len(order))
-    t, s, e, q = t[order], s[order], e[order], q[order]
-    n = len(top)
-    d = doc[t]
-    run = np.cumsum(q) - q
-    begin = np.searchsorted(d, np.arange(n))
-    base = np.append(run, 0.0)[np.minimum(begin, len(run))]
-    before = run - base[d] + prefix[d]
-    steps = {"token": token[t], "step": s, "edge": e, "doc": d, "total": prefix + np.bincount(d, q, n)}
-    # A sibling's noise is conditioned on the maximum of its parent being ``top``: with G its own
-    # perturbed value and Z its parent's maximum, exp(-bound) = exp(-top) + exp(-G) - exp(-Z).
-    row, pe, pq, excess = cat(passed, 4)
-    row = sorted_at[row.astype(np.int64)]
-    pd = d[row]
-    excess -= before[row]  # log of exp(-G) - exp(-Z); the smallest has the largest bound
-    keep, left = [], np.arange(len(row))
-    for _ in range(width):
-        least = np.full(n, np.inf)
-        np.minimum.at(least, pd[left], excess[left])
-        won = np.flatnonzero(excess[left] == least[pd[left]])
-        if not len(won):
-            break
-        keep.append(left[won])
-        left = np.delete(left, won)
-    keep = np.concatenate(keep) if keep else left
-    row, pd = row[keep], pd[keep]
-    return steps, {"doc": pd, "bound": -np.logaddexp(-top[pd], excess[keep]), "token": token[t[row]], "step": s[row],
-                   "edge": pe[keep].astype(np.int64), "phi": before[row] + pq[keep]}
+    return token[t[order]], s[order], e[order]
+
+
+#: Sets of probability below exp(-NEGLIGIBLE) times the largest don't change a sum of doubles.
+NEGLIGIBLE = 60.0
+
+
+class _Path:
+    """A path with its value, from its step ``own`` on other than its parent's;
+    and the log probabilities of leaving it at each step."""
+
+    def __init__(self, lat: Lattices, token: np.ndarray, step: np.ndarray, edge: np.ndarray, own: int, value: float):
+        self.token, self.step, self.edge, self.own, self.value = token, step, edge, own, value
+        q = lat.q[edge]
+        self.log_p = float(q.sum())
+        n = len(q)
+        run = np.cumsum(q)
+        start = run[own - 1] if own else 0.0
+        # leaving it so late that it can't matter is left out
+        end = int(np.searchsorted(-run[own:], NEGLIGIBLE - start)) + 1 + own
+        end = min(max(end, own + 64), n)
+        with np.errstate(divide="ignore"):
+            self.leave = np.append(start, run[own:end - 1])[:end - own] + np.log(-np.expm1(q[own:end]))
+        self.gone: dict[int, list[int]] = {}  # edges at a step that other paths took
+
+    def mass(self) -> float:
+        """Log probability of what leaves the path and isn't taken yet."""
+        if not len(self.leave):
+            return -np.inf
+        top = self.leave.max()
+        return float(top + np.log(np.exp(self.leave - top).sum())) if top > -np.inf else -np.inf
+
+    def branch(self, lat: Lattices, u: float) -> tuple[int, int]:
+        """Step and edge at which a sample of these leaves the path; they are
+        taken from now on."""
+        w = np.cumsum(np.exp(self.leave - self.leave.max()))
+        x = u * w[-1]
+        k = min(int(np.searchsorted(w, x, side="right")), len(w) - 1)
+        at = self.own + k
+        edge = int(self.edge[at])
+        node = lat.node[edge]
+        edges = np.arange(lat.head[node], lat.head[node] + lat.count[node])
+        taken = self.gone.setdefault(at, [edge])
+        free = edges[~np.isin(edges, taken)]
+        c = np.cumsum(lat.p[free])
+        low = w[k - 1] if k else 0.0
+        y = (x - low) / (w[k] - low) if w[k] > low else 0.0
+        pick = int(free[min(int(np.searchsorted(c, y * c[-1], side="right")), len(free) - 1)])
+        taken.append(pick)
+        rest = lat.p[free[free != pick]].sum()
+        prefix = self.leave[k] - np.log(c[-1])
+        self.leave[k] = prefix + np.log(rest) if rest > 0 else -np.inf
+        return at, pick
+
+
+def _below(mass: float, bound: float, u: float) -> float:
+    """A Gumbel variable around ``mass`` that is below ``bound``."""
+    if mass == -np.inf:
+        return -np.inf
+    return float(mass - np.logaddexp(mass - bound, np.log(-np.log(u))))
 
 
 def _ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
@@ -340,53 +409,54 @@ def sample(texts: list[str], keys: np.ndarray, lat: Lattices, k: int = SAMPLES,
     size = np.array([len(p) for p in per])
     doc, place = within(size)
     begin = np.cumsum(size) - size
-    token = np.arange(len(doc))
     with np.errstate(over="ignore"):
         root = mix(keys.astype(U64) + U64(seed) * _GOLD)
         noise = mix(root[doc] ^ mix(place + 1))  # the noise key of each token
-    top = _noise(root, np.full(n, 7))
-    steps, front = _walk(lat, token, lat.first[occurrence], np.zeros(len(token), np.int64), doc, noise, top, np.zeros(n), k)
-    cut = np.searchsorted(steps["doc"], np.arange(n + 1))
-    # the paths of each document: (token, step, edge), log probability, bound
-    paths = [[(steps["token"][a:b], steps["step"][a:b], steps["edge"][a:b], steps["total"][d], top[d])]
-             for d, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
-    front["path"] = np.zeros(len(front["doc"]), np.int64)
+    draw = [_uniform(root, 1000 + i) for i in range(4 * k + 2)]
+    top = -np.log(-np.log(draw[0]))
+    token = np.arange(len(doc))
+    t, s, e = _walk(lat, token, lat.first[occurrence], np.zeros(len(token), np.int64), noise)
+    cut = np.searchsorted(doc[t], np.arange(n + 1))
+    paths = [[_Path(lat, t[a:b], s[a:b], e[a:b], 0, top[d])] for d, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+    # the frontier: (bound, path), the set being what leaves the path and isn't taken
+    front = [[(_below(p[0].mass(), top[d], draw[1][d]), 0)] for d, p in enumerate(paths)]
     kappa = np.full(n, -np.inf)
     for r in range(1, k + 1):
-        # the best of each document's frontier
-        order = np.lexsort((-front["bound"], front["doc"]))
-        front = {c: x[order] for c, x in front.items()}
-        new = np.append(True, front["doc"][1:] != front["doc"][:-1]) if len(order) else np.zeros(0, bool)
-        best = {c: x[new] for c, x in front.items()}
-        if r == k:
-            kappa[best["doc"]] = best["bound"]
-        if r == k or not new.any():
+        left: list[tuple] = []
+        for d in range(n):
+            bound, j = max(front[d])
+            if r == k or bound == -np.inf:
+                kappa[d] = bound
+                continue
+            front[d].remove((bound, j))
+            at, edge = paths[d][j].branch(lat, draw[4 * r][d])
+            front[d].append((_below(paths[d][j].mass(), bound, draw[4 * r + 1][d]), j))
+            left.append((d, j, at, edge, bound))
+        if not left:
             break
-        front = {c: x[~new] for c, x in front.items()}
-        bound, phi = np.zeros(n), np.zeros(n)
-        bound[best["doc"]], phi[best["doc"]] = best["bound"], best["phi"]
-        of, j = within(begin[best["doc"]] + size[best["doc"]] - best["token"])
-        token = best["token"][of] + j
+        # the new paths go on from the branch to the end of the document
+        docs = np.array([x[0] for x in left])
+        branch_token = np.array([paths[d][j].token[at] for d, j, at, _, _ in left])
+        branch_step = np.array([paths[d][j].step[at] for d, j, at, _, _ in left])
+        edges = np.array([x[3] for x in left])
+        of, i = within(begin[docs] + size[docs] - branch_token)
+        token = branch_token[of] + i
         node, step = lat.first[occurrence[token]], np.zeros(len(token), np.int64)
-        node[j == 0], step[j == 0] = lat.to[best["edge"]], best["step"] + 1
+        node[i == 0], step[i == 0] = lat.to[edges], branch_step + 1
         with np.errstate(over="ignore"):
             fresh = noise[token] + U64(r) * U64(0xA0761D6478BD642F)
-        steps, more = _walk(lat, token, node, step, doc[token], fresh, bound, phi, k - r)
-        cut = np.searchsorted(steps["doc"], np.arange(n + 1))
-        for x, d in enumerate(best["doc"].tolist()):
-            t0, s0 = int(best["token"][x]), int(best["step"][x])
-            t, s, e, _, _ = paths[d][best["path"][x]]
-            keep = int(np.searchsorted(t, t0)) + s0
-            a, b = cut[d], cut[d + 1]
-            paths[d].append((np.concatenate([t[:keep], [t0], steps["token"][a:b]]),
-                             np.concatenate([s[:keep], [s0], steps["step"][a:b]]),
-                             np.concatenate([e[:keep], [best["edge"][x]], steps["edge"][a:b]]),
-                             steps["total"][d], best["bound"][x]))
-        more["path"] = np.array([len(paths[d]) - 1 for d in more["doc"]], np.int64)
-        front = {c: np.append(front[c], more[c]) for c in front}
-    return [[(_ids(lat, e), float(log_p), float(bound),
-              1.0 if kappa[d] == -np.inf else -float(np.expm1(-np.exp(min(log_p - kappa[d], 50.0)))))
-             for _, _, e, log_p, bound in paths[d]] for d in range(n)]
+        t, s, e = _walk(lat, token, node, step, fresh)
+        cut = np.searchsorted(doc[t], np.arange(n + 1))
+        for x, (d, j, at, edge, bound) in enumerate(left):
+            old, a, b = paths[d][j], cut[d], cut[d + 1]
+            new = _Path(lat, np.concatenate([old.token[:at], branch_token[x:x + 1], t[a:b]]),
+                        np.concatenate([old.step[:at], branch_step[x:x + 1], s[a:b]]),
+                        np.concatenate([old.edge[:at], edges[x:x + 1], e[a:b]]), at + 1, bound)
+            paths[d].append(new)
+            front[d].append((_below(new.mass(), bound, draw[4 * r + 2][d]), len(paths[d]) - 1))
+    return [[(_ids(lat, p.edge), p.log_p, float(p.value),
+              1.0 if kappa[d] == -np.inf else -float(np.expm1(-np.exp(min(p.log_p - kappa[d], 50.0)))))
+             for p in paths[d]] for d in range(n)]
 
 
 def sample_segmentations(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES,
@@ -406,12 +476,11 @@ def sample_segmentations(df: DataFrame, model: str, id_col: str = "doc_id", text
         T.StructField("decoded_crc32", T.LongType())] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = Lattices(pieces(model))
+        lat = lattices(model)
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False).view(U64)
             for t in chunks(batch, "text", WALK_BYTES):
-                if len(lat.number) > LATTICES:
-                    lat = Lattices(lat.v)
+                lat = lattices(model)
                 found = sample([t.of(i).decode() for i in range(len(t))], key[t.rows], lat, k, seed)
                 at = [t.rows.start + i for i, f in enumerate(found) for _ in f]
                 flat = [x for f in found for x in f]
@@ -421,7 +490,7 @@ def sample_segmentations(df: DataFrame, model: str, id_col: str = "doc_id", text
                         pa.array([len(x) for x in ids], pa.int64()),
                         *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3)),
                         pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(lat.v.decode(x.tolist()).encode()) for x in ids], pa.int64())]
+                        pa.array([zlib.crc32(lat.v.decode(x)) for x in ids], pa.int64())]
                 if with_ids:
                     head = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(head, np.concatenate(ids)))
@@ -437,7 +506,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(model)
         for batch in batches:
-            texts = [None if x is None else v.decode(x) for x in batch.column(ids_col).to_pylist()]
+            texts = [None if x is None else v.decode(x).decode() for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [f.name for f in schema])
 
     return df.mapInArrow(run, schema)
