@@ -3,8 +3,9 @@ vectorised views of Arrow string columns (bytes, words, word hashes)."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,27 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that gives freed memory back to the
+    system now and then; Python workers live longer than their tasks."""
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(run(source)):
+            yield batch
+            if k % 8 == 7:
+                release()
+        release()
+
+    return batches
+
+
+def release() -> None:
+    """Return unused memory of this process to the system, where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

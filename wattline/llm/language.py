@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import CHUNK_BYTES, Texts, chunks, fold
+from wattline.llm.common import CHUNK_BYTES, Texts, chunks, fold, lean
 
 TOP = 300
 ORDERS = 3
@@ -127,7 +127,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", top: in
                 sums, held = {}, 0
         yield from merged()
 
-    counts = src.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = src.mapInArrow(lean(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     rows = counts.withColumn("rank", rank).where(F.col("rank") <= top).collect()
     out: dict[str, list] = {}
@@ -186,4 +186,4 @@ def predict(df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column("row")[t.rows], pa.array(names, pa.string()), pa.array(s)],
                                                  ["row", "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

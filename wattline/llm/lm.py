@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import U64, WHITE, chunks, mix, partitions, saved, within, words
+from wattline.llm.common import U64, WHITE, chunks, lean, mix, partitions, saved, within, words
 from wattline.llm.elias_fano import Trie
 from wattline.llm.repeats import bucket_of
 
@@ -141,7 +141,7 @@ def as_blocks(docs: DataFrame, limit: int = BLOCK_TOKENS, end: bool = True, brea
         if docs_held:
             yield block()
 
-    return docs.select("id", "train", "text").mapInArrow(run, "block long, data binary")
+    return docs.select("id", "train", "text").mapInArrow(lean(run), "block long, data binary")
 
 
 def _rows(rows: list[tuple[int, int, bytes]], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def word_counts(blocks: DataFrame, shards: int, count: Callable[[Block], np.ndar
                                    + planes(n[lo:hi])) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi],
                                  ("block", "shard"))
 
-    return blocks.mapInArrow(run, "block long, shard int, data binary")
+    return blocks.mapInArrow(lean(run), "block long, shard int, data binary")
 
 
 def word_replies(counts: DataFrame, shards: int) -> DataFrame:
@@ -189,7 +189,7 @@ def word_replies(counts: DataFrame, shards: int) -> DataFrame:
             at += len(p)
             yield from _rows([(number, shard, planes(total[mine]) + planes(mine * shards + shard))], ("block", "shard"))
 
-    return counts.repartitionById(shards, F.col("shard")).mapInArrow(run, "block long, shard int, data binary")
+    return counts.repartitionById(shards, F.col("shard")).mapInArrow(lean(run), "block long, shard int, data binary")
 
 
 def by_block(replies: DataFrame, name: str) -> DataFrame:
@@ -265,7 +265,7 @@ def _bigram_counts(told: DataFrame, total: int, shards: int) -> DataFrame:
                                            + planes(n) + planes(g.word[lo:hi]) + planes(g.count[lo:hi]))],
                                          ("block", "shard"))
 
-    return told.mapInArrow(run, "block long, shard int, data binary")
+    return told.mapInArrow(lean(run), "block long, shard int, data binary")
 
 
 def _bigram_replies(counts: DataFrame, shards: int) -> DataFrame:
@@ -306,7 +306,7 @@ def _bigram_replies(counts: DataFrame, shards: int) -> DataFrame:
             after = np.where(names[k] == p[0], size[k], 0) if len(names) else np.zeros(len(p[0]), np.int64)
             yield from _rows([(number, shard, planes(answer) + planes(after))], ("block", "shard"))
 
-    return counts.repartitionById(shards, F.col("shard")).mapInArrow(run, "block long, shard int, data binary")
+    return counts.repartitionById(shards, F.col("shard")).mapInArrow(lean(run), "block long, shard int, data binary")
 
 
 def _scored(told: DataFrame, total: int, distinct: int, shards: int) -> DataFrame:
@@ -348,7 +348,7 @@ def _scored(told: DataFrame, total: int, distinct: int, shards: int) -> DataFram
                     pa.array(add(np.log10(p)))],
                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return told.mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+    return told.mapInArrow(lean(run), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                 "base_score double, score double")
 
 

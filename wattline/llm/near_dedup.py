@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import U64, SpanHash, Texts, chunks, mix, partitions, saved, within, words
+from wattline.llm.common import SpanHash, Texts, U64, chunks, lean, mix, partitions, saved, within, words
 from wattline.llm.components import components
 from wattline.llm.repeats import NULL_ID, keyed_documents
 
@@ -164,15 +164,21 @@ def _signed(docs: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), b.ravel()),
                      pa.array([x.tobytes() for x in low], pa.binary())], ["doc", "ver", "a", "b", "bands", "sketch"])
 
-    return docs.select("doc", "ver", "text").mapInArrow(
-        run, "doc long, ver int, a long, b long, bands array<long>, sketch binary")
+    return docs.select("doc", "ver", "text").mapInArrow(lean(run), "doc long, ver int, a long, b long, bands array<long>, sketch binary")
 
 
 def _named_shingles(docs: DataFrame) -> DataFrame:
     """doc, ver, and the weighted shingles as sorted 32-bit names, one for
-    each occurrence."""
+    each occurrence; once for rows of equal id and text, which ``docs`` has in
+    one partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
+            new = []
+            for key in zip(batch.column("doc").to_pylist(), batch.column("ver").to_pylist()):
+                new.append(key not in seen)
+                seen.add(key)
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for t in chunks(batch, "text"):
                 doc, h, weight = shingles(t)
                 of, k = within(weight)
@@ -186,7 +192,7 @@ def _named_shingles(docs: DataFrame) -> DataFrame:
                      pa.array([name[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
                     ["doc", "ver", "names"])
 
-    return docs.mapInArrow(run, "doc long, ver int, names binary")
+    return docs.mapInArrow(lean(run), "doc long, ver int, names binary")
 
 
 def _similarity(pairs: DataFrame) -> DataFrame:
@@ -202,7 +208,7 @@ def _similarity(pairs: DataFrame) -> DataFrame:
                                              ["a", "b", "similarity"])
 
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("similarity", T.DoubleType())])
-    return pairs.select("a", "b", "names_a", "names_b").mapInArrow(run, schema)
+    return pairs.select("a", "b", "names_a", "names_b").mapInArrow(lean(run), schema)
 
 
 _LED = "band int, name long, doc long, ver int, sketch binary, first_doc long, first_ver int"
@@ -249,7 +255,7 @@ def _led(members: DataFrame, keys: list[str]) -> DataFrame:
                                                  ["band", "name", "doc", "ver", "sketch", "first_doc", "first_ver"])
 
     return (members.select(*keys, "doc", "ver", "sketch").repartition(partitions(members.sparkSession), *keys)
-            .sortWithinPartitions(*keys, "doc", "ver").mapInArrow(run, _LED))
+            .sortWithinPartitions(*keys, "doc", "ver").mapInArrow(lean(run), _LED))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -270,8 +276,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.struct(F.col("first_doc").alias("doc"), F.col("first_ver").alias("ver")).alias("a"), me.alias("b"))
     pairs = saved(pair(led).unionByName(pair(again)).where("a != b").distinct())
     need = pairs.select("a.*").unionByName(pairs.select("b.*")).distinct()
-    names = saved(_named_shingles(docs.select("doc", "ver", "text").join(need.hint("shuffle_hash"), ["doc", "ver"])
-                                  .dropDuplicates(["doc", "ver"])).select(me.alias("rep"), "names"))
+    todo = docs.select("doc", "ver", "text").repartition(partitions(docs.sparkSession), "doc", "ver").join(
+        need.hint("shuffle_hash"), ["doc", "ver"])
+    names = saved(_named_shingles(todo).select(me.alias("rep"), "names"))
     both = (pairs.join(names.select(F.col("rep").alias("b"), F.col("names").alias("names_b")), "b")
             .join(names.select(F.col("rep").alias("a"), F.col("names").alias("names_a")), "a"))
     links = _similarity(both).where(F.col("similarity") >= similarity).select("a", "b")

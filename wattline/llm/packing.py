@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.llm.common import lean
+
 SIZE = 4096
 END_ID = 2
 #: Tokens in open windows before they are closed.
@@ -254,4 +256,4 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         if packer.out:
             yield batch_of(packer.out)
 
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import CHUNK_BYTES, Texts, chunks, fold, words
+from wattline.llm.common import CHUNK_BYTES, Texts, chunks, fold, lean, words
 
 FEATURES = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "space", "newline", "bar", "symbol",
             "stop", "non_ascii", "same_word", "distinct", "same_pair", "top_word", "cased", "odd_end"]
@@ -209,7 +209,7 @@ def _feature_rows(df: DataFrame, keep: str, text_col: str) -> DataFrame:
                     [batch.column("label")[t.rows], pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
     return (df.select(F.col(keep).cast("int").alias("label"), F.col(f"`{text_col}`").alias("text"))
-            .mapInArrow(run, "label int, x array<double>"))
+            .mapInArrow(lean(run), "label int, x array<double>"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
@@ -246,4 +246,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str
     from pyspark.sql import types as T
     schema = T.StructType([src.schema["row"], T.StructField("score", T.DoubleType()),
                            T.StructField("predicted", T.IntegerType())])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

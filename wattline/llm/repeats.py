@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import Texts, chunks, mix, partitions, saved
+from wattline.llm.common import Texts, chunks, lean, mix, partitions, saved
 
 NULL_ID = -(1 << 63)
 #: Entries a task gathers before it settles them and hands them on.
@@ -180,7 +180,7 @@ def anchor_entries(docs: DataFrame, anchors: Callable[[Texts], Columns], strict:
         if held:
             yield from flush()
 
-    return docs.select("doc", "ver", "text").mapInArrow(run, MESSAGE)
+    return docs.select("doc", "ver", "text").mapInArrow(lean(run), MESSAGE)
 
 
 def settle_entries(entries: DataFrame, strict: bool) -> DataFrame:
@@ -211,7 +211,7 @@ def settle_entries(entries: DataFrame, strict: bool) -> DataFrame:
         c["crowd"] = contexts[group].astype(np.int32)
         yield from messages([(2, 0, d, v, b) for d, v, b in by_document(taken(c, open_), OPEN)])
 
-    return entries.repartitionById(n, F.col("bucket")).mapInArrow(run, MESSAGE)
+    return entries.repartitionById(n, F.col("bucket")).mapInArrow(lean(run), MESSAGE)
 
 
 @dataclass
@@ -272,7 +272,7 @@ def find(docs: DataFrame, how: Repeats) -> DataFrame:
         if blobs:
             yield from messages([(1, 0, d, v, b) for d, v, b in by_document(how.resolve(blobs), SPANS)])
 
-    more = todo.mapInArrow(emit, MESSAGE).repartitionById(n, F.col("bucket")).mapInArrow(resolve, MESSAGE)
+    more = todo.mapInArrow(lean(emit), MESSAGE).repartitionById(n, F.col("bucket")).mapInArrow(lean(resolve), MESSAGE)
     spans = (told.where("kind = 1").unionByName(more).groupBy("doc", "ver")
              .agg(F.collect_list("data").alias("spans")))
     return docs.join(spans.hint("shuffle_hash"), ["doc", "ver"], "left")

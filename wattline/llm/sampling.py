@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import U64, Texts, chunks, mix, within
+from wattline.llm.common import Texts, U64, chunks, lean, mix, within
 
 SAMPLES = 3
 SEED = 20
@@ -496,7 +496,7 @@ def sample_segmentations(df: DataFrame, model: str, id_col: str = "doc_id", text
                     cols.append(pa.ListArray.from_arrays(head, np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -509,4 +509,4 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "deco
             texts = [None if x is None else v.decode(x).decode() for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wattline.llm.common import U64, SpanHash, Texts, chunks, mix, spans_to_mask, within, words
+from wattline.llm.common import SpanHash, Texts, U64, chunks, lean, mix, spans_to_mask, within, words
 from wattline.llm.repeats import SPANS, Columns, Repeats, dealt, find, keyed_documents, settle, taken, unpacked
 
 WIDTH = 50
@@ -182,4 +182,4 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                      pa.array(out[4], pa.string())],
                     ["row", "n_words", "n_removed", "spans", "kept_words", "text"])
 
-    return found.select("row", "text", "spans").mapInArrow(run, schema)
+    return found.select("row", "text", "spans").mapInArrow(lean(run), schema)
