@@ -5,293 +5,246 @@ For every key, in time order::
     s_t = min(hi_t, max(lo_t, s_{t-1} + a_t)),   s_0 = init
 
 No window frame computes this.  Each step is the clamp function
-``f(s) = min(hi, max(lo, s + a))`` and clamps compose into clamps::
-
-    (a1, lo1, hi1) then (a2, lo2, hi2) = (a1 + a2, c2(lo1 + a2), c2(hi1 + a2)),
-    c2(x) = min(hi2, max(lo2, x))
-
-so the balance is a prefix scan over an associative operator.  The plan:
-
-1. Spark groups the rows of each key into time chunks (``position div span``)
-   and collects each chunk as one sorted array (one shuffle on key+chunk).
-2. Up-sweep: each chunk is composed into one clamp (A, L, H).
-3. The chunk clamps of a key are scanned the same way (recursively, in
-   bigger chunks, while a key is still too long) to get every chunk's
+``f(s) = min(hi, max(lo, s + a))`` and clamps compose into clamps, so the
+balance is a prefix scan over an associative operator.  There is one plan for
+every key length:
+
+1. Spark deals the rows by (key, time chunk) and collects each chunk as one
+   array in time order (one exchange of the rows).
+2. Each chunk is composed into one clamp.
+3. The chunks' clamps of a key, one row per ``SPAN`` steps, are scanned the
+   same way (in groups of ``FAN`` chunks, and those per key) for every chunk's
    opening balance.
-4. Down-sweep: the opening balance is joined back to its chunk and the
-   chunk is folded step by step; ``inline`` returns one row per input row.
-
-A very long key is therefore split over many tasks; no task holds more than
-``max(span, fan_in, top_limit)`` steps of one key.  Short series (every key
-fits ``top_limit`` steps) take the streaming path instead: one shuffle by
-key, a sort by position inside each partition, and a ``mapInArrow`` fold
-that carries the state from row to row (the payload columns pass through
-Arrow untouched).
-
-The numeric kernels are Arrow UDFs working on the thin ``(a, lo, hi)``
-arrays only (vectorised across all chunks of a batch); the row payload
-stays in the JVM.
+4. The opening balance is joined back to its chunk, which is folded step by
+   step and laid out again as one row per input row.
+
+A long key is therefore spread over many tasks.  Nothing depends on the data
+when the plan is built.  A chunk in which some clamp binds (L = H) gives the
+next one its opening balance by the very operations of a sequential loop;
+otherwise the composition may differ from it in the last bits.
+
+Rows of a chunk are ordered by ``order`` and then by all their other values,
+so equal times give the same result in any file order.  The fold also hands
+out values of the previous row (``lagged``) and the balance before it
+(``prev2_out``), so what depends on the previous row needs no exchange.
 """
 
 from __future__ import annotations
 
-import math
-from typing import Sequence
+from typing import Callable, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STEP = T.StructType([T.StructField(n, T.DoubleType()) for n in ("a", "lo", "hi")])
-_STATES = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("s0", "s")]))
+SPAN = 2048    # steps of a chunk
+FAN = 2048     # chunks of a group
+
+_D = T.DoubleType()
+_CLAMPS = T.StructType([T.StructField(n, _D) for n in ("fa", "flo", "fhi", "ga", "glo", "ghi")])
+_STATES = T.ArrayType(T.StructType([T.StructField(n, _D) for n in ("s0", "s", "sp")]))
+_OPENINGS = T.ArrayType(T.StructType([T.StructField(n, _D) for n in ("s_in", "s_prev")]))
+_INF = float("inf")
 
 
-def _list_parts(arr: pa.Array):
-    """(offsets rebased to 0, a, lo, hi) numpy views of a list<struct<a,lo,hi>> array."""
+def lists_of(arr: pa.Array, fields: Sequence[str]):
+    """For each list of structs, its fields as Python lists."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
-    offs = arr.offsets.to_numpy().astype(np.int64)
-    vals = arr.values.slice(offs[0], offs[-1] - offs[0])
-    offs = offs - offs[0]
-    a = vals.field("a").to_numpy(zero_copy_only=False).astype(np.float64)
-    lo = vals.field("lo").to_numpy(zero_copy_only=False).astype(np.float64)
-    hi = vals.field("hi").to_numpy(zero_copy_only=False).astype(np.float64)
-    return offs, a, lo, hi
-
-
-@F.arrow_udf(_STEP)
-def _compose_kernel(steps: pa.Array) -> pa.Array:
-    """Compose each list of clamp steps into one clamp (a=A, lo=L, hi=H)."""
-    offs, a, lo, hi = _list_parts(steps)
-    n = len(offs) - 1
-    lens = np.diff(offs)
-    starts = offs[:-1]
-    A = np.zeros(n)
-    L = np.full(n, -np.inf)
-    H = np.full(n, np.inf)
-    for j in range(int(lens.max()) if n else 0):
-        m = lens > j
-        idx = starts[m] + j
-        aj = a[idx]
-        A[m] = A[m] + aj
-        L[m] = np.minimum(hi[idx], np.maximum(lo[idx], L[m] + aj))
-        H[m] = np.minimum(hi[idx], np.maximum(lo[idx], H[m] + aj))
-    return pa.StructArray.from_arrays([pa.array(A), pa.array(L), pa.array(H)], names=["a", "lo", "hi"])
+    offs = arr.offsets.to_pylist()
+    vals = arr.values
+    cols = [vals.field(f) for f in fields]
+    for lo, hi in zip(offs[:-1], offs[1:]):
+        yield [c.slice(lo, hi - lo).to_pylist() for c in cols]
+
+
+def compose_steps(a, lo, hi) -> tuple[float, ...]:
+    """Clamp steps in order as one clamp, and as one without the last."""
+    A, L, H = 0.0, -_INF, _INF
+    g = (A, L, H)
+    for x, l, h in zip(a, lo, hi):
+        g = (A, L, H)
+        A += x
+        L += x
+        H += x
+        if L < l:
+            L = l
+        if L > h:
+            L = h
+        if H < l:
+            H = l
+        if H > h:
+            H = h
+    return (A, L, H, *g)
+
+
+def fold_steps(s: float, sp: float | None, a, lo, hi) -> tuple[list, list, list]:
+    """Balance before, after, and before the previous step, of every step."""
+    before, after, before2 = [], [], []
+    for x, l, h in zip(a, lo, hi):
+        before2.append(sp)
+        before.append(s)
+        sp = s
+        s = s + x
+        if s < l:
+            s = l
+        if s > h:
+            s = h
+        after.append(s)
+    return before, after, before2
+
+
+def _then(f: tuple, g: tuple) -> tuple:
+    """The clamp that applies ``f``, then ``g``."""
+    (a, lo, hi), (b, l, h) = f, g
+    c = lambda x: min(h, max(l, x))
+    return a + b, c(lo + b), c(hi + b)
+
+
+@F.arrow_udf(_CLAMPS)
+def _compose_chunk(steps: pa.Array) -> pa.Array:
+    rows = [compose_steps(a, lo, hi) for a, lo, hi in lists_of(steps, ("a", "lo", "hi"))]
+    cols = list(zip(*rows)) or [[]] * 6
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in cols], names=_CLAMPS.names)
+
+
+@F.arrow_udf(_CLAMPS)
+def _compose_group(clamps: pa.Array) -> pa.Array:
+    out = []
+    for cols in lists_of(clamps, _CLAMPS.names):
+        f, g = (0.0, -_INF, _INF), (0.0, -_INF, _INF)
+        for fa, fl, fh, ga, gl, gh in zip(*cols):
+            g = _then(f, (ga, gl, gh))
+            f = _then(f, (fa, fl, fh))
+        out.append((*f, *g))
+    cols = list(zip(*out)) or [[]] * 6
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in cols], names=_CLAMPS.names)
+
+
+@F.arrow_udf(_OPENINGS)
+def _fold_group(s_in: pa.Array, s_prev: pa.Array, clamps: pa.Array) -> pa.Array:
+    """For each element: the balance before it, and before the row before it."""
+    out = []
+    for s, sp, cols in zip(s_in.to_pylist(), s_prev.to_pylist(), lists_of(clamps, _CLAMPS.names)):
+        rows = []
+        for fa, fl, fh, ga, gl, gh in zip(*cols):
+            rows.append({"s_in": s, "s_prev": sp})
+            s, sp = min(fh, max(fl, s + fa)), min(gh, max(gl, s + ga))
+        out.append(rows)
+    return pa.array(out, pa.list_(pa.struct([("s_in", pa.float64()), ("s_prev", pa.float64())])))
 
 
 @F.arrow_udf(_STATES)
-def _fold_kernel(s_in: pa.Array, steps: pa.Array) -> pa.Array:
-    """Fold each list of clamp steps from its opening balance; state before/after every step."""
-    offs, a, lo, hi = _list_parts(steps)
-    if isinstance(s_in, pa.ChunkedArray):
-        s_in = s_in.combine_chunks()
-    s = s_in.to_numpy(zero_copy_only=False).astype(np.float64).copy()
-    lens = np.diff(offs)
-    starts = offs[:-1]
-    before = np.empty(len(a))
-    after = np.empty(len(a))
-    for j in range(int(lens.max()) if len(lens) else 0):
-        m = lens > j
-        idx = starts[m] + j
-        sj = s[m]
-        before[idx] = sj
-        sm = np.minimum(hi[idx], np.maximum(lo[idx], sj + a[idx]))
-        s[m] = sm
-        after[idx] = sm
-    vals = pa.StructArray.from_arrays([pa.array(before), pa.array(after)], names=["s0", "s"])
-    return pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), vals)
-
-
-def _stream_fold_fn(key_names: list[str], a_col: str, lo: str | float, hi: str | float, init: float,
-                    out: str, prev_out: str | None, prev2_out: str | None = None):
-    """mapInArrow body: rows arrive sorted by (keys, position) inside each partition.
-
-    The state is carried across batch boundaries; inside a batch the fold is
-    vectorised over all key segments (one numpy step per position index).
-    ``lo`` / ``hi`` are column names or constants.
-    """
-    def col(rb, x, n):
-        if isinstance(x, str):
-            return rb.column(x).to_numpy(zero_copy_only=False).astype(np.float64)
-        return np.full(n, float(x))
-
-    def fold(batches):
-        carry_key, carry_s, carry_b = None, None, None
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                if prev2_out:
-                    rb = rb.append_column(prev2_out, pa.array([], pa.float64()))
-                if prev_out:
-                    rb = rb.append_column(prev_out, pa.array([], pa.float64()))
-                yield rb.append_column(out, pa.array([], pa.float64()))
-                continue
-            kcols = [rb.column(k).to_numpy(zero_copy_only=False) for k in key_names]
-            a = rb.column(a_col).to_numpy(zero_copy_only=False).astype(np.float64)
-            lo_v, hi_v = col(rb, lo, n), col(rb, hi, n)
-            new = np.zeros(n, dtype=bool)
-            new[0] = True
-            for kc in kcols:
-                new[1:] |= kc[1:] != kc[:-1]
-            starts = np.flatnonzero(new)
-            lens = np.diff(np.append(starts, n))
-            s = np.full(len(starts), float(init))
-            sb = np.full(len(starts), np.nan)        # state before the previous row
-            if carry_key is not None and all(kc[0] == ck for kc, ck in zip(kcols, carry_key)):
-                s[0] = carry_s
-                sb[0] = carry_b
-            before = np.empty(n)
-            after = np.empty(n)
-            before2 = np.empty(n)
-            for j in range(int(lens.max())):
-                m = lens > j
-                idx = starts[m] + j
-                sj = s[m]
-                before[idx] = sj
-                before2[idx] = sb[m]
-                sb[m] = sj
-                sm = np.minimum(hi_v[idx], np.maximum(lo_v[idx], sj + a[idx]))
-                s[m] = sm
-                after[idx] = sm
-            carry_key = tuple(kc[-1] for kc in kcols)
-            carry_s = after[-1]
-            carry_b = before[-1]
-            if prev2_out:
-                rb = rb.append_column(prev2_out, pa.array(before2))
-            if prev_out:
-                rb = rb.append_column(prev_out, pa.array(before))
-            yield rb.append_column(out, pa.array(after))
-    return fold
-
-
-def _stream_scan(df: DataFrame, keys: Sequence[str], pos: str, a: str, lo: str | float, hi: str | float,
-                 init: float, out: str, prev_out: str | None, prepartitioned: bool = False,
-                 prev2_out: str | None = None) -> DataFrame:
-    """Short keys: one shuffle by key, a sort by position, a streaming fold (no arrays, no copies).
-
-    ``prepartitioned``: the caller guarantees every key already lives in one
-    partition (e.g. rows were hash-partitioned by a prefix of the keys before
-    a fan-out); then only the local sort remains.
-    """
-    if prepartitioned:
-        d = df.sortWithinPartitions(*keys, pos)
-    else:
-        # an explicit partition count (the session's shuffle sizing) keeps AQE
-        # from folding the Python stage into a handful of tasks
-        d = df.repartition(shuffle_partitions(df), *keys).sortWithinPartitions(*keys, pos)
-    extra = (([T.StructField(prev2_out, T.DoubleType())] if prev2_out else [])
-             + ([T.StructField(prev_out, T.DoubleType())] if prev_out else []) + [T.StructField(out, T.DoubleType())])
-    return d.mapInArrow(_stream_fold_fn(list(keys), a, lo, hi, init, out, prev_out, prev2_out),
-                        T.StructType(d.schema.fields + extra))
+def _fold_chunk(s_in: pa.Array, s_prev: pa.Array, steps: pa.Array) -> pa.Array:
+    before, after, before2, offs = [], [], [], [0]
+    for s, sp, cols in zip(s_in.to_pylist(), s_prev.to_pylist(), lists_of(steps, ("a", "lo", "hi"))):
+        b, a, b2 = fold_steps(s, sp, *cols)
+        before += b
+        after += a
+        before2 += b2
+        offs.append(len(after))
+    vals = pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (before, after, before2)],
+                                      names=["s0", "s", "sp"])
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), vals)
 
 
 def shuffle_partitions(df: DataFrame) -> int:
-    """The session's shuffle partition count (the cluster's sizing knob); AQE may resize it."""
+    """The session's shuffle partition count, the cluster's sizing knob."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def fanout_partitions(df: DataFrame) -> int:
-    """Partition count for stages after a row-multiplying fan-out.
+def chunked_rows(df: DataFrame, keys: Sequence[str], position: Column, row: Column, span: int = SPAN) -> DataFrame:
+    """keys, _c, _rows: the rows of each time chunk as one sorted array.
+
+    The rows are dealt by (key, chunk) over the session's partition count, so
+    the Python stage that follows isn't folded into a few tasks, and a key's
+    chunks go to different tasks.
+    """
+    d = df.withColumn("_c", F.floor(position / F.lit(span)).cast("long"))
+    return (d.repartition(shuffle_partitions(df), *keys, "_c").groupBy(*keys, "_c")
+            .agg(F.array_sort(F.collect_list(row)).alias("_rows")))
+
+
+def shifted(first: Column, arr: Column) -> Column:
+    """An array moved by one: ``first``, then all elements but the last."""
+    return F.concat(F.array(first), F.slice(arr, 1, F.size(arr) - 1))
+
 
-    Twice the session's shuffle partition count: the fanned-out stage holds
-    many times more rows than the table it is built from, so its partitioning
-    is fixed before the fan-out (an explicit count is never coalesced by AQE,
-    and being different from the upstream count it is never optimised out as
-    a repeat of the upstream partitioning).
+def openings(chunks: DataFrame, keys: Sequence[str], *, compose: Callable, fold: Callable, init: Column,
+             init_prev: Column, last_type: T.DataType, fan: int = FAN, depth: int = 1) -> DataFrame:
+    """The state with which each chunk opens.
+
+    ``chunks`` has keys, _c, _f (the chunk's function) and _last (values of its
+    last row).  Returns keys, _c, s_in, s_prev (the state before the previous
+    row) and _before (values of the previous row).
     """
-    return 2 * shuffle_partitions(df)
-
-
-def levels_needed(position_range: int, span: int, fan_in: int, top_limit: int) -> int:
-    """Smallest number of chunk levels so the top fold sees <= top_limit steps per key."""
-    if position_range + 1 <= top_limit:
-        return 0
-    lv = 1
-    while position_range // (span * fan_in ** (lv - 1)) + 1 > top_limit:
-        lv += 1
-    return lv
-
-
-def _fold_groups(groups: DataFrame, keys: Sequence[str], rows_col: str, s_in: Column) -> DataFrame:
-    """Fold every collected group from its opening balance and return flat rows + _s."""
-    states = _fold_kernel(s_in, F.transform(rows_col, lambda r: F.struct(
-        r["_a"].alias("a"), r["_lo"].alias("lo"), r["_hi"].alias("hi"))))
-    z = groups.select(*keys, F.inline(F.arrays_zip(F.col(rows_col).alias("r"), states.alias("s"))))
-    return z.select(*keys, "r.*", F.col("s.s0").alias("_s0"), F.col("s.s").alias("_s"))
-
-
-def _scan(elems: DataFrame, keys: Sequence[str], levels: int, span: int, fan_in: int,
-          init: Column) -> DataFrame:
-    """elems: keys + _p + _a/_lo/_hi (+ payload).  Returns the same rows with _s0/_s."""
-    payload = [c for c in elems.columns if c not in keys and c not in ("_p", "_a", "_lo", "_hi")]
-    row = F.struct("_p", "_a", "_lo", "_hi", *payload)
-    if levels == 0:
-        groups = elems.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-        return _fold_groups(groups, keys, "_rows", init)
-    blocked = elems.withColumn("_b", F.floor(F.col("_p") / F.lit(span)).cast("long"))
-    blocks = blocked.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    comp = blocks.select(*keys, F.col("_b").alias("_p"), _compose_kernel(F.transform("_rows", lambda r: F.struct(
-        r["_a"].alias("a"), r["_lo"].alias("lo"), r["_hi"].alias("hi")))).alias("_f"))
-    comp = comp.select(*keys, "_p", F.col("_f.a").alias("_a"), F.col("_f.lo").alias("_lo"),
-                       F.col("_f.hi").alias("_hi"))
-    scanned = _scan(comp, keys, levels - 1, fan_in, fan_in, init)
-    # opening balance of block b = balance before block b's composed step
-    openings = scanned.select(*keys, F.col("_p").alias("_b"), F.col("_s0").alias("_s_in"))
-    j = blocks.join(openings, [*keys, "_b"])
-    return _fold_groups(j, keys, "_rows", F.col("_s_in"))
+    keys = list(keys)
+    e = F.struct("_c", "_f", "_last")
+    group = keys if depth == 0 else [*keys, "_b"]
+    d = chunks if depth == 0 else chunks.withColumn("_b", F.floor(F.col("_c") / F.lit(fan)).cast("long"))
+    groups = d.groupBy(*group).agg(F.array_sort(F.collect_list(e)).alias("_e"))
+    functions = F.transform("_e", lambda x: x["_f"])
+    if depth == 0:
+        opened = groups.withColumns({"_si": init, "_sp": init_prev, "_bf": F.lit(None).cast(last_type)})
+    else:
+        above = groups.select(*keys, F.col("_b").alias("_c"), compose(functions).alias("_f"),
+                              F.element_at("_e", -1)["_last"].alias("_last"))
+        up = openings(above, keys, compose=compose, fold=fold, init=init, init_prev=init_prev, last_type=last_type,
+                      fan=fan, depth=depth - 1)
+        opened = groups.join(up.select(*keys, F.col("_c").alias("_b"), F.col("s_in").alias("_si"),
+                                       F.col("s_prev").alias("_sp"), F.col("_before").alias("_bf")), group)
+    before = shifted(F.col("_bf"), F.transform("_e", lambda x: x["_last"]))
+    z = opened.select(*keys, F.inline(F.arrays_zip(F.col("_e").alias("e"), fold(F.col("_si"), F.col("_sp"), functions)
+                                                   .alias("s"), before.alias("b"))))
+    return z.select(*keys, F.col("e._c").alias("_c"), F.col("s.s_in").alias("s_in"), F.col("s.s_prev").alias("s_prev"),
+                    F.col("b").alias("_before"))
+
+
+def clamp_openings(chunks: DataFrame, keys: Sequence[str], last_type: T.DataType, init: float = 0.0,
+                   fan: int = FAN) -> DataFrame:
+    """``openings`` for clamps."""
+    return openings(chunks, keys, compose=_compose_group, fold=_fold_group, init=F.lit(float(init)),
+                    init_prev=F.lit(None).cast("double"), last_type=last_type, fan=fan)
 
 
 def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str, step: Column | str,
-                    lo: Column | str | float, hi: Column | str | float, *, out: str = "soc",
-                    prev_out: str | None = "soc_prev", init: float = 0.0, span: int = 32,
-                    fan_in: int = 64, top_limit: int = 2048, levels: int | None = None,
-                    prepartitioned: bool = False, prev2_out: str | None = None) -> DataFrame:
-    """Append the bounded running balance of ``step`` per key in ``position`` order.
-
-    ``position`` is a long that increases with time inside a key (e.g. the
-    interval index ``epoch_seconds / step_seconds``); positions must be unique
-    per key.  ``lo``/``hi`` may vary by row (lo <= hi).  ``out`` is the balance
-    after the row's step, ``prev_out`` the balance before it.
-
-    ``levels`` (chunk depth) only affects speed, never the result; when not
-    given it is derived from the overall position range (one scalar job).
+                    lo: Column | str | float, hi: Column | str | float, *, order: Sequence[str] = (), out: str = "soc",
+                    prev_out: str | None = "soc_prev", prev2_out: str | None = None,
+                    lagged: dict[str, Column] | None = None, init: float = 0.0, span: int = SPAN,
+                    fan: int = FAN) -> DataFrame:
+    """Append the bounded running balance of ``step`` per key in time order.
+
+    ``position`` is a long that doesn't fall with time (the interval index); it
+    only deals rows to chunks.  ``order`` are the columns that order the rows
+    (default: the position).  ``lo`` / ``hi`` may vary by row (lo <= hi).
+    ``out`` is the balance after the row's step, ``prev_out`` before it,
+    ``prev2_out`` before the previous row's step; ``lagged`` names expressions
+    to take from the previous row (null in a key's first row).  ``span`` and
+    ``fan`` only affect speed.
     """
     c = lambda x: F.col(x) if isinstance(x, str) else (x if isinstance(x, Column) else F.lit(float(x)))
     keys = list(keys)
-    if levels is None:
-        levels = levels_for(df, c(position), span, fan_in, top_limit)
-    if levels == 0:
-        # named columns are used in place; expressions get one helper column each
-        d, names = df, {}
-        for nm, x in (("_p", position), ("_a", step)):
-            if isinstance(x, str):
-                names[nm] = x
-            else:
-                d, names[nm] = d.withColumn(nm, c(x)), nm
-        bounds = {}
-        for nm, x in (("_lo", lo), ("_hi", hi)):
-            if isinstance(x, (int, float)) or isinstance(x, str):
-                bounds[nm] = float(x) if isinstance(x, (int, float)) else x
-            else:
-                d, bounds[nm] = d.withColumn(nm, x), nm
-        res = _stream_scan(d, keys, names["_p"], names["_a"], bounds["_lo"], bounds["_hi"], float(init), out,
-                           prev_out, prepartitioned, prev2_out)
-        helper = [h for h in ("_p", "_a", "_lo", "_hi") if h not in df.columns and h in res.columns]
-        return res.drop(*helper)
-    base = df.withColumns({"_p": c(position).cast("long"), "_a": c(step).cast("double"),
-                           "_lo": c(lo).cast("double"), "_hi": c(hi).cast("double")})
-    if prev2_out:
-        raise ValueError("prev2_out is only available when every key fits one group (levels == 0)")
-    init_c = F.lit(float(init))
-    res = _scan(base, keys, levels, span, fan_in, init_c)
-    res = res.withColumnRenamed("_s", out)
-    cols = [x for x in res.columns if x not in ("_p", "_a", "_lo", "_hi", "_s0")]
-    if prev_out:
-        res = res.withColumnRenamed("_s0", prev_out)
-        cols = cols + [prev_out]
-    return res.select(*cols)
+    lagged = lagged or {}
+    pos = c(position).cast("long")
+    payload = [x for x in df.columns if x not in keys]
+    first = list(order) or []
+    row = F.struct(*([F.col(o) for o in first] or [pos.alias("_p")]), *[x for x in payload if x not in first],
+                   c(step).cast("double").alias("_a"), c(lo).cast("double").alias("_lo"),
+                   c(hi).cast("double").alias("_hi"), *[e.alias(n) for n, e in lagged.items()])
+    blocks = chunked_rows(df, keys, pos, row, span)
+    thin = F.transform("_rows", lambda r: F.struct(r["_a"].alias("a"), r["_lo"].alias("lo"), r["_hi"].alias("hi")))
+    lags = lambda r: F.struct(F.lit(1).alias("_"), *[r[n].alias(n) for n in lagged])
+    chunks = blocks.select(*keys, "_c", _compose_chunk(thin).alias("_f"), lags(F.element_at("_rows", -1)).alias("_last"))
+    opened = clamp_openings(chunks, keys, chunks.schema["_last"].dataType, init, fan)
+    j = blocks.join(opened.hint("shuffle_hash"), [*keys, "_c"])
+    zipped = [F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), F.col("s_prev"), thin).alias("s")]
+    if lagged:
+        zipped.append(shifted(F.col("_before"), F.transform("_rows", lags)).alias("b"))
+    z = j.select(*keys, F.inline(F.arrays_zip(*zipped)))
+    cols = [F.col(f"r.{x}").alias(x) for x in payload]
+    cols += [F.col(f"s.{f}").alias(n) for f, n in (("s", out), ("s0", prev_out), ("sp", prev2_out)) if n]
+    return z.select(*keys, *cols, *[F.col(f"b.{n}").alias(n) for n in lagged])
 
 
 def position_of(ts: Column | str, step_seconds: int = 3600) -> Column:
@@ -300,29 +253,3 @@ def position_of(ts: Column | str, step_seconds: int = 3600) -> Column:
     secs = (F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400
             + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
     return F.floor(secs / F.lit(step_seconds)).cast("long")
-
-
-def levels_for(df: DataFrame, position: Column, span: int = 32, fan_in: int = 64,
-               top_limit: int = 2048) -> int:
-    """Chunk depth for a table (one scalar job over its position column).
-
-    Only the position column is read (Catalyst prunes the rest), and partial
-    min/max aggregation sends one row per task to the driver.
-    """
-    r = df.select(position.alias("_lp")).agg(F.min("_lp").alias("mn"), F.max("_lp").alias("mx")).first()
-    rng = 0 if r is None or r["mn"] is None else int(r["mx"] - r["mn"])
-    return levels_needed(rng, span, fan_in, top_limit)
-
-
-def clamp_scan_reference(a: Sequence[float], lo: Sequence[float], hi: Sequence[float],
-                         init: float = 0.0) -> list[float]:
-    """Plain sequential loop; used by tests to check the scan."""
-    s, out = init, []
-    for x, l, h in zip(a, lo, hi):
-        s = min(h, max(l, s + x))
-        out.append(s)
-    return out
-
-
-__all__ = ["bounded_balance", "position_of", "levels_for", "levels_needed", "clamp_scan_reference"]
-_ = math

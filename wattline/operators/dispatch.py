@@ -14,25 +14,22 @@ one plan dispatches one configuration or a whole candidate sweep.
 * D5 ``gas_follow`` - ramp-limited gas output (ordered fold)
 
 Rule-based: feasible, not optimal.  All state (battery balances) comes from
-``operators.balance.bounded_balance``; previous-row values from the chunked
-``operators.series.lag_values``.
+``operators.balance.bounded_balance`` and ``operators.ramp.ramp_follow``, which
+also hand out what depends on the previous row.
 """
 
 from __future__ import annotations
 
 from typing import Any, Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wattline.config import CONFIG_FIELDS, battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, \
     gas_no_load_cost, gas_variable_cost, with_config
-from wattline.operators.balance import bounded_balance, levels_for, shuffle_partitions
-from wattline.operators.series import lag_values
-from wattline.session import materialize_table
+from wattline.functions.text import action_code
+from wattline.operators.balance import bounded_balance
+from wattline.operators.ramp import ramp_follow
 
 KEYS = ["site_id", "candidate_id"]
 EPS_ON = 1e-6
@@ -116,98 +113,92 @@ def must_run_gas(natgas_all_zero: Column, natgas: Column | None = None) -> Colum
             .otherwise(ng))
 
 
+def gas_limits(natgas: Column | None = None) -> tuple[Column, Column, Column]:
+    """P14 + P16: gas cap, largest and smallest output of an interval."""
+    cap = gas_cap(natgas)
+    pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
+    pmax_t = F.greatest(F.lit(0.0), F.least(F.when(pmax > 0, pmax).otherwise(cap), cap))
+    return cap, pmax_t, F.least(F.greatest(F.lit(0.0), col("gas_pmin_mw")), pmax_t)
+
+
+def gas_column_zero(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """P15's per-key fact: is the gas column zero throughout (``_ng_zero``)."""
+    return df.groupBy(*keys).agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(col("natgas_mw"), F.lit(0.0))))
+                                  <= F.lit(1e-9)).alias("_ng_zero"))
+
+
+def _with_gas_zero(df: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None) -> DataFrame:
+    """Add ``_ng_zero`` where it matters: for must-run gas of an enabled unit."""
+    if "_ng_zero" in df.columns:
+        return df
+    if cfg is not None and not set(cfg.get("_varying") or ()) & {"gas_enabled", "gas_dispatchable"} and (
+            not cfg.get("gas_enabled") or cfg.get("gas_dispatchable")):
+        return df.withColumn("_ng_zero", F.lit(False))
+    return df.join(gas_column_zero(df, keys), list(keys), "left")
+
+
 def prepare(df: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None) -> DataFrame:
     """Add gen_ren, gas_cap, pmax_t, pmin_t (P16), must_run (P15), gen, gas_disp."""
-    keys = list(keys)
-    # P15 needs "is the gas column all zero for this key": a per-key aggregate
-    # joined back (partial aggregation; no per-key window).
-    if "_ng_zero" in df.columns:       # computed upstream (e.g. per site, before a fan-out)
-        d = _attach(df, cfg)
-    else:
-        zero = (df.groupBy(*keys).agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(col("natgas_mw"), F.lit(0.0))))
-                                       <= F.lit(1e-9)).alias("_ng_zero")))
-        d = _attach(_detach(df, cfg).join(zero, keys, "left"), cfg)
-    cap = gas_cap()
-    pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
-    d = d.withColumns({
-        "gen_ren": F.coalesce(col("wind_mw"), F.lit(0.0)) + F.coalesce(col("solar_mw"), F.lit(0.0)),
-        "gas_cap": cap,
-        "gas_disp": col("gas_enabled") & col("gas_dispatchable"),
-    })
-    d = d.withColumn("pmax_t", F.greatest(F.lit(0.0), F.least(F.when(pmax > 0, pmax).otherwise(col("gas_cap")),
-                                                             col("gas_cap"))))
-    d = d.withColumn("pmin_t", F.least(F.greatest(F.lit(0.0), col("gas_pmin_mw")), col("pmax_t")))
-    d = d.withColumn("must_run", must_run_gas(col("_ng_zero")))
-    d = d.withColumn("gen", col("gen_ren") + col("must_run"))
-    return d
-
-
-def previous_values(d: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, str], *, short: bool,
-                    cfg: Mapping[str, Any] | None = None, materialize: bool = True) -> DataFrame:
-    """Previous-row values inside each key.
-
-    ``short`` keys (the balance folded each key as one group) are still
-    hash-partitioned by key, so a per-key window only adds a local sort.
-    Long keys use the chunked lag; the table is written once first because
-    that lag reads it twice.
-    """
-    from pyspark.sql import Window
-    if short:
-        w = Window.partitionBy(*keys).orderBy(pos)
-        return d.withColumns({o: F.lag(s).over(w) for o, s in cols.items()})
-    if materialize:
-        d = _attach(materialize_table(_detach(d, cfg)), cfg)
-    return lag_values(d, keys, pos, cols)
-
-
-def _derive(d: DataFrame, x_extra: Column | None = None) -> DataFrame:
-    """Recompute the per-row projections of ``prepare`` and the battery inputs (after a shuffle)."""
-    cap = gas_cap()
-    pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
+    return _prepared(_attach(_with_gas_zero(_detach(df, cfg), keys, cfg), cfg))
+
+
+def _prepared(d: DataFrame) -> DataFrame:
+    cap, pmax_t, pmin_t = gas_limits()
     d = d.withColumns({
         "gen_ren": F.coalesce(col("wind_mw"), F.lit(0.0)) + F.coalesce(col("solar_mw"), F.lit(0.0)),
-        "gas_cap": cap,
+        "gas_cap": cap, "pmax_t": pmax_t, "pmin_t": pmin_t, "must_run": must_run_gas(col("_ng_zero")),
         "gas_disp": col("gas_enabled") & col("gas_dispatchable"),
     })
-    d = d.withColumn("pmax_t", F.greatest(F.lit(0.0), F.least(F.when(pmax > 0, pmax).otherwise(col("gas_cap")),
-                                                             col("gas_cap"))))
-    d = d.withColumn("pmin_t", F.least(F.greatest(F.lit(0.0), col("gas_pmin_mw")), col("pmax_t")))
-    d = d.withColumn("must_run", must_run_gas(col("_ng_zero")))
-    d = d.withColumn("gen", col("gen_ren") + col("must_run"))
-    marginal = gas_variable_cost() + col("carbon_price_usd_per_ton") * gas_co2_tons_per_mwh()
-    d = d.withColumns({"_E2": battery2_energy_mwh(),
-                       "_gas_ok": col("gas_disp") & (marginal < col("voll_usd_per_mwh"))})
+    return d.withColumn("gen", col("gen_ren") + col("must_run"))
+
+
+#: Columns of ``_prepared`` and of the battery inputs: cheap projections, dropped before an exchange.
+DERIVED = ["gen_ren", "gas_cap", "gas_disp", "pmax_t", "pmin_t", "must_run", "gen", "_gas_ok", "_x"]
+
+
+def marginal_gas_cost() -> Column:
+    return gas_variable_cost() + col("carbon_price_usd_per_ton") * gas_co2_tons_per_mwh()
+
+
+def _derive(d: DataFrame, grid_on: bool, gas_charges_storage: bool) -> DataFrame:
+    """``_prepared``, whether gas is worth running, and the battery's input ``_x``."""
+    d = _prepared(d).withColumn("_gas_ok", col("gas_disp") & (marginal_gas_cost() < col("voll_usd_per_mwh")))
     x = col("gen") - col("load_mw")
-    if x_extra is not None:
-        x = x + x_extra
+    if gas_charges_storage and not grid_on:
+        x = x + F.when(col("_gas_ok") & ((marginal_gas_cost() / col("rte") + col("bess_deg_cost_usd_per_mwh"))
+                                         < col("voll_usd_per_mwh")), col("pmax_t")).otherwise(F.lit(0.0))
     return d.withColumn("_x", x)
 
 
-def _previous_gas_on(grid_on: bool, marginal: Column) -> Column:
-    """Gas on/off of the previous row from its inputs (``_p_*``) and its balances (``_s1pp`` -> ``_s1p``).
+#: Inputs of the previous row from which its gas status follows.
+def _lag_inputs(two_battery: bool) -> dict[str, Column]:
+    out = {"_p_gen_ren": F.coalesce(col("wind_mw"), F.lit(0.0)) + F.coalesce(col("solar_mw"), F.lit(0.0)),
+           "_p_natgas_mw": col("natgas_mw"), "_p_load_mw": col("load_mw"), "_p_price": col("price")}
+    return out | ({"_p_charge1": col("charge1"), "_p_discharge1": col("discharge1")} if two_battery else {})
 
-    Exactly the current-row expressions of ``serve_first_dispatch`` (one
-    battery, no ramp fold) applied to the previous row; null on a key's first row.
-    """
+
+def _previous_gas_on(grid_on: bool, two_battery: bool) -> Column:
+    """Gas on/off of the previous row from its inputs (``_p_*``) and its
+    balances, by the expressions of the current row; null on a key's first row."""
     ng = col("_p_natgas_mw")
-    gen_ren = col("_p_gen_ren")      # the previous row's coalesce(wind) + coalesce(solar)
-    cap = gas_cap(ng)
-    pmax = F.when(col("gas_pmax_mw") > 0, col("gas_pmax_mw")).otherwise(F.lit(0.0))
-    pmax_t = F.greatest(F.lit(0.0), F.least(F.when(pmax > 0, pmax).otherwise(cap), cap))
-    pmin_t = F.least(F.greatest(F.lit(0.0), col("gas_pmin_mw")), pmax_t)
+    _, pmax_t, pmin_t = gas_limits(ng)
     must = must_run_gas(col("_ng_zero"), ng)
-    gen = gen_ren + must
-    ds = col("_s1p") - col("_s1pp")
-    charge = F.greatest(ds, F.lit(0.0)) / (col("rte") * col("dt_hours")) + F.lit(0.0)
-    discharge = F.greatest(-ds, F.lit(0.0)) / col("dt_hours") + F.lit(0.0)
-    need = F.greatest(F.lit(0.0), col("_p_load_mw") + charge - gen - discharge)
-    ok = col("_gas_ok") & (marginal < col("_p_price")) if grid_on else col("_gas_ok")
+    gen = col("_p_gen_ren") + must
+    charge, discharge = ((col("_p_charge1"), col("_p_discharge1")) if two_battery
+                         else _flows("_s1p", "_s1pp", col("rte"), col("dt_hours")))
+    c2, d2 = (_flows("_s2p", "_s2pp", col("battery2_rte"), col("dt_hours")) if two_battery
+              else (F.lit(0.0), F.lit(0.0)))
+    need = F.greatest(F.lit(0.0), col("_p_load_mw") + (charge + c2) - gen - (discharge + d2))
+    ok = col("_gas_ok") & (marginal_gas_cost() < col("_p_price")) if grid_on else col("_gas_ok")
     need = F.when(ok, need).otherwise(F.lit(0.0))
-    gas_d = F.when(need > 1e-9, F.greatest(pmin_t, F.least(pmax_t, need))).otherwise(F.lit(0.0))
-    on = F.when(must + gas_d > EPS_ON, 1.0).otherwise(0.0)
+    on = F.when(must + _gas_output(need, pmin_t, pmax_t) > EPS_ON, 1.0).otherwise(0.0)
     return F.when(col("_p_load_mw").isNull(), F.lit(None).cast("double")).otherwise(on)
 
 
+def _gas_output(need: Column, pmin_t: Column, pmax_t: Column) -> Column:
+    return F.when(need > 1e-9, F.greatest(pmin_t, F.least(pmax_t, need))).otherwise(F.lit(0.0))
+
+
 def _battery_step(x: Column, p: Column, eta: Column, dt: Column) -> Column:
     return F.when(x >= 0, eta * dt * F.least(p, x)).otherwise(-dt * F.least(p, -x))
 
@@ -222,8 +213,7 @@ def _flows(soc: str, prev: str, eta: Column, dt: Column) -> tuple[Column, Column
 # ---------------------------------------------------------------------------
 
 def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *, grid_on: bool = False,
-                       keys: Sequence[str] = KEYS, levels: int | None = None,
-                       cfg: Mapping[str, Any] | None = None) -> DataFrame:
+                       keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None) -> DataFrame:
     """Fixed-schedule battery run.
 
     ``df`` has an ``action`` column ('C', 'D', other = idle) or a long
@@ -237,7 +227,7 @@ def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *,
     if schedule_long is not None:
         from wattline.sources.schedule import align_schedule
         df = align_schedule(df, schedule_long)
-    act = F.upper(F.trim(F.coalesce(col("action"), F.lit(""))))
+    act = action_code(col("action"))
     dt, eta, p, poi = col("dt_hours"), col("rte"), col("battery_power_mw"), col("poi_limit_mw")
     d = df.withColumns({"schedule_action": act,
                         "gen": F.coalesce(col("wind_mw"), F.lit(0.0)) + F.coalesce(col("solar_mw"), F.lit(0.0))
@@ -248,9 +238,9 @@ def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *,
             .when(col("schedule_action") == "D",
                   -dt * F.greatest(F.lit(0.0), F.least(p, F.greatest(F.lit(0.0), poi - col("gen")))))
             .otherwise(F.lit(0.0)))
-    d = d.withColumn("_pos", interval_position()).withColumn("_a", step)
-    d = _attach(bounded_balance(_detach(d, cfg), keys, "_pos", "_a", 0.0, "_E", out="soc1",
-                                prev_out="soc1_prev", levels=levels).drop("_a"), cfg)
+    d = d.withColumn("_pos", interval_position()).withColumn("_step", step)
+    d = _attach(bounded_balance(_detach(d, cfg), keys, "_pos", "_step", 0.0, "_E", order=["ts"], out="soc1",
+                                prev_out="soc1_prev").drop("_step"), cfg)
     ch, dis = _flows("soc1", "soc1_prev", eta, dt)
     d = d.withColumns({"charge1": ch, "discharge1": dis})
     d = d.withColumns({
@@ -278,9 +268,7 @@ def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *,
 
 def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: bool = False,
                          gas_charges_storage: bool = False, keys: Sequence[str] = KEYS,
-                         levels: int | None = None, gas_follow_ramp: bool = False,
-                         cfg: Mapping[str, Any] | None = None, materialize: bool = True,
-                         params: DataFrame | None = None, prepartitioned: bool = False) -> DataFrame:
+                         gas_follow_ramp: bool = False, cfg: Mapping[str, Any] | None = None) -> DataFrame:
     """D2 (grid off) / D3 (grid on) with optional second battery (D4) and ramp-limited gas.
 
     Battery 1 takes the surplus (charge) or covers the deficit (discharge)
@@ -291,72 +279,53 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     capacity charge battery 1 when gas / eta + degradation < VOLL.
     """
     keys = list(keys)
-    d = prepare(df, keys, cfg)
-    dt, poi = col("dt_hours"), col("poi_limit_mw")
-    marginal = gas_variable_cost() + col("carbon_price_usd_per_ton") * gas_co2_tons_per_mwh()
-    d = d.withColumns({"_E1": battery_energy_mwh(), "_E2": battery2_energy_mwh(),
-                       "_gas_ok": col("gas_disp") & (marginal < col("voll_usd_per_mwh")),
-                       "_pos": interval_position()})
-    if levels is None:
-        levels = levels_for(d, col("_pos"))
-    x_extra = None
-    if gas_charges_storage and not grid_on:
-        x_extra = F.when(col("_gas_ok") & ((marginal / col("rte") + col("bess_deg_cost_usd_per_mwh"))
-                                           < col("voll_usd_per_mwh")), col("pmax_t")).otherwise(F.lit(0.0))
-    x = col("gen") - col("load_mw") if x_extra is None else col("gen") - col("load_mw") + x_extra
-    d = d.withColumn("_x", x)
-    d = d.withColumn("_a1", _battery_step(col("_x"), col("battery_power_mw"), col("rte"), dt))
-    # columns that are cheap projections of the inputs are dropped before the
-    # balance shuffle and recomputed after it
-    derived = ["gen_ren", "gas_cap", "gas_disp", "pmax_t", "pmin_t", "must_run", "gen", "_E2", "_gas_ok", "_x"]
-    thin = _detach(d, cfg).drop(*derived)
-    if params is not None:
-        thin = thin.drop(*[c for c in params.columns if c not in keys])
-    # Short keys, one battery, no ramp fold: the previous row's inputs are taken
-    # with a per-key window *before* the fold (the rows are already grouped by
-    # key there, so it only sorts) and the fold also returns the state two steps
-    # back; the previous row's gas status is then recomputed row-locally and no
-    # shuffle follows the fold.
-    prev_inputs = levels == 0 and not two_battery and not gas_follow_ramp
-    if prev_inputs:
-        from pyspark.sql import Window
-        if not prepartitioned:
-            thin = thin.repartition(shuffle_partitions(thin), *keys)
-        wk = Window.partitionBy(*keys).orderBy("_pos")
-        lagged = {"_p_gen_ren": F.coalesce(col("wind_mw"), F.lit(0.0)) + F.coalesce(col("solar_mw"), F.lit(0.0)),
-                  "_p_natgas_mw": col("natgas_mw"), "_p_load_mw": col("load_mw")}
-        if grid_on:
-            lagged["_p_price"] = col("price")
-        thin = thin.withColumns({n: F.lag(e).over(wk) for n, e in lagged.items()})
-    d = bounded_balance(thin, keys, "_pos", "_a1", 0.0, "_E1", out="soc1", prev_out="_s1p", levels=levels,
-                        prepartitioned=(prepartitioned or prev_inputs) and levels == 0,
-                        prev2_out="_s1pp" if prev_inputs else None)
-    if params is not None:
-        d = d.join(params, keys)
-    d = _attach(d, cfg)
-    d = _derive(d, x_extra)
-    c1, d1 = _flows("soc1", "_s1p", col("rte"), dt)
+    d = _derive(_attach(_with_gas_zero(_detach(df, cfg), keys, cfg), cfg), grid_on, gas_charges_storage)
+    d = d.withColumns({"_E1": battery_energy_mwh(), "_pos": interval_position(),
+                       "_a1": _battery_step(col("_x"), col("battery_power_mw"), col("rte"), col("dt_hours"))})
+    direct = not (two_battery or gas_follow_ramp)
+    d = bounded_balance(_detach(d, cfg).drop(*DERIVED), keys, "_pos", "_a1", 0.0, "_E1", order=["ts"], out="soc1",
+                        prev_out="_s1p", prev2_out="_s1pp" if direct else None,
+                        lagged=_lag_inputs(False) if direct else None).drop("_E1", "_a1")
+    d = _derive(_attach(d, cfg), grid_on, gas_charges_storage)
+    c1, d1 = _flows("soc1", "_s1p", col("rte"), col("dt_hours"))
     d = d.withColumns({"charge1": c1, "discharge1": d1})
     if two_battery:
-        d = d.withColumn("_a2", _battery_step(col("_x") - col("charge1") + col("discharge1"),
-                                              col("battery2_power_mw"), col("battery2_rte"), dt))
-        d = _attach(bounded_balance(_detach(d, cfg), keys, "_pos", "_a2", 0.0, "_E2", out="soc2",
-                                    prev_out="_s2p", levels=levels, prepartitioned=(levels == 0)), cfg)
-        c2, d2 = _flows("soc2", "_s2p", col("battery2_rte"), dt)
-        d = d.withColumns({"charge2": c2, "discharge2": d2}).drop("_a2", "_s2p")
+        d = d.withColumns({"_E2": battery2_energy_mwh(), "_a2": _battery_step(
+            col("_x") - col("charge1") + col("discharge1"), col("battery2_power_mw"), col("battery2_rte"), col("dt_hours"))})
+        d = bounded_balance(_detach(d, cfg).drop(*DERIVED, "_s1p"), keys, "_pos", "_a2", 0.0, "_E2", order=["ts"],
+                            out="soc2", prev_out="_s2p", prev2_out="_s2pp",
+                            lagged=None if gas_follow_ramp else _lag_inputs(True)).drop("_E2", "_a2")
+        d = _derive(_attach(d, cfg), grid_on, gas_charges_storage)
+        c2, d2 = _flows("soc2", "_s2p", col("battery2_rte"), col("dt_hours"))
+        d = d.withColumns({"charge2": c2, "discharge2": d2})
     else:
         d = d.withColumns({"charge2": F.lit(0.0), "discharge2": F.lit(0.0), "soc2": F.lit(0.0)})
-    d = d.withColumns({"charge": col("charge1") + col("charge2"),
-                       "discharge": col("discharge1") + col("discharge2")})
-    need = F.greatest(F.lit(0.0), col("load_mw") + col("charge") - col("gen") - col("discharge"))
-    gas_ok = col("_gas_ok") & (marginal < col("price")) if grid_on else col("_gas_ok")
-    d = d.withColumn("_need", F.when(gas_ok, need).otherwise(F.lit(0.0)))
     if gas_follow_ramp:
-        d = gas_follow(d, keys=keys, cfg=cfg)
-    else:
-        d = d.withColumn("_gas_d", F.when(col("_need") > 1e-9,
-                                          F.greatest(col("pmin_t"), F.least(col("pmax_t"), col("_need"))))
-                         .otherwise(F.lit(0.0)))
+        d = _need(d, grid_on)
+        d = gas_follow(d.drop("charge", "discharge"), keys, cfg, grid_on, gas_charges_storage)
+        return finish(d, grid_on=grid_on, gas="followed")
+    return finish(d, grid_on=grid_on, gas="two" if two_battery else "one")
+
+
+def _need(d: DataFrame, grid_on: bool) -> DataFrame:
+    """Battery totals and the deficit that gas may fill."""
+    d = d.withColumns({"charge": col("charge1") + col("charge2"), "discharge": col("discharge1") + col("discharge2")})
+    need = F.greatest(F.lit(0.0), col("load_mw") + col("charge") - col("gen") - col("discharge"))
+    ok = col("_gas_ok") & (marginal_gas_cost() < col("price")) if grid_on else col("_gas_ok")
+    return d.withColumn("_need", F.when(ok, need).otherwise(F.lit(0.0)))
+
+
+def finish(d: DataFrame, *, grid_on: bool, gas: str = "one") -> DataFrame:
+    """The result columns from the battery flows, row by row.
+
+    ``gas``: where the previous row's gas status comes from: its inputs with
+    ``one`` or ``two`` batteries, or the ramp fold that gave ``_gas_d`` and
+    ``_on_prev`` (``followed``).
+    """
+    poi, dt = col("poi_limit_mw"), col("dt_hours")
+    d = _need(d, grid_on)
+    if gas != "followed":
+        d = d.withColumn("_gas_d", _gas_output(col("_need"), col("pmin_t"), col("pmax_t")))
     supply = col("gen") + col("_gas_d") + col("discharge") - col("charge")
     if grid_on:
         d = d.withColumns({
@@ -378,12 +347,7 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
         "net_to_grid": col("grid_exp") - col("grid_imp"),
     })
     d = d.withColumn("gas_on", F.when(col("gas_gen") > EPS_ON, 1.0).otherwise(0.0))
-    if prev_inputs:
-        d = d.withColumn("_on_prev", _previous_gas_on(grid_on, marginal))
-    else:
-        d = previous_values(d, keys, "_pos", {"_on_prev": "gas_on"}, short=(levels == 0), cfg=cfg,
-                            materialize=materialize)
-    prev_on = F.coalesce(col("_on_prev"), F.lit(0.0))
+    prev_on = F.coalesce(col("_on_prev") if gas == "followed" else _previous_gas_on(grid_on, gas == "two"), F.lit(0.0))
     d = d.withColumns({
         "gas_start": F.when((col("gas_on") > 0) & (prev_on <= 0), 1.0).otherwise(0.0),
         "gas_stop": F.when(col("gas_disp") & (col("gas_on") <= 0) & (prev_on > 0), 1.0).otherwise(0.0),
@@ -391,72 +355,33 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     d = d.withColumn("gas_cost", col("gas_gen") * gas_variable_cost() * dt
                      + col("gas_start") * col("gas_startup_cost_usd")
                      + col("gas_on") * gas_no_load_cost() * dt)
-    return d.drop("_E1", "_E2", "_gas_ok", "_pos", "_x", "_a1", "_s1p", "_need", "_gas_d", "_surplus",
-                  "_on_prev", "gen", "_ng_zero", "_s1pp", "_p_gen_ren", "_p_natgas_mw", "_p_load_mw", "_p_price")
+    return d.drop("_gas_ok", "_pos", "_x", "_need", "_gas_d", "_surplus", "_on_prev", "gen", "_ng_zero", "_s1p", "_s1pp",
+                  "_s2p", "_s2pp", *_lag_inputs(True))
 
 
 # ---------------------------------------------------------------------------
 # D5 ramp-limited gas follow
 # ---------------------------------------------------------------------------
 
-def _stream_ramp_fn(key_names: list[str]):
-    """mapInArrow body for D5: rows sorted by (keys, position) in each partition.
-
-    ``g_t = min(g_{t-1} + u_t, max(g_{t-1} - d_t, target_t))``, ``g_0 = 0`` per key;
-    the state is carried across batches, the step is vectorised over keys.
-    """
-    def fold(batches):
-        carry_key, carry_g = None, None
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                yield rb.append_column("_gr", pa.array([], pa.float64()))
-                continue
-            kcols = [rb.column(k).to_numpy(zero_copy_only=False) for k in key_names]
-            t = rb.column("_tg").to_numpy(zero_copy_only=False).astype(np.float64)
-            u = rb.column("_ru").to_numpy(zero_copy_only=False).astype(np.float64)
-            dn = rb.column("_rd").to_numpy(zero_copy_only=False).astype(np.float64)
-            new = np.zeros(n, dtype=bool)
-            new[0] = True
-            for kc in kcols:
-                new[1:] |= kc[1:] != kc[:-1]
-            starts = np.flatnonzero(new)
-            lens = np.diff(np.append(starts, n))
-            g = np.zeros(len(starts))
-            if carry_key is not None and all(kc[0] == ck for kc, ck in zip(kcols, carry_key)):
-                g[0] = carry_g
-            out = np.empty(n)
-            for j in range(int(lens.max())):
-                m = lens > j
-                idx = starts[m] + j
-                gm = np.minimum(g[m] + u[idx], np.maximum(g[m] - dn[idx], t[idx]))
-                g[m] = gm
-                out[idx] = gm
-            carry_key = tuple(kc[-1] for kc in kcols)
-            carry_g = out[-1]
-            yield rb.append_column("_gr", pa.array(out))
-    return fold
-
-
-def gas_follow(d: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None) -> DataFrame:
+def gas_follow(d: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None = None, grid_on: bool = False,
+               gas_charges_storage: bool = False) -> DataFrame:
     """Gas output follows the deficit ``_need`` within ramp limits, then lifts to pmin_t when on.
 
-    The ramp recursion is not a clamp of the previous value, so it does not
-    compose into a constant-size summary: it runs as an ordered streaming fold
-    (rows hash-partitioned by key and sorted by position; an Arrow kernel
-    carries the state from row to row, vectorised over the keys of a batch, so
-    memory per task stays bounded).  A lift to ``pmin_t`` may break a ramp
-    limit; ``dispatch_audit`` reports it.
+    Adds ``_gas_d`` and the previous row's status ``_on_prev``.  A lift to
+    ``pmin_t`` may break a ramp limit; ``dispatch_audit`` reports it.
     """
-    from wattline.operators.balance import shuffle_partitions
-    keys = list(keys)
-    target = F.least(col("pmax_t"), col("_need"))
+    pmax = col("gas_pmax_mw")
     d = d.withColumns({"_ru": col("gas_ramp_up_mw_per_h") * col("dt_hours"),
-                       "_rd": col("gas_ramp_down_mw_per_h") * col("dt_hours"), "_tg": target})
-    d = _detach(d, cfg)
-    d = d.repartition(shuffle_partitions(d), *keys).sortWithinPartitions(*keys, "_pos")
-    out = d.mapInArrow(_stream_ramp_fn(keys), T.StructType(d.schema.fields + [T.StructField("_gr", T.DoubleType())]))
-    out = _attach(out.drop("_ru", "_rd", "_tg"), cfg)
-    return out.withColumn("_gas_d", F.when(col("_gr") > EPS_ON, F.least(col("pmax_t"),
-                                                                       F.greatest(col("pmin_t"), col("_gr"))))
-                          .otherwise(F.lit(0.0))).drop("_gr")
+                       "_rd": col("gas_ramp_down_mw_per_h") * col("dt_hours"), "_tg": F.least(col("pmax_t"), col("_need")),
+                       "_top": F.when(pmax > 0, pmax).otherwise(F.lit(1e12)), "_m": col("must_run"),
+                       "_lo": col("pmin_t"), "_hi": col("pmax_t")})
+    thin = _detach(d, cfg).drop(*DERIVED, "_need")
+    out = ramp_follow(thin, keys, col("_pos"), ["ts"], col("_tg"), col("_ru"), col("_rd"), col("_top"), "_gr", "_grp",
+                      lagged={"_p_m": col("_m"), "_p_lo": col("_lo"), "_p_hi": col("_hi")})
+    out = _derive(_attach(out, cfg), grid_on, gas_charges_storage)
+    lift = lambda g, lo, hi: F.when(g > EPS_ON, F.least(hi, F.greatest(lo, g))).otherwise(F.lit(0.0))
+    before = col("_p_m") + lift(col("_grp"), col("_p_lo"), col("_p_hi"))
+    return out.withColumns({
+        "_gas_d": lift(col("_gr"), col("pmin_t"), col("pmax_t")),
+        "_on_prev": F.when(before > EPS_ON, 1.0).when(before.isNotNull(), 0.0),
+    }).drop("_ru", "_rd", "_tg", "_top", "_m", "_lo", "_hi", "_gr", "_grp", "_p_m", "_p_lo", "_p_hi")

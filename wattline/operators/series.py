@@ -3,16 +3,15 @@
 A plain ``Window.partitionBy(key).orderBy(ts)`` puts a whole key into one
 task.  Here every window runs inside bounded time chunks
 (``Window.partitionBy(key, chunk)``) and the part that crosses chunks is
-carried by a small chunk-level table (one row per chunk) joined back:
+carried by a chunk table (one row per chunk) joined back; the chunk table's own
+windows are cut into chunks again, ``DEPTH`` times:
 
 * running sums (W1): chunk-local running sum + sum of all earlier chunks;
-* lag (W2-W4, W6): chunk-local lag; the first row of a chunk takes the last
-  row of the previous non-empty chunk;
-* trailing counts over n rows (W5): running sum(t) - running sum(t - n),
-  via the same running sums and a lag by n.
+* preceding rows (W2-W6): every chunk comes with the last n rows before it, so
+  previous values and sums over the last rows are taken in place.  Rows are
+  counted, not positions, so missing intervals don't matter.
 
-The chunk-level tables are ``rows / span`` in size; their own windows run
-per key over that much smaller table.
+``pos`` deals the rows to chunks; rows are ordered by ``pos`` and ``ties``.
 """
 
 from __future__ import annotations
@@ -22,63 +21,66 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SPAN = 256
+from wattline.operators.balance import FAN, chunked_rows
 
+SPAN = 1024
+DEPTH = 2
 
-def _chunked(df: DataFrame, pos: str, span: int) -> DataFrame:
-    return df.withColumn("_ck", F.floor(F.col(pos) / F.lit(span)).cast("long"))
+
+def _chunked(df: DataFrame, pos: str, span: int, name: str) -> DataFrame:
+    return df.withColumn(name, F.floor(F.col(pos) / F.lit(span)).cast("long"))
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, Column | str],
-                 span: int = DEFAULT_SPAN) -> DataFrame:
-    """Add ``name = sum(expr) over (keys order by pos rows unbounded preceding..current)``."""
-    keys = list(keys)
-    d = _chunked(df, pos, span)
-    exprs = {n: (F.col(e) if isinstance(e, str) else e) for n, e in cols.items()}
-    d = d.withColumns({f"_v_{n}": e for n, e in exprs.items()})
-    w_local = Window.partitionBy(*keys, "_ck").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(w_local) for n in exprs})
-    tot = d.groupBy(*keys, "_ck").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in exprs])
-    w_prev = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select(*keys, "_ck", *[F.coalesce(F.sum(f"_t_{n}").over(w_prev), F.lit(0)).alias(f"_c_{n}")
-                                      for n in exprs])
-    d = d.join(carry, [*keys, "_ck"], "left")
-    d = d.withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in exprs})
-    return d.drop("_ck", *[f"_{p}_{n}" for n in exprs for p in ("v", "l", "c")])
-
-
-def lag_values(df: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, str],
-               span: int = DEFAULT_SPAN) -> DataFrame:
-    """Add ``out = lag(src) over (keys order by pos)`` (null on the first row of a key)."""
+                 ties: Sequence[str] = (), span: int = SPAN, depth: int = DEPTH) -> DataFrame:
+    """Add ``name = sum(expr) over (keys order by pos, ties, up to the current row)``."""
     keys = list(keys)
-    d = _chunked(df, pos, span)
-    w_local = Window.partitionBy(*keys, "_ck").orderBy(pos)
-    d = d.withColumns({f"_lag_{o}": F.lag(s).over(w_local) for o, s in cols.items()})
-    d = d.withColumn("_first", F.row_number().over(w_local) == 1)
-    last = d.groupBy(*keys, "_ck").agg(*[F.max_by(s, pos).alias(f"_last_{o}") for o, s in cols.items()])
-    w_next = Window.partitionBy(*keys).orderBy("_ck")
-    carry = last.select(*keys, F.lead("_ck").over(w_next).alias("_ck"),
-                        *[F.col(f"_last_{o}") for o in cols]).where(F.col("_ck").isNotNull())
-    d = d.join(carry, [*keys, "_ck"], "left")
-    d = d.withColumns({o: F.when(F.col("_first"), F.col(f"_last_{o}")).otherwise(F.col(f"_lag_{o}"))
-                       for o in cols})
-    return d.drop("_ck", "_first", *[f"_lag_{o}" for o in cols], *[f"_last_{o}" for o in cols])
-
-
-def trailing_sums(df: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, tuple[Column | str, Column]],
-                  span: int = DEFAULT_SPAN) -> DataFrame:
-    """Add ``name = sum(expr) over the last n rows`` with n a per-row column (positions dense).
-
-    Uses running sums: trailing(t) = R(t) - R(t - n), R(t - n) found by an
-    equi-join on the position ``pos - n`` (no per-key window).
-    """
+    d = df.withColumns({f"_v_{n}": (F.col(e) if isinstance(e, str) else e) for n, e in cols.items()})
+    if depth == 0:
+        w = Window.partitionBy(*keys).orderBy(pos, *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return d.withColumns({n: F.sum(f"_v_{n}").over(w) for n in cols}).drop(*[f"_v_{n}" for n in cols])
+    ck = f"_ck{depth}"
+    d = _chunked(d, pos, span, ck)
+    w_local = Window.partitionBy(*keys, ck).orderBy(pos, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    totals = d.groupBy(*keys, ck).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in cols])
+    upto = running_sums(totals, keys, ck, {f"_r_{n}": f"_t_{n}" for n in cols}, span=span, depth=depth - 1)
+    carry = upto.select(*keys, ck, *[(F.col(f"_r_{n}") - F.col(f"_t_{n}")).alias(f"_c_{n}") for n in cols])
+    d = d.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(w_local) for n in cols}).join(carry, [*keys, ck])
+    d = d.withColumns({n: F.col(f"_l_{n}") + F.col(f"_c_{n}") for n in cols})
+    return d.drop(ck, *[f"_{p}_{n}" for n in cols for p in ("v", "l", "c")])
+
+
+def with_preceding(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[str], n: int,
+                   fields: Sequence[str]) -> DataFrame:
+    """keys, _rows, _tail: the rows of each time chunk in order, and ``fields``
+    of the last ``n`` rows of the key before it (fewer at the key's start)."""
     keys = list(keys)
-    rs = running_sums(df, keys, pos, {f"_R_{n}": e for n, (e, _) in cols.items()}, span)
-    out = rs
-    for n, (_, width) in cols.items():
-        back = rs.select(*keys, (F.col(pos)).alias("_bp"), F.col(f"_R_{n}").alias(f"_Rb_{n}"))
-        out = out.withColumn(f"_bp_{n}", F.col(pos) - width)
-        out = out.join(back.withColumnRenamed("_bp", f"_bp_{n}"), [*keys, f"_bp_{n}"], "left")
-        out = out.withColumn(n, F.col(f"_R_{n}") - F.coalesce(F.col(f"_Rb_{n}"), F.lit(0)))
-        out = out.drop(f"_bp_{n}", f"_Rb_{n}", f"_R_{n}")
-    return out
+    payload = [c for c in df.columns if c not in keys]
+    row = F.struct(*order, *[c for c in payload if c not in order])
+    blocks = chunked_rows(df, keys, position, row)
+    pick = lambda r: F.struct(*[r[f].alias(f) for f in fields])
+    ends = blocks.select(*keys, "_c", F.transform(_last(F.col("_rows"), n), pick).alias("_tail"))
+    return blocks.join(_tails(ends, keys, n, 1).hint("shuffle_hash"), [*keys, "_c"])
+
+
+def _last(arr: Column, n: int) -> Column:
+    return F.slice(arr, F.greatest(F.size(arr) - n + 1, F.lit(1)), n)
+
+
+def _tails(ends: DataFrame, keys: list[str], n: int, depth: int) -> DataFrame:
+    """keys, _c, _tail: the last ``n`` rows before each chunk, from each chunk's
+    own last rows (``ends``); chunks are looked at in groups of FAN."""
+    group = keys if depth == 0 else [*keys, "_b"]
+    d = ends if depth == 0 else ends.withColumn("_b", F.floor(F.col("_c") / F.lit(FAN)).cast("long"))
+    g = d.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_c", "_tail"))).alias("_e"))
+    own = F.transform("_e", lambda x: x["_tail"])
+    if depth == 0:
+        opened = g.withColumn("_open", F.slice(F.element_at(own, 1), 1, 0))
+    else:
+        # a chunk has a row at least, so n rows lie in the last n chunks
+        above = g.select(*keys, F.col("_b").alias("_c"), _last(F.flatten(_last(own, n)), n).alias("_tail"))
+        opened = g.join(_tails(above, keys, n, depth - 1).select(*keys, F.col("_c").alias("_b"), F.col("_tail").alias("_open")),
+                        group)
+    before = F.transform("_e", lambda x, i: F.struct(x["_c"].alias("_c"), _last(F.concat(
+        F.col("_open"), F.flatten(_last(F.slice(own, 1, i), n))), n).alias("_tail")))
+    return opened.select(*keys, F.inline(before))

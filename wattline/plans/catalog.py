@@ -52,15 +52,6 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_intervals(intervals_from_events(spark, sf_dir))
 
 
-def short_keys(spark: SparkSession, sf_dir: str, dt_hours: float = 1.0) -> bool:
-    """Whether every site's series fits one balance group (decided on the interval table,
-    one scalar job, instead of on a dispatch output)."""
-    from wattline.operators.balance import levels_for
-    from wattline.operators.dispatch import interval_position
-    iv = intervals(spark, sf_dir).withColumn("dt_hours", F.lit(float(dt_hours)))
-    return levels_for(iv, interval_position()) == 0
-
-
 # ---------------------------------------------------------------------------
 # parameters of the single-site runs (our own demo values)
 # ---------------------------------------------------------------------------
@@ -170,7 +161,7 @@ def q_bounded_balance(spark, sf_dir):
     iv = iv.withColumns({"step": F.col("wind_mw") + F.col("solar_mw") + F.col("natgas_mw") - F.col("load_mw"),
                          "dt_hours": F.lit(1.0)})
     out = bounded_balance(iv.withColumn("_pos", interval_position()), ["site_id"], "_pos", "step", 0.0,
-                          BALANCE_CAP, out="soc", prev_out="soc_prev")
+                          BALANCE_CAP, order=["ts"], out="soc", prev_out="soc_prev")
     return out.select("site_id", "ts", "step", "soc_prev", "soc")
 
 
@@ -282,13 +273,7 @@ from wattline.operators.dispatch import gas_cap, must_run_gas, prepare, scale_re
     serve_first_dispatch  # noqa: E402
 from wattline.operators.metrics import run_metrics  # noqa: E402
 from wattline.plans.dispatch_sql import serve_first_sql, run_metrics_sql  # noqa: E402
-
-
-def reference_mw(iv: DataFrame, keys=("site_id",)) -> DataFrame:
-    """Reference MW per site = ceil(max(clip(col, 0))), 0 when empty."""
-    def ref(c):
-        return F.coalesce(F.ceil(F.max(F.greatest(F.col(c), F.lit(0.0)))).cast("double"), F.lit(0.0))
-    return iv.groupBy(*keys).agg(ref("solar_mw").alias("ref_solar_mw"), ref("wind_mw").alias("ref_wind_mw"))
+from wattline.plans.sweep import reference_mw  # noqa: E402
 
 
 _REF_SQL = f"""ref AS (SELECT site_id,
@@ -353,14 +338,6 @@ def q_gas_cap(spark, sf_dir):
 INTERVAL_FIELDS = ["site_id", "ts", "wind_mw", "solar_mw", "natgas_mw", "load_mw", "price"]
 
 
-@register("must_run_gas", with_sql("", f"""
-, zq AS (SELECT site_id, sum(greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)}))) <= 1e-9 AS ng_zero FROM intervals GROUP BY site_id)
-SELECT i.site_id, i.ts,
-  CASE WHEN z.ng_zero THEN {d(25.0)} ELSE least(greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})), {d(25.0)}) END AS must_run_pmax,
-  greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})) AS must_run_profile,
-  greatest({d(0.0)}, coalesce(natgas_mw, {d(0.0)})) AS must_run_disabled,
-  {d(0.0)} AS must_run_dispatchable
-FROM intervals i JOIN zq z ON z.site_id = i.site_id""".replace("\n, zq AS", "zq AS", 1)) if False else None)
 def q_must_run_gas(spark, sf_dir):
     """Must-run gas per interval: enabled with pmax, enabled profile-only, disabled, dispatchable."""
     iv = with_config(intervals(spark, sf_dir), SITE_CFG)
@@ -423,8 +400,6 @@ def q_gas_follow(spark, sf_dir):
     return _sf(spark, sf_dir, gas_follow_ramp=True).select(*DISP_COLS)
 
 
-@register("run_metrics", with_sql(serve_first_sql(SITE_CFG), run_metrics_sql(SITE_CFG).lstrip(", ").replace(
-    "g AS (", "", 0)) if False else None)
 def q_run_metrics(spark, sf_dir):
     """Run metrics of the grid-off dispatch per site."""
     return run_metrics(_sf(spark, sf_dir), keys=["site_id"])
@@ -453,7 +428,7 @@ W_SITE = "OVER (PARTITION BY site_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDIN
 
 
 def _dec_cum(x: str) -> str:
-    return asdbl(f"sum(CAST(round(({x}) * {d(1e6)}) AS BIGINT)) {W_SITE}")
+    return dr(f"sum({x}) {W_SITE}", 2)
 
 
 @register("cumulative_revenue", with_sql(serve_first_sql(SITE_CFG), f"""
@@ -463,7 +438,7 @@ SELECT site_id, ts, (grid_exp - grid_imp) * price AS merchant,
 FROM disp"""))
 def q_cumulative_revenue(spark, sf_dir):
     """Cumulative merchant value, gas cost and net revenue per site (grid-off dispatch)."""
-    cs = chart_series(_sf(spark, sf_dir), keys=["site_id"], short=short_keys(spark, sf_dir))
+    cs = chart_series(_sf(spark, sf_dir), keys=["site_id"])
     return cs.select("site_id", "ts", (F.col("grid_net") * F.col("price")).alias("merchant"),
                      "cum_merchant", "cum_gas_cost", "cum_net_revenue")
 
@@ -487,8 +462,7 @@ GS_COLS = ["site_id", "ts", "gas_gen", "gas_on", "gas_start", "gas_stop", "gas_p
 @register("gas_starts", with_sql(serve_first_sql(AUDIT_CFG), _GS_SQL))
 def q_gas_starts(spark, sf_dir):
     """Gas on/start/stop, ramp step and starts/stops inside min-up 2 h / min-down 3 h windows."""
-    return gas_commitment(_audit_disp(spark, sf_dir), keys=["site_id"], n_up=2, n_down=3,
-                          short=short_keys(spark, sf_dir)).select(*GS_COLS)
+    return gas_commitment(_audit_disp(spark, sf_dir), keys=["site_id"]).select(*GS_COLS)
 
 
 def _scorecard_sql(cfg: dict, lam: float = 0.9) -> str:
@@ -571,8 +545,7 @@ _au_body, _au_sel = _audit_sql(AUDIT_CFG)
 @register("dispatch_audit", with_sql(serve_first_sql(AUDIT_CFG) + ",\n" + _au_body, _au_sel))
 def q_dispatch_audit(spark, sf_dir):
     """Per site and rule, rows of the grid-off dispatch breaking it (min up 2 h, min down 3 h)."""
-    return dispatch_audit(_audit_disp(spark, sf_dir), keys=["site_id"], n_up=2, n_down=3,
-                          short=short_keys(spark, sf_dir))
+    return dispatch_audit(_audit_disp(spark, sf_dir), keys=["site_id"])
 
 
 REASON_CFG = dict(SITE_CFG, gas_pmax_mw=0.0, gas_use_profile_as_cap=True)
@@ -629,7 +602,7 @@ SELECT site_id, ts, solar_mw, wind_mw, gas_gen AS natgas_mw, discharge1 - charge
 FROM disp"""))
 def q_chart_series(spark, sf_dir):
     """Chart data (sources, battery nets, grid, POI line, SOC, cumulative money) per site."""
-    return chart_series(_sf(spark, sf_dir), keys=["site_id"], short=short_keys(spark, sf_dir)).select(*CHART_COLS)
+    return chart_series(_sf(spark, sf_dir), keys=["site_id"]).select(*CHART_COLS)
 
 
 def _metrics_long_sql():
@@ -659,6 +632,7 @@ def q_metrics_long(spark, sf_dir):
 # ---------------------------------------------------------------------------
 from wattline.config import derived_config, config_problems  # noqa: E402
 from wattline.functions.econ import annualized_cost, econ_table, econ_wide  # noqa: E402
+from wattline.functions.text import money_text  # noqa: E402
 from wattline.plans import sweep as SW  # noqa: E402
 from wattline.plans import sweep_sql as SQ  # noqa: E402
 
@@ -683,7 +657,7 @@ def _grid_sql_select(cols: str) -> str:
 
 @register("candidate_grid", _grid_sql_select(
     "SELECT c.site_id, c.candidate_id, c.solar_mw, c.wind_mw, c.bess_power_mw, c.bess_duration_h, c.gas_mw, "
-    "CAST(g.gs AS INTEGER) AS grid_size FROM cand c JOIN (SELECT site_id, "
+    "CAST(g.gs AS BIGINT) AS grid_size FROM cand c JOIN (SELECT site_id, "
     "greatest(len(v_solar_mw), 1) * greatest(len(v_wind_mw), 1) * greatest(len(v_bess_power_mw), 1) * "
     "greatest(len(v_bess_duration_h), 1) * greatest(len(v_gas_mw), 1) AS gs FROM g0) g ON g.site_id = c.site_id"))
 def q_candidate_grid(spark, sf_dir):
@@ -743,9 +717,8 @@ def q_annualized_cost(spark, sf_dir):
     return annualized_cost(with_econ(g, None)).select("site_id", "candidate_id", *ANN_COLS)
 
 
-def _sweep(spark, sf_dir, keep_dispatch=False):
-    return SW.capacity_sweep(spark, intervals(spark, sf_dir), SWEEP_BASE, SWEEP_RANGES, None,
-                             keep_dispatch=keep_dispatch)
+def _sweep(spark, sf_dir):
+    return SW.capacity_sweep(intervals(spark, sf_dir), SWEEP_BASE, SWEEP_RANGES)
 
 
 _SWEEP_SQL = SQ.sweep_sql(SWEEP_BASE, SWEEP_RANGES)
@@ -812,9 +785,8 @@ SELECT {', '.join('d.' + c for c in DRILL_COLS)} FROM disp d
 WHERE (d.site_id, d.candidate_id) IN (SELECT site_id, candidate_id FROM rec)"""))
 def q_drilldown(spark, sf_dir):
     """The dispatch rows of each site's recommended candidate (semi join)."""
-    sweep, disp = _sweep(spark, sf_dir, keep_dispatch=True)
-    rec = SW.recommend(SW.score_and_rank(sweep, TARGET_PCT), TARGET_PCT)
-    return SW.drilldown(disp, rec).select(*DRILL_COLS)
+    rec = SW.recommend(SW.score_and_rank(_sweep(spark, sf_dir), TARGET_PCT), TARGET_PCT)
+    return SW.drilldown(intervals(spark, sf_dir), rec, SWEEP_BASE).select(*DRILL_COLS)
 
 
 # ---------------------------------------------------------------------------
@@ -936,7 +908,7 @@ def _summary_expr(name: str, target: float, grid: bool) -> F.Column:
                                 F.lit(" h  ("), f1("bess_energy_mwh"), F.lit(" MWh)")),
                        F.concat(F.lit("  Gas:   "), f1("gas_mw"), F.lit(" MW")),
                        F.concat(F.lit("  Firmness: "), F.format_string("%.2f", c("firmness_pct")), F.lit("%")),
-                       F.concat(F.lit("  Total annual cost: $"), SW.money(c("total_annual_cost_usd")), F.lit("/yr")),
+                       F.concat(F.lit("  Total annual cost: $"), money_text(c("total_annual_cost_usd")), F.lit("/yr")),
                        F.concat(F.lit("  CO2 tons (horizon): "), f1("co2_tons")))
 
 

@@ -1,37 +1,29 @@
 """Shared SQL fragments for the DuckDB oracle statements.
 
-They mirror the Spark helpers in ``operators.metrics`` operation by
-operation: sums are taken over integers (value x 10^6, rounded half away
-from zero), so they are exact and independent of the order rows are added
-in; roundings are half-up in integer arithmetic; doubles are rounded through
-their DECIMAL(38,6) form.
+They mirror the Spark helpers in ``operators.metrics``: sums are taken over
+doubles, and values are rounded once, half-up, through their DECIMAL(38,6)
+form.
 """
 
 from __future__ import annotations
 
-SCALE = 1_000_000
-
 
 def d(x: float) -> str:
     return f"CAST({float(x)!r} AS DOUBLE)"
 
 
 def isum(x: str) -> str:
-    """Exact sum of a double column at 10^-6 resolution (BIGINT)."""
-    return f"sum(CAST(round(({x}) * {d(SCALE)}) AS BIGINT))"
+    """Sum of a double column."""
+    return f"sum({x})"
 
 
 def asdbl(s: str) -> str:
-    """A scaled integer sum as a double."""
-    return f"(CAST({s} AS DOUBLE) / {d(SCALE)})"
+    return f"({s})"
 
 
 def iround(s: str, n: int) -> str:
-    """Half-up rounding of a scaled integer sum to n decimals, as a double."""
-    q = 10 ** (6 - n)
-    h = q // 2
-    return (f"(CAST(CASE WHEN ({s}) >= 0 THEN floor((({s}) + {h}) / {q}) "
-            f"ELSE -floor(((-({s})) + {h}) / {q}) END AS DOUBLE) / {d(10 ** n)})")
+    """Half-up rounding of a sum to n decimals."""
+    return dr(s, n)
 
 
 def dr(x: str, n: int) -> str:

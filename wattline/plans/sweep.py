@@ -1,15 +1,15 @@
 """Capacity screening as one Spark plan.
 
     ranges --(F12 resolve per site, J1 product)--> candidates
-    intervals JOIN candidates ON site (J2, bounded fan-out <= cap per site)
-      -> scale renewables (P12) -> candidate config (J4) -> serve-first dispatch (D2)
+    intervals x candidates of the site as lanes (J2)
+      -> scale renewables (P12) -> candidate config (J4) -> serve-first dispatch (D2, D3)
       -> run metrics per (site, candidate) -> economics (J5, F1-F4)
       -> reliability flag (P25), Pareto flag (W7), rank (T1), recommendation (T2)
 
-Each site is screened on its own (the ranking windows are partitioned by
-site; a site has at most ``cap`` candidates, so every window is bounded).
-The candidate grid is built with ``posexplode`` generators (no cross join)
-and its size is checked per site before the fan-out.
+Each site is screened on its own.  The candidate grid is built with
+``posexplode`` generators (no cross join).  Candidates are lanes over the
+site's intervals (``operators.lanes``): no row of the fan-out is shuffled, its
+metrics are summed in the tasks that hold the chunks.
 """
 
 from __future__ import annotations
@@ -21,13 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.functions.econ import annual_figures, annualized_cost, with_econ
-from wattline.operators.balance import fanout_partitions, levels_for
-from wattline.operators.dispatch import interval_position, serve_first_dispatch
+from wattline.functions.text import money_text
+from wattline.operators.dispatch import gas_column_zero, scale_renewables, serve_first_dispatch
+from wattline.operators.lanes import lane_dispatch
 from wattline.operators.metrics import run_metrics
-from wattline.session import materialize_table
 
-SWEEP_HARD_CAP = 1000
-SWEEP_WARN_THRESHOLD = 300
 RANGE_NAMES = ["solar", "wind", "bess_power", "bess_duration", "gas"]
 CAND_COLS = ["solar_mw", "wind_mw", "bess_power_mw", "bess_duration_h", "gas_mw"]
 RANGE_TYPE = T.StructType([T.StructField("name", T.StringType()), T.StructField("mode", T.StringType()),
@@ -59,38 +57,46 @@ def resolve(rng: Column, reference: Column | None = None) -> Column:
                   .otherwise(F.array(F.lit(0.0)))).otherwise(rng["values"])
 
 
-def candidate_grid(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]], cap: int = SWEEP_HARD_CAP) -> DataFrame:
-    """The product of the five resolved ranges per site, ``candidate_id`` mixed-radix.
+def _grid_lists(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]] | None, part: Sequence[str]) -> DataFrame:
+    """part, the five resolved value lists (_v_*) and the size of their product.
 
-    ``sites`` has ``site_id, ref_solar_mw, ref_wind_mw``.  The grid size is
-    checked per site before anything is expanded: a site above ``cap`` fails
-    the job with a clear message (the reference raises the same way).
+    Without ``ranges`` the sites' rows carry them as ``screening_ranges``.
     """
-    d = sites.select("site_id", *ranges_row(ranges), "ref_solar_mw", "ref_wind_mw")
-    vals = {
-        "solar_mw": resolve(F.col("solar"), F.col("ref_solar_mw")),
-        "wind_mw": resolve(F.col("wind"), F.col("ref_wind_mw")),
-        "bess_power_mw": resolve(F.col("bess_power")),
-        "bess_duration_h": resolve(F.col("bess_duration")),
-        "gas_mw": resolve(F.col("gas")),
-    }
-    d = d.select("site_id", *[v.alias(f"_v_{k}") for k, v in vals.items()])
-    size = None
+    rng = ranges_row(ranges) if ranges is not None else [F.col(f"screening_ranges.{n}").alias(n) for n in RANGE_NAMES]
+    d = sites.select(*part, *rng, "ref_solar_mw", "ref_wind_mw")
+    refs = {"solar": F.col("ref_solar_mw"), "wind": F.col("ref_wind_mw")}
+    d = d.select(*part, *[resolve(F.col(n), refs.get(n)).alias(f"_v_{k}") for n, k in zip(RANGE_NAMES, CAND_COLS)])
+    size = F.lit(1).cast("long")
     for k in CAND_COLS:
-        s = F.greatest(F.size(f"_v_{k}"), F.lit(1))
-        size = s if size is None else size * s
-    d = d.withColumn("grid_size", size)
-    # a row filter (not a projection), so column pruning can never skip the check
-    d = d.where(F.assert_true(F.col("grid_size") <= cap, F.concat(
-        F.lit("Sweep grid has "), F.col("grid_size").cast("string"),
-        F.lit(f" configurations, exceeding the hard cap of {cap}. Reduce the sweep ranges."))).isNull())
-    cid = None
+        size = size * F.greatest(F.size(f"_v_{k}"), F.lit(1))
+    return d.withColumn("grid_size", size)
+
+
+def candidate_grid(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]] | None = None, cap: int | None = None,
+                   part: Sequence[str] = ("site_id",)) -> DataFrame:
+    """The product of the five resolved ranges per site, ``candidate_id`` mixed-radix.
+
+    ``sites`` has ``part``, ref_solar_mw, ref_wind_mw.  A site whose product is
+    larger than ``cap`` (default: no limit) is left out before anything is
+    expanded; ``over_cap`` has it.
+    """
+    part = list(part)
+    d = _grid_lists(sites, ranges, part)
+    if cap is not None:
+        d = d.where(F.col("grid_size") <= cap)
+    cid = F.lit(0).cast("long")
     for k in CAND_COLS:
         d = d.select("*", F.posexplode(f"_v_{k}").alias(f"_i_{k}", k))
-        n = F.size(f"_v_{k}")
-        cid = F.col(f"_i_{k}").cast("long") if cid is None else cid * n + F.col(f"_i_{k}")
-    d = d.withColumn("candidate_id", cid.cast("long"))
-    return d.select("site_id", "candidate_id", *CAND_COLS, "grid_size")
+        cid = cid * F.size(f"_v_{k}") + F.col(f"_i_{k}")
+    return d.select(*part, cid.alias("candidate_id"), *CAND_COLS, "grid_size")
+
+
+def over_cap(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]] | None, cap: int,
+             part: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Sites whose grid is larger than ``cap``: one failed row each."""
+    d = _grid_lists(sites, ranges, list(part)).where(F.col("grid_size") > cap)
+    return d.select(*part, F.lit(False).alias("ok"), F.concat(
+        F.lit("grid of "), F.col("grid_size").cast("string"), F.lit(f" candidates is over the limit of {cap}")).alias("error"))
 
 
 def candidate_config(cands: DataFrame, base: Mapping[str, Any]) -> tuple[DataFrame, dict]:
@@ -119,28 +125,15 @@ def reference_mw(iv: DataFrame) -> DataFrame:
     return iv.groupBy("site_id").agg(ref("solar_mw").alias("ref_solar_mw"), ref("wind_mw").alias("ref_wind_mw"))
 
 
-def sweep_dispatch(iv: DataFrame, cands: DataFrame, cfg: Mapping[str, Any], refs: DataFrame,
-                   levels: int | None = None) -> DataFrame:
-    """J2 + P12 + D2: every candidate meets every interval of its site, then dispatch."""
+def sweep_lanes(iv: DataFrame, cands: DataFrame, refs: DataFrame, part: Sequence[str] = ("site_id",)) -> DataFrame:
+    """The candidates as lanes, with the factors that scale the site's profiles."""
     c = F.col
-    # per-site facts are computed before the fan-out (one row per site), so the
-    # fan-out rows only gain columns, never an extra shuffle
-    zero = iv.groupBy("site_id").agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(c("natgas_mw"), F.lit(0.0))))
-                                      <= F.lit(1e-9)).alias("_ng_zero"))
-    # per-candidate constants: one row per (site, candidate), at most cap per site
-    params = cands.join(zero, "site_id").join(refs, "site_id")
-    # the interval table is hash-partitioned by site before the fan-out: the fan-out
-    # then runs in parallel and every (site, candidate) key is already in one
-    # partition, so the much larger fanned-out table is never shuffled
-    fan = iv.repartition(fanout_partitions(iv), "site_id").join(params.hint("shuffle_hash"), "site_id")
-    fan = fan.withColumns({
-        "solar_mw": F.when(c("ref_solar_mw") > 0, c("solar_mw") * (c("cand_solar_mw") / c("ref_solar_mw")))
-        .otherwise(F.lit(0.0)),
-        "wind_mw": F.when(c("ref_wind_mw") > 0, c("wind_mw") * (c("cand_wind_mw") / c("ref_wind_mw")))
-        .otherwise(F.lit(0.0)),
-    })
-    return serve_first_dispatch(fan, keys=KEYS, cfg=cfg, levels=levels, params=params,
-                                prepartitioned=(levels == 0))
+    d = cands.join(refs.select("site_id", "ref_solar_mw", "ref_wind_mw"), "site_id").join(
+        gas_column_zero(iv, ["site_id"]), "site_id")
+    factor = lambda x, r: F.when(c(r) > 0, c(x) / c(r)).otherwise(F.lit(0.0))
+    return d.withColumns({"_sk": factor("cand_solar_mw", "ref_solar_mw"), "_wk": factor("cand_wind_mw", "ref_wind_mw"),
+                          "_load": F.lit(None).cast("double")}).drop(
+        "ref_solar_mw", "ref_wind_mw", "cand_solar_mw", "cand_wind_mw")
 
 
 SWEEP_COLUMNS = ["site_id", "candidate_id", "ok", "error", "solar_mw", "wind_mw", "bess_power_mw",
@@ -153,83 +146,83 @@ SWEEP_COLUMNS = ["site_id", "candidate_id", "ok", "error", "solar_mw", "wind_mw"
                  "lcoe_usd_per_mwh", "horizon_hours"]
 
 
-def capacity_sweep(spark: SparkSession, iv: DataFrame, base: Mapping[str, Any], ranges: Mapping[str, Any],
-                   econ: Mapping[str, Any] | None = None, *, cap: int = SWEEP_HARD_CAP,
-                   keep_dispatch: bool = False):
-    """One 32-column row per (site, candidate); optionally also the dispatch table."""
+def capacity_sweep(iv: DataFrame, base: Mapping[str, Any], ranges: Mapping[str, Any],
+                   econ: Mapping[str, Any] | None = None, *, cap: int | None = None,
+                   grid_allowed: bool = False) -> DataFrame:
+    """One row per (site, candidate): metrics, costs and economics.
+
+    ``ok`` is false where the import of some interval exceeds the connection
+    (grid on), and for a site whose grid is larger than ``cap``: that one has
+    a single row with an ``error`` and without a candidate.
+    """
     refs = reference_mw(iv)
     grid = candidate_grid(refs, ranges, cap)
     cands, cfg = candidate_config(grid.withColumnsRenamed({"solar_mw": "cand_solar_mw", "wind_mw": "cand_wind_mw"}),
                                   base)
-    disp_in = cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh", "grid_size")
-    # chunk depth from the interval table (before the fan-out): one scalar job
-    levels = levels_for(iv.withColumn("dt_hours", F.lit(float(base.get("dt_hours", 1.0)))), interval_position())
-    disp = sweep_dispatch(iv, disp_in, cfg, refs, levels)
-    if keep_dispatch:
-        disp = materialize_table(disp)
-    m = run_metrics(disp, keys=KEYS)
+    lanes = sweep_lanes(iv, cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh", "grid_size"), refs)
+    m = run_metrics(lane_dispatch(iv, lanes, KEYS, cfg, grid_allowed), keys=KEYS, grid_allowed=grid_allowed)
     info = grid.withColumn("bess_energy_mwh", F.col("bess_power_mw") * F.col("bess_duration_h"))
     # One screening scenario -> its economics are literal columns (no join)
-    rows = with_econ(info, econ).join(m, KEYS)
+    out = sweep_rows(with_econ(info, econ).join(m, KEYS))
+    if cap is not None:
+        out = out.unionByName(over_cap(refs, ranges, cap), allowMissingColumns=True)
+    return out
+
+
+def sweep_rows(rows: DataFrame, part: Sequence[str] = ("site_id",)) -> DataFrame:
+    """The sweep table from candidates with their metrics and economics."""
     rows = rows.withColumns({"ok": ~F.col("infeasible"), "error": F.lit(""),
                              "unserved_mwh": F.col("unserved_energy_mwh"),
                              "total_op_cost_usd_horizon": F.col("total_operating_cost_usd")})
     rows = annual_figures(annualized_cost(rows))
-    out = rows.select(*SWEEP_COLUMNS)
-    return (out, disp) if keep_dispatch else out
+    return rows.select(*[p for p in part if p not in SWEEP_COLUMNS], *SWEEP_COLUMNS)
 
 
-def score_and_rank(sweep: DataFrame, target_pct: float, part: Sequence[str] = ("site_id",)) -> DataFrame:
+def score_and_rank(sweep: DataFrame, target_pct: float | Column, part: Sequence[str] = ("site_id",)) -> DataFrame:
     """P25 + W7 + T1: reliability flag, Pareto flag and rank per site.
 
     Pareto: in (firmness desc, cost asc) order a row is on the frontier when
     its cost is below every cost seen before it by more than 1e-6 (first row:
-    yes).  Failed rows (ok = false) never count as Pareto.  Rank: reliable
-    rows by cost, then the others by firmness, ties by candidate_id.
+    yes).  Failed rows (ok = false) are neither reliable nor Pareto and rank
+    behind all others.  Rank: reliable rows by cost, then the others by
+    firmness, ties by candidate_id.
     """
     c = F.col
     part = list(part)
-    d = sweep.withColumn("meets_reliability", c("firmness_pct") >= F.lit(float(target_pct)))
+    target = target_pct if isinstance(target_pct, Column) else F.lit(float(target_pct))
+    d = sweep.withColumn("meets_reliability", c("ok") & F.coalesce(c("firmness_pct") >= target, F.lit(False)))
     w = Window.partitionBy(*part).orderBy(c("firmness_pct").desc(), c("total_annual_cost_usd").asc(),
                                           c("candidate_id").asc())
     best_before = F.min(F.when(c("ok"), c("total_annual_cost_usd"))).over(
         w.rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("is_pareto", c("ok") & (best_before.isNull()
                                              | (c("total_annual_cost_usd") < best_before - F.lit(1e-6))))
-    wr = Window.partitionBy(*part).orderBy(c("meets_reliability").desc(),
+    wr = Window.partitionBy(*part).orderBy(c("ok").desc(), c("meets_reliability").desc(),
                                            F.when(c("meets_reliability"), c("total_annual_cost_usd")).asc_nulls_last(),
                                            c("firmness_pct").desc(), c("total_annual_cost_usd").asc(),
                                            c("candidate_id").asc())
     return d.withColumn("rank", F.row_number().over(wr).cast("long"))
 
 
-def money(x: Column) -> Column:
-    """Whole dollars with thousands separators (value rounded half-up first)."""
-    return F.format_number(F.round(x.cast("decimal(38,6)"), 0).cast("double"), 0)
-
-
-def recommend(ranked: DataFrame, target_pct: float, sites: DataFrame | None = None,
+def recommend(ranked: DataFrame, target_pct: float | Column, sites: DataFrame | None = None,
               part: Sequence[str] = ("site_id",)) -> DataFrame:
-    """T2 + F8: the rank-1 row per site with the rationale sentence.
+    """T2 + F8: the rank-1 row per site that didn't fail, with a sentence on why.
 
     Rank 1 is the cheapest reliable configuration, else the most reliable
     (then cheapest) one.  With ``sites`` every site gets a row: ``found`` is
-    false where nothing was tested.
+    false where no candidate could be run.
     """
     c = F.col
-    t = f"{float(target_pct):.1f}"
-    top = ranked.where(c("rank") == 1)
-    msg = F.when(c("meets_reliability"), F.concat(
-        F.lit(f"Cheapest configuration meeting {t}% reliability: $"), money(c("total_annual_cost_usd")),
-        F.lit("/yr at "), F.format_string("%.2f", c("firmness_pct")), F.lit("% firmness."))).otherwise(F.concat(
-            F.lit(f"No tested configuration meets {t}% reliability. Highest available firmness: "),
-            F.format_string("%.2f", c("firmness_pct")), F.lit("% at $"), money(c("total_annual_cost_usd")),
-            F.lit("/yr. Consider expanding the sweep ranges (more gas / longer-duration BESS / larger renewables).")))
+    target = F.format_string("%.1f", target_pct if isinstance(target_pct, Column) else F.lit(float(target_pct)))
+    top = ranked.where((c("rank") == 1) & c("ok"))
+    facts = F.concat(F.format_string("%.2f", c("firmness_pct")), F.lit(" % of load served, $"),
+                     money_text(c("total_annual_cost_usd")), F.lit(" a year"))
+    msg = F.concat(F.when(c("meets_reliability"), F.lit("target of ")).otherwise(F.lit("no candidate reaches ")), target,
+                   F.when(c("meets_reliability"), F.lit(" % met at least cost: ")).otherwise(F.lit(" %; best: ")), facts)
     top = top.withColumns({"found": F.lit(True), "message": msg})
     if sites is not None:
         top = sites.select(*part).join(top, list(part), "left").withColumns({
-            "found": F.coalesce(c("found"), F.lit(False)),
-            "message": F.coalesce(c("message"), F.lit("No configurations were tested."))})
+            "found": F.coalesce(c("found"), F.lit(False)), "message": F.coalesce(c("message"), F.lit("no candidate"))})
     return top
 
 
@@ -237,9 +230,14 @@ def pareto_frontier(ranked: DataFrame) -> DataFrame:
     return ranked.where(F.col("is_pareto"))
 
 
-def drilldown(dispatch: DataFrame, rec: DataFrame) -> DataFrame:
-    """Dispatch rows of the recommended candidate only (semi join)."""
-    return dispatch.join(rec.select("site_id", "candidate_id"), ["site_id", "candidate_id"], "left_semi")
+def drilldown(iv: DataFrame, rec: DataFrame, base: Mapping[str, Any], grid_allowed: bool = False) -> DataFrame:
+    """The dispatch of each site's recommended candidate, and of no other."""
+    refs = reference_mw(iv)
+    cands, cfg = candidate_config(rec.select("site_id", "candidate_id", F.col("solar_mw").alias("cand_solar_mw"),
+                                             F.col("wind_mw").alias("cand_wind_mw"), "bess_power_mw", "bess_duration_h",
+                                             "gas_mw"), base)
+    lanes = sweep_lanes(iv, cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh"), refs)
+    return lane_dispatch(iv, lanes, KEYS, cfg, grid_allowed)
 
 
 # ---------------------------------------------------------------------------
@@ -247,34 +245,27 @@ def drilldown(dispatch: DataFrame, rec: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def gas_capacity_sweep(iv: DataFrame, base: Mapping[str, Any], capacities: Sequence[float],
-                       target_pct: float | None) -> DataFrame:
+                       target_pct: float | None, grid_allowed: bool = False) -> DataFrame:
     """Dispatch per gas capacity (gas enabled + dispatchable), metrics per (site, capacity)."""
-    spark = iv.sparkSession
-    caps = spark.createDataFrame([(float(x),) for x in capacities], "gas_capacity_mw double")
-    sites = iv.select("site_id").distinct()
-    # capacities: a short parameter list (bounded by the caller), expanded per site by a generator
+    c = F.col
+    # capacities: a short parameter list, expanded per site by a generator
     arr = F.array(*[F.lit(float(x)) for x in capacities])
-    cands = sites.select("site_id", F.posexplode(arr).alias("candidate_id", "gas_capacity_mw"))
-    cands = cands.withColumn("candidate_id", F.col("candidate_id").cast("long"))
+    cands = gas_column_zero(iv, ["site_id"]).select("*", F.posexplode(arr).alias("candidate_id", "gas_capacity_mw"))
     pmin = float(base.get("gas_pmin_mw", 0.0) or 0.0)
-    cands = cands.withColumns({"gas_pmax_mw": F.col("gas_capacity_mw"), "gas_enabled": F.lit(True),
-                               "gas_dispatchable": F.lit(True),
-                               "gas_pmin_mw": F.least(F.lit(pmin), F.col("gas_capacity_mw"))})
+    none = F.lit(None).cast("double")
+    lanes = cands.withColumns({
+        "candidate_id": c("candidate_id").cast("long"), "gas_pmax_mw": c("gas_capacity_mw"), "gas_enabled": F.lit(True),
+        "gas_dispatchable": F.lit(True), "gas_pmin_mw": F.least(F.lit(pmin), c("gas_capacity_mw")),
+        "_sk": none, "_wk": none, "_load": none})
     cfg = dict(base, _varying=("gas_pmax_mw", "gas_enabled", "gas_dispatchable", "gas_pmin_mw"))
-    zero = iv.groupBy("site_id").agg((F.sum(F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0))))
-                                      <= F.lit(1e-9)).alias("_ng_zero"))
-    levels = levels_for(iv.withColumn("dt_hours", F.lit(float(base.get("dt_hours", 1.0)))), interval_position())
-    fan = (iv.repartition(fanout_partitions(iv), "site_id")
-           .join(zero.join(cands, "site_id").hint("shuffle_hash"), "site_id"))
-    disp = serve_first_dispatch(fan, keys=KEYS, cfg=cfg, levels=levels, prepartitioned=(levels == 0))
-    m = run_metrics(disp, keys=KEYS)
-    out = m.join(cands.select("site_id", "candidate_id", "gas_capacity_mw"), KEYS).select(
-        "site_id", "gas_capacity_mw", "firmness_pct", F.col("merchant_revenue_usd").alias("merchant_revenue_cost_usd"),
-        "total_served_mwh", "total_gen_mwh", "total_clip_mwh", F.col("natgas_total_cost_usd"),
-        F.col("total_natgas_mwh").alias("natgas_generation_mwh"))
-    meets = F.col("firmness_pct") >= F.lit(float(target_pct)) if target_pct is not None else F.lit(False)
-    _ = caps
-    return out.withColumn("meets_target", meets)
+    keys = [*KEYS, "gas_capacity_mw"]
+    m = run_metrics(lane_dispatch(iv, lanes, keys, cfg, grid_allowed), keys=keys, grid_allowed=grid_allowed)
+    out = m.select(
+        "site_id", "gas_capacity_mw", "firmness_pct", c("merchant_revenue_usd").alias("merchant_revenue_cost_usd"),
+        "total_served_mwh", "total_gen_mwh", "total_clip_mwh", "natgas_total_cost_usd",
+        c("total_natgas_mwh").alias("natgas_generation_mwh"), "infeasible")
+    meets = c("firmness_pct") >= F.lit(float(target_pct)) if target_pct is not None else F.lit(False)
+    return out.withColumn("meets_target", meets & ~c("infeasible"))
 
 
 def recommend_gas_capacity(sweep: DataFrame, target_pct: float | None) -> DataFrame:
@@ -311,6 +302,7 @@ def slack_tradeoff(sweep: DataFrame, slacks: Sequence[float] = DEFAULT_SLACKS) -
     floor test is the range (theta) predicate applied after it.
     """
     c = F.col
+    sweep = sweep.where("ok")
     best = sweep.groupBy("site_id").agg(F.max("total_served_mwh").alias("max_served"))
     d = sweep.join(best, "site_id")
     d = d.select("*", F.posexplode(F.array(*[F.lit(float(s)) for s in slacks])).alias("_si", "slack"))
@@ -339,28 +331,24 @@ def batch_grid(iv: DataFrame, base: Mapping[str, Any], loads: Sequence[float], p
                stacks: Sequence[int]) -> DataFrame:
     """Metrics for every (load level, battery power, stack count) per site, grid on.
 
-    The combinations are a short literal array expanded by a generator on
-    every interval row (no join).  Battery power is power x stacks; the load
-    level is the synthetic 24-7 load used where a site's load column is empty
-    (P11), as the run configuration's ``load_mw`` does.
+    The combinations are a short literal array, expanded on each site's row.
+    Battery power is power x stacks; the load level stands in for a load column
+    that is empty (P11).
     """
     c = F.col
     combos = [(lv, pw, st) for lv in loads for pw in powers for st in stacks]
     arr = F.array(*[F.struct(F.lit(i).cast("long").alias("candidate_id"), F.lit(float(lv)).alias("load_level_mw"),
                              F.lit(float(pw)).alias("power_mw"), F.lit(int(st)).alias("stacks"))
                     for i, (lv, pw, st) in enumerate(combos)])
-    zero = iv.groupBy("site_id").agg((F.sum(F.abs(F.coalesce(c("load_mw"), F.lit(0.0)))) < 1e-9).alias("_load_zero"))
-    fan = (iv.repartition(fanout_partitions(iv), "site_id").join(zero.hint("shuffle_hash"), "site_id")
-           .select("*", F.inline(arr)))
-    fan = fan.withColumns({"load_mw": F.when(c("_load_zero"), c("load_level_mw")).otherwise(c("load_mw")),
-                           "battery_power_mw": c("power_mw") * c("stacks")})
-    combos_df = fan.select("candidate_id", "load_level_mw", "power_mw", "stacks").distinct()
-    fan = fan.drop("_load_zero", "load_level_mw", "power_mw", "stacks")
+    sites = iv.groupBy("site_id").agg(
+        (F.sum(F.abs(F.coalesce(c("load_mw"), F.lit(0.0)))) < 1e-9).alias("_load_zero"),
+        (F.sum(F.greatest(F.lit(0.0), F.coalesce(c("natgas_mw"), F.lit(0.0)))) <= F.lit(1e-9)).alias("_ng_zero"))
+    none = F.lit(None).cast("double")
+    lanes = sites.select("*", F.inline(arr)).withColumns({
+        "_sk": none, "_wk": none, "_load": F.when(c("_load_zero"), c("load_level_mw")),
+        "battery_power_mw": c("power_mw") * c("stacks")}).drop("_load_zero")
     cfg = dict(base, _varying=("battery_power_mw",))
-    levels = levels_for(iv.withColumn("dt_hours", F.lit(float(base.get("dt_hours", 1.0)))), interval_position())
-    disp = serve_first_dispatch(fan, keys=KEYS, cfg=cfg, grid_on=True, levels=levels, prepartitioned=(levels == 0))
-    m = run_metrics(disp, keys=KEYS, grid_allowed=True)
-    # the combination table is at most len(loads) x len(powers) x len(stacks) rows
-    return m.join(F.broadcast(combos_df), "candidate_id").select(
-        "site_id", "load_level_mw", "power_mw", "stacks", "firmness_pct", "merchant_revenue_usd",
-        "total_served_mwh", "grid_imp_mwh", "grid_exp_mwh", "total_charge_mwh", "total_natgas_mwh", "infeasible")
+    keys = [*KEYS, "load_level_mw", "power_mw", "stacks"]
+    m = run_metrics(lane_dispatch(iv, lanes, keys, cfg, True), keys=keys, grid_allowed=True)
+    return m.select("site_id", "load_level_mw", "power_mw", "stacks", "firmness_pct", "merchant_revenue_usd",
+                    "total_served_mwh", "grid_imp_mwh", "grid_exp_mwh", "total_charge_mwh", "total_natgas_mwh", "infeasible")

@@ -179,7 +179,7 @@ def candidates_sql(ranges: Mapping[str, Mapping[str, Any]]) -> str:
 
 
 def sweep_sql(base: Mapping[str, Any], ranges: Mapping[str, Mapping[str, Any]],
-              econ: Mapping[str, Any] | None = None) -> str:
+              econ: Mapping[str, Any] | None = None, grid_on: bool = False) -> str:
     """CTEs ending in ``sweep``: the 32-column sweep table per (site, candidate)."""
     pmin = float(base.get("gas_pmin_mw", 0.0) or 0.0)
     z = d(0.0)
@@ -219,7 +219,7 @@ def sweep_sql(base: Mapping[str, Any], ranges: Mapping[str, Mapping[str, Any]],
     return ",\n".join([
         candidates_sql(ranges),
         fan,
-        dispatch_sql(P, "fan", keys).strip(),
+        dispatch_sql(P, "fan", keys, grid_on).strip(),
         metrics_sql(P, keys).strip(),
         f"""e1 AS (SELECT c.site_id, c.candidate_id, c.solar_mw, c.wind_mw, c.bess_power_mw, c.bess_duration_h,
   c.bess_power_mw * c.bess_duration_h AS bess_energy_mwh, c.gas_mw FROM cand c),
@@ -244,13 +244,13 @@ sweep AS (SELECT site_id, candidate_id, NOT infeasible AS ok, '' AS error, solar
 
 def ranked_sql(target: float) -> str:
     """CTE ``ranked`` over ``sweep``: meets_reliability, is_pareto, rank."""
-    return f"""r0 AS (SELECT *, firmness_pct >= {d(target)} AS meets_reliability,
+    return f"""r0 AS (SELECT *, ok AND firmness_pct >= {d(target)} AS meets_reliability,
   min(CASE WHEN ok THEN total_annual_cost_usd END) OVER (PARTITION BY site_id
     ORDER BY firmness_pct DESC, total_annual_cost_usd ASC, candidate_id ASC
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM sweep),
 ranked AS (SELECT * EXCLUDE (best_before),
   ok AND (best_before IS NULL OR total_annual_cost_usd < best_before - 1e-6) AS is_pareto,
-  CAST(row_number() OVER (PARTITION BY site_id ORDER BY meets_reliability DESC,
+  CAST(row_number() OVER (PARTITION BY site_id ORDER BY ok DESC, meets_reliability DESC,
     CASE WHEN meets_reliability THEN total_annual_cost_usd END ASC NULLS LAST, firmness_pct DESC,
     total_annual_cost_usd ASC, candidate_id ASC) AS BIGINT) AS rank FROM r0)"""
 
@@ -258,11 +258,10 @@ ranked AS (SELECT * EXCLUDE (best_before),
 def recommended_sql(target: float) -> str:
     t = f"{float(target):.1f}"
     money = "format('{:,.0f}', CAST(round(CAST(total_annual_cost_usd AS DECIMAL(38,6)), 0) AS DOUBLE))"
-    return f"""rec AS (SELECT *, true AS found, CASE WHEN meets_reliability THEN
-  'Cheapest configuration meeting {t}% reliability: $' || {money} || '/yr at ' || printf('%.2f', firmness_pct) || '% firmness.'
-  ELSE 'No tested configuration meets {t}% reliability. Highest available firmness: ' || printf('%.2f', firmness_pct)
-  || '% at $' || {money} || '/yr. Consider expanding the sweep ranges (more gas / longer-duration BESS / larger renewables).'
-  END AS message FROM ranked WHERE rank = 1)"""
+    return f"""rec AS (SELECT *, true AS found,
+  CASE WHEN meets_reliability THEN 'target of {t} % met at least cost: ' ELSE 'no candidate reaches {t} %; best: ' END
+  || printf('%.2f', firmness_pct) || ' % of load served, $' || {money} || ' a year' AS message
+  FROM ranked WHERE rank = 1 AND ok)"""
 
 
 def gas_sizing_sql(base: Mapping[str, Any], capacities, target: float) -> str:
@@ -280,7 +279,7 @@ gfan AS (SELECT i.*, CAST(c.candidate_id AS BIGINT) AS candidate_id, c.gas_capac
     return ",\n".join([fan, dispatch_sql(P, "gfan", keys).strip(), metrics_sql(P, keys).strip(), f"""gs0 AS (
   SELECT m.site_id, c.gas_capacity_mw, m.firmness_pct, m.merchant_revenue_usd AS merchant_revenue_cost_usd,
     m.total_served_mwh, m.total_gen_mwh, m.total_clip_mwh, m.natgas_total_cost_usd,
-    m.total_natgas_mwh AS natgas_generation_mwh, m.firmness_pct >= {d(target)} AS meets_target
+    m.total_natgas_mwh AS natgas_generation_mwh, m.infeasible, m.firmness_pct >= {d(target)} AND NOT m.infeasible AS meets_target
   FROM met m JOIN gc0 c ON c.site_id = m.site_id AND c.candidate_id = m.candidate_id),
 gs1 AS (SELECT *, abs(coalesce(merchant_revenue_cost_usd - lag(merchant_revenue_cost_usd) OVER w, {z})
       / coalesce(nullif(gas_capacity_mw - lag(gas_capacity_mw) OVER w, {z}), {d(1.0)})) AS slope,
@@ -294,9 +293,9 @@ gsz AS (SELECT * EXCLUDE (pos_),
 def slack_sql(slacks) -> str:
     """CTEs over ``sweep`` ending in ``slk`` (D9 + J7 + W8/T4)."""
     z = d(0.0)
-    return f"""sb AS (SELECT site_id, max(total_served_mwh) AS max_served FROM sweep GROUP BY site_id),
+    return f"""sb AS (SELECT site_id, max(total_served_mwh) AS max_served FROM sweep WHERE ok GROUP BY site_id),
 sx AS (SELECT s.*, b.max_served, unnest({list_sql(slacks)}) AS slack, generate_subscripts({list_sql(slacks)}, 1) - 1 AS si
-  FROM sweep s JOIN sb b ON b.site_id = s.site_id),
+  FROM sweep s JOIN sb b ON b.site_id = s.site_id WHERE s.ok),
 sf AS (SELECT *, ({d(1.0)} - slack) * max_served AS served_floor FROM sx),
 sk AS (SELECT *, row_number() OVER (PARTITION BY site_id, si ORDER BY merchant_revenue_usd DESC, total_served_mwh DESC,
     candidate_id ASC) AS r_ FROM sf WHERE total_served_mwh >= served_floor - 1e-9),

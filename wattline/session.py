@@ -4,6 +4,7 @@ checkpoint folder read from the session configuration."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,20 +38,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def prepare_session(spark: SparkSession) -> None:
-    """Settings every query relies on; safe to call repeatedly."""
+    """Settings every query relies on; safe to call repeatedly.
+
+    The folds work on arrays of a time chunk, so few rows make an Arrow batch.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared file system);
-    only when it is unset (local tests) do we fall back to a fresh temporary
-    folder on this machine.
+    On a cluster the deployment must name it, since executors don't share
+    their local disks; only a session on this machine alone gets a temporary
+    folder of its own where the setting is missing.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="wattline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
