@@ -12,16 +12,15 @@ similarity.
 
 Documents with the same weighted shingles are one class from the start, and
 its smallest document stands for it.  Signatures are cut into ``BANDS`` bands
-of ``ROWS`` values, and documents that share a band meet in Spark.  There a
-bucket finds leaders: in order of ids, a document whose signature agrees with
-no leader's by ``SURE`` or more becomes one.  Each document is paired with
-every leader whose signature agrees by ``MAYBE`` or more, which is three
-standard deviations below the threshold; so a bucket of near copies costs one
-pair a document.  A bucket of more than ``CROWD`` documents is dealt out by
-document, and its parts' leaders meet once more.  The pairs, once each for all
-bands, are compared exactly, and those of similarity ``SIMILARITY`` or more are
-joined into classes by connected components.  Similar documents fail to share
-any band with a probability of (1 - s^5)^25, which is 5e-5 at s = 0.8.
+of of ``ROWS`` values, and documents that share a band meet in Spark; of buckets
+with the same documents one is looked at.  A task compares all documents of a
+bucket exactly, by products of their incidence with the shingles, and hands on
+links of similarity ``SIMILARITY`` or more that join each group, one fewer than
+it has documents, never all pairs.  A bucket of more than ``CROWD`` documents is
+dealt out by document, otherwise in each band, and the first documents of its
+parts' groups meet once more.  Connected components of the links are the
+classes.  Similar documents fail to share any band with a probability of
+(1 - s^5)^25, which is 5e-5 at s = 0.8.
 
 Defined results: texts of one to four words have one shingle; texts without a
 word are alone in their class; rows of equal id and text share one fate; a null
@@ -47,9 +46,9 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
-SURE, MAYBE = 0.88, 0.69
-CROWD = 4096
-DARTS = HASHES * (math.log(HASHES) + 3)
+#: Documents of a bucket that are compared in one task; names of shingles at a time.
+CROWD = 2048
+TILE = 2048
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 _RANK_BITS = 30  # of a rank's fraction in a signature value
@@ -87,12 +86,12 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> U64(11)).astype(float) * 2.0 ** -53
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """The values (n, HASHES) of documents given by their shingles; rows of
+def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int, hashes: int = HASHES) -> np.ndarray:
+    """The values (n, hashes) of documents given by their shingles; rows of
     documents without shingles hold _NONE."""
-    out = np.full((n, HASHES), _NONE)
+    out = np.full((n, hashes), _NONE)
     total = np.bincount(doc, weight, n)
-    bound = DARTS / np.maximum(total, 1)
+    bound = hashes * (math.log(hashes) + 3) / np.maximum(total, 1)
     todo = np.flatnonzero(total > 0)
     while len(todo):
         mine = np.isin(doc, todo) if len(todo) < n else slice(None)
@@ -105,7 +104,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np
 
 def _throw(out: np.ndarray, doc: np.ndarray, h: np.ndarray, weight: np.ndarray, bound: np.ndarray) -> None:
     """Region (v, r) holds weights 2^v - 1 to 2^(v+1) - 1 and ranks likewise."""
-    flat = out.reshape(-1)
+    flat, hashes = out.reshape(-1), out.shape[1]
     limit = bound[doc]
     r = 0
     while (sel_r := np.flatnonzero(limit > 2 ** r - 1)).size:
@@ -122,9 +121,9 @@ def _throw(out: np.ndarray, doc: np.ndarray, h: np.ndarray, weight: np.ndarray,
             if v:
                 hit &= (2 ** v - 1) + 2 ** v * ((other & U64(0xFFFFFFFF)).astype(float) * 2.0 ** -32) < weight[at]
             at, rank, dart, other = at[hit], rank[hit], dart[hit], other[hit]
-            place = ((other >> U64(32)) * U64(HASHES) >> U64(32)).astype(np.int64)
+            place = ((other >> U64(32)) * U64(hashes) >> U64(32)).astype(np.int64)
             value = ((rank * 2.0 ** _RANK_BITS).astype(U64) << U64(24)) | (dart & U64(0xFFFFFF))
-            np.minimum.at(flat, doc[at] * HASHES + place, value)
+            np.minimum.at(flat, doc[at] * hashes + place, value)
             v += 1
         r += 1
 
@@ -141,7 +140,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 def _signed(docs: DataFrame) -> DataFrame:
     """doc, ver, the digest of the weighted shingles (a, b; null without
-    shingles), the bands, and a byte of each signature value."""
+    shingles), and the bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in chunks(batch, "text"):
@@ -157,14 +156,13 @@ def _signed(docs: DataFrame) -> DataFrame:
                 none = np.bincount(doc, minlength=n) == 0
                 sig = signatures(doc, h, weight, n)
                 b = bands(sig).view(np.int64)
-                low = sig.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc")[t.rows], batch.column("ver")[t.rows], pa.array(sums[0], mask=none),
                      pa.array(sums[1], mask=none),
-                     pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), b.ravel()),
-                     pa.array([x.tobytes() for x in low], pa.binary())], ["doc", "ver", "a", "b", "bands", "sketch"])
+                     pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), b.ravel())],
+                    ["doc", "ver", "a", "b", "bands"])
 
-    return docs.select("doc", "ver", "text").mapInArrow(lean(run), "doc long, ver int, a long, b long, bands array<long>, sketch binary")
+    return docs.select("doc", "ver", "text").mapInArrow(lean(run), "doc long, ver int, a long, b long, bands array<long>")
 
 
 def _named_shingles(docs: DataFrame) -> DataFrame:
@@ -195,67 +193,108 @@ def _named_shingles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "doc long, ver int, names binary")
 
 
-def _similarity(pairs: DataFrame) -> DataFrame:
-    """a, b and their weighted Jaccard similarity, from their names."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = []
-            for x, y in zip(batch.column("names_a"), batch.column("names_b")):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                s.append(both / max(len(p) + len(q) - both, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())],
-                                             ["a", "b", "similarity"])
-
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("similarity", T.DoubleType())])
-    return pairs.select("a", "b", "names_a", "names_b").mapInArrow(lean(run), schema)
-
-
-_LED = "band int, name long, doc long, ver int, sketch binary, first_doc long, first_ver int"
+def common(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many shingles each document of ``left`` has in common with each of
+    ``right`` (default: of ``left``), by products of their incidence with TILE
+    shingles at a time."""
+    sets = left if right is None else left + right
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    keep = np.bincount(flat)[flat] > 1  # those of one document alone don't count
+    flat, owner = np.unique(flat[keep], return_inverse=True)[1], owner[keep]
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = np.zeros((len(left), len(left if right is None else right)), np.float32)
+    for lo in range(0, int(flat[-1]) + 1 if len(flat) else 0, TILE):
+        a, b = np.searchsorted(flat, (lo, lo + TILE))
+        m = np.zeros((len(sets), TILE), np.float32)
+        m[owner[a:b], flat[a:b] - lo] = 1
+        out += m[:len(left)] @ (m if right is None else m[len(left):]).T
+    return out
 
 
-def _led(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Find the leaders of each bucket: a row without ``first`` for each of
-    them, and a row for each pair of a document and a leader like it."""
+def linked(names: list[np.ndarray], threshold: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that join all documents of a bucket that chains of similar pairs
+    join, one fewer than documents in each group; and each document's first."""
+    m = len(names)
+    size = np.array([len(x) for x in names], float)
+    first = np.arange(m)
+    links: list[tuple[int, int]] = []
+    # similarity >= t  <=>  (1 + t) * common >= t * (sum of sizes)
+    near = lambda both, i, of: (1 + threshold) * both >= threshold * (size[i] + size[of]) - 1e-6
+    if m == 2:
+        if near(len(np.intersect1d(*names, assume_unique=True)), 0, 1):
+            return [(0, 1)], np.zeros(2, int)
+        return links, first
+    tiles = [np.arange(lo, min(lo + CROWD, m)) for lo in range(0, m, CROWD)]
+    for of in tiles:
+        both = common([names[i] for i in of])
+        todo = np.ones(len(of), bool)
+        for root in range(len(of)):
+            if not todo[root]:
+                continue
+            todo[root] = False
+            queue = [root]
+            while queue:
+                i = queue.pop()
+                new = np.flatnonzero(todo & near(both[i], of[i], of))
+                todo[new] = False
+                first[of[new]] = of[root]
+                links += [(int(of[i]), int(of[j])) for j in new]
+                queue += new.tolist()
+    for k, left in enumerate(tiles):  # groups of different tiles
+        for right in tiles[:k]:
+            both = common([names[i] for i in left], [names[i] for i in right])
+            i, j = np.nonzero(near(both, left[:, None], right[None, :]))
+            groups = np.unique(np.column_stack([first[left[i]], first[right[j]]]), axis=0, return_index=True)[1]
+            for g in groups:
+                x, y = int(left[i[g]]), int(right[j[g]])
+                a, b = first[x], first[y]
+                if a != b:
+                    first[first == max(a, b)] = min(a, b)
+                    links.append((y, x))
+    return links, first
+
+
+_LINKS = "doc long, ver int, names binary, band int, name long, other_doc long, other_ver int"
+
+
+def _linked(members: DataFrame, keys: list[str], threshold: float, heads: bool) -> DataFrame:
+    """Links between the documents of each bucket; with ``heads`` also a row
+    without ``other`` for the first document of each group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: tuple | None = None
-        known: list[tuple] = []  # the bucket's leaders so far
-        sketches = np.zeros((0, HASHES), np.uint8)
+        ids: list[tuple] = []
+        names: list[np.ndarray] = []
+
+        def close() -> list[tuple]:
+            if len(ids) < 2 and not heads:
+                return []
+            links, first = linked(names, threshold) if len(ids) > 1 else ([], np.zeros(1, int))
+            out = [(*ids[j], None, None, None, *ids[i]) for i, j in links]
+            if heads:
+                out += [(*ids[i], names[i].tobytes(), *bucket[:2], None, None) for i in np.unique(first)]
+            return out
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [
+                "doc", "ver", "names", "band", "name", "other_doc", "other_ver"])
+
         for batch in batches:
-            out: list[tuple] = []
-            cols = [batch.column(c).to_pylist() for c in (*keys, "doc", "ver", "sketch")]
-            of = list(zip(*cols[:len(keys)]))
-            sk = np.frombuffer(b"".join(cols[-1]), np.uint8).reshape(-1, HASHES)
-            lo = 0
-            while lo < len(of):
-                hi = lo + 1
-                while hi < len(of) and of[hi] == of[lo]:
-                    hi += 1
-                if of[lo] != bucket:
-                    bucket, known, sketches = of[lo], [], np.zeros((0, HASHES), np.uint8)
-                rows, free = np.arange(lo, hi), np.ones(hi - lo, bool)
-                for one, sketch in zip(known, sketches):  # leaders from the batch before
-                    like = (sk[rows] == sketch).mean(1)
-                    out += [(*bucket[:2], cols[-3][r], cols[-2][r], None, *one) for r in rows[like >= MAYBE]]
-                    free &= like < SURE
-                left = rows[free]
-                while len(left):  # the first becomes a leader; all that follow are compared with it
-                    first, after = left[0], rows[rows > left[0]]
-                    one = (cols[-3][first], cols[-2][first])
-                    out.append((*bucket[:2], *one, cols[-1][first], None, None))
-                    known.append(one)
-                    sketches = np.vstack([sketches, sk[first:first + 1]])
-                    like = (sk[after] == sk[first]).mean(1)
-                    out += [(*bucket[:2], cols[-3][r], cols[-2][r], None, *one) for r in after[like >= MAYBE]]
-                    left = left[1:][like[left[1:] - after[0]] < SURE] if len(left) > 1 else left[:0]
-                lo = hi
-            if out:
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                                 ["band", "name", "doc", "ver", "sketch", "first_doc", "first_ver"])
-
-    return (members.select(*keys, "doc", "ver", "sketch").repartition(partitions(members.sparkSession), *keys)
-            .sortWithinPartitions(*keys, "doc", "ver").mapInArrow(lean(run), _LED))
+            cols = [batch.column(c).to_pylist() for c in (*keys, "doc", "ver")]
+            for k, row in enumerate(zip(*cols)):
+                if row[:len(keys)] != bucket:
+                    if bucket and (out := close()):
+                        yield batch_of(out)
+                    bucket, ids, names = row[:len(keys)], [], []
+                ids.append(row[len(keys):])
+                names.append(np.frombuffer(batch.column("names")[k].as_buffer(), np.uint32))
+        if bucket and (out := close()):
+            yield batch_of(out)
+
+    return (members.select(*keys, "doc", "ver", "names").repartition(partitions(members.sparkSession), *keys)
+            .sortWithinPartitions(*keys, "doc", "ver").mapInArrow(lean(run), _LINKS))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -264,24 +303,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     me = F.struct("doc", "ver")
     signed = saved(_signed(docs))
     stands = saved(signed.where("a is not null").groupBy("a", "b").agg(
-        F.min(me).alias("rep"), F.min_by(F.struct("bands", "sketch"), me).alias("s")))
-    banded = stands.select("rep.doc", "rep.ver", "s.sketch", F.posexplode("s.bands").alias("band", "name"))
-    shared = banded.groupBy("band", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = banded.join(shared.hint("shuffle_hash"), ["band", "name"]).withColumn(
-        "part", F.when(F.col("n") > CROWD, F.pmod(F.hash("doc", "ver"), F.ceil(F.col("n") / CROWD))).otherwise(-1))
-    led = saved(_led(members, ["band", "name", "part"]))
-    crowds = shared.where(F.col("n") > CROWD).select("band", "name")
-    again = _led(led.where("first_doc is null").join(crowds, ["band", "name"], "left_semi"), ["band", "name"])
-    pair = lambda d: d.where("first_doc is not null").select(
-        F.struct(F.col("first_doc").alias("doc"), F.col("first_ver").alias("ver")).alias("a"), me.alias("b"))
-    pairs = saved(pair(led).unionByName(pair(again)).where("a != b").distinct())
-    need = pairs.select("a.*").unionByName(pairs.select("b.*")).distinct()
+        F.min(me).alias("rep"), F.min_by("bands", me).alias("bands")))
+    banded = stands.select("rep.doc", "rep.ver", F.posexplode("bands").alias("band", "name"))
+    # buckets with the same documents (as near copies have in many bands) are looked at once
+    shared = (banded.groupBy("band", "name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc", "ver")).alias("x"))
+              .where("n > 1").groupBy("n", "x").agg(F.min(F.struct("band", "name")).alias("one")).select("one.*", "n"))
+    members = saved(banded.join(shared.hint("shuffle_hash"), ["band", "name"]).withColumn(
+        "part", F.when(F.col("n") > CROWD, F.pmod(F.hash("doc", "ver", "band"), F.ceil(F.col("n") / CROWD))).otherwise(-1)))
+    need = members.select("doc", "ver").distinct()
     todo = docs.select("doc", "ver", "text").repartition(partitions(docs.sparkSession), "doc", "ver").join(
         need.hint("shuffle_hash"), ["doc", "ver"])
-    names = saved(_named_shingles(todo).select(me.alias("rep"), "names"))
-    both = (pairs.join(names.select(F.col("rep").alias("b"), F.col("names").alias("names_b")), "b")
-            .join(names.select(F.col("rep").alias("a"), F.col("names").alias("names_a")), "a"))
-    links = _similarity(both).where(F.col("similarity") >= similarity).select("a", "b")
+    named = members.join(saved(_named_shingles(todo)), ["doc", "ver"])
+    links = _linked(named.where("part < 0"), ["band", "name"], similarity, False)
+    crowds = saved(_linked(named.where("part >= 0"), ["band", "name", "part"], similarity, True))
+    again = _linked(crowds.where("other_doc is null"), ["band", "name"], similarity, False)
+    links = links.unionByName(crowds).unionByName(again).where("other_doc is not null").select(
+        F.struct(F.col("other_doc").alias("doc"), F.col("other_ver").alias("ver")).alias("a"), me.alias("b"))
     root = components(links)
     by_rep = stands.select("a", "b", "rep").join(root.select(F.col("v").alias("rep"), "root"), "rep", "left").select(
         "a", "b", F.coalesce("root", "rep").alias("rep"))
