@@ -221,7 +221,7 @@ def linked(names: list[np.ndarray], threshold: float) -> tuple[list[tuple[int, i
     first = np.arange(m)
     links: list[tuple[int, int]] = []
     # similarity >= t  <=>  (1 + t) * common >= t * (sum of sizes)
-    near = lambda both, i, of: (1 + threshold) * both >= threshold * (size[i] + size[of]) - 1e-6
+    near = lambda both, i, of: (1 + threshold) * np.asarray(both, float) >= threshold * (size[i] + size[of]) - 1e-6
     if m == 2:
         if near(len(np.intersect1d(*names, assume_unique=True)), 0, 1):
             return [(0, 1)], np.zeros(2, int)
