@@ -30,7 +30,7 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long documents stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def saved(df: DataFrame) -> DataFrame:
