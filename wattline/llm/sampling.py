@@ -50,7 +50,7 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 #: Surrogates, which no text has: for a U+2581 of the text itself, and between words.
 OWN, _CUT = "\ud800", "\ud801"
 #: Words whose lattices a task keeps.
-LATTICES = 30_000
+LATTICES = 150_000
 #: Bytes of text whose lattices are walked together.
 WALK_BYTES = 1 << 19
 
@@ -196,18 +196,19 @@ class _Rows:
 class Lattices:
     """Lattices of distinct words, which grow as new words come.
 
-    A node is a place in a word; ``first`` is each word's first node, ``last``
-    marks the ends, and ``head`` and ``count`` tell where a node's edges lie.
-    An edge leads from ``node`` ``to`` another by a ``piece`` (or -1 - a code point that takes
-    its bytes); ``p`` is its probability given that its node is reached, ``q``
-    the logarithm.
+    A node is a place in a word; ``first`` is each word's first node, and
+    ``info`` has where a node's edges begin and in the last 16 bits how many
+    they are (none at a word's end).  An edge leads from ``node`` by a ``piece``
+    (or -1 - a code point that takes its bytes); ``q`` is its log probability
+    given that its node is reached, and ``step`` has the node it leads to and in
+    the last 32 bits that probability, so that a step looks up two numbers.
     """
 
     def __init__(self, v: Pieces):
         self.v, self.number = v, {}
         self._words = _Rows(first=np.int32)
-        self._nodes = _Rows(head=np.int32, count=np.int32, last=bool)
-        self._edges = _Rows(node=np.int32, to=np.int32, piece=np.int32, q=float, p=float)
+        self._nodes = _Rows(info=np.int64)
+        self._edges = _Rows(node=np.int32, piece=np.int32, q=float, step=np.int64)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The number of each word; new ones get their lattice."""
@@ -221,9 +222,8 @@ class Lattices:
             self._add(new)
             for i in missing:
                 out[i] = self.number[words[i]]
-        self.first = self._words["first"]
-        self.head, self.count, self.last = (self._nodes[c] for c in ("head", "count", "last"))
-        self.node, self.to, self.piece, self.q, self.p = (self._edges[c] for c in ("node", "to", "piece", "q", "p"))
+        self.first, self.info = self._words["first"], self._nodes["info"]
+        self.node, self.piece, self.q, self.step = (self._edges[c] for c in ("node", "piece", "q", "step"))
         return np.array(out, np.int64)
 
     def _add(self, words: list[str]) -> None:
@@ -280,8 +280,9 @@ class Lattices:
         edges = self._edges.n
         q = log_p + rest[to] - rest[frm]
         self._words.append(first=first + self._nodes.n)
-        self._edges.append(node=frm + self._nodes.n, to=to + self._nodes.n, piece=piece, q=q, p=np.exp(q))
-        self._nodes.append(head=head[:-1] + edges, count=count, last=count == 0)
+        self._edges.append(node=frm + self._nodes.n, piece=piece, q=q,
+                           step=(to + self._nodes.n << 32) | np.exp(q).astype(np.float32).view(np.uint32))
+        self._nodes.append(info=(head[:-1] + edges << 16) | count)
 
 
 def split(text: str) -> list[str]:
@@ -305,21 +306,26 @@ def _walk(lat: Lattices, token: np.ndarray, node: np.ndarray, step: np.ndarray,
     """Walk from ``node`` to the end of each token's word, each edge taken with
     its probability; the (token, step, edge) taken, in order."""
     rows: list[tuple] = []
-    at = np.flatnonzero(~lat.last[node])
-    node, now = node[at], step[at]
+    info = lat.info[node]
+    at = np.flatnonzero(info & 0xFFFF)
+    info, now = info[at], step[at]
     while len(at):
-        e, left = lat.head[node], lat.count[node] - 1
-        u = _uniform(key[at], now)
-        more = np.flatnonzero((u >= lat.p[e]) & (left > 0))
+        e, left = info >> 16, (info & 0xFFFF) - 1
+        u = _uniform(key[at], now).astype(np.float32)
+        edge = lat.step[e]
+        p = edge.astype(np.uint32).view(np.float32)
+        more = np.flatnonzero((u >= p) & (left > 0))
         while len(more):  # not this edge: the next one, if there is one
-            u[more] -= lat.p[e[more]]
+            u[more] -= p[more]
             e[more] += 1
             left[more] -= 1
-            more = more[(u[more] >= lat.p[e[more]]) & (left[more] > 0)]
+            edge[more] = lat.step[e[more]]
+            p[more] = edge[more].astype(np.uint32).view(np.float32)
+            more = more[(u[more] >= p[more]) & (left[more] > 0)]
         rows.append((at, now, e))
-        node = lat.to[e]
-        go = ~lat.last[node]
-        node, at, now = node[go], at[go], now[go] + 1
+        info = lat.info[edge >> 32]
+        go = np.flatnonzero(info & 0xFFFF)
+        info, at, now = info[go], at[go], now[go] + 1
     if not rows:
         return (np.zeros(0, np.int64),) * 3
     t, s, e = (np.concatenate(x) for x in zip(*rows))
@@ -365,15 +371,16 @@ class _Path:
         at = self.own + k
         edge = int(self.edge[at])
         node = lat.node[edge]
-        edges = np.arange(lat.head[node], lat.head[node] + lat.count[node])
+        head, count = int(lat.info[node]) >> 16, int(lat.info[node]) & 0xFFFF
+        edges = np.arange(head, head + count)
         taken = self.gone.setdefault(at, [edge])
         free = edges[~np.isin(edges, taken)]
-        c = np.cumsum(lat.p[free])
+        c = np.cumsum(np.exp(lat.q[free]))
         low = w[k - 1] if k else 0.0
         y = (x - low) / (w[k] - low) if w[k] > low else 0.0
         pick = int(free[min(int(np.searchsorted(c, y * c[-1], side="right")), len(free) - 1)])
         taken.append(pick)
-        rest = lat.p[free[free != pick]].sum()
+        rest = np.exp(lat.q[free[free != pick]]).sum()
         prefix = self.leave[k] - np.log(c[-1])
         self.leave[k] = prefix + np.log(rest) if rest > 0 else -np.inf
         return at, pick
@@ -442,7 +449,7 @@ def sample(texts: list[str], keys: np.ndarray, lat: Lattices, k: int = SAMPLES,
         of, i = within(begin[docs] + size[docs] - branch_token)
         token = branch_token[of] + i
         node, step = lat.first[occurrence[token]], np.zeros(len(token), np.int64)
-        node[i == 0], step[i == 0] = lat.to[edges], branch_step + 1
+        node[i == 0], step[i == 0] = lat.step[edges] >> 32, branch_step + 1
         with np.errstate(over="ignore"):
             fresh = noise[token] + U64(r) * U64(0xA0761D6478BD642F)
         t, s, e = _walk(lat, token, node, step, fresh)
