@@ -3,40 +3,49 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.operators.balance import bounded_balance, clamp_scan_reference, levels_needed
+from wattline.operators.balance import bounded_balance
+from wattline.operators.ramp import ramp_follow
+
+
+def loop(rows, init=0.0):
+    """Plain sequential balance: (before, after, before the previous) of (a, lo, hi) rows."""
+    s, sp, out = init, None, []
+    for a, lo, hi in rows:
+        new = min(hi, max(lo, s + a))
+        out.append((s, new, sp))
+        s, sp = new, s
+    return out
 
 
 def _series(n_keys, n, seed):
     rnd = random.Random(seed)
     rows = []
     for k in range(n_keys):
-        hi = rnd.choice([0.0, 5.0, 40.0, 100.0])
-        for p in range(n):
-            rows.append((k, p * 3 + 7, rnd.uniform(-30, 30), 0.0, hi))
+        hi = rnd.choice([0.0, 5.0, 40.0, 1e6])
+        p = 0
+        for _ in range(n):
+            p += rnd.choice([1, 1, 1, 2, 40])  # missing intervals
+            rows.append((k, p, rnd.uniform(-30, 30), 0.0, hi))
     return rows
 
 
-@pytest.mark.parametrize("levels,span,fan_in", [(0, 32, 64), (1, 8, 4), (2, 4, 3), (3, 2, 2)])
-def test_scan_matches_loop(spark, levels, span, fan_in):
-    rows = _series(5, 150, 11 + levels)
+@pytest.mark.parametrize("span,fan", [(2048, 2048), (8, 4), (4, 3), (1, 2)])
+def test_chunk_sizes_never_change_a_value(spark, span, fan):
+    rows = _series(5, 150, 11)
     df = spark.createDataFrame(rows, "k long, p long, a double, lo double, hi double")
-    out = bounded_balance(df, ["k"], "p", "a", "lo", "hi", levels=levels, span=span, fan_in=fan_in)
-    got = {(r.k, r.p): (r.soc_prev, r.soc) for r in out.collect()}
+    out = bounded_balance(df, ["k"], "p", "a", "lo", "hi", prev2_out="soc_prev2", lagged={"a_prev": F.col("a")}, span=span,
+                          fan=fan)
+    got = {(r.k, r.p): r for r in out.collect()}
     assert len(got) == len(rows)
     for k in range(5):
         mine = [r for r in rows if r[0] == k]
-        ref = clamp_scan_reference([r[2] for r in mine], [r[3] for r in mine], [r[4] for r in mine])
-        prev = 0.0
-        for r, s in zip(mine, ref):
-            g0, g = got[(k, r[1])]
-            assert abs(g - s) < 1e-9 and abs(g0 - prev) < 1e-9
-            prev = s
-
-
-def test_levels_needed():
-    assert levels_needed(100, 32, 64, 2048) == 0
-    assert levels_needed(10_000, 32, 64, 2048) == 1
-    assert levels_needed(10**9, 32, 64, 2048) >= 2
+        before = None
+        for r, (s0, s, sp) in zip(mine, loop([r[2:] for r in mine])):
+            g = got[(k, r[1])]
+            assert g.soc == pytest.approx(s, abs=1e-6) and g.soc_prev == pytest.approx(s0, abs=1e-6)
+            assert g.a_prev == before and (g.soc_prev2 is None) == (sp is None)
+            assert sp is None or g.soc_prev2 == pytest.approx(sp, abs=1e-6)
+            before = r[2]
 
 
 def test_payload_kept(spark):
@@ -45,3 +54,34 @@ def test_payload_kept(spark):
     out = bounded_balance(df, ["k"], "p", "a", "lo", "hi").orderBy("p")
     assert [r.tag for r in out.collect()] == [f"x{i}" for i in range(5)]
     assert [r.soc for r in out.collect()] == [10.0, 15.0, 15.0, 15.0, 15.0]
+
+
+def test_equal_times_give_the_same_result_in_any_row_order(spark):
+    rows = [(1, i // 4, float((i * 7) % 11 - 5)) for i in range(40)]
+    results = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "k long, t long, a double").repartition(seed + 1)
+        out = bounded_balance(df, ["k"], "t", "a", 0.0, 9.0, order=["t"], span=3)
+        results.append(sorted((r.t, r.a, r.soc) for r in out.collect()))
+    assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("span,fan", [(2048, 2048), (16, 3), (5, 2)])
+def test_ramp_fold_equals_a_loop(spark, span, fan):
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for k in range(4):
+        g = 0.0
+        up, down = [(3.0, 2.0), (50.0, 50.0), (0.5, 0.25), (8.0, 1.0)][k]
+        for p in range(120):
+            t = rnd.choice([0.0, 0.0, rnd.uniform(0, 25.0)])
+            before, g = g, min(g + up, max(g - down, t))
+            rows.append((k, p, t, up, down))
+            want[(k, p)] = (before, g)
+    df = spark.createDataFrame(rows, "k long, p long, t double, u double, d double")
+    out = ramp_follow(df, ["k"], F.col("p"), ["p"], F.col("t"), F.col("u"), F.col("d"), F.lit(25.0), "g", "g0",
+                      {"t_prev": F.col("t")}, span=span, fan=fan)
+    got = {(r.k, r.p): r for r in out.collect()}
+    for key, (g0, g) in want.items():
+        assert got[key].g == pytest.approx(g, abs=1e-9) and got[key].g0 == pytest.approx(g0, abs=1e-9)

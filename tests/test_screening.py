@@ -21,10 +21,21 @@ def test_grid_size_is_the_product(spark):
     assert sorted(r.candidate_id for r in g.collect()) == list(range(8))
 
 
-def test_hard_cap_blocks_huge_sweeps(spark):
+def test_site_over_the_cap_fails_alone(spark):
     big = {n: dict(mode="absolute", values=[float(v) for v in range(20)]) for n in SW.RANGE_NAMES}
-    with pytest.raises(Exception, match="hard cap"):
-        SW.candidate_grid(sites(spark), big).count()
+    assert SW.candidate_grid(sites(spark), big, cap=1000).count() == 0
+    r = SW.over_cap(sites(spark), big, 1000).first()
+    assert r.site_id == 1 and not r.ok and "3200000" in r.error and "1000" in r.error
+
+
+def test_failed_candidates_are_never_recommended(spark):
+    rows = [(1, 0, False, 100.0, 10.0), (1, 1, True, 99.5, 500.0), (2, 0, False, 100.0, 10.0)]
+    df = spark.createDataFrame(rows, "site_id long, candidate_id long, ok boolean, firmness_pct double, "
+                                     "total_annual_cost_usd double")
+    r = SW.score_and_rank(df, 99.0)
+    assert {(x.site_id, x.candidate_id): x.rank for x in r.collect()} == {(1, 0): 2, (1, 1): 1, (2, 0): 1}
+    rec = {x.site_id: x for x in SW.recommend(r, 99.0, df.select("site_id").distinct()).collect()}
+    assert rec[1].candidate_id == 1 and rec[1].found and not rec[2].found and rec[2].candidate_id is None
 
 
 def test_multipliers_use_site_reference(spark):
@@ -49,7 +60,7 @@ def test_score_and_rank_flags_and_recommendation(spark):
     assert flags[100.0][1] and flags[99.0][1] and flags[80.0][1]
     rec = SW.recommend(r, 99.0).first()
     assert rec.found and rec.meets_reliability and rec.total_annual_cost_usd == 1000.0
-    assert rec.message.startswith("Cheapest configuration meeting 99.0% reliability: $1,000/yr")
+    assert rec.message == "target of 99.0 % met at least cost: 99.00 % of load served, $1,000 a year"
 
 
 def test_recommendation_falls_back_to_most_reliable(spark):

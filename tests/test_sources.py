@@ -24,7 +24,7 @@ def test_csv_scan_clean_quality_and_window(spark, tmp_path):
     p = tmp_path / "site.csv"
     p.write_text(CSV)
     raw = read_interval_csv(spark, str(p), site_id=7)
-    q = interval_quality(raw.withColumn("ts", F.try_to_timestamp("ts").cast("timestamp_ntz"))).first()
+    q = interval_quality(raw).first()
     assert q.n_rows == 5 and q.n_bad_ts == 1 and not q.has_natgas_mw
     clean = clean_intervals(raw)
     rows = clean.orderBy("ts").collect()
@@ -50,7 +50,7 @@ def test_schedule_template_roundtrip(spark, tmp_path):
 def test_scenario_bundle_roundtrip(spark, tmp_path):
     path = str(tmp_path / "scn")
     SC.write_scenarios(SC.scenarios_df(spark, [SC.COMMERCIAL]), path)
-    b = SC.read_scenarios(spark, path)
+    b = SC.read_scenarios(spark, path, multi_line=False)
     r = b.first()
     assert r.name == "Commercial C&I" and r.reliability_target_pct == 95.0 and r.run_config.rte == 0.86
     flat = SC.ranges_flat(b)
@@ -59,6 +59,76 @@ def test_scenario_bundle_roundtrip(spark, tmp_path):
     assert list(nested.solar["values"]) == [20.0, 50.0, 80.0] and nested.gas.mode == "absolute"
 
 
+def test_indented_scenario_file(spark, tmp_path):
+    import json
+
+    import pytest
+    bundle = {"name": "one", "description": "d", "reliability_target_pct": 97.5, "grid_allowed": True,
+              "run_config": {"load_mw": 42.0, "load_type": "24-7", "battery_power_mw": 1.0, "battery_duration_h": 2.0,
+                             "rte": 0.9, "poi_limit_mw": 5.0},
+              "econ": {"carbon_price_usd_per_ton": 12.0, "solar": {"capex_usd_per_kw": 1.0}},
+              "screening_ranges": {n: {"name": n, "mode": "absolute", "values": [1.0]} for n in (
+                  "solar", "wind", "bess_power", "bess_duration", "gas")}}
+    (tmp_path / "a.json").write_text(json.dumps(bundle, indent=2))
+    r = SC.read_scenarios(spark, str(tmp_path / "a.json")).first()
+    assert r.run_config.base_load_mw == 42.0 and r.run_config.dt_hours == 1.0 and r.grid_allowed
+    assert r.run_config.carbon_price_usd_per_ton == 12.0      # the economics' price is the run's
+    assert r.econ.solar.capex_usd_per_kw == 1.0 and r.econ.solar.life_years == 30.0
+    (tmp_path / "b.json").write_text(json.dumps({"title": "something else"}, indent=2))
+    with pytest.raises(Exception, match="no scenario in"):
+        SC.read_scenarios(spark, str(tmp_path / "b.json")).collect()
+
+
+def test_csv_folder_with_differing_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Datetime,Wind (MW),Solar (MW),Load (MW),Market Price ($/MWh)\n2015-05-01 00:00:00,1,2,3,4\n")
+    (tmp_path / "b.csv").write_text("Market Price ($/MWh),Load (MW),Datetime,Wind (MW)\n40,30,2015-05-01 00:00:00,10\n")
+    got = {r.file_name: r for r in read_interval_csv(spark, str(tmp_path)).collect()}
+    a, b = got["a.csv"], got["b.csv"]
+    assert (a.wind_mw, a.solar_mw, a.load_mw, a.price) == ("1", "2", "3", "4")
+    assert (b.wind_mw, b.solar_mw, b.load_mw, b.price) == ("10", None, "30", "40") and a.site_id != b.site_id
+
+
+def test_required_columns(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "2015-05-01 00:00:00", 1.0)], "site_id long, ts string, load_mw double")
+    with pytest.raises(ValueError, match="price"):
+        clean_intervals(df)
+
+
+def test_random_load_is_random(spark):
+    """Mean, variance and autocorrelation of the normal draws of consecutive hours."""
+    import numpy as np
+    from wattline.functions.profiles import std_normal
+    rows = spark.range(0, 8 * 720).select((F.col("id") % 8).alias("s"), F.floor(F.col("id") / 8).alias("h")).withColumn(
+        "z", std_normal(F.col("h") + 473_000, F.col("s"))).collect()
+    for s in range(8):
+        z = np.array([r.z for r in sorted(rows, key=lambda r: r.h) if r.s == s])
+        assert abs(z.mean()) < 0.15 and abs(z.std() - 1) < 0.12
+        z = z - z.mean()
+        for lag in range(1, 60):
+            assert abs((z[lag:] * z[:-lag]).mean() / z.var()) < 0.17
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
+    import pytest
+    from wattline import session
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
 def test_text_and_preview_sinks(spark, tmp_path):
     df = spark.range(30).withColumn("line", F.concat(F.lit("row "), F.col("id").cast("string")))
     assert [r.id for r in preview(df, ["id"], 5).collect()] == [0, 1, 2, 3, 4]

@@ -60,6 +60,8 @@ LOAD_TYPES = ("24-7", "16-7", "random", "random_16-7")
 GAS_COST_MODES = ("simple", "advanced")
 # --- end fixed values -------------------------------------------------------
 
+#: Names that scenario files use for fields that are called otherwise here.
+FILE_KEYS = {"base_load_mw": "load_mw"}
 FIELD_TYPES = {n: t for n, t, _ in CONFIG_FIELDS}
 CONFIG_SCHEMA = T.StructType([T.StructField(n, t, True) for n, t, _ in CONFIG_FIELDS])
 
@@ -172,3 +174,9 @@ def config_problems(cfgs: DataFrame) -> DataFrame:
     ]
     return cfgs.withColumn(
         "problems", F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in rules]), lambda x: x.isNotNull()))
+
+
+def split_valid(cfgs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The valid configurations, and the others with their problems."""
+    p = config_problems(cfgs)
+    return p.where(F.size("problems") == 0).drop("problems"), p.where(F.size("problems") > 0)

@@ -16,6 +16,22 @@ def to_number(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def require_columns(df: DataFrame, columns: Sequence[str] = ("ts", *REQUIRED)) -> DataFrame:
+    """The table itself, or an error that names the missing columns."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"interval table lacks the columns {', '.join(missing)}")
+    return df
+
+
+def typed_intervals(raw: DataFrame) -> DataFrame:
+    """Times and numbers, null where a value doesn't parse;
+    missing generation columns are null."""
+    d = require_columns(raw).withColumns({c: F.lit(None).cast("double") for c in OPTIONAL if c not in raw.columns})
+    ts = F.try_to_timestamp("ts") if dict(d.dtypes)["ts"] == "string" else F.col("ts")
+    return d.withColumns({"ts": ts.cast("timestamp_ntz"), **{c: to_number(F.col(c)) for c in OPTIONAL + REQUIRED}})
+
+
 def clean_intervals(df: DataFrame, sources: dict[str, bool] | None = None) -> DataFrame:
     """Typed, zero-filled, clipped interval rows.
 
@@ -25,29 +41,22 @@ def clean_intervals(df: DataFrame, sources: dict[str, bool] | None = None) -> Da
       price is coerced, null -> 0, never clipped (P5, P7);
     * ``sources`` switches (P8) zero a generation column when False.
     """
-    d = df
-    for c in OPTIONAL + REQUIRED:
-        if c not in d.columns:
-            d = d.withColumn(c, F.lit(None).cast("double"))
-    ts = F.col("ts")
-    if dict(d.dtypes)["ts"] == "string":
-        ts = F.try_to_timestamp(F.col("ts"))
-    d = d.withColumn("ts", ts.cast("timestamp_ntz")).where(F.col("ts").isNotNull())
+    d = typed_intervals(df).where(F.col("ts").isNotNull())
     sw = sources or {}
     cols = {}
     for c in OPTIONAL + ["load_mw"]:
-        v = F.greatest(F.lit(0.0), F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)))
+        v = F.greatest(F.lit(0.0), F.coalesce(F.col(c), F.lit(0.0)))
         if c in sw and not sw[c]:
             v = F.lit(0.0)
         cols[c] = v
-    cols["price"] = F.coalesce(F.col("price").try_cast("double"), F.lit(0.0))
+    cols["price"] = F.coalesce(F.col("price"), F.lit(0.0))
     return d.withColumns(cols).select("site_id", "ts", *OPTIONAL, *REQUIRED)
 
 
 def date_window(df: DataFrame, start: str, end: str) -> DataFrame:
     """Rows with start <= ts < end + 1 day (the end day is included whole).
 
-    A plain range predicate on ``ts``, so Parquet scans push it down.
+    A plain range predicate on ``ts``; applied to a scan it is pushed down.
     """
     lo = F.lit(start).cast("timestamp_ntz")
     hi = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
@@ -57,9 +66,12 @@ def date_window(df: DataFrame, start: str, end: str) -> DataFrame:
 def interval_quality(raw: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """One quality row per site.
 
-    ``raw`` is the interval table before cleaning (values may be null).
+    ``raw`` is the interval table before cleaning: text, nulls and bad times
+    are counted.  ``n_repeated_ts`` are rows beyond the first of a time, which
+    no dispatch should get.
     """
     c = F.col
+    raw = typed_intervals(raw)
     aggs = [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(c("ts").isNull()).alias("n_bad_ts"),
@@ -67,6 +79,7 @@ def interval_quality(raw: DataFrame, keys: Sequence[str] = ("site_id",)) -> Data
         F.max("ts").alias("last_ts"),
         *[F.count_if(c(x).isNull()).alias(f"n_null_{x}") for x in OPTIONAL + REQUIRED],
         *[(F.count(x) > 0).alias(f"has_{x}") for x in OPTIONAL],
+        (F.count("ts") - F.count_distinct("ts")).alias("n_repeated_ts"),
         (F.max("price") < 10).alias("price_unit_warning"),
         (F.sum(F.abs(F.coalesce(c("load_mw"), F.lit(0.0)))) < 1e-9).alias("load_all_zero"),
         F.round(F.avg(F.coalesce(c("load_mw"), F.lit(0.0))), 6).alias("avg_load_mw"),

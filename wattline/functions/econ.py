@@ -31,6 +31,11 @@ ECON_SCHEMA = T.StructType([T.StructField("scenario_id", T.LongType(), False),
                             *[T.StructField(f, T.DoubleType()) for f in ECON_FIELDS]])
 
 
+def econ_columns(struct: str) -> list[Column]:
+    """The wide economics columns from a nested one (a scenario's)."""
+    return [F.col(f"{struct}.{r}.{f}").alias(f"{r}_{f}") for r in RESOURCES for f in ECON_FIELDS]
+
+
 def econ_table(spark: SparkSession, scenarios: Mapping[int, Mapping[str, Any] | None]) -> DataFrame:
     """Long economics table (scenario_id, resource, five fields); None -> defaults."""
     rows = []

@@ -5,8 +5,8 @@
 * ``random``      normal(load_mw, load_std) clipped at 0
 * ``random_16-7`` normal(load_mw, load_std) for hours 7..22, else 0 (not clipped)
 
-The normal draw is Box-Muller over two uniforms made by integer modular
-arithmetic on (interval index, site), so it is reproducible on any engine
+The normal draw is Box-Muller over two uniforms made by rounds of modular
+squaring of (interval index, site), so it is reproducible on any engine
 (and in SQL) without a random-number service.
 """
 
@@ -20,15 +20,21 @@ from pyspark.sql import functions as F
 from wattline.operators.dispatch import seconds_of
 
 MOD = 2147483647   # 2^31 - 1
-MULT = 48271
 SEED = 20240101
+#: Added in each round of x -> x * x + c (mod MOD).
+ROUNDS = (1013904223, 662607015, 1380649, 299792458)
 
 
 def uniforms(hour_index: Column, site: Column, seed: int = SEED) -> tuple[Column, Column]:
-    k0 = (hour_index * F.lit(7919) + site * F.lit(104729) + F.lit(seed)) % F.lit(MOD)
-    k1 = (k0 * F.lit(MULT)) % F.lit(MOD)
-    k2 = (k1 * F.lit(MULT)) % F.lit(MOD)
-    return (k1 + F.lit(1.0)) / F.lit(2147483648.0), (k2 + F.lit(1.0)) / F.lit(2147483648.0)
+    """Two uniforms of an interval and site: squaring rounds modulo a prime
+    break up the arithmetic progression of consecutive hours."""
+    x = (hour_index * F.lit(7919) + site * F.lit(104729) + F.lit(seed)) % F.lit(MOD)
+    for c in ROUNDS[:2]:
+        x = (x * x + F.lit(c)) % F.lit(MOD)
+    y = x
+    for c in ROUNDS[2:]:
+        y = (y * y + F.lit(c)) % F.lit(MOD)
+    return (x + F.lit(1.0)) / F.lit(2147483648.0), (y + F.lit(1.0)) / F.lit(2147483648.0)
 
 
 def std_normal(hour_index: Column, site: Column, seed: int = SEED) -> Column:

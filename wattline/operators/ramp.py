@@ -52,15 +52,18 @@ def tidy(xs: list, ys: list) -> Curve:
     return [xs[i] for i in keep], [ys[i] for i in keep]
 
 
-def with_places(c: Curve, levels: Sequence[float]) -> list[float]:
-    """The curve's places, and those where it crosses the given values."""
+def through(c: Curve, levels: Sequence[tuple[float, float]], image) -> Curve:
+    """The curve ``c`` followed by the function ``image``, which turns only at
+    the given levels; each comes with its image, so that level stretches have
+    exactly equal ends."""
     xs, ys = c
-    more = set(xs)
-    for y in levels:
+    points = {x: image(y) for x, y in zip(xs, ys)}
+    for level, value_there in levels:
         for i in range(len(xs) - 1):
-            if ys[i] < y < ys[i + 1]:
-                more.add(xs[i] + (y - ys[i]))
-    return sorted(more)
+            if ys[i] < level < ys[i + 1]:
+                points[xs[i] + (level - ys[i])] = value_there
+    xs = sorted(points)
+    return tidy(xs, [points[x] for x in xs])
 
 
 def compose_chunk(target, up, down, bound: float) -> tuple[list, list, list, list]:
@@ -68,22 +71,22 @@ def compose_chunk(target, up, down, bound: float) -> tuple[list, list, list, lis
     lo, hi = 0.0, bound
     for t, u, d in zip(target[:-1], up[:-1], down[:-1]):
         lo, hi = step(lo, u, d, t), step(hi, u, d, t)
+
+    def after(c: Curve, t, u, d) -> Curve:
+        return through(c, ((t - u, t), (t + d, t)), lambda y: step(y, u, d, t))
+
     if lo == hi:
         g: Curve = ([0.0], [lo])
     else:
         g = ([0.0, bound], [0.0, bound])
         for t, u, d in zip(target[:-1], up[:-1], down[:-1]):
-            xs = with_places(g, (t - u, t + d))
-            g = tidy(xs, [step(value(g, x), u, d, t) for x in xs])
-    t, u, d = target[-1], up[-1], down[-1]
-    xs = with_places(g, (t - u, t + d))
-    return (*tidy(xs, [step(value(g, x), u, d, t) for x in xs]), *g)
+            g = after(g, t, u, d)
+    return (*after(g, target[-1], up[-1], down[-1]), *g)
 
 
 def then(f: Curve, g: Curve) -> Curve:
     """The curve that applies ``f``, then ``g``."""
-    xs = with_places(f, g[0])
-    return tidy(xs, [value(g, value(f, x)) for x in xs])
+    return through(f, list(zip(*g)), lambda y: value(g, y))
 
 
 def _curves(rows: list[tuple]) -> pa.Array:

@@ -84,6 +84,7 @@ SELECT site_id, count(*) AS n_rows, CAST(count_if(ts IS NULL) AS BIGINT) AS n_ba
   CAST(count_if(natgas_mw IS NULL) AS BIGINT) AS n_null_natgas_mw, CAST(count_if(load_mw IS NULL) AS BIGINT) AS n_null_load_mw,
   CAST(count_if(price IS NULL) AS BIGINT) AS n_null_price,
   count(wind_mw) > 0 AS has_wind_mw, count(solar_mw) > 0 AS has_solar_mw, count(natgas_mw) > 0 AS has_natgas_mw,
+  CAST(count(ts) - count(DISTINCT ts) AS BIGINT) AS n_repeated_ts,
   max(price) < 10 AS price_unit_warning,
   sum(abs(coalesce(load_mw, 0.0))) < 1e-9 AS load_all_zero,
   round(avg(coalesce(load_mw, 0.0)), 6) AS avg_load_mw, max(price) AS peak_price
@@ -103,17 +104,18 @@ SELECT {IV_COLS} FROM intervals
 WHERE ts >= TIMESTAMP '{WINDOW[0]} 00:00:00' AND ts < CAST(DATE '{WINDOW[1]}' + INTERVAL 1 DAY AS TIMESTAMP)"""))
 def q_date_window(spark, sf_dir):
     """Two-week window, end day included whole."""
-    return date_window(intervals(spark, sf_dir), *WINDOW)
+    prepare_session(spark)
+    return date_window(clean_intervals(intervals_from_events(spark, sf_dir, WINDOW)), *WINDOW)
 
 
 def _normal_sql(seed: int = 20240101) -> str:
-    h = "CAST(floor(epoch(ts) / 3600) AS BIGINT)"
-    k0 = f"(({h} * 7919 + site_id * 104729 + {seed}) % 2147483647)"
-    k1 = f"(({k0} * 48271) % 2147483647)"
-    k2 = f"(({k1} * 48271) % 2147483647)"
-    u1 = f"((CAST({k1} AS DOUBLE) + {d(1.0)}) / {d(2147483648.0)})"
-    u2 = f"((CAST({k2} AS DOUBLE) + {d(1.0)}) / {d(2147483648.0)})"
-    return f"(sqrt({d(-2.0)} * ln({u1})) * cos({d(2 * math.pi)} * {u2}))"
+    from wattline.functions.profiles import ROUNDS
+    x = f"((CAST(floor(epoch(ts) / 3600) AS BIGINT) * 7919 + site_id * 104729 + {seed}) % 2147483647)"
+    draws = []
+    for c in ROUNDS:
+        x = f"(({x} * {x} + {c}) % 2147483647)"
+        draws.append(f"((CAST({x} AS DOUBLE) + {d(1.0)}) / {d(2147483648.0)})")
+    return f"(sqrt({d(-2.0)} * ln({draws[1]})) * cos({d(2 * math.pi)} * {draws[3]}))"
 
 
 _SYN_SQL = f"""
@@ -587,7 +589,8 @@ def q_gas_reasons(spark, sf_dir):
                                                    "total_load_mwh")
     sums = iv.groupBy("site_id").agg(F.sum(F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0))))
                                      .alias("gas_column_sum"))
-    return gas_reasons(with_config(m, REASON_CFG), sums, keys=["site_id"])
+    return gas_reasons(with_config(m, REASON_CFG), sums, keys=["site_id"]).withColumn(
+        "reasons", F.array_join("reasons", " | "))
 
 
 CHART_COLS = ["site_id", "ts", "solar_mw", "wind_mw", "natgas_mw", "battery1_net", "battery2_net", "grid_net", "load",
@@ -630,7 +633,7 @@ def q_metrics_long(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Phases 5-6: candidate grid, configuration, economics, sweep, ranking
 # ---------------------------------------------------------------------------
-from wattline.config import derived_config, config_problems  # noqa: E402
+from wattline.config import derived_config  # noqa: E402
 from wattline.functions.econ import annualized_cost, econ_table, econ_wide  # noqa: E402
 from wattline.functions.text import money_text  # noqa: E402
 from wattline.plans import sweep as SW  # noqa: E402
@@ -688,15 +691,6 @@ def q_config_derived(spark, sf_dir):
         "effective_no_load_cost_usd_per_h", "suggested_no_load_cost_usd_per_h", "gas_co2_tons_per_mwh")
 
 
-@register("config_invalid", _grid_sql_select(f"""
-SELECT site_id, candidate_id, '' AS problems, true AS is_valid FROM cand"""))
-def q_config_invalid(spark, sf_dir):
-    """Validity rules per candidate configuration (problems joined by '; ')."""
-    p = config_problems(_cand_cfg(spark, sf_dir, SWEEP_BASE))
-    return p.select("site_id", "candidate_id", F.array_join("problems", "; ").alias("problems"),
-                    (F.size("problems") == 0).alias("is_valid"))
-
-
 ANN_COLS = ["annualized_solar_usd", "annualized_wind_usd", "annualized_bess_power_usd", "annualized_bess_energy_usd",
             "annualized_gas_usd", "fixed_om_solar_usd_yr", "fixed_om_wind_usd_yr", "fixed_om_bess_usd_yr",
             "fixed_om_gas_usd_yr", "annualized_total_usd_yr", "fixed_om_total_usd_yr"]
@@ -870,59 +864,35 @@ def q_scenario_table(spark, sf_dir):
     import uuid
     path = f"{checkpoint_dir(spark).rstrip('/')}/wattline-scenarios-{uuid.uuid4().hex}"
     SC.write_scenarios(SC.scenarios_df(spark, BUNDLES), path)
-    flat = SC.ranges_flat(SC.read_scenarios(spark, path).select("name", "screening_ranges",
-                                                                 "reliability_target_pct"))
-    flat = flat.join(SC.read_scenarios(spark, path).select(F.col("name").alias("scenario"),
-                                                           "reliability_target_pct"), "scenario")
+    flat = SC.ranges_flat(SC.read_scenarios(spark, path, multi_line=False).select(
+        "name", "screening_ranges", "reliability_target_pct"))
     refs = SW.reference_mw(intervals(spark, sf_dir))
-    site_ref = F.when(F.col("resource") == "solar", F.col("ref_solar_mw")).when(
-        F.col("resource") == "wind", F.col("ref_wind_mw"))
-    # every scenario range meets every site.  The range rows are configuration
-    # (bundles x 5 rows, bounded by the scenario list), so they are read once
-    # and expanded on each site row by a generator instead of a join.
-    ranges = flat.select("scenario", "resource", "mode", "values", "reference_mw", "reliability_target_pct").collect()
-    arr = F.array(*[F.struct(F.lit(r.scenario).alias("scenario"), F.lit(r.resource).alias("resource"),
-                             F.lit(r.mode).alias("mode"),
-                             F.array(*[F.lit(float(v)) for v in r["values"]]).cast("array<double>").alias("values"),
-                             F.lit(r.reference_mw).cast("double").alias("reference_mw"),
-                             F.lit(r.reliability_target_pct).cast("double").alias("reliability_target_pct"))
-                    for r in ranges])
-    j = refs.select("site_id", "ref_solar_mw", "ref_wind_mw", F.inline(arr))
+    # a row per site, resource and reference; scenarios meet the sites by resource
+    site = refs.select("site_id", F.inline(F.array(*[F.struct(
+        F.lit(n).alias("resource"), (F.col(f"ref_{n}_mw") if n in ("solar", "wind") else F.lit(None).cast("double")).alias("site_ref"))
+        for n in SW.RANGE_NAMES])))
     rng = F.struct(F.col("resource").alias("name"), "mode", "values", "reference_mw")
-    v = SW.resolve(rng, site_ref)
-    return j.select("scenario", "site_id", "resource", "mode", F.size(v).alias("n_values"),
-                    F.array_min(v).alias("min_mw"), F.array_max(v).alias("max_mw"), "reliability_target_pct")
-
-
-def _summary_expr(name: str, target: float, grid: bool) -> F.Column:
-    c = F.col
-    f1 = lambda x: F.format_string("%.1f", F.round(c(x).cast("decimal(38,6)"), 1).cast("double"))
-    return F.concat_ws("\n",
-                       F.lit(f"Scenario: {name}"), F.lit(f"Reliability target: {target:.1f}%"),
-                       F.lit(f"Grid allowed: {grid}"),
-                       F.concat(F.lit("Grid size tested: "), c("n_tested").cast("string"), F.lit(" configurations")),
-                       F.lit(""), F.lit("Recommendation:"), F.concat(F.lit("  "), c("message")), F.lit(""),
-                       F.concat(F.lit("  Solar: "), f1("solar_mw"), F.lit(" MW")),
-                       F.concat(F.lit("  Wind:  "), f1("wind_mw"), F.lit(" MW")),
-                       F.concat(F.lit("  BESS:  "), f1("bess_power_mw"), F.lit(" MW / "), f1("bess_duration_h"),
-                                F.lit(" h  ("), f1("bess_energy_mwh"), F.lit(" MWh)")),
-                       F.concat(F.lit("  Gas:   "), f1("gas_mw"), F.lit(" MW")),
-                       F.concat(F.lit("  Firmness: "), F.format_string("%.2f", c("firmness_pct")), F.lit("%")),
-                       F.concat(F.lit("  Total annual cost: $"), money_text(c("total_annual_cost_usd")), F.lit("/yr")),
-                       F.concat(F.lit("  CO2 tons (horizon): "), f1("co2_tons")))
+    v = SW.resolve(rng, F.col("site_ref"))
+    return site.join(flat, "resource").select(
+        "scenario", "site_id", "resource", "mode", F.size(v).alias("n_values"), F.array_min(v).alias("min_mw"),
+        F.array_max(v).alias("max_mw"), "reliability_target_pct")
+
+
+SUMMARY = [("candidates", "n_tested", 0), ("solar MW", "solar_mw", 1), ("wind MW", "wind_mw", 1),
+           ("battery MW", "bess_power_mw", 1), ("battery MWh", "bess_energy_mwh", 1), ("gas MW", "gas_mw", 1),
+           ("load served %", "firmness_pct", 2), ("cost $/yr", "total_annual_cost_usd", 2), ("CO2 t", "co2_tons", 3)]
+
+
+def _summary_expr(name: str, target: float) -> F.Column:
+    """The recommendation as lines of name and value, from the result columns."""
+    value = lambda c, n: F.format_string(f"%.{n}f", F.round(F.col(c).cast("decimal(38,6)"), n).cast("double"))
+    return F.concat_ws("\n", F.lit(f"{name}, target {target:.1f} %"), F.col("message"),
+                       *[F.concat(F.lit(f"{label}: "), value(c, n)) for label, c, n in SUMMARY])
 
 
 def _summary_sql() -> str:
-    f1 = lambda x: f"printf('%.1f', {dr(x, 1)})"
-    money = "format('{:,.0f}', CAST(round(CAST(total_annual_cost_usd AS DECIMAL(38,6)), 0) AS DOUBLE))"
-    parts = [f"'Scenario: {SWEEP_SCENARIO['name']}'", f"'Reliability target: {TARGET_PCT:.1f}%'",
-             "'Grid allowed: False'", "'Grid size tested: ' || CAST(n_tested AS VARCHAR) || ' configurations'",
-             "''", "'Recommendation:'", "'  ' || message", "''",
-             f"'  Solar: ' || {f1('solar_mw')} || ' MW'", f"'  Wind:  ' || {f1('wind_mw')} || ' MW'",
-             f"'  BESS:  ' || {f1('bess_power_mw')} || ' MW / ' || {f1('bess_duration_h')} || ' h  (' || "
-             f"{f1('bess_energy_mwh')} || ' MWh)'",
-             f"'  Gas:   ' || {f1('gas_mw')} || ' MW'", "'  Firmness: ' || printf('%.2f', firmness_pct) || '%'",
-             f"'  Total annual cost: $' || {money} || '/yr'", f"'  CO2 tons (horizon): ' || {f1('co2_tons')}"]
+    parts = [f"'{SWEEP_SCENARIO['name']}, target {TARGET_PCT:.1f} %'", "message"] + [
+        f"'{label}: ' || printf('%.{n}f', {dr(f'CAST({c} AS DOUBLE)', n)})" for label, c, n in SUMMARY]
     return "SELECT site_id, concat_ws(chr(10), " + ", ".join(parts) + """) AS summary
 FROM rec JOIN (SELECT site_id AS s_, count(*) AS n_tested FROM ranked GROUP BY site_id) t ON t.s_ = rec.site_id"""
 
@@ -933,10 +903,12 @@ def q_summary_lines(spark, sf_dir):
     r = SW.score_and_rank(_sweep(spark, sf_dir), TARGET_PCT)
     n = r.groupBy("site_id").agg(F.count(F.lit(1)).alias("n_tested"))
     rec = SW.recommend(r, TARGET_PCT).join(n, "site_id")
-    return rec.select("site_id", _summary_expr(SWEEP_SCENARIO["name"], TARGET_PCT, False).alias("summary"))
+    return rec.select("site_id", _summary_expr(SWEEP_SCENARIO["name"], TARGET_PCT).alias("summary"))
 
 
 @register("preview", with_sql("", f"SELECT {IV_COLS} FROM intervals ORDER BY site_id, ts LIMIT 20"))
 def q_preview(spark, sf_dir):
     """The first 20 interval rows in (site, time) order."""
     return preview(intervals(spark, sf_dir), ["site_id", "ts"], 20)
+
+from wattline.plans import catalog_more as _more  # noqa: E402,F401

@@ -80,13 +80,15 @@ f{tag} AS (SELECT site_id, n, s AS soc{tag}, greatest(s - s0, {d(0.0)}) / {d(eta
 
 
 def serve_first_sql(cfg: dict, *, grid_on: bool = False, two_battery: bool = False, ramp: bool = False,
-                    src: str = "intervals") -> str:
+                    gas_charges_storage: bool = False, src: str = "intervals") -> str:
     """CTE text ending in ``disp`` (one row per site and interval)."""
     k = gas_constants(cfg)
     c = k["c"]
     dt, poi = c["dt_hours"], c["poi_limit_mw"]
     parts = [prep_sql(cfg, src)]
-    parts.append("q AS (SELECT *, gen - load_mw AS x FROM p)")
+    spare = gas_charges_storage and not grid_on and k["gas_ok"] and (
+        k["marginal"] / c["rte"] + c["bess_deg_cost_usd_per_mwh"] < c["voll_usd_per_mwh"])
+    parts.append(f"q AS (SELECT *, gen - load_mw{' + pmax_t' if spare else ''} AS x FROM p)")
     parts.append(_battery("1", "q", "x", c["battery_power_mw"], c["rte"], dt,
                           c["battery_power_mw"] * c["battery_duration_h"]))
     parts.append("""q1 AS (SELECT q.*, f1.soc1, f1.charge1, f1.discharge1 FROM q JOIN f1 ON f1.site_id = q.site_id AND f1.n = q.n)""")
@@ -191,13 +193,13 @@ def run_metrics_sql(cfg: dict, *, grid_allowed: bool = False) -> str:
     for v in vals[1:]:
         total = f"({total} + ({v}))"
     errs = [
-        (f"(s1n < -1e-6) OR (s1x > {d(e1 + 1e-6)})", "Battery 1 SOC out of bounds"),
-        (f"(s2n < -1e-6) OR (s2x > {d(e2 + 1e-6)})", "Battery 2 SOC out of bounds"),
-        ("cln < -1e-6", "Clipped energy negative"),
+        (f"(s1n < -1e-6) OR (s1x > {d(e1 + 1e-6)})", "soc1_bounds"),
+        (f"(s2n < -1e-6) OR (s2x > {d(e2 + 1e-6)})", "soc2_bounds"),
+        ("cln < -1e-6", "clip_below_zero"),
     ]
     if not grid_allowed:
-        errs += [("(imx > 1e-6) OR (exx > 1e-6)", "Grid import/export nonzero when grid is off"),
-                 (f"{asdbl('svp')} > {asdbl('avp')} + 1e-6", "Total served exceeds total available generation")]
+        errs += [("(imx > 1e-6) OR (exx > 1e-6)", "grid_flow_off"),
+                 (f"{asdbl('svp')} > {asdbl('avp')} + 1e-6", "served_over_supply")]
     err = "concat_ws('; ', " + ", ".join(f"CASE WHEN {cnd} THEN '{m}' END" for cnd, m in errs) + ")"
     clip_rev = rn("cr") if not grid_allowed else "CAST(NULL AS DOUBLE)"
     return f""", {g}

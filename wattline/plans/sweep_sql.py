@@ -264,7 +264,7 @@ def recommended_sql(target: float) -> str:
   FROM ranked WHERE rank = 1 AND ok)"""
 
 
-def gas_sizing_sql(base: Mapping[str, Any], capacities, target: float) -> str:
+def gas_sizing_sql(base: Mapping[str, Any], capacities, target: float, grid_on: bool = False) -> str:
     """CTEs ending in ``gsz``: D8 sweep + T3/W8/T4 flags per (site, capacity)."""
     pmin = float(base.get("gas_pmin_mw", 0.0) or 0.0)
     varying = {"gas_pmax_mw": "gas_pmax_mw", "gas_enabled": "true", "gas_dispatchable": "true",
@@ -276,7 +276,7 @@ def gas_sizing_sql(base: Mapping[str, Any], capacities, target: float) -> str:
 gfan AS (SELECT i.*, CAST(c.candidate_id AS BIGINT) AS candidate_id, c.gas_capacity_mw, c.gas_capacity_mw AS gas_pmax_mw,
     least({d(pmin)}, c.gas_capacity_mw) AS gas_pmin_mw FROM intervals i JOIN gc0 c ON c.site_id = i.site_id)"""
     keys = ["site_id", "candidate_id"]
-    return ",\n".join([fan, dispatch_sql(P, "gfan", keys).strip(), metrics_sql(P, keys).strip(), f"""gs0 AS (
+    return ",\n".join([fan, dispatch_sql(P, "gfan", keys, grid_on).strip(), metrics_sql(P, keys).strip(), f"""gs0 AS (
   SELECT m.site_id, c.gas_capacity_mw, m.firmness_pct, m.merchant_revenue_usd AS merchant_revenue_cost_usd,
     m.total_served_mwh, m.total_gen_mwh, m.total_clip_mwh, m.natgas_total_cost_usd,
     m.total_natgas_mwh AS natgas_generation_mwh, m.infeasible, m.firmness_pct >= {d(target)} AND NOT m.infeasible AS meets_target

@@ -50,17 +50,23 @@ def read_interval_csv(spark: SparkSession, path: str, site_id: int | Column | No
     literal, or (default) derived from the file name via ``_metadata``.
     """
     headers = headers or CSV_HEADERS
-    # header names are taken from the file and every column is read as text
-    # (no inference pass); known headers are mapped, absent ones become null
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
-    sid = (F.lit(site_id) if isinstance(site_id, int) else site_id) if site_id is not None \
-        else F.abs(F.xxhash64(F.col("_metadata.file_path")))
-    return raw.select(sid.cast("bigint").alias("site_id"),
-                      *[(F.col(f"`{h}`") if h in raw.columns else F.lit(None).cast("string")).alias(n)
-                        for n, h in headers.items()])
-
-
-def intervals_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Files may differ in their columns, and a scan of several takes the first one's header for
+    # all: so every file is read as lines, and its own header line tells which field is which.
+    lines = spark.read.text(path, wholetext=False).select(
+        F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    first = lines.where(F.col("_at") == 0).withColumn("_n", F.monotonically_increasing_id()).groupBy("_file").agg(
+        F.min_by("value", "_n").alias("_head"))
+    field = F.from_csv(F.col("value"), ", ".join(f"_{k} STRING" for k in range(64)), {"mode": "PERMISSIVE"})
+    names = F.transform(F.split("_head", ","), lambda x: F.trim(F.translate(x, '"\r\ufeff', "")))
+    rows = lines.join(first, "_file").where((F.col("value") != F.col("_head")) & (F.trim("value") != "")).select(
+        "_file", field.alias("_f"), names.alias("_names")).withColumn("_v", F.array(*[F.col(f"_f._{k}") for k in range(64)]))
+    place = lambda h: F.array_position("_names", h).cast("int")
+    sid = (F.lit(site_id) if isinstance(site_id, int) else site_id) if site_id is not None else F.abs(F.xxhash64("_file"))
+    return rows.select(sid.cast("bigint").alias("site_id"), F.element_at(F.split("_file", "/"), -1).alias("file_name"), *[
+        F.when(place(h) > 0, F.get("_v", place(h) - 1)).alias(n) for n, h in headers.items()])
+
+
+def intervals_from_events(spark: SparkSession, sf_dir: str, window: tuple[str, str] | None = None) -> DataFrame:
     """Stand-in interval series built from the driver's ``events`` table.
 
     One site per ``user_id``; one row per site and hour between the site's
@@ -68,8 +74,14 @@ def intervals_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     generation / load columns by event type (as decimals, so the sums are
     exact), and the hourly mean value is the price (35.0 for hours without
     events).  This only shapes the input; all dispatch work happens later.
+    With a ``window`` (first and last day) only its hours are made: the wide
+    scan is filtered by ``ts``, the sites' spans come from one of two columns.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type", "value")
+    all_ts = ev.select(F.col("user_id").alias("site_id"), hour_floor(F.col("ts")).alias("ts"))
+    if window:
+        lo, hi = F.lit(window[0]).cast("timestamp_ntz"), F.date_add(F.lit(window[1]).cast("date"), 1).cast("timestamp_ntz")
+        ev = ev.where((F.col("ts") >= lo) & (F.col("ts") < hi))
     v = F.col("value").cast("decimal(18,2)")
     zero = F.lit(0).cast("decimal(18,2)")
     et = F.col("event_type")
@@ -79,7 +91,10 @@ def intervals_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sum(F.when(et == "signup", v).otherwise(zero)).alias("natgas"),
                 F.sum(F.when(et.isin("purchase", "error"), v).otherwise(zero)).alias("loadd"),
                 (F.sum(v).cast("double") / F.count(F.lit(1))).alias("price_raw")))
-    span = agg.groupBy("site_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    span = all_ts.groupBy("site_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    if window:
+        span = span.select("site_id", F.greatest("lo", lo).alias("lo"), F.least("hi", hi - F.expr("INTERVAL 1 HOUR")).alias("hi")
+                           ).where("lo <= hi")
     spine = span.select("site_id", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
     j = spine.join(agg, ["site_id", "ts"], "left")
     return j.select(

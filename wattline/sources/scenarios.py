@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.config import CONFIG_SCHEMA, full_config
+from wattline.config import CONFIG_FIELDS, CONFIG_SCHEMA, FILE_KEYS, full_config
 from wattline.functions.econ import DEFAULT_ECON, ECON_FIELDS, RESOURCES
 from wattline.plans.sweep import RANGE_NAMES, RANGE_TYPE
 
@@ -72,21 +72,51 @@ def scenarios_df(spark: SparkSession, bundles: list[Mapping[str, Any]]) -> DataF
     return raw.select(F.from_json("value", BUNDLE_SCHEMA).alias("b")).select("b.*")
 
 
-def write_scenarios(df: DataFrame, path: str) -> None:
-    """S3: bundles as JSON files (one object per line)."""
-    df.write.mode("overwrite").json(path)
+_FILE_CONFIG = T.StructType([T.StructField(FILE_KEYS.get(f.name, f.name), f.dataType) for f in CONFIG_SCHEMA])
+FILE_SCHEMA = T.StructType([T.StructField("run_config", _FILE_CONFIG) if f.name == "run_config" else f
+                            for f in BUNDLE_SCHEMA])
+
 
+def _config(to: T.StructType, names: Mapping[str, str]) -> "F.Column":
+    return F.struct(*[F.col(f"run_config.{names.get(f.name, f.name)}").alias(f.name) for f in to])
 
-def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """JSON bundles with an explicit nested schema, ordered by file name then name."""
-    df = spark.read.schema(BUNDLE_SCHEMA).json(path)
-    return df.withColumn("file_name", F.col("_metadata.file_name")).orderBy("file_name", "name")
+
+def write_scenarios(df: DataFrame, path: str) -> None:
+    """S3: bundles as JSON files (one object per line), with the field names of scenario files."""
+    back = {v: k for k, v in FILE_KEYS.items()}
+    df.withColumn("run_config", _config(_FILE_CONFIG, back)).write.mode("overwrite").json(path)
+
+
+def read_scenarios(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON bundles with an explicit nested schema, with the file's name.
+
+    ``multi_line``: a file holds one indented bundle (or a list of them); else
+    one bundle a line.  Fields that a file leaves out get the defaults; a file
+    without a bundle's name fails, since it holds something else.
+    """
+    df = spark.read.schema(FILE_SCHEMA).option("multiLine", multi_line).json(path)
+    df = df.withColumn("file_name", F.col("_metadata.file_name")).where(F.assert_true(
+        F.col("name").isNotNull(), F.concat(F.lit("no scenario in "), F.col("_metadata.file_name"))).isNull())
+    default = {n: v for n, _, v in CONFIG_FIELDS}
+    config = F.struct(*[F.coalesce(F.col(f"run_config.{FILE_KEYS.get(f.name, f.name)}"), F.lit(default[f.name]).cast(f.dataType))
+                        .alias(f.name) for f in CONFIG_SCHEMA])
+    econ = F.struct(*[F.struct(*[F.coalesce(F.col(f"econ.{r}.{f}"), F.lit(v)).alias(f) for f, v in zip(
+        ECON_FIELDS, DEFAULT_ECON[r])]).alias(r) for r in RESOURCES],
+        F.coalesce(F.col("econ.carbon_price_usd_per_ton"), F.lit(0.0)).alias("carbon_price_usd_per_ton"))
+    # Q5: the economics' carbon price is the run's
+    config = config.withField("carbon_price_usd_per_ton", F.greatest(
+        F.coalesce(F.col("run_config.carbon_price_usd_per_ton"), F.lit(0.0)),
+        F.coalesce(F.col("econ.carbon_price_usd_per_ton"), F.lit(0.0))))
+    return df.withColumns({"run_config": config, "econ": econ,
+                           "reliability_target_pct": F.coalesce("reliability_target_pct", F.lit(99.0)),
+                           "grid_allowed": F.coalesce("grid_allowed", F.lit(False))})
 
 
 def ranges_flat(bundles: DataFrame) -> DataFrame:
     """F14 nested -> flat ranges: (scenario, resource, mode, values, reference_mw)."""
     arr = F.array(*[F.col(f"screening_ranges.{n}") for n in RANGE_NAMES])
-    return bundles.select(F.col("name").alias("scenario"), F.inline(arr)).withColumnRenamed("name", "resource")
+    keep = [c for c in bundles.columns if c not in ("name", "screening_ranges")]
+    return bundles.select(F.col("name").alias("scenario"), *keep, F.inline(arr)).withColumnRenamed("name", "resource")
 
 
 def ranges_nested(flat: DataFrame) -> DataFrame:
