@@ -42,7 +42,7 @@ from wattline.llm.repeats import bucket_of
 
 DISCOUNT = 0.75
 #: Tokens and documents of a block.
-BLOCK_TOKENS = 3 << 18
+BLOCK_TOKENS = 1 << 19
 BLOCK_DOCS = 1 << 16
 #: Steps of a quantised logarithm (base 10) from 0 down; the last code is "not there".
 STEP = 2.0 ** -12
