@@ -27,7 +27,8 @@ def every_segmentation(text, v):
                     inner(j, [*ids, p], log_p + v.log_p[p])
         inner(0, ids, log_p)
 
-    go(op.split(text), [], 0.0)
+    data, start, end, _ = op.split([text.encode()])
+    go([op.spelled(data[a:b].tobytes()) for a, b in zip(start, end)], [], 0.0)
     total = np.logaddexp.reduce(list(out.values()))
     return {k: math.exp(x - total) for k, x in out.items()}
 
@@ -36,7 +37,7 @@ def test_distribution_without_replacement():
     v = op.pieces(PATH)
     text, n, k = "so in", 6000, 3
     p = every_segmentation(text, v)
-    found = op.sample([text] * n, np.arange(n, dtype=np.uint64) * np.uint64(1_000_003), op.Lattices(v), k)
+    found = op.sample([text.encode()] * n, np.arange(n, dtype=np.uint64) * np.uint64(1_000_003), op.Lattices(v), k)
     first = Counter(tuple(f[0][0].tolist()) for f in found)
     second = Counter(tuple(f[1][0].tolist()) for f in found)
     for s, q in p.items():
@@ -53,7 +54,7 @@ def test_distribution_without_replacement():
 
 def test_fewer_segmentations_than_samples():
     v = op.pieces(PATH)
-    found = op.sample(["", "a"], np.array([1, 2], np.uint64), op.Lattices(v), 6)
+    found = op.sample([b"", b"a"], np.array([1, 2], np.uint64), op.Lattices(v), 6)
     assert len(found[0]) == 1 and found[0][0][3] == 1.0 and v.decode(found[0][0][0]) == b""
     assert len(found[1]) == len(every_segmentation("a", v)) and all(x[3] == 1.0 for x in found[1])
 

@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import Texts, U64, chunks, lean, mix, within
+from wattline.llm.common import SpanHash, Texts, U64, chunks, lean, mix, within
 
 SAMPLES = 3
 SEED = 20
 _BLANK = "▁"
 _GOLD = U64(0x9E3779B97F4A7C15)
-#: Surrogates, which no text has: for a U+2581 of the text itself, and between words.
-OWN, _CUT = "\ud800", "\ud801"
+#: A surrogate, which no text has, for a U+2581 of the text itself.
+OWN = "\ud800"
 #: Words whose lattices a task keeps.
 LATTICES = 150_000
 #: Bytes of text whose lattices are walked together.
@@ -210,21 +210,21 @@ class Lattices:
         self._nodes = _Rows(info=np.int64)
         self._edges = _Rows(node=np.int32, piece=np.int32, q=float, step=np.int64)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The number of each word; new ones get their lattice."""
-        known = len(self.number)
-        get = self.number.get
-        out = list(map(get, words))
-        if None in out:
-            missing = [i for i, x in enumerate(out) if x is None]
-            new = list(dict.fromkeys([words[i] for i in missing]))
-            self.number.update(zip(new, range(known, known + len(new))))
-            self._add(new)
-            for i in missing:
-                out[i] = self.number[words[i]]
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word data[start:end]; new ones get their lattice."""
+        names, at, where = np.unique(SpanHash(data).of(start, end), return_index=True, return_inverse=True)
+        names = names.tolist()
+        out = list(map(self.number.get, names))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            first = len(self.number)
+            raw = data.tobytes()
+            self._add([spelled(raw[a:b]) for a, b in zip(start[at[missing]].tolist(), end[at[missing]].tolist())])
+            for k, i in enumerate(missing):
+                self.number[names[i]] = out[i] = first + k
         self.first, self.info = self._words["first"], self._nodes["info"]
         self.node, self.piece, self.q, self.step = (self._edges[c] for c in ("node", "piece", "q", "step"))
-        return np.array(out, np.int64)
+        return np.array(out, np.int64)[where]
 
     def _add(self, words: list[str]) -> None:
         v = self.v
@@ -263,8 +263,8 @@ class Lattices:
         head = np.searchsorted(frm, np.arange(nodes + 1))
         count = np.diff(head)
         log_p = np.where(piece >= 0, v.log_p[np.maximum(piece, 0)], 0.0)
-        for e in np.flatnonzero(piece < 0):
-            log_p[e] = v.log_p[v.byte[_bytes(-1 - int(piece[e]))]].sum()
+        for p in np.unique(piece[piece < 0]):
+            log_p[piece == p] = v.log_p[v.byte[_bytes(-1 - int(p))]].sum()
         # log mass to the end, for the nodes one, two, ... characters before it
         rest = np.zeros(nodes)
         end = np.append(first[1:], nodes) - 1
@@ -285,11 +285,23 @@ class Lattices:
         self._nodes.append(info=(head[:-1] + edges << 16) | count)
 
 
-def split(text: str) -> list[str]:
-    """The words of a text; joined they are a blank and the text, with its
-    blanks as U+2581 and its own U+2581 as OWN."""
-    marked = (" " + text.replace(_BLANK, OWN)).replace(" ", _CUT + _BLANK).replace("\n", "\n" + _CUT)
-    return [w for w in marked.split(_CUT) if w]
+def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, a blank before each; where their words begin and
+    end, and how many words each text has.  A word begins at a blank and after
+    a line break."""
+    data = np.frombuffer(b"".join([b" " + t for t in texts]), np.uint8)
+    size = np.array([len(t) + 1 for t in texts], np.int64)
+    begin = np.cumsum(size) - size
+    first = data == 32
+    first[1:] |= data[:-1] == 10
+    first[begin] = True
+    start = np.flatnonzero(first)
+    return data, start, np.append(start[1:], len(data)), np.diff(np.append(np.searchsorted(start, begin), len(start)))
+
+
+def spelled(word: bytes) -> str:
+    """A word as the vocabulary has it: blanks as U+2581, its own U+2581 as OWN."""
+    return word.decode().replace(_BLANK, OWN).replace(" ", _BLANK)
 
 
 def _bytes(code: int) -> list[int]:
@@ -407,13 +419,12 @@ def _ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample(texts: list[str], keys: np.ndarray, lat: Lattices, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple]]:
-    """For each text up to ``k`` distinct segmentations as (ids, log
+def sample(texts: list[bytes], keys: np.ndarray, lat: Lattices, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple]]:
+    """For each text (in UTF-8) up to ``k`` distinct segmentations as (ids, log
     probability, perturbed log probability, inclusion score), best first."""
     n = len(texts)
-    per = [split(t) for t in texts]
-    occurrence = lat.numbers([w for p in per for w in p])
-    size = np.array([len(p) for p in per])
+    data, word_start, word_end, size = split(texts)
+    occurrence = lat.numbers(data, word_start, word_end)
     doc, place = within(size)
     begin = np.cumsum(size) - size
     with np.errstate(over="ignore"):
@@ -488,7 +499,7 @@ def sample_segmentations(df: DataFrame, model: str, id_col: str = "doc_id", text
             key = batch.column("key").to_numpy(zero_copy_only=False).view(U64)
             for t in chunks(batch, "text", WALK_BYTES):
                 lat = lattices(model)
-                found = sample([t.of(i).decode() for i in range(len(t))], key[t.rows], lat, k, seed)
+                found = sample([t.of(i) for i in range(len(t))], key[t.rows], lat, k, seed)
                 at = [t.rows.start + i for i, f in enumerate(found) for _ in f]
                 flat = [x for f in found for x in f]
                 ids = [x[0].astype("<i4") for x in flat]
