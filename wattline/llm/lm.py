@@ -42,14 +42,14 @@ from wattline.llm.repeats import bucket_of
 
 DISCOUNT = 0.75
 #: Tokens and documents of a block.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 5 << 17
 BLOCK_DOCS = 1 << 16
 #: Steps of a quantised logarithm (base 10) from 0 down; the last code is "not there".
 STEP = 2.0 ** -12
 ABSENT = 0xFFFF
 #: A context's share of the training tokens, in shards' sizes, before it is spread.
 SPREAD = 0.25
-#: Word ids from here on stand for no word.
+#: Word ids from here on stand for no word; there are fewer distinct words than that.
 NO_WORD = 1 << 31
 _END = mix(np.array([0x454E44], U64))[0]
 
@@ -66,6 +66,18 @@ def unplaned(buffer: bytes, at: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(b.T).view("<u4").ravel(), at + 8 + 4 * n
 
 
+def ascending(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as planes of the bytes of their steps."""
+    step = np.diff(x.astype(U64), prepend=U64(0))
+    return struct.pack("<q", len(x)) + np.ascontiguousarray(step, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def ascended(buffer: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, = struct.unpack_from("<q", buffer, at)
+    b = np.frombuffer(buffer, np.uint8, 8 * n, at + 8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(b.T).view("<u8").ravel(), dtype=U64), at + 8 + 8 * n
+
+
 def _longs(buffer: bytes, at: int) -> tuple[np.ndarray, int]:
     n, = struct.unpack_from("<q", buffer, at)
     return np.frombuffer(buffer, "<u8", n, at + 8), at + 8 + 8 * n
@@ -77,7 +89,7 @@ class Block:
     whether it is one to train on, and its id."""
 
     def __init__(self, buffer: bytes):
-        self.vocabulary, at = _longs(buffer, 0)
+        self.vocabulary, at = ascended(buffer, 0)
         self.tokens, at = unplaned(buffer, at)
         self.size, at = unplaned(buffer, at)
         self.train, at = unplaned(buffer, at)
@@ -90,8 +102,8 @@ class Block:
         vocabulary, tokens = np.unique(hashes, return_inverse=True)
         null = np.asarray(ids.is_null())
         doc = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-        return b"".join([struct.pack("<q", len(vocabulary)), vocabulary.astype("<u8").tobytes(), planes(tokens),
-                         planes(size), planes(train), struct.pack("<q", len(doc)), doc.tobytes(), planes(null)])
+        return b"".join([ascending(vocabulary), planes(tokens), planes(size), planes(train), struct.pack("<q", len(doc)),
+                         doc.tobytes(), planes(null)])
 
     def counts(self) -> np.ndarray:
         """Training count of each word of the vocabulary."""
@@ -162,22 +174,21 @@ def word_counts(blocks: DataFrame, shards: int, count: Callable[[Block], np.ndar
                 b = Block(data.as_buffer())
                 cut = _cuts(bucket_of(b.vocabulary, shards), shards)  # ascending, as the hashes are
                 n = count(b)
-                yield from _rows([(number, k, struct.pack("<q", hi - lo) + b.vocabulary[lo:hi].astype("<u8").tobytes()
-                                   + planes(n[lo:hi])) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi],
+                yield from _rows([(number, k, ascending(b.vocabulary[lo:hi]) + planes(n[lo:hi])) for k, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi],
                                  ("block", "shard"))
 
     return blocks.mapInArrow(lean(run), "block long, shard int, data binary")
 
 
 def word_replies(counts: DataFrame, shards: int) -> DataFrame:
-    """block, shard, data: global count and id of each word that was sent; and
+    """block, shard, data: global count and place in the shard of each word that was sent; and
     a row of block -1 with the shard's tokens and distinct training words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = [(n, s, d) for batch in batches for n, s, d in zip(
             batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("data").to_pylist())]
         if not sent:
             return
-        parts = [(_longs(d, 0)) for _, _, d in sent]
+        parts = [ascended(d, 0) for _, _, d in sent]
         sums = [unplaned(d, at)[0] for (_, at), (_, _, d) in zip(parts, sent)]
         names, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
         total = np.bincount(where, np.concatenate(sums)).astype(np.int64)
@@ -187,7 +198,7 @@ def word_replies(counts: DataFrame, shards: int) -> DataFrame:
         for (number, _, _), (p, _) in zip(sent, parts):
             mine = where[at:at + len(p)]
             at += len(p)
-            yield from _rows([(number, shard, planes(total[mine]) + planes(mine * shards + shard))], ("block", "shard"))
+            yield from _rows([(number, shard, planes(total[mine]) + planes(mine))], ("block", "shard"))
 
     return counts.repartitionById(shards, F.col("shard")).mapInArrow(lean(run), "block long, shard int, data binary")
 
@@ -197,13 +208,13 @@ def by_block(replies: DataFrame, name: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("shard", "data"))).alias(name))
 
 
-def word_facts(replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def word_facts(replies: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Count and id of each word of a block's vocabulary."""
     n, i = [], []
     for r in replies or []:
         a, at = unplaned(r["data"], 0)
         n.append(a)
-        i.append(unplaned(r["data"], at)[0])
+        i.append(unplaned(r["data"], at)[0].astype(np.int64) * shards + r["shard"])  # an id of its own
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(n).astype(np.int64), np.concatenate(i).astype(np.int64)
@@ -257,7 +268,7 @@ def _bigram_counts(told: DataFrame, total: int, shards: int) -> DataFrame:
             for number, data, replies in zip(batch.column("block").to_pylist(), batch.column("data"),
                                              batch.column("words").to_pylist()):
                 b = Block(data.as_buffer())
-                g = Bigrams(b, *word_facts(replies), total, shards)
+                g = Bigrams(b, *word_facts(replies, shards), total, shards)
                 for k, (lo, hi) in enumerate(zip(g.cut[:-1], g.cut[1:])):
                     if lo < hi:
                         first, n = _context_runs(g.context[lo:hi])
@@ -315,7 +326,7 @@ def _scored(told: DataFrame, total: int, distinct: int, shards: int) -> DataFram
             for data, word_replies, replies in zip(batch.column("data"), batch.column("words").to_pylist(),
                                                    batch.column("bigrams").to_pylist()):
                 b = Block(data.as_buffer())
-                count, ids = word_facts(word_replies)
+                count, ids = word_facts(word_replies, shards)
                 base = (count + 1) / (total + distinct + 1)
                 p = base[b.tokens]
                 g = Bigrams(b, count, ids, total, shards)
