@@ -55,12 +55,6 @@ def family(seed, groups, per, words=120):
     return rows
 
 
-def clear(rows, low=0.72, high=0.86):
-    """Whether no pair is so close to the threshold that bands might miss it."""
-    sets = [weighted(t) for _, t in rows]
-    return all(not low < jaccard(a, b) < 0.8 + 1e-9 or jaccard(a, b) < 0.8 for i, a in enumerate(sets) for b in sets[:i])
-
-
 @pytest.mark.parametrize("crowd", [2048, 3])
 def test_classes_equal_brute_force(docs_of, crowd, monkeypatch):
     monkeypatch.setattr(op, "CROWD", crowd)
