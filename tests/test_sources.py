@@ -136,6 +136,15 @@ def test_text_and_preview_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "txt")).count() == 30
 
 
+def test_record_and_key_value_sinks(spark, tmp_path):
+    from wattline.sources.sinks import write_key_values, write_records
+    df = spark.createDataFrame([(1, 2.5, "x")], "site_id long, cost double, name string")
+    write_records(df, str(tmp_path / "rec"))
+    assert spark.read.json(str(tmp_path / "rec")).first().asDict() == {"site_id": 1, "cost": 2.5, "name": "x"}
+    write_key_values(spark.createDataFrame([(1, "cost", 2.5)], "site_id long, metric string, value double"), str(tmp_path / "kv"))
+    assert os.listdir(str(tmp_path / "kv"))
+
+
 def test_entry_and_registry(spark):
     out = E.entry(spark)
     assert out.count() > 0

@@ -82,11 +82,6 @@ def full_config(cfg: Mapping[str, Any]) -> dict[str, Any]:
     return out
 
 
-def config_columns(cfg: Mapping[str, Any]) -> list[Column]:
-    """Literal columns for one configuration (defaults filled)."""
-    full = full_config(cfg)
-    return [F.lit(full[n]).cast(FIELD_TYPES[n]).alias(n) for n, _, _ in CONFIG_FIELDS]
-
 
 def with_config(df: DataFrame, cfg: Mapping[str, Any], skip_existing: bool = False) -> DataFrame:
     """Attach one configuration as literal columns (no join, no shuffle).
@@ -99,18 +94,6 @@ def with_config(df: DataFrame, cfg: Mapping[str, Any], skip_existing: bool = Fal
     return df.withColumns({n: F.lit(full[n]).cast(FIELD_TYPES[n]) for n, _, _ in CONFIG_FIELDS if n not in have})
 
 
-def config_table(spark: SparkSession, rows: list[Mapping[str, Any]],
-                 key: str = "scenario_id") -> DataFrame:
-    """A table of configurations, one row each, keyed by ``key`` (bigint)."""
-    data = []
-    for i, r in enumerate(rows):
-        r = dict(r)
-        k = r.pop(key, i)
-        full = full_config(r)
-        data.append((int(k), *[full[n] for n, _, _ in CONFIG_FIELDS]))
-    schema = T.StructType([T.StructField(key, T.LongType(), False), *CONFIG_SCHEMA.fields])
-    return spark.createDataFrame(data, schema)
-
 
 # ---------------------------------------------------------------------------
 # Derived configuration values, as column expressions

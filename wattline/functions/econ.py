@@ -36,27 +36,12 @@ def econ_columns(struct: str) -> list[Column]:
     return [F.col(f"{struct}.{r}.{f}").alias(f"{r}_{f}") for r in RESOURCES for f in ECON_FIELDS]
 
 
-def econ_table(spark: SparkSession, scenarios: Mapping[int, Mapping[str, Any] | None]) -> DataFrame:
-    """Long economics table (scenario_id, resource, five fields); None -> defaults."""
-    rows = []
-    for sid, econ in scenarios.items():
-        for r in RESOURCES:
-            vals = (econ or {}).get(r) or DEFAULT_ECON[r]
-            rows.append((int(sid), r, *[float(v) for v in vals]))
-    return spark.createDataFrame(rows, ECON_SCHEMA)
-
-
-def econ_wide(econ_long: DataFrame) -> DataFrame:
-    """One row per scenario: ``<resource>_<field>`` columns (pivot on a known value list)."""
-    return (econ_long.groupBy("scenario_id").pivot("resource", RESOURCES)
-            .agg(*[F.first(f).alias(f) for f in ECON_FIELDS]))
 
 
 def with_econ(df: DataFrame, econ: Mapping[str, Any] | None = None) -> DataFrame:
     """J5 for one scenario: the wide economics columns as literals (folded by Catalyst).
 
-    For several scenarios use ``econ_wide(econ_table(...))`` and an equi-join
-    on ``scenario_id`` (a handful of rows, broadcast).
+    For a table of scenarios use ``econ_columns`` on the joined scenario row.
     """
     cols = {}
     for r in RESOURCES:

@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wattline.functions.clean import in_daytime
 from wattline.operators.dispatch import seconds_of
 
 MOD = 2147483647   # 2^31 - 1
@@ -47,7 +48,7 @@ def hour_index(ts: Column) -> Column:
 
 
 def synthetic_load(ts: Column, site: Column, load_type: Column, load_mw: Column, load_std: Column) -> Column:
-    day = F.hour(ts).between(7, 22)
+    day = in_daytime(ts)
     z = load_mw + load_std * std_normal(hour_index(ts), site)
     return (F.when(load_type == "24-7", load_mw)
             .when(load_type == "16-7", F.when(day, load_mw).otherwise(F.lit(0.0)))

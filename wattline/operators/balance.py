@@ -245,11 +245,3 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
     cols = [F.col(f"r.{x}").alias(x) for x in payload]
     cols += [F.col(f"s.{f}").alias(n) for f, n in (("s", out), ("s0", prev_out), ("sp", prev2_out)) if n]
     return z.select(*keys, *cols, *[F.col(f"b.{n}").alias(n) for n in lagged])
-
-
-def position_of(ts: Column | str, step_seconds: int = 3600) -> Column:
-    """Interval index of a timestamp_ntz: seconds since 1970-01-01 / step (zone free)."""
-    t = F.col(ts) if isinstance(ts, str) else ts
-    secs = (F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400
-            + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
-    return F.floor(secs / F.lit(step_seconds)).cast("long")

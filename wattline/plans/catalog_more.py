@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.config import config_problems, with_config
+from wattline.config import split_valid, with_config
 from wattline.functions.clean import (OPTIONAL, REQUIRED, clean_intervals, interval_quality, tidy_columns,
                                       with_gas_availability)
 from wattline.functions.econ import econ_columns
@@ -183,9 +183,10 @@ def q_config_quarantine(spark, sf_dir):
         "load_type": F.when(c % 7 == 0, F.lit("sometimes")).otherwise(F.col("load_type")),
         "gas_cost_mode": F.when(c % 9 == 0, F.lit("free")).otherwise(F.col("gas_cost_mode")),
         "dt_hours": F.when(c % 11 == 0, F.lit(0.0)).otherwise(F.col("dt_hours"))})
-    p = config_problems(bad)
-    return p.select("site_id", "candidate_id", F.array_join("problems", "; ").alias("problems"),
-                    (F.size("problems") == 0).alias("is_valid"))
+    good, quarantine = split_valid(bad)
+    return good.select("site_id", "candidate_id", F.lit("").alias("problems"), F.lit(True).alias("is_valid")).unionByName(
+        quarantine.select("site_id", "candidate_id", F.array_join("problems", "; ").alias("problems"),
+                          F.lit(False).alias("is_valid")))
 
 
 # ---------------------------------------------------------------------------

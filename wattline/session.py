@@ -63,18 +63,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def materialize_table(df):
-    """Write a DataFrame once to the shared checkpoint folder and read it back.
-
-    Cuts the lineage where a result is read more than once (each branch would
-    otherwise recompute it).  The folder comes from ``spark.checkpoint.dir``
-    (a shared file system on a cluster), so the table survives executor loss.
-    """
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/wattline-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
