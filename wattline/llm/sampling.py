@@ -50,7 +50,7 @@ _GOLD = U64(0x9E3779B97F4A7C15)
 #: A surrogate, which no text has, for a U+2581 of the text itself.
 OWN = "\ud800"
 #: Words whose lattices a task keeps.
-LATTICES = 150_000
+LATTICES = 300_000
 #: Bytes of text whose lattices are walked together.
 WALK_BYTES = 1 << 19
 
@@ -212,14 +212,22 @@ class Lattices:
 
     def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of each word data[start:end]; new ones get their lattice."""
-        names, at, where = np.unique(SpanHash(data).of(start, end), return_index=True, return_inverse=True)
-        names = names.tolist()
+        h = SpanHash(data).of(start, end)
+        order = np.argsort(h)
+        new = np.append(True, h[order[1:]] != h[order[:-1]]) if len(h) else np.zeros(0, bool)
+        where = np.empty(len(h), np.int64)
+        where[order] = np.cumsum(new) - 1
+        at = order[new]
+        names = h[at].tolist()
         out = list(map(self.number.get, names))
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
             first = len(self.number)
             raw = data.tobytes()
-            self._add([spelled(raw[a:b]) for a, b in zip(start[at[missing]].tolist(), end[at[missing]].tolist())])
+            own = _BLANK.encode() in raw
+            places = zip(start[at[missing]].tolist(), end[at[missing]].tolist())
+            self._add([spelled(raw[a:b]) if own else _BLANK + raw[a + 1:b].decode() if raw[a] == 32 else raw[a:b].decode()
+                       for a, b in places])
             for k, i in enumerate(missing):
                 self.number[names[i]] = out[i] = first + k
         self.first, self.info = self._words["first"], self._nodes["info"]
