@@ -66,6 +66,51 @@ def test_classes_equal_brute_force(docs_of, crowd, monkeypatch):
     assert len(wrong) <= (0 if crowd > 100 else 0.15 * len(want)), wrong
 
 
+def star(copies, seed=3, words=400, changed=6, original=100_000):
+    """A text with the largest id, and copies near to it that aren't near one another."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = [(original, " ".join(base))]
+    for d in range(copies):
+        t = list(base)
+        for k in rng.sample(range(0, words // 6), changed):
+            t[6 * k + 3] = f"c{d}x{k}"
+        rows.append((d, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [family(5, 12, 9), family(6, 3, 40), star(60)])
+def test_crowds_are_compared_in_full(docs_of, rows, monkeypatch):
+    monkeypatch.setattr(op, "CROWD", 3)
+    assert {r.doc_id: r.class_id for r in op.near_dedup(docs_of(rows)).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize("groups", [1, 7])
+def test_links_between_parts(groups):
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 5000, 80).astype(np.uint32))
+    names = []
+    for _ in range(40):
+        k = int(rng.integers(0, 14))
+        names.append(np.union1d(np.setdiff1d(base, rng.choice(base, k)), rng.integers(0, 5000, k).astype(np.uint32)))
+    group = [(int(g), 0) for g in rng.integers(0, groups, 40)]
+    root = {g: g for g in group}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, x in enumerate(names[:25]):
+        for j, y in enumerate(names[25:]):
+            both = len(np.intersect1d(x, y))
+            if both / (len(x) + len(y) - both) >= 0.8:
+                root[find(group[i])] = find(group[25 + j])
+    links = op.crossed(names[:25], names[25:], group[:25], group[25:], 0.8)
+    assert len(links) == len(set(group)) - len({find(g) for g in group})
+    for i, j in links:
+        assert find(group[i]) == find(group[25 + j])
+
+
 def test_sizes_and_who_stays(docs_of):
     text = " ".join(f"x{i}" for i in range(60))
     out = op.near_dedup(docs_of([(3, text), (1, text), (2, text + " more"), (9, ""), (8, None), (None, text)])).collect()

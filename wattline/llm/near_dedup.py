@@ -17,10 +17,12 @@ with the same documents one is looked at.  A task compares all documents of a
 bucket exactly, by products of their incidence with the shingles, and hands on
 links of similarity ``SIMILARITY`` or more that join each group, one fewer than
 it has documents, never all pairs.  A bucket of more than ``CROWD`` documents is
-dealt out by document, otherwise in each band, and the first documents of its
-parts' groups meet once more.  Connected components of the links are the
-classes.  Similar documents fail to share any band with a probability of
-(1 - s^5)^25, which is 5e-5 at s = 0.8.
+dealt out by document in ``DEALS`` ways, otherwise in each band.  Documents of
+it that no chain of links joins then are compared as well: all outside its
+largest group with all others, a block of two parts in one task.  So every two
+documents that share a bucket are joined if they are similar.  Connected
+components of the links are the classes.  Similar documents fail to share any
+band with a probability of (1 - s^5)^25, which is 5e-5 at s = 0.8.
 
 Defined results: texts of one to four words have one shingle; texts without a
 word are alone in their class; rows of equal id and text share one fate; a null
@@ -30,7 +32,7 @@ id sorts first.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ HASHES = BANDS * ROWS
 #: Documents of a bucket that are compared in one task; names of shingles at a time.
 CROWD = 2048
 TILE = 2048
+#: Ways in which a larger bucket is dealt out before its parts are compared with one another.
+DEALS = 2
 
 _GOLD = U64(0x9E3779B97F4A7C15)
 _RANK_BITS = 30  # of a rank's fraction in a signature value
@@ -256,45 +260,104 @@ def linked(names: list[np.ndarray], threshold: float) -> tuple[list[tuple[int, i
     return links, first
 
 
-_LINKS = "doc long, ver int, names binary, band int, name long, other_doc long, other_ver int"
-
-
-def _linked(members: DataFrame, keys: list[str], threshold: float, heads: bool) -> DataFrame:
-    """Links between the documents of each bucket; with ``heads`` also a row
-    without ``other`` for the first document of each group."""
+def crossed(left: list[np.ndarray], right: list[np.ndarray], group_left: list, group_right: list,
+            threshold: float) -> list[tuple[int, int]]:
+    """Links (index in left, index in right) that join all groups which a
+    similar pair of a document of ``left`` and one of ``right`` joins."""
+    code = {g: k for k, g in enumerate(dict.fromkeys([*group_left, *group_right]))}
+    a, b = (np.array([code[g] for g in x]) for x in (group_left, group_right))
+    size = [np.array([len(x) for x in side], float) for side in (left, right)]
+    both = common(left, right)
+    i, j = np.nonzero(((1 + threshold) * both.astype(float) >= threshold * (size[0][:, None] + size[1][None, :]) - 1e-6)
+                      & (a[:, None] != b[None, :]))
+    one = np.unique(np.column_stack([a[i], b[j]]), axis=0, return_index=True)[1]
+    root = list(range(len(code)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    links = []
+    for x, y in zip(i[one].tolist(), j[one].tolist()):
+        p, q = find(a[x]), find(b[y])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            links.append((x, y))
+    return links
+
+
+_LINKS = "doc long, ver int, other_doc long, other_ver int"
+
+
+def _buckets(rows: DataFrame, keys: list[str], order: list[str], links_of: Callable[[list[tuple], list[np.ndarray]], list]
+             ) -> DataFrame:
+    """Links between the documents of each bucket; ``links_of`` gets their rows
+    (``order``) and names, and returns pairs of indexes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: tuple | None = None
         ids: list[tuple] = []
         names: list[np.ndarray] = []
+        at = order.index("doc")
 
-        def close() -> list[tuple]:
-            if len(ids) < 2 and not heads:
-                return []
-            links, first = linked(names, threshold) if len(ids) > 1 else ([], np.zeros(1, int))
-            out = [(*ids[j], None, None, None, *ids[i]) for i, j in links]
-            if heads:
-                out += [(*ids[i], names[i].tobytes(), *bucket[:2], None, None) for i in np.unique(first)]
-            return out
-
-        def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [
-                "doc", "ver", "names", "band", "name", "other_doc", "other_ver"])
+        def close() -> Iterator[pa.RecordBatch]:
+            links = links_of(ids, names) if len(ids) > 1 else []
+            if links:
+                out = [(*ids[j][at:at + 2], *ids[i][at:at + 2]) for i, j in links]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+                                                 ["doc", "ver", "other_doc", "other_ver"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in (*keys, "doc", "ver")]
+            cols = [batch.column(c).to_pylist() for c in (*keys, *order)]
             for k, row in enumerate(zip(*cols)):
                 if row[:len(keys)] != bucket:
-                    if bucket and (out := close()):
-                        yield batch_of(out)
+                    yield from close()
                     bucket, ids, names = row[:len(keys)], [], []
                 ids.append(row[len(keys):])
                 names.append(np.frombuffer(batch.column("names")[k].as_buffer(), np.uint32))
-        if bucket and (out := close()):
-            yield batch_of(out)
-
-    return (members.select(*keys, "doc", "ver", "names").repartition(partitions(members.sparkSession), *keys)
-            .sortWithinPartitions(*keys, "doc", "ver").mapInArrow(lean(run), _LINKS))
+        yield from close()
+
+    return (rows.select(*keys, *order, "names").repartition(partitions(rows.sparkSession), *keys)
+            .sortWithinPartitions(*keys, *order).mapInArrow(lean(run), _LINKS))
+
+
+def _linked(members: DataFrame, threshold: float) -> DataFrame:
+    return _buckets(members, ["band", "name", "part"], ["doc", "ver"], lambda ids, names: linked(names, threshold)[0])
+
+
+def _crossed(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Links between the two parts of each block, or in its only part."""
+    def links_of(ids: list[tuple], names: list[np.ndarray]) -> list[tuple[int, int]]:
+        cut = sum(x[0] == 0 for x in ids)
+        group = [x[3:] for x in ids]
+        lo = cut if cut < len(ids) else 0
+        if not cut:
+            return []
+        return [(i, lo + j) for i, j in crossed(names[:cut], names[lo:], group[:cut], group[lo:], threshold)]
+
+    return _buckets(blocks, ["band", "name", "x", "y"], ["side", "doc", "ver", "root_doc", "root_ver"], links_of)
+
+
+def _blocks(crowds: DataFrame, root: DataFrame) -> DataFrame:
+    """The documents of crowded buckets, each once for each block (x, y) of two
+    parts it is compared in.  The largest group of a bucket needs no comparison
+    in itself, and a bucket that is one group needs none."""
+    of = root.select("v.doc", "v.ver", F.col("root").alias("r"))
+    grouped = saved(crowds.join(of, ["doc", "ver"], "left").withColumn("r", F.coalesce("r", F.struct("doc", "ver"))))
+    size = grouped.groupBy("band", "name", "r").agg(F.count(F.lit(1)).alias("m"))
+    main = (size.groupBy("band", "name").agg(F.max(F.struct("m", "r")).alias("top"), F.sum("m").alias("n"))
+            .where("n > top.m").select("band", "name", F.col("top.r").alias("main"),
+                                       F.ceil((F.col("n") - F.col("top.m")) / CROWD).cast("int").alias("others"),
+                                       F.ceil(F.col("top.m") / CROWD).cast("int").alias("mains")))
+    inside = F.col("r") == F.col("main")
+    deal = F.hash("doc", "ver", "band", F.lit(DEALS))
+    part = F.when(inside, F.col("others") + F.pmod(deal, F.col("mains"))).otherwise(F.pmod(deal, F.col("others")))
+    met = F.sequence(F.lit(0), F.when(inside, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    return grouped.join(main, ["band", "name"]).withColumn("part", part).withColumn("k", F.explode(met)).select(
+        "band", "name", F.least("part", "k").alias("x"), F.greatest("part", "k").alias("y"),
+        (F.col("part") > F.col("k")).cast("int").alias("side"), "doc", "ver", F.col("r.doc").alias("root_doc"),
+        F.col("r.ver").alias("root_ver"))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -308,18 +371,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # buckets with the same documents (as near copies have in many bands) are looked at once
     shared = (banded.groupBy("band", "name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc", "ver")).alias("x"))
               .where("n > 1").groupBy("n", "x").agg(F.min(F.struct("band", "name")).alias("one")).select("one.*", "n"))
-    members = saved(banded.join(shared.hint("shuffle_hash"), ["band", "name"]).withColumn(
-        "part", F.when(F.col("n") > CROWD, F.pmod(F.hash("doc", "ver", "band"), F.ceil(F.col("n") / CROWD))).otherwise(-1)))
+    members = saved(banded.join(shared.hint("shuffle_hash"), ["band", "name"]))
     need = members.select("doc", "ver").distinct()
     todo = docs.select("doc", "ver", "text").repartition(partitions(docs.sparkSession), "doc", "ver").join(
         need.hint("shuffle_hash"), ["doc", "ver"])
-    named = members.join(saved(_named_shingles(todo)), ["doc", "ver"])
-    links = _linked(named.where("part < 0"), ["band", "name"], similarity, False)
-    crowds = saved(_linked(named.where("part >= 0"), ["band", "name", "part"], similarity, True))
-    again = _linked(crowds.where("other_doc is null"), ["band", "name"], similarity, False)
-    links = links.unionByName(crowds).unionByName(again).where("other_doc is not null").select(
+    names = saved(_named_shingles(todo))
+    parts = F.ceil(F.col("n") / CROWD)
+    deals = F.array(*[k * parts + F.pmod(F.hash("doc", "ver", "band", F.lit(k)), parts) for k in range(DEALS)])
+    dealt = members.withColumn("part", F.explode(F.when(F.col("n") > CROWD, deals).otherwise(F.array(F.lit(-1).cast("long")))))
+    pairs = lambda links: links.select(
         F.struct(F.col("other_doc").alias("doc"), F.col("other_ver").alias("ver")).alias("a"), me.alias("b"))
-    root = components(links)
+    root = components(pairs(_linked(dealt.join(names, ["doc", "ver"]), similarity)))
+    crowds = members.where(F.col("n") > CROWD).select("band", "name", "doc", "ver")
+    if not crowds.isEmpty():
+        more = pairs(_crossed(_blocks(crowds, root).join(names, ["doc", "ver"]), similarity))
+        root = components(root.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
     by_rep = stands.select("a", "b", "rep").join(root.select(F.col("v").alias("rep"), "root"), "rep", "left").select(
         "a", "b", F.coalesce("root", "rep").alias("rep"))
     return signed.select("doc", "ver", "a", "b").join(by_rep, ["a", "b"], "left").select(
