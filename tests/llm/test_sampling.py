@@ -52,6 +52,36 @@ def test_distribution_without_replacement():
     assert abs(np.mean([sum(math.exp(x[1]) / x[3] for x in f) for f in found]) - 1) < 0.02
 
 
+def test_runs_of_blanks_take_all_pieces_of_the_model():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    normal = {model.id_to_piece(i): i for i in range(model.get_piece_size())
+              if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    v = op.pieces(PATH)
+    assert v.ids == normal and sum("▁" in p[1:] for p in normal) == 14
+    for text in ["a   b", "  a", "a    ", "a\n  b"]:
+        spelled = "▁" + text.replace(" ", "▁")
+        full = {}
+
+        def go(i, ids, log_p):
+            if i == len(spelled):
+                full[tuple(ids)] = log_p
+            elif spelled[i] == "\n":
+                go(i + 1, [*ids, int(v.byte[10])], log_p + v.log_p[v.byte[10]])
+            for j in range(i + 1, len(spelled) + 1):
+                if (p := normal.get(spelled[i:j])) is not None:
+                    go(j, [*ids, p], log_p + v.log_p[p])
+        go(0, [], 0.0)
+        total = np.logaddexp.reduce(list(full.values()))
+        found = op.sample([text.encode()], np.array([7], np.uint64), op.Lattices(v), len(full) + 1)[0]
+        got = {tuple(x[0].tolist()): x[1] for x in found}
+        assert got.keys() == full.keys() and all(abs(got[k] - (full[k] - total)) < 1e-9 for k in full)
+        assert all(v.decode(k) == text.encode() for k in full)
+    for text in ["a  b", "a   b", "  x", "a  ", "def f():\n        return 1", "x" + " " * 40 + "y", "é   你  好"]:
+        assert v.decode(model.encode(text)) == text.encode()
+
+
 def test_fewer_segmentations_than_samples():
     v = op.pieces(PATH)
     found = op.sample([b"", b"a"], np.array([1, 2], np.uint64), op.Lattices(v), 6)

@@ -1,13 +1,14 @@
 """Sampled segmentations of texts into the pieces of a SentencePiece model,
 without replacement, and their decoding.
 
-A text is cut before blanks and after line breaks into words; pieces don't
-cross words.  Blanks become U+2581 and one is put in front, as the model does.
-The lattice of a word has an edge for each piece that fits; a character without
-a piece of its own (and a U+2581 of the text itself) takes its byte pieces, so
-every text has a segmentation and decodes to itself.  A piece's probability
-falls with its rank in the model, p ~ 1 / (rank + 1), so a segmentation's log
-probability is the sum over its pieces less that of the whole lattice.
+A text is cut before runs of blanks and after line breaks into words, so a run
+of blanks belongs to the word after it; no piece crosses words.  Blanks become
+U+2581 and one is put in front, as the model does.  The lattice of a word has an
+edge for each piece that fits; a character without a piece of its own (and a
+U+2581 of the text itself) takes its byte pieces, so every text has a
+segmentation and decodes to itself.  A piece's probability falls with its rank
+in the model, p ~ 1 / (rank + 1), so a segmentation's log probability is the
+sum over its pieces less that of the whole lattice.
 
 Gumbel top-k: giving every segmentation its log probability plus Gumbel noise
 and taking the k largest samples k distinct ones without replacement.  A set of
@@ -72,7 +73,9 @@ class Pieces:
             if model.is_byte(i):
                 self.byte[int(piece[1:-1], 16)] = i
                 put[i] = bytes([int(piece[1:-1], 16)])
-            elif _BLANK not in piece[1:] and not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                if _BLANK in piece.lstrip(_BLANK) or "\n" in piece[:-1]:
+                    raise ValueError(f"piece {i} crosses words")
                 self.ids[piece] = i
                 put[i] = piece.replace(_BLANK, " ").encode()
         self._bytes = np.frombuffer(b"".join(put), np.uint8)
@@ -226,8 +229,7 @@ class Lattices:
             raw = data.tobytes()
             own = _BLANK.encode() in raw
             places = zip(start[at[missing]].tolist(), end[at[missing]].tolist())
-            self._add([spelled(raw[a:b]) if own else _BLANK + raw[a + 1:b].decode() if raw[a] == 32 else raw[a:b].decode()
-                       for a, b in places])
+            self._add([spelled(raw[a:b]) if own else raw[a:b].decode().replace(" ", _BLANK) for a, b in places])
             for k, i in enumerate(missing):
                 self.number[names[i]] = out[i] = first + k
         self.first, self.info = self._words["first"], self._nodes["info"]
@@ -295,12 +297,13 @@ class Lattices:
 
 def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all texts, a blank before each; where their words begin and
-    end, and how many words each text has.  A word begins at a blank and after
-    a line break."""
+    end, and how many words each text has.  A word begins at the first of a run
+    of blanks and after a line break."""
     data = np.frombuffer(b"".join([b" " + t for t in texts]), np.uint8)
     size = np.array([len(t) + 1 for t in texts], np.int64)
     begin = np.cumsum(size) - size
     first = data == 32
+    first[1:] &= data[:-1] != 32
     first[1:] |= data[:-1] == 10
     first[begin] = True
     start = np.flatnonzero(first)
