@@ -62,6 +62,49 @@ def test_brute_force(docs_of, monkeypatch, block, spread):
         assert g[6] == pytest.approx(w[6], abs=op.STEP * w[2])  # a token's error is half a step at most
 
 
+def brute_of_order(rows, order):
+    """(doc, tokens, score) of each row, by counts of all contexts that lie in a document."""
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2 for d, _ in rows]
+    texts = [[None, *tokens(t)] for _, t in rows]
+    words, grams, context, after = Counter(), Counter(), Counter(), defaultdict(set)
+    for k, out in zip(texts, held):
+        if not out:
+            words.update(k[1:])
+            for i in range(1, len(k)):
+                for m in range(1, min(i, order - 1) + 1):
+                    h = tuple(k[i - m:i])
+                    grams[h, k[i]] += 1
+                    context[h] += 1
+                    after[h].add(k[i])
+    scores = []
+    for (d, _), k in zip(rows, texts):
+        score = 0.0
+        for i in range(1, len(k)):
+            p = (words[k[i]] + 1) / (sum(words.values()) + len(words) + 1)
+            for m in range(1, min(i, order - 1) + 1):
+                h = tuple(k[i - m:i])
+                if context[h]:
+                    p = max(grams[h, k[i]] - op.DISCOUNT, 0) / context[h] + op.DISCOUNT * len(after[h]) / context[h] * p
+            score += math.log10(p)
+        scores.append((d, len(k) - 1, score))
+    return scores
+
+
+@pytest.mark.parametrize("order,block,spread", [(1, 40, 0.25), (3, 1 << 19, 0.25), (3, 40, 1e-6), (4, 40, 0.25)])
+def test_longer_orders(docs_of, monkeypatch, order, block, spread):
+    monkeypatch.setattr(op, "SPREAD", spread)
+    rng = random.Random(9)
+    rows = NASTY + [(100 + i, " ".join(f"w{rng.randint(0, rng.randint(1, 12))}" for _ in range(rng.randint(0, 30))))
+                    for i in range(150)]
+    monkeypatch.setattr(op.as_blocks, "__defaults__", (block, *op.as_blocks.__defaults__[1:]))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    got = sorted(((r.id, r.n_tokens, r.score) for r in op.score(docs_of(rows), TRAIN, order=order).collect()), key=key)
+    want = sorted(brute_of_order(rows, order), key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want):
+        assert g[2] == pytest.approx(w[2], abs=op.STEP * w[1])
+
+
 def test_empty_table_and_no_training_rows(docs_of):
     assert op.score(docs_of([]), TRAIN).count() == 0
     for r in op.score(docs_of([(1, "a b"), (2, None)]), "false").collect():

@@ -1,24 +1,28 @@
-"""A word bigram language model in Elias-Fano tries, trained and applied by Spark.
+"""A word n-gram language model in Elias-Fano tries, trained and applied by Spark.
 
-The model interpolates absolute-discounted bigrams with add-one unigrams:
+The model interpolates absolute-discounted n-grams of orders 2 to ``order``
+with add-one unigrams:
 
-    p(w | v) = max(c(v w) - D, 0) / c(v)  +  D * T(v) / c(v) * p1(w)
-    p1(w)    = (c(w) + 1) / (N + V + 1)
+    pn(w | h) = max(c(h w) - D, 0) / c(h)  +  D * T(h) / c(h) * pm(w | h')
+    p1(w)     = (c(w) + 1) / (N + V + 1)
 
-T(v) counts the distinct words after v; a context without counts gives p1.  A
-document's tokens are its words and one end; the first word's context is the
-end.  The first part, quantised to 16 bits of its logarithm, is what the tries
-keep; p1 and T(v) are exact.
+h' is h without its first word and m = n - 1.  T(h) counts the distinct words
+after h; a context without counts gives pm.  A document's tokens are its words
+and one end; the first word's context is the end, and contexts don't go beyond
+it, so a document's first words have shorter ones.  The first part, quantised to
+16 bits of its logarithm, is what the tries keep; p1 and T(h) are exact.
 
-Spark deals the vocabulary and the bigrams to shards by hash, and nothing that
+Spark deals the vocabulary and the n-grams to shards by hash, and nothing that
 grows with the corpus reaches the driver but one row of totals per shard.
 Documents are first turned into *blocks* of some million tokens with a sorted
 vocabulary of their own.  A block sends its distinct words with their counts to
-the shards and gets global counts and ids back; then its distinct bigrams, in
-the order of ids.  A shard adds up the counts of all blocks, builds the trie of
-its contexts and words, answers the blocks' bigrams by successor search in it,
-and each block scores its documents.  A context with more than its share of the
-tokens is spread over several shards by the next word.
+the shards and gets global counts and ids back; then, order by order, its
+distinct n-grams as (id of the context, id of the word), in the order of ids.  A
+shard adds up the counts of all blocks, builds the trie of its contexts and
+words, and answers the blocks' n-grams by successor search in it, with their
+ids and counts where they are contexts of the next order.  Each block scores its
+documents at last.  A context with more than its share of the tokens is spread
+over several shards by the next word.
 
 Defined results: a null text is empty and has the end alone; rows of one id are
 scored each for itself; with no training documents every score is the base
@@ -40,6 +44,8 @@ from wattline.llm.common import U64, WHITE, chunks, lean, mix, partitions, saved
 from wattline.llm.elias_fano import Trie
 from wattline.llm.repeats import bucket_of
 
+#: Longest n-grams of the registered query.
+ORDER = 3
 DISCOUNT = 0.75
 #: Tokens and documents of a block.
 BLOCK_TOKENS = 5 << 17
@@ -220,40 +226,83 @@ def word_facts(replies: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(n).astype(np.int64), np.concatenate(i).astype(np.int64)
 
 
-class Bigrams:
-    """The distinct bigrams of a block whose context is known, in order of
-    shard, context id and word id; ``of`` is the bigram of each token, or -1.
+class Grams:
+    """The distinct n-grams of a block whose context is known, in order of
+    shard, context id and word id; ``of`` is the n-gram of each token, or -1.
+    Each token comes with the id and the count of its ``context`` (0: unknown).
     A context that is spread over several shards is asked for in each of them,
-    by a word that there is not, so that all parts of T(v) come back."""
-
-    def __init__(self, b: Block, count: np.ndarray, ids: np.ndarray, total: int, shards: int):
-        before = b.contexts()
-        known = np.flatnonzero(count[before] > 0)
-        key = (ids[before[known]].astype(U64) << U64(32)) | ids[b.tokens[known]].astype(U64)
-        distinct, where = np.unique(key, return_inverse=True)
+    by a word that there is not, so that all parts of T(h) come back."""
+
+    def __init__(self, b: Block, context: np.ndarray, times: np.ndarray, ids: np.ndarray, total: int, shards: int):
+        known = np.flatnonzero(times > 0)
+        self.names, local = np.unique(context[known], return_inverse=True)
+        by_name = np.zeros(len(self.names), np.int64)
+        by_name[local] = times[known]
+        distinct, where = np.unique((local.astype(U64) << U64(32)) | ids[b.tokens[known]].astype(U64), return_inverse=True)
         n = len(distinct)
-        context, word = (distinct >> U64(32)).astype(np.int64), (distinct & U64(0xFFFFFFFF)).astype(np.int64)
-        by_id = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
-        by_id[ids] = count
-        parts = lambda c: np.ceil(by_id[c] / max(SPREAD * total / shards, 1)).astype(np.int64)
-        part = (mix(word) % parts(context).astype(U64)).astype(np.int64)
-        wide = np.unique(context)
-        wide = wide[parts(wide) > 1]
-        of, k = within(parts(wide))
-        context, word, part = np.append(context, wide[of]), np.append(word, NO_WORD + k), np.append(part, k)
+        local, word = (distinct >> U64(32)).astype(np.int64), (distinct & U64(0xFFFFFFFF)).astype(np.int64)
+        parts = np.ceil(by_name / max(SPREAD * total / shards, 1)).astype(np.int64)
+        part = (mix(word) % parts[local].astype(U64)).astype(np.int64)
+        wide = np.flatnonzero(parts > 1)
+        of, k = within(parts[wide])
+        local, word, part = np.append(local, wide[of]), np.append(word, NO_WORD + k), np.append(part, k)
         with np.errstate(over="ignore"):
-            shard = bucket_of(mix(context.astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64)), shards)
-        order = np.lexsort([word, context, shard])
+            shard = bucket_of(mix(self.names[local].astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64)), shards)
+        order = np.lexsort([word, local, shard])
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.context, self.word = context[order], word[order]
-        self.context_count = by_id[self.context]
+        self.local, self.word, self.shards = local[order], word[order], shards
+        self.context, self.context_count = self.names[self.local], by_name[self.local]
         self.cut = _cuts(shard[order], shards)
         self.of = np.full(len(b.tokens), -1)
         self.of[known] = rank[where]
+        self.at, self.times = np.full(len(b.tokens), -1), times
+        self.at[known] = np.searchsorted(self.names, context[known])
         trained = np.repeat(b.train, b.size)[known]
         self.count = np.bincount(rank[where], trained, len(order)).astype(np.int64)
 
+    def told(self, replies: list[dict] | None, lower: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of each token, given that of the order below; with
+        ``more`` also the id of each token's n-gram and its count (0: none)."""
+        seen, types = np.zeros(len(self.of)), np.zeros(len(self.names))
+        first, gram, count = (np.zeros(len(self.word), t) for t in (float, np.int64, np.int64))
+        for r in replies or []:
+            lo, hi = self.cut[r["shard"]], self.cut[r["shard"] + 1]
+            code, at = unplaned(r["data"], 0)
+            there = lo + np.flatnonzero(code < ABSENT)
+            first[there] = 10.0 ** (-STEP * code[there - lo])
+            after, at = unplaned(r["data"], at)
+            np.add.at(types, self.local[lo:hi][_context_runs(self.local[lo:hi])[0]], after)
+            if more:
+                place, at = unplaned(r["data"], at)
+                gram[there] = place.astype(np.int64) * self.shards + r["shard"]  # an id of its own
+                count[there] = unplaned(r["data"], at)[0]
+        has = np.flatnonzero(self.of >= 0)
+        seen[has] = first[self.of[has]]
+        p = lower.copy()
+        t, c = types[self.at[has]], self.times[has].astype(float)
+        p[has] = np.where(t > 0, seen[has] + DISCOUNT * t / c * lower[has], lower[has])
+        out = np.full(len(self.of), -1), np.zeros(len(self.of), np.int64)
+        out[0][has], out[1][has] = gram[self.of[has]], count[self.of[has]]
+        return p, *out
+
+
+def _grams(b: Block, count: np.ndarray, ids: np.ndarray, levels: list, p: np.ndarray, total: int, shards: int,
+           last: bool) -> tuple[np.ndarray, Grams | None]:
+    """The tokens' probability by the orders that ``levels`` has replies of,
+    from 2 on, ``p`` being that of order 1; and unless these were the ``last``
+    the n-grams of the next order."""
+    before = b.contexts()
+    context, times = ids[before], count[before]
+    first = np.append(0, np.cumsum(b.size.astype(np.int64)))[:-1]
+    first = first[first < len(b.tokens)]
+    for k, replies in enumerate(levels):
+        more = not last or k < len(levels) - 1
+        p, gram, n = Grams(b, context, times, ids, total, shards).told(replies, p, more)
+        context, times = np.append(-1, gram[:-1]), np.append(0, n[:-1])
+        times[first] = 0
+    return p, None if last else Grams(b, context, times, ids, total, shards)
+
 
 def _context_runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(context), bool)
@@ -262,40 +311,45 @@ def _context_runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(context)))
 
 
-def _bigram_counts(told: DataFrame, total: int, shards: int) -> DataFrame:
+def _gram_counts(told: DataFrame, levels: list[str], total: int, shards: int) -> DataFrame:
+    """The blocks' n-grams of the order after ``levels``, columns with the
+    replies of the orders from 2 on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, data, replies in zip(batch.column("block").to_pylist(), batch.column("data"),
-                                             batch.column("words").to_pylist()):
+            for number, data, words, *replies in zip(batch.column("block").to_pylist(), batch.column("data"), *(
+                    batch.column(c).to_pylist() for c in ("words", *levels))):
                 b = Block(data.as_buffer())
-                g = Bigrams(b, *word_facts(replies, shards), total, shards)
+                g = _grams(b, *word_facts(words, shards), replies, np.zeros(len(b.tokens)), total, shards, False)[1]
                 for k, (lo, hi) in enumerate(zip(g.cut[:-1], g.cut[1:])):
                     if lo < hi:
                         first, n = _context_runs(g.context[lo:hi])
-                        yield from _rows([(number, k, planes(g.context[lo:hi][first]) + planes(g.context_count[lo:hi][first])
+                        yield from _rows([(number, k, ascending(g.context[lo:hi][first]) + planes(g.context_count[lo:hi][first])
                                            + planes(n) + planes(g.word[lo:hi]) + planes(g.count[lo:hi]))],
                                          ("block", "shard"))
 
     return told.mapInArrow(lean(run), "block long, shard int, data binary")
 
 
-def _bigram_replies(counts: DataFrame, shards: int) -> DataFrame:
-    """For each block's bigrams their code, and for each of its contexts how
-    many distinct words this shard has after it."""
+def _gram_replies(counts: DataFrame, shards: int, more: bool) -> DataFrame:
+    """For each block's n-grams their code, and for each of its contexts how
+    many distinct words this shard has after it; with ``more`` also place and
+    count of the n-grams that are there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, parts = [], []
         for batch in batches:
             for number, shard, data in zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(),
                                            batch.column("data").to_pylist()):
-                at, p = 0, []
-                for _ in range(5):
+                x, at = ascended(data, 0)
+                p = [x.astype(np.int64)]
+                for _ in range(4):
                     x, at = unplaned(data, at)
                     p.append(x)
                 sent.append((number, shard))
                 parts.append(p)
         if not sent:
             return
-        of = [np.repeat(p[0], p[2]).astype(U64) for p in parts]
+        every = np.unique(np.concatenate([p[0] for p in parts]))
+        of = [np.repeat(np.searchsorted(every, p[0]), p[2]).astype(U64) for p in parts]
         key = np.concatenate([(c << U64(32)) | p[3].astype(U64) for c, p in zip(of, parts)])
         seen = np.concatenate([p[4] for p in parts])
         all_context = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
@@ -304,52 +358,33 @@ def _bigram_replies(counts: DataFrame, shards: int) -> DataFrame:
         context_count = np.zeros(len(key))
         context_count[where] = all_context[seen > 0]
         code = np.rint(-np.log10((count - DISCOUNT) / np.maximum(context_count, 1)) / STEP)
-        context = (key >> U64(32)).astype(np.int64)
+        context = every[(key >> U64(32)).astype(np.int64)]
         trie = Trie(Trie.pack(context, (key & U64(0xFFFFFFFF)).astype(np.int64), np.clip(code, 0, ABSENT - 1)))
         del key, where, seen, all_context
         first, size = _context_runs(context)
         names = context[first]
         for (number, shard), c, p in zip(sent, of, parts):
-            at = trie.find(c.astype(np.int64), p[3].astype(np.int64))
+            at = trie.find(every[c.astype(np.int64)], p[3].astype(np.int64))
+            there = at[at >= 0]
             answer = np.full(len(at), ABSENT)
-            answer[at >= 0] = trie.codes[at[at >= 0]]
+            answer[at >= 0] = trie.codes[there]
             k = np.minimum(np.searchsorted(names, p[0]), max(len(names) - 1, 0))
             after = np.where(names[k] == p[0], size[k], 0) if len(names) else np.zeros(len(p[0]), np.int64)
-            yield from _rows([(number, shard, planes(answer) + planes(after))], ("block", "shard"))
+            as_context = planes(there) + planes(count[there]) if more else b""
+            yield from _rows([(number, shard, planes(answer) + planes(after) + as_context)], ("block", "shard"))
 
     return counts.repartitionById(shards, F.col("shard")).mapInArrow(lean(run), "block long, shard int, data binary")
 
 
-def _scored(told: DataFrame, total: int, distinct: int, shards: int) -> DataFrame:
+def _scored(told: DataFrame, levels: list[str], total: int, distinct: int, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, word_replies, replies in zip(batch.column("data"), batch.column("words").to_pylist(),
-                                                   batch.column("bigrams").to_pylist()):
+            for data, word_replies, *replies in zip(batch.column("data"), *(
+                    batch.column(c).to_pylist() for c in ("words", *levels))):
                 b = Block(data.as_buffer())
                 count, ids = word_facts(word_replies, shards)
                 base = (count + 1) / (total + distinct + 1)
-                p = base[b.tokens]
-                g = Bigrams(b, count, ids, total, shards)
-                codes, names, after = [], [], []
-                for r in replies or []:
-                    lo, hi = g.cut[r["shard"]], g.cut[r["shard"] + 1]
-                    x, at = unplaned(r["data"], 0)
-                    codes.append(x)
-                    names.append(g.context[lo:hi][_context_runs(g.context[lo:hi])[0]])
-                    after.append(unplaned(r["data"], at)[0])
-                if codes:
-                    code = np.concatenate(codes)
-                    seen = np.where(code < ABSENT, 10.0 ** (-STEP * code), 0.0)
-                    has = g.of >= 0
-                    types = np.zeros(int(ids.max(initial=0)) + 1)
-                    np.add.at(types, np.concatenate(names), np.concatenate(after))
-                    before = b.contexts()
-                    c = count[before].astype(float)
-                    t = types[ids[before]]
-                    use = (c > 0) & (t > 0)
-                    first = np.zeros(len(p))
-                    first[has] = seen[g.of[has]]
-                    p = np.where(use, first + DISCOUNT * t / np.maximum(c, 1) * p, p)
+                p = _grams(b, count, ids, replies, base[b.tokens], total, shards, True)[0]
                 at = np.append(0, np.cumsum(b.size.astype(np.int64)))
                 add = lambda x: np.add.reduceat(x, at[:-1]) if len(b.size) else x[:0]
                 yield pa.RecordBatch.from_arrays([
@@ -363,9 +398,10 @@ def _scored(told: DataFrame, total: int, distinct: int, shards: int) -> DataFram
                                 "base_score double, score double")
 
 
-def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Learn from the rows where the SQL condition ``train`` holds and score
-    all rows: id, held_out, n_tokens, n_known (tokens with a training count),
+def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text",
+          order: int = 2) -> DataFrame:
+    """Learn n-grams of up to ``order`` words from the rows where the SQL
+    condition ``train`` holds and score all rows: id, held_out, n_tokens, n_known (tokens with a training count),
     train_tokens, base_score (add-one unigrams) and score, both log10."""
     shards = 2 * partitions(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.expr(train).cast("int").alias("train"),
@@ -375,5 +411,10 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
     sums = [struct.unpack("<qq", r["data"]) for r in replies.where("block < 0").select("data").collect()]
     total, distinct = sum(s[0] for s in sums), sum(s[1] for s in sums)
     told = blocks.join(by_block(replies, "words").hint("shuffle_hash"), "block")
-    answers = by_block(_bigram_replies(_bigram_counts(told, total, shards), shards), "bigrams")
-    return _scored(told.join(answers.hint("shuffle_hash"), "block", "left"), total, distinct, shards)
+    levels: list[str] = []
+    for n in range(2, order + 1):
+        answers = _gram_replies(_gram_counts(told, levels, total, shards), shards, n < order)
+        answers = saved(answers) if n < order else answers
+        levels = [*levels, f"level{n}"]
+        told = told.join(by_block(answers, levels[-1]).hint("shuffle_hash"), "block", "left")
+    return _scored(told, levels, total, distinct, shards)

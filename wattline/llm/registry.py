@@ -83,7 +83,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language model scores of all documents, learned outside fold 2 of seven."""
-    out = lm.score(_documents(spark, sf_dir), "crc32(coalesce(cast(doc_id AS string), '')) % 7 != 2")
+    out = lm.score(_documents(spark, sf_dir), "crc32(coalesce(cast(doc_id AS string), '')) % 7 != 2",
+                   order=lm.ORDER)
     return out.withColumnRenamed("id", "doc_id")
 
 
