@@ -79,6 +79,14 @@ def test_indented_scenario_file(spark, tmp_path):
         SC.read_scenarios(spark, str(tmp_path / "b.json")).collect()
 
 
+def test_csv_column_after_many_others(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text(",".join(["Datetime", *(f"x{k}" for k in range(80)), "Wind (MW)"]) + "\n"
+                                       + ",".join(["2015-05-01 00:00:00", *["0"] * 80, "12.5"]) + "\n")
+    (tmp_path / "narrow.csv").write_text("Datetime,Wind (MW)\n2015-05-01 00:00:00,3\n")
+    got = {r.file_name: r.wind_mw for r in read_interval_csv(spark, str(tmp_path)).collect()}
+    assert got == {"wide.csv": "12.5", "narrow.csv": "3"}
+
+
 def test_csv_folder_with_differing_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Datetime,Wind (MW),Solar (MW),Load (MW),Market Price ($/MWh)\n2015-05-01 00:00:00,1,2,3,4\n")
     (tmp_path / "b.csv").write_text("Market Price ($/MWh),Load (MW),Datetime,Wind (MW)\n40,30,2015-05-01 00:00:00,10\n")

@@ -56,10 +56,12 @@ def read_interval_csv(spark: SparkSession, path: str, site_id: int | Column | No
         F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
     first = lines.where(F.col("_at") == 0).withColumn("_n", F.monotonically_increasing_id()).groupBy("_file").agg(
         F.min_by("value", "_n").alias("_head"))
-    field = F.from_csv(F.col("value"), ", ".join(f"_{k} STRING" for k in range(64)), {"mode": "PERMISSIVE"})
+    width = max(first.agg(F.max(F.size(F.split("_head", ",")))).first()[0] or 1, 1)  # fields of the longest header
+    field = F.from_csv(F.col("value"), ", ".join(f"_{k} STRING" for k in range(width)),
+                       {"mode": "PERMISSIVE", "maxColumns": str(max(width + 1, 20480))})
     names = F.transform(F.split("_head", ","), lambda x: F.trim(F.translate(x, '"\r\ufeff', "")))
     rows = lines.join(first, "_file").where((F.col("value") != F.col("_head")) & (F.trim("value") != "")).select(
-        "_file", field.alias("_f"), names.alias("_names")).withColumn("_v", F.array(*[F.col(f"_f._{k}") for k in range(64)]))
+        "_file", field.alias("_f"), names.alias("_names")).withColumn("_v", F.array(*[F.col(f"_f._{k}") for k in range(width)]))
     place = lambda h: F.array_position("_names", h).cast("int")
     sid = (F.lit(site_id) if isinstance(site_id, int) else site_id) if site_id is not None else F.abs(F.xxhash64("_file"))
     return rows.select(sid.cast("bigint").alias("site_id"), F.element_at(F.split("_file", "/"), -1).alias("file_name"), *[
