@@ -72,6 +72,27 @@ def fold(id_col: str | Column, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % F.lit(mod)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, folds: int,
+                    sample: int) -> DataFrame:
+    """``text`` and ``label`` (0 or 1) of labelled documents outside fold 0: the
+    ``sample`` ones with the smallest hash of id and text.
+
+    Labels meet the documents' ids before the sample is taken, so labels
+    without a document take no place, and rows that share an id and a text
+    count once.  An id with several labels has the largest.
+    """
+    # fixed names, whatever the tables' other columns are called
+    lab = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+           .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (fold("id", folds) != 0))
+           .groupBy("id").agg(F.max("label").alias("label")))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    picked = saved(keyed.select("id", "h").join(lab, "id").groupBy("id", "h").agg(F.first("label").alias("label"))
+                   .orderBy(F.xxhash64("id", "h"), "id", "h").limit(sample))
+    return (keyed.join(F.broadcast(picked), ["id", "h"]).groupBy("id", "h", "label").agg(F.min("text").alias("text"))
+            .select("text", "label"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64), element by element."""
     x = np.asarray(x, U64).copy()
