@@ -168,3 +168,29 @@ def test_lowest():
     lo = rng.integers(0, 900, 500)
     hi = lo + rng.integers(1, 40, 500)
     assert substring_dedup.lowest(x, lo, hi).tolist() == [a + int(np.argmin(x[a:b])) for a, b in zip(lo, hi)]
+
+
+def equal_hashes(spark, make, n=400_000):
+    """Two different texts with the same 32-bit hash."""
+    from pyspark.sql import functions as F
+    texts = spark.range(n).select(make(F.col("id")).alias("t"))
+    row = (texts.groupBy(F.hash("t").alias("h")).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a < b")
+           .orderBy("h").first())
+    return row.a, row.b
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_with_equal_32_bit_hashes(spark, docs_of, doc_id):
+    from pyspark.sql import functions as F
+    from wattline.llm import near_dedup
+    a, b = equal_hashes(spark, lambda i: F.concat_ws(" ", *[F.conv(F.xxhash64(i, F.lit(k)).cast("string"), 10, 36)
+                                                            for k in range(80)]))
+    assert a != b
+    rows = [(doc_id, a), (doc_id, b), (-9, b[:400] + " and another end"), (900, a)]
+    got = [(r.row.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept)
+           for r in suffix_dedup.suffix_dedup(docs_of(rows)).collect()]
+    assert sorted([(d, n, m, k, bytes(t)) for d, n, m, k, t in got], key=str) == brute_bytes(rows, suffix_dedup.WIDTH)
+    got = [(r.row.doc_id, r.n_words, r.n_removed, r.kept_words) for r in substring_dedup.substring_dedup(docs_of(rows)).collect()]
+    assert sorted(got, key=str) == brute_words(rows, substring_dedup.WIDTH)
+    near = near_dedup.near_dedup(docs_of(rows)).collect()
+    assert sorted(r.class_size for r in near) == [1, 1, 2, 2]

@@ -7,6 +7,8 @@ import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,27 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A group with more than this share of all rows is met by broadcast: there are fewer than 1 / HEAVY of them.
+HEAVY = 1 / 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` with the other columns of ``groups``, which has one row for each
+    value of ``keys`` (nulls are equal) and the number ``n`` of its rows.
+
+    Groups with a large share of the rows are few by their definition, so they
+    are broadcast; only rows of the others are dealt by key.  Both tables should
+    be saved ones, as each is read more than once.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    named = groups.withColumnsRenamed({k: f"_g_{k}" for k in keys})
+    heavy, light = named.where(F.col(n) > total * HEAVY), named.where(F.col(n) <= total * HEAVY)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    near = rows.join(F.broadcast(heavy), same)
+    rest = rows.join(F.broadcast(heavy), same, "left_anti").join(light.hint("shuffle_hash"), same)
+    return near.unionByName(rest).drop(*[f"_g_{k}" for k in keys])
+
+
 def lean(run: Callable) -> Callable:
     """A function over Arrow batches that gives freed memory back to the
     system now and then; Python workers live longer than their tasks."""

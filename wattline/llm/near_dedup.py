@@ -33,16 +33,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import SpanHash, Texts, U64, chunks, lean, mix, partitions, saved, within, words
+from wattline.llm.common import SpanHash, Texts, U64, chunks, lean, mix, partitions, saved, with_groups, within, words
 from wattline.llm.components import components
-from wattline.llm.repeats import NULL_ID, keyed_documents
+from wattline.llm.repeats import DOC, NULL_ID, keyed_documents
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -143,7 +145,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc, ver, the digest of the weighted shingles (a, b; null without
+    """doc, ver, alt, the digest of the weighted shingles (a, b; null without
     shingles), and the bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,23 +163,23 @@ def _signed(docs: DataFrame) -> DataFrame:
                 sig = signatures(doc, h, weight, n)
                 b = bands(sig).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc")[t.rows], batch.column("ver")[t.rows], pa.array(sums[0], mask=none),
+                    [*[batch.column(k)[t.rows] for k in DOC], pa.array(sums[0], mask=none),
                      pa.array(sums[1], mask=none),
                      pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), b.ravel())],
-                    ["doc", "ver", "a", "b", "bands"])
+                    [*DOC, "a", "b", "bands"])
 
-    return docs.select("doc", "ver", "text").mapInArrow(lean(run), "doc long, ver int, a long, b long, bands array<long>")
+    return docs.select(*DOC, "text").mapInArrow(lean(run), f"{_ME}, a long, b long, bands array<long>")
 
 
 def _named_shingles(docs: DataFrame) -> DataFrame:
-    """doc, ver, and the weighted shingles as sorted 32-bit names, one for
+    """doc, ver, alt, and the weighted shingles as sorted 32-bit names, one for
     each occurrence; once for rows of equal id and text, which ``docs`` has in
     one partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
         for batch in batches:
             new = []
-            for key in zip(batch.column("doc").to_pylist(), batch.column("ver").to_pylist()):
+            for key in zip(*[batch.column(k).to_pylist() for k in DOC]):
                 new.append(key not in seen)
                 seen.add(key)
             batch = batch.filter(pa.array(new, pa.bool_()))
@@ -190,11 +192,11 @@ def _named_shingles(docs: DataFrame) -> DataFrame:
                 name = np.sort((owner.astype(U64) << U64(32)) | name).astype(np.uint32)
                 at = np.searchsorted(owner, np.arange(len(t) + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc")[t.rows], batch.column("ver")[t.rows],
+                    [*[batch.column(k)[t.rows] for k in DOC],
                      pa.array([name[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())],
-                    ["doc", "ver", "names"])
+                    [*DOC, "names"])
 
-    return docs.mapInArrow(lean(run), "doc long, ver int, names binary")
+    return docs.mapInArrow(lean(run), f"{_ME}, names binary")
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -287,7 +289,8 @@ def crossed(left: list[np.ndarray], right: list[np.ndarray], group_left: list, g
     return links
 
 
-_LINKS = "doc long, ver int, other_doc long, other_ver int"
+_ME = ", ".join(f"{k} long" for k in DOC)
+_LINKS = f"{_ME}, " + ", ".join(f"other_{k} long" for k in DOC)
 
 
 def _buckets(rows: DataFrame, keys: list[str], order: list[str], links_of: Callable[[list[tuple], list[np.ndarray]], list]
@@ -303,10 +306,9 @@ def _buckets(rows: DataFrame, keys: list[str], order: list[str], links_of: Calla
         def close() -> Iterator[pa.RecordBatch]:
             links = links_of(ids, names) if len(ids) > 1 else []
             if links:
-                out = [(*ids[j][at:at + 2], *ids[i][at:at + 2]) for i, j in links]
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                                 ["doc", "ver", "other_doc", "other_ver"])
+                out = [(*ids[j][at:at + 3], *ids[i][at:at + 3]) for i, j in links]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)],
+                                                 [*DOC, *[f"other_{k}" for k in DOC]])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in (*keys, *order)]
@@ -323,74 +325,71 @@ def _buckets(rows: DataFrame, keys: list[str], order: list[str], links_of: Calla
 
 
 def _linked(members: DataFrame, threshold: float) -> DataFrame:
-    return _buckets(members, ["band", "name", "part"], ["doc", "ver"], lambda ids, names: linked(names, threshold)[0])
+    return _buckets(members, ["band", "name", "part"], DOC, lambda ids, names: linked(names, threshold)[0])
 
 
 def _crossed(blocks: DataFrame, threshold: float) -> DataFrame:
     """Links between the two parts of each block, or in its only part."""
     def links_of(ids: list[tuple], names: list[np.ndarray]) -> list[tuple[int, int]]:
         cut = sum(x[0] == 0 for x in ids)
-        group = [x[3:] for x in ids]
+        group = [x[4:] for x in ids]
         lo = cut if cut < len(ids) else 0
         if not cut:
             return []
         return [(i, lo + j) for i, j in crossed(names[:cut], names[lo:], group[:cut], group[lo:], threshold)]
 
-    return _buckets(blocks, ["band", "name", "x", "y"], ["side", "doc", "ver", "root_doc", "root_ver"], links_of)
+    return _buckets(blocks, ["band", "name", "x", "y"], ["side", *DOC, *[f"root_{k}" for k in DOC]], links_of)
 
 
 def _blocks(crowds: DataFrame, root: DataFrame) -> DataFrame:
     """The documents of crowded buckets, each once for each block (x, y) of two
     parts it is compared in.  The largest group of a bucket needs no comparison
     in itself, and a bucket that is one group needs none."""
-    of = root.select("v.doc", "v.ver", F.col("root").alias("r"))
-    grouped = saved(crowds.join(of, ["doc", "ver"], "left").withColumn("r", F.coalesce("r", F.struct("doc", "ver"))))
+    of = root.select("v.*", F.col("root").alias("r"))
+    grouped = saved(crowds.join(of, DOC, "left").withColumn("r", F.coalesce("r", F.struct(*DOC))))
     size = grouped.groupBy("band", "name", "r").agg(F.count(F.lit(1)).alias("m"))
     main = (size.groupBy("band", "name").agg(F.max(F.struct("m", "r")).alias("top"), F.sum("m").alias("n"))
             .where("n > top.m").select("band", "name", F.col("top.r").alias("main"),
                                        F.ceil((F.col("n") - F.col("top.m")) / CROWD).cast("int").alias("others"),
                                        F.ceil(F.col("top.m") / CROWD).cast("int").alias("mains")))
     inside = F.col("r") == F.col("main")
-    deal = F.hash("doc", "ver", "band", F.lit(DEALS))
+    deal = F.hash(*DOC, "band", F.lit(DEALS))
     part = F.when(inside, F.col("others") + F.pmod(deal, F.col("mains"))).otherwise(F.pmod(deal, F.col("others")))
     met = F.sequence(F.lit(0), F.when(inside, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
     return grouped.join(main, ["band", "name"]).withColumn("part", part).withColumn("k", F.explode(met)).select(
         "band", "name", F.least("part", "k").alias("x"), F.greatest("part", "k").alias("y"),
-        (F.col("part") > F.col("k")).cast("int").alias("side"), "doc", "ver", F.col("r.doc").alias("root_doc"),
-        F.col("r.ver").alias("root_ver"))
+        (F.col("part") > F.col("k")).cast("int").alias("side"), *DOC, *[F.col(f"r.{k}").alias(f"root_{k}") for k in DOC])
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` of keyed_documents; returns doc, ver, class_doc, class_ver,
-    one row per document."""
-    me = F.struct("doc", "ver")
+    """``docs`` of keyed_documents; returns doc, ver, alt, class_doc, class_ver,
+    class_alt, one row per document."""
+    me = F.struct(*DOC)
     signed = saved(_signed(docs))
     stands = saved(signed.where("a is not null").groupBy("a", "b").agg(
         F.min(me).alias("rep"), F.min_by("bands", me).alias("bands")))
-    banded = stands.select("rep.doc", "rep.ver", F.posexplode("bands").alias("band", "name"))
+    banded = stands.select("rep.*", F.posexplode("bands").alias("band", "name"))
     # buckets with the same documents (as near copies have in many bands) are looked at once
-    shared = (banded.groupBy("band", "name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc", "ver")).alias("x"))
+    shared = (banded.groupBy("band", "name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*DOC)).alias("x"))
               .where("n > 1").groupBy("n", "x").agg(F.min(F.struct("band", "name")).alias("one")).select("one.*", "n"))
     members = saved(banded.join(shared.hint("shuffle_hash"), ["band", "name"]))
-    need = members.select("doc", "ver").distinct()
-    todo = docs.select("doc", "ver", "text").repartition(partitions(docs.sparkSession), "doc", "ver").join(
-        need.hint("shuffle_hash"), ["doc", "ver"])
+    need = members.select(*DOC).distinct()
+    todo = docs.select(*DOC, "text").repartition(partitions(docs.sparkSession), *DOC).join(need.hint("shuffle_hash"), DOC)
     names = saved(_named_shingles(todo))
     parts = F.ceil(F.col("n") / CROWD)
-    deals = F.array(*[k * parts + F.pmod(F.hash("doc", "ver", "band", F.lit(k)), parts) for k in range(DEALS)])
+    deals = F.array(*[k * parts + F.pmod(F.hash(*DOC, "band", F.lit(k)), parts) for k in range(DEALS)])
     dealt = members.withColumn("part", F.explode(F.when(F.col("n") > CROWD, deals).otherwise(F.array(F.lit(-1).cast("long")))))
     pairs = lambda links: links.select(
-        F.struct(F.col("other_doc").alias("doc"), F.col("other_ver").alias("ver")).alias("a"), me.alias("b"))
-    root = components(pairs(_linked(dealt.join(names, ["doc", "ver"]), similarity)))
-    crowds = members.where(F.col("n") > CROWD).select("band", "name", "doc", "ver")
+        F.struct(*[F.col(f"other_{k}").alias(k) for k in DOC]).alias("a"), me.alias("b"))
+    root = components(pairs(_linked(dealt.join(names, DOC), similarity)))
+    crowds = members.where(F.col("n") > CROWD).select("band", "name", *DOC)
     if not crowds.isEmpty():
-        more = pairs(_crossed(_blocks(crowds, root).join(names, ["doc", "ver"]), similarity))
+        more = pairs(_crossed(_blocks(crowds, root).join(names, DOC), similarity))
         root = components(root.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
     by_rep = stands.select("a", "b", "rep").join(root.select(F.col("v").alias("rep"), "root"), "rep", "left").select(
         "a", "b", F.coalesce("root", "rep").alias("rep"))
-    return signed.select("doc", "ver", "a", "b").join(by_rep, ["a", "b"], "left").select(
-        "doc", "ver", F.coalesce(F.col("rep.doc"), F.col("doc")).alias("class_doc"),
-        F.coalesce(F.col("rep.ver"), F.col("ver")).alias("class_ver"))
+    return signed.select(*DOC, "a", "b").join(by_rep, ["a", "b"], "left").select(
+        *DOC, *[F.coalesce(F.col(f"rep.{k}"), F.col(k)).alias(f"class_{k}") for k in DOC])
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -398,18 +397,22 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, class_id (the smallest id of its class),
     class_size, and whether the document stands for its class."""
     found = saved(near_classes(keyed_documents(df, id_col, text_col, [id_col]), similarity))
-    size = found.groupBy("class_doc", "class_ver").agg(F.count(F.lit(1)).alias("class_size"))
+    its = [f"class_{k}" for k in DOC]
+    size = saved(found.groupBy(*its).agg(F.count(F.lit(1)).alias("class_size")))
     name = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return found.join(size, ["class_doc", "class_ver"]).select(
-        name("doc").alias(id_col), name("class_doc").alias("class_id"), "class_size",
-        ((F.col("doc") == F.col("class_doc")) & (F.col("ver") == F.col("class_ver"))).alias("kept"))
+    return with_groups(found, size, its, "class_size").select(
+        name("doc").alias(id_col), name("class_doc").alias("class_id"), "class_size", _stands().alias("kept"))
+
+
+def _stands() -> Column:
+    return reduce(and_, [F.col(k) == F.col(f"class_{k}") for k in DOC])
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stand for their class, with the columns of ``df``."""
     docs = keyed_documents(df, id_col, text_col, [c for c in df.columns if c != text_col])
-    gone = near_classes(docs, similarity).where("doc != class_doc or ver != class_ver").select("doc", "ver").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), ["doc", "ver"], "left_anti")
+    gone = near_classes(docs, similarity).where(~_stands()).select(*DOC).distinct()
+    kept = docs.join(gone.hint("shuffle_hash"), DOC, "left_anti")
     return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
                          for c in df.columns])

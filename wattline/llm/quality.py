@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import CHUNK_BYTES, Texts, chunks, fold, lean, words
+from wattline.llm.common import CHUNK_BYTES, Texts, chunks, labelled_sample, lean, words
 
 FEATURES = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "space", "newline", "bar", "symbol",
             "stop", "non_ascii", "same_word", "distinct", "same_pair", "top_word", "cased", "odd_end"]
@@ -215,12 +215,8 @@ def _feature_rows(df: DataFrame, keep: str, text_col: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
           text_col: str = "text", folds: int = FOLDS, sample: int = SAMPLE) -> Model:
     """Fit on labelled documents outside fold 0: those with the smallest hash
-    of their id, at most ``sample`` of them."""
-    lab = (labels.select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-           .where(F.col("label_id").isNotNull() & F.col("label").isin(0, 1) & (fold("label_id", folds) != 0))
-           .orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample))
-    both = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(
-        F.broadcast(lab), F.col("id") == F.col("label_id"))
+    of their id and text, at most ``sample`` of them."""
+    both = labelled_sample(docs, labels, label_col, id_col, text_col, folds, sample)
     rows = _feature_rows(both, "label", "text").toPandas()
     order = np.lexsort([*np.array(rows["x"].tolist()).T, rows["label"]]) if len(rows) else []
     rows = rows.iloc[order]

@@ -9,7 +9,7 @@ same place form one entry
 
     key    a hash of content around the place that every such window contains
     ctx    a hash of all units of the entry's windows and where the place lies
-    doc, ver, start, n    the document, and the first and number of its windows
+    doc, ver, alt, start, n    the document, and the first and number of its windows
 
 Equal windows have equal keys, and entries of equal (key, ctx) hold equal
 windows.  Entries meet by key in Spark: the first of each (key, ctx) stays, the
@@ -22,8 +22,8 @@ needs a look at its windows one by one; the operator does that in its
 ``strict`` says whether an earlier window must lie in a document with a smaller
 id (True), or may lie in the same document before (False).
 
-A document is known by its id and a hash of its text, so rows that share an id
-don't mix; a null id sorts before all others.
+A document is known by its id and two 64-bit hashes of its text (``ver``, ``alt``),
+so rows that share an id don't mix; a null id sorts before all others.
 """
 
 from __future__ import annotations
@@ -40,13 +40,18 @@ from pyspark.sql import types as T
 from wattline.llm.common import Texts, chunks, lean, mix, partitions, saved
 
 NULL_ID = -(1 << 63)
+#: What the second hash of a text begins with.
+SALT = 0x5851F42D4C957F2D
 #: Entries a task gathers before it settles them and hands them on.
 GATHER = 1 << 18
 #: A key with more contexts than this is split further before it is verified.
 CROWD = 1024
 
+#: What a document is known by.
+DOC = ["doc", "ver", "alt"]
 #: Columns of an entry, end to end in one binary value.
-ENTRY = [("key", "u8"), ("ctx", "u8"), ("doc", "i8"), ("ver", "i4"), ("start", "i4"), ("n", "i4"), ("rel", "i4")]
+ME = [("doc", "i8"), ("ver", "i8"), ("alt", "i8")]
+ENTRY = [("key", "u8"), ("ctx", "u8"), *ME, ("start", "i4"), ("n", "i4"), ("rel", "i4")]
 SPANS = [("start", "i4"), ("n", "i4")]
 OPEN = [("start", "i4"), ("n", "i4"), ("rel", "i4"), ("crowd", "i4"), ("key", "u8")]
 
@@ -95,23 +100,21 @@ def settle(c: Columns, by: list[str], strict: bool) -> tuple[Columns, np.ndarray
     return c, later
 
 
-def by_document(c: Columns, layout: list[tuple[str, str]]) -> Iterator[tuple[int, int, bytes]]:
-    """(doc, ver, packed rows) for each document in ``c``."""
-    order = np.lexsort([c["start"], c["ver"], c["doc"]])
+def by_document(c: Columns, layout: list[tuple[str, str]]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(doc, ver, alt, packed rows) for each document in ``c``."""
+    order = np.lexsort([c["start"], c["alt"], c["ver"], c["doc"]])
     c = taken(c, order)
     new = np.ones(len(order), bool)
-    new[1:] = (c["doc"][1:] != c["doc"][:-1]) | (c["ver"][1:] != c["ver"][:-1])
+    new[1:] = np.any([c[k][1:] != c[k][:-1] for k in DOC], axis=0)
     at = np.append(np.flatnonzero(new), len(order))
     for lo, hi in zip(at[:-1], at[1:]):
-        yield int(c["doc"][lo]), int(c["ver"][lo]), packed(c, layout, slice(lo, hi))
+        yield *(int(c[k][lo]) for k in DOC), packed(c, layout, slice(lo, hi))
 
 
 # rows between the steps: 0 entries for a bucket, 1 repeats of a document, 2 open entries of a document
 MESSAGE = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()),
-                        T.StructField("doc", T.LongType()), T.StructField("ver", T.IntegerType()),
-                        T.StructField("data", T.BinaryType())])
-_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc", pa.int64()), ("ver", pa.int32()),
-                    ("data", pa.binary())])
+                        *[T.StructField(k, T.LongType()) for k in DOC], T.StructField("data", T.BinaryType())])
+_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), *[(k, pa.int64()) for k in DOC], ("data", pa.binary())])
 
 
 def messages(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +123,7 @@ def messages(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     while lo < len(rows):
         hi, size = lo, 0
         while hi < len(rows) and size < 8 << 20 and hi - lo < 10_000:
-            size += len(rows[hi][4])
+            size += len(rows[hi][-1])
             hi += 1
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[lo:hi]], f.type) for k, f in enumerate(_ARROW)],
                                          schema=_ARROW)
@@ -133,7 +136,7 @@ def dealt(c: Columns, by: str, layout: list[tuple[str, str]], buckets: int) -> l
     at = bucket_of(mix(c[by]), buckets)
     order = np.lexsort([c["start"], c["doc"], at])
     cut = np.searchsorted(at[order], np.arange(buckets + 1))
-    return [(0, k, 0, 0, packed(c, layout, order[cut[k]:cut[k + 1]])) for k in range(buckets) if cut[k] < cut[k + 1]]
+    return [(0, k, 0, 0, 0, packed(c, layout, order[cut[k]:cut[k + 1]])) for k in range(buckets) if cut[k] < cut[k + 1]]
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -141,10 +144,10 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def keyed_documents(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None) -> DataFrame:
-    """doc, ver, text, and the columns in ``carry`` as a struct ``row``."""
+    """doc, ver, alt, text, and the columns in ``carry`` as a struct ``row``."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc"),
-                     F.hash(text).alias("ver"), text.alias("text"),
+                     F.xxhash64(text).alias("ver"), F.xxhash64(F.lit(SALT), text).alias("alt"), text.alias("text"),
                      F.struct(*[F.col(f"`{c}`") for c in (carry or [id_col])]).alias("row"))
 
 
@@ -162,16 +165,15 @@ def anchor_entries(docs: DataFrame, anchors: Callable[[Texts], Columns], strict:
         def flush() -> Iterator[pa.RecordBatch]:
             c, later = settle(joined(parts), ["key", "ctx"], strict)
             rows = dealt(taken(c, ~later), "key", ENTRY, buckets)
-            rows += [(1, i % buckets, d, v, b) for i, (d, v, b) in enumerate(by_document(taken(c, later), SPANS))]
+            rows += [(1, i % buckets, *r) for i, r in enumerate(by_document(taken(c, later), SPANS))]
             yield from messages(rows)
 
         for batch in batches:
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)
-            ver = batch.column("ver").to_numpy(zero_copy_only=False)
+            me = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in DOC}
             for t in chunks(batch, "text"):
                 c = anchors(t)
                 of = c.pop("text")
-                c["doc"], c["ver"] = doc[t.rows][of], ver[t.rows][of]
+                c |= {k: v[t.rows][of] for k, v in me.items()}
                 parts.append(c)
                 held += len(of)
                 if held > GATHER:
@@ -180,7 +182,7 @@ def anchor_entries(docs: DataFrame, anchors: Callable[[Texts], Columns], strict:
         if held:
             yield from flush()
 
-    return docs.select("doc", "ver", "text").mapInArrow(lean(run), MESSAGE)
+    return docs.select(*DOC, "text").mapInArrow(lean(run), MESSAGE)
 
 
 def settle_entries(entries: DataFrame, strict: bool) -> DataFrame:
@@ -198,7 +200,7 @@ def settle_entries(entries: DataFrame, strict: bool) -> DataFrame:
         del blobs
         if not len(later):
             return
-        yield from messages([(1, 0, d, v, b) for d, v, b in by_document(taken(c, later), SPANS)])
+        yield from messages([(1, 0, *r) for r in by_document(taken(c, later), SPANS)])
         c = taken(c, ~later)
         new = np.append(True, c["key"][1:] != c["key"][:-1])
         group = np.cumsum(new) - 1
@@ -209,7 +211,7 @@ def settle_entries(entries: DataFrame, strict: bool) -> DataFrame:
             first = c["doc"][np.flatnonzero(new)]
             open_ &= (np.bincount(group, c["doc"] != first[group]) > 0)[group]
         c["crowd"] = contexts[group].astype(np.int32)
-        yield from messages([(2, 0, d, v, b) for d, v, b in by_document(taken(c, open_), OPEN)])
+        yield from messages([(2, 0, *r) for r in by_document(taken(c, open_), OPEN)])
 
     return entries.repartitionById(n, F.col("bucket")).mapInArrow(lean(run), MESSAGE)
 
@@ -218,12 +220,12 @@ def settle_entries(entries: DataFrame, strict: bool) -> DataFrame:
 class Repeats:
     """How an operator finds repeats: its anchors, and how it verifies open
     entries.  ``emit`` makes columns of what an open document sends; ``local``
-    parts them into those to send and repeats (doc, ver, start, n) that show in
+    parts them into those to send and repeats (doc, ver, alt, start, n) that show in
     the task itself; ``send`` deals them to buckets as message rows; ``resolve``
     finds the repeats among a bucket's blobs."""
 
     anchors: Callable[[Texts], Columns]
-    emit: Callable[[bytes, Columns, int, int], Columns]
+    emit: Callable[[bytes, Columns], Columns]
     local: Callable[[Columns], tuple[Columns, Columns]]
     send: Callable[[Columns, int], list[tuple]]
     resolve: Callable[[list[bytes]], Columns]
@@ -235,9 +237,9 @@ def find(docs: DataFrame, how: Repeats) -> DataFrame:
     of windows that occur earlier, or null."""
     n = partitions(docs.sparkSession)
     told = saved(settle_entries(anchor_entries(docs, how.anchors, how.strict), how.strict))
-    need = told.where("kind = 2").groupBy("doc", "ver").agg(F.collect_list("data").alias("open"))
+    need = told.where("kind = 2").groupBy(*DOC).agg(F.collect_list("data").alias("open"))
     # the row goes along so that both joins read the documents by one exchange
-    todo = docs.join(need.hint("shuffle_hash"), ["doc", "ver"]).select("doc", "ver", "text", "row", "open")
+    todo = docs.join(need.hint("shuffle_hash"), DOC).select(*DOC, "text", "row", "open")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[Columns] = []
@@ -246,14 +248,14 @@ def find(docs: DataFrame, how: Repeats) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             keep, repeats = how.local(joined(parts))
             yield from messages(how.send(keep, n))
-            yield from messages([(1, 0, d, v, b) for d, v, b in by_document(repeats, SPANS)])
+            yield from messages([(1, 0, *r) for r in by_document(repeats, SPANS)])
 
         for batch in batches:
-            rows = zip(batch.column("doc").to_pylist(), batch.column("ver").to_pylist(),
-                       batch.column("open").to_pylist())
+            rows = zip(*[batch.column(k).to_pylist() for k in (*DOC, "open")])
             texts = (t.of(i) for t in chunks(batch, "text") for i in range(len(t)))
-            for (doc, ver, blobs), text in zip(rows, texts):
-                c = how.emit(text, unpacked(blobs, OPEN), doc, ver)
+            for (*me, blobs), text in zip(rows, texts):
+                c = how.emit(text, unpacked(blobs, OPEN))
+                c |= {k: np.full(len(c["key"]), v) for k, v in zip(DOC, me)}
                 parts.append(c)
                 held += len(c["key"])
                 if held > GATHER:
@@ -270,9 +272,9 @@ def find(docs: DataFrame, how: Repeats) -> DataFrame:
                 yield batch.filter(pa.array(kind == 1))
             blobs += batch.column("data").filter(pa.array(kind == 0)).to_pylist()
         if blobs:
-            yield from messages([(1, 0, d, v, b) for d, v, b in by_document(how.resolve(blobs), SPANS)])
+            yield from messages([(1, 0, *r) for r in by_document(how.resolve(blobs), SPANS)])
 
     more = todo.mapInArrow(lean(emit), MESSAGE).repartitionById(n, F.col("bucket")).mapInArrow(lean(resolve), MESSAGE)
-    spans = (told.where("kind = 1").unionByName(more).groupBy("doc", "ver")
+    spans = (told.where("kind = 1").unionByName(more).groupBy(*DOC)
              .agg(F.collect_list("data").alias("spans")))
-    return docs.join(spans.hint("shuffle_hash"), ["doc", "ver"], "left")
+    return docs.join(spans.hint("shuffle_hash"), DOC, "left")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from wattline.llm.common import SpanHash, Texts, U64, chunks, lean, mix, spans_to_mask, within, words
-from wattline.llm.repeats import SPANS, Columns, Repeats, dealt, find, keyed_documents, settle, taken, unpacked
+from wattline.llm.repeats import ME, SPANS, Columns, Repeats, dealt, find, keyed_documents, settle, taken, unpacked
 
 WIDTH = 50
 #: Largest symbols that take part in each round, for runs and for pairs.
@@ -36,7 +36,7 @@ LIMITS = (1, 2, 4)
 #: Words on either side that a symbol's ends depend on.
 CONTEXT = 2 * sum(LIMITS)
 
-WINDOW = [("key", "u8"), ("twin", "u8"), ("doc", "i8"), ("ver", "i4"), ("start", "i4")]
+WINDOW = [("key", "u8"), ("twin", "u8"), *ME, ("start", "i4")]
 
 
 def symbols(w: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,13 +117,12 @@ def anchors(t: Texts, width: int = WIDTH) -> Columns:
 
 
 def _emit(width: int):
-    def emit(text: bytes, c: Columns, doc: int, ver: int) -> Columns:
+    def emit(text: bytes, c: Columns) -> Columns:
         w = words(Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]), slice(0, 1)))
         of, k = within(c["n"])
         start = np.unique(c["start"][of] + k)
         return {"key": SpanHash(w.hash).of(start, start + width),
-                "twin": SpanHash(mix(w.hash ^ U64(0x5BF03635))).of(start, start + width),
-                "doc": np.full(len(start), doc), "ver": np.full(len(start), ver), "start": start}
+                "twin": SpanHash(mix(w.hash ^ U64(0x5BF03635))).of(start, start + width), "start": start}
     return emit
 
 

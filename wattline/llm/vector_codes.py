@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.llm.common import lean, saved
+from wattline.llm.common import lean, saved, with_groups
 
 SCALE = 1024
 PARTS = 4
@@ -49,8 +49,6 @@ LIMIT = 1 << 24
 #: Vectors handled at once in a task, and candidate pairs compared at once.
 BLOCK = 4096
 PAIRS = 1 << 17
-#: A label with more than this share of the rows is joined by broadcast: there are fewer than 1 / HEAVY of them.
-HEAVY = 1 / 1000
 
 
 class Codebook:
@@ -239,17 +237,7 @@ def decode(coded: DataFrame, books: Codebooks) -> DataFrame:
 
 def with_label_error(coded: DataFrame, label_field: str = "label") -> DataFrame:
     """``coded`` with ``label_error``: the errors added up over the rows of equal
-    label, nulls together.
-
-    A label with a large share of the rows is no skewed key: such labels are
-    few by their definition, so their sums are broadcast; the others are joined.
-    """
+    label, nulls together."""
     coded = saved(coded.withColumn("_l", F.col(f"row.`{label_field}`")))
     sums = saved(coded.groupBy("_l").agg(F.sum("error").alias("label_error"), F.count(F.lit(1)).alias("_n")))
-    rows = sums.agg(F.sum("_n")).first()[0] or 0
-    heavy = sums.where(F.col("_n") > rows * HEAVY).withColumnsRenamed({"_l": "_k"}).drop("_n")
-    light = sums.where(F.col("_n") <= rows * HEAVY).withColumnsRenamed({"_l": "_k"}).drop("_n")
-    same = F.col("_l").eqNullSafe(F.col("_k"))
-    near = coded.join(F.broadcast(heavy), same)
-    rest = coded.join(F.broadcast(heavy), same, "left_anti").join(light.hint("shuffle_hash"), same)
-    return near.unionByName(rest).drop("_l", "_k")
+    return with_groups(coded, sums, ["_l"], "_n").drop("_l", "_n")
