@@ -11,11 +11,13 @@ one plan dispatches one configuration or a whole candidate sweep.
 * D3 same, grid on - load always met, surplus -> battery -> export <= POI,
   deficit <- battery <- (gas if cheaper than the market) <- import
 * D4 second battery runs on what the first leaves (``two_battery=True``)
-* D5 ``gas_follow`` - ramp-limited gas output (ordered fold)
+* D5 ``gas_follow`` - ramp-limited gas output (ordered fold), and ``commitment`` -
+  minimum up and down times (W5) kept by the dispatch
 
 Rule-based: feasible, not optimal.  All state (battery balances) comes from
-``operators.balance.bounded_balance`` and ``operators.ramp.ramp_follow``, which
-also hand out what depends on the previous row.
+``operators.balance.bounded_balance``, ``operators.ramp.ramp_follow`` and
+``operators.commitment.commit``, which also hand out what depends on the previous
+row.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from wattline.config import CONFIG_FIELDS, battery2_energy_mwh, battery_energy_m
     gas_no_load_cost, gas_variable_cost, with_config
 from wattline.functions.text import action_code
 from wattline.operators.balance import bounded_balance
+from wattline.operators.commitment import commit, min_periods
 from wattline.operators.ramp import ramp_follow
 
 KEYS = ["site_id", "candidate_id"]
@@ -268,8 +271,9 @@ def scheduled_dispatch(df: DataFrame, schedule_long: DataFrame | None = None, *,
 
 def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: bool = False,
                          gas_charges_storage: bool = False, keys: Sequence[str] = KEYS,
-                         gas_follow_ramp: bool = False, cfg: Mapping[str, Any] | None = None) -> DataFrame:
-    """D2 (grid off) / D3 (grid on) with optional second battery (D4) and ramp-limited gas.
+                         gas_follow_ramp: bool = False, commitment: bool = False,
+                         cfg: Mapping[str, Any] | None = None) -> DataFrame:
+    """D2 (grid off) / D3 (grid on) with optional second battery (D4), ramp-limited gas and commitment.
 
     Battery 1 takes the surplus (charge) or covers the deficit (discharge)
     first; battery 2 works on what battery 1 leaves.  Dispatchable gas fills
@@ -277,12 +281,17 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     cost (variable + carbon) is below VOLL (grid off) or below the market
     price (grid on).  ``gas_charges_storage`` (grid off) lets spare gas
     capacity charge battery 1 when gas / eta + degradation < VOLL.
+
+    With ``commitment`` a dispatchable unit that started runs for
+    ``gas_min_up_h`` at least (at ``pmin_t`` where nothing is needed; the rest is
+    exported or clipped), and rests for ``gas_min_down_h`` after it stopped.
+    Then ``gas_on`` is the unit's status, also where its output is 0.
     """
     keys = list(keys)
     d = _derive(_attach(_with_gas_zero(_detach(df, cfg), keys, cfg), cfg), grid_on, gas_charges_storage)
     d = d.withColumns({"_E1": battery_energy_mwh(), "_pos": interval_position(),
                        "_a1": _battery_step(col("_x"), col("battery_power_mw"), col("rte"), col("dt_hours"))})
-    direct = not (two_battery or gas_follow_ramp)
+    direct = not (two_battery or gas_follow_ramp or commitment)
     d = bounded_balance(_detach(d, cfg).drop(*DERIVED), keys, "_pos", "_a1", 0.0, "_E1", order=["ts"], out="soc1",
                         prev_out="_s1p", prev2_out="_s1pp" if direct else None,
                         lagged=_lag_inputs(False) if direct else None).drop("_E1", "_a1")
@@ -294,7 +303,7 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
             col("_x") - col("charge1") + col("discharge1"), col("battery2_power_mw"), col("battery2_rte"), col("dt_hours"))})
         d = bounded_balance(_detach(d, cfg).drop(*DERIVED, "_s1p"), keys, "_pos", "_a2", 0.0, "_E2", order=["ts"],
                             out="soc2", prev_out="_s2p", prev2_out="_s2pp",
-                            lagged=None if gas_follow_ramp else _lag_inputs(True)).drop("_E2", "_a2")
+                            lagged=None if gas_follow_ramp or commitment else _lag_inputs(True)).drop("_E2", "_a2")
         d = _derive(_attach(d, cfg), grid_on, gas_charges_storage)
         c2, d2 = _flows("soc2", "_s2p", col("battery2_rte"), col("dt_hours"))
         d = d.withColumns({"charge2": c2, "discharge2": d2})
@@ -303,6 +312,9 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     if gas_follow_ramp:
         d = _need(d, grid_on)
         d = gas_follow(d.drop("charge", "discharge"), keys, cfg, grid_on, gas_charges_storage)
+    if commitment:
+        return finish(gas_commit(d, keys, cfg, grid_on, gas_charges_storage, gas_follow_ramp), grid_on=grid_on, gas="committed")
+    if gas_follow_ramp:
         return finish(d, grid_on=grid_on, gas="followed")
     return finish(d, grid_on=grid_on, gas="two" if two_battery else "one")
 
@@ -319,12 +331,13 @@ def finish(d: DataFrame, *, grid_on: bool, gas: str = "one") -> DataFrame:
     """The result columns from the battery flows, row by row.
 
     ``gas``: where the previous row's gas status comes from: its inputs with
-    ``one`` or ``two`` batteries, or the ramp fold that gave ``_gas_d`` and
-    ``_on_prev`` (``followed``).
+    ``one`` or ``two`` batteries, the ramp fold that gave ``_gas_d`` and
+    ``_on_prev`` (``followed``), or the commitment that gave ``_on`` too
+    (``committed``).
     """
     poi, dt = col("poi_limit_mw"), col("dt_hours")
     d = _need(d, grid_on)
-    if gas != "followed":
+    if gas in ("one", "two"):
         d = d.withColumn("_gas_d", _gas_output(col("_need"), col("pmin_t"), col("pmax_t")))
     supply = col("gen") + col("_gas_d") + col("discharge") - col("charge")
     if grid_on:
@@ -346,8 +359,8 @@ def finish(d: DataFrame, *, grid_on: bool, gas: str = "one") -> DataFrame:
         "unserved": col("load_mw") - col("serve"), "soc": col("soc1") + col("soc2"),
         "net_to_grid": col("grid_exp") - col("grid_imp"),
     })
-    d = d.withColumn("gas_on", F.when(col("gas_gen") > EPS_ON, 1.0).otherwise(0.0))
-    prev_on = F.coalesce(col("_on_prev") if gas == "followed" else _previous_gas_on(grid_on, gas == "two"), F.lit(0.0))
+    d = d.withColumn("gas_on", col("_on") if gas == "committed" else F.when(col("gas_gen") > EPS_ON, 1.0).otherwise(0.0))
+    prev_on = F.coalesce(col("_on_prev") if gas in ("followed", "committed") else _previous_gas_on(grid_on, gas == "two"), F.lit(0.0))
     d = d.withColumns({
         "gas_start": F.when((col("gas_on") > 0) & (prev_on <= 0), 1.0).otherwise(0.0),
         "gas_stop": F.when(col("gas_disp") & (col("gas_on") <= 0) & (prev_on > 0), 1.0).otherwise(0.0),
@@ -355,7 +368,7 @@ def finish(d: DataFrame, *, grid_on: bool, gas: str = "one") -> DataFrame:
     d = d.withColumn("gas_cost", col("gas_gen") * gas_variable_cost() * dt
                      + col("gas_start") * col("gas_startup_cost_usd")
                      + col("gas_on") * gas_no_load_cost() * dt)
-    return d.drop("_gas_ok", "_pos", "_x", "_need", "_gas_d", "_surplus", "_on_prev", "gen", "_ng_zero", "_s1p", "_s1pp",
+    return d.drop("_gas_ok", "_pos", "_x", "_need", "_gas_d", "_surplus", "_on", "_on_prev", "gen", "_ng_zero", "_s1p", "_s1pp",
                   "_s2p", "_s2pp", *_lag_inputs(True))
 
 
@@ -385,3 +398,27 @@ def gas_follow(d: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None
         "_gas_d": lift(col("_gr"), col("pmin_t"), col("pmax_t")),
         "_on_prev": F.when(before > EPS_ON, 1.0).when(before.isNotNull(), 0.0),
     }).drop("_ru", "_rd", "_tg", "_top", "_m", "_lo", "_hi", "_gr", "_grp", "_p_m", "_p_lo", "_p_hi")
+
+
+def gas_commit(d: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None = None, grid_on: bool = False,
+               gas_charges_storage: bool = False, followed: bool = False) -> DataFrame:
+    """D5 + W5: the unit runs when gas is wanted, within its minimum up and down times.
+
+    Gas is wanted where the deficit (``followed``: the ramp-limited output
+    ``_gas_d``) asks for some.  Adds the status ``_on``, the previous row's
+    ``_on_prev`` and the output ``_gas_d``: between ``pmin_t`` and ``pmax_t`` when on,
+    else 0.  Must-run gas is on where it has output.  Resting or lifted output
+    may break a ramp limit; ``dispatch_audit`` reports it.
+    """
+    if not followed:
+        d = _need(d, grid_on)
+        d = d.withColumn("_gas_d", _gas_output(col("_need"), col("pmin_t"), col("pmax_t"))).drop("charge", "discharge")
+    times = lambda c: F.when(col("gas_disp"), F.greatest(min_periods(c), F.lit(1))).otherwise(F.lit(1))
+    d = d.withColumns({"_want": col("must_run") + col("_gas_d") > EPS_ON, "_up": times("gas_min_up_h"),
+                       "_down": times("gas_min_down_h")})
+    thin = _detach(d, cfg).drop(*DERIVED, "_need", "_on_prev")
+    out = commit(thin, keys, col("_pos"), ["ts"], col("_want"), col("_up"), col("_down"), "_on", "_on_prev")
+    out = _derive(_attach(out, cfg), grid_on, gas_charges_storage)
+    run = F.least(col("pmax_t"), F.greatest(col("pmin_t"), col("_gas_d")))
+    return out.withColumn("_gas_d", F.when(col("gas_disp") & (col("_on") > 0), run).otherwise(F.lit(0.0))) \
+        .drop("_want", "_up", "_down")

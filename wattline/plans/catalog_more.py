@@ -377,3 +377,43 @@ def q_screening_scenarios(spark, sf_dir):
         F.count_if("is_pareto").alias("n_pareto"), F.max(best).alias("b")).select(
             "site_id", "scenario", "n_tested", "n_reliable", "n_pareto", "b.candidate_id", "b.total_annual_cost_usd",
             "b.firmness_pct")
+
+
+# ---------------------------------------------------------------------------
+# D5 + W5: minimum up and down times kept by the dispatch
+# ---------------------------------------------------------------------------
+COMMIT_CFG = dict(C.SITE_CFG, gas_min_up_h=4, gas_min_down_h=6)
+_COMMIT_SQL = serve_first_sql(COMMIT_CFG, commitment=True)
+
+
+def _committed(spark, sf_dir, **kw) -> DataFrame:
+    return serve_first_dispatch(intervals(spark, sf_dir), keys=["site_id"], cfg=COMMIT_CFG, commitment=True, **kw)
+
+
+@register("gas_committed", with_sql(_COMMIT_SQL, f"SELECT {', '.join(C.DISP_COLS)} FROM disp"))
+def q_gas_committed(spark, sf_dir):
+    """D5 + W5: dispatch whose gas unit keeps 4 h up and 6 h down, grid off."""
+    return _committed(spark, sf_dir).select(*C.DISP_COLS)
+
+
+@register("gas_committed_gridon", with_sql(serve_first_sql(COMMIT_CFG, commitment=True, grid_on=True, two_battery=True),
+                                           f"SELECT {', '.join(C.TWO_COLS)} FROM disp"))
+def q_gas_committed_gridon(spark, sf_dir):
+    """D5 + W5 with the grid and two batteries: forced output is exported."""
+    return _committed(spark, sf_dir, grid_on=True, two_battery=True).select(*C.TWO_COLS)
+
+
+@register("gas_committed_ramp", with_sql(serve_first_sql(COMMIT_CFG, commitment=True, ramp=True),
+                                         f"SELECT {', '.join(C.DISP_COLS)} FROM disp"))
+def q_gas_committed_ramp(spark, sf_dir):
+    """D5 + W5: minimum times over a ramp-limited output."""
+    return _committed(spark, sf_dir, gas_follow_ramp=True).select(*C.DISP_COLS)
+
+
+_COMMIT_AUDIT = C._audit_sql(COMMIT_CFG)
+
+
+@register("commitment_audit", with_sql(_COMMIT_SQL + ",\n" + _COMMIT_AUDIT[0], _COMMIT_AUDIT[1]))
+def q_commitment_audit(spark, sf_dir):
+    """D7 over the committed dispatch: no violation of the minimum times."""
+    return dispatch_audit(_committed(spark, sf_dir), keys=["site_id"])

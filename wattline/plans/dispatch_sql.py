@@ -9,6 +9,8 @@ number per site.
 
 from __future__ import annotations
 
+import math
+
 from wattline.config import full_config
 from wattline.plans.sqlfrag import asdbl, iround, isum
 
@@ -80,7 +82,7 @@ f{tag} AS (SELECT site_id, n, s AS soc{tag}, greatest(s - s0, {d(0.0)}) / {d(eta
 
 
 def serve_first_sql(cfg: dict, *, grid_on: bool = False, two_battery: bool = False, ramp: bool = False,
-                    gas_charges_storage: bool = False, src: str = "intervals") -> str:
+                    gas_charges_storage: bool = False, commitment: bool = False, src: str = "intervals") -> str:
     """CTE text ending in ``disp`` (one row per site and interval)."""
     k = gas_constants(cfg)
     c = k["c"]
@@ -119,6 +121,21 @@ q5 AS (SELECT q4.*, CASE WHEN rg.g > 1e-6 THEN least(pmax_t, greatest(pmin_t, rg
        FROM q4 JOIN rg ON rg.site_id = q4.site_id AND rg.n = q4.n)""")
     else:
         parts.append(f"""q5 AS (SELECT *, CASE WHEN need > 1e-9 THEN greatest(pmin_t, least(pmax_t, need)) ELSE {d(0.0)} END AS gas_d FROM q4)""")
+    if commitment:
+        periods = lambda h: max(math.ceil(h / dt), 1) if h > 0 and k["disp"] else 1
+        up, dn = periods(c["gas_min_up_h"]), periods(c["gas_min_down_h"])
+        parts[-1] = parts[-1].replace("q5 AS (", "q5a AS (")
+        step = lambda s, w: (
+            f"CASE WHEN {s} > 0 THEN CASE WHEN {w} OR {s} < {up} THEN least({s} + 1, {up}) ELSE -1 END "
+            f"ELSE CASE WHEN {w} AND -({s}) >= {dn} THEN 1 ELSE -least(1 - ({s}), {dn}) END END")
+        parts.append(f"""
+cw AS (SELECT site_id, n, must_run + gas_d > 1e-6 AS w FROM q5a),
+cs AS (SELECT site_id, n, CAST({step('-1000000', 'w')} AS INTEGER) AS s FROM cw WHERE n = 1
+      UNION ALL
+      SELECT w.site_id, w.n, CAST({step('c.s', 'w.w')} AS INTEGER) FROM cs c JOIN cw w ON w.site_id = c.site_id AND w.n = c.n + 1),
+q5 AS (SELECT q5a.* EXCLUDE (gas_d), CASE WHEN cs.s > 0 THEN {d(1.0)} ELSE {d(0.0)} END AS committed,
+         CASE WHEN {'true' if k['disp'] else 'false'} AND cs.s > 0 THEN least(pmax_t, greatest(pmin_t, gas_d)) ELSE {d(0.0)} END AS gas_d
+       FROM q5a JOIN cs ON cs.site_id = q5a.site_id AND cs.n = q5a.n)""")
     parts.append("q6 AS (SELECT *, gen + gas_d + discharge - charge AS supply FROM q5)")
     if grid_on:
         parts.append(f"""q7 AS (SELECT *, greatest({d(0.0)}, load_mw - supply) AS grid_imp,
@@ -133,7 +150,7 @@ q9 AS (SELECT *, greatest({d(0.0)}, supply - serve) AS clipped FROM q8)""")
     parts.append(f"""q10 AS (SELECT *, must_run + gas_d AS gas_gen, gen_ren + must_run + gas_d AS generation,
         load_mw AS load, price / 1000 AS price_per_kwh, load_mw - serve AS unserved, soc1 + soc2 AS soc,
         grid_exp - grid_imp AS net_to_grid FROM q9),
-q11 AS (SELECT *, CASE WHEN gas_gen > 1e-6 THEN {d(1.0)} ELSE {d(0.0)} END AS gas_on FROM q10),
+q11 AS (SELECT *, {'committed' if commitment else f'CASE WHEN gas_gen > 1e-6 THEN {d(1.0)} ELSE {d(0.0)} END'} AS gas_on FROM q10),
 q12 AS (SELECT *, lag(gas_on) OVER (PARTITION BY site_id ORDER BY ts) AS on_prev FROM q11),
 q13 AS (SELECT *, CASE WHEN gas_on > 0 AND coalesce(on_prev, {d(0.0)}) <= 0 THEN {d(1.0)} ELSE {d(0.0)} END AS gas_start,
         CASE WHEN {disp_flag} AND gas_on <= 0 AND coalesce(on_prev, {d(0.0)}) > 0 THEN {d(1.0)} ELSE {d(0.0)} END AS gas_stop
