@@ -161,7 +161,8 @@ def test_chunked_series_match_plain_windows(spark):
 
 def test_lanes_equal_single_runs(spark):
     """A sweep's lanes give the same dispatch as one run per candidate."""
-    from wattline.operators.lanes import lane_dispatch
+    from wattline.operators.lanes import lane_dispatch, lane_metrics, stored_chunks
+    from wattline.operators.metrics import metrics_of, run_metrics
     df = series_a(spark, 96)
     sizes = [(0, 10.0, 2.0, 0.5), (1, 40.0, 4.0, 2.0)]
     lanes = spark.createDataFrame([(1, i, p, h, k) for i, p, h, k in sizes],
@@ -172,7 +173,12 @@ def test_lanes_equal_single_runs(spark):
     cfg = dict(BASE_A, gas_enabled=True, gas_dispatchable=True, gas_pmax_mw=30.0, gas_pmin_mw=5.0, gas_startup_cost_usd=10.0,
                _varying=("battery_power_mw", "battery_duration_h"))
     for grid_on in (False, True):
-        got = {(r.candidate_id, r.ts): r for r in lane_dispatch(df, lanes, cfg=cfg, grid_on=grid_on).collect()}
+        chunks = stored_chunks(df)
+        rows = lane_dispatch(chunks, lanes, cfg=cfg, grid_on=grid_on)
+        got = {(r.candidate_id, r.ts): r for r in rows.collect()}
+        sums = metrics_of(lane_metrics(chunks, lanes, cfg=cfg, grid_on=grid_on), grid_allowed=grid_on)
+        plain = run_metrics(rows, grid_allowed=grid_on)
+        assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, plain.select(*sums.columns).collect()))
         for i, p, h, k in sizes:
             one = dict({x: v for x, v in cfg.items() if x != "_varying"}, battery_power_mw=p, battery_duration_h=h)
             run = serve_first_dispatch(df.withColumn("solar_mw", F.col("solar_mw") * k), keys=["site_id"], cfg=one, grid_on=grid_on)

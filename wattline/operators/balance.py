@@ -115,6 +115,8 @@ def _compose_group(clamps: pa.Array) -> pa.Array:
     for cols in lists_of(clamps, _CLAMPS.names):
         f, g = (0.0, -_INF, _INF), (0.0, -_INF, _INF)
         for fa, fl, fh, ga, gl, gh in zip(*cols):
+            if fa is None:  # a chunk that opens no other need not be composed
+                continue
             g = _then(f, (ga, gl, gh))
             f = _then(f, (fa, fl, fh))
         out.append((*f, *g))
@@ -130,7 +132,8 @@ def _fold_group(s_in: pa.Array, s_prev: pa.Array, clamps: pa.Array) -> pa.Array:
         rows = []
         for fa, fl, fh, ga, gl, gh in zip(*cols):
             rows.append({"s_in": s, "s_prev": sp})
-            s, sp = min(fh, max(fl, s + fa)), min(gh, max(gl, s + ga))
+            if fa is not None:
+                s, sp = min(fh, max(fl, s + fa)), min(gh, max(gl, s + ga))
         out.append(rows)
     return pa.array(out, pa.list_(pa.struct([("s_in", pa.float64()), ("s_prev", pa.float64())])))
 

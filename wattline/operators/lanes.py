@@ -1,15 +1,23 @@
 """Serve-first dispatch (D2, D3) of many candidates over the same intervals.
 
-A candidate is a *lane*: the interval rows of a site lie in time chunks, one
-array each, and a kernel folds the battery of every lane over the chunk, so the
-intervals are dealt out and cross to Python once, whatever the number of lanes.
-Only the balances come back; the rows of the lanes are laid out after that, in
-the task that holds the chunk, and aggregate there before anything is shuffled.
+A candidate is a *lane*.  The intervals lie in a stored table of time chunks
+(``stored_chunks``), one array each, dealt out by (site, chunk) once and read from
+there by everything else.  The lanes of a site lie in blocks of at most about
+``BLOCK_BYTES`` of balances, and a block meets the chunks of its site by equality
+(site, chunk), or (site, chunk, block) where a site may have several.  No task
+holds more than some blocks at once, however many candidates a site has.
+
+Kernels work on all lanes of an Arrow batch as the columns of one matrix: an
+interval is one vector operation.  ``lane_metrics`` also computes the flows there
+and hands on the sums of a lane's chunk, so no row of the fan-out exists outside
+a kernel; ``lane_dispatch`` returns the rows themselves.
 """
 
 from __future__ import annotations
 
-from typing import Any, Mapping, Sequence
+import uuid
+from dataclasses import dataclass
+from typing import Any, Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,55 +25,315 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.config import battery_energy_mwh
-from wattline.operators.balance import (_CLAMPS, SPAN, chunked_rows, clamp_openings, compose_steps, fold_steps,
-                                        lists_of, shifted)
-from wattline.operators.dispatch import KEYS, _attach, _derive, _flows, finish, seconds_of
+from wattline.config import (battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, gas_no_load_cost,
+                             gas_variable_cost)
+from wattline.functions.profiles import synthetic_load
+from wattline.operators.balance import _CLAMPS, SPAN, chunked_rows, clamp_openings, shifted, shuffle_partitions
+from wattline.operators.dispatch import EPS_ON, KEYS, _attach, _derive, _flows, finish, marginal_gas_cost, seconds_of
+from wattline.session import checkpoint_dir
+
+#: Bytes of the balances of one block over one chunk; the block's lanes follow from it.
+BLOCK_BYTES = 2 << 20
+#: Columns of a matrix that are scanned at once.
+COLUMNS = 2048
 
-_INPUTS = ("wind_mw", "solar_mw", "natgas_mw", "load_mw")
-_LANE = ("sk", "wk", "load", "p", "e", "eta", "dt", "must", "pmax")
+_INPUTS = ("wind_mw", "solar_mw", "natgas_mw", "load_mw", "price")
+#: A lane's numbers: profile factors and load level (null: as it is), battery, must-run gas, gas limits and costs.
+_LANE = ("sk", "wk", "load", "p", "e", "eta", "dt", "must", "pmax", "pmin", "use_cap", "gas_ok", "marginal", "poi", "var",
+         "startup", "noload")
 #: How a lane's must-run gas follows from the gas column.
 NO_GAS, PROFILE, FLAT, CAPPED = 0.0, 1.0, 2.0, 3.0
+#: Sums of a lane over a chunk, in the names of ``operators.metrics``.
+_ADDED = ("_n", "_load", "_served", "_unserved", "_merchant", "_gas_cost", "_wind", "_solar", "_natgas", "_charge", "_clip",
+          "_gen", "_imp", "_exp", "_dis1", "_clip_rev", "_starts", "_on", "_serve_p", "_avail_p")
+_LEAST = ("_soc1_min", "_clip_min")
+_MOST = ("_cap_max", "_soc1_max", "_imp_max", "_exp_max", "_infeasible")
+_D = T.DoubleType()
+_SUMS = T.StructType([T.StructField(n, _D) for n in (*_ADDED, *_LEAST, *_MOST)])
+
+
+# ---------------------------------------------------------------------------
+# stored chunks
+# ---------------------------------------------------------------------------
+
+def chunk_position(dt_hours: float = 1.0) -> Column:
+    return F.floor(seconds_of(F.col("ts")) / F.lit(3600.0 * dt_hours)).cast("long")
+
+
+def stored_chunks(iv: DataFrame, dt_hours: float = 1.0) -> DataFrame:
+    """site_id, _c, _rows (a chunk's intervals in order) and facts of the chunk,
+    stored once in the shared folder, bucketed by (site, chunk): joins on these
+    read it without an exchange, and facts are read without the rows."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    value = {c: zero(c) for c in _INPUTS[:4]} | {"natgas_mw": F.greatest(F.lit(0.0), zero("natgas_mw"))}
+    row = F.struct("ts", *[value[c].alias(c) for c in _INPUTS[:4]], "price")
+    return _stored(chunked_rows(iv, ["site_id"], chunk_position(dt_hours), row))
+
+
+def _stored(chunks: DataFrame) -> DataFrame:
+    spark = chunks.sparkSession
+    top = lambda c: F.array_max(F.transform("_rows", lambda r: r[c]))
+    add = lambda f: F.aggregate("_rows", F.lit(0.0), lambda a, r: a + f(r))
+    d = chunks.select(
+        "site_id", "_c", "_rows", F.element_at("_rows", -1).alias("_last"), top("solar_mw").alias("solar_top"),
+        top("wind_mw").alias("wind_top"), add(lambda r: r["natgas_mw"]).alias("gas_sum"),
+        add(lambda r: F.abs(r["load_mw"])).alias("load_sum"),
+        F.element_at("_rows", 1)["ts"].alias("first_ts"), F.element_at("_rows", -1)["ts"].alias("last_ts"))
+    name = f"wattline_chunks_{uuid.uuid4().hex}"
+    (d.write.bucketBy(shuffle_partitions(chunks), "site_id", "_c").option(
+        "path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name))
+    return spark.table(name)
+
+
+def windowed_chunks(chunks: DataFrame, site_config: DataFrame) -> DataFrame:
+    """The chunks cut to each site's own window (P1), with the site's synthetic
+    load where its load is absent or zero throughout the window (P11).
+
+    ``site_config`` has site_id and ``run_config`` (start_date, end_date: whole
+    days; load_type, base_load_mw, load_std).  A chunk is met by an interval
+    join on its first and last time, so chunks outside the window are dropped
+    by their facts, before their rows are read into anything.
+    """
+    c = F.col
+    days = site_config.select(
+        "site_id", c("run_config.start_date").cast("timestamp_ntz").alias("_lo"),
+        F.date_add(c("run_config.end_date").cast("date"), 1).cast("timestamp_ntz").alias("_hi"),
+        c("run_config.load_type").alias("_type"), c("run_config.base_load_mw").alias("_mw"),
+        c("run_config.load_std").alias("_std"))
+    met = chunks.select("site_id", "_c", "_rows", "first_ts", "last_ts").join(days, "site_id").where(
+        (c("last_ts") >= c("_lo")) & (c("first_ts") < c("_hi")))
+    whole = (c("first_ts") >= c("_lo")) & (c("last_ts") < c("_hi"))
+    cut = F.filter("_rows", lambda r: (r["ts"] >= c("_lo")) & (r["ts"] < c("_hi")))
+    met = met.withColumn("_rows", F.when(whole, c("_rows")).otherwise(cut)).where(F.size("_rows") > 0)
+    load = F.aggregate("_rows", F.lit(0.0), lambda a, r: a + F.abs(r["load_mw"]))
+    idle = met.groupBy("site_id").agg((F.sum(load) < F.lit(1e-9)).alias("_idle"))
+    made = F.transform("_rows", lambda r: r.withField("load_mw", synthetic_load(
+        r["ts"], c("site_id"), c("_type"), c("_mw"), c("_std"))))
+    return _stored(met.join(idle, "site_id").select(
+        "site_id", "_c", F.when(c("_idle"), made).otherwise(c("_rows")).alias("_rows")))
+
+
+def site_facts(chunks: DataFrame) -> DataFrame:
+    """One row per site from the facts of its chunks: reference MW (A24), whether
+    the gas and load columns are zero throughout, the last chunk."""
+    ref = lambda c: F.coalesce(F.ceil(F.max(F.greatest(F.col(c), F.lit(0.0)))).cast("double"), F.lit(0.0))
+    return chunks.groupBy("site_id").agg(
+        ref("solar_top").alias("ref_solar_mw"), ref("wind_top").alias("ref_wind_mw"),
+        (F.sum("gas_sum") <= F.lit(1e-9)).alias("_ng_zero"), (F.sum("load_sum") < F.lit(1e-9)).alias("_load_zero"),
+        F.max("_c").alias("_last_c"))
+
 
+# ---------------------------------------------------------------------------
+# kernels
+# ---------------------------------------------------------------------------
 
-def _steps(wind, solar, natgas, load, lane) -> list[float]:
-    """The battery's step of each interval, as the expressions of the dispatch have it."""
-    sk, wk, level, p, _, eta, dt, must, pmax = lane
-    w = wind if wk is None else wind * wk
-    s = solar if sk is None else solar * sk
-    gas = 0.0 if must == NO_GAS else natgas if must == PROFILE else pmax if must == FLAT else np.minimum(natgas, pmax)
-    x = ((w + s) + gas) - (load if level is None else level)
-    return np.where(x >= 0, (eta * dt) * np.minimum(p, x), (-dt) * np.minimum(p, -x)).tolist()
+@dataclass
+class Piece:
+    """One chunk of a site with one block of its lanes: interval columns of n
+    numbers, lane columns of m numbers, and the matrix columns they take."""
 
+    rows: dict[str, np.ndarray]
+    lanes: dict[str, np.ndarray]
+    first: int
 
-def _chunks(rows: pa.Array, lanes: pa.Array):
-    for cols, lane in zip(lists_of(rows, _INPUTS), lists_of(lanes, _LANE)):
-        wind, solar, natgas, load = (np.array(c, float) for c in cols)
-        yield wind, solar, natgas, load, list(zip(*lane))
+    @property
+    def n(self) -> int:
+        return len(self.rows["load_mw"])
+
+    @property
+    def m(self) -> int:
+        return len(self.lanes["p"])
+
+    @property
+    def columns(self) -> slice:
+        return slice(self.first, self.first + self.m)
+
+
+def _fields(arr: pa.Array, names: Sequence[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Offsets of a list of structs, and its fields as flat numbers (null: NaN)."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    return arr.offsets.to_numpy(), {n: arr.values.field(n).to_numpy(zero_copy_only=False).astype(float) for n in names}
+
+
+def _pieces(rows: pa.Array, lanes: pa.Array) -> list[Piece]:
+    r_at, r = _fields(rows, _INPUTS)
+    l_at, l = _fields(lanes, _LANE)
+    out, first = [], 0
+    for k in range(len(rows)):
+        at, of = slice(r_at[k], r_at[k + 1]), slice(l_at[k], l_at[k + 1])
+        out.append(Piece({c: v[at] for c, v in r.items()}, {c: v[of] for c, v in l.items()}, first))
+        first += out[-1].m
+    return out
+
+
+def _profiles(rows: Mapping[str, np.ndarray], lane: Mapping[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Wind, solar, must-run gas and load of each interval (row) and lane (column)."""
+    scaled = lambda x, k: np.where(np.isnan(k), x[:, None], x[:, None] * k)
+    ng = rows["natgas_mw"][:, None]
+    must = np.select([lane["must"] == NO_GAS, lane["must"] == PROFILE, lane["must"] == FLAT],
+                     [np.zeros_like(ng), ng, lane["pmax"]], np.minimum(ng, lane["pmax"]))
+    load = np.where(np.isnan(lane["load"]), rows["load_mw"][:, None], lane["load"])
+    return scaled(rows["wind_mw"], lane["wk"]), scaled(rows["solar_mw"], lane["sk"]), must, load
+
+
+def _steps(piece: Piece) -> np.ndarray:
+    """The battery's step of each interval and lane, as the dispatch's expressions have it."""
+    wind, solar, must, load = _profiles(piece.rows, piece.lanes)
+    lane = piece.lanes
+    x = ((wind + solar) + must) - load
+    return np.where(x >= 0, (lane["eta"] * lane["dt"]) * np.minimum(lane["p"], x), (-lane["dt"]) * np.minimum(lane["p"], -x))
+
+
+def _slabs(pieces: list[Piece]):
+    """Runs of pieces of at most COLUMNS columns, with their steps as one matrix
+    (zero steps after a piece's end) and the batteries' sizes."""
+    lo = 0
+    while lo < len(pieces):
+        hi, width = lo, 0
+        while hi < len(pieces) and (hi == lo or width + pieces[hi].m <= COLUMNS):
+            width += pieces[hi].m
+            hi += 1
+        part = pieces[lo:hi]
+        base = part[0].first
+        a = np.zeros((max(p.n for p in part), width))
+        for p in part:
+            a[:p.n, p.first - base:p.first - base + p.m] = _steps(p)
+        size = np.concatenate([p.lanes["e"] for p in part])
+        yield part, base, a, size
+        lo = hi
+
+
+def _balances(pieces: list[Piece], opened: np.ndarray):
+    """For each piece its balances after each interval (row) and lane (column)."""
+    for part, base, a, size in _slabs(pieces):
+        s = opened[base:base + a.shape[1]]
+        for t in range(len(a)):
+            s = np.minimum(np.maximum(s + a[t], 0.0), size)
+            a[t] = s
+        for p in part:
+            yield p, a[:p.n, p.first - base:p.first - base + p.m]
 
 
 @F.arrow_udf(T.ArrayType(_CLAMPS))
 def _compose(rows: pa.Array, lanes: pa.Array) -> pa.Array:
-    out, offs = [], [0]
-    for wind, solar, natgas, load, of in _chunks(rows, lanes):
-        n = len(wind)
-        for lane in of:
-            out.append(compose_steps(_steps(wind, solar, natgas, load, lane), [0.0] * n, [lane[4]] * n))
-        offs.append(len(out))
-    vals = pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in (list(zip(*out)) or [[]] * 6)], names=_CLAMPS.names)
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), vals)
+    pieces = _pieces(rows, lanes)
+    total = sum(p.m for p in pieces)
+    out = np.zeros((6, total))
+    for part, base, a, size in _slabs(pieces):
+        width = a.shape[1]
+        add, lo, hi = np.zeros(width), np.full(width, -np.inf), np.full(width, np.inf)
+        last = np.concatenate([np.full(p.m, p.n - 1) for p in part])
+        stops = set(last.tolist())
+        for t in range(len(a)):
+            if t in stops:  # a clamp without the chunk's last step
+                at = np.flatnonzero(last == t)
+                out[3:, base + at] = add[at], lo[at], hi[at]
+            add = add + a[t]
+            lo = np.minimum(np.maximum(lo + a[t], 0.0), size)
+            hi = np.minimum(np.maximum(hi + a[t], 0.0), size)
+        out[:3, base:base + width] = add, lo, hi
+    vals = pa.StructArray.from_arrays([pa.array(c) for c in out], names=_CLAMPS.names)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[p.m for p in pieces]]), pa.int32()), vals)
 
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def _fold(rows: pa.Array, lanes: pa.Array, opened: pa.Array) -> pa.Array:
-    out = []
-    for (wind, solar, natgas, load, of), (s_in,) in zip(_chunks(rows, lanes), lists_of(opened, ("s_in",))):
-        n = len(wind)
-        out.append([fold_steps(s, None, _steps(wind, solar, natgas, load, lane), [0.0] * n, [lane[4]] * n)[1]
-                    for lane, s in zip(of, s_in)])
-    return pa.array(out, pa.list_(pa.list_(pa.float64())))
+    pieces = _pieces(rows, lanes)
+    _, o = _fields(opened, ("s_in",))
+    done = [s.T.ravel() for _, s in _balances(pieces, o["s_in"])]
+    sizes = np.concatenate([[0], *[np.full(p.m, p.n) for p in pieces]])
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(done) if done else np.zeros(0)))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[p.m for p in pieces]]), pa.int32()), inner)
+
+
+def _gas(rows: Mapping[str, np.ndarray], lane: Mapping[str, np.ndarray], must: np.ndarray, load: np.ndarray, gen: np.ndarray,
+         charge: np.ndarray, discharge: np.ndarray, grid_on: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Output of dispatchable gas, and the gas cap."""
+    ng, pmax = rows["natgas_mw"][:, None], lane["pmax"]
+    use = lane["use_cap"] > 0
+    cap = np.where(use, np.where(pmax > 0, np.minimum(ng, pmax), ng), pmax)
+    high = np.maximum(0.0, np.minimum(np.where(pmax > 0, pmax, cap), cap))
+    low = np.minimum(np.maximum(0.0, lane["pmin"]), high)
+    need = np.maximum(0.0, load + charge - gen - discharge)
+    ok = lane["gas_ok"] > 0
+    if grid_on:
+        ok = ok & (lane["marginal"] < rows["price"][:, None])
+    need = np.where(ok, need, 0.0)
+    return np.where(need > 1e-9, np.maximum(low, np.minimum(high, need)), 0.0), cap
 
 
+def _flow(rows: Mapping[str, np.ndarray], lane: Mapping[str, np.ndarray], s: np.ndarray, before: np.ndarray, grid_on: bool):
+    wind, solar, must, load = _profiles(rows, lane)
+    gen = (wind + solar) + must
+    step = s - before
+    charge, discharge = np.maximum(step, 0.0) / (lane["eta"] * lane["dt"]), np.maximum(-step, 0.0) / lane["dt"]
+    gas, cap = _gas(rows, lane, must, load, gen, charge, discharge, grid_on)
+    return wind, solar, must, load, gen, charge, discharge, gas, cap
+
+
+def lane_sums(piece: Piece, s: np.ndarray, s_in: np.ndarray, s_prev: np.ndarray, last: Mapping[str, np.ndarray] | None,
+              grid_on: bool) -> np.ndarray:
+    """The sums ``_SUMS`` of each lane of a piece: a row for each sum.
+
+    ``last`` has the interval before the chunk (None: there is none), ``s_prev``
+    and ``s_in`` the balances before and after it.
+    """
+    rows, lane, dt = piece.rows, piece.lanes, piece.lanes["dt"]
+    prev = np.vstack([s_in[None, :], s[:-1]])
+    wind, solar, must, load, gen, charge, discharge, gas_d, cap = _flow(rows, lane, s, prev, grid_on)
+    price = np.nan_to_num(rows["price"], nan=0.0)[:, None]  # a missing price adds nothing to a sum of money
+    supply = gen + gas_d + discharge - charge
+    if grid_on:
+        imp, surplus = np.maximum(0.0, load - supply), np.maximum(0.0, supply - load)
+        exp = np.minimum(lane["poi"], surplus)
+        serve, clipped, bad = load, surplus - exp, imp > lane["poi"] + 1e-9
+    else:
+        imp = exp = np.zeros_like(supply)
+        serve = np.minimum(load, supply)
+        clipped, bad = np.maximum(0.0, supply - serve), np.zeros(supply.shape, bool)
+    gas = must + gas_d
+    on = gas > EPS_ON
+    was = np.zeros(piece.m, bool)
+    if last is not None:
+        _, _, m, _, _, _, _, g, _ = _flow(last, lane, s_in[None, :], s_prev[None, :], grid_on)
+        was = (m + g > EPS_ON)[0] & ~np.isnan(s_prev)
+    start = on & ~np.vstack([was[None, :], on[:-1]])
+    cost = gas * lane["var"] * dt + start * lane["startup"] + on * lane["noload"] * dt
+    full = np.ones_like(supply)
+    added = (full, load * dt, serve * dt, (load - serve) * dt, (exp - imp) * price * dt, cost, wind * dt, solar * dt, gas * dt,
+             charge * dt, clipped * dt, ((wind + solar) + must + gas_d) * dt, imp * dt, exp * dt, discharge * dt,
+             clipped * price * dt, start, on, serve,
+             np.maximum(wind, 0.0) + np.maximum(solar, 0.0) + np.maximum(gas, 0.0))
+    return np.stack([*[np.broadcast_to(x, supply.shape).sum(0) for x in added], s.min(0), clipped.min(0),
+                     np.broadcast_to(cap, supply.shape).max(0), s.max(0), np.abs(imp).max(0), np.abs(exp).max(0), bad.max(0)])
+
+
+def _summing(grid_on: bool) -> Callable:
+    @F.arrow_udf(T.ArrayType(_SUMS))
+    def sums(rows: pa.Array, lanes: pa.Array, opened: pa.Array, before: pa.Array) -> pa.Array:
+        pieces = _pieces(rows, lanes)
+        _, o = _fields(opened, ("s_in", "s_prev"))
+        if isinstance(before, pa.ChunkedArray):
+            before = before.combine_chunks()
+        known = np.asarray(before.is_valid())
+        last = {c: before.field(c).to_numpy(zero_copy_only=False).astype(float) for c in _INPUTS}
+        done = []
+        for k, (p, s) in enumerate(_balances(pieces, o["s_in"])):
+            had = {c: v[k:k + 1] for c, v in last.items()} if known[k] and p.m else None
+            done.append(lane_sums(p, s, o["s_in"][p.columns], o["s_prev"][p.columns], had, grid_on)
+                        if p.m else np.zeros((len(_SUMS), 0)))
+        flat = np.concatenate(done, axis=1) if done else np.zeros((len(_SUMS), 0))
+        vals = pa.StructArray.from_arrays([pa.array(x) for x in flat], names=_SUMS.names)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[p.m for p in pieces]]), pa.int32()), vals)
+
+    return sums
+
+
+# ---------------------------------------------------------------------------
+# lanes meet chunks
+# ---------------------------------------------------------------------------
+
 def _lane_inputs() -> list[Column]:
     """The kernel's inputs of a lane, from its configuration columns."""
     c = F.col
@@ -73,44 +341,113 @@ def _lane_inputs() -> list[Column]:
     must = (F.when(c("gas_enabled") & c("gas_dispatchable"), F.lit(NO_GAS))
             .when(c("gas_enabled"), F.when((pmax > 0) & c("_ng_zero"), F.lit(FLAT)).when(pmax > 0, F.lit(CAPPED))
                   .otherwise(F.lit(PROFILE))).otherwise(F.lit(PROFILE)))
-    return [c("_sk").alias("sk"), c("_wk").alias("wk"), c("_load").alias("load"), c("battery_power_mw").alias("p"),
-            battery_energy_mwh().alias("e"), c("rte").alias("eta"), c("dt_hours").alias("dt"), must.alias("must"),
-            pmax.alias("pmax")]
+    flag = lambda x: F.when(x, 1.0).otherwise(0.0)
+    ok = c("gas_enabled") & c("gas_dispatchable") & (marginal_gas_cost() < c("voll_usd_per_mwh"))
+    values = [c("_sk"), c("_wk"), c("_load"), c("battery_power_mw"), battery_energy_mwh(), c("rte"), c("dt_hours"), must, pmax,
+              c("gas_pmin_mw"), flag(c("gas_use_profile_as_cap")), flag(ok), marginal_gas_cost(), c("poi_limit_mw"),
+              gas_variable_cost(), c("gas_startup_cost_usd"), gas_no_load_cost()]
+    return [v.cast("double").alias(n) for v, n in zip(values, _LANE)]
 
 
-def lane_dispatch(iv: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None,
-                  grid_on: bool = False) -> DataFrame:
-    """Dispatch every lane of a site over the site's intervals.
+@dataclass
+class Lanes:
+    """Blocks of lanes with the chunks they meet (``base``), and how they open (``opened``)."""
 
-    ``lanes`` has a row for each of ``keys``: _sk and _wk (factors of the solar
-    and wind profile, null: as it is), _load (a level instead of the load,
-    null: as it is), _ng_zero (the site's gas column is zero throughout), and
-    configuration columns; those it lacks come from ``cfg``.
+    base: DataFrame
+    opened: DataFrame
+    keys: list[str]
+    own: list[str]
+    deal: list[str]
+
+    def joined(self) -> DataFrame:
+        return self.base.join(self.opened.hint("shuffle_hash"), self.deal)
+
+
+def _thin(rows: str = "_rows") -> Column:
+    return F.transform(rows, lambda r: F.struct(*[r[c].alias(c) for c in _INPUTS]))
+
+
+def _slim(lanes: str = "_lanes") -> Column:
+    return F.transform(lanes, lambda r: F.struct(*[r[c].alias(c) for c in _LANE]))
+
+
+def lanes_of(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None,
+             most_lanes: int | None = None, block_bytes: int = BLOCK_BYTES) -> Lanes:
+    """Deal the lanes into blocks, and find the balances with which chunks open.
+
+    ``most_lanes`` is a bound on the lanes of a site where the caller has one: if
+    they fit a block, blocks need no deal of their own.  The last chunk of a
+    site opens nothing, so it is not composed.
     """
-    keys = list(keys)
     lane_keys = [k for k in keys if k != "site_id"]
     own = [c for c in lanes.columns if c not in (*keys, "_sk", "_wk", "_load")]
-    per_site = _attach(lanes, cfg).groupBy("site_id").agg(F.array_sort(F.collect_list(
+    per_block = max(block_bytes // (8 * SPAN), 1)
+    spread = most_lanes is None or most_lanes > per_block
+    deal = ["site_id", "_c", *(["_lb"] if spread else [])]
+    d = _attach(lanes, cfg)
+    if spread:
+        count = lanes.groupBy("site_id").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("_nb"))
+        d = d.join(count, "site_id").withColumn("_lb", F.pmod(F.hash(*lane_keys), F.col("_nb")).cast("int"))
+    else:
+        d = d.withColumn("_lb", F.lit(0))
+    blocks = d.groupBy("site_id", "_lb").agg(F.array_sort(F.collect_list(
         F.struct(*lane_keys, *_lane_inputs(), *[F.col(c).alias(f"c_{c}") for c in own]))).alias("_lanes"))
-    dt = float((cfg or {}).get("dt_hours", 1.0))
-    position = F.floor(seconds_of(F.col("ts")) / F.lit(3600.0 * dt)).cast("long")
-    blocks = chunked_rows(iv, ["site_id"], position, F.struct("ts", *[
-        F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c != "natgas_mw" else
-        F.greatest(F.lit(0.0), F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in _INPUTS], "price"))
-    # a chunk meets its site's lanes by (site, chunk), so a long site's chunks stay spread
-    pairs = iv.select("site_id", F.floor(position / F.lit(SPAN)).cast("long").alias("_c")).distinct().join(per_site, "site_id")
-    base = blocks.join(pairs.hint("shuffle_hash"), ["site_id", "_c"])
-    thin = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in _INPUTS]))
-    slim = F.transform("_lanes", lambda r: F.struct(*[r[c].alias(c) for c in _LANE]))
-    chunks = base.select("site_id", "_c", F.element_at("_rows", -1).alias("_last"), F.inline(F.arrays_zip(
-        F.col("_lanes").alias("l"), _compose(thin, slim).alias("f")))).select(
-            "site_id", *[F.col(f"l.{k}").alias(k) for k in lane_keys], "_c", F.col("f").alias("_f"), "_last")
-    opened = clamp_openings(chunks, keys, chunks.schema["_last"].dataType).groupBy("site_id", "_c").agg(
+    last = chunks.groupBy("site_id").agg(F.max("_c").alias("_last_c"))
+    pairs = chunks.select("site_id", "_c").join(blocks.join(last, "site_id"), "site_id")
+    base = chunks.select("site_id", "_c", "_rows", "_last").join(pairs.hint("shuffle_hash"), ["site_id", "_c"])
+    if spread:  # the blocks of a chunk go to different tasks
+        base = base.repartition(shuffle_partitions(chunks), *deal)
+    lane = [F.col(f"l.{k}").alias(k) for k in lane_keys]
+    opening = base.where("_c < _last_c").select("site_id", "_lb", "_c", "_last", F.inline(F.arrays_zip(
+        F.col("_lanes").alias("l"), _compose(_thin(), _slim()).alias("f")))).select(
+            "site_id", "_lb", *lane, "_c", F.col("f").alias("_f"), "_last")
+    closing = pairs.where("_c = _last_c").select("site_id", "_lb", "_c", F.explode("_lanes").alias("l")).select(
+        "site_id", "_lb", *lane, "_c", F.lit(None).cast(opening.schema["_f"].dataType).alias("_f"),
+        F.lit(None).cast(opening.schema["_last"].dataType).alias("_last"))
+    functions = opening.unionByName(closing)
+    opened = clamp_openings(functions, ["site_id", "_lb", *lane_keys], functions.schema["_last"].dataType).groupBy(*deal).agg(
         F.array_sort(F.collect_list(F.struct(*lane_keys, "s_in", "s_prev"))).alias("_open"), F.first("_before").alias("_before"))
-    j = base.join(opened.hint("shuffle_hash"), ["site_id", "_c"])
+    return Lanes(base, opened, lane_keys, own, deal)
+
+
+def lane_metrics(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None,
+                 grid_on: bool = False, most_lanes: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The sums over the dispatch of every lane, one row per key: what
+    ``operators.metrics.metrics_of`` takes.
+
+    ``lanes`` has a row for each of ``keys``: _sk and _wk (factors of the solar
+    and wind profile, null: as it is), _load (a level instead of the load,
+    null: as it is), _ng_zero (the site's gas column is zero throughout), and
+    configuration columns; those it lacks come from ``cfg``.
+    """
+    ls = lanes_of(chunks, lanes, keys, cfg, most_lanes, block_bytes)
+    c = F.col
+    opens = F.transform("_open", lambda o: F.struct(o["s_in"].alias("s_in"), o["s_prev"].alias("s_prev")))
+    before = F.when(c("_before").isNotNull(), F.struct(*[c(f"_before.{x}").alias(x) for x in _INPUTS]))
+    z = ls.joined().select("site_id", F.inline(F.arrays_zip(
+        c("_lanes").alias("l"), _summing(grid_on)(_thin(), _slim(), opens, before).alias("s"))))
+    z = _attach(z.select("site_id", *[c(f"l.{k}").alias(k) for k in ls.keys], *[c(f"l.c_{x}").alias(x) for x in ls.own],
+                         "s.*"), cfg)
+    facts = {"dt_hours": c("dt_hours"), "_e1": battery_energy_mwh(), "_e2": battery2_energy_mwh(), "_pmax": c("gas_pmax_mw"),
+             "_var": gas_variable_cost(), "_noload": gas_no_load_cost(), "_startup": c("gas_startup_cost_usd"),
+             "_voll": c("voll_usd_per_mwh"), "_deg": c("bess_deg_cost_usd_per_mwh"), "_carbon": c("carbon_price_usd_per_ton"),
+             "_co2r": gas_co2_tons_per_mwh()}
+    zero = F.lit(0.0)
+    return z.groupBy(*keys).agg(
+        *[F.first(v).alias(n) for n, v in facts.items()], *[F.sum(n).alias(n) for n in _ADDED],
+        *[F.min(n).alias(n) for n in _LEAST], *[F.max(n).alias(n) for n in _MOST]).withColumns(
+            {"_dis2": zero, "_soc2_min": zero, "_soc2_max": zero})
+
+
+def lane_dispatch(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None,
+                  grid_on: bool = False, most_lanes: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The dispatch rows of every lane of a site over the site's intervals
+    (``lanes`` as in ``lane_metrics``)."""
+    ls = lanes_of(chunks, lanes, keys, cfg, most_lanes, block_bytes)
+    j = ls.joined()
     opens = F.transform("_open", lambda o: F.struct(o["s_in"].alias("s_in")))
     laid = j.select("site_id", "_rows", "_before", F.inline(F.arrays_zip(
-        F.col("_lanes").alias("l"), F.col("_open").alias("o"), _fold(thin, slim, opens).alias("s"))))
+        F.col("_lanes").alias("l"), F.col("_open").alias("o"), _fold(_thin(), _slim(), opens).alias("s"))))
     n = F.size("_rows")
     before = F.slice(F.concat(F.array("o.s_in"), F.col("s")), 1, n)
     before2 = F.slice(F.concat(F.array("o.s_prev", "o.s_in"), F.col("s")), 1, n)
@@ -121,13 +458,13 @@ def lane_dispatch(iv: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEYS, c
         F.col(f"{row}.{c}") * F.col(f"l.{k}"))
     level = lambda row: F.coalesce(F.col("l.load"), F.col(f"{row}.load_mw"))
     d = z.select(
-        "site_id", *[F.col(f"l.{k}").alias(k) for k in lane_keys], F.col("r.ts").alias("ts"),
+        "site_id", *[F.col(f"l.{k}").alias(k) for k in ls.keys], F.col("r.ts").alias("ts"),
         scaled("r", "wind_mw", "wk").alias("wind_mw"), scaled("r", "solar_mw", "sk").alias("solar_mw"),
         F.col("r.natgas_mw").alias("natgas_mw"), level("r").alias("load_mw"), F.col("r.price").alias("price"),
         "soc1", "_s1p", "_s1pp",
         (scaled("b", "wind_mw", "wk") + scaled("b", "solar_mw", "sk")).alias("_p_gen_ren"),
         F.col("b.natgas_mw").alias("_p_natgas_mw"), F.when(F.col("b.ts").isNotNull(), level("b")).alias("_p_load_mw"),
-        F.col("b.price").alias("_p_price"), *[F.col(f"l.c_{c}").alias(c) for c in own])
+        F.col("b.price").alias("_p_price"), *[F.col(f"l.c_{c}").alias(c) for c in ls.own])
     d = _derive(_attach(d, cfg), grid_on, False)
     c1, d1 = _flows("soc1", "_s1p", F.col("rte"), F.col("dt_hours"))
     return finish(d.withColumns({"charge1": c1, "discharge1": d1, "charge2": F.lit(0.0), "discharge2": F.lit(0.0),

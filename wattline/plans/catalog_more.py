@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 from wattline.config import split_valid, with_config
 from wattline.functions.clean import (OPTIONAL, REQUIRED, clean_intervals, interval_quality, tidy_columns,
                                       with_gas_availability)
-from wattline.functions.econ import econ_columns
 from wattline.functions.profiles import fill_synthetic_load
 from wattline.functions.text import parse_values
 from wattline.operators.audit import dispatch_audit, gas_commitment
 from wattline.operators.balance import bounded_balance
 from wattline.operators.dispatch import interval_position, scheduled_dispatch, serve_first_dispatch
-from wattline.operators.lanes import lane_dispatch
-from wattline.operators.metrics import monthly_cycles, monthly_cycles_map, run_metrics
+from wattline.operators.metrics import monthly_cycles, monthly_cycles_map
 from wattline.plans import catalog as C
 from wattline.plans import sweep as SW
 from wattline.plans import sweep_sql as SQ
@@ -264,10 +262,8 @@ SELECT site_id, false AS ok, 'grid of 54 candidates is over the limit of 50' AS
 WHERE ref_solar_mw > 0 UNION ALL SELECT site_id, true, '' FROM ref WHERE ref_solar_mw <= 0"""))
 def q_sweep_over_cap(spark, sf_dir):
     """With a limit of 50 candidates a site's grid of 54 gives one failed row."""
-    refs = SW.reference_mw(intervals(spark, sf_dir))
-    over = SW.over_cap(refs, C.SWEEP_RANGES, 50)
-    fine = SW.candidate_grid(refs, C.SWEEP_RANGES, 50).select("site_id", F.lit(True).alias("ok"), F.lit("").alias("error"))
-    return over.unionByName(fine.distinct())
+    sw = SW.capacity_sweep(intervals(spark, sf_dir), C.SWEEP_BASE, C.SWEEP_RANGES, cap=50)
+    return sw.select("site_id", "ok", "error").distinct()
 
 
 _AUDIT_WIN = C._audit_sql(dict(C.SWEEP_BASE))
@@ -280,8 +276,10 @@ windisp AS (SELECT d.* FROM disp d JOIN rec r ON r.site_id = d.site_id AND r.can
 """ + _WIN_SQL, _AUDIT_WIN[1]))
 def q_winner_audit(spark, sf_dir):
     """D7 + J6: the recommended candidate's dispatch holds to every rule."""
-    rec = SW.recommend(SW.score_and_rank(C._sweep(spark, sf_dir), C.TARGET_PCT), C.TARGET_PCT)
-    disp = SW.drilldown(intervals(spark, sf_dir), rec, C.SWEEP_BASE)
+    chunks = SW.chunks_of(intervals(spark, sf_dir), C.SWEEP_BASE)
+    sweep = SW.capacity_sweep(chunks, C.SWEEP_BASE, C.SWEEP_RANGES)
+    rec = SW.recommend(SW.score_and_rank(sweep, C.TARGET_PCT), C.TARGET_PCT)
+    disp = SW.drilldown(chunks, rec, C.SWEEP_BASE)
     return dispatch_audit(disp, keys=["site_id", "candidate_id"]).drop("candidate_id")
 
 
@@ -301,58 +299,36 @@ _SMALL = {"solar": dict(mode="multipliers", values=[0.5, 1.0], reference_mw=None
           "bess_power": dict(mode="absolute", values=[10.0], reference_mw=None),
           "bess_duration": dict(mode="absolute", values=[2.0, 4.0], reference_mw=None),
           "gas": dict(mode="absolute", values=[0.0, 20.0], reference_mw=None)}
+#: Sites whose load column is empty, so that their scenario's synthetic load is used.
+_IDLE = 6
 SITE_SCENARIOS = [
-    {"name": "island", "run_config": dict(C.SWEEP_BASE, voll_usd_per_mwh=3000.0), "econ": None, "screening_ranges": _SMALL,
+    {"name": "island", "run_config": dict(C.SWEEP_BASE, voll_usd_per_mwh=3000.0, start_date="2024-01-03", end_date="2024-01-20"),
+     "econ": None, "screening_ranges": _SMALL,
      "reliability_target_pct": 70.0, "grid_allowed": False},
-    {"name": "grid", "run_config": dict(C.SWEEP_BASE, poi_limit_mw=120.0, gas_var_cost_usd_per_mwh=35.0),
+    {"name": "grid", "run_config": dict(C.SWEEP_BASE, poi_limit_mw=120.0, gas_var_cost_usd_per_mwh=35.0, start_date="2023-12-01",
+                                        end_date="2024-01-25"),
      "econ": {"solar": (900.0, 0.0, 12.0, 25.0, 0.06), "carbon_price_usd_per_ton": 0.0},
      "screening_ranges": _SMALL, "reliability_target_pct": 95.0, "grid_allowed": True},
-    {"name": "carbon", "run_config": dict(C.SWEEP_BASE, rte=0.9), "econ": {"carbon_price_usd_per_ton": 80.0},
+    {"name": "carbon", "run_config": dict(C.SWEEP_BASE, rte=0.9, load_type="24-7", base_load_mw=30.0, start_date="2024-01-10",
+                                          end_date="2024-02-15"), "econ": {"carbon_price_usd_per_ton": 80.0},
      "screening_ranges": dict(_SMALL, gas=dict(mode="absolute", values=[10.0, 40.0], reference_mw=None)),
      "reliability_target_pct": 60.0, "grid_allowed": False},
 ]
 
 
-def scenario_screening(iv: DataFrame, site_scenarios: DataFrame) -> DataFrame:
-    """Every site screened by its own scenario: configuration,
-    economics, ranges, target and grid from the scenario's row.
-
-    ``site_scenarios`` has site_id and the columns of ``read_scenarios``.
-    Returns the ranked sweep with ``scenario`` and ``target_pct``.
-    """
-    c = F.col
-    refs = SW.reference_mw(iv)
-    sites = refs.join(site_scenarios, "site_id")
-    grid = SW.candidate_grid(sites, None)
-    facts = site_scenarios.select("site_id", c("name").alias("scenario"), c("reliability_target_pct").alias("target_pct"),
-                                  "grid_allowed", "run_config", "econ")
-    cands = grid.join(facts, "site_id")
-    sizes = {"battery_power_mw": c("bess_power_mw"), "battery_duration_h": c("bess_duration_h"), "gas_pmax_mw": c("gas_mw"),
-             "gas_enabled": c("gas_mw") > 0, "gas_dispatchable": c("gas_mw") > 0,
-             "gas_pmin_mw": F.least(c("run_config.gas_pmin_mw"), c("gas_mw"))}
-    names = [f.name for f in facts.schema["run_config"].dataType]
-    lanes = SW.sweep_lanes(iv, cands.select(
-        "site_id", "candidate_id", "grid_allowed", c("solar_mw").alias("cand_solar_mw"), c("wind_mw").alias("cand_wind_mw"),
-        *[sizes.get(n, c(f"run_config.{n}")).alias(n) for n in names]), refs)
-    both = None
-    for on in (False, True):
-        mine = lanes.where(c("grid_allowed") == on).drop("grid_allowed")
-        own = iv.join(mine.select("site_id").distinct(), "site_id", "left_semi")
-        m = run_metrics(lane_dispatch(own, mine, SW.KEYS, None, on), keys=SW.KEYS, grid_allowed=on)
-        both = m if both is None else both.unionByName(m)
-    info = cands.withColumn("bess_energy_mwh", c("bess_power_mw") * c("bess_duration_h"))
-    rows = info.select(*grid.columns, "bess_energy_mwh", "scenario", "target_pct", *econ_columns("econ")).join(both, SW.KEYS)
-    sweep = SW.sweep_rows(rows.withColumn("_t", c("target_pct")), ("scenario", "target_pct", "site_id"))
-    return SW.score_and_rank(sweep, c("target_pct"))
-
-
 def _scenario_sql(k: int, b: dict) -> str:
     econ = dict(b["econ"] or {})
     carbon = float(econ.pop("carbon_price_usd_per_ton", 0.0))
     base = dict(b["run_config"], carbon_price_usd_per_ton=max(carbon, float(b["run_config"].get("carbon_price_usd_per_ton", 0.0))))
     body = SQ.sweep_sql(base, b["screening_ranges"], econ or None, grid_on=b["grid_allowed"]).replace(
         "FROM intervals", "FROM iv_k")
-    inner = with_sql(f"iv_k AS (SELECT * FROM intervals WHERE site_id % 3 = {k}),\n" + body + ",\n"
+    c = b["run_config"]
+    load = f"CASE WHEN hour(ts) BETWEEN 7 AND 22 THEN {d(c['base_load_mw'])} ELSE {Z} END" if c["load_type"] == "16-7" else d(
+        c["base_load_mw"])
+    window = (f"iv_k AS (SELECT * EXCLUDE (load_mw), CASE WHEN site_id % {_IDLE} = 1 THEN {load} ELSE load_mw END AS load_mw "
+              f"FROM intervals WHERE site_id % 3 = {k} AND ts >= TIMESTAMP '{c['start_date']}' "
+              f"AND ts < TIMESTAMP '{c['end_date']}' + INTERVAL 1 DAY),\n")
+    inner = with_sql(window + body + ",\n"
                      + SQ.ranked_sql(b["reliability_target_pct"]), f"""
 SELECT site_id, '{b['name']}' AS scenario, count(*) AS n_tested, CAST(count_if(meets_reliability) AS BIGINT) AS n_reliable,
   CAST(count_if(is_pareto) AS BIGINT) AS n_pareto, max(CASE WHEN rank = 1 AND ok THEN candidate_id END) AS candidate_id,
@@ -363,14 +339,15 @@ SELECT site_id, '{b['name']}' AS scenario, count(*) AS n_tested, CAST(count_if(m
 
 @register("screening_scenarios", "\nUNION ALL\n".join(_scenario_sql(k, b) for k, b in enumerate(SITE_SCENARIOS)))
 def q_screening_scenarios(spark, sf_dir):
-    """Sites screened by scenarios read from files, one scenario a site."""
-    iv = intervals(spark, sf_dir)
+    """Sites screened by scenarios read from files, one scenario a site, in the scenario's window, with
+    its synthetic load where the load column is empty."""
+    iv = intervals(spark, sf_dir).withColumn("load_mw", F.when(F.col("site_id") % _IDLE == 1, 0.0).otherwise(F.col("load_mw")))
     path = f"{checkpoint_dir(spark).rstrip('/')}/wattline-scenarios-{uuid.uuid4().hex}"
     SC.write_scenarios(SC.scenarios_df(spark, SITE_SCENARIOS), path)
     scenarios = SC.read_scenarios(spark, path, multi_line=False).withColumn(
         "sid", F.array_position(F.array(*[F.lit(b["name"]) for b in SITE_SCENARIOS]), F.col("name")) - 1)
     sites = iv.select("site_id").distinct().withColumn("sid", F.col("site_id") % 3).join(scenarios, "sid").drop("sid")
-    r = scenario_screening(iv, sites)
+    r = SW.scenario_screening(iv, sites)
     best = F.when((F.col("rank") == 1) & F.col("ok"), F.struct("candidate_id", "total_annual_cost_usd", "firmness_pct"))
     return r.groupBy("site_id", "scenario").agg(
         F.count(F.lit(1)).alias("n_tested"), F.count_if("meets_reliability").alias("n_reliable"),

@@ -7,24 +7,25 @@
       -> reliability flag (P25), Pareto flag (W7), rank (T1), recommendation (T2)
 
 Each site is screened on its own.  The candidate grid is built with
-``posexplode`` generators (no cross join).  Candidates are lanes over the
-site's intervals (``operators.lanes``): no row of the fan-out is shuffled, its
-metrics are summed in the tasks that hold the chunks.
+``posexplode`` generators (no cross join).  The intervals are stored once as time
+chunks; candidates are lanes over them (``operators.lanes``), and only the sums of
+a lane's chunk leave a task.  Every plan takes interval rows, or the chunks that
+``operators.lanes.stored_chunks`` made of them, for plans that share them.
 """
 
 from __future__ import annotations
 
+import math
 from typing import Any, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.functions.econ import annual_figures, annualized_cost, with_econ
+from wattline.functions.econ import annual_figures, annualized_cost, econ_columns, with_econ
 from wattline.functions.text import money_text
-from wattline.operators.dispatch import gas_column_zero, scale_renewables, serve_first_dispatch
-from wattline.operators.lanes import lane_dispatch
-from wattline.operators.metrics import run_metrics
+from wattline.operators.lanes import lane_dispatch, lane_metrics, site_facts, stored_chunks, windowed_chunks
+from wattline.operators.metrics import metrics_of
 
 RANGE_NAMES = ["solar", "wind", "bess_power", "bess_duration", "gas"]
 CAND_COLS = ["solar_mw", "wind_mw", "bess_power_mw", "bess_duration_h", "gas_mw"]
@@ -125,11 +126,21 @@ def reference_mw(iv: DataFrame) -> DataFrame:
     return iv.groupBy("site_id").agg(ref("solar_mw").alias("ref_solar_mw"), ref("wind_mw").alias("ref_wind_mw"))
 
 
-def sweep_lanes(iv: DataFrame, cands: DataFrame, refs: DataFrame, part: Sequence[str] = ("site_id",)) -> DataFrame:
-    """The candidates as lanes, with the factors that scale the site's profiles."""
+def chunks_of(iv: DataFrame, cfg: Mapping[str, Any] | None = None) -> DataFrame:
+    """The stored chunks of interval rows; chunks stay as they are."""
+    return iv if "_rows" in iv.columns else stored_chunks(iv, float((cfg or {}).get("dt_hours", 1.0)))
+
+
+def most_candidates(ranges: Mapping[str, Mapping[str, Any]]) -> int:
+    """The largest grid that literal ranges give a site."""
+    return math.prod(max(len(ranges[n]["values"]), 1) for n in RANGE_NAMES)
+
+
+def sweep_lanes(cands: DataFrame, facts: DataFrame) -> DataFrame:
+    """The candidates as lanes, with the factors that scale the site's profiles
+    (P12); ``facts`` of ``site_facts``."""
     c = F.col
-    d = cands.join(refs.select("site_id", "ref_solar_mw", "ref_wind_mw"), "site_id").join(
-        gas_column_zero(iv, ["site_id"]), "site_id")
+    d = cands.join(facts.select("site_id", "ref_solar_mw", "ref_wind_mw", "_ng_zero"), "site_id")
     factor = lambda x, r: F.when(c(r) > 0, c(x) / c(r)).otherwise(F.lit(0.0))
     return d.withColumns({"_sk": factor("cand_solar_mw", "ref_solar_mw"), "_wk": factor("cand_wind_mw", "ref_wind_mw"),
                           "_load": F.lit(None).cast("double")}).drop(
@@ -155,17 +166,19 @@ def capacity_sweep(iv: DataFrame, base: Mapping[str, Any], ranges: Mapping[str,
     (grid on), and for a site whose grid is larger than ``cap``: that one has
     a single row with an ``error`` and without a candidate.
     """
-    refs = reference_mw(iv)
-    grid = candidate_grid(refs, ranges, cap)
+    chunks = chunks_of(iv, base)
+    facts = site_facts(chunks)
+    grid = candidate_grid(facts, ranges, cap)
     cands, cfg = candidate_config(grid.withColumnsRenamed({"solar_mw": "cand_solar_mw", "wind_mw": "cand_wind_mw"}),
                                   base)
-    lanes = sweep_lanes(iv, cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh", "grid_size"), refs)
-    m = run_metrics(lane_dispatch(iv, lanes, KEYS, cfg, grid_allowed), keys=KEYS, grid_allowed=grid_allowed)
+    lanes = sweep_lanes(cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh", "grid_size"), facts)
+    m = metrics_of(lane_metrics(chunks, lanes, KEYS, cfg, grid_allowed, most_candidates(ranges)), KEYS,
+                   grid_allowed=grid_allowed)
     info = grid.withColumn("bess_energy_mwh", F.col("bess_power_mw") * F.col("bess_duration_h"))
     # One screening scenario -> its economics are literal columns (no join)
     out = sweep_rows(with_econ(info, econ).join(m, KEYS))
     if cap is not None:
-        out = out.unionByName(over_cap(refs, ranges, cap), allowMissingColumns=True)
+        out = out.unionByName(over_cap(facts, ranges, cap), allowMissingColumns=True)
     return out
 
 
@@ -232,12 +245,12 @@ def pareto_frontier(ranked: DataFrame) -> DataFrame:
 
 def drilldown(iv: DataFrame, rec: DataFrame, base: Mapping[str, Any], grid_allowed: bool = False) -> DataFrame:
     """The dispatch of each site's recommended candidate, and of no other."""
-    refs = reference_mw(iv)
+    chunks = chunks_of(iv, base)
     cands, cfg = candidate_config(rec.select("site_id", "candidate_id", F.col("solar_mw").alias("cand_solar_mw"),
                                              F.col("wind_mw").alias("cand_wind_mw"), "bess_power_mw", "bess_duration_h",
                                              "gas_mw"), base)
-    lanes = sweep_lanes(iv, cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh"), refs)
-    return lane_dispatch(iv, lanes, KEYS, cfg, grid_allowed)
+    lanes = sweep_lanes(cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh"), site_facts(chunks))
+    return lane_dispatch(chunks, lanes, KEYS, cfg, grid_allowed, most_lanes=1)
 
 
 # ---------------------------------------------------------------------------
@@ -250,7 +263,8 @@ def gas_capacity_sweep(iv: DataFrame, base: Mapping[str, Any], capacities: Seque
     c = F.col
     # capacities: a short parameter list, expanded per site by a generator
     arr = F.array(*[F.lit(float(x)) for x in capacities])
-    cands = gas_column_zero(iv, ["site_id"]).select("*", F.posexplode(arr).alias("candidate_id", "gas_capacity_mw"))
+    chunks = chunks_of(iv, base)
+    cands = site_facts(chunks).select("site_id", "_ng_zero", F.posexplode(arr).alias("candidate_id", "gas_capacity_mw"))
     pmin = float(base.get("gas_pmin_mw", 0.0) or 0.0)
     none = F.lit(None).cast("double")
     lanes = cands.withColumns({
@@ -259,7 +273,7 @@ def gas_capacity_sweep(iv: DataFrame, base: Mapping[str, Any], capacities: Seque
         "_sk": none, "_wk": none, "_load": none})
     cfg = dict(base, _varying=("gas_pmax_mw", "gas_enabled", "gas_dispatchable", "gas_pmin_mw"))
     keys = [*KEYS, "gas_capacity_mw"]
-    m = run_metrics(lane_dispatch(iv, lanes, keys, cfg, grid_allowed), keys=keys, grid_allowed=grid_allowed)
+    m = metrics_of(lane_metrics(chunks, lanes, keys, cfg, grid_allowed, len(capacities)), keys, grid_allowed=grid_allowed)
     out = m.select(
         "site_id", "gas_capacity_mw", "firmness_pct", c("merchant_revenue_usd").alias("merchant_revenue_cost_usd"),
         "total_served_mwh", "total_gen_mwh", "total_clip_mwh", "natgas_total_cost_usd",
@@ -340,15 +354,50 @@ def batch_grid(iv: DataFrame, base: Mapping[str, Any], loads: Sequence[float], p
     arr = F.array(*[F.struct(F.lit(i).cast("long").alias("candidate_id"), F.lit(float(lv)).alias("load_level_mw"),
                              F.lit(float(pw)).alias("power_mw"), F.lit(int(st)).alias("stacks"))
                     for i, (lv, pw, st) in enumerate(combos)])
-    sites = iv.groupBy("site_id").agg(
-        (F.sum(F.abs(F.coalesce(c("load_mw"), F.lit(0.0)))) < 1e-9).alias("_load_zero"),
-        (F.sum(F.greatest(F.lit(0.0), F.coalesce(c("natgas_mw"), F.lit(0.0)))) <= F.lit(1e-9)).alias("_ng_zero"))
+    chunks = chunks_of(iv, base)
     none = F.lit(None).cast("double")
-    lanes = sites.select("*", F.inline(arr)).withColumns({
+    lanes = site_facts(chunks).select("site_id", "_load_zero", "_ng_zero", F.inline(arr)).withColumns({
         "_sk": none, "_wk": none, "_load": F.when(c("_load_zero"), c("load_level_mw")),
         "battery_power_mw": c("power_mw") * c("stacks")}).drop("_load_zero")
     cfg = dict(base, _varying=("battery_power_mw",))
     keys = [*KEYS, "load_level_mw", "power_mw", "stacks"]
-    m = run_metrics(lane_dispatch(iv, lanes, keys, cfg, True), keys=keys, grid_allowed=True)
+    m = metrics_of(lane_metrics(chunks, lanes, keys, cfg, True, len(combos)), keys, grid_allowed=True)
     return m.select("site_id", "load_level_mw", "power_mw", "stacks", "firmness_pct", "merchant_revenue_usd",
                     "total_served_mwh", "grid_imp_mwh", "grid_exp_mwh", "total_charge_mwh", "total_natgas_mwh", "infeasible")
+
+
+# ---------------------------------------------------------------------------
+# D11 screening by scenarios
+# ---------------------------------------------------------------------------
+
+def scenario_screening(iv: DataFrame, site_scenarios: DataFrame) -> DataFrame:
+    """Every site screened by its own scenario: window (P1), synthetic
+    load (P11), configuration, economics, ranges, target and grid from its row.
+
+    ``site_scenarios`` has site_id and the columns of ``sources.scenarios.read_scenarios``.
+    Returns the ranked sweep with ``scenario`` and ``target_pct``; a site
+    without an interval in its window has no rows.
+    """
+    c = F.col
+    chunks = windowed_chunks(chunks_of(iv), site_scenarios)
+    facts = site_facts(chunks)
+    grid = candidate_grid(facts.join(site_scenarios, "site_id"), None)
+    given = site_scenarios.select("site_id", c("name").alias("scenario"), c("reliability_target_pct").alias("target_pct"),
+                                  "grid_allowed", "run_config", "econ")
+    cands = grid.join(given, "site_id")
+    sizes = {"battery_power_mw": c("bess_power_mw"), "battery_duration_h": c("bess_duration_h"), "gas_pmax_mw": c("gas_mw"),
+             "gas_enabled": c("gas_mw") > 0, "gas_dispatchable": c("gas_mw") > 0,
+             "gas_pmin_mw": F.least(c("run_config.gas_pmin_mw"), c("gas_mw"))}
+    names = [f.name for f in given.schema["run_config"].dataType]
+    lanes = sweep_lanes(cands.select(
+        "site_id", "candidate_id", "grid_allowed", c("solar_mw").alias("cand_solar_mw"), c("wind_mw").alias("cand_wind_mw"),
+        *[sizes.get(n, c(f"run_config.{n}")).alias(n) for n in names]), facts)
+    both = None
+    for on in (False, True):
+        mine = lanes.where(c("grid_allowed") == on).drop("grid_allowed")
+        m = metrics_of(lane_metrics(chunks, mine, KEYS, None, on), KEYS, grid_allowed=on)
+        both = m if both is None else both.unionByName(m)
+    info = cands.withColumn("bess_energy_mwh", c("bess_power_mw") * c("bess_duration_h"))
+    rows = info.select(*grid.columns, "bess_energy_mwh", "scenario", "target_pct", *econ_columns("econ")).join(both, KEYS)
+    sweep = sweep_rows(rows.withColumn("_t", c("target_pct")), ("scenario", "target_pct", "site_id"))
+    return score_and_rank(sweep, c("target_pct"))

@@ -16,9 +16,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
     Session time zone is UTC so timestamp arithmetic is identical on every
     executor; AQE is on so shuffle partition counts and skewed joins are
-    re-planned at runtime.  The Spark UI stays off.
+    re-planned at runtime.  The Spark UI stays off.  A session on this machine
+    alone gets four shuffle partitions a core unless told otherwise; on a cluster
+    the deployment's ``spark.sql.shuffle.partitions`` stands.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
+    cores = re.fullmatch(r"local\[(\d+)\]", master or f"local[{cpus}]")
+    if shuffle_partitions is None and cores:
+        shuffle_partitions = 4 * int(cores[1])
     b = (SparkSession.builder
          .master(master or f"local[{cpus}]")
          .appName(app_name)
