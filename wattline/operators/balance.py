@@ -31,6 +31,9 @@ out values of the previous row (``lagged``) and the balance before it
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import and_
 from typing import Callable, Sequence
 
 import pyarrow as pa
@@ -38,6 +41,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.session import checkpoint_dir
+
 SPAN = 2048    # steps of a chunk
 FAN = 2048     # chunks of a group
 
@@ -157,16 +162,44 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def chunked_rows(df: DataFrame, keys: Sequence[str], position: Column, row: Column, span: int = SPAN) -> DataFrame:
+def chunked_rows(df: DataFrame, keys: Sequence[str], position: Column, row: Column, span: int = SPAN,
+                 constant: Sequence[str] = ()) -> DataFrame:
     """keys, _c, _rows: the rows of each time chunk as one sorted array.
 
     The rows are dealt by (key, chunk) over the session's partition count, so
     the Python stage that follows isn't folded into a few tasks, and a key's
-    chunks go to different tasks.
+    chunks go to different tasks.  Rows that carry their chunk ``_c`` from a fold
+    before (``keep_chunk``) still lie in their chunk's task: no exchange, so what
+    follows should read the result once.
+    ``constant`` are columns that are the same in all rows of a key; they are
+    kept once for a chunk.
     """
-    d = df.withColumn("_c", F.floor(position / F.lit(span)).cast("long"))
-    return (d.repartition(shuffle_partitions(df), *keys, "_c").groupBy(*keys, "_c")
-            .agg(F.array_sort(F.collect_list(row)).alias("_rows")))
+    d = df
+    if "_c" not in df.columns:
+        d = known(df.withColumn("_c", F.floor(position / F.lit(span)).cast("long")), [*keys, "_c"])
+        d = d.repartition(shuffle_partitions(df), *keys, "_c")
+    return d.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(row)).alias("_rows"),
+                                      *[F.first(c).alias(c) for c in constant])
+
+
+def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are not null.
+
+    A join by these keys drops the others anyway, but lets its own side know
+    only; with the filter here all readers of an exchange ask for the same rows,
+    and Spark runs it once.
+    """
+    return df.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Store a table once in the shared folder, bucketed by ``keys`` as ``df``
+    is dealt: joins on them read it without an exchange."""
+    spark = df.sparkSession
+    name = f"wattline_{name}_{uuid.uuid4().hex}"
+    (df.write.bucketBy(shuffle_partitions(df), *keys).option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+     .option("compression", "zstd").saveAsTable(name))
+    return spark.table(name)
 
 
 def shifted(first: Column, arr: Column) -> Column:
@@ -185,7 +218,7 @@ def openings(chunks: DataFrame, keys: Sequence[str], *, compose: Callable, fold:
     keys = list(keys)
     e = F.struct("_c", "_f", "_last")
     group = keys if depth == 0 else [*keys, "_b"]
-    d = chunks if depth == 0 else chunks.withColumn("_b", F.floor(F.col("_c") / F.lit(fan)).cast("long"))
+    d = chunks if depth == 0 else known(chunks.withColumn("_b", F.floor(F.col("_c") / F.lit(fan)).cast("long")), group)
     groups = d.groupBy(*group).agg(F.array_sort(F.collect_list(e)).alias("_e"))
     functions = F.transform("_e", lambda x: x["_f"])
     if depth == 0:
@@ -215,7 +248,7 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
                     lo: Column | str | float, hi: Column | str | float, *, order: Sequence[str] = (), out: str = "soc",
                     prev_out: str | None = "soc_prev", prev2_out: str | None = None,
                     lagged: dict[str, Column] | None = None, init: float = 0.0, span: int = SPAN,
-                    fan: int = FAN) -> DataFrame:
+                    fan: int = FAN, keep_chunk: bool = False) -> DataFrame:
     """Append the bounded running balance of ``step`` per key in time order.
 
     ``position`` is a long that doesn't fall with time (the interval index); it
@@ -224,13 +257,14 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
     ``out`` is the balance after the row's step, ``prev_out`` before it,
     ``prev2_out`` before the previous row's step; ``lagged`` names expressions
     to take from the previous row (null in a key's first row).  ``span`` and
-    ``fan`` only affect speed.
+    ``fan`` only affect speed.  ``keep_chunk`` keeps the chunk ``_c``, for an
+    operator that goes on in the chunks.
     """
     c = lambda x: F.col(x) if isinstance(x, str) else (x if isinstance(x, Column) else F.lit(float(x)))
     keys = list(keys)
     lagged = lagged or {}
     pos = c(position).cast("long")
-    payload = [x for x in df.columns if x not in keys]
+    payload = [x for x in df.columns if x not in (*keys, "_c")]
     first = list(order) or []
     row = F.struct(*([F.col(o) for o in first] or [pos.alias("_p")]), *[x for x in payload if x not in first],
                    c(step).cast("double").alias("_a"), c(lo).cast("double").alias("_lo"),
@@ -244,7 +278,8 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
     zipped = [F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), F.col("s_prev"), thin).alias("s")]
     if lagged:
         zipped.append(shifted(F.col("_before"), F.transform("_rows", lags)).alias("b"))
-    z = j.select(*keys, F.inline(F.arrays_zip(*zipped)))
+    kept = ["_c"] if keep_chunk else []
+    z = j.select(*keys, *kept, F.inline(F.arrays_zip(*zipped)))
     cols = [F.col(f"r.{x}").alias(x) for x in payload]
     cols += [F.col(f"s.{f}").alias(n) for f, n in (("s", out), ("s0", prev_out), ("sp", prev2_out)) if n]
-    return z.select(*keys, *cols, *[F.col(f"b.{n}").alias(n) for n in lagged])
+    return z.select(*keys, *kept, *cols, *[F.col(f"b.{n}").alias(n) for n in lagged])

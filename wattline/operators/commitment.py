@@ -146,15 +146,15 @@ def _fold_chunk(s_in: pa.Array, steps: pa.Array) -> pa.Array:
 
 
 def commit(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[str], want: Column, up: Column,
-           down: Column, out: str, prev_out: str, span: int = SPAN, fan: int = FAN) -> DataFrame:
+           down: Column, out: str, prev_out: str, span: int = SPAN, fan: int = FAN, keep_chunk: bool = False) -> DataFrame:
     """Append the unit's status (1.0 on, 0.0 off) in each interval, and before it.
 
     ``up`` and ``down`` are numbers of intervals, the same in all rows of a key
     (0 counts as 1).  Rows are counted, so missing intervals don't matter;
-    ``span`` and ``fan`` only affect speed.
+    ``span`` and ``fan`` only affect speed; ``keep_chunk`` as in ``bounded_balance``.
     """
     keys = list(keys)
-    payload = [x for x in df.columns if x not in keys]
+    payload = [x for x in df.columns if x not in (*keys, "_c")]
     row = F.struct(*[F.col(o) for o in order], *[x for x in payload if x not in order],
                    F.coalesce(want, F.lit(False)).alias("_w"), up.cast("int").alias("_u"), down.cast("int").alias("_d"))
     blocks = chunked_rows(df, keys, position.cast("long"), row, span)
@@ -163,7 +163,8 @@ def commit(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence
     opened = openings(chunks, keys, compose=_compose_group, fold=_fold_group, init=F.lit(REST),
                       init_prev=F.lit(None).cast("int"), last_type=chunks.schema["_last"].dataType, fan=fan)
     j = blocks.join(opened.select(*keys, "_c", "s_in").hint("shuffle_hash"), [*keys, "_c"])
-    z = j.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), thin).alias("s"))))
+    kept = ["_c"] if keep_chunk else []
+    z = j.select(*keys, *kept, F.inline(F.arrays_zip(F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), thin).alias("s"))))
     status = lambda c: F.when(F.col(c) > 0, 1.0).otherwise(0.0)
-    return z.select(*keys, *[F.col(f"r.{x}").alias(x) for x in payload], status("s.s").alias(out),
+    return z.select(*keys, *kept, *[F.col(f"r.{x}").alias(x) for x in payload], status("s.s").alias(out),
                     status("s.s0").alias(prev_out))

@@ -15,7 +15,6 @@ a kernel; ``lane_dispatch`` returns the rows themselves.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from typing import Any, Callable, Mapping, Sequence
 
@@ -28,9 +27,8 @@ from pyspark.sql import types as T
 from wattline.config import (battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, gas_no_load_cost,
                              gas_variable_cost)
 from wattline.functions.profiles import synthetic_load
-from wattline.operators.balance import _CLAMPS, SPAN, chunked_rows, clamp_openings, shifted, shuffle_partitions
+from wattline.operators.balance import _CLAMPS, SPAN, bucketed, chunked_rows, clamp_openings, shifted, shuffle_partitions
 from wattline.operators.dispatch import EPS_ON, KEYS, _attach, _derive, _flows, finish, marginal_gas_cost, seconds_of
-from wattline.session import checkpoint_dir
 
 #: Bytes of the balances of one block over one chunk; the block's lanes follow from it.
 BLOCK_BYTES = 2 << 20
@@ -71,18 +69,14 @@ def stored_chunks(iv: DataFrame, dt_hours: float = 1.0) -> DataFrame:
 
 
 def _stored(chunks: DataFrame) -> DataFrame:
-    spark = chunks.sparkSession
     top = lambda c: F.array_max(F.transform("_rows", lambda r: r[c]))
     add = lambda f: F.aggregate("_rows", F.lit(0.0), lambda a, r: a + f(r))
-    d = chunks.select(
+    return bucketed(chunks.select(
         "site_id", "_c", "_rows", F.element_at("_rows", -1).alias("_last"), top("solar_mw").alias("solar_top"),
         top("wind_mw").alias("wind_top"), add(lambda r: r["natgas_mw"]).alias("gas_sum"),
         add(lambda r: F.abs(r["load_mw"])).alias("load_sum"),
-        F.element_at("_rows", 1)["ts"].alias("first_ts"), F.element_at("_rows", -1)["ts"].alias("last_ts"))
-    name = f"wattline_chunks_{uuid.uuid4().hex}"
-    (d.write.bucketBy(shuffle_partitions(chunks), "site_id", "_c").option(
-        "path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name))
-    return spark.table(name)
+        F.element_at("_rows", 1)["ts"].alias("first_ts"), F.element_at("_rows", -1)["ts"].alias("last_ts")),
+        ["site_id", "_c"], "chunks")
 
 
 def windowed_chunks(chunks: DataFrame, site_config: DataFrame) -> DataFrame:

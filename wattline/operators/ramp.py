@@ -139,14 +139,14 @@ def _fold_chunk(s_in: pa.Array, steps: pa.Array) -> pa.Array:
 
 def ramp_follow(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[str], target: Column, up: Column,
                 down: Column, bound: Column, out: str, prev_out: str, lagged: dict[str, Column] | None = None,
-                span: int = SPAN, fan: int = FAN) -> DataFrame:
+                span: int = SPAN, fan: int = FAN, keep_chunk: bool = False) -> DataFrame:
     """Append the value that follows ``target``, and the one before it.
 
-    ``bound`` is a value that no target of the key exceeds; ``lagged`` as in
-    ``bounded_balance``.
+    ``bound`` is a value that no target of the key exceeds; ``lagged`` and
+    ``keep_chunk`` as in ``bounded_balance``.
     """
     keys, lagged = list(keys), lagged or {}
-    payload = [x for x in df.columns if x not in keys]
+    payload = [x for x in df.columns if x not in (*keys, "_c")]
     row = F.struct(*[F.col(o) for o in order], *[x for x in payload if x not in order],
                    target.cast("double").alias("_t"), up.cast("double").alias("_u"), down.cast("double").alias("_d"),
                    bound.cast("double").alias("_b"), *[e.alias(n) for n, e in lagged.items()])
@@ -158,8 +158,9 @@ def ramp_follow(df: DataFrame, keys: Sequence[str], position: Column, order: Seq
     opened = openings(chunks, keys, compose=_compose_group, fold=_fold_group, init=F.lit(0.0),
                       init_prev=F.lit(None).cast("double"), last_type=chunks.schema["_last"].dataType, fan=fan)
     j = blocks.join(opened.hint("shuffle_hash"), [*keys, "_c"])
-    z = j.select(*keys, F.inline(F.arrays_zip(
+    kept = ["_c"] if keep_chunk else []
+    z = j.select(*keys, *kept, F.inline(F.arrays_zip(
         F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), thin).alias("s"),
         shifted(F.col("_before"), F.transform("_rows", lags)).alias("b"))))
-    return z.select(*keys, *[F.col(f"r.{x}").alias(x) for x in payload], F.col("s.s").alias(out),
+    return z.select(*keys, *kept, *[F.col(f"r.{x}").alias(x) for x in payload], F.col("s.s").alias(out),
                     F.col("s.s0").alias(prev_out), *[F.col(f"b.{n}").alias(n) for n in lagged])

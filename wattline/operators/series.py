@@ -7,9 +7,13 @@ carried by a chunk table (one row per chunk) joined back; the chunk table's own
 windows are cut into chunks again, ``DEPTH`` times:
 
 * running sums (W1): chunk-local running sum + sum of all earlier chunks;
-* preceding rows (W2-W6): every chunk comes with the last n rows before it, so
-  previous values and sums over the last rows are taken in place.  Rows are
-  counted, not positions, so missing intervals don't matter.
+* preceding rows (W2-W4, W6): every chunk comes with the last n rows before it, so
+  previous values are taken in place;
+* counts of events in the last rows (W5): a window is the difference of two
+  prefix counts, the events up to a row and those that have left its window by
+  then, so its length costs nothing.
+
+Rows are counted, not positions, so missing intervals don't matter.
 
 ``pos`` deals the rows to chunks; rows are ordered by ``pos`` and ``ties``.
 """
@@ -18,8 +22,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.operators.balance import FAN, chunked_rows
 
@@ -84,3 +91,71 @@ def _tails(ends: DataFrame, keys: list[str], n: int, depth: int) -> DataFrame:
     before = F.transform("_e", lambda x, i: F.struct(x["_c"].alias("_c"), _last(F.concat(
         F.col("_open"), F.flatten(_last(F.slice(own, 1, i), n))), n).alias("_tail")))
     return opened.select(*keys, F.inline(before))
+
+
+def preceding(ends: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """keys, _c, _tail: the last ``n`` rows before each chunk, from each chunk's
+    own last rows (keys, _c, _tail)."""
+    return _tails(ends, list(keys), n, 1)
+
+
+def events(flag: str, rows: str = "_rows") -> Column:
+    """Places (from 0) of a chunk's rows in which ``flag`` is positive."""
+    at = F.transform(rows, lambda r, i: F.when(r[flag] > 0, i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
+def window_starts(chunks: DataFrame, keys: Sequence[str], kinds: dict[str, str], span: int = SPAN) -> DataFrame:
+    """What a chunk needs to count the events in its rows' windows: keys, _c, and
+    for each kind a struct of that name: ``first`` (rows of the key before the
+    chunk), ``alive`` (events still in the window of the row before the chunk,
+    plus those that leave in the bucket before its first row), ``gone`` (row numbers
+    at which events leave).
+
+    ``chunks`` has keys, _c, n (rows) and for each kind an array of event
+    places; ``kinds`` maps the kind to the column with its window's length (0:
+    no window, no events are looked at).  An event in row s leaves the window in row s +
+    length; these row numbers are dealt to buckets of ``span`` rows and met by the
+    chunks that overlap them, so neither a long window nor a long key gathers
+    anywhere.
+    """
+    keys = list(keys)
+    c = F.col
+    long = chunks.select(*keys, "_c", "n", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.when(c(w) > 0, c(k)).otherwise(F.slice(c(k), 1, 0)).alias("at"),
+                 c(w).cast("long").alias("length")) for k, w in kinds.items()])))
+    part = [*keys, "kind"]
+    d = running_sums(long.withColumn("m", F.size("at").cast("long")), part, "_c", {"_rows_to": "n", "_events_to": "m"}, span=FAN, depth=1)
+    d = d.select(*part, "_c", "n", "length", "at", (c("_rows_to") - c("n")).alias("first"),
+                 (c("_events_to") - c("m")).alias("seen"))
+    leave = d.select(*part, F.explode("at").alias("i"), "first", "length").select(
+        *part, (c("first") + c("i") + c("length")).alias("r")).withColumn("b", F.floor(c("r") / span).cast("long"))
+    met = d.select(*part, "_c", F.explode(F.sequence(F.floor(c("first") / span), F.floor((c("first") + c("n") - 1) / span)))
+                   .alias("b")).withColumn("b", c("b").cast("long"))
+    # every bucket that a chunk overlaps, with the events that leave in it, and before it
+    filled = (leave.select(*part, "b", "r").unionByName(met.select(*part, "b").withColumn("r", F.lit(None).cast("long")))
+              .groupBy(*part, "b").agg(F.array_sort(F.collect_list("r")).alias("gone")))
+    filled = running_sums(filled.withColumn("m", F.size("gone").cast("long")), part, "b", {"_left_to": "m"}, span=FAN, depth=1)
+    near = met.join(filled.select(*part, "b", "gone", (c("_left_to") - c("m")).alias("left")), [*part, "b"])
+    per = near.groupBy(*part, "_c").agg(F.min("left").alias("left"),
+                                        F.array_sort(F.flatten(F.collect_list("gone"))).alias("gone"))
+    one = d.select(*part, "_c", "first", "seen").join(per, [*part, "_c"]).select(
+        *part, "_c", F.struct("first", (c("seen") - c("left")).alias("alive"), "gone").alias("w"))
+    return one.groupBy(*keys, "_c").agg(*[F.first(F.when(c("kind") == k, c("w")), ignorenulls=True).alias(k) for k in kinds])
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def window_counts(flags: pa.Array, window: pa.Array) -> pa.Array:
+    """For each row of a chunk the events in its window, itself included, from
+    the chunk's flags and what ``window_starts`` found."""
+    flags, window = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (flags, window))
+    offs, f = flags.offsets.to_numpy(), flags.values.to_numpy(zero_copy_only=False)
+    first, alive = (window.field(c).to_numpy(zero_copy_only=False) for c in ("first", "alive"))
+    gone = window.field("gone")
+    at, left = gone.offsets.to_numpy(), gone.values.to_numpy(zero_copy_only=False)
+    out = np.empty(offs[-1] - offs[0])
+    for k, (lo, hi) in enumerate(zip(offs[:-1], offs[1:])):
+        rows = first[k] + np.arange(hi - lo)
+        out[lo - offs[0]:hi - offs[0]] = (alive[k] + np.cumsum(f[lo:hi] > 0)
+                                          - np.searchsorted(left[at[k]:at[k + 1]], rows, side="right"))
+    return pa.ListArray.from_arrays(pa.array((offs - offs[0]).astype(np.int32)), pa.array(out))

@@ -446,7 +446,7 @@ def q_cumulative_revenue(spark, sf_dir):
 
 
 def _audit_disp(spark, sf_dir):
-    return serve_first_dispatch(intervals(spark, sf_dir), keys=["site_id"], cfg=AUDIT_CFG)
+    return serve_first_dispatch(intervals(spark, sf_dir), keys=["site_id"], cfg=AUDIT_CFG, keep_chunks=True)
 
 
 _GS_SQL = f"""

@@ -393,4 +393,4 @@ _COMMIT_AUDIT = C._audit_sql(COMMIT_CFG)
 @register("commitment_audit", with_sql(_COMMIT_SQL + ",\n" + _COMMIT_AUDIT[0], _COMMIT_AUDIT[1]))
 def q_commitment_audit(spark, sf_dir):
     """D7 over the committed dispatch: no violation of the minimum times."""
-    return dispatch_audit(_committed(spark, sf_dir), keys=["site_id"])
+    return dispatch_audit(_committed(spark, sf_dir, keep_chunks=True), keys=["site_id"])
