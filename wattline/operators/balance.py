@@ -168,18 +168,12 @@ def chunked_rows(df: DataFrame, keys: Sequence[str], position: Column, row: Colu
 
     The rows are dealt by (key, chunk) over the session's partition count, so
     the Python stage that follows isn't folded into a few tasks, and a key's
-    chunks go to different tasks.  Rows that carry their chunk ``_c`` from a fold
-    before (``keep_chunk``) still lie in their chunk's task: no exchange, so what
-    follows should read the result once.
-    ``constant`` are columns that are the same in all rows of a key; they are
+    chunks go to different tasks.  ``constant`` are columns that are the same in all rows of a key; they are
     kept once for a chunk.
     """
-    d = df
-    if "_c" not in df.columns:
-        d = known(df.withColumn("_c", F.floor(position / F.lit(span)).cast("long")), [*keys, "_c"])
-        d = d.repartition(shuffle_partitions(df), *keys, "_c")
-    return d.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(row)).alias("_rows"),
-                                      *[F.first(c).alias(c) for c in constant])
+    d = known(df.withColumn("_c", F.floor(position / F.lit(span)).cast("long")), [*keys, "_c"])
+    return d.repartition(shuffle_partitions(df), *keys, "_c").groupBy(*keys, "_c").agg(
+        F.array_sort(F.collect_list(row)).alias("_rows"), *[F.first(c).alias(c) for c in constant])
 
 
 def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -192,6 +186,14 @@ def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/wattline_{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bucketed(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Store a table once in the shared folder, bucketed by ``keys`` as ``df``
     is dealt: joins on them read it without an exchange."""
@@ -248,7 +250,7 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
                     lo: Column | str | float, hi: Column | str | float, *, order: Sequence[str] = (), out: str = "soc",
                     prev_out: str | None = "soc_prev", prev2_out: str | None = None,
                     lagged: dict[str, Column] | None = None, init: float = 0.0, span: int = SPAN,
-                    fan: int = FAN, keep_chunk: bool = False) -> DataFrame:
+                    fan: int = FAN) -> DataFrame:
     """Append the bounded running balance of ``step`` per key in time order.
 
     ``position`` is a long that doesn't fall with time (the interval index); it
@@ -257,14 +259,13 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
     ``out`` is the balance after the row's step, ``prev_out`` before it,
     ``prev2_out`` before the previous row's step; ``lagged`` names expressions
     to take from the previous row (null in a key's first row).  ``span`` and
-    ``fan`` only affect speed.  ``keep_chunk`` keeps the chunk ``_c``, for an
-    operator that goes on in the chunks.
+    ``fan`` only affect speed.
     """
     c = lambda x: F.col(x) if isinstance(x, str) else (x if isinstance(x, Column) else F.lit(float(x)))
     keys = list(keys)
     lagged = lagged or {}
     pos = c(position).cast("long")
-    payload = [x for x in df.columns if x not in (*keys, "_c")]
+    payload = [x for x in df.columns if x not in keys]
     first = list(order) or []
     row = F.struct(*([F.col(o) for o in first] or [pos.alias("_p")]), *[x for x in payload if x not in first],
                    c(step).cast("double").alias("_a"), c(lo).cast("double").alias("_lo"),
@@ -278,8 +279,7 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
     zipped = [F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), F.col("s_prev"), thin).alias("s")]
     if lagged:
         zipped.append(shifted(F.col("_before"), F.transform("_rows", lags)).alias("b"))
-    kept = ["_c"] if keep_chunk else []
-    z = j.select(*keys, *kept, F.inline(F.arrays_zip(*zipped)))
+    z = j.select(*keys, F.inline(F.arrays_zip(*zipped)))
     cols = [F.col(f"r.{x}").alias(x) for x in payload]
     cols += [F.col(f"s.{f}").alias(n) for f, n in (("s", out), ("s0", prev_out), ("sp", prev2_out)) if n]
-    return z.select(*keys, *kept, *cols, *[F.col(f"b.{n}").alias(n) for n in lagged])
+    return z.select(*keys, *cols, *[F.col(f"b.{n}").alias(n) for n in lagged])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.operators.balance import FAN, chunked_rows
+from wattline.operators.balance import FAN, chunked_rows, shuffle_partitions, stored
 
 SPAN = 1024
 DEPTH = 2
@@ -159,3 +159,26 @@ def window_counts(flags: pa.Array, window: pa.Array) -> pa.Array:
         out[lo - offs[0]:hi - offs[0]] = (alive[k] + np.cumsum(f[lo:hi] > 0)
                                           - np.searchsorted(left[at[k]:at[k + 1]], rows, side="right"))
     return pa.ListArray.from_arrays(pa.array((offs - offs[0]).astype(np.int32)), pa.array(out))
+
+
+def ranged(df: DataFrame, part: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """The rows in ranges of (part, order), stored once: ``_p`` is a row's range.
+
+    Ranges come from a sample of the keys, so a very large part spreads over
+    many and small ones share one; the table keeps each row in the range it
+    was dealt to, whatever is lost or read again.
+    """
+    n = shuffle_partitions(df)
+    return stored(df.repartitionByRange(n, *[F.col(p) for p in part], *order).withColumn("_p", F.spark_partition_id()), name)
+
+
+def row_numbers(rows: DataFrame, part: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """``row_number`` of each part over rows of ``ranged``: the place in the range,
+    and the numbers of rows in the part's ranges before."""
+    part = list(part)
+    counts = rows.groupBy(*part, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = rows.withColumn("_local", F.row_number().over(Window.partitionBy(*part, "_p").orderBy(*order)))
+    return local.join(carry, [*part, "_p"]).withColumn(out, (F.col("_local") + F.col("_before")).cast("long")).drop(
+        "_local", "_before")

@@ -26,6 +26,7 @@ from wattline.functions.econ import annual_figures, annualized_cost, econ_column
 from wattline.functions.text import money_text
 from wattline.operators.lanes import lane_dispatch, lane_metrics, site_facts, stored_chunks, windowed_chunks
 from wattline.operators.metrics import metrics_of
+from wattline.operators.series import ranged, row_numbers
 
 RANGE_NAMES = ["solar", "wind", "bess_power", "bess_duration", "gas"]
 CAND_COLS = ["solar_mw", "wind_mw", "bess_power_mw", "bess_duration_h", "gas_mw"]
@@ -199,22 +200,29 @@ def score_and_rank(sweep: DataFrame, target_pct: float | Column, part: Sequence[
     yes).  Failed rows (ok = false) are neither reliable nor Pareto and rank
     behind all others.  Rank: reliable rows by cost, then the others by
     firmness, ties by candidate_id.
+
+    The sweep is stored in ranges of the rank's order.  Ranks are places in a
+    range plus the sizes of the ranges before; a range hands on only the rows
+    that lower its least cost so far, and the site's frontier is found among
+    those.  No task holds a site's whole grid.
     """
     c = F.col
     part = list(part)
     target = target_pct if isinstance(target_pct, Column) else F.lit(float(target_pct))
     d = sweep.withColumn("meets_reliability", c("ok") & F.coalesce(c("firmness_pct") >= target, F.lit(False)))
-    w = Window.partitionBy(*part).orderBy(c("firmness_pct").desc(), c("total_annual_cost_usd").asc(),
-                                          c("candidate_id").asc())
-    best_before = F.min(F.when(c("ok"), c("total_annual_cost_usd"))).over(
-        w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("is_pareto", c("ok") & (best_before.isNull()
-                                             | (c("total_annual_cost_usd") < best_before - F.lit(1e-6))))
-    wr = Window.partitionBy(*part).orderBy(c("ok").desc(), c("meets_reliability").desc(),
-                                           F.when(c("meets_reliability"), c("total_annual_cost_usd")).asc_nulls_last(),
-                                           c("firmness_pct").desc(), c("total_annual_cost_usd").asc(),
-                                           c("candidate_id").asc())
-    return d.withColumn("rank", F.row_number().over(wr).cast("long"))
+    order = [c("ok").desc(), c("meets_reliability").desc(),
+             F.when(c("meets_reliability"), c("total_annual_cost_usd")).asc_nulls_last(), c("firmness_pct").desc(),
+             c("total_annual_cost_usd").asc(), c("candidate_id").asc()]
+    d = ranged(d, part, order, "sweep")
+    cost, lower = c("total_annual_cost_usd"), Window.unboundedPreceding
+    firm = [c("firmness_pct").desc(), cost.asc(), c("candidate_id").asc()]
+    best = lambda by: F.min(cost).over(Window.partitionBy(*by).orderBy(*firm).rowsBetween(lower, -1))
+    fine = d.where("ok").select(*part, "_p", "candidate_id", "firmness_pct", "total_annual_cost_usd")
+    steps = fine.withColumn("_best", best([*part, "_p"])).where(c("_best").isNull() | (cost < c("_best")))
+    front = (steps.withColumn("_best", best(part)).where(c("_best").isNull() | (cost < c("_best") - F.lit(1e-6)))
+             .select(*part, "candidate_id", F.lit(True).alias("is_pareto")))
+    return row_numbers(d, part, order, "rank").join(front, [*part, "candidate_id"], "left").withColumn(
+        "is_pareto", F.coalesce("is_pareto", F.lit(False))).select(*sweep.columns, "meets_reliability", "is_pareto", "rank")
 
 
 def recommend(ranked: DataFrame, target_pct: float | Column, sites: DataFrame | None = None,
