@@ -98,6 +98,17 @@ def month_label(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def month_days(ts: Column) -> Column:
+    """days in the month."""
+    return F.dayofmonth(F.last_day(ts))
+
+
+def year_span(first: Column, last: Column) -> Column:
+    """'2024', or '2023-2024' over several years."""
+    a, b = F.year(first).cast("string"), F.year(last).cast("string")
+    return F.when(a == b, a).otherwise(F.concat(a, F.lit("-"), b))
+
+
 def with_gas_availability(df: DataFrame, column: str = "gas_avail_mw") -> DataFrame:
     """The gas availability column falls back to the gas column when absent (or null)."""
     if column in df.columns:

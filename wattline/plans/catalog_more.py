@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.config import split_valid, with_config
-from wattline.functions.clean import (OPTIONAL, REQUIRED, clean_intervals, interval_quality, tidy_columns,
-                                      with_gas_availability)
+from wattline.functions.clean import (OPTIONAL, REQUIRED, clean_intervals, interval_quality, month_days, month_label,
+                                      tidy_columns, with_gas_availability, year_span)
 from wattline.functions.profiles import fill_synthetic_load
 from wattline.functions.text import parse_values
 from wattline.operators.audit import dispatch_audit, gas_commitment
@@ -24,8 +24,9 @@ from wattline.plans.catalog import SITE_CFG, d, intervals, register, with_sql
 from wattline.plans.dispatch_sql import serve_first_sql
 from wattline.session import checkpoint_dir, prepare_session
 from wattline.sources import scenarios as SC
-from wattline.sources.intervals import intervals_from_events
-from wattline.sources.schedule import default_schedule_wide, schedule_long
+from wattline.sources.intervals import CSV_HEADERS, intervals_from_events, read_interval_csv
+from wattline.sources.schedule import default_schedule_wide, read_schedule_csv, schedule_long, schedule_wide
+from wattline.sources.sinks import write_records, write_table
 
 Z = d(0.0)
 
@@ -394,3 +395,98 @@ _COMMIT_AUDIT = C._audit_sql(COMMIT_CFG)
 def q_commitment_audit(spark, sf_dir):
     """D7 over the committed dispatch: no violation of the minimum times."""
     return dispatch_audit(_committed(spark, sf_dir), keys=["site_id"])
+
+
+# ---------------------------------------------------------------------------
+# files written from the tables and read back (S1, S4, S6, S7), calendar
+# ---------------------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/wattline-{name}-{uuid.uuid4().hex}"
+
+
+@register("intervals_csv", with_sql("", f"""
+SELECT site_id, ts, CASE WHEN site_id % 2 = 0 THEN wind_mw ELSE {Z} END AS wind_mw, solar_mw, natgas_mw, load_mw, price,
+  CASE WHEN site_id % 2 = 0 THEN 'site ' || site_id || ', "hour"' || chr(10) || hour(ts) END AS note FROM intervals"""))
+def q_intervals_csv(spark, sf_dir):
+    """CSV files with different headers, quoted commas, quotes and line breaks, read back by header."""
+    h = dict(CSV_HEADERS)
+    iv = intervals(spark, sf_dir).withColumn("stamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    note = F.concat(F.lit("site "), F.col("site_id").cast("string"), F.lit(', "hour"\n'), F.hour("ts").cast("string"))
+    path = _folder(spark, "csv")
+    even = iv.where("site_id % 2 = 0").select(
+        note.alias("Note"), F.col("price").alias(h["price"]), F.col("stamp").alias(h["ts"]), F.col("site_id").alias("Site"),
+        *[F.col(c).alias(h[c]) for c in ("load_mw", "wind_mw", "natgas_mw", "solar_mw")])
+    odd = iv.where("site_id % 2 = 1").select(
+        F.col("stamp").alias(h["ts"]), *[F.col(c).alias(h[c]) for c in ("solar_mw", "natgas_mw", "load_mw", "price")],
+        F.col("site_id").alias("Site"))
+    for name, part in (("even", even), ("odd", odd)):
+        part.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+    raw = read_interval_csv(spark, path, site_id=F.col("site").cast("bigint"), headers=h | {"site": "Site", "note": "Note"},
+                            range_bytes=1 << 16)
+    clean = clean_intervals(raw)
+    notes = raw.select("site_id", F.col("ts").try_cast("timestamp_ntz").alias("ts"), "note")
+    return clean.join(notes, ["site_id", "ts"])
+
+
+@register("schedule_csv", with_sql("", """
+SELECT CAST(month(ts) AS INTEGER) AS month, CAST(hour(ts) AS INTEGER) AS hour,
+  CASE WHEN count_if(solar_mw > load_mw) * 3 > count(*) THEN 'C' WHEN count_if(load_mw > wind_mw) * 3 > count(*) THEN 'D' ELSE '' END AS action
+FROM intervals GROUP BY 1, 2"""))
+def q_schedule_csv(spark, sf_dir):
+    """A schedule by month and hour, written as a wide CSV template and read back."""
+    iv = intervals(spark, sf_dir)
+    often = lambda cond: F.count_if(cond) * 3 > F.count(F.lit(1))
+    lng = iv.groupBy(F.month("ts").alias("month"), F.hour("ts").alias("hour")).agg(
+        F.when(often(F.col("solar_mw") > F.col("load_mw")), " c").when(often(F.col("load_mw") > F.col("wind_mw")), "d ")
+        .otherwise("").alias("action"))
+    path = _folder(spark, "schedule")
+    write_table(schedule_wide(lng).withColumnsRenamed({f"h{k}": str(k) for k in range(24)}), path, "csv")
+    return schedule_long(read_schedule_csv(spark, path))
+
+
+@register("tables_written", with_sql(C._REF_SQL, f"""
+SELECT i.site_id, strftime(ts, '%Y-%m') AS month, count(*) AS n, max(load_mw) AS peak_mw, r.ref_solar_mw, r.ref_wind_mw
+FROM intervals i JOIN ref r ON r.site_id = i.site_id GROUP BY ALL"""))
+def q_tables_written(spark, sf_dir):
+    """Intervals as Parquet partitioned by month and reference MW as CSV, written and read back."""
+    iv = intervals(spark, sf_dir)
+    rows, refs = _folder(spark, "intervals"), _folder(spark, "refs")
+    write_table(iv.withColumn("month", month_label(F.col("ts"))), rows, partition_by=["month"])
+    write_table(SW.reference_mw(iv), refs, "csv")
+    back = spark.read.schema("site_id long, ts timestamp_ntz, load_mw double, month string").parquet(rows)
+    ref = spark.read.option("header", True).schema("site_id long, ref_solar_mw double, ref_wind_mw double").csv(refs)
+    return back.groupBy("site_id", "month").agg(F.count(F.lit(1)).alias("n"), F.max("load_mw").alias("peak_mw")).join(ref, "site_id")
+
+
+@register("records_written", with_sql(C._REF_SQL, """
+SELECT r.site_id, r.ref_solar_mw AS solar_mw, r.ref_wind_mw AS wind_mw, i.n, i.months
+FROM ref r JOIN (SELECT site_id, count(*) AS n, string_agg(DISTINCT strftime(ts, '%Y-%m'), ',' ORDER BY strftime(ts, '%Y-%m')) AS months
+                 FROM intervals GROUP BY site_id) i ON i.site_id = r.site_id"""))
+def q_records_written(spark, sf_dir):
+    """Nested records as JSON lines, written and read back."""
+    iv = intervals(spark, sf_dir)
+    rec = SW.reference_mw(iv).join(iv.groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(month_label(F.col("ts")))).alias("months")), "site_id").select(
+            "site_id", F.struct(F.col("ref_solar_mw").alias("solar_mw"), F.col("ref_wind_mw").alias("wind_mw")).alias("config"),
+            F.struct("n", "months").alias("horizon"))
+    path = _folder(spark, "records")
+    write_records(rec, path)
+    back = spark.read.schema(rec.schema).json(path)
+    return back.select("site_id", "config.solar_mw", "config.wind_mw", "horizon.n", F.concat_ws(",", "horizon.months").alias("months"))
+
+
+@register("calendar", with_sql("", """
+SELECT site_id, strftime(ts, '%Y-%m') AS month, CAST(max(day(last_day(ts))) AS INTEGER) AS days_in_month,
+  CASE WHEN min(year(ts)) = max(year(ts)) THEN CAST(min(year(ts)) AS VARCHAR)
+       ELSE min(year(ts)) || '-' || max(year(ts)) END AS years, count(*) AS n
+FROM (SELECT site_id, ts + to_days(CAST((site_id % 5) * 80 AS INTEGER)) AS ts FROM intervals
+      UNION ALL SELECT site_id, ts + to_days(CAST((site_id % 3) * 120 AS INTEGER)) FROM intervals) GROUP BY ALL"""))
+def q_calendar(spark, sf_dir):
+    """month, days in it and span of years, over series moved by some months."""
+    iv = intervals(spark, sf_dir).select("site_id", "ts")
+    moved = lambda n, k: iv.withColumn("ts", F.col("ts") + F.make_dt_interval(F.col("site_id") % n * k))
+    d = moved(5, 80).unionByName(moved(3, 120))
+    return d.groupBy("site_id", month_label(F.col("ts")).alias("month")).agg(
+        F.max(month_days(F.col("ts"))).alias("days_in_month"), year_span(F.min("ts"), F.max("ts")).alias("years"),
+        F.count(F.lit(1)).alias("n"))

@@ -7,10 +7,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.sources.csv_source import HeadedCsv
+
 INTERVAL_COLUMNS = ["site_id", "ts", "wind_mw", "solar_mw", "natgas_mw", "load_mw", "price"]
 INTERVAL_SCHEMA = T.StructType([
     T.StructField("site_id", T.LongType(), False),
@@ -41,31 +45,24 @@ def hour_floor(ts: Column) -> Column:
 
 
 def read_interval_csv(spark: SparkSession, path: str, site_id: int | Column | None = None,
-                      headers: dict[str, str] | None = None) -> DataFrame:
-    """Scan interval CSV files, every column as text.
+                      headers: dict[str, str] | None = None, range_bytes: int | None = None,
+                      quoted_breaks: bool = True) -> DataFrame:
+    """Scan interval CSV files (``sources.csv_source``), every column as text.
 
     Columns are typed afterwards (``functions.clean``), so a bad cell never
     fails the scan.  Columns absent from the file come back null and are
-    zero-filled by the cleaning step.  ``site_id`` is a
-    literal, or (default) derived from the file name via ``_metadata``.
+    zero-filled by the cleaning step.  ``site_id`` is a literal or a column, or
+    (default) a hash of the file's path.  ``headers`` maps the wanted columns to
+    the files' headers; ``quoted_breaks`` false says that no field holds a line break.
     """
     headers = headers or CSV_HEADERS
-    # Files may differ in their columns, and a scan of several takes the first one's header for
-    # all: so every file is read as lines, and its own header line tells which field is which.
-    lines = spark.read.text(path, wholetext=False).select(
-        F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
-    first = lines.where(F.col("_at") == 0).withColumn("_n", F.monotonically_increasing_id()).groupBy("_file").agg(
-        F.min_by("value", "_n").alias("_head"))
-    width = max(first.agg(F.max(F.size(F.split("_head", ",")))).first()[0] or 1, 1)  # fields of the longest header
-    field = F.from_csv(F.col("value"), ", ".join(f"_{k} STRING" for k in range(width)),
-                       {"mode": "PERMISSIVE", "maxColumns": str(max(width + 1, 20480))})
-    names = F.transform(F.split("_head", ","), lambda x: F.trim(F.translate(x, '"\r\ufeff', "")))
-    rows = lines.join(first, "_file").where((F.col("value") != F.col("_head")) & (F.trim("value") != "")).select(
-        "_file", field.alias("_f"), names.alias("_names")).withColumn("_v", F.array(*[F.col(f"_f._{k}") for k in range(width)]))
-    place = lambda h: F.array_position("_names", h).cast("int")
+    spark.dataSource.register(HeadedCsv)
+    reader = spark.read.format("headed_csv").options(headers=json.dumps(headers), quotedBreaks=str(quoted_breaks).lower())
+    if range_bytes:
+        reader = reader.option("rangeBytes", range_bytes)
+    rows = reader.load(path)
     sid = (F.lit(site_id) if isinstance(site_id, int) else site_id) if site_id is not None else F.abs(F.xxhash64("_file"))
-    return rows.select(sid.cast("bigint").alias("site_id"), F.element_at(F.split("_file", "/"), -1).alias("file_name"), *[
-        F.when(place(h) > 0, F.get("_v", place(h) - 1)).alias(n) for n, h in headers.items()])
+    return rows.select(sid.cast("bigint").alias("site_id"), F.element_at(F.split("_file", "/"), -1).alias("file_name"), *headers)
 
 
 def intervals_from_events(spark: SparkSession, sf_dir: str, window: tuple[str, str] | None = None) -> DataFrame:
