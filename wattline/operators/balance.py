@@ -36,6 +36,7 @@ from functools import reduce
 from operator import and_
 from typing import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,40 +65,28 @@ def lists_of(arr: pa.Array, fields: Sequence[str]):
         yield [c.slice(lo, hi - lo).to_pylist() for c in cols]
 
 
-def compose_steps(a, lo, hi) -> tuple[float, ...]:
-    """Clamp steps in order as one clamp, and as one without the last."""
-    A, L, H = 0.0, -_INF, _INF
-    g = (A, L, H)
-    for x, l, h in zip(a, lo, hi):
-        g = (A, L, H)
-        A += x
-        L += x
-        H += x
-        if L < l:
-            L = l
-        if L > h:
-            L = h
-        if H < l:
-            H = l
-        if H > h:
-            H = h
-    return (A, L, H, *g)
-
-
-def fold_steps(s: float, sp: float | None, a, lo, hi) -> tuple[list, list, list]:
-    """Balance before, after, and before the previous step, of every step."""
-    before, after, before2 = [], [], []
-    for x, l, h in zip(a, lo, hi):
-        before2.append(sp)
-        before.append(s)
-        sp = s
-        s = s + x
-        if s < l:
-            s = l
-        if s > h:
-            s = h
-        after.append(s)
-    return before, after, before2
+def matrices(arr: pa.Array, fields: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Lengths of lists of structs, and each field as a matrix: a list in each
+    column, zeros after its end.  A step of all lists is then one vector."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    offs = arr.offsets.to_numpy()
+    n = np.diff(offs)
+    inside = np.arange(int(n.max()) if len(n) else 0)[:, None] < n
+    out = []
+    for f in fields:
+        m = np.zeros(inside.T.shape)
+        m[inside.T] = arr.values.field(f).to_numpy(zero_copy_only=False)[offs[0]:offs[-1]]
+        out.append(np.ascontiguousarray(m.T))
+    return n, out
+
+
+def laid_out(n: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Array:
+    """Matrices back as lists of structs (NaN: null)."""
+    inside = (np.arange(int(n.max()) if len(n) else 0)[:, None] < n).T
+    vals = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m.T)[inside], from_pandas=True) for m in columns.values()],
+                                      names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), vals)
 
 
 def _then(f: tuple, g: tuple) -> tuple:
@@ -109,9 +98,22 @@ def _then(f: tuple, g: tuple) -> tuple:
 
 @F.arrow_udf(_CLAMPS)
 def _compose_chunk(steps: pa.Array) -> pa.Array:
-    rows = [compose_steps(a, lo, hi) for a, lo, hi in lists_of(steps, ("a", "lo", "hi"))]
-    cols = list(zip(*rows)) or [[]] * 6
-    return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in cols], names=_CLAMPS.names)
+    """The steps of each chunk as one clamp, and as one without the last."""
+    n, (a, lo, hi) = matrices(steps, ("a", "lo", "hi"))
+    add, low, high = np.zeros(len(n)), np.full(len(n), -_INF), np.full(len(n), _INF)
+    out = np.zeros((6, len(n)))
+    ends = set(n.tolist())
+    for t in range(len(a)):
+        if t + 1 in ends:
+            at = n == t + 1
+            out[3:, at] = add[at], low[at], high[at]
+        # the limits of clamped values are clamped by every step, so steps after a chunk's end must not touch them
+        live = n > t
+        add = add + a[t]
+        low = np.where(live, np.minimum(np.maximum(low + a[t], lo[t]), hi[t]), low)
+        high = np.where(live, np.minimum(np.maximum(high + a[t], lo[t]), hi[t]), high)
+    out[:3] = add, low, high
+    return pa.StructArray.from_arrays([pa.array(c) for c in out], names=_CLAMPS.names)
 
 
 @F.arrow_udf(_CLAMPS)
@@ -145,16 +147,16 @@ def _fold_group(s_in: pa.Array, s_prev: pa.Array, clamps: pa.Array) -> pa.Array:
 
 @F.arrow_udf(_STATES)
 def _fold_chunk(s_in: pa.Array, s_prev: pa.Array, steps: pa.Array) -> pa.Array:
-    before, after, before2, offs = [], [], [], [0]
-    for s, sp, cols in zip(s_in.to_pylist(), s_prev.to_pylist(), lists_of(steps, ("a", "lo", "hi"))):
-        b, a, b2 = fold_steps(s, sp, *cols)
-        before += b
-        after += a
-        before2 += b2
-        offs.append(len(after))
-    vals = pa.StructArray.from_arrays([pa.array(x, pa.float64()) for x in (before, after, before2)],
-                                      names=["s0", "s", "sp"])
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), vals)
+    """Balance before, after, and before the previous step, of every step."""
+    n, (a, lo, hi) = matrices(steps, ("a", "lo", "hi"))
+    s = s_in.to_numpy(zero_copy_only=False).astype(float)
+    before = np.empty((len(a) + 1, len(n)))
+    before[0] = s
+    for t in range(len(a)):
+        s = np.minimum(np.maximum(s + a[t], lo[t]), hi[t])
+        before[t + 1] = s
+    first = s_prev.to_numpy(zero_copy_only=False).astype(float)[None, :]
+    return laid_out(n, {"s0": before[:-1], "s": before[1:], "sp": np.vstack([first, before[:-2]]) if len(a) else a})
 
 
 def shuffle_partitions(df: DataFrame) -> int:

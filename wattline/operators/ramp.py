@@ -15,12 +15,13 @@ from __future__ import annotations
 from bisect import bisect_right
 from typing import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.operators.balance import FAN, SPAN, chunked_rows, lists_of, openings, shifted
+from wattline.operators.balance import FAN, SPAN, chunked_rows, laid_out, lists_of, matrices, openings, shifted
 
 _LIST = T.ArrayType(T.DoubleType())
 _CURVES = T.StructType([T.StructField(n, _LIST) for n in ("fx", "fy", "gx", "gy")])
@@ -126,15 +127,12 @@ def _fold_group(s_in: pa.Array, s_prev: pa.Array, curves: pa.Array) -> pa.Array:
 
 @F.arrow_udf(_STATES)
 def _fold_chunk(s_in: pa.Array, steps: pa.Array) -> pa.Array:
-    before, after, offs = [], [], [0]
-    for g, (target, up, down) in zip(s_in.to_pylist(), lists_of(steps, ("t", "u", "d"))):
-        for t, u, d in zip(target, up, down):
-            before.append(g)
-            g = step(g, u, d, t)
-            after.append(g)
-        offs.append(len(after))
-    vals = pa.StructArray.from_arrays([pa.array(before, pa.float64()), pa.array(after, pa.float64())], names=["s0", "s"])
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), vals)
+    n, (target, up, down) = matrices(steps, ("t", "u", "d"))
+    values = np.empty((len(target) + 1, len(n)))
+    values[0] = s_in.to_numpy(zero_copy_only=False)
+    for t in range(len(target)):
+        values[t + 1] = np.minimum(values[t] + up[t], np.maximum(values[t] - down[t], target[t]))
+    return laid_out(n, {"s0": values[:-1], "s": values[1:]})
 
 
 def ramp_follow(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[str], target: Column, up: Column,
