@@ -132,3 +132,9 @@ def test_trie_in_a_memory_map(tmp_path):
     assert (trie.find(c, w) == np.where(key[at] == (c << 20 | w), at, -1)).all()
     assert (trie.codes == np.arange(len(key))).all()
     assert (Trie(Trie.pack(*[np.zeros(0, int)] * 3)).find(c, w) == -1).all()
+
+
+def test_too_many_words_fail():
+    op.check_ids((1 << 31) // 64 - 1, 64)
+    with pytest.raises(ValueError):
+        op.check_ids((1 << 31) // 64, 64)

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from wattline.llm.common import U64, WHITE, chunks, lean, mix, partitions, saved, within, words
 from wattline.llm.elias_fano import Trie
 from wattline.llm.repeats import bucket_of
+from wattline.operators.balance import bucketed
 
 #: Longest n-grams of the registered query.
 ORDER = 3
@@ -188,7 +189,7 @@ def word_counts(blocks: DataFrame, shards: int, count: Callable[[Block], np.ndar
 
 def word_replies(counts: DataFrame, shards: int) -> DataFrame:
     """block, shard, data: global count and place in the shard of each word that was sent; and
-    a row of block -1 with the shard's tokens and distinct training words."""
+    a row of block -1 with the shard's tokens, distinct training words and distinct words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = [(n, s, d) for batch in batches for n, s, d in zip(
             batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("data").to_pylist())]
@@ -199,7 +200,8 @@ def word_replies(counts: DataFrame, shards: int) -> DataFrame:
         names, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
         total = np.bincount(where, np.concatenate(sums)).astype(np.int64)
         shard = sent[0][1]
-        yield from _rows([(-1, shard, struct.pack("<qq", int(total.sum()), int((total > 0).sum())))], ("block", "shard"))
+        facts = struct.pack("<qqq", int(total.sum()), int((total > 0).sum()), len(names))
+        yield from _rows([(-1, shard, facts)], ("block", "shard"))
         at = 0
         for (number, _, _), (p, _) in zip(sent, parts):
             mine = where[at:at + len(p)]
@@ -398,6 +400,12 @@ def _scored(told: DataFrame, levels: list[str], total: int, distinct: int, shard
                                 "base_score double, score double")
 
 
+def check_ids(most: int, shards: int) -> None:
+    """Word ids (place in the shard x shards + shard) have 31 bits."""
+    if most * shards >= NO_WORD:
+        raise ValueError(f"{most} distinct words in one of {shards} shards: word ids would pass {NO_WORD}")
+
+
 def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text",
           order: int = 2) -> DataFrame:
     """Learn n-grams of up to ``order`` words from the rows where the SQL
@@ -406,15 +414,17 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
     shards = 2 * partitions(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.expr(train).cast("int").alias("train"),
                      F.col(f"`{text_col}`").alias("text"))
-    blocks = saved(as_blocks(docs))
+    # by block, so that no join moves the documents
+    blocks = bucketed(as_blocks(docs), ["block"], "lm")
     replies = saved(word_replies(word_counts(blocks, shards), shards))
-    sums = [struct.unpack("<qq", r["data"]) for r in replies.where("block < 0").select("data").collect()]
+    sums = [struct.unpack("<qqq", r["data"]) for r in replies.where("block < 0").select("data").collect()]
     total, distinct = sum(s[0] for s in sums), sum(s[1] for s in sums)
+    check_ids(max((s[2] for s in sums), default=0), shards)
     told = blocks.join(by_block(replies, "words").hint("shuffle_hash"), "block")
     levels: list[str] = []
     for n in range(2, order + 1):
         answers = _gram_replies(_gram_counts(told, levels, total, shards), shards, n < order)
-        answers = saved(answers) if n < order else answers
+        answers = saved(answers)
         levels = [*levels, f"level{n}"]
         told = told.join(by_block(answers, levels[-1]).hint("shuffle_hash"), "block", "left")
     return _scored(told, levels, total, distinct, shards)
