@@ -37,6 +37,13 @@ def test_hot_text_is_spread(docs_of, monkeypatch):
     assert found(docs_of(rows)) == brute(rows)
 
 
+def test_hot_text_of_one_id_is_spread(docs_of, monkeypatch):
+    monkeypatch.setattr(op, "HOT_ROWS", 10)
+    monkeypatch.setattr(op, "HOT_SHARES", 20)
+    rows = [(7, "one text")] * 150 + [(None, "one  text")] * 150 + [(k, f"t{k}") for k in range(40)]
+    assert found(docs_of(rows).repartition(12)) == brute(rows)
+
+
 def test_empty_table_and_names(docs_of, spark):
     assert op.exact_dedup(docs_of([])).count() == 0
     odd = spark.createDataFrame([(1, "x", 5, 6), (2, "x ", 7, 8)], "doc_id long, text string, key int, `sal.t` int")

@@ -7,7 +7,8 @@ sorted externally, and neighbours are compared in full by the window over the
 sorted runs.  A text with many copies
 would fill one partition, so texts that hold more than 1/2048 of the rows are
 found first by a pre-aggregated count; only their key is extended by a salt
-from the id, which cuts them into runs.  The runs' heads, at most a few
+from the id and the input partition (rows may share an id, or have none), which
+cuts them into runs.  The runs' heads, at most a few
 thousand rows, are compared in full once more and give the group's survivor.
 
 Defined results: a null text is the empty text; a null id sorts last; among
@@ -59,7 +60,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("h").alias("hot_h"), F.ceil(F.col("count") / F.lit(limit)).alias("runs"))
     dealt = (base.join(F.broadcast(hot), F.col("h") == F.col("hot_h"), "left")
              .withColumn("salt", F.when(F.col("runs").isNotNull(),
-                                        F.pmod(F.xxhash64("id"), F.col("runs"))).otherwise(F.lit(0).cast("long")))
+                                        F.pmod(F.xxhash64("id", F.spark_partition_id()), F.col("runs"))).otherwise(F.lit(0).cast("long")))
              .withColumn("hot", F.col("runs").isNotNull()).drop("hot_h", "runs")
              .withColumn("prefix", F.substring("key", 1, PREFIX))
              .repartitionByRange("prefix", "h", "salt"))

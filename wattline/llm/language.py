@@ -11,7 +11,10 @@ the tasks; the profiles that reach the driver are ``TOP`` rows per language.
 
 Defined results: a text that is null or without a letter is ``und`` with score
 0; without any profile every text is ``und``; equal counts rank by n-gram,
-equal distances by language name.
+equal distances by language name.  Long texts are read whole; repeated rows and
+rows of one or no id are predicted each for itself, and all count in training; an
+empty table gives an empty result.  Letters beyond U+FFFF count by their code's
+remainder in that range.
 """
 
 from __future__ import annotations

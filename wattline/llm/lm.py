@@ -26,7 +26,8 @@ over several shards by the next word.
 
 Defined results: a null text is empty and has the end alone; rows of one id are
 scored each for itself; with no training documents every score is the base
-score.
+score; a null id trains or not as ``train`` says; long texts are scored whole (a
+block holds whole documents); an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ band with a probability of (1 - s^5)^25, which is 5e-5 at s = 0.8.
 
 Defined results: texts of one to four words have one shingle; texts without a
 word are alone in their class; rows of equal id and text share one fate; a null
-id sorts first.
+id sorts first; long texts are shingled whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

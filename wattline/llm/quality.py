@@ -11,8 +11,11 @@ The model is fitted on the driver from at most ``sample`` labelled feature rows
 texts.  Only the text is read: labels, language, source and ids are no inputs.
 
 Defined results: null and empty texts have the features of an empty text and
-get a score; a document with several labels counts once for each; without any
-usable label every score is 0.5.
+get a score; an id with several labels has the largest, and rows of equal id and
+text count once (the sample is taken after labels and documents have met, so
+labels without a document and null ids take no place); without any usable label
+every score is 0.5; long texts are read whole; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

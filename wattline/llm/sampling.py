@@ -28,7 +28,9 @@ nothing else.
 
 Defined results: null counts as empty; an empty text has one segmentation, the
 single blank; a text with fewer than k segmentations gives all of them, with
-inclusion score 1; rows with equal key and text give equal samples.
+inclusion score 1; rows with equal key and text give equal samples, a null key
+is a key like others; long texts are cut into words and sampled whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ hashes of their words.
 
 Defined results: null texts have no words; documents shorter than a window
 keep everything; windows never cross documents; only a smaller id counts as
-earlier, so repeats inside a document, or between rows of one id, stay.
+earlier, so repeats inside a document, or between rows of one id, stay;
+a null id is smaller than all others; long texts are read whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
