@@ -13,7 +13,8 @@ next to it in single dimensions gives a radius that the nearest entry can't
 exceed; the radius cuts a range out of each dimension's order, the range's mask
 is the difference of two prefix masks, and the AND over all dimensions leaves
 the candidates.  Every entry as near as the radius is among them, so the exact
-distances of the candidates alone decide.
+distances of the candidates alone decide; they are added up some dimensions at a
+time, and a candidate already beyond the radius goes.
 
 Tasks add up the sums and counts of their own parts, Spark adds those per entry,
 and only the codebooks (``entries`` x dimensions numbers) reach the driver.
@@ -46,9 +47,10 @@ PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 LIMIT = 1 << 24
-#: Vectors handled at once in a task, and candidate pairs compared at once.
+#: Vectors handled at once in a task.
 BLOCK = 4096
-PAIRS = 1 << 17
+#: Dimensions after which candidates beyond the radius are dropped.
+STRIDE = 4
 
 
 class Codebook:
@@ -66,15 +68,15 @@ class Codebook:
         for j in range(d):
             self.before[j, 1:] = np.bitwise_or.accumulate(own[self.order[:, j]], axis=0)
 
-    def radius(self, q: np.ndarray) -> np.ndarray:
-        """A bound on the distance to the nearest entry: the best of those next
-        to the query in one dimension's order."""
+    def bound(self, q: np.ndarray) -> np.ndarray:
+        """A bound on the squared distance to the nearest entry: the least of
+        those next to the query in one dimension's order."""
         k, d = self.entries.shape
         best = np.full(len(q), np.iinfo(np.int64).max)
         for j in range(d):
             at = np.minimum(np.searchsorted(self.sorted[:, j], q[:, j]), k - 1)
             np.minimum(best, ((q - self.entries[self.order[at, j]]) ** 2).sum(1), out=best)
-        return np.ceil(np.sqrt(best.astype(float))).astype(np.int64) + 1
+        return best
 
     def candidates(self, q: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Bit masks of the entries within ``r`` of the query in every dimension."""
@@ -86,18 +88,24 @@ class Codebook:
         return live
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the nearest entry (the lowest of equals) and squared distance."""
+        """Index of the nearest entry (the lowest of equals) and squared distance.
+        The entry that gave the bound stays to the end, so every query has one."""
         code, dist = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
         if not len(q):
             return code, dist
-        live = self.candidates(q, self.radius(q))
+        most = self.bound(q)
+        live = self.candidates(q, np.ceil(np.sqrt(most.astype(float))).astype(np.int64) + 1)
         bits = np.unpackbits(live.view(np.uint8).reshape(len(q), -1), axis=1, bitorder="little")[:, :len(self.entries)]
         row, entry = np.nonzero(bits)
+        far = np.zeros(len(row), np.int64)
+        d = q.shape[1]
+        for j in range(d):
+            step = q[:, j][row] - self.entries[:, j][entry]
+            far += step * step
+            if j % STRIDE == STRIDE - 1 and j < d - 1:
+                near = np.flatnonzero(far <= most[row])
+                row, entry, far = row[near], entry[near], far[near]
         first = np.searchsorted(row, np.arange(len(q) + 1))
-        far = np.empty(len(row), np.int64)
-        for lo in range(0, len(row), PAIRS):
-            s = slice(lo, lo + PAIRS)
-            far[s] = ((q[row[s]] - self.entries[entry[s]]) ** 2).sum(1)
         dist = np.minimum.reduceat(far, first[:-1])
         code = np.minimum.reduceat(np.where(far == dist[row], entry, len(self.entries)), first[:-1])
         return code, dist
