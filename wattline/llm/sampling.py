@@ -56,6 +56,8 @@ OWN = "\ud800"
 LATTICES = 300_000
 #: Bytes of text whose lattices are walked together.
 WALK_BYTES = 1 << 19
+#: Pieces written out together in decoding.
+PUT = 1 << 18
 
 
 class Pieces:
@@ -99,11 +101,24 @@ class Pieces:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self._table.find(hashes)
 
+    def texts(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        """The texts, as bytes of UTF-8, whose segmentations ``ids`` are."""
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        size = self._size[flat]
+        parts = [np.zeros(0, np.uint8)]
+        for lo in range(0, len(flat), PUT):
+            n = size[lo:lo + PUT]
+            end = np.cumsum(n)
+            at = np.arange(end[-1])
+            at += np.repeat(self._first[flat[lo:lo + PUT]] - end + n, n)
+            parts.append(self._bytes[at])
+        data = np.concatenate(parts)
+        cut = np.append(0, np.cumsum(size))[np.cumsum([0, *map(len, ids)])]
+        return [data[a + 1:b] for a, b in zip(cut[:-1], cut[1:])]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text, in UTF-8, whose segmentation ``ids`` is."""
-        ids = np.asarray(ids, np.int64)
-        of, k = within(self._size[ids])
-        return self._bytes[self._first[ids][of] + k][1:].tobytes()
+        return self.texts([np.asarray(ids, np.int64)])[0].tobytes()
 
 
 class _Table:
@@ -219,7 +234,9 @@ class Lattices:
         """The number of each word data[start:end]; new ones get their lattice."""
         h = SpanHash(data).of(start, end)
         order = np.argsort(h)
-        new = np.append(True, h[order[1:]] != h[order[:-1]]) if len(h) else np.zeros(0, bool)
+        ascending = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = ascending[1:] != ascending[:-1]
         where = np.empty(len(h), np.int64)
         where[order] = np.cumsum(new) - 1
         at = order[new]
@@ -228,26 +245,23 @@ class Lattices:
         missing = [i for i, x in enumerate(out) if x is None]
         if missing:
             first = len(self.number)
-            raw = data.tobytes()
-            own = _BLANK.encode() in raw
-            places = zip(start[at[missing]].tolist(), end[at[missing]].tolist())
-            self._add([spelled(raw[a:b]) if own else raw[a:b].decode().replace(" ", _BLANK) for a, b in places])
+            self._add(*_spelled(data, start[at[missing]], end[at[missing]]))
             for k, i in enumerate(missing):
                 self.number[names[i]] = out[i] = first + k
         self.first, self.info = self._words["first"], self._nodes["info"]
         self.node, self.piece, self.q, self.step = (self._edges[c] for c in ("node", "piece", "q", "step"))
         return np.array(out, np.int64)[where]
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, codes: np.ndarray, at: np.ndarray) -> None:
+        """Lattices of the words codes[at[i]:at[i + 1]]."""
         v = self.v
-        codes, at = _flat(words)
         size = np.diff(at)
-        first = at[:-1] + np.arange(len(words))
-        nodes = len(codes) + len(words)
+        first = at[:-1] + np.arange(len(size))
+        nodes = len(codes) + len(size)
         word, k = within(size)
         start = first[word] + k  # the node of each character
         left = size[word] - k
-        frm, to, piece = [], [], []
+        by_length = []
         h = np.ones(len(codes), U64)
         live = np.arange(len(codes))
         alone = np.ones(len(codes), bool)  # no piece for this character
@@ -260,20 +274,22 @@ class Lattices:
             begins, found = v.find(h)
             live, h, found = live[begins], h[begins], found[begins]
             hit = found >= 0
-            frm.append(start[live[hit]])
-            to.append(start[live[hit]] + n)
-            piece.append(found[hit])
+            by_length.append((n, start[live[hit]], found[hit]))
             if n == 1:
                 alone[live[hit]] = False
         lone = np.flatnonzero(alone)
-        frm.append(start[lone])
-        to.append(start[lone] + 1)
-        piece.append(-1 - codes[lone].astype(np.int64))
-        frm, to, piece = (np.concatenate(x) for x in (frm, to, piece))
-        order = np.argsort(frm * 64 + 63 - (to - frm))  # long pieces first, which are mostly the likely ones
-        frm, to, piece = frm[order], to[order], piece[order]
-        head = np.searchsorted(frm, np.arange(nodes + 1))
-        count = np.diff(head)
+        by_length.insert(0, (1, start[lone], -1 - codes[lone].astype(np.int64)))
+        count = np.zeros(nodes, np.int64)
+        for _, at_node, _ in by_length:
+            count[at_node] += 1
+        head = np.append(0, np.cumsum(count))
+        frm = np.repeat(np.arange(nodes), count)
+        to, piece = np.empty(len(frm), np.int64), np.empty(len(frm), np.int64)
+        put = head[:-1].copy()
+        for n, at_node, found in reversed(by_length):  # long pieces first, which are mostly the likely ones
+            place = put[at_node]
+            to[place], piece[place] = at_node + n, found
+            put[at_node] += 1
         log_p = np.where(piece >= 0, v.log_p[np.maximum(piece, 0)], 0.0)
         for p in np.unique(piece[piece < 0]):
             log_p[piece == p] = v.log_p[v.byte[_bytes(-1 - int(p))]].sum()
@@ -312,9 +328,23 @@ def split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, start, np.append(start[1:], len(data)), np.diff(np.append(np.searchsorted(start, begin), len(start)))
 
 
+def _spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words data[start:end] as the vocabulary has them, blanks as U+2581 and
+    their own U+2581 as OWN: code points end to end, and where each word begins
+    (one more entry)."""
+    of, k = within(end - start)
+    raw = data[start[of] + k]
+    codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    codes[codes == ord(_BLANK)] = ord(OWN)
+    codes[codes == 32] = ord(_BLANK)
+    size = np.bincount(of[(raw & 0xC0) != 0x80], minlength=len(start))
+    return codes, np.append(0, np.cumsum(size))
+
+
 def spelled(word: bytes) -> str:
-    """A word as the vocabulary has it: blanks as U+2581, its own U+2581 as OWN."""
-    return word.decode().replace(_BLANK, OWN).replace(" ", _BLANK)
+    """One word as the vocabulary has it."""
+    codes, _ = _spelled(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.array([len(word)]))
+    return "".join(map(chr, codes))
 
 
 def _bytes(code: int) -> list[int]:
@@ -331,6 +361,7 @@ def _walk(lat: Lattices, token: np.ndarray, node: np.ndarray, step: np.ndarray,
     """Walk from ``node`` to the end of each token's word, each edge taken with
     its probability; the (token, step, edge) taken, in order."""
     rows: list[tuple] = []
+    steps = np.zeros(len(token), np.int64)
     info = lat.info[node]
     at = np.flatnonzero(info & 0xFFFF)
     info, now = info[at], step[at]
@@ -347,15 +378,16 @@ def _walk(lat: Lattices, token: np.ndarray, node: np.ndarray, step: np.ndarray,
             edge[more] = lat.step[e[more]]
             p[more] = edge[more].astype(np.uint32).view(np.float32)
             more = more[(u[more] >= p[more]) & (left[more] > 0)]
-        rows.append((at, now, e))
+        rows.append((at, e))
+        steps[at] += 1
         info = lat.info[edge >> 32]
         go = np.flatnonzero(info & 0xFFFF)
         info, at, now = info[go], at[go], now[go] + 1
-    if not rows:
-        return (np.zeros(0, np.int64),) * 3
-    t, s, e = (np.concatenate(x) for x in zip(*rows))
-    order = np.argsort((t << 24) + s)
-    return token[t[order]], s[order], e[order]
+    begin = np.cumsum(steps) - steps
+    taken = np.empty(int(steps.sum()), np.int64)
+    for k, (at, e) in enumerate(rows):
+        taken[begin[at] + k] = e
+    return np.repeat(token, steps), np.arange(len(taken)) - np.repeat(begin - step, steps), taken
 
 
 #: Sets of probability below exp(-NEGLIGIBLE) times the largest don't change a sum of doubles.
@@ -397,9 +429,10 @@ class _Path:
         edge = int(self.edge[at])
         node = lat.node[edge]
         head, count = int(lat.info[node]) >> 16, int(lat.info[node]) & 0xFFFF
-        edges = np.arange(head, head + count)
         taken = self.gone.setdefault(at, [edge])
-        free = edges[~np.isin(edges, taken)]
+        left = np.ones(count, bool)
+        left[np.array(taken) - head] = False
+        free = head + np.flatnonzero(left)
         c = np.cumsum(np.exp(lat.q[free]))
         low = w[k - 1] if k else 0.0
         y = (x - low) / (w[k] - low) if w[k] > low else 0.0
@@ -418,18 +451,21 @@ def _below(mass: float, bound: float, u: float) -> float:
     return float(mass - np.logaddexp(mass - bound, np.log(-np.log(u))))
 
 
-def _ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
-    """The ids along a path."""
-    p = lat.piece[edges]
+def _ids(lat: Lattices, paths: list[np.ndarray]) -> list[np.ndarray]:
+    """The ids along paths of edges."""
+    p = lat.piece[np.concatenate([np.zeros(0, np.int64), *paths])]
+    cut = np.cumsum([0, *map(len, paths)])
     odd = np.flatnonzero(p < 0)
-    if not len(odd):
-        return p
-    put = [lat.v.byte[_bytes(-1 - int(x))] for x in p[odd]]
-    size = np.ones(len(p), np.int64)
-    size[odd] = [len(x) for x in put]
-    out = np.repeat(p, size)
-    out[np.repeat(p < 0, size)] = np.concatenate(put)
-    return out
+    if len(odd):
+        codes, which = np.unique(-1 - p[odd], return_inverse=True)
+        put = [lat.v.byte[_bytes(int(c))] for c in codes]
+        size = np.ones(len(p), np.int64)
+        size[odd] = np.array([len(x) for x in put])[which]
+        cut = np.append(0, np.cumsum(size))[cut]
+        own = np.repeat(p < 0, size)
+        p = np.repeat(p, size)
+        p[own] = np.concatenate([put[i] for i in which.tolist()])
+    return [p[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
 def sample(texts: list[bytes], keys: np.ndarray, lat: Lattices, k: int = SAMPLES, seed: int = SEED) -> list[list[tuple]]:
@@ -485,7 +521,8 @@ def sample(texts: list[bytes], keys: np.ndarray, lat: Lattices, k: int = SAMPLES
                         np.concatenate([old.edge[:at], edges[x:x + 1], e[a:b]]), at + 1, bound)
             paths[d].append(new)
             front[d].append((_below(new.mass(), bound, draw[4 * r + 2][d]), len(paths[d]) - 1))
-    return [[(_ids(lat, p.edge), p.log_p, float(p.value),
+    ids = iter(_ids(lat, [p.edge for found in paths for p in found]))
+    return [[(next(ids), p.log_p, float(p.value),
               1.0 if kappa[d] == -np.inf else -float(np.expm1(-np.exp(min(p.log_p - kappa[d], 50.0)))))
              for p in paths[d]] for d in range(n)]
 
@@ -521,7 +558,7 @@ def sample_segmentations(df: DataFrame, model: str, id_col: str = "doc_id", text
                         pa.array([len(x) for x in ids], pa.int64()),
                         *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3)),
                         pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(lat.v.decode(x)) for x in ids], pa.int64())]
+                        pa.array([zlib.crc32(x) for x in lat.v.texts(ids)], pa.int64())]
                 if with_ids:
                     head = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(head, np.concatenate(ids)))
