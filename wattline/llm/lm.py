@@ -16,13 +16,14 @@ Spark deals the vocabulary and the n-grams to shards by hash, and nothing that
 grows with the corpus reaches the driver but one row of totals per shard.
 Documents are first turned into *blocks* of some million tokens with a sorted
 vocabulary of their own.  A block sends its distinct words with their counts to
-the shards and gets global counts and ids back; then, order by order, its
-distinct n-grams as (id of the context, id of the word), in the order of ids.  A
-shard adds up the counts of all blocks, builds the trie of its contexts and
-words, and answers the blocks' n-grams by successor search in it, with their
-ids and counts where they are contexts of the next order.  Each block scores its
-documents at last.  A context with more than its share of the tokens is spread
-over several shards by the next word.
+the shards and gets global counts and ids back; then its distinct n-grams of
+all orders in one round, each to the shard of its context, as ids of words.  A
+shard adds up the counts of all blocks, builds for each order the trie of its
+contexts and words, and answers the blocks' n-grams by successor search in it.
+No ids or counts of contexts travel, as a shard holds all that follows a
+context; only one with more than its share of the tokens is spread over several
+shards by the next word, and a block adds up what they tell of it.  Each block
+scores its documents at last.
 
 Defined results: a null text is empty and has the end alone; rows of one id are
 scored each for itself; with no training documents every score is the base
@@ -55,6 +56,8 @@ BLOCK_DOCS = 1 << 16
 #: Steps of a quantised logarithm (base 10) from 0 down; the last code is "not there".
 STEP = 2.0 ** -12
 ABSENT = 0xFFFF
+#: What each code stands for.
+VALUES = np.append(10.0 ** (-STEP * np.arange(ABSENT)), 0.0)
 #: A context's share of the training tokens, in shards' sizes, before it is spread.
 SPREAD = 0.25
 #: Word ids from here on stand for no word; there are fewer distinct words than that.
@@ -207,7 +210,7 @@ def word_replies(counts: DataFrame, shards: int) -> DataFrame:
         for (number, _, _), (p, _) in zip(sent, parts):
             mine = where[at:at + len(p)]
             at += len(p)
-            yield from _rows([(number, shard, planes(total[mine]) + planes(mine))], ("block", "shard"))
+            yield from _rows([(number, shard, planes(total[mine] & 0xFFFFFFFF) + planes(total[mine] >> 32) + planes(mine))], ("block", "shard"))
 
     return counts.repartitionById(shards, F.col("shard")).mapInArrow(lean(run), "block long, shard int, data binary")
 
@@ -221,90 +224,158 @@ def word_facts(replies: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray
     """Count and id of each word of a block's vocabulary."""
     n, i = [], []
     for r in replies or []:
-        a, at = unplaned(r["data"], 0)
-        n.append(a)
+        low, at = unplaned(r["data"], 0)
+        high, at = unplaned(r["data"], at)
+        n.append(low + (high.astype(np.int64) << 32))
         i.append(unplaned(r["data"], at)[0].astype(np.int64) * shards + r["shard"])  # an id of its own
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(n).astype(np.int64), np.concatenate(i).astype(np.int64)
 
 
+def dense_facts(replies: list[dict], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_facts``, with ids that ascend with the words' hashes and leave no gap."""
+    n, i = word_facts(replies, len(offsets))
+    shard = i % len(offsets)
+    return n, i // len(offsets) + offsets[shard]
+
+
+def orders(b: Block, order: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """For each order from 2 on the words before each token, the nearest one
+    first, and whether they all lie in the token's document."""
+    first = np.append(0, np.cumsum(b.size.astype(np.int64)))[:-1]
+    columns, inside = [b.contexts()], np.ones(len(b.tokens), bool)
+    for n in range(2, order + 1):
+        yield columns, inside
+        if n < order:
+            columns = [*columns, np.append(columns[-1][:1], columns[-1][:-1])]
+            inside = np.append(False, inside[:-1])
+            inside[first] = False
+
+
+def context_hash(b: Block, columns: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = b.vocabulary[columns[0][at]] + U64(len(columns))
+        for c in columns[1:]:
+            h = mix(h * U64(0x9E3779B97F4A7C15) + b.vocabulary[c[at]])
+        return mix(h)
+
+
+def _ranked(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """One number below 2^64 for each row of ``columns``, in their order, with
+    the last column's value, below 2^bits, as its last bits."""
+    key, used = columns[0].astype(U64), bits
+    for c in columns[1:]:
+        if used + bits > 64:
+            key = np.unique(key, return_inverse=True)[1].astype(U64)
+            used = len(key).bit_length()
+        key, used = (key << U64(bits)) | c.astype(U64), used + bits
+    return key
+
+
+def crowded_contexts(blocks: DataFrame, order: int, total: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the contexts with more than ``SPREAD`` of a shard's share of the
+    training tokens, and into how many parts each is spread.
+
+    A block names those that hold such a share of its own tokens; a context with twice
+    the share in all of them is never missed.  There are fewer than shards / SPREAD of an order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                b = Block(data.as_buffer())
+                trained = np.repeat(b.train, b.size) > 0
+                least = SPREAD / shards * trained.sum()
+                for columns, inside in orders(b, order):
+                    at = np.flatnonzero(inside & trained)
+                    for c in columns:  # a context is no more frequent than its words
+                        at = at[np.bincount(c[at], minlength=len(b.vocabulary))[c[at]] > least]
+                    h, n = np.unique(context_hash(b, columns, at), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[n > least].view(np.int64)), pa.array(n[n > least])], ["h", "n"])
+
+    share = max(SPREAD * total / shards, 1)
+    rows = blocks.mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > share).collect()
+    h, n = (np.array([r[c] for r in rows], np.int64) for c in ("h", "n"))
+    order_ = np.argsort(h.view(U64))
+    return h.view(U64)[order_], np.minimum(np.ceil(n[order_] / share), shards).astype(np.int64)
+
+
 class Grams:
-    """The distinct n-grams of a block whose context is known, in order of
-    shard, context id and word id; ``of`` is the n-gram of each token, or -1.
-    Each token comes with the id and the count of its ``context`` (0: unknown).
-    A context that is spread over several shards is asked for in each of them,
-    by a word that there is not, so that all parts of T(h) come back."""
-
-    def __init__(self, b: Block, context: np.ndarray, times: np.ndarray, ids: np.ndarray, total: int, shards: int):
-        known = np.flatnonzero(times > 0)
-        self.names, local = np.unique(context[known], return_inverse=True)
-        by_name = np.zeros(len(self.names), np.int64)
-        by_name[local] = times[known]
-        distinct, where = np.unique((local.astype(U64) << U64(32)) | ids[b.tokens[known]].astype(U64), return_inverse=True)
+    """The distinct n-grams of a block in one order, by shard, context and word:
+    those of the tokens whose context has no word without a training count.
+    ``of`` is the n-gram of each token, or -1.  A crowded context is spread over
+    several shards by the next word and asked for in each of them, by a word
+    that there is not where there is no other, so that all parts of its count
+    and of T(h) come back."""
+
+    def __init__(self, b: Block, columns: list[np.ndarray], inside: np.ndarray, count: np.ndarray, ids: np.ndarray,
+                 crowded: tuple[np.ndarray, np.ndarray], shards: int):
+        for c in columns:
+            inside = inside & (count[c] > 0)
+        known = np.flatnonzero(inside)
+        bits = max(len(b.vocabulary).bit_length(), 1)
+        word = np.where(count[b.tokens[known]] > 0, b.tokens[known], len(b.vocabulary))
+        distinct, where = np.unique(_ranked([*(c[known] for c in columns), word], bits), return_inverse=True)
         n = len(distinct)
-        local, word = (distinct >> U64(32)).astype(np.int64), (distinct & U64(0xFFFFFFFF)).astype(np.int64)
-        parts = np.ceil(by_name / max(SPREAD * total / shards, 1)).astype(np.int64)
-        part = (mix(word) % parts[local].astype(U64)).astype(np.int64)
+        token = np.zeros(n, np.int64)
+        token[where] = np.arange(len(known))  # one that has it
+        first, size = _context_runs(distinct >> U64(bits))
+        local = np.repeat(np.arange(len(first)), size)
+        at = known[token[first]]
+        self.context = [ids[c[at]] for c in columns]
+        h = context_hash(b, columns, at)
+        parts = np.ones(len(h), np.int64)
+        if len(crowded[0]):
+            k = np.minimum(np.searchsorted(crowded[0], h), len(crowded[0]) - 1)
+            parts = np.where(crowded[0][k] == h, crowded[1][k], 1)
+        self.word = np.append(ids, NO_WORD)[word[token]]
+        shard = self._shard(h, local, (mix(self.word) % parts[local].astype(U64)).astype(np.int64), shards)
         wide = np.flatnonzero(parts > 1)
         of, k = within(parts[wide])
-        local, word, part = np.append(local, wide[of]), np.append(word, NO_WORD + k), np.append(part, k)
-        with np.errstate(over="ignore"):
-            shard = bucket_of(mix(self.names[local].astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64)), shards)
-        order = np.lexsort([word, local, shard])
+        spread = parts[local] > 1
+        more = np.setdiff1d(wide[of] * shards + self._shard(h, wide[of], k, shards), local[spread] * shards + shard[spread])
+        shard = np.append(shard, more % shards)
+        order = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")
+        self.local = np.append(local, more // shards)[order]
+        self.word = np.append(self.word, np.full(len(more), NO_WORD))[order]
+        trained = np.repeat(b.train, b.size)[known]
+        self.count = np.append(np.bincount(where, trained, n), np.zeros(len(more)))[order].astype(np.int64)
+        self.cut = _cuts(shard[order], shards)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.local, self.word, self.shards = local[order], word[order], shards
-        self.context, self.context_count = self.names[self.local], by_name[self.local]
-        self.cut = _cuts(shard[order], shards)
-        self.of = np.full(len(b.tokens), -1)
-        self.of[known] = rank[where]
-        self.at, self.times = np.full(len(b.tokens), -1), times
-        self.at[known] = np.searchsorted(self.names, context[known])
-        trained = np.repeat(b.train, b.size)[known]
-        self.count = np.bincount(rank[where], trained, len(order)).astype(np.int64)
-
-    def told(self, replies: list[dict] | None, lower: np.ndarray, more: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of each token, given that of the order below; with
-        ``more`` also the id of each token's n-gram and its count (0: none)."""
-        seen, types = np.zeros(len(self.of)), np.zeros(len(self.names))
-        first, gram, count = (np.zeros(len(self.word), t) for t in (float, np.int64, np.int64))
-        for r in replies or []:
-            lo, hi = self.cut[r["shard"]], self.cut[r["shard"] + 1]
-            code, at = unplaned(r["data"], 0)
-            there = lo + np.flatnonzero(code < ABSENT)
-            first[there] = 10.0 ** (-STEP * code[there - lo])
-            after, at = unplaned(r["data"], at)
-            np.add.at(types, self.local[lo:hi][_context_runs(self.local[lo:hi])[0]], after)
-            if more:
-                place, at = unplaned(r["data"], at)
-                gram[there] = place.astype(np.int64) * self.shards + r["shard"]  # an id of its own
-                count[there] = unplaned(r["data"], at)[0]
-        has = np.flatnonzero(self.of >= 0)
-        seen[has] = first[self.of[has]]
+        self.known, self.of = known, rank[where]
+
+    @staticmethod
+    def _shard(h: np.ndarray, local: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return bucket_of(mix(h[local] + part.astype(U64) * U64(0xD6E8FEB86659FD93)), shards)
+
+    def message(self, shard: int) -> bytes:
+        """Contexts (the nearest word in steps), how many n-grams each has, their words and counts."""
+        lo, hi = self.cut[shard], self.cut[shard + 1]
+        first, n = _context_runs(self.local[lo:hi])
+        near, *far = (c[self.local[lo:hi][first]] for c in self.context)
+        return b"".join(planes(x) for x in (np.diff(near, prepend=0) & 0xFFFFFFFF, *far, n, self.word[lo:hi], self.count[lo:hi]))
+
+    def told(self, replies: dict[int, list], lower: np.ndarray) -> np.ndarray:
+        """Probability of each token, given that of the order below; reads its
+        part of each shard's [data, place]."""
+        seen = np.zeros(len(self.word))
+        types, total = np.zeros(len(self.context[0])), np.zeros(len(self.context[0]))
+        for shard, reply in replies.items():
+            lo, hi = self.cut[shard], self.cut[shard + 1]
+            code, at = unplaned(*reply)
+            after, at = unplaned(reply[0], at)
+            times, reply[1] = unplaned(reply[0], at)
+            first, n = _context_runs(self.local[lo:hi])
+            context = self.local[lo:hi][first]  # each once in a shard
+            types[context] += after
+            total[context] += times
+            seen[lo:hi] = VALUES[code] * np.repeat(times, n)
+        context = self.local[self.of]
+        t, c, below = types[context], np.maximum(total[context], 1), lower[self.known]
         p = lower.copy()
-        t, c = types[self.at[has]], self.times[has].astype(float)
-        p[has] = np.where(t > 0, seen[has] + DISCOUNT * t / c * lower[has], lower[has])
-        out = np.full(len(self.of), -1), np.zeros(len(self.of), np.int64)
-        out[0][has], out[1][has] = gram[self.of[has]], count[self.of[has]]
-        return p, *out
-
-
-def _grams(b: Block, count: np.ndarray, ids: np.ndarray, levels: list, p: np.ndarray, total: int, shards: int,
-           last: bool) -> tuple[np.ndarray, Grams | None]:
-    """The tokens' probability by the orders that ``levels`` has replies of,
-    from 2 on, ``p`` being that of order 1; and unless these were the ``last``
-    the n-grams of the next order."""
-    before = b.contexts()
-    context, times = ids[before], count[before]
-    first = np.append(0, np.cumsum(b.size.astype(np.int64)))[:-1]
-    first = first[first < len(b.tokens)]
-    for k, replies in enumerate(levels):
-        more = not last or k < len(levels) - 1
-        p, gram, n = Grams(b, context, times, ids, total, shards).told(replies, p, more)
-        context, times = np.append(-1, gram[:-1]), np.append(0, n[:-1])
-        times[first] = 0
-    return p, None if last else Grams(b, context, times, ids, total, shards)
+        p[self.known] = np.where(t > 0, (seen[self.of] + DISCOUNT * t * below) / c, below)
+        return p
 
 
 def _context_runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,80 +385,89 @@ def _context_runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(context)))
 
 
-def _gram_counts(told: DataFrame, levels: list[str], total: int, shards: int) -> DataFrame:
-    """The blocks' n-grams of the order after ``levels``, columns with the
-    replies of the orders from 2 on."""
+def squeezed(data: bytes) -> bytes:
+    return struct.pack("<q", len(data)) + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], struct.unpack_from("<q", data)[0], "zstd", asbytes=True)
+
+
+def _gram_counts(told: DataFrame, order: int, offsets: np.ndarray, crowded: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """block, shard, data: the block's n-grams of all orders from 2 on."""
+    shards = len(offsets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, data, words, *replies in zip(batch.column("block").to_pylist(), batch.column("data"), *(
-                    batch.column(c).to_pylist() for c in ("words", *levels))):
+            for number, data, words in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("words").to_pylist()):
                 b = Block(data.as_buffer())
-                g = _grams(b, *word_facts(words, shards), replies, np.zeros(len(b.tokens)), total, shards, False)[1]
-                for k, (lo, hi) in enumerate(zip(g.cut[:-1], g.cut[1:])):
-                    if lo < hi:
-                        first, n = _context_runs(g.context[lo:hi])
-                        yield from _rows([(number, k, ascending(g.context[lo:hi][first]) + planes(g.context_count[lo:hi][first])
-                                           + planes(n) + planes(g.word[lo:hi]) + planes(g.count[lo:hi]))],
-                                         ("block", "shard"))
+                count, ids = dense_facts(words, offsets)
+                grams = [Grams(b, *x, count, ids, crowded, shards) for x in orders(b, order)]
+                yield from _rows([(number, k, squeezed(b"".join(g.message(k) for g in grams))) for k in range(shards)
+                                  if any(g.cut[k] < g.cut[k + 1] for g in grams)], ("block", "shard"))
 
     return told.mapInArrow(lean(run), "block long, shard int, data binary")
 
 
-def _gram_replies(counts: DataFrame, shards: int, more: bool) -> DataFrame:
-    """For each block's n-grams their code, and for each of its contexts how
-    many distinct words this shard has after it; with ``more`` also place and
-    count of the n-grams that are there."""
+def _answers(sent: list[list], words: int) -> list[bytes]:
+    """Answers to the n-grams of one order, after ``words`` words: each n-gram's code, and
+    for each context how many distinct words this shard has after it and how often."""
+    parts = []
+    for message in sent:
+        x = []
+        for _ in range(words + 3):
+            part, message[1] = unplaned(*message)
+            x.append(part)
+        x[0] = np.cumsum(x[0], dtype=np.uint32)
+        parts.append(x)
+    joined = lambda k: np.concatenate([p[k] for p in parts])
+    names, run = np.unique(_ranked([joined(k) for k in range(words)], 32), return_inverse=True)
+    size = joined(words)
+    key, where = np.unique((np.repeat(run, size).astype(U64) << U64(32)) | joined(words + 1).astype(U64), return_inverse=True)
+    count = np.bincount(where, joined(words + 2), len(key)).astype(np.int64)
+    context, word = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
+    there = count > 0
+    times = np.bincount(context, count, len(names)).astype(np.int64)
+    after = np.bincount(context[there], minlength=len(names))
+    code = np.rint(-np.log10((count[there] - DISCOUNT) / times[context[there]]) / STEP)
+    trie = Trie(Trie.pack(context[there], word[there], np.clip(code, 0, ABSENT - 1)))
+    at = trie.find(context, word)  # each distinct n-gram once
+    answer = np.full(len(key), ABSENT)
+    answer[at >= 0] = trie.codes[at[at >= 0]]
+    answer, after, times = answer[where], after[run], times[run]
+    runs = np.append(0, np.cumsum([len(p[0]) for p in parts]))
+    grams = np.append(0, np.cumsum([len(p[words + 1]) for p in parts]))
+    return [planes(answer[a:b]) + planes(after[c:d]) + planes(times[c:d])
+            for a, b, c, d in zip(grams[:-1], grams[1:], runs[:-1], runs[1:])]
+
+
+def _gram_replies(counts: DataFrame, shards: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent, parts = [], []
+        names, sent = [], []
         for batch in batches:
-            for number, shard, data in zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist(),
-                                           batch.column("data").to_pylist()):
-                x, at = ascended(data, 0)
-                p = [x.astype(np.int64)]
-                for _ in range(4):
-                    x, at = unplaned(data, at)
-                    p.append(x)
-                sent.append((number, shard))
-                parts.append(p)
+            names += zip(batch.column("block").to_pylist(), batch.column("shard").to_pylist())
+            sent += [[unsqueezed(d), 0] for d in batch.column("data").to_pylist()]
         if not sent:
             return
-        every = np.unique(np.concatenate([p[0] for p in parts]))
-        of = [np.repeat(np.searchsorted(every, p[0]), p[2]).astype(U64) for p in parts]
-        key = np.concatenate([(c << U64(32)) | p[3].astype(U64) for c, p in zip(of, parts)])
-        seen = np.concatenate([p[4] for p in parts])
-        all_context = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-        key, where = np.unique(key[seen > 0], return_inverse=True)
-        count = np.bincount(where, seen[seen > 0], len(key))
-        context_count = np.zeros(len(key))
-        context_count[where] = all_context[seen > 0]
-        code = np.rint(-np.log10((count - DISCOUNT) / np.maximum(context_count, 1)) / STEP)
-        context = every[(key >> U64(32)).astype(np.int64)]
-        trie = Trie(Trie.pack(context, (key & U64(0xFFFFFFFF)).astype(np.int64), np.clip(code, 0, ABSENT - 1)))
-        del key, where, seen, all_context
-        first, size = _context_runs(context)
-        names = context[first]
-        for (number, shard), c, p in zip(sent, of, parts):
-            at = trie.find(every[c.astype(np.int64)], p[3].astype(np.int64))
-            there = at[at >= 0]
-            answer = np.full(len(at), ABSENT)
-            answer[at >= 0] = trie.codes[there]
-            k = np.minimum(np.searchsorted(names, p[0]), max(len(names) - 1, 0))
-            after = np.where(names[k] == p[0], size[k], 0) if len(names) else np.zeros(len(p[0]), np.int64)
-            as_context = planes(there) + planes(count[there]) if more else b""
-            yield from _rows([(number, shard, planes(answer) + planes(after) + as_context)], ("block", "shard"))
+        answers = [_answers(sent, words) for words in range(1, order)]
+        for (number, shard), *data in zip(names, *answers):
+            yield from _rows([(number, shard, squeezed(b"".join(data)))], ("block", "shard"))
 
     return counts.repartitionById(shards, F.col("shard")).mapInArrow(lean(run), "block long, shard int, data binary")
 
 
-def _scored(told: DataFrame, levels: list[str], total: int, distinct: int, shards: int) -> DataFrame:
+def _scored(told: DataFrame, order: int, total: int, distinct: int, offsets: np.ndarray,
+            crowded: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, word_replies, *replies in zip(batch.column("data"), *(
-                    batch.column(c).to_pylist() for c in ("words", *levels))):
+            for data, words, grams in zip(batch.column("data"), batch.column("words").to_pylist(), batch.column("grams").to_pylist()):
                 b = Block(data.as_buffer())
-                count, ids = word_facts(word_replies, shards)
+                count, ids = dense_facts(words, offsets)
                 base = (count + 1) / (total + distinct + 1)
-                p = _grams(b, count, ids, replies, base[b.tokens], total, shards, True)[0]
+                p = base[b.tokens]
+                replies = {r["shard"]: [unsqueezed(r["data"]), 0] for r in grams or []}
+                for x in orders(b, order):
+                    p = Grams(b, *x, count, ids, crowded, len(offsets)).told(replies, p)
                 at = np.append(0, np.cumsum(b.size.astype(np.int64)))
                 add = lambda x: np.add.reduceat(x, at[:-1]) if len(b.size) else x[:0]
                 yield pa.RecordBatch.from_arrays([
@@ -418,14 +498,16 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
     # by block, so that no join moves the documents
     blocks = bucketed(as_blocks(docs), ["block"], "lm")
     replies = saved(word_replies(word_counts(blocks, shards), shards))
-    sums = [struct.unpack("<qqq", r["data"]) for r in replies.where("block < 0").select("data").collect()]
-    total, distinct = sum(s[0] for s in sums), sum(s[1] for s in sums)
-    check_ids(max((s[2] for s in sums), default=0), shards)
+    facts = {r["shard"]: struct.unpack("<qqq", r["data"]) for r in replies.where("block < 0").select("shard", "data").collect()}
+    total, distinct = sum(f[0] for f in facts.values()), sum(f[1] for f in facts.values())
+    sizes = np.array([facts[k][2] if k in facts else 0 for k in range(shards)], np.int64)
+    check_ids(int(sizes.max()), shards)
+    offsets = np.cumsum(sizes) - sizes
     told = blocks.join(by_block(replies, "words").hint("shuffle_hash"), "block")
-    levels: list[str] = []
-    for n in range(2, order + 1):
-        answers = _gram_replies(_gram_counts(told, levels, total, shards), shards, n < order)
-        answers = saved(answers)
-        levels = [*levels, f"level{n}"]
-        told = told.join(by_block(answers, levels[-1]).hint("shuffle_hash"), "block", "left")
-    return _scored(told, levels, total, distinct, shards)
+    crowded = crowded_contexts(blocks, order, total, shards) if order > 1 else (np.zeros(0, U64), np.zeros(0, np.int64))
+    if order > 1:
+        answers = _gram_replies(_gram_counts(told, order, offsets, crowded), shards, order)
+        told = told.join(by_block(answers, "grams").hint("shuffle_hash"), "block", "left")
+    else:
+        told = told.withColumn("grams", F.lit(None).cast("array<struct<shard: int, data: binary>>"))
+    return _scored(told, order, total, distinct, offsets, crowded)
