@@ -20,15 +20,14 @@ _BYTE_SELECT = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[r] for
 
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Place of the r-th set bit (from 0) of each 64-bit word."""
-    r, out, done = r.copy(), np.zeros(len(word), np.int64), np.zeros(len(word), bool)
-    for b in range(8):
-        byte = ((word >> U64(8 * b)) & U64(255)).astype(np.int64)
-        n = np.bitwise_count(byte).astype(np.int64)
-        here = ~done & (r < n)
-        out[here] = 8 * b + _BYTE_SELECT[byte[here], r[here]]
-        done |= here
-        r = np.where(done, r, r - n)
-    return out
+    out, r = np.zeros(len(word), np.int64), r.copy()
+    for half in (32, 16, 8):  # the half that holds it
+        n = np.bitwise_count(word & U64((1 << half) - 1))
+        up = r >= n
+        r -= n * up
+        out += half * up
+        word = word >> (up * U64(half))
+    return out + _BYTE_SELECT[(word & U64(255)).astype(np.uint8), np.minimum(r, 7)]
 
 
 class EliasFano:
@@ -139,17 +138,22 @@ class Trie:
         )) + code.astype("<u2").tobytes()
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index of each (context, word), -1 where it isn't there."""
+        """Index of each (context, word), -1 where it isn't there; a context is
+        looked up once for neighbours that share it."""
         n = self.contexts.n
         out = np.full(len(context), -1)
-        if not n:
+        if not n or not len(context):
             return out
-        c = self.contexts.successor(context)
-        ok = c < n
-        ok[ok] = self.contexts.access(c[ok]) == context[ok]
-        c, w = c[ok], word[ok]
-        lo, hi = self.pointers.access(c), self.pointers.access(c + 1)
-        x = w + self.shifts.access(c)
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+        c = self.contexts.successor(context[first])
+        known = c < n
+        known[known] = self.contexts.access(c[known]) == context[first[known]]
+        c = np.where(known, c, 0)
+        ok = known[of]
+        of = of[ok]
+        lo, hi = self.pointers.access(c)[of], self.pointers.access(c + 1)[of]
+        x = word[ok] + self.shifts.access(c)[of]
         i = self.words.successor(x)
         hit = (i >= lo) & (i < hi)
         hit[hit] = self.words.access(i[hit]) == x[hit]

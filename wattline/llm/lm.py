@@ -89,6 +89,17 @@ def ascended(buffer: bytes, at: int) -> tuple[np.ndarray, int]:
     return np.cumsum(np.ascontiguousarray(b.T).view("<u8").ravel(), dtype=U64), at + 8 + 8 * n
 
 
+def stepped(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Numbers below 2^32 as steps from the one before, but for those where ``new``."""
+    return np.where(new, x, np.diff(x, prepend=0)) & 0xFFFFFFFF
+
+
+def unstepped(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    x = x.astype(np.int64)
+    total, at = np.cumsum(x), np.flatnonzero(new)
+    return (total - np.repeat((total - x)[at], np.diff(np.append(at, len(x))))) & 0xFFFFFFFF
+
+
 def _longs(buffer: bytes, at: int) -> tuple[np.ndarray, int]:
     n, = struct.unpack_from("<q", buffer, at)
     return np.frombuffer(buffer, "<u8", n, at + 8), at + 8 + 8 * n
@@ -120,9 +131,18 @@ class Block:
         """Training count of each word of the vocabulary."""
         return np.bincount(self.tokens, np.repeat(self.train, self.size), len(self.vocabulary)).astype(np.int64)
 
+    def told(self, replies: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """Count and id of each word of the vocabulary, which is put in the order of ids."""
+        count, ids = word_facts(replies, shards)
+        order = np.argsort(ids)
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.arange(len(ids))
+        self.vocabulary, self.tokens = self.vocabulary[order], rank[self.tokens]
+        return count[order], ids[order]
+
     def contexts(self) -> np.ndarray:
         """The token before each token; the end before a document's first."""
-        end = np.searchsorted(self.vocabulary, _END)
+        end = np.flatnonzero(self.vocabulary == _END)[0]
         before = np.empty(len(self.tokens), self.tokens.dtype)
         before[1:] = self.tokens[:-1]  # a document's last token is the end
         before[:1] = end
@@ -191,9 +211,9 @@ def word_counts(blocks: DataFrame, shards: int, count: Callable[[Block], np.ndar
     return blocks.mapInArrow(lean(run), "block long, shard int, data binary")
 
 
-def word_replies(counts: DataFrame, shards: int) -> DataFrame:
-    """block, shard, data: global count and place in the shard of each word that was sent; and
-    a row of block -1 with the shard's tokens, distinct training words and distinct words."""
+def word_replies(counts: DataFrame, shards: int, frequent_first: bool = False) -> DataFrame:
+    """block, shard, data: global count and place in the shard (in order of hashes, or of
+    counts from the largest down) of each word that was sent; and a row of block -1 with the shard's tokens, distinct training words and distinct words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = [(n, s, d) for batch in batches for n, s, d in zip(
             batch.column("block").to_pylist(), batch.column("shard").to_pylist(), batch.column("data").to_pylist())]
@@ -203,6 +223,9 @@ def word_replies(counts: DataFrame, shards: int) -> DataFrame:
         sums = [unplaned(d, at)[0] for (_, at), (_, _, d) in zip(parts, sent)]
         names, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
         total = np.bincount(where, np.concatenate(sums)).astype(np.int64)
+        place = np.arange(len(names))
+        if frequent_first:  # ids that are often sent are small
+            place[np.argsort(-total, kind="stable")] = np.arange(len(names))
         shard = sent[0][1]
         facts = struct.pack("<qqq", int(total.sum()), int((total > 0).sum()), len(names))
         yield from _rows([(-1, shard, facts)], ("block", "shard"))
@@ -210,7 +233,7 @@ def word_replies(counts: DataFrame, shards: int) -> DataFrame:
         for (number, _, _), (p, _) in zip(sent, parts):
             mine = where[at:at + len(p)]
             at += len(p)
-            yield from _rows([(number, shard, planes(total[mine] & 0xFFFFFFFF) + planes(total[mine] >> 32) + planes(mine))], ("block", "shard"))
+            yield from _rows([(number, shard, planes(total[mine] & 0xFFFFFFFF) + planes(total[mine] >> 32) + planes(place[mine]))], ("block", "shard"))
 
     return counts.repartitionById(shards, F.col("shard")).mapInArrow(lean(run), "block long, shard int, data binary")
 
@@ -233,13 +256,6 @@ def word_facts(replies: list[dict], shards: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(n).astype(np.int64), np.concatenate(i).astype(np.int64)
 
 
-def dense_facts(replies: list[dict], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As ``word_facts``, with ids that ascend with the words' hashes and leave no gap."""
-    n, i = word_facts(replies, len(offsets))
-    shard = i % len(offsets)
-    return n, i // len(offsets) + offsets[shard]
-
-
 def orders(b: Block, order: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """For each order from 2 on the words before each token, the nearest one
     first, and whether they all lie in the token's document."""
@@ -350,11 +366,18 @@ class Grams:
             return bucket_of(mix(h[local] + part.astype(U64) * U64(0xD6E8FEB86659FD93)), shards)
 
     def message(self, shard: int) -> bytes:
-        """Contexts (the nearest word in steps), how many n-grams each has, their words and counts."""
+        """Contexts, how many n-grams each has, their words and counts; a word as a step
+        from the one before where all that is nearer is the same."""
         lo, hi = self.cut[shard], self.cut[shard + 1]
         first, n = _context_runs(self.local[lo:hi])
-        near, *far = (c[self.local[lo:hi][first]] for c in self.context)
-        return b"".join(planes(x) for x in (np.diff(near, prepend=0) & 0xFFFFFFFF, *far, n, self.word[lo:hi], self.count[lo:hi]))
+        out, new = [], np.arange(len(first)) == 0
+        for c in self.context:
+            c = c[self.local[lo:hi][first]]
+            out.append(stepped(c, new))
+            new = new | np.append(True, c[1:] != c[:-1])[:len(c)]
+        new = np.zeros(hi - lo, bool)
+        new[first] = True
+        return b"".join(planes(x) for x in (*out, n, stepped(self.word[lo:hi], new), self.count[lo:hi]))
 
     def told(self, replies: dict[int, list], lower: np.ndarray) -> np.ndarray:
         """Probability of each token, given that of the order below; reads its
@@ -363,13 +386,14 @@ class Grams:
         types, total = np.zeros(len(self.context[0])), np.zeros(len(self.context[0]))
         for shard, reply in replies.items():
             lo, hi = self.cut[shard], self.cut[shard + 1]
-            code, at = unplaned(*reply)
-            after, at = unplaned(reply[0], at)
-            times, reply[1] = unplaned(reply[0], at)
+            below, at = unplaned(*reply)
+            times, at = unplaned(reply[0], at)
+            again, reply[1] = unplaned(reply[0], at)
             first, n = _context_runs(self.local[lo:hi])
             context = self.local[lo:hi][first]  # each once in a shard
-            types[context] += after
+            types[context] += times - again.astype(float)
             total[context] += times
+            code = np.where(below < ABSENT, np.repeat(_once(times), n) - below, ABSENT)
             seen[lo:hi] = VALUES[code] * np.repeat(times, n)
         context = self.local[self.of]
         t, c, below = types[context], np.maximum(total[context], 1), lower[self.known]
@@ -385,6 +409,16 @@ def _context_runs(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(context)))
 
 
+def _code(count: np.ndarray, times: np.ndarray) -> np.ndarray:
+    code = np.rint(-np.log10((count - DISCOUNT) / np.maximum(times, 1)) / STEP)
+    return np.clip(code, 0, ABSENT - 1).astype(np.int64)
+
+
+def _once(times: np.ndarray) -> np.ndarray:
+    """The code of an n-gram seen once, whose context is seen so many times."""
+    return _code(np.ones(len(times)), times)
+
+
 def squeezed(data: bytes) -> bytes:
     return struct.pack("<q", len(data)) + pa.compress(data, "zstd", asbytes=True)
 
@@ -393,15 +427,13 @@ def unsqueezed(data: bytes) -> bytes:
     return pa.decompress(data[8:], struct.unpack_from("<q", data)[0], "zstd", asbytes=True)
 
 
-def _gram_counts(told: DataFrame, order: int, offsets: np.ndarray, crowded: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _gram_counts(told: DataFrame, order: int, shards: int, crowded: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """block, shard, data: the block's n-grams of all orders from 2 on."""
-    shards = len(offsets)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, data, words in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("words").to_pylist()):
                 b = Block(data.as_buffer())
-                count, ids = dense_facts(words, offsets)
+                count, ids = b.told(words, shards)
                 grams = [Grams(b, *x, count, ids, crowded, shards) for x in orders(b, order)]
                 yield from _rows([(number, k, squeezed(b"".join(g.message(k) for g in grams))) for k in range(shards)
                                   if any(g.cut[k] < g.cut[k + 1] for g in grams)], ("block", "shard"))
@@ -410,15 +442,22 @@ def _gram_counts(told: DataFrame, order: int, offsets: np.ndarray, crowded: tupl
 
 
 def _answers(sent: list[list], words: int) -> list[bytes]:
-    """Answers to the n-grams of one order, after ``words`` words: each n-gram's code, and
-    for each context how many distinct words this shard has after it and how often."""
+    """Answers to the n-grams of one order, after ``words`` words: how far each n-gram's code
+    is below that of one seen once, and for each context how many words this shard has
+    after it and how many of them are repeats."""
     parts = []
     for message in sent:
         x = []
         for _ in range(words + 3):
             part, message[1] = unplaned(*message)
             x.append(part)
-        x[0] = np.cumsum(x[0], dtype=np.uint32)
+        new = np.arange(len(x[0])) == 0
+        for k in range(words):
+            x[k] = unstepped(x[k], new)
+            new = new | np.append(True, x[k][1:] != x[k][:-1])[:len(new)]
+        new = np.zeros(len(x[words + 1]), bool)
+        new[np.cumsum(x[words]) - x[words]] = True
+        x[words + 1] = unstepped(x[words + 1], new)
         parts.append(x)
     joined = lambda k: np.concatenate([p[k] for p in parts])
     names, run = np.unique(_ranked([joined(k) for k in range(words)], 32), return_inverse=True)
@@ -429,15 +468,14 @@ def _answers(sent: list[list], words: int) -> list[bytes]:
     there = count > 0
     times = np.bincount(context, count, len(names)).astype(np.int64)
     after = np.bincount(context[there], minlength=len(names))
-    code = np.rint(-np.log10((count[there] - DISCOUNT) / times[context[there]]) / STEP)
-    trie = Trie(Trie.pack(context[there], word[there], np.clip(code, 0, ABSENT - 1)))
+    trie = Trie(Trie.pack(context[there], word[there], _code(count[there], times[context[there]])))
     at = trie.find(context, word)  # each distinct n-gram once
     answer = np.full(len(key), ABSENT)
-    answer[at >= 0] = trie.codes[at[at >= 0]]
-    answer, after, times = answer[where], after[run], times[run]
+    answer[at >= 0] = _once(times)[context[at >= 0]] - trie.codes[at[at >= 0]]
+    answer, again, times = answer[where], (times - after)[run], times[run]
     runs = np.append(0, np.cumsum([len(p[0]) for p in parts]))
     grams = np.append(0, np.cumsum([len(p[words + 1]) for p in parts]))
-    return [planes(answer[a:b]) + planes(after[c:d]) + planes(times[c:d])
+    return [planes(answer[a:b]) + planes(times[c:d]) + planes(again[c:d])
             for a, b, c, d in zip(grams[:-1], grams[1:], runs[:-1], runs[1:])]
 
 
@@ -456,18 +494,18 @@ def _gram_replies(counts: DataFrame, shards: int, order: int) -> DataFrame:
     return counts.repartitionById(shards, F.col("shard")).mapInArrow(lean(run), "block long, shard int, data binary")
 
 
-def _scored(told: DataFrame, order: int, total: int, distinct: int, offsets: np.ndarray,
+def _scored(told: DataFrame, order: int, total: int, distinct: int, shards: int,
             crowded: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, words, grams in zip(batch.column("data"), batch.column("words").to_pylist(), batch.column("grams").to_pylist()):
                 b = Block(data.as_buffer())
-                count, ids = dense_facts(words, offsets)
+                count, ids = b.told(words, shards)
                 base = (count + 1) / (total + distinct + 1)
                 p = base[b.tokens]
                 replies = {r["shard"]: [unsqueezed(r["data"]), 0] for r in grams or []}
                 for x in orders(b, order):
-                    p = Grams(b, *x, count, ids, crowded, len(offsets)).told(replies, p)
+                    p = Grams(b, *x, count, ids, crowded, shards).told(replies, p)
                 at = np.append(0, np.cumsum(b.size.astype(np.int64)))
                 add = lambda x: np.add.reduceat(x, at[:-1]) if len(b.size) else x[:0]
                 yield pa.RecordBatch.from_arrays([
@@ -497,17 +535,15 @@ def score(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "te
                      F.col(f"`{text_col}`").alias("text"))
     # by block, so that no join moves the documents
     blocks = bucketed(as_blocks(docs), ["block"], "lm")
-    replies = saved(word_replies(word_counts(blocks, shards), shards))
-    facts = {r["shard"]: struct.unpack("<qqq", r["data"]) for r in replies.where("block < 0").select("shard", "data").collect()}
-    total, distinct = sum(f[0] for f in facts.values()), sum(f[1] for f in facts.values())
-    sizes = np.array([facts[k][2] if k in facts else 0 for k in range(shards)], np.int64)
-    check_ids(int(sizes.max()), shards)
-    offsets = np.cumsum(sizes) - sizes
+    replies = saved(word_replies(word_counts(blocks, shards), shards, True))
+    sums = [struct.unpack("<qqq", r["data"]) for r in replies.where("block < 0").select("data").collect()]
+    total, distinct = sum(s[0] for s in sums), sum(s[1] for s in sums)
+    check_ids(max((s[2] for s in sums), default=0), shards)
     told = blocks.join(by_block(replies, "words").hint("shuffle_hash"), "block")
     crowded = crowded_contexts(blocks, order, total, shards) if order > 1 else (np.zeros(0, U64), np.zeros(0, np.int64))
     if order > 1:
-        answers = _gram_replies(_gram_counts(told, order, offsets, crowded), shards, order)
+        answers = _gram_replies(_gram_counts(told, order, shards, crowded), shards, order)
         told = told.join(by_block(answers, "grams").hint("shuffle_hash"), "block", "left")
     else:
         told = told.withColumn("grams", F.lit(None).cast("array<struct<shard: int, data: binary>>"))
-    return _scored(told, order, total, distinct, offsets, crowded)
+    return _scored(told, order, total, distinct, shards, crowded)
