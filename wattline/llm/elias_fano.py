@@ -96,19 +96,36 @@ class EliasFano:
         out = np.where(beyond, self.n, place - k)
         return np.where(h <= 0, 0, np.minimum(out, self.n))
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value that is not below each ``x`` (n if none)."""
+    def _successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first value that is not below each ``x``, and whether it is ``x``."""
         x = np.asarray(x, np.int64)
-        h = x >> self.bits
-        lo, hi = self._before(h), self._before(h + 1)
+        high = x >> self.bits
+        new = np.append(True, high[1:] != high[:-1])[:len(x)]
+        h, of = high[new], np.cumsum(new) - 1  # neighbours share their high bits, if they ascend
+        lo, hi = self._before(h)[of], self._before(h + 1)[of]
         low = x & ((1 << self.bits) - 1)
-        while (live := lo < hi).any():
-            mid = (lo[live] + hi[live]) >> 1
-            less = self._lows(mid) < low[live]
-            at = np.flatnonzero(live)
-            lo[at[less]] = mid[less] + 1
-            hi[at[~less]] = mid[~less]
-        return lo
+        there = np.zeros(len(x), bool)
+        at = np.flatnonzero(lo < hi)
+        a, b, wanted = lo[at], hi[at], low[at]
+        while len(at):
+            mid = (a + b) >> 1
+            v = self._lows(mid)
+            there[at[v == wanted]] = True
+            less = v < wanted
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            lo[at] = a
+            live = a < b
+            at, a, b, wanted = at[live], a[live], b[live], wanted[live]
+        return lo, there
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value that is not below each ``x`` (n if none)."""
+        return self._successor(x)[0]
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value that is ``x``, -1 where there is none."""
+        at, there = self._successor(x)
+        return np.where(there, at, -1)
 
 
 class Trie:
@@ -146,16 +163,10 @@ class Trie:
             return out
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
-        c = self.contexts.successor(context[first])
-        known = c < n
-        known[known] = self.contexts.access(c[known]) == context[first[known]]
-        c = np.where(known, c, 0)
-        ok = known[of]
-        of = of[ok]
+        c = self.contexts.find(context[first])
+        ok = (c >= 0)[of]
+        c, of = np.maximum(c, 0), of[ok]
         lo, hi = self.pointers.access(c)[of], self.pointers.access(c + 1)[of]
-        x = word[ok] + self.shifts.access(c)[of]
-        i = self.words.successor(x)
-        hit = (i >= lo) & (i < hi)
-        hit[hit] = self.words.access(i[hit]) == x[hit]
-        out[np.flatnonzero(ok)[hit]] = i[hit]
+        i = self.words.find(word[ok] + self.shifts.access(c)[of])
+        out[ok] = np.where((i >= lo) & (i < hi), i, -1)
         return out

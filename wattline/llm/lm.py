@@ -51,7 +51,7 @@ from wattline.operators.balance import bucketed
 ORDER = 3
 DISCOUNT = 0.75
 #: Tokens and documents of a block.
-BLOCK_TOKENS = 5 << 17
+BLOCK_TOKENS = 5 << 18
 BLOCK_DOCS = 1 << 16
 #: Steps of a quantised logarithm (base 10) from 0 down; the last code is "not there".
 STEP = 2.0 ** -12
@@ -67,8 +67,8 @@ _END = mix(np.array([0x454E44], U64))[0]
 
 def planes(x: np.ndarray) -> bytes:
     """Numbers below 2^32 as four planes of bytes, which compress well."""
-    b = np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4)
-    return struct.pack("<q", len(b)) + b.T.tobytes()
+    x = np.ascontiguousarray(x, np.uint32)
+    return struct.pack("<q", len(x)) + b"".join((x >> np.uint32(k)).astype(np.uint8).tobytes() for k in (0, 8, 16, 24))
 
 
 def unplaned(buffer: bytes, at: int) -> tuple[np.ndarray, int]:
@@ -330,11 +330,13 @@ class Grams:
         known = np.flatnonzero(inside)
         bits = max(len(b.vocabulary).bit_length(), 1)
         word = np.where(count[b.tokens[known]] > 0, b.tokens[known], len(b.vocabulary))
-        distinct, where = np.unique(_ranked([*(c[known] for c in columns), word], bits), return_inverse=True)
-        n = len(distinct)
-        token = np.zeros(n, np.int64)
-        token[where] = np.arange(len(known))  # one that has it
-        first, size = _context_runs(distinct >> U64(bits))
+        key = _ranked([*(c[known] for c in columns), word], bits)
+        by_key = np.argsort(key)
+        first, times = _context_runs(key[by_key])
+        n, token = len(first), by_key[first]  # one that has it
+        trained = np.repeat(b.train, b.size)[known[by_key]].astype(np.int64)
+        count = np.add.reduceat(trained, first) if n else trained
+        first, size = _context_runs(key[token] >> U64(bits))
         local = np.repeat(np.arange(len(first)), size)
         at = known[token[first]]
         self.context = [ids[c[at]] for c in columns]
@@ -344,21 +346,23 @@ class Grams:
             k = np.minimum(np.searchsorted(crowded[0], h), len(crowded[0]) - 1)
             parts = np.where(crowded[0][k] == h, crowded[1][k], 1)
         self.word = np.append(ids, NO_WORD)[word[token]]
-        shard = self._shard(h, local, (mix(self.word) % parts[local].astype(U64)).astype(np.int64), shards)
+        shard = self._shard(h, np.arange(len(h)), np.zeros(len(h)), shards)[local]
         wide = np.flatnonzero(parts > 1)
         of, k = within(parts[wide])
-        spread = parts[local] > 1
+        spread = np.flatnonzero(parts[local] > 1)
+        part = mix(self.word[spread]) % parts[local[spread]].astype(U64)
+        shard[spread] = self._shard(h, local[spread], part, shards)
         more = np.setdiff1d(wide[of] * shards + self._shard(h, wide[of], k, shards), local[spread] * shards + shard[spread])
         shard = np.append(shard, more % shards)
         order = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")
         self.local = np.append(local, more // shards)[order]
         self.word = np.append(self.word, np.full(len(more), NO_WORD))[order]
-        trained = np.repeat(b.train, b.size)[known]
-        self.count = np.append(np.bincount(where, trained, n), np.zeros(len(more)))[order].astype(np.int64)
+        self.count = np.append(count, np.zeros(len(more), np.int64))[order]
         self.cut = _cuts(shard[order], shards)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.known, self.of = known, rank[where]
+        self.known, self.of = known, np.empty(len(known), np.int64)
+        self.of[by_key] = np.repeat(rank[:n], times)
 
     @staticmethod
     def _shard(h: np.ndarray, local: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
