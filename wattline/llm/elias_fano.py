@@ -102,7 +102,11 @@ class EliasFano:
         high = x >> self.bits
         new = np.append(True, high[1:] != high[:-1])[:len(x)]
         h, of = high[new], np.cumsum(new) - 1  # neighbours share their high bits, if they ascend
-        lo, hi = self._before(h)[of], self._before(h + 1)[of]
+        first = self._before(h)
+        last = np.append(first[1:], 0)  # where the next one has the next high bits
+        apart = np.append(h[1:] != h[:-1] + 1, True)[:len(h)]
+        last[:len(h)][apart] = self._before(h[apart] + 1)
+        lo, hi = first[of], last[of]
         low = x & ((1 << self.bits) - 1)
         there = np.zeros(len(x), bool)
         at = np.flatnonzero(lo < hi)
@@ -166,7 +170,7 @@ class Trie:
         c = self.contexts.find(context[first])
         ok = (c >= 0)[of]
         c, of = np.maximum(c, 0), of[ok]
-        lo, hi = self.pointers.access(c)[of], self.pointers.access(c + 1)[of]
         i = self.words.find(word[ok] + self.shifts.access(c)[of])
-        out[ok] = np.where((i >= lo) & (i < hi), i, -1)
+        # earlier contexts' words are all below the shift; those of later ones are behind the pointer
+        out[ok] = np.where(i < self.pointers.access(c + 1)[of], i, -1)
         return out

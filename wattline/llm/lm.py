@@ -51,7 +51,7 @@ from wattline.operators.balance import bucketed
 ORDER = 3
 DISCOUNT = 0.75
 #: Tokens and documents of a block.
-BLOCK_TOKENS = 5 << 18
+BLOCK_TOKENS = 7 << 17
 BLOCK_DOCS = 1 << 16
 #: Steps of a quantised logarithm (base 10) from 0 down; the last code is "not there".
 STEP = 2.0 ** -12
@@ -318,13 +318,14 @@ def crowded_contexts(blocks: DataFrame, order: int, total: int, shards: int) ->
 class Grams:
     """The distinct n-grams of a block in one order, by shard, context and word:
     those of the tokens whose context has no word without a training count.
-    ``of`` is the n-gram of each token, or -1.  A crowded context is spread over
+    When they are to be ``sent`` they have a ``count`` each; afterwards ``of`` is
+    the n-gram of each of the ``known`` tokens.  A crowded context is spread over
     several shards by the next word and asked for in each of them, by a word
     that there is not where there is no other, so that all parts of its count
     and of T(h) come back."""
 
     def __init__(self, b: Block, columns: list[np.ndarray], inside: np.ndarray, count: np.ndarray, ids: np.ndarray,
-                 crowded: tuple[np.ndarray, np.ndarray], shards: int):
+                 crowded: tuple[np.ndarray, np.ndarray], shards: int, sent: bool):
         for c in columns:
             inside = inside & (count[c] > 0)
         known = np.flatnonzero(inside)
@@ -334,8 +335,7 @@ class Grams:
         by_key = np.argsort(key)
         first, times = _context_runs(key[by_key])
         n, token = len(first), by_key[first]  # one that has it
-        trained = np.repeat(b.train, b.size)[known[by_key]].astype(np.int64)
-        count = np.add.reduceat(trained, first) if n else trained
+        begin = first
         first, size = _context_runs(key[token] >> U64(bits))
         local = np.repeat(np.arange(len(first)), size)
         at = known[token[first]]
@@ -357,12 +357,16 @@ class Grams:
         order = np.argsort(shard.astype(np.uint16 if shards < 1 << 16 else np.int64), kind="stable")
         self.local = np.append(local, more // shards)[order]
         self.word = np.append(self.word, np.full(len(more), NO_WORD))[order]
-        self.count = np.append(count, np.zeros(len(more), np.int64))[order]
         self.cut = _cuts(shard[order], shards)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.known, self.of = known, np.empty(len(known), np.int64)
-        self.of[by_key] = np.repeat(rank[:n], times)
+        if sent:
+            trained = np.repeat(b.train, b.size)[known[by_key]].astype(np.int64)
+            count = np.add.reduceat(trained, begin) if n else trained
+            self.count = np.append(count, np.zeros(len(more), np.int64))[order]
+        else:
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            self.known, self.of = known, np.empty(len(known), np.int64)
+            self.of[by_key] = np.repeat(rank[:n], times)
 
     @staticmethod
     def _shard(h: np.ndarray, local: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
@@ -438,7 +442,7 @@ def _gram_counts(told: DataFrame, order: int, shards: int, crowded: tuple[np.nda
             for number, data, words in zip(batch.column("block").to_pylist(), batch.column("data"), batch.column("words").to_pylist()):
                 b = Block(data.as_buffer())
                 count, ids = b.told(words, shards)
-                grams = [Grams(b, *x, count, ids, crowded, shards) for x in orders(b, order)]
+                grams = [Grams(b, *x, count, ids, crowded, shards, True) for x in orders(b, order)]
                 yield from _rows([(number, k, squeezed(b"".join(g.message(k) for g in grams))) for k in range(shards)
                                   if any(g.cut[k] < g.cut[k + 1] for g in grams)], ("block", "shard"))
 
@@ -509,13 +513,13 @@ def _scored(told: DataFrame, order: int, total: int, distinct: int, shards: int,
                 p = base[b.tokens]
                 replies = {r["shard"]: [unsqueezed(r["data"]), 0] for r in grams or []}
                 for x in orders(b, order):
-                    p = Grams(b, *x, count, ids, crowded, shards).told(replies, p)
+                    p = Grams(b, *x, count, ids, crowded, shards, False).told(replies, p)
                 at = np.append(0, np.cumsum(b.size.astype(np.int64)))
                 add = lambda x: np.add.reduceat(x, at[:-1]) if len(b.size) else x[:0]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(b.ids, pa.int64(), mask=b.null.astype(bool)), pa.array(b.train == 0),
                     pa.array(b.size.astype(np.int64)), pa.array(add((count[b.tokens] > 0).astype(np.int64))),
-                    pa.array(np.full(len(b.size), total)), pa.array(add(np.log10(base[b.tokens]))),
+                    pa.array(np.full(len(b.size), total)), pa.array(add(np.log10(base)[b.tokens])),
                     pa.array(add(np.log10(p)))],
                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
