@@ -289,6 +289,25 @@ def _ranked(columns: list[np.ndarray], bits: int) -> np.ndarray:
     return key
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """An ascending order of numbers: sorted together with their places where both fit
+    into 64 bits, which is faster than sorting places."""
+    places = max(len(key).bit_length(), 1)
+    if not len(key) or int(key.max()).bit_length() + places > 64:
+        return np.argsort(key)
+    packed = np.sort((key << U64(places)) | np.arange(len(key), dtype=U64))
+    return (packed & U64((1 << places) - 1)).astype(np.int64)
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, ascending, and which of them each one is."""
+    by_key = _order(key)
+    first, times = _context_runs(key[by_key])
+    where = np.empty(len(key), np.int64)
+    where[by_key] = np.repeat(np.arange(len(first)), times)
+    return key[by_key[first]], where
+
+
 def crowded_contexts(blocks: DataFrame, order: int, total: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, of the contexts with more than ``SPREAD`` of a shard's share of the
     training tokens, and into how many parts each is spread.
@@ -332,7 +351,7 @@ class Grams:
         bits = max(len(b.vocabulary).bit_length(), 1)
         word = np.where(count[b.tokens[known]] > 0, b.tokens[known], len(b.vocabulary))
         key = _ranked([*(c[known] for c in columns), word], bits)
-        by_key = np.argsort(key)
+        by_key = _order(key)
         first, times = _context_runs(key[by_key])
         n, token = len(first), by_key[first]  # one that has it
         begin = first
@@ -468,11 +487,14 @@ def _answers(sent: list[list], words: int) -> list[bytes]:
         x[words + 1] = unstepped(x[words + 1], new)
         parts.append(x)
     joined = lambda k: np.concatenate([p[k] for p in parts])
-    names, run = np.unique(_ranked([joined(k) for k in range(words)], 32), return_inverse=True)
+    names, run = _distinct(_ranked([joined(k) for k in range(words)], 32))
     size = joined(words)
-    key, where = np.unique((np.repeat(run, size).astype(U64) << U64(32)) | joined(words + 1).astype(U64), return_inverse=True)
+    word = joined(words + 1)
+    none = word.max(initial=0, where=word < NO_WORD) + 1  # no word either, with fewer bits
+    word, bits = np.minimum(word, none), int(none).bit_length()
+    key, where = _distinct((np.repeat(run, size).astype(U64) << U64(bits)) | word.astype(U64))
     count = np.bincount(where, joined(words + 2), len(key)).astype(np.int64)
-    context, word = (key >> U64(32)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.int64)
+    context, word = (key >> U64(bits)).astype(np.int64), (key & U64((1 << bits) - 1)).astype(np.int64)
     there = count > 0
     times = np.bincount(context, count, len(names)).astype(np.int64)
     after = np.bincount(context[there], minlength=len(names))
