@@ -85,3 +85,13 @@ def test_ramp_fold_equals_a_loop(spark, span, fan):
     got = {(r.k, r.p): r for r in out.collect()}
     for key, (g0, g) in want.items():
         assert got[key].g == pytest.approx(g, abs=1e-9) and got[key].g0 == pytest.approx(g0, abs=1e-9)
+
+
+def test_rows_are_dealt_once(spark, tmp_path):
+    """The readers of the chunks ask for the same rows, so their exchange runs once."""
+    spark.createDataFrame(_series(6, 300, 5), "k int, p long, a double, lo double, hi double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = bounded_balance(df, ["k"], "p", "a", "lo", "hi", span=16, fan=4)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1

@@ -182,3 +182,42 @@ def test_gas_availability_and_tidy(spark):
     assert [r.gas_avail_mw for r in with_gas_availability(df.drop("gas_avail_mw")).collect()] == [5.0, 6.0]
     t = tidy_columns(df, keep=("site_id",))
     assert t.columns == ["site_id", "natgas_mw", "gas_avail_mw"]
+
+
+def _events(spark, path):
+    """Events of some sites with gaps, repeated hours, null ids, times and values."""
+    import datetime as dt
+    rows, t0 = [], dt.datetime(2024, 1, 6, 5)
+    for site in (*range(40), None):
+        for i in range(6):
+            at = t0 + dt.timedelta(hours=((site or 3) * 7 + i * i * 13) % 400, minutes=i)
+            rows += [(at, site, kind, None if i == 4 else 1.5 * i + k) for k, kind in enumerate(("view", "click", "purchase"))]
+    rows += [(None, 1, "view", 9.0)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+    return rows
+
+
+def test_intervals_fill_each_hour_of_a_site_in_many_tasks(spark, tmp_path):
+    import datetime as dt
+    from wattline.sources.intervals import intervals_from_events
+    rows = [r for r in _events(spark, str(tmp_path)) if r[0] is not None]
+    floor = lambda t: t.replace(minute=0)
+    for window in (None, ("2024-01-08", "2024-01-12")):
+        want = {}
+        for site in {r[1] for r in rows}:
+            mine = [r for r in rows if r[1] == site]
+            t, end = min(floor(r[0]) for r in mine), max(floor(r[0]) for r in mine)
+            while t <= end:
+                here = [r for r in mine if floor(r[0]) == t and site is not None]
+                total = lambda *kinds: float(sum(r[3] for r in here if r[2] in kinds and r[3] is not None))
+                sun = total("click") if 6 <= t.hour <= 18 else 0.0
+                some = any(r[3] is not None for r in here)
+                price = round(total("view", "click", "purchase") / len(here), 4) if some else 35.0
+                if window is None or dt.datetime(2024, 1, 8) <= t < dt.datetime(2024, 1, 13):
+                    want[site, t] = (total("view"), sun, 0.0, total("purchase"), price)
+                t += dt.timedelta(hours=1)
+        df = intervals_from_events(spark, str(tmp_path), window)
+        got = df.collect()
+        assert len(got) == len(want)
+        assert {(r.site_id, r.ts): tuple(r)[2:] for r in got} == want
+        assert df.select(F.spark_partition_id()).distinct().count() >= 6  # of 8; small tables were made in one

@@ -170,12 +170,13 @@ def chunked_rows(df: DataFrame, keys: Sequence[str], position: Column, row: Colu
 
     The rows are dealt by (key, chunk) over the session's partition count, so
     the Python stage that follows isn't folded into a few tasks, and a key's
-    chunks go to different tasks.  ``constant`` are columns that are the same in all rows of a key; they are
+    chunks go to different tasks.  (``sort_array`` compares in place; ``array_sort``
+    evaluates an expression for every comparison.)  ``constant`` are columns that are the same in all rows of a key; they are
     kept once for a chunk.
     """
     d = known(df.withColumn("_c", F.floor(position / F.lit(span)).cast("long")), [*keys, "_c"])
     return d.repartition(shuffle_partitions(df), *keys, "_c").groupBy(*keys, "_c").agg(
-        F.array_sort(F.collect_list(row)).alias("_rows"), *[F.first(c).alias(c) for c in constant])
+        F.sort_array(F.collect_list(row)).alias("_rows"), *[F.first(c).alias(c) for c in constant])
 
 
 def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -188,6 +189,15 @@ def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
 
 
+def group_of(chunk: str, fan: int = FAN) -> Column:
+    """The group of a chunk (never null, see ``chunked_rows``).
+
+    Said so that Spark sees it: a filter on it would go down to the rows of one
+    reader of their exchange, and the rows would be made once more for that one.
+    """
+    return F.coalesce(F.floor(F.col(chunk) / F.lit(fan)).cast("long"), F.lit(0).cast("long"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back."""
     spark = df.sparkSession
@@ -222,8 +232,8 @@ def openings(chunks: DataFrame, keys: Sequence[str], *, compose: Callable, fold:
     keys = list(keys)
     e = F.struct("_c", "_f", "_last")
     group = keys if depth == 0 else [*keys, "_b"]
-    d = chunks if depth == 0 else known(chunks.withColumn("_b", F.floor(F.col("_c") / F.lit(fan)).cast("long")), group)
-    groups = d.groupBy(*group).agg(F.array_sort(F.collect_list(e)).alias("_e"))
+    d = chunks if depth == 0 else chunks.withColumn("_b", group_of("_c", fan))
+    groups = d.groupBy(*group).agg(F.sort_array(F.collect_list(e)).alias("_e"))
     functions = F.transform("_e", lambda x: x["_f"])
     if depth == 0:
         opened = groups.withColumns({"_si": init, "_sp": init_prev, "_bf": F.lit(None).cast(last_type)})

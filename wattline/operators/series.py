@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.operators.balance import FAN, chunked_rows, shuffle_partitions, stored
+from wattline.operators.balance import FAN, chunked_rows, group_of, shuffle_partitions, stored
 
 SPAN = 1024
 DEPTH = 2
@@ -78,7 +78,7 @@ def _tails(ends: DataFrame, keys: list[str], n: int, depth: int) -> DataFrame:
     """keys, _c, _tail: the last ``n`` rows before each chunk, from each chunk's
     own last rows (``ends``); chunks are looked at in groups of FAN."""
     group = keys if depth == 0 else [*keys, "_b"]
-    d = ends if depth == 0 else ends.withColumn("_b", F.floor(F.col("_c") / F.lit(FAN)).cast("long"))
+    d = ends if depth == 0 else ends.withColumn("_b", group_of("_c"))
     g = d.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_c", "_tail"))).alias("_e"))
     own = F.transform("_e", lambda x: x["_tail"])
     if depth == 0:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattline.operators.balance import shuffle_partitions
 from wattline.sources.csv_source import HeadedCsv
 
 INTERVAL_COLUMNS = ["site_id", "ts", "wind_mw", "solar_mw", "natgas_mw", "load_mw", "price"]
@@ -75,35 +76,47 @@ def intervals_from_events(spark: SparkSession, sf_dir: str, window: tuple[str, s
     events).  This only shapes the input; all dispatch work happens later.
     With a ``window`` (first and last day) only its hours are made: the wide
     scan is filtered by ``ts``, the sites' spans come from one of two columns.
+
+    Only hours with events are dealt out: each also makes the empty hours up to
+    the site's next one, in as many tasks as the session has shuffle partitions.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_type", "value")
     all_ts = ev.select(F.col("user_id").alias("site_id"), hour_floor(F.col("ts")).alias("ts"))
+    hour = F.expr("INTERVAL 1 HOUR")
     if window:
         lo, hi = F.lit(window[0]).cast("timestamp_ntz"), F.date_add(F.lit(window[1]).cast("date"), 1).cast("timestamp_ntz")
         ev = ev.where((F.col("ts") >= lo) & (F.col("ts") < hi))
     v = F.col("value").cast("decimal(18,2)")
     zero = F.lit(0).cast("decimal(18,2)")
     et = F.col("event_type")
-    agg = (ev.groupBy(F.col("user_id").alias("site_id"), hour_floor(F.col("ts")).alias("ts"))
-           .agg(F.sum(F.when(et == "view", v).otherwise(zero)).alias("wind"),
-                F.sum(F.when((et == "click") & F.hour("ts").between(6, 18), v).otherwise(zero)).alias("solar"),
-                F.sum(F.when(et == "signup", v).otherwise(zero)).alias("natgas"),
-                F.sum(F.when(et.isin("purchase", "error"), v).otherwise(zero)).alias("loadd"),
-                (F.sum(v).cast("double") / F.count(F.lit(1))).alias("price_raw")))
-    span = all_ts.groupBy("site_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    values = {"wind": F.sum(F.when(et == "view", v).otherwise(zero)),
+              "solar": F.sum(F.when((et == "click") & F.hour("ts").between(6, 18), v).otherwise(zero)),
+              "natgas": F.sum(F.when(et == "signup", v).otherwise(zero)),
+              "loadd": F.sum(F.when(et.isin("purchase", "error"), v).otherwise(zero)),
+              "price_raw": F.sum(v).cast("double") / F.count(F.lit(1))}
+    met = (ev.where(F.col("ts").isNotNull()).groupBy(F.col("user_id").alias("site_id"), hour_floor(F.col("ts")).alias("ts"))
+           .agg(F.lit(1).alias("_met"), *[x.cast("double").alias(n) for n, x in values.items()]))
     if window:
-        span = span.select("site_id", F.greatest("lo", lo).alias("lo"), F.least("hi", hi - F.expr("INTERVAL 1 HOUR")).alias("hi")
-                           ).where("lo <= hi")
-    spine = span.select("site_id", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias("ts"))
-    j = spine.join(agg, ["site_id", "ts"], "left")
-    return j.select(
+        # a site's span may begin before its first event in the window and end after the last
+        span = all_ts.groupBy("site_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        span = span.select("site_id", F.greatest("lo", lo).alias("lo"), F.least("hi", hi - hour).alias("hi")).where("lo <= hi")
+        ends = span.select("site_id", F.explode(F.array(F.col("lo"), F.col("hi") + hour)).alias("ts"))
+        met = met.unionByName(ends, allowMissingColumns=True)
+    # of two rows of an hour (a span's begin, and its events) the second makes the hours
+    after = F.lead("ts").over(Window.partitionBy("site_id").orderBy("ts", F.col("_met").asc_nulls_first()))
+    d = met.repartition(shuffle_partitions(ev), "site_id").withColumn(
+        "_next", after if window else F.coalesce(after, F.col("ts") + hour))
+    d = d.where(F.col("_next") > F.col("ts")).select(
+        "*", F.posexplode(F.sequence("ts", F.col("_next") - hour, hour)).alias("_k", "_hour"))
+    given = lambda c, none: F.coalesce(F.when((F.col("_k") == 0) & F.col("site_id").isNotNull(), F.col(c)), F.lit(none))
+    return d.select(
         F.col("site_id").cast("bigint").alias("site_id"),
-        F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.coalesce(F.col("wind").cast("double"), F.lit(0.0)).alias("wind_mw"),
-        F.coalesce(F.col("solar").cast("double"), F.lit(0.0)).alias("solar_mw"),
-        F.coalesce(F.col("natgas").cast("double"), F.lit(0.0)).alias("natgas_mw"),
-        F.coalesce(F.col("loadd").cast("double"), F.lit(0.0)).alias("load_mw"),
-        F.round(F.coalesce(F.col("price_raw"), F.lit(35.0)), 4).alias("price"),
+        F.col("_hour").cast("timestamp_ntz").alias("ts"),
+        given("wind", 0.0).alias("wind_mw"),
+        given("solar", 0.0).alias("solar_mw"),
+        given("natgas", 0.0).alias("natgas_mw"),
+        given("loadd", 0.0).alias("load_mw"),
+        F.round(given("price_raw", 35.0), 4).alias("price"),
     )
 
 
