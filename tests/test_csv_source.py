@@ -58,3 +58,17 @@ def test_files_with_their_own_headers(spark, tmp_path):
         assert df.select("site_id", "file_name").distinct().count() >= 3
     assert read_interval_csv(spark, f"{tmp_path}/*.csv", headers=h).where("id like 'r%'").count() == 900
     assert read_interval_csv(spark, f"file://{tmp_path}/c.csv", headers=h).where("id like 'r%'").count() == 300
+
+
+def test_the_number_of_ranges_does_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op, "MOST_RANGES", 8)
+    rng = random.Random(9)
+    for k in range(3):
+        (tmp_path / f"f{k}.csv").write_bytes(noisy(rng, 200, ["id", "a", "b"])[0].encode())
+    options = {"path": str(tmp_path), "headers": '{"x": "id", "y": "a"}', "rangebytes": "64"}
+    source = op.HeadedCsv(options)
+    reader = op.Reader(source.schema(), options)
+    parts = reader.partitions()
+    assert len(parts) <= 8 + 3
+    ids = [v for p in parts for b in reader.read(p) for v in b.column(1).to_pylist()]
+    assert sorted(ids) == sorted(f"r{i}" for i in range(200) for _ in range(3))

@@ -33,6 +33,8 @@ RANGE_BYTES = 128 << 20
 BLOCK = 1 << 20
 LONE_RETURN = re.compile("\r(?!\n)")
 ROWS = 10_000
+#: Ranges of all files together, about; more than that and ranges get longer.
+MOST_RANGES = 1024
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -122,7 +124,11 @@ class Reader(DataSourceReader):
         self.breaks = options.get("quotedbreaks", "true").lower() != "false"
 
     def partitions(self) -> list[Range]:
-        return [Range(p, lo, min(lo + self.size, n)) for p, n in files(self.path) for lo in range(0, n, self.size)] or [Range("", 0, 0)]
+        """Ranges of ``rangeBytes`` or longer: each is a task that reads its file's header and
+        counts the quotes before it, so their number must not grow with the input."""
+        found = files(self.path)
+        size = max(self.size, -(-sum(n for _, n in found) // MOST_RANGES))
+        return [Range(p, lo, min(lo + size, n)) for p, n in found for lo in range(0, n, size)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
