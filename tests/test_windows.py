@@ -53,3 +53,20 @@ def test_minimum_time_longer_than_a_chunk(spark):
         assert r.starts_in_min_up == sum(starts[max(i - 2499, 0):i + 1])
         assert r.stops_in_min_down == sum(stops[max(i - 2999, 0):i + 1])
         assert r.gas_prev == (rows[i - 1][2] if i else None) and r.soc1_prev == (rows[i - 1][6] if i else None)
+
+
+def test_commitment_needs_few_columns(spark):
+    """What is stored of a dispatch for ``gas_commitment`` is what it reads; the rows are the same."""
+    from wattline.operators.audit import commitment_columns
+    from wattline.operators.dispatch import serve_first_dispatch
+    from wattline.plans.catalog import AUDIT_CFG
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, t0 + dt.timedelta(hours=h), 0.0, float(h * s % 7), 0.0, float(h % 5 * 9), 30.0) for s in (1, 2) for h in range(60)]
+    iv = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, wind_mw double, solar_mw double, natgas_mw double, "
+                                     "load_mw double, price double")
+    disp = serve_first_dispatch(iv, keys=["site_id"], cfg=AUDIT_CFG)
+    thin = commitment_columns(disp, ["site_id"])
+    assert len(thin.columns) < len(disp.columns) / 2
+    cols = ["site_id", "ts", "gas_gen", "gas_on", "gas_start", "gas_prev", "ramp_step", "starts_in_min_up", "stops_in_min_down"]
+    both = [sorted(map(tuple, gas_commitment(d, keys=["site_id"]).select(*cols).collect())) for d in (disp, thin)]
+    assert both[0] == both[1] and len(both[0]) == 120

@@ -13,7 +13,7 @@ from wattline.functions.clean import (OPTIONAL, REQUIRED, clean_intervals, inter
                                       tidy_columns, with_gas_availability, year_span)
 from wattline.functions.profiles import fill_synthetic_load
 from wattline.functions.text import parse_values
-from wattline.operators.audit import dispatch_audit, gas_commitment
+from wattline.operators.audit import commitment_columns, dispatch_audit, gas_commitment
 from wattline.operators.balance import bounded_balance
 from wattline.operators.dispatch import interval_position, scheduled_dispatch, serve_first_dispatch
 from wattline.operators.metrics import monthly_cycles, monthly_cycles_map
@@ -73,7 +73,7 @@ _GAP_SQL = "iv_gaps AS (SELECT * FROM intervals WHERE hour(ts) NOT IN (3, 4, 17)
 def q_gas_starts_gaps(spark, sf_dir):
     """W2-W5 on series with three hours a day missing: windows count rows."""
     disp = serve_first_dispatch(_gaps(intervals(spark, sf_dir)), keys=["site_id"], cfg=C.AUDIT_CFG)
-    return gas_commitment(disp, keys=["site_id"]).select(*C.GS_COLS)
+    return gas_commitment(commitment_columns(disp, ["site_id"]), keys=["site_id"]).select(*C.GS_COLS)
 
 
 @register("dispatch_audit_gaps", with_sql(_GAP_SQL + serve_first_sql(C.AUDIT_CFG, src="iv_gaps") + ",\n" + C._au_body, C._au_sel))
