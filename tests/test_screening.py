@@ -101,3 +101,16 @@ def test_gas_sizing_recommendation(spark):
     r = {x.gas_capacity_mw: x for x in SW.recommend_gas_capacity(df, 90.0).collect()}
     assert r[50.0].is_recommended and not r[75.0].is_recommended
     assert r[50.0].is_knee and r[50.0].slope == pytest.approx(32.0)
+
+
+def test_a_sweeps_plan_does_not_repeat_the_grid(spark):
+    """Blocks of lanes and facts are tables, so the plan of a sweep stays small (it fills the driver otherwise)."""
+    import datetime as dt
+    from wattline.plans.catalog import SWEEP_BASE
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 1.0, 5.0, 0.0, 9.0, 30.0) for s in (1, 2) for h in range(30)]
+    iv = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, wind_mw double, solar_mw double, natgas_mw double, "
+                                     "load_mw double, price double")
+    sweep = SW.capacity_sweep(iv, SWEEP_BASE, UNIT_RANGES)
+    plan = sweep._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") <= len(SW.CAND_COLS)
+    assert sweep.count() == 16

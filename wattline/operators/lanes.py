@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from wattline.config import (battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, gas_no_load_cost,
                              gas_variable_cost)
 from wattline.functions.profiles import synthetic_load
-from wattline.operators.balance import _CLAMPS, SPAN, bucketed, chunked_rows, clamp_openings, shifted, shuffle_partitions
+from wattline.operators.balance import _CLAMPS, SPAN, bucketed, chunked_rows, clamp_openings, shifted, shuffle_partitions, \
+    stored
 from wattline.operators.dispatch import EPS_ON, KEYS, _attach, _derive, _flows, finish, marginal_gas_cost, seconds_of
 
 #: Bytes of the balances of one block over one chunk; the block's lanes follow from it.
@@ -386,6 +387,8 @@ def lanes_of(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str], cfg: Mapp
         d = d.withColumn("_lb", F.lit(0))
     blocks = d.groupBy("site_id", "_lb").agg(F.array_sort(F.collect_list(
         F.struct(*lane_keys, *_lane_inputs(), *[F.col(c).alias(f"c_{c}") for c in own]))).alias("_lanes"))
+    # read in several places below: as a table, so that the plan doesn't repeat how the lanes came about at each
+    blocks = stored(blocks, "lanes")
     last = chunks.groupBy("site_id").agg(F.max("_c").alias("_last_c"))
     pairs = chunks.select("site_id", "_c").join(blocks.join(last, "site_id"), "site_id")
     base = chunks.select("site_id", "_c", "_rows", "_last").join(pairs.hint("shuffle_hash"), ["site_id", "_c"])

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from wattline.functions.econ import annual_figures, annualized_cost, econ_columns, with_econ
 from wattline.functions.text import money_text
+from wattline.operators.balance import stored
 from wattline.operators.lanes import lane_dispatch, lane_metrics, site_facts, stored_chunks, windowed_chunks
 from wattline.operators.metrics import metrics_of
 from wattline.operators.series import ranged, row_numbers
@@ -168,7 +169,7 @@ def capacity_sweep(iv: DataFrame, base: Mapping[str, Any], ranges: Mapping[str,
     a single row with an ``error`` and without a candidate.
     """
     chunks = chunks_of(iv, base)
-    facts = site_facts(chunks)
+    facts = stored(site_facts(chunks), "facts")
     grid = candidate_grid(facts, ranges, cap)
     cands, cfg = candidate_config(grid.withColumnsRenamed({"solar_mw": "cand_solar_mw", "wind_mw": "cand_wind_mw"}),
                                   base)
@@ -388,11 +389,11 @@ def scenario_screening(iv: DataFrame, site_scenarios: DataFrame) -> DataFrame:
     """
     c = F.col
     chunks = windowed_chunks(chunks_of(iv), site_scenarios)
-    facts = site_facts(chunks)
+    facts = stored(site_facts(chunks), "facts")
     grid = candidate_grid(facts.join(site_scenarios, "site_id"), None)
     given = site_scenarios.select("site_id", c("name").alias("scenario"), c("reliability_target_pct").alias("target_pct"),
                                   "grid_allowed", "run_config", "econ")
-    cands = grid.join(given, "site_id")
+    cands = stored(grid.join(given, "site_id"), "candidates")
     sizes = {"battery_power_mw": c("bess_power_mw"), "battery_duration_h": c("bess_duration_h"), "gas_pmax_mw": c("gas_mw"),
              "gas_enabled": c("gas_mw") > 0, "gas_dispatchable": c("gas_mw") > 0,
              "gas_pmin_mw": F.least(c("run_config.gas_pmin_mw"), c("gas_mw"))}
