@@ -85,3 +85,17 @@ def test_windows_prune_chunks(spark):
     load = {r.ts.hour: r.load_mw for r in rows if r.site_id == 3}
     assert all(r.ts.date() == dt.date(2024, 1, 2) for r in rows if r.site_id == 3)
     assert load[6] == 0.0 and load[7] == 7.0 and load[22] == 7.0 and load[23] == 0.0
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_openings_of_a_block_in_groups(spark, monkeypatch, fan):
+    """Chunks open alike however many of them a group takes; a block's lanes are one row of it."""
+    monkeypatch.setattr(op, "SPAN", 64)
+    chunks = op._stored(op.chunked_rows(intervals(spark, {1: 700, 2: 30}), ["site_id"], op.chunk_position(), F.struct(
+        "ts", "wind_mw", "solar_mw", "natgas_mw", "load_mw", "price"), 64))
+    ls = lanes(spark, [1, 2], 5)
+    whole = sorted(map(tuple, op.lane_metrics(chunks, ls, cfg=CFG).collect()))
+    monkeypatch.setattr(op, "FAN", fan)
+    assert sorted(map(tuple, op.lane_metrics(chunks, ls, cfg=CFG).collect())) == whole and len(whole) == 10
+    opened = op.lanes_of(chunks, ls, ["site_id", "candidate_id"], CFG).opened
+    assert dict(opened.dtypes)["s_in"] == "array<double>" and opened.count() == chunks.count() > 10

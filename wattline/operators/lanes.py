@@ -27,14 +27,15 @@ from pyspark.sql import types as T
 from wattline.config import (battery2_energy_mwh, battery_energy_mwh, gas_co2_tons_per_mwh, gas_no_load_cost,
                              gas_variable_cost)
 from wattline.functions.profiles import synthetic_load
-from wattline.operators.balance import _CLAMPS, SPAN, bucketed, chunked_rows, clamp_openings, shifted, shuffle_partitions, \
-    stored
+from wattline.operators.balance import _CLAMPS, SPAN, bucketed, chunked_rows, openings, shifted, shuffle_partitions, stored
 from wattline.operators.dispatch import EPS_ON, KEYS, _attach, _derive, _flows, finish, marginal_gas_cost, seconds_of
 
 #: Bytes of the balances of one block over one chunk; the block's lanes follow from it.
 BLOCK_BYTES = 2 << 20
 #: Columns of a matrix that are scanned at once.
-COLUMNS = 2048
+COLUMNS = 512
+#: Chunks of a group whose openings are found together: they hold the clamps of all lanes of a block.
+FAN = 256
 
 _INPUTS = ("wind_mw", "solar_mw", "natgas_mw", "load_mw", "price")
 #: A lane's numbers: profile factors and load level (null: as it is), battery, must-run gas, gas limits and costs.
@@ -49,6 +50,7 @@ _LEAST = ("_soc1_min", "_clip_min")
 _MOST = ("_cap_max", "_soc1_max", "_imp_max", "_exp_max", "_infeasible")
 _D = T.DoubleType()
 _SUMS = T.StructType([T.StructField(n, _D) for n in (*_ADDED, *_LEAST, *_MOST)])
+_STATES = T.ArrayType(_D)
 
 
 # ---------------------------------------------------------------------------
@@ -163,12 +165,19 @@ def _pieces(rows: pa.Array, lanes: pa.Array) -> list[Piece]:
 
 
 def _profiles(rows: Mapping[str, np.ndarray], lane: Mapping[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Wind, solar, must-run gas and load of each interval (row) and lane (column)."""
-    scaled = lambda x, k: np.where(np.isnan(k), x[:, None], x[:, None] * k)
-    ng = rows["natgas_mw"][:, None]
-    must = np.select([lane["must"] == NO_GAS, lane["must"] == PROFILE, lane["must"] == FLAT],
-                     [np.zeros_like(ng), ng, lane["pmax"]], np.minimum(ng, lane["pmax"]))
-    load = np.where(np.isnan(lane["load"]), rows["load_mw"][:, None], lane["load"])
+    """Wind, solar, must-run gas and load of each interval (row) and lane (column).
+    What is the same in all rows or lanes comes as one of them."""
+    scaled = lambda x, k: x[:, None] * np.where(np.isnan(k), 1.0, k)
+    ng, kind = rows["natgas_mw"][:, None], lane["must"]
+    if (kind == NO_GAS).all():
+        must = np.zeros((1, len(kind)))
+    elif (kind <= PROFILE).all() and np.isfinite(ng).all():
+        must = ng * kind
+    else:
+        must = np.select([kind == NO_GAS, kind == PROFILE, kind == FLAT], [np.zeros_like(ng), ng, lane["pmax"]],
+                         np.minimum(ng, lane["pmax"]))
+    level = np.isnan(lane["load"])
+    load = rows["load_mw"][:, None] if level.all() else np.where(level, rows["load_mw"][:, None], lane["load"])
     return scaled(rows["wind_mw"], lane["wk"]), scaled(rows["solar_mw"], lane["sk"]), must, load
 
 
@@ -232,38 +241,100 @@ def _compose(rows: pa.Array, lanes: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[p.m for p in pieces]]), pa.int32()), vals)
 
 
+def _numbers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of a list of numbers, and the numbers (null: NaN)."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    return arr.offsets.to_numpy(), arr.values.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _functions(arr: pa.Array):
+    """For each list of chunks their clamps: a row for each number, a column for
+    each lane (None: the chunk opens no other)."""
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    offs, known, at = arr.offsets.to_numpy(), np.asarray(arr.values.is_valid()), arr.values.offsets.to_numpy()
+    flat = np.stack([arr.values.values.field(n).to_numpy(zero_copy_only=False).astype(float) for n in _CLAMPS.names])
+    for lo, hi in zip(offs[:-1], offs[1:]):
+        yield [flat[:, at[k]:at[k + 1]] if known[k] else None for k in range(lo, hi)]
+
+
+def _clamped(s: np.ndarray, f: np.ndarray) -> np.ndarray:
+    return np.minimum(f[2], np.maximum(f[1], s + f[0]))
+
+
+@F.arrow_udf(T.ArrayType(_CLAMPS))
+def _compose_lanes(clamps: pa.Array) -> pa.Array:
+    """The clamps of each lane over the chunks of a group, as one (null: no chunk has any)."""
+    out = []
+    for chunks in _functions(clamps):
+        whole = None
+        for f in chunks:
+            if f is None:
+                continue
+            if whole is None:
+                whole = f
+            else:
+                whole = np.stack([x for g in (f[:3], f[3:]) for x in (
+                    whole[0] + g[0], _clamped(whole[1], g), _clamped(whole[2], g))])
+        out.append(whole)
+    offs = np.cumsum([0, *[0 if f is None else f.shape[1] for f in out]])
+    some = [f for f in out if f is not None]
+    flat = np.concatenate(some, axis=1) if some else np.zeros((6, 0))
+    vals = pa.StructArray.from_arrays([pa.array(x) for x in flat], names=_CLAMPS.names)
+    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), vals, mask=pa.array([f is None for f in out], pa.bool_()))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("s_in", _STATES), T.StructField("s_prev", _STATES)])))
+def _fold_lanes(s_in: pa.Array, s_prev: pa.Array, clamps: pa.Array) -> pa.Array:
+    """The balances of the lanes before each chunk, and before the row before it (null: where they start)."""
+    lists = lambda x: x.to_numpy(zero_copy_only=False)
+    out = []
+    for s, sp, chunks in zip(lists(s_in), lists(s_prev), _functions(clamps)):
+        rows = []
+        for f in chunks:
+            rows.append({"s_in": s, "s_prev": sp})
+            if f is not None:
+                was = np.zeros(f.shape[1]) if s is None else s
+                s, sp = _clamped(was, f[:3]), _clamped(was, f[3:])
+        out.append(rows)
+    state = pa.list_(pa.float64())
+    return pa.array(out, pa.list_(pa.struct([("s_in", state), ("s_prev", state)])))
+
+
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def _fold(rows: pa.Array, lanes: pa.Array, opened: pa.Array) -> pa.Array:
+def _fold(rows: pa.Array, lanes: pa.Array, s_in: pa.Array) -> pa.Array:
     pieces = _pieces(rows, lanes)
-    _, o = _fields(opened, ("s_in",))
-    done = [s.T.ravel() for _, s in _balances(pieces, o["s_in"])]
+    done = [s.T.ravel() for _, s in _balances(pieces, _numbers(s_in)[1])]
     sizes = np.concatenate([[0], *[np.full(p.m, p.n) for p in pieces]])
     inner = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(done) if done else np.zeros(0)))
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[p.m for p in pieces]]), pa.int32()), inner)
 
 
-def _gas(rows: Mapping[str, np.ndarray], lane: Mapping[str, np.ndarray], must: np.ndarray, load: np.ndarray, gen: np.ndarray,
+def _gas(rows: Mapping[str, np.ndarray], lane: Mapping[str, np.ndarray], load: np.ndarray, gen: np.ndarray,
          charge: np.ndarray, discharge: np.ndarray, grid_on: bool) -> tuple[np.ndarray, np.ndarray]:
     """Output of dispatchable gas, and the gas cap."""
-    ng, pmax = rows["natgas_mw"][:, None], lane["pmax"]
-    use = lane["use_cap"] > 0
-    cap = np.where(use, np.where(pmax > 0, np.minimum(ng, pmax), ng), pmax)
+    pmax, use = lane["pmax"], lane["use_cap"] > 0
+    cap = pmax[None, :]
+    if use.any():
+        ng = rows["natgas_mw"][:, None]
+        cap = np.where(use, np.where(pmax > 0, np.minimum(ng, pmax), ng), pmax)
     high = np.maximum(0.0, np.minimum(np.where(pmax > 0, pmax, cap), cap))
     low = np.minimum(np.maximum(0.0, lane["pmin"]), high)
-    need = np.maximum(0.0, load + charge - gen - discharge)
     ok = lane["gas_ok"] > 0
     if grid_on:
         ok = ok & (lane["marginal"] < rows["price"][:, None])
-    need = np.where(ok, need, 0.0)
-    return np.where(need > 1e-9, np.maximum(low, np.minimum(high, need)), 0.0), cap
+    need = np.maximum(0.0, load + charge - gen - discharge)
+    return np.where(ok & (need > 1e-9), np.maximum(low, np.minimum(high, need)), 0.0), cap
 
 
 def _flow(rows: Mapping[str, np.ndarray], lane: Mapping[str, np.ndarray], s: np.ndarray, before: np.ndarray, grid_on: bool):
     wind, solar, must, load = _profiles(rows, lane)
     gen = (wind + solar) + must
     step = s - before
-    charge, discharge = np.maximum(step, 0.0) / (lane["eta"] * lane["dt"]), np.maximum(-step, 0.0) / lane["dt"]
-    gas, cap = _gas(rows, lane, must, load, gen, charge, discharge, grid_on)
+    up = np.maximum(step, 0.0)
+    charge, discharge = up / (lane["eta"] * lane["dt"]), (up - step) / lane["dt"]
+    gas, cap = _gas(rows, lane, load, gen, charge, discharge, grid_on)
     return wind, solar, must, load, gen, charge, discharge, gas, cap
 
 
@@ -272,51 +343,59 @@ def lane_sums(piece: Piece, s: np.ndarray, s_in: np.ndarray, s_prev: np.ndarray,
     """The sums ``_SUMS`` of each lane of a piece: a row for each sum.
 
     ``last`` has the interval before the chunk (None: there is none), ``s_prev``
-    and ``s_in`` the balances before and after it.
+    and ``s_in`` the balances before and after it.  What is the same in all
+    intervals of a lane is multiplied with its sums.
     """
-    rows, lane, dt = piece.rows, piece.lanes, piece.lanes["dt"]
+    rows, lane, dt, n, m = piece.rows, piece.lanes, piece.lanes["dt"], piece.n, piece.m
     prev = np.vstack([s_in[None, :], s[:-1]])
     wind, solar, must, load, gen, charge, discharge, gas_d, cap = _flow(rows, lane, s, prev, grid_on)
-    price = np.nan_to_num(rows["price"], nan=0.0)[:, None]  # a missing price adds nothing to a sum of money
+    price = np.nan_to_num(rows["price"], nan=0.0)  # a missing price adds nothing to a sum of money
     supply = gen + gas_d + discharge - charge
+    none = np.zeros(m)
+    total = lambda x: np.broadcast_to(x, (n, m)).sum(0)
+    worth = lambda x: (price[:, None] * x).sum(0)
     if grid_on:
         imp, surplus = np.maximum(0.0, load - supply), np.maximum(0.0, supply - load)
         exp = np.minimum(lane["poi"], surplus)
-        serve, clipped, bad = load, surplus - exp, imp > lane["poi"] + 1e-9
+        clipped, served, unserved = surplus - exp, total(load), none
+        merchant, imported, exported = worth(exp - imp), imp.sum(0), exp.sum(0)
+        imp_max, exp_max = imp.max(0), np.abs(exp).max(0)
+        bad = imp_max > lane["poi"] + 1e-9
     else:
-        imp = exp = np.zeros_like(supply)
         serve = np.minimum(load, supply)
-        clipped, bad = np.maximum(0.0, supply - serve), np.zeros(supply.shape, bool)
+        clipped, served, unserved = np.maximum(0.0, supply - serve), serve.sum(0), (load - serve).sum(0)
+        merchant = imported = exported = imp_max = exp_max = bad = none
     gas = must + gas_d
     on = gas > EPS_ON
-    was = np.zeros(piece.m, bool)
+    was = np.zeros(m, bool)
     if last is not None:
-        _, _, m, _, _, _, _, g, _ = _flow(last, lane, s_in[None, :], s_prev[None, :], grid_on)
-        was = (m + g > EPS_ON)[0] & ~np.isnan(s_prev)
-    start = on & ~np.vstack([was[None, :], on[:-1]])
-    cost = gas * lane["var"] * dt + start * lane["startup"] + on * lane["noload"] * dt
-    full = np.ones_like(supply)
-    added = (full, load * dt, serve * dt, (load - serve) * dt, (exp - imp) * price * dt, cost, wind * dt, solar * dt, gas * dt,
-             charge * dt, clipped * dt, ((wind + solar) + must + gas_d) * dt, imp * dt, exp * dt, discharge * dt,
-             clipped * price * dt, start, on, serve,
-             np.maximum(wind, 0.0) + np.maximum(solar, 0.0) + np.maximum(gas, 0.0))
-    return np.stack([*[np.broadcast_to(x, supply.shape).sum(0) for x in added], s.min(0), clipped.min(0),
-                     np.broadcast_to(cap, supply.shape).max(0), s.max(0), np.abs(imp).max(0), np.abs(exp).max(0), bad.max(0)])
+        _, _, must0, _, _, _, _, g, _ = _flow(last, lane, s_in[None, :], s_prev[None, :], grid_on)
+        was = (must0 + g > EPS_ON)[0] & ~np.isnan(s_prev)
+    start = on.copy()
+    start[1:] &= ~on[:-1]
+    start[0] &= ~was
+    starts, ran, natgas = start.sum(0), on.sum(0), gas.sum(0)
+    available = total(np.maximum(wind, 0.0) + np.maximum(solar, 0.0) + np.maximum(gas, 0.0))
+    return np.stack([np.full(m, float(n)), total(load) * dt, served * dt, unserved * dt, merchant * dt,
+                     natgas * lane["var"] * dt + starts * lane["startup"] + ran * lane["noload"] * dt, wind.sum(0) * dt,
+                     solar.sum(0) * dt, natgas * dt, charge.sum(0) * dt, clipped.sum(0) * dt, (gen + gas_d).sum(0) * dt,
+                     imported * dt, exported * dt, discharge.sum(0) * dt, worth(clipped) * dt, starts, ran, served, available,
+                     s.min(0), clipped.min(0), np.broadcast_to(cap, (n, m)).max(0), s.max(0), imp_max, exp_max, bad])
 
 
 def _summing(grid_on: bool) -> Callable:
     @F.arrow_udf(T.ArrayType(_SUMS))
-    def sums(rows: pa.Array, lanes: pa.Array, opened: pa.Array, before: pa.Array) -> pa.Array:
+    def sums(rows: pa.Array, lanes: pa.Array, s_in: pa.Array, s_prev: pa.Array, before: pa.Array) -> pa.Array:
         pieces = _pieces(rows, lanes)
-        _, o = _fields(opened, ("s_in", "s_prev"))
+        opened, earlier = _numbers(s_in)[1], _numbers(s_prev)[1]
         if isinstance(before, pa.ChunkedArray):
             before = before.combine_chunks()
         known = np.asarray(before.is_valid())
         last = {c: before.field(c).to_numpy(zero_copy_only=False).astype(float) for c in _INPUTS}
         done = []
-        for k, (p, s) in enumerate(_balances(pieces, o["s_in"])):
+        for k, (p, s) in enumerate(_balances(pieces, opened)):
             had = {c: v[k:k + 1] for c, v in last.items()} if known[k] and p.m else None
-            done.append(lane_sums(p, s, o["s_in"][p.columns], o["s_prev"][p.columns], had, grid_on)
+            done.append(lane_sums(p, s, opened[p.columns], earlier[p.columns], had, grid_on)
                         if p.m else np.zeros((len(_SUMS), 0)))
         flat = np.concatenate(done, axis=1) if done else np.zeros((len(_SUMS), 0))
         vals = pa.StructArray.from_arrays([pa.array(x) for x in flat], names=_SUMS.names)
@@ -355,7 +434,9 @@ class Lanes:
     deal: list[str]
 
     def joined(self) -> DataFrame:
-        return self.base.join(self.opened.hint("shuffle_hash"), self.deal)
+        start = lambda x, none: F.coalesce(x, F.transform("_lanes", lambda _: none))
+        return self.base.join(self.opened.hint("shuffle_hash"), self.deal).withColumns({
+            "s_in": start("s_in", F.lit(0.0)), "s_prev": start("s_prev", F.lit(None).cast("double"))})
 
 
 def _thin(rows: str = "_rows") -> Column:
@@ -394,16 +475,12 @@ def lanes_of(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str], cfg: Mapp
     base = chunks.select("site_id", "_c", "_rows", "_last").join(pairs.hint("shuffle_hash"), ["site_id", "_c"])
     if spread:  # the blocks of a chunk go to different tasks
         base = base.repartition(shuffle_partitions(chunks), *deal)
-    lane = [F.col(f"l.{k}").alias(k) for k in lane_keys]
-    opening = base.where("_c < _last_c").select("site_id", "_lb", "_c", "_last", F.inline(F.arrays_zip(
-        F.col("_lanes").alias("l"), _compose(_thin(), _slim()).alias("f")))).select(
-            "site_id", "_lb", *lane, "_c", F.col("f").alias("_f"), "_last")
-    closing = pairs.where("_c = _last_c").select("site_id", "_lb", "_c", F.explode("_lanes").alias("l")).select(
-        "site_id", "_lb", *lane, "_c", F.lit(None).cast(opening.schema["_f"].dataType).alias("_f"),
-        F.lit(None).cast(opening.schema["_last"].dataType).alias("_last"))
-    functions = opening.unionByName(closing)
-    opened = clamp_openings(functions, ["site_id", "_lb", *lane_keys], functions.schema["_last"].dataType).groupBy(*deal).agg(
-        F.array_sort(F.collect_list(F.struct(*lane_keys, "s_in", "s_prev"))).alias("_open"), F.first("_before").alias("_before"))
+    opening = base.where("_c < _last_c").select("site_id", "_lb", "_c", _compose(_thin(), _slim()).alias("_f"), "_last")
+    none = {n: F.lit(None).cast(opening.schema[n].dataType).alias(n) for n in ("_f", "_last")}
+    functions = opening.unionByName(pairs.where("_c = _last_c").select("site_id", "_lb", "_c", *none.values()))
+    start = F.lit(None).cast(_STATES)
+    opened = openings(functions, ["site_id", "_lb"], compose=_compose_lanes, fold=_fold_lanes, init=start, init_prev=start,
+                      last_type=functions.schema["_last"].dataType, fan=FAN).select(*deal, "s_in", "s_prev", "_before")
     return Lanes(base, opened, lane_keys, own, deal)
 
 
@@ -419,10 +496,9 @@ def lane_metrics(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEYS
     """
     ls = lanes_of(chunks, lanes, keys, cfg, most_lanes, block_bytes)
     c = F.col
-    opens = F.transform("_open", lambda o: F.struct(o["s_in"].alias("s_in"), o["s_prev"].alias("s_prev")))
     before = F.when(c("_before").isNotNull(), F.struct(*[c(f"_before.{x}").alias(x) for x in _INPUTS]))
     z = ls.joined().select("site_id", F.inline(F.arrays_zip(
-        c("_lanes").alias("l"), _summing(grid_on)(_thin(), _slim(), opens, before).alias("s"))))
+        c("_lanes").alias("l"), _summing(grid_on)(_thin(), _slim(), c("s_in"), c("s_prev"), before).alias("s"))))
     z = _attach(z.select("site_id", *[c(f"l.{k}").alias(k) for k in ls.keys], *[c(f"l.c_{x}").alias(x) for x in ls.own],
                          "s.*"), cfg)
     facts = {"dt_hours": c("dt_hours"), "_e1": battery_energy_mwh(), "_e2": battery2_energy_mwh(), "_pmax": c("gas_pmax_mw"),
@@ -442,12 +518,12 @@ def lane_dispatch(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEY
     (``lanes`` as in ``lane_metrics``)."""
     ls = lanes_of(chunks, lanes, keys, cfg, most_lanes, block_bytes)
     j = ls.joined()
-    opens = F.transform("_open", lambda o: F.struct(o["s_in"].alias("s_in")))
     laid = j.select("site_id", "_rows", "_before", F.inline(F.arrays_zip(
-        F.col("_lanes").alias("l"), F.col("_open").alias("o"), _fold(_thin(), _slim(), opens).alias("s"))))
+        F.col("_lanes").alias("l"), F.col("s_in").alias("si"), F.col("s_prev").alias("sp"),
+        _fold(_thin(), _slim(), F.col("s_in")).alias("s"))))
     n = F.size("_rows")
-    before = F.slice(F.concat(F.array("o.s_in"), F.col("s")), 1, n)
-    before2 = F.slice(F.concat(F.array("o.s_prev", "o.s_in"), F.col("s")), 1, n)
+    before = F.slice(F.concat(F.array("si"), F.col("s")), 1, n)
+    before2 = F.slice(F.concat(F.array("sp", "si"), F.col("s")), 1, n)
     z = laid.select("site_id", "l", F.inline(F.arrays_zip(
         F.col("_rows").alias("r"), F.col("s").alias("soc1"), before.alias("_s1p"), before2.alias("_s1pp"),
         shifted(F.col("_before"), F.col("_rows")).alias("b"))))
