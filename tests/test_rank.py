@@ -38,3 +38,18 @@ def test_rank_and_frontier_of_large_and_small_grids(spark, shape):
     if shape == "random":  # a large site's grid lies in many ranges
         from wattline.operators.series import ranged
         assert ranged(df, ["site_id"], [F.col("firmness_pct")], "t").where("site_id = 1").select("_p").distinct().count() > 3
+
+
+def test_sweep_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def cost(x):
+        seen.add(1)
+        return float(x % 17)
+
+    n = 300
+    sweep = spark.range(n, numPartitions=4).select(
+        (F.col("id") % 3).alias("site_id"), F.col("id").alias("candidate_id"), F.lit(True).alias("ok"),
+        (F.col("id") % 7).cast("double").alias("firmness_pct"), F.udf(cost, "double")("id").alias("total_annual_cost_usd"))
+    rows = score_and_rank(sweep, 3.0).collect()
+    assert len(rows) == n and seen.value == n

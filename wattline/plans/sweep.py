@@ -202,10 +202,12 @@ def score_and_rank(sweep: DataFrame, target_pct: float | Column, part: Sequence[
     behind all others.  Rank: reliable rows by cost, then the others by
     firmness, ties by candidate_id.
 
-    The sweep is stored in ranges of the rank's order.  Ranks are places in a
-    range plus the sizes of the ranges before; a range hands on only the rows
-    that lower its least cost so far, and the site's frontier is found among
-    those.  No task holds a site's whole grid.
+    The sweep is stored once, with a number for each row; what the order needs
+    of it is stored in ranges of the rank's order, so the sampling of the ranges
+    doesn't work out the sweep once more.  Ranks are places in a range plus the
+    sizes of the ranges before; a range hands on only the rows that lower its
+    least cost so far, and the site's frontier is found among those.  No task
+    holds a site's whole grid, and the wide rows move once, to meet their ranks.
     """
     c = F.col
     part = list(part)
@@ -214,7 +216,9 @@ def score_and_rank(sweep: DataFrame, target_pct: float | Column, part: Sequence[
     order = [c("ok").desc(), c("meets_reliability").desc(),
              F.when(c("meets_reliability"), c("total_annual_cost_usd")).asc_nulls_last(), c("firmness_pct").desc(),
              c("total_annual_cost_usd").asc(), c("candidate_id").asc()]
-    d = ranged(d, part, order, "sweep")
+    rows = stored(d.withColumn("_id", F.monotonically_increasing_id()), "sweep")
+    d = ranged(rows.select(*dict.fromkeys([*part, "_id", "candidate_id", "ok", "meets_reliability", "firmness_pct",
+                                           "total_annual_cost_usd"])), part, order, "ranges")
     cost, lower = c("total_annual_cost_usd"), Window.unboundedPreceding
     firm = [c("firmness_pct").desc(), cost.asc(), c("candidate_id").asc()]
     best = lambda by: F.min(cost).over(Window.partitionBy(*by).orderBy(*firm).rowsBetween(lower, -1))
@@ -222,8 +226,9 @@ def score_and_rank(sweep: DataFrame, target_pct: float | Column, part: Sequence[
     steps = fine.withColumn("_best", best([*part, "_p"])).where(c("_best").isNull() | (cost < c("_best")))
     front = (steps.withColumn("_best", best(part)).where(c("_best").isNull() | (cost < c("_best") - F.lit(1e-6)))
              .select(*part, "candidate_id", F.lit(True).alias("is_pareto")))
-    return row_numbers(d, part, order, "rank").join(front, [*part, "candidate_id"], "left").withColumn(
-        "is_pareto", F.coalesce("is_pareto", F.lit(False))).select(*sweep.columns, "meets_reliability", "is_pareto", "rank")
+    ranks = row_numbers(d, part, order, "rank").join(front, [*part, "candidate_id"], "left").select(
+        "_id", F.coalesce("is_pareto", F.lit(False)).alias("is_pareto"), "rank")
+    return rows.join(ranks, "_id").select(*sweep.columns, "meets_reliability", "is_pareto", "rank")
 
 
 def recommend(ranked: DataFrame, target_pct: float | Column, sites: DataFrame | None = None,
