@@ -70,3 +70,21 @@ def test_commitment_needs_few_columns(spark):
     cols = ["site_id", "ts", "gas_gen", "gas_on", "gas_start", "gas_prev", "ramp_step", "starts_in_min_up", "stops_in_min_down"]
     both = [sorted(map(tuple, gas_commitment(d, keys=["site_id"]).select(*cols).collect())) for d in (disp, thin)]
     assert both[0] == both[1] and len(both[0]) == 120
+
+
+@pytest.mark.parametrize("span", [4, 4096])
+def test_sums_make_their_rows_once(spark, span):
+    from wattline.operators.series import chunk_sums
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(x):
+        seen.add(1)
+        return float(x * 7 % 11 - 4)
+
+    df = spark.range(90, numPartitions=3).select(F.when(F.col("id") < 88, F.col("id") % 2).alias("k"), F.col("id").alias("t"),
+                                                 F.udf(value, "double")("id").alias("v"))
+    out = chunk_sums(df, ["k"], F.col("t"), ["t"], {"a": F.col("v"), "b": F.col("v") * 2}, span).collect()
+    assert seen.value <= 90 and len(out) == 88  # rows without a key belong to no series
+    for r in out:
+        total = sum(i * 7 % 11 - 4 for i in range(r.k, r.t + 1, 2))
+        assert (r.v, r.a, r.b) == (r.t * 7 % 11 - 4, total, total * 2)

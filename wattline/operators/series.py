@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.operators.balance import FAN, chunked_rows, group_of, shuffle_partitions, stored
+from wattline.operators.balance import FAN, bucketed, chunked_rows, group_of, shuffle_partitions, stored
 
 SPAN = 1024
 DEPTH = 2
@@ -57,6 +57,41 @@ def running_sums(df: DataFrame, keys: Sequence[str], pos: str, cols: dict[str, C
     return d.drop(ck, *[f"_{p}_{n}" for n in cols for p in ("v", "l", "c")])
 
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _added_up(values: pa.Array, carry: pa.Array) -> pa.Array:
+    """For each chunk and column of it the running sums after a carry (a null
+    adds nothing; null before a chunk's first number)."""
+    values, carry = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (values, carry))
+    at, known = values.values.offsets.to_numpy(), np.asarray(values.values.values.is_valid())
+    v = np.where(known, values.values.values.to_numpy(zero_copy_only=False).astype(float), 0.0)
+    c = carry.values.to_numpy(zero_copy_only=False).astype(float)
+    out, unseen = np.empty(len(v)), np.zeros(len(v), bool)
+    for k, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
+        out[lo:hi] = np.cumsum(v[lo:hi]) + c[k]
+        if not known[lo:hi].all():
+            unseen[lo:hi] = np.cumsum(known[lo:hi]) == 0
+    inner = pa.ListArray.from_arrays(values.values.offsets, pa.array(out, mask=unseen))
+    return pa.ListArray.from_arrays(values.offsets, inner)
+
+
+def chunk_sums(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[str], cols: dict[str, Column],
+               span: int = SPAN) -> DataFrame:
+    """``running_sums`` of numbers over rows that are costly to make: their chunks
+    are stored once with their totals, so the carries don't make the rows again."""
+    keys = list(keys)
+    payload = [c for c in df.columns if c not in keys]
+    row = F.struct(*order, *[c for c in payload if c not in order], *[e.cast("double").alias(f"_v_{n}") for n, e in cols.items()])
+    total = lambda n: F.aggregate(f"_rows._v_{n}", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    blocks = bucketed(chunked_rows(df, keys, position, row, span).select("*", *[total(n).alias(f"_t_{n}") for n in cols]),
+                      [*keys, "_c"], "sums")
+    upto = running_sums(blocks.drop("_rows"), keys, "_c", {f"_r_{n}": f"_t_{n}" for n in cols}, depth=1)
+    carry = upto.select(*keys, "_c", F.array(*[F.col(f"_r_{n}") - F.col(f"_t_{n}") for n in cols]).alias("_carry"))
+    sums = _added_up(F.array(*[F.col(f"_rows._v_{n}") for n in cols]), F.col("_carry"))
+    z = blocks.select(*keys, "_c", "_rows").join(carry.hint("shuffle_hash"), [*keys, "_c"]).withColumn("_sums", sums).select(*keys, F.inline(F.arrays_zip(
+        F.col("_rows").alias("r"), *[F.col("_sums")[i].alias(n) for i, n in enumerate(cols)])))
+    return z.select(*keys, *[F.col(f"r.{c}").alias(c) for c in payload], *cols)
+
+
 def with_preceding(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[str], n: int,
                    fields: Sequence[str]) -> DataFrame:
     """keys, _rows, _tail: the rows of each time chunk in order, and ``fields``

@@ -440,7 +440,7 @@ SELECT site_id, ts, (grid_exp - grid_imp) * price AS merchant,
 FROM disp"""))
 def q_cumulative_revenue(spark, sf_dir):
     """Cumulative merchant value, gas cost and net revenue per site (grid-off dispatch)."""
-    cs = chart_series(_sf(spark, sf_dir), keys=["site_id"])
+    cs = chart_series(_sf(spark, sf_dir), keys=["site_id"], columns=["price", "grid_net"])
     return cs.select("site_id", "ts", (F.col("grid_net") * F.col("price")).alias("merchant"),
                      "cum_merchant", "cum_gas_cost", "cum_net_revenue")
 
