@@ -221,3 +221,18 @@ def test_intervals_fill_each_hour_of_a_site_in_many_tasks(spark, tmp_path):
         assert len(got) == len(want)
         assert {(r.site_id, r.ts): tuple(r)[2:] for r in got} == want
         assert df.select(F.spark_partition_id()).distinct().count() >= 6  # of 8; small tables were made in one
+
+
+def test_distinct_times_are_counted_apart(spark):
+    """No group per site and time carries the other facts."""
+    import re
+    from wattline.functions.clean import interval_quality
+    df = spark.sql("""SELECT * FROM VALUES (1, '2024-01-01 00:00:00', 1.0), (1, '2024-01-01 00:00:00', 2.0), (1, 'x', 3.0),
+                      (NULL, '2024-01-01 00:00:00', 4.0), (NULL, '2024-01-01 00:00:00', 4.0), (NULL, '2024-01-01 00:00:00', 4.0),
+                      (2, NULL, 5.0) AS t(site_id, ts, load_mw)""").withColumn("price", F.lit(30.0))
+    q = interval_quality(df)
+    got = {r.site_id: (r.n_rows, r.n_bad_ts, r.n_repeated_ts) for r in q.collect()}
+    assert got == {1: (3, 1, 1), None: (3, 0, 2), 2: (1, 1, 0)}
+    plan = q._jdf.queryExecution().sparkPlan().toString()
+    by_time = [a for a in re.findall(r"Aggregate\(keys?=\[([^\]]*)\], functions=\[([^\n]*)", plan) if "ts#" in a[0]]
+    assert by_time and not any("max(price" in f for _, f in by_time)

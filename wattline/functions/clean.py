@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -79,13 +81,18 @@ def interval_quality(raw: DataFrame, keys: Sequence[str] = ("site_id",)) -> Data
         F.max("ts").alias("last_ts"),
         *[F.count_if(c(x).isNull()).alias(f"n_null_{x}") for x in OPTIONAL + REQUIRED],
         *[(F.count(x) > 0).alias(f"has_{x}") for x in OPTIONAL],
-        (F.count("ts") - F.count_distinct("ts")).alias("n_repeated_ts"),
+        F.lit(0).cast("long").alias("n_repeated_ts"),
         (F.max("price") < 10).alias("price_unit_warning"),
         (F.sum(F.abs(F.coalesce(c("load_mw"), F.lit(0.0)))) < 1e-9).alias("load_all_zero"),
         F.round(F.avg(F.coalesce(c("load_mw"), F.lit(0.0))), 6).alias("avg_load_mw"),
         F.max("price").alias("peak_price"),
     ]
-    return raw.groupBy(*keys).agg(*aggs)
+    facts = raw.groupBy(*keys).agg(*aggs)
+    # counted apart: with the other facts beside them, a task's distinct times would fill its memory and spill
+    times = raw.where(c("ts").isNotNull()).groupBy(*keys, "ts").agg((F.count(F.lit(1)) - 1).alias("_n"))
+    repeated = times.groupBy(*[c(k).alias(f"_k_{k}") for k in keys]).agg(F.sum("_n").alias("_repeated"))
+    return facts.join(repeated, reduce(and_, [c(k).eqNullSafe(c(f"_k_{k}")) for k in keys]), "left").withColumn(
+        "n_repeated_ts", F.coalesce("_repeated", F.lit(0).cast("long"))).select(*facts.columns)
 
 
 def in_daytime(ts: Column, first_hour: int = 7, last_hour: int = 22) -> Column:
