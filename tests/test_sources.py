@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from wattline.functions.clean import clean_intervals, date_window, interval_quality
+from wattline.session import prepare_session
 from wattline.sources import scenarios as SC
 from wattline.sources.intervals import read_interval_csv
 from wattline.sources.schedule import default_schedule_wide, read_schedule_csv, schedule_long, schedule_wide
@@ -236,3 +237,16 @@ def test_distinct_times_are_counted_apart(spark):
     plan = q._jdf.queryExecution().sparkPlan().toString()
     by_time = [a for a in re.findall(r"Aggregate\(keys?=\[([^\]]*)\], functions=\[([^\n]*)", plan) if "ts#" in a[0]]
     assert by_time and not any("max(price" in f for _, f in by_time)
+
+
+def test_partitioned_writes_need_no_sort(spark, tmp_path):
+    prepare_session(spark)
+    df = spark.range(600).select("id", (F.col("id") % 24).cast("string").alias("month"))  # more months than open files
+    df.createOrReplaceTempView("months_in")
+    spark.sql(f"CREATE TABLE months_out (id LONG, month STRING) USING parquet PARTITIONED BY (month) LOCATION '{tmp_path}/t'")
+    plan = spark.sql("EXPLAIN INSERT INTO months_out SELECT * FROM months_in").collect()[0][0]
+    spark.sql("DROP TABLE months_out")
+    assert "Sort" not in plan
+    write_table(df, f"{tmp_path}/rows", partition_by=["month"])
+    back = spark.read.schema("id long, month string").parquet(f"{tmp_path}/rows")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))

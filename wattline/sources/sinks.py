@@ -17,7 +17,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
     """Sweep / ranked / dispatch / batch / trade-off tables as Parquet or CSV."""
     w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        # a task has a file open for each partition (``prepare_session``), so each holds back little
+        w = w.partitionBy(*partition_by).option("parquet.block.size", 16 << 20)
     if fmt == "csv":
         w = w.option("header", header)
     w.format(fmt).save(path)
