@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.operators.balance import bounded_balance
+from wattline.operators.balance import bounded_balance, next_chunks, opening_chunks
 from wattline.operators.ramp import ramp_follow
 
 
@@ -95,3 +95,19 @@ def test_rows_are_dealt_once(spark, tmp_path):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("FileScan parquet") == 1
+
+
+def test_only_chunks_that_open_another_are_composed(spark):
+    rows = [(1, p, 1.0) for p in range(5)] + [(2, p, 1.0) for p in (0, 9, 25, 26)] + [(None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "k long, p long, a double")
+    row = F.struct("p", "a")
+    nexts = next_chunks(df, ["k"], F.col("p"), row, 8)
+    assert sorted(tuple(r) for r in nexts.collect()) == [(2, 0, 1, False), (2, 1, 3, True)]
+    opening = opening_chunks(df, nexts, ["k"], F.col("p"), row, 8)
+    assert sorted((r.k, r._c, len(r._rows)) for r in opening.collect()) == [(2, 0, 1), (2, 1, 1)]
+    # keys of one chunk each: the rows go to Python once, to be folded
+    out = bounded_balance(df, ["k"], "p", "a", 0.0, 3.0)
+    assert sorted((r.k, r.p, r.soc) for r in out.collect()) == sorted(
+        [(1, p, min(p + 1.0, 3.0)) for p in range(5)] + [(2, p, s) for p, s in zip((0, 9, 25, 26), (1.0, 2.0, 3.0, 3.0))])
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ArrowEvalPython") == 1

@@ -11,7 +11,8 @@ every key length:
 
 1. Spark deals the rows by (key, time chunk) and collects each chunk as one
    array in time order (one exchange of the rows).
-2. Each chunk is composed into one clamp.
+2. Each chunk that opens another one (not the last of its key) is composed into
+   one clamp; the other rows are not collected for that.
 3. The chunks' clamps of a key, one row per ``SPAN`` steps, are scanned the
    same way (in groups of ``FAN`` chunks, and those per key) for every chunk's
    opening balance.
@@ -38,7 +39,7 @@ from typing import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,11 +175,45 @@ def chunked_rows(df: DataFrame, keys: Sequence[str], position: Column, row: Colu
     evaluates an expression for every comparison.)  ``constant`` are columns that are the same in all rows of a key; they are
     kept once for a chunk.
     """
-    d = known(df.withColumn("_c", F.floor(position / F.lit(span)).cast("long")), [*keys, "_c"])
-    return d.repartition(shuffle_partitions(df), *keys, "_c").groupBy(*keys, "_c").agg(
+    return _by_chunk(df, keys, position, span).groupBy(*keys, "_c").agg(
         F.sort_array(F.collect_list(row)).alias("_rows"), *[F.first(c).alias(c) for c in constant])
 
 
+def _by_chunk(df: DataFrame, keys: Sequence[str], position: Column, span: int) -> DataFrame:
+    d = known(df.withColumn("_c", F.floor(position / F.lit(span)).cast("long")), [*keys, "_c"])
+    return d.repartition(shuffle_partitions(df), *keys, "_c")
+
+
+def next_chunks(df: DataFrame, keys: Sequence[str], position: Column, row: Column, span: int = SPAN) -> DataFrame:
+    """The chunks that open another one: keys, _c, _nc (the next chunk) and _nl (the
+    next is the key's last).
+
+    The rows' hash makes this read all that ``chunked_rows`` reads, so both
+    read one exchange.
+    """
+    chunks = _by_chunk(df, keys, position, span).groupBy(*keys, "_c").agg(F.max(F.xxhash64(row)).alias("_h"))
+    by = Window.partitionBy(*keys).orderBy("_c")
+    return chunks.where(F.col("_h").isNotNull()).select(
+        *keys, "_c", F.lead("_c").over(by).alias("_nc"), F.lead("_c", 2).over(by).isNull().alias("_nl")).where(
+            F.col("_nc").isNotNull())
+
+
+def opening_chunks(df: DataFrame, nexts: DataFrame, keys: Sequence[str], position: Column, row: Column,
+                   span: int = SPAN) -> DataFrame:
+    """``chunked_rows`` of the chunks in ``nexts``, with its _nc and _nl; a key's last
+    chunk opens no other and need not be composed."""
+    d = _by_chunk(df, keys, position, span).join(nexts.hint("shuffle_hash"), [*keys, "_c"])
+    return d.groupBy(*keys, "_c", "_nc", "_nl").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+
+def with_ends(composed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Composed chunks (keys, _c, _nc, _nl, _f, _last) as ``openings`` takes them: with
+    the last chunk of each of their keys, which has no function."""
+    none = lambda c: F.lit(None).cast(composed.schema[c].dataType).alias(c)
+    end = F.struct(F.when(F.col("_nl"), F.col("_nc")).alias("_c"), none("_f"), none("_last"))
+    return composed.select(*keys, F.inline(F.array(F.struct("_c", "_f", "_last"), end))).where(F.col("_c").isNotNull())
+
+
 def known(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose keys are not null.
 
@@ -223,10 +258,10 @@ def shifted(first: Column, arr: Column) -> Column:
 
 def openings(chunks: DataFrame, keys: Sequence[str], *, compose: Callable, fold: Callable, init: Column,
              init_prev: Column, last_type: T.DataType, fan: int = FAN, depth: int = 1) -> DataFrame:
-    """The state with which each chunk opens.
+    """The state with which each chunk opens, of the keys with several chunks.
 
     ``chunks`` has keys, _c, _f (the chunk's function) and _last (values of its
-    last row).  Returns keys, _c, s_in, s_prev (the state before the previous
+    last row), both null in a key's last chunk.  Returns keys, _c, s_in, s_prev (the state before the previous
     row) and _before (values of the previous row).
     """
     keys = list(keys)
@@ -251,6 +286,16 @@ def openings(chunks: DataFrame, keys: Sequence[str], *, compose: Callable, fold:
                     F.col("b").alias("_before"))
 
 
+def shared_nexts(nexts: list[DataFrame] | None, *of) -> DataFrame:
+    """The table in ``nexts``, or ``next_chunks`` of these rows, which it then takes."""
+    if nexts:
+        return nexts[0]
+    found = next_chunks(*of)
+    if nexts is not None:
+        nexts.append(found)
+    return found
+
+
 def clamp_openings(chunks: DataFrame, keys: Sequence[str], last_type: T.DataType, init: float = 0.0,
                    fan: int = FAN) -> DataFrame:
     """``openings`` for clamps."""
@@ -262,7 +307,7 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
                     lo: Column | str | float, hi: Column | str | float, *, order: Sequence[str] = (), out: str = "soc",
                     prev_out: str | None = "soc_prev", prev2_out: str | None = None,
                     lagged: dict[str, Column] | None = None, init: float = 0.0, span: int = SPAN,
-                    fan: int = FAN) -> DataFrame:
+                    fan: int = FAN, nexts: list[DataFrame] | None = None) -> DataFrame:
     """Append the bounded running balance of ``step`` per key in time order.
 
     ``position`` is a long that doesn't fall with time (the interval index); it
@@ -271,7 +316,8 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
     ``out`` is the balance after the row's step, ``prev_out`` before it,
     ``prev2_out`` before the previous row's step; ``lagged`` names expressions
     to take from the previous row (null in a key's first row).  ``span`` and
-    ``fan`` only affect speed.
+    ``fan`` only affect speed.  ``nexts``: an empty list that takes ``next_chunks``
+    of these rows, or has those of rows of the same keys, positions and span.
     """
     c = lambda x: F.col(x) if isinstance(x, str) else (x if isinstance(x, Column) else F.lit(float(x)))
     keys = list(keys)
@@ -283,11 +329,14 @@ def bounded_balance(df: DataFrame, keys: Sequence[str], position: Column | str,
                    c(step).cast("double").alias("_a"), c(lo).cast("double").alias("_lo"),
                    c(hi).cast("double").alias("_hi"), *[e.alias(n) for n, e in lagged.items()])
     blocks = chunked_rows(df, keys, pos, row, span)
+    opening = opening_chunks(df, shared_nexts(nexts, df, keys, pos, row, span), keys, pos, row, span)
     thin = F.transform("_rows", lambda r: F.struct(r["_a"].alias("a"), r["_lo"].alias("lo"), r["_hi"].alias("hi")))
     lags = lambda r: F.struct(F.lit(1).alias("_"), *[r[n].alias(n) for n in lagged])
-    chunks = blocks.select(*keys, "_c", _compose_chunk(thin).alias("_f"), lags(F.element_at("_rows", -1)).alias("_last"))
+    chunks = with_ends(opening.select(*keys, "_c", "_nc", "_nl", _compose_chunk(thin).alias("_f"),
+                                      lags(F.element_at("_rows", -1)).alias("_last")), keys)
     opened = clamp_openings(chunks, keys, chunks.schema["_last"].dataType, init, fan)
-    j = blocks.join(opened.hint("shuffle_hash"), [*keys, "_c"])
+    j = blocks.join(opened.hint("shuffle_hash"), [*keys, "_c"], "left").withColumn(
+        "s_in", F.coalesce("s_in", F.lit(float(init))))
     zipped = [F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), F.col("s_prev"), thin).alias("s")]
     if lagged:
         zipped.append(shifted(F.col("_before"), F.transform("_rows", lags)).alias("b"))

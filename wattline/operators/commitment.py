@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.operators.balance import FAN, SPAN, chunked_rows, openings
+from wattline.operators.balance import FAN, SPAN, chunked_rows, opening_chunks, openings, shared_nexts, with_ends
 
 #: Off for ever.
 REST = -(1 << 30)
@@ -97,23 +97,25 @@ def apply(down: int, to: np.ndarray, state: np.ndarray) -> np.ndarray:
 
 
 def _functions(arr: pa.Array):
-    """For each list of maps, its maps as (down, table)."""
+    """For each list of maps, its maps as (down, table); None for that of a chunk
+    that opens no other."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     offs = arr.offsets.to_numpy()
     down = arr.values.field("down").to_numpy(zero_copy_only=False)
-    to = arr.values.field("to")
+    to = arr.values.field("to").fill_null([])
     at, flat = to.offsets.to_numpy(), to.values.to_numpy(zero_copy_only=False)
     for lo, hi in zip(offs[:-1], offs[1:]):
-        yield [(int(down[k]), flat[at[k]:at[k + 1]]) for k in range(lo, hi)]
+        yield [(int(down[k]), flat[at[k]:at[k + 1]]) if at[k] < at[k + 1] else None for k in range(lo, hi)]
 
 
 @F.arrow_udf(_MAP)
 def _compose_group(maps: pa.Array) -> pa.Array:
     out = []
     for fs in _functions(maps):
-        d, to = fs[0]
-        for f in fs[1:]:
+        known = [f for f in fs if f]
+        d, to = known[0] if known else (0, np.zeros(0))
+        for f in known[1:]:
             to = apply(*f, to)
         out.append((d, to))
     return _maps(out)
@@ -126,7 +128,8 @@ def _fold_group(s_in: pa.Array, s_prev: pa.Array, maps: pa.Array) -> pa.Array:
         rows = []
         for f in fs:
             rows.append({"s_in": s, "s_prev": None})
-            s = int(apply(*f, np.array([s]))[0])
+            if f:
+                s = int(apply(*f, np.array([s]))[0])
         out.append(rows)
     return pa.array(out, pa.list_(pa.struct([("s_in", pa.int32()), ("s_prev", pa.int32())])))
 
@@ -146,23 +149,28 @@ def _fold_chunk(s_in: pa.Array, steps: pa.Array) -> pa.Array:
 
 
 def commit(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[str], want: Column, up: Column,
-           down: Column, out: str, prev_out: str, span: int = SPAN, fan: int = FAN) -> DataFrame:
+           down: Column, out: str, prev_out: str, span: int = SPAN, fan: int = FAN,
+           nexts: list[DataFrame] | None = None) -> DataFrame:
     """Append the unit's status (1.0 on, 0.0 off) in each interval, and before it.
 
     ``up`` and ``down`` are numbers of intervals, the same in all rows of a key
     (0 counts as 1).  Rows are counted, so missing intervals don't matter;
-    ``span`` and ``fan`` only affect speed.
+    ``span`` and ``fan`` only affect speed; ``nexts`` as in ``bounded_balance``.
     """
     keys = list(keys)
     payload = [x for x in df.columns if x not in keys]
     row = F.struct(*[F.col(o) for o in order], *[x for x in payload if x not in order],
                    F.coalesce(want, F.lit(False)).alias("_w"), up.cast("int").alias("_u"), down.cast("int").alias("_d"))
-    blocks = chunked_rows(df, keys, position.cast("long"), row, span)
+    pos = position.cast("long")
+    blocks = chunked_rows(df, keys, pos, row, span)
+    opening = opening_chunks(df, shared_nexts(nexts, df, keys, pos, row, span), keys, pos, row, span)
     thin = F.transform("_rows", lambda r: F.struct(r["_w"].alias("w"), r["_u"].alias("up"), r["_d"].alias("down")))
-    chunks = blocks.select(*keys, "_c", _compose_chunk(thin).alias("_f"), F.struct(F.lit(1).alias("_")).alias("_last"))
+    chunks = with_ends(opening.select(*keys, "_c", "_nc", "_nl", _compose_chunk(thin).alias("_f"),
+                                      F.struct(F.lit(1).alias("_")).alias("_last")), keys)
     opened = openings(chunks, keys, compose=_compose_group, fold=_fold_group, init=F.lit(REST),
                       init_prev=F.lit(None).cast("int"), last_type=chunks.schema["_last"].dataType, fan=fan)
-    j = blocks.join(opened.select(*keys, "_c", "s_in").hint("shuffle_hash"), [*keys, "_c"])
+    j = blocks.join(opened.select(*keys, "_c", "s_in").hint("shuffle_hash"), [*keys, "_c"], "left").withColumn(
+        "s_in", F.coalesce("s_in", F.lit(REST)))
     z = j.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), thin).alias("s"))))
     status = lambda c: F.when(F.col(c) > 0, 1.0).otherwise(0.0)
     return z.select(*keys, *[F.col(f"r.{x}").alias(x) for x in payload], status("s.s").alias(out),

@@ -292,9 +292,10 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
     d = d.withColumns({"_E1": battery_energy_mwh(), "_pos": interval_position(),
                        "_a1": _battery_step(col("_x"), col("battery_power_mw"), col("rte"), col("dt_hours"))})
     direct = not (two_battery or gas_follow_ramp or commitment)
+    nexts: list[DataFrame] = []  # all folds cut the rows alike
     d = bounded_balance(_detach(d, cfg).drop(*DERIVED), keys, "_pos", "_a1", 0.0, "_E1", order=["ts"], out="soc1",
                         prev_out="_s1p", prev2_out="_s1pp" if direct else None,
-                        lagged=_lag_inputs(False) if direct else None).drop("_E1", "_a1")
+                        lagged=_lag_inputs(False) if direct else None, nexts=nexts).drop("_E1", "_a1")
     d = _derive(_attach(d, cfg), grid_on, gas_charges_storage)
     c1, d1 = _flows("soc1", "_s1p", col("rte"), col("dt_hours"))
     d = d.withColumns({"charge1": c1, "discharge1": d1})
@@ -303,7 +304,8 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
             col("_x") - col("charge1") + col("discharge1"), col("battery2_power_mw"), col("battery2_rte"), col("dt_hours"))})
         d = bounded_balance(_detach(d, cfg).drop(*DERIVED, "_s1p"), keys, "_pos", "_a2", 0.0, "_E2", order=["ts"],
                             out="soc2", prev_out="_s2p", prev2_out="_s2pp",
-                            lagged=None if gas_follow_ramp or commitment else _lag_inputs(True)).drop("_E2", "_a2")
+                            lagged=None if gas_follow_ramp or commitment else _lag_inputs(True),
+                            nexts=nexts).drop("_E2", "_a2")
         d = _derive(_attach(d, cfg), grid_on, gas_charges_storage)
         c2, d2 = _flows("soc2", "_s2p", col("battery2_rte"), col("dt_hours"))
         d = d.withColumns({"charge2": c2, "discharge2": d2})
@@ -311,9 +313,9 @@ def serve_first_dispatch(df: DataFrame, *, grid_on: bool = False, two_battery: b
         d = d.withColumns({"charge2": F.lit(0.0), "discharge2": F.lit(0.0), "soc2": F.lit(0.0)})
     if gas_follow_ramp:
         d = _need(d, grid_on)
-        d = gas_follow(d.drop("charge", "discharge"), keys, cfg, grid_on, gas_charges_storage)
+        d = gas_follow(d.drop("charge", "discharge"), keys, cfg, grid_on, gas_charges_storage, nexts)
     if commitment:
-        d = gas_commit(d, keys, cfg, grid_on, gas_charges_storage, gas_follow_ramp)
+        d = gas_commit(d, keys, cfg, grid_on, gas_charges_storage, gas_follow_ramp, nexts)
     gas = "committed" if commitment else "followed" if gas_follow_ramp else "two" if two_battery else "one"
     return finish(d, grid_on=grid_on, gas=gas)
 
@@ -376,7 +378,7 @@ def finish(d: DataFrame, *, grid_on: bool, gas: str = "one") -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def gas_follow(d: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None = None, grid_on: bool = False,
-               gas_charges_storage: bool = False) -> DataFrame:
+               gas_charges_storage: bool = False, nexts: list[DataFrame] | None = None) -> DataFrame:
     """Gas output follows the deficit ``_need`` within ramp limits, then lifts to pmin_t when on.
 
     Adds ``_gas_d`` and the previous row's status ``_on_prev``.  A lift to
@@ -389,7 +391,7 @@ def gas_follow(d: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None
                        "_lo": col("pmin_t"), "_hi": col("pmax_t")})
     thin = _detach(d, cfg).drop(*DERIVED, "_need")
     out = ramp_follow(thin, keys, col("_pos"), ["ts"], col("_tg"), col("_ru"), col("_rd"), col("_top"), "_gr", "_grp",
-                      lagged={"_p_m": col("_m"), "_p_lo": col("_lo"), "_p_hi": col("_hi")})
+                      lagged={"_p_m": col("_m"), "_p_lo": col("_lo"), "_p_hi": col("_hi")}, nexts=nexts)
     out = _derive(_attach(out, cfg), grid_on, gas_charges_storage)
     lift = lambda g, lo, hi: F.when(g > EPS_ON, F.least(hi, F.greatest(lo, g))).otherwise(F.lit(0.0))
     before = col("_p_m") + lift(col("_grp"), col("_p_lo"), col("_p_hi"))
@@ -400,7 +402,7 @@ def gas_follow(d: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None
 
 
 def gas_commit(d: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None = None, grid_on: bool = False,
-               gas_charges_storage: bool = False, followed: bool = False) -> DataFrame:
+               gas_charges_storage: bool = False, followed: bool = False, nexts: list[DataFrame] | None = None) -> DataFrame:
     """D5 + W5: the unit runs when gas is wanted, within its minimum up and down times.
 
     Gas is wanted where the deficit (``followed``: the ramp-limited output
@@ -416,7 +418,8 @@ def gas_commit(d: DataFrame, keys: Sequence[str], cfg: Mapping[str, Any] | None
     d = d.withColumns({"_want": col("must_run") + col("_gas_d") > EPS_ON, "_up": times("gas_min_up_h"),
                        "_down": times("gas_min_down_h")})
     thin = _detach(d, cfg).drop(*DERIVED, "_need", "_on_prev")
-    out = commit(thin, keys, col("_pos"), ["ts"], col("_want"), col("_up"), col("_down"), "_on", "_on_prev")
+    out = commit(thin, keys, col("_pos"), ["ts"], col("_want"), col("_up"), col("_down"), "_on", "_on_prev",
+                 nexts=nexts)
     out = _derive(_attach(out, cfg), grid_on, gas_charges_storage)
     run = F.least(col("pmax_t"), F.greatest(col("pmin_t"), col("_gas_d")))
     return out.withColumn("_gas_d", F.when(col("gas_disp") & (col("_on") > 0), run).otherwise(F.lit(0.0))) \

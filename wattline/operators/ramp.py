@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattline.operators.balance import FAN, SPAN, chunked_rows, laid_out, lists_of, matrices, openings, shifted
+from wattline.operators.balance import FAN, SPAN, chunked_rows, laid_out, lists_of, matrices, opening_chunks, \
+    openings, shared_nexts, shifted, with_ends
 
 _LIST = T.ArrayType(T.DoubleType())
 _CURVES = T.StructType([T.StructField(n, _LIST) for n in ("fx", "fy", "gx", "gy")])
@@ -107,9 +108,11 @@ def _compose_group(curves: pa.Array) -> pa.Array:
         f: Curve | None = None
         g: Curve | None = None
         for fx, fy, gx, gy in zip(*cols):
+            if fx is None:  # a chunk that opens no other
+                continue
             g = (gx, gy) if f is None else then(f, (gx, gy))
             f = (fx, fy) if f is None else then(f, (fx, fy))
-        out.append((*f, *g))
+        out.append((*f, *g) if f else (None,) * 4)
     return _curves(out)
 
 
@@ -120,7 +123,8 @@ def _fold_group(s_in: pa.Array, s_prev: pa.Array, curves: pa.Array) -> pa.Array:
         rows = []
         for fx, fy, gx, gy in zip(*cols):
             rows.append({"s_in": s, "s_prev": sp})
-            s, sp = value((fx, fy), s), value((gx, gy), s)
+            if fx is not None:
+                s, sp = value((fx, fy), s), value((gx, gy), s)
         out.append(rows)
     return pa.array(out, pa.list_(pa.struct([("s_in", pa.float64()), ("s_prev", pa.float64())])))
 
@@ -137,25 +141,28 @@ def _fold_chunk(s_in: pa.Array, steps: pa.Array) -> pa.Array:
 
 def ramp_follow(df: DataFrame, keys: Sequence[str], position: Column, order: Sequence[str], target: Column, up: Column,
                 down: Column, bound: Column, out: str, prev_out: str, lagged: dict[str, Column] | None = None,
-                span: int = SPAN, fan: int = FAN) -> DataFrame:
+                span: int = SPAN, fan: int = FAN, nexts: list[DataFrame] | None = None) -> DataFrame:
     """Append the value that follows ``target``, and the one before it.
 
-    ``bound`` is a value that no target of the key exceeds; ``lagged`` as in
-    ``bounded_balance``.
+    ``bound`` is a value that no target of the key exceeds; ``lagged`` and ``nexts`` as
+    in ``bounded_balance``.
     """
     keys, lagged = list(keys), lagged or {}
     payload = [x for x in df.columns if x not in keys]
     row = F.struct(*[F.col(o) for o in order], *[x for x in payload if x not in order],
                    target.cast("double").alias("_t"), up.cast("double").alias("_u"), down.cast("double").alias("_d"),
                    bound.cast("double").alias("_b"), *[e.alias(n) for n, e in lagged.items()])
-    blocks = chunked_rows(df, keys, position.cast("long"), row, span)
+    pos = position.cast("long")
+    blocks = chunked_rows(df, keys, pos, row, span)
+    opening = opening_chunks(df, shared_nexts(nexts, df, keys, pos, row, span), keys, pos, row, span)
     thin = F.transform("_rows", lambda r: F.struct(r["_t"].alias("t"), r["_u"].alias("u"), r["_d"].alias("d"),
                                                    r["_b"].alias("b")))
     lags = lambda r: F.struct(F.lit(1).alias("_"), *[r[n].alias(n) for n in lagged])
-    chunks = blocks.select(*keys, "_c", _compose_chunk(thin).alias("_f"), lags(F.element_at("_rows", -1)).alias("_last"))
+    chunks = with_ends(opening.select(*keys, "_c", "_nc", "_nl", _compose_chunk(thin).alias("_f"),
+                                      lags(F.element_at("_rows", -1)).alias("_last")), keys)
     opened = openings(chunks, keys, compose=_compose_group, fold=_fold_group, init=F.lit(0.0),
                       init_prev=F.lit(None).cast("double"), last_type=chunks.schema["_last"].dataType, fan=fan)
-    j = blocks.join(opened.hint("shuffle_hash"), [*keys, "_c"])
+    j = blocks.join(opened.hint("shuffle_hash"), [*keys, "_c"], "left").withColumn("s_in", F.coalesce("s_in", F.lit(0.0)))
     z = j.select(*keys, F.inline(F.arrays_zip(
         F.col("_rows").alias("r"), _fold_chunk(F.col("s_in"), thin).alias("s"),
         shifted(F.col("_before"), F.transform("_rows", lags)).alias("b"))))
