@@ -8,9 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wattline.operators.audit import dispatch_audit, objective_scorecard
+from wattline.config import with_config
+from wattline.operators.audit import dispatch_audit, gas_reasons, objective_scorecard
 from wattline.operators.dispatch import scheduled_dispatch, serve_first_dispatch
 from wattline.operators.metrics import run_metrics
+from wattline.plans.catalog import REASON_CFG
 from wattline.sources.schedule import default_schedule_wide, schedule_long
 
 BASE_A = dict(base_load_mw=100.0, load_type="24-7", battery_power_mw=50.0, battery_duration_h=2.0, rte=0.86,
@@ -186,3 +188,12 @@ def test_lanes_equal_single_runs(spark):
                 g = got[(i, r.ts)]
                 for c in ("soc1", "charge", "discharge", "gas_gen", "serve", "clipped", "gas_cost", "gas_start", "gas_stop"):
                     assert getattr(g, c) == getattr(r, c), (grid_on, i, r.ts, c)
+
+
+def test_gas_reasons_take_the_gas_column_from_the_metrics_pass(spark):
+    cfg = dict(REASON_CFG)
+    d = serve_first_dispatch(series_a(spark, 48), keys=["site_id"], cfg=cfg)
+    gas = F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0)))
+    both = with_config(run_metrics(d, keys=["site_id"], also={"gas_column_sum": gas}), cfg)
+    apart = gas_reasons(both.drop("gas_column_sum"), d.groupBy("site_id").agg(F.sum(gas).alias("gas_column_sum")), ["site_id"])
+    assert gas_reasons(both, keys=["site_id"]).collect() == apart.collect()

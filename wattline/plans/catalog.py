@@ -583,13 +583,11 @@ _rs_body, _rs_sel = _reason_sql(REASON_CFG)
 @register("gas_reasons", with_sql(serve_first_sql(REASON_CFG) + ",\n" + _rs_body, _rs_sel))
 def q_gas_reasons(spark, sf_dir):
     """Why gas produced nothing, per site, with gas capped by the (sparse) gas column."""
-    iv = intervals(spark, sf_dir)
-    disp = serve_first_dispatch(iv, keys=["site_id"], cfg=REASON_CFG)
-    m = run_metrics(disp, keys=["site_id"]).select("site_id", "total_natgas_mwh", "total_served_mwh",
-                                                   "total_load_mwh")
-    sums = iv.groupBy("site_id").agg(F.sum(F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0))))
-                                     .alias("gas_column_sum"))
-    return gas_reasons(with_config(m, REASON_CFG), sums, keys=["site_id"]).withColumn(
+    disp = _sf(spark, sf_dir, cfg=REASON_CFG)
+    m = run_metrics(disp, keys=["site_id"], also={
+        "gas_column_sum": F.greatest(F.lit(0.0), F.coalesce(F.col("natgas_mw"), F.lit(0.0)))}).select(
+            "site_id", "total_natgas_mwh", "total_served_mwh", "total_load_mwh", "gas_column_sum")
+    return gas_reasons(with_config(m, REASON_CFG), keys=["site_id"]).withColumn(
         "reasons", F.array_join("reasons", " | "))
 
 
