@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,26 @@ def test_openings_of_a_block_in_groups(spark, monkeypatch, fan):
     assert sorted(map(tuple, op.lane_metrics(chunks, ls, cfg=CFG).collect())) == whole and len(whole) == 10
     opened = op.lanes_of(chunks, ls, ["site_id", "candidate_id"], CFG).opened
     assert dict(opened.dtypes)["s_in"] == "array<double>" and opened.count() == chunks.count() > 10
+
+
+def test_lanes_are_not_sent_to_the_driver_and_openings_are_a_table(spark):
+    """Blocks of lanes are small as files and large in memory."""
+    chunks = op.stored_chunks(intervals(spark, {1: 2500, 2: 40}))
+    dealt = op.lanes_of(chunks, lanes(spark, (1, 2), 3), ["site_id", "candidate_id"], CFG, most_lanes=3)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(dealt.base) and "ArrowEvalPython" not in plan(dealt.opened)
+    assert dealt.joined().count() == chunks.count()
+
+
+def test_a_window_moves_no_rows(spark, monkeypatch):
+    """Chunks cut to a window stay where they lie: their rows are in no exchange."""
+    chunks = op.stored_chunks(intervals(spark, {1: 5000, 2: 40}))
+    conf = spark.createDataFrame([(s, {"start_date": "2024-01-02", "end_date": "2024-02-02", "load_type": "24-7", "base_load_mw": 3.0,
+                                       "load_std": 1.0}) for s in (1, 2)], "site_id long, run_config struct<start_date:string,"
+                                 "end_date:string,load_type:string,base_load_mw:double,load_std:double>")
+    monkeypatch.setattr(op, "_stored", lambda d: d)
+    cut = op.windowed_chunks(chunks, conf)
+    text = spark._jvm.PythonSQLUtils.explainString(cut._jdf.queryExecution(), "formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", text)
+    assert moved and not any("_rows" in x for x in moved)
+    assert cut.count() == 2

@@ -114,3 +114,24 @@ def test_a_sweeps_plan_does_not_repeat_the_grid(spark):
     plan = sweep._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode") <= len(SW.CAND_COLS)
     assert sweep.count() == 16
+
+
+def _small_sweep(spark):
+    import datetime as dt
+    from wattline.plans.catalog import SWEEP_BASE
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 1.0, 5.0, 0.0, 9.0, 30.0) for s in (1, 2) for h in range(30)]
+    iv = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, wind_mw double, solar_mw double, natgas_mw double, "
+                                     "load_mw double, price double")
+    return SW.capacity_sweep(iv, SWEEP_BASE, UNIT_RANGES)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_not_sent_to_the_driver(spark):
+    """A grid is made from a small table of facts; a broadcast of it would gather all candidates in the driver."""
+    sweep = _small_sweep(spark)
+    ranked_rows = SW.score_and_rank(sweep, 60.0)
+    assert "Broadcast" not in _plan(sweep) and "Broadcast" not in _plan(ranked_rows)
+    assert sweep.count() == 16 and ranked_rows.count() == 16

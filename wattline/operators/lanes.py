@@ -20,7 +20,7 @@ from typing import Any, Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,7 +89,8 @@ def windowed_chunks(chunks: DataFrame, site_config: DataFrame) -> DataFrame:
     ``site_config`` has site_id and ``run_config`` (start_date, end_date: whole
     days; load_type, base_load_mw, load_std).  A chunk is met by an interval
     join on its first and last time, so chunks outside the window are dropped
-    by their facts, before their rows are read into anything.
+    by their facts, before their rows are read into anything.  The rows are only
+    joined by (site, chunk), as they lie.
     """
     c = F.col
     days = site_config.select(
@@ -97,16 +98,17 @@ def windowed_chunks(chunks: DataFrame, site_config: DataFrame) -> DataFrame:
         F.date_add(c("run_config.end_date").cast("date"), 1).cast("timestamp_ntz").alias("_hi"),
         c("run_config.load_type").alias("_type"), c("run_config.base_load_mw").alias("_mw"),
         c("run_config.load_std").alias("_std"))
-    met = chunks.select("site_id", "_c", "_rows", "first_ts", "last_ts").join(days, "site_id").where(
+    inside = chunks.select("site_id", "_c", "first_ts", "last_ts").join(days.hint("shuffle_hash"), "site_id").where(
         (c("last_ts") >= c("_lo")) & (c("first_ts") < c("_hi")))
     whole = (c("first_ts") >= c("_lo")) & (c("last_ts") < c("_hi"))
     cut = F.filter("_rows", lambda r: (r["ts"] >= c("_lo")) & (r["ts"] < c("_hi")))
-    met = met.withColumn("_rows", F.when(whole, c("_rows")).otherwise(cut)).where(F.size("_rows") > 0)
+    met = lambda by: chunks.select("site_id", "_c", "_rows").join(by.hint("shuffle_hash"), ["site_id", "_c"]).withColumn(
+        "_rows", F.when(whole, c("_rows")).otherwise(cut)).where(F.size("_rows") > 0)
     load = F.aggregate("_rows", F.lit(0.0), lambda a, r: a + F.abs(r["load_mw"]))
-    idle = met.groupBy("site_id").agg((F.sum(load) < F.lit(1e-9)).alias("_idle"))
+    idle = met(inside).groupBy("site_id").agg((F.sum(load) < F.lit(1e-9)).alias("_idle"))
     made = F.transform("_rows", lambda r: r.withField("load_mw", synthetic_load(
         r["ts"], c("site_id"), c("_type"), c("_mw"), c("_std"))))
-    return _stored(met.join(idle, "site_id").select(
+    return _stored(met(inside.join(idle.hint("shuffle_hash"), "site_id")).select(
         "site_id", "_c", F.when(c("_idle"), made).otherwise(c("_rows")).alias("_rows")))
 
 
@@ -463,15 +465,16 @@ def lanes_of(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str], cfg: Mapp
     d = _attach(lanes, cfg)
     if spread:
         count = lanes.groupBy("site_id").agg(F.ceil(F.count(F.lit(1)) / per_block).alias("_nb"))
-        d = d.join(count, "site_id").withColumn("_lb", F.pmod(F.hash(*lane_keys), F.col("_nb")).cast("int"))
+        d = d.join(count.hint("shuffle_hash"), "site_id").withColumn("_lb", F.pmod(F.hash(*lane_keys), F.col("_nb")).cast("int"))
     else:
         d = d.withColumn("_lb", F.lit(0))
     blocks = d.groupBy("site_id", "_lb").agg(F.array_sort(F.collect_list(
         F.struct(*lane_keys, *_lane_inputs(), *[F.col(c).alias(f"c_{c}") for c in own]))).alias("_lanes"))
     # read in several places below: as a table, so that the plan doesn't repeat how the lanes came about at each
     blocks = stored(blocks, "lanes")
-    last = chunks.groupBy("site_id").agg(F.max("_c").alias("_last_c"))
-    pairs = chunks.select("site_id", "_c").join(blocks.join(last, "site_id"), "site_id")
+    # a table of lanes is small as a file and large in memory: by the file's size Spark would send it to the driver
+    ids = chunks.select("site_id", "_c").withColumn("_last_c", F.max("_c").over(Window.partitionBy("site_id")))
+    pairs = blocks.join(ids.hint("shuffle_hash"), "site_id")
     base = chunks.select("site_id", "_c", "_rows", "_last").join(pairs.hint("shuffle_hash"), ["site_id", "_c"])
     if spread:  # the blocks of a chunk go to different tasks
         base = base.repartition(shuffle_partitions(chunks), *deal)
@@ -481,7 +484,8 @@ def lanes_of(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str], cfg: Mapp
     start = F.lit(None).cast(_STATES)
     opened = openings(functions, ["site_id", "_lb"], compose=_compose_lanes, fold=_fold_lanes, init=start, init_prev=start,
                       last_type=functions.schema["_last"].dataType, fan=FAN).select(*deal, "s_in", "s_prev", "_before")
-    return Lanes(base, opened, lane_keys, own, deal)
+    # a table too: how chunks open is the larger part of a sweep's plan, and the driver plans it anew after each stage
+    return Lanes(base, stored(opened, "openings"), lane_keys, own, deal)
 
 
 def lane_metrics(chunks: DataFrame, lanes: DataFrame, keys: Sequence[str] = KEYS, cfg: Mapping[str, Any] | None = None,

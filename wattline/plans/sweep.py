@@ -35,6 +35,8 @@ RANGE_TYPE = T.StructType([T.StructField("name", T.StringType()), T.StructField(
                            T.StructField("values", T.ArrayType(T.DoubleType())),
                            T.StructField("reference_mw", T.DoubleType())])
 KEYS = ["site_id", "candidate_id"]
+#: Facts of a site that its candidates' lanes need.
+LANE_FACTS = ["ref_solar_mw", "ref_wind_mw", "_ng_zero"]
 
 
 def ranges_row(ranges: Mapping[str, Mapping[str, Any]]) -> list[Column]:
@@ -60,15 +62,16 @@ def resolve(rng: Column, reference: Column | None = None) -> Column:
                   .otherwise(F.array(F.lit(0.0)))).otherwise(rng["values"])
 
 
-def _grid_lists(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]] | None, part: Sequence[str]) -> DataFrame:
-    """part, the five resolved value lists (_v_*) and the size of their product.
+def _grid_lists(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]] | None, part: Sequence[str],
+                keep: Sequence[str] = ()) -> DataFrame:
+    """part, the columns in ``keep``, the five resolved value lists (_v_*) and the size of their product.
 
     Without ``ranges`` the sites' rows carry them as ``screening_ranges``.
     """
     rng = ranges_row(ranges) if ranges is not None else [F.col(f"screening_ranges.{n}").alias(n) for n in RANGE_NAMES]
-    d = sites.select(*part, *rng, "ref_solar_mw", "ref_wind_mw")
+    d = sites.select(*part, *rng, *dict.fromkeys(["ref_solar_mw", "ref_wind_mw", *keep]))
     refs = {"solar": F.col("ref_solar_mw"), "wind": F.col("ref_wind_mw")}
-    d = d.select(*part, *[resolve(F.col(n), refs.get(n)).alias(f"_v_{k}") for n, k in zip(RANGE_NAMES, CAND_COLS)])
+    d = d.select(*part, *keep, *[resolve(F.col(n), refs.get(n)).alias(f"_v_{k}") for n, k in zip(RANGE_NAMES, CAND_COLS)])
     size = F.lit(1).cast("long")
     for k in CAND_COLS:
         size = size * F.greatest(F.size(f"_v_{k}"), F.lit(1))
@@ -76,22 +79,22 @@ def _grid_lists(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]] | None
 
 
 def candidate_grid(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]] | None = None, cap: int | None = None,
-                   part: Sequence[str] = ("site_id",)) -> DataFrame:
+                   part: Sequence[str] = ("site_id",), keep: Sequence[str] = ()) -> DataFrame:
     """The product of the five resolved ranges per site, ``candidate_id`` mixed-radix.
 
     ``sites`` has ``part``, ref_solar_mw, ref_wind_mw.  A site whose product is
     larger than ``cap`` (default: no limit) is left out before anything is
-    expanded; ``over_cap`` has it.
+    expanded; ``over_cap`` has it.  ``keep`` are columns of the site that its candidates keep.
     """
     part = list(part)
-    d = _grid_lists(sites, ranges, part)
+    d = _grid_lists(sites, ranges, part, keep)
     if cap is not None:
         d = d.where(F.col("grid_size") <= cap)
     cid = F.lit(0).cast("long")
     for k in CAND_COLS:
         d = d.select("*", F.posexplode(f"_v_{k}").alias(f"_i_{k}", k))
         cid = cid * F.size(f"_v_{k}") + F.col(f"_i_{k}")
-    return d.select(*part, cid.alias("candidate_id"), *CAND_COLS, "grid_size")
+    return d.select(*part, cid.alias("candidate_id"), *CAND_COLS, "grid_size", *keep)
 
 
 def over_cap(sites: DataFrame, ranges: Mapping[str, Mapping[str, Any]] | None, cap: int,
@@ -138,13 +141,12 @@ def most_candidates(ranges: Mapping[str, Mapping[str, Any]]) -> int:
     return math.prod(max(len(ranges[n]["values"]), 1) for n in RANGE_NAMES)
 
 
-def sweep_lanes(cands: DataFrame, facts: DataFrame) -> DataFrame:
+def sweep_lanes(cands: DataFrame) -> DataFrame:
     """The candidates as lanes, with the factors that scale the site's profiles
-    (P12); ``facts`` of ``site_facts``."""
+    (P12); ``cands`` with their site's ``LANE_FACTS``."""
     c = F.col
-    d = cands.join(facts.select("site_id", "ref_solar_mw", "ref_wind_mw", "_ng_zero"), "site_id")
     factor = lambda x, r: F.when(c(r) > 0, c(x) / c(r)).otherwise(F.lit(0.0))
-    return d.withColumns({"_sk": factor("cand_solar_mw", "ref_solar_mw"), "_wk": factor("cand_wind_mw", "ref_wind_mw"),
+    return cands.withColumns({"_sk": factor("cand_solar_mw", "ref_solar_mw"), "_wk": factor("cand_wind_mw", "ref_wind_mw"),
                           "_load": F.lit(None).cast("double")}).drop(
         "ref_solar_mw", "ref_wind_mw", "cand_solar_mw", "cand_wind_mw")
 
@@ -171,14 +173,15 @@ def capacity_sweep(iv: DataFrame, base: Mapping[str, Any], ranges: Mapping[str,
     chunks = chunks_of(iv, base)
     facts = stored(site_facts(chunks), "facts")
     grid = candidate_grid(facts, ranges, cap)
-    cands, cfg = candidate_config(grid.withColumnsRenamed({"solar_mw": "cand_solar_mw", "wind_mw": "cand_wind_mw"}),
-                                  base)
-    lanes = sweep_lanes(cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh", "grid_size"), facts)
+    cands, cfg = candidate_config(candidate_grid(facts, ranges, cap, keep=LANE_FACTS).withColumnsRenamed(
+        {"solar_mw": "cand_solar_mw", "wind_mw": "cand_wind_mw"}), base)
+    lanes = sweep_lanes(cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh", "grid_size"))
     m = metrics_of(lane_metrics(chunks, lanes, KEYS, cfg, grid_allowed, most_candidates(ranges)), KEYS,
                    grid_allowed=grid_allowed)
     info = grid.withColumn("bess_energy_mwh", F.col("bess_power_mw") * F.col("bess_duration_h"))
     # One screening scenario -> its economics are literal columns (no join)
-    out = sweep_rows(with_econ(info, econ).join(m, KEYS))
+    # merged: Spark takes the grid for as small as the facts it is made from, and would send all candidates to the driver
+    out = sweep_rows(with_econ(info, econ).join(m.hint("merge"), KEYS))
     if cap is not None:
         out = out.unionByName(over_cap(facts, ranges, cap), allowMissingColumns=True)
     return out
@@ -228,7 +231,7 @@ def score_and_rank(sweep: DataFrame, target_pct: float | Column, part: Sequence[
              .select(*part, "candidate_id", F.lit(True).alias("is_pareto")))
     ranks = row_numbers(d, part, order, "rank").join(front, [*part, "candidate_id"], "left").select(
         "_id", F.coalesce("is_pareto", F.lit(False)).alias("is_pareto"), "rank")
-    return rows.join(ranks, "_id").select(*sweep.columns, "meets_reliability", "is_pareto", "rank")
+    return rows.join(ranks.hint("merge"), "_id").select(*sweep.columns, "meets_reliability", "is_pareto", "rank")
 
 
 def recommend(ranked: DataFrame, target_pct: float | Column, sites: DataFrame | None = None,
@@ -263,7 +266,9 @@ def drilldown(iv: DataFrame, rec: DataFrame, base: Mapping[str, Any], grid_allow
     cands, cfg = candidate_config(rec.select("site_id", "candidate_id", F.col("solar_mw").alias("cand_solar_mw"),
                                              F.col("wind_mw").alias("cand_wind_mw"), "bess_power_mw", "bess_duration_h",
                                              "gas_mw"), base)
-    lanes = sweep_lanes(cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh"), site_facts(chunks))
+    facts = site_facts(chunks).select("site_id", *LANE_FACTS)
+    lanes = sweep_lanes(cands.drop("bess_power_mw", "bess_duration_h", "gas_mw", "bess_energy_mwh").join(
+        facts.hint("shuffle_hash"), "site_id"))
     return lane_dispatch(chunks, lanes, KEYS, cfg, grid_allowed, most_lanes=1)
 
 
@@ -393,25 +398,28 @@ def scenario_screening(iv: DataFrame, site_scenarios: DataFrame) -> DataFrame:
     without an interval in its window has no rows.
     """
     c = F.col
+    site_scenarios = stored(site_scenarios, "scenarios")
     chunks = windowed_chunks(chunks_of(iv), site_scenarios)
     facts = stored(site_facts(chunks), "facts")
-    grid = candidate_grid(facts.join(site_scenarios, "site_id"), None)
-    given = site_scenarios.select("site_id", c("name").alias("scenario"), c("reliability_target_pct").alias("target_pct"),
-                                  "grid_allowed", "run_config", "econ")
-    cands = stored(grid.join(given, "site_id"), "candidates")
+    given = {"scenario": c("name"), "target_pct": c("reliability_target_pct"), "grid_allowed": c("grid_allowed"),
+             "run_config": c("run_config"), "econ": c("econ")}
+    sites = facts.select("site_id", *LANE_FACTS).join(site_scenarios.select(
+        "site_id", "screening_ranges", *[v.alias(n) for n, v in given.items()]).hint("shuffle_hash"), "site_id")
+    cands = stored(candidate_grid(sites, None, keep=[*LANE_FACTS, *given]), "candidates")
     sizes = {"battery_power_mw": c("bess_power_mw"), "battery_duration_h": c("bess_duration_h"), "gas_pmax_mw": c("gas_mw"),
              "gas_enabled": c("gas_mw") > 0, "gas_dispatchable": c("gas_mw") > 0,
              "gas_pmin_mw": F.least(c("run_config.gas_pmin_mw"), c("gas_mw"))}
-    names = [f.name for f in given.schema["run_config"].dataType]
+    names = [f.name for f in cands.schema["run_config"].dataType]
     lanes = sweep_lanes(cands.select(
         "site_id", "candidate_id", "grid_allowed", c("solar_mw").alias("cand_solar_mw"), c("wind_mw").alias("cand_wind_mw"),
-        *[sizes.get(n, c(f"run_config.{n}")).alias(n) for n in names]), facts)
+        *[sizes.get(n, c(f"run_config.{n}")).alias(n) for n in names], *LANE_FACTS))
     both = None
     for on in (False, True):
         mine = lanes.where(c("grid_allowed") == on).drop("grid_allowed")
         m = metrics_of(lane_metrics(chunks, mine, KEYS, None, on), KEYS, grid_allowed=on)
         both = m if both is None else both.unionByName(m)
     info = cands.withColumn("bess_energy_mwh", c("bess_power_mw") * c("bess_duration_h"))
-    rows = info.select(*grid.columns, "bess_energy_mwh", "scenario", "target_pct", *econ_columns("econ")).join(both, KEYS)
+    rows = info.select(*KEYS, *CAND_COLS, "grid_size", "bess_energy_mwh", "scenario", "target_pct",
+                       *econ_columns("econ")).join(both.hint("merge"), KEYS)
     sweep = sweep_rows(rows.withColumn("_t", c("target_pct")), ("scenario", "target_pct", "site_id"))
     return score_and_rank(sweep, c("target_pct"))
