@@ -194,3 +194,34 @@ def test_rows_of_one_id_with_equal_32_bit_hashes(spark, docs_of, doc_id):
     assert sorted(got, key=str) == brute_words(rows, substring_dedup.WIDTH)
     near = near_dedup.near_dedup(docs_of(rows)).collect()
     assert sorted(r.class_size for r in near) == [1, 1, 2, 2]
+
+
+def test_runs_keep_every_window():
+    """Spans of a document that meet or overlap become one; others stay apart."""
+    rng = np.random.default_rng(3)
+    n = 400
+    c = {"doc": rng.integers(-2, 3, n), "ver": rng.integers(0, 2, n), "alt": np.zeros(n, np.int64),
+         "start": rng.integers(0, 300, n), "n": rng.integers(1, 9, n)}
+    windows = lambda c: {(d, v, a, x) for d, v, a, s, m in zip(*[c[k].tolist() for k in c]) for x in range(s, s + m)}
+    r = repeats.runs(c)
+    assert windows(r) == windows(c) and len(r["doc"]) < n
+    empty = {k: np.zeros(0, np.int64) for k in c}
+    assert not len(repeats.runs(empty)["doc"])
+
+
+def test_rows_told_of_documents_do_not_grow_with_buckets(spark):
+    """Copies meet under many keys; what is found goes on by buckets of documents, not as a row for each document and bucket."""
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1500))
+    docs = spark.createDataFrame([(i, text) for i in range(300)], "doc_id long, text string").repartition(40)
+    keyed = repeats.keyed_documents(docs, "doc_id", "text", None)
+    told = repeats.settle_entries(repeats.anchor_entries(keyed, suffix_dedup.anchors, False), False).where("kind = 1").cache()
+    buckets = repeats.partitions(spark)
+    assert told.count() <= buckets * (buckets + 40)
+    rows = repeats.of_documents(told, repeats.SPANS, "spans").collect()
+    assert sorted(r.doc for r in rows) == list(range(1, 300))
+    size = len(text.encode()) - suffix_dedup.WIDTH + 1
+    for r in rows:
+        c = repeats.unpacked(r.spans, repeats.SPANS)
+        assert c["start"].tolist() == [0] and c["n"].tolist() == [size]
+    told.unpersist()
