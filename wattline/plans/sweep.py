@@ -229,8 +229,8 @@ def score_and_rank(sweep: DataFrame, target_pct: float | Column, part: Sequence[
     steps = fine.withColumn("_best", best([*part, "_p"])).where(c("_best").isNull() | (cost < c("_best")))
     front = (steps.withColumn("_best", best(part)).where(c("_best").isNull() | (cost < c("_best") - F.lit(1e-6)))
              .select(*part, "candidate_id", F.lit(True).alias("is_pareto")))
-    ranks = row_numbers(d, part, order, "rank").join(front, [*part, "candidate_id"], "left").select(
-        "_id", F.coalesce("is_pareto", F.lit(False)).alias("is_pareto"), "rank")
+    ranks = stored(row_numbers(d, part, order, "rank").join(front, [*part, "candidate_id"], "left").select(
+        "_id", F.coalesce("is_pareto", F.lit(False)).alias("is_pareto"), "rank"), "ranks")
     return rows.join(ranks.hint("merge"), "_id").select(*sweep.columns, "meets_reliability", "is_pareto", "rank")
 
 
