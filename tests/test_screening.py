@@ -135,3 +135,23 @@ def test_candidates_are_not_sent_to_the_driver(spark):
     ranked_rows = SW.score_and_rank(sweep, 60.0)
     assert "Broadcast" not in _plan(sweep) and "Broadcast" not in _plan(ranked_rows)
     assert sweep.count() == 16 and ranked_rows.count() == 16
+
+
+def test_ranks_and_the_trade_offs_sweep_are_tables(spark):
+    """What reads ranks twice, or the sweep, doesn't have all that made them in its plan."""
+    sweep = _small_sweep(spark)
+    ranked_rows = SW.score_and_rank(sweep, 60.0)
+    both = SW.recommend(ranked_rows, 60.0).join(ranked_rows.groupBy("site_id").count(), "site_id")
+    assert "Window" not in _plan(both)
+    assert [(x.site_id, x["count"]) for x in both.orderBy("site_id").collect()] == [(1, 8), (2, 8)]
+    slack = SW.slack_tradeoff(sweep)
+    assert "ArrowEvalPython" not in _plan(slack)
+    assert slack.count() == 2 * len(SW.DEFAULT_SLACKS)
+
+
+def test_drilldown_stores_the_intervals_once(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+    from wattline.plans.catalog import REGISTRY
+    made, chunks = [], SW.stored_chunks
+    monkeypatch.setattr(SW, "stored_chunks", lambda *a: made.append(1) or chunks(*a))
+    assert REGISTRY["drilldown"][0](spark, SF_SMALL).limit(1).count() == 1 and len(made) == 1

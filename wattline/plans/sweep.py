@@ -335,9 +335,10 @@ def slack_tradeoff(sweep: DataFrame, slacks: Sequence[float] = DEFAULT_SLACKS) -
     floor test is the range (theta) predicate applied after it.
     """
     c = F.col
-    sweep = sweep.where("ok")
+    sweep = stored(sweep.where("ok").select("site_id", "candidate_id", "firmness_pct", "total_served_mwh",
+                                            "merchant_revenue_usd"), "served")
     best = sweep.groupBy("site_id").agg(F.max("total_served_mwh").alias("max_served"))
-    d = sweep.join(best, "site_id")
+    d = sweep.join(best.hint("shuffle_hash"), "site_id")
     d = d.select("*", F.posexplode(F.array(*[F.lit(float(s)) for s in slacks])).alias("_si", "slack"))
     d = d.withColumn("served_floor", (F.lit(1.0) - c("slack")) * c("max_served"))
     d = d.where(c("total_served_mwh") >= c("served_floor") - F.lit(1e-9))
